@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from . import registry
+from . import tables  # noqa: F401  registers its queries
+
 FLAGSHIP = "k1_vector_topk"
 
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
