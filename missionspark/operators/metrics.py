@@ -18,10 +18,16 @@ ACTIVE = "state in ('confirmed', 'occluded')"
 IOU = 0.5
 
 
-def _greedy(pairs: pd.DataFrame, left: str, right: str) -> pd.DataFrame:
-    """Best pairs first, each side used once."""
+#: Seconds of a mission that one task matches; frames are matched alone.
+CHUNK_SEC = 64.0
+
+
+def _one_to_one(pairs: pd.DataFrame, order: list[tuple[str, bool]], scope: list[str], left: str, right: str) -> pd.DataFrame:
+    """Takes pairs in order (column, ascending) and uses each side once in its scope."""
+    pairs = pairs.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable")
     used_l, used_r, keep = set(), set(), []
-    for i, (a, b) in enumerate(zip(pairs[left], pairs[right])):
+    for i, row in enumerate(zip(pairs[left], pairs[right], *(pairs[c] for c in scope))):
+        a, b = (row[0], *row[2:]), (row[1], *row[2:])
         if a not in used_l and b not in used_r:
             used_l.add(a)
             used_r.add(b)
@@ -39,10 +45,10 @@ def frame_matches(pred: DataFrame, truth: DataFrame, least: float = IOU) -> Data
     met = pred.join(prefixed(truth, "g_"), (F.col("mission_id") == F.col("g_mission_id")) & (F.col("t_sec") == F.col("g_t_sec")))
     pairs = met.withColumn("iou", F.round(iou_2d(box(""), box("g_")), 9)).filter(F.col("iou") >= least).select("mission_id", "t_sec", "track_id", F.col("g_gt_id").alias("gt_id"), "iou")
 
-    def best(frame: pd.DataFrame) -> pd.DataFrame:
-        return _greedy(frame.sort_values(["iou", "track_id", "gt_id"], ascending=False), "track_id", "gt_id")
+    def best(group: pd.DataFrame) -> pd.DataFrame:
+        return _one_to_one(group, [("iou", False), ("track_id", False), ("gt_id", False)], ["t_sec"], "track_id", "gt_id")
 
-    return pairs.groupBy("mission_id", "t_sec").applyInPandas(best, pairs.schema)
+    return pairs.groupBy("mission_id", F.floor(F.col("t_sec") / CHUNK_SEC)).applyInPandas(best, pairs.schema)
 
 
 def detection_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
@@ -83,17 +89,21 @@ def grounding(pred: DataFrame, truth: DataFrame) -> DataFrame:
     met = pred.join(prefixed(truth, "g_"), (F.col("mission_id") == F.col("g_mission_id")) & (F.col("t_sec") == F.col("g_t_sec")), "left")
     pairs = met.withColumn("iou", F.coalesce(F.round(iou_2d(box(""), box("g_")), 9), F.lit(0.0))).select("mission_id", "t_sec", "track_id", "confidence", F.col("g_gt_id").alias("gt_id"), "iou")
 
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, rows = set(), []
-        for (conf, track), own in sorted(frame.groupby(["confidence", "track_id"]), key=lambda kv: (-kv[0][0], kv[0][1])):
-            free = own[~own["gt_id"].isin(taken) & (own["iou"] > 0)].sort_values(["iou", "gt_id"], ascending=[False, True])
-            hit = len(free) > 0 and free["iou"].iloc[0] >= IOU
-            if hit:
-                taken.add(free["gt_id"].iloc[0])
-            rows.append((frame["mission_id"].iloc[0], frame["t_sec"].iloc[0], track, conf, int(hit)))
+    def take(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["t_sec", "confidence", "track_id", "iou", "gt_id"], ascending=[True, False, True, False, True])
+        taken, rows, last, done = set(), [], None, False
+        for m, t, track, conf, gt, iou in group.itertuples(index=False):
+            if (t, track, conf) != last:  # the next prediction; its pairs follow, best first
+                rows.append([m, t, track, conf, 0])
+                last, done = (t, track, conf), False
+            if not done and iou > 0 and (t, gt) not in taken:
+                done = True  # the best free truth decides
+                if iou >= IOU:
+                    taken.add((t, gt))
+                    rows[-1][4] = 1
         return pd.DataFrame(rows, columns=["mission_id", "t_sec", "track_id", "confidence", "hit"])
 
-    hits = pairs.groupBy("mission_id", "t_sec").applyInPandas(take, "mission_id long, t_sec double, track_id string, confidence double, hit int")
+    hits = pairs.groupBy("mission_id", F.floor(F.col("t_sec") / CHUNK_SEC)).applyInPandas(take, "mission_id long, t_sec double, track_id string, confidence double, hit int")
     order = Window.partitionBy("mission_id").orderBy(F.desc("confidence"), "t_sec", "track_id")
     steps = hits.withColumn("precision", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(order))
     n_truth = truth.groupBy("mission_id").agg(F.count("*").alias("n_truth"))
@@ -158,15 +168,9 @@ def interval_matches(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) ->
     pairs = pairs.select(*keys, "pred_id", F.col("g_truth_id").alias("truth_id"), "iou")
 
     def take(group: pd.DataFrame) -> pd.DataFrame:
-        used, keep = set(), []
-        for _, own in group.sort_values(["pred_id", "iou", "truth_id"], ascending=[True, False, True]).groupby("pred_id", sort=True):
-            free = own[~own["truth_id"].isin(used)]
-            if len(free):
-                used.add(free["truth_id"].iloc[0])
-                keep.append(free.index[0])
-        return group.loc[keep]
-
-    return pairs.groupBy(*keys).applyInPandas(take, pairs.schema)
+        return _one_to_one(group, [("pred_id", True), ("iou", False), ("truth_id", True)], list(keys), "pred_id", "truth_id")
+
+    return pairs.groupBy("mission_id").applyInPandas(take, pairs.schema)
 
 
 def interval_quality(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:
