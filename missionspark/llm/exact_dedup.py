@@ -24,7 +24,13 @@ from pyspark.sql import functions as F
 from .storage import materialise, new_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # Each store preallocates some megabytes of disk, so their number follows the keys and not the shuffles.
+    "spark.sql.streaming.internal.stateStore.partitions": None,
+}
+#: Arrivals for each state store; there are as many stores as cores at least.
+STORE_ROWS = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -51,9 +57,11 @@ def stream_state(spark: SparkSession, log_path: str, log: DataFrame, files_per_b
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     best = F.max(F.struct("doc_id", "row", "locator")).alias("best")
     grouped = reader.parquet(log_path).groupBy("digest").agg(F.count("*").alias("n"), best)
-    option = "spark.sql.streaming.stateStore.providerClass"
-    was = spark.conf.get(option)
-    spark.conf.set(option, ROCKSDB)
+    stores = max(spark.sparkContext.defaultParallelism, -(-log.count() // STORE_ROWS))
+    options = {k: v or str(stores) for k, v in STORE.items()}
+    was = {k: spark.conf.get(k, None) for k in options}
+    for k, v in options.items():
+        spark.conf.set(k, v)
     try:
         query = (
             grouped.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
@@ -62,7 +70,8 @@ def stream_state(spark: SparkSession, log_path: str, log: DataFrame, files_per_b
         )
         query.awaitTermination()
     finally:
-        spark.conf.set(option, was)
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = grouped.schema
     if query.lastProgress is None:  # nothing has ever arrived
         return spark.createDataFrame([], schema)
