@@ -134,16 +134,28 @@ def solve_rate(drift: float, chances: np.ndarray, scores: np.ndarray) -> float:
     return high
 
 
-def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> list[float]:
-    """Logistic regression by Newton steps."""
+def fit_curve(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> list[float]:
+    """Logistic regression by Newton steps, each halved until the loss falls.
+
+    The ridge on the slopes keeps the curve finite where a feature separates the classes.
+    """
     x = np.column_stack([np.ones(len(x)), x])
+    penalty = np.array([1e-6, *[ridge] * (x.shape[1] - 1)])
+
+    def loss(w: np.ndarray) -> float:
+        z = x @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.5 * (penalty * w * w).sum())
+
     w = np.zeros(x.shape[1])
-    for _ in range(40):
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
+        now, size = loss(w), 1.0
+        while size > 1e-6 and loss(w + size * step) > now:
+            size /= 2
+        if size <= 1e-6 or np.abs(size * step).max() < 1e-8:
             break
+        w = w + size * step
     return w.tolist()
 
 
@@ -195,10 +207,17 @@ def term_scores(rows: DataFrame, prior: float, least_z: float, max_terms: int) -
 
 def train(
     docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-    max_labels: int = 20_000, max_terms: int = 20_000, prior: float = 0.1, least_z: float = 2.5, drift: float = 0.05,
+    max_labels: int = 20_000, max_terms: int = 20_000, prior: float = 0.1, least_z: float | None = None, drift: float = 0.05,
 ) -> Model:
-    """Learns a model from the labelled rows that are not held out."""
+    """Learns a model from the labelled rows that are not held out.
+
+    With more labelled text more words are tried, and more seem toxic by chance;
+    the significance asked for (``least_z``) grows with the logarithm of the
+    number of toxic rows.
+    """
     rows = materialise(labelled(docs, labels, doc_id, text, label, max_labels), "toxicity-labelled")
+    if least_z is None:
+        least_z = 1 + math.log(max(1, rows.filter("toxic > 0").count())) / 2
     terms, chances, scores = term_scores(rows, prior, least_z, max_terms)
     model = Model(terms, drift)
     share = rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
