@@ -170,3 +170,59 @@ def check_geometry(edges: DataFrame, relations: DataFrame) -> DataFrame:
     last = edges.filter("status = 'accepted'").join(times, keys & (F.col("at") >= F.col("start_sec")) & (F.col("at") < F.col("end_sec"))).groupBy("edge_id", "mission_id", "subject_id", "object_id", "predicate").agg(F.max("at").alias("last_at"))
     held = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), F.col("predicate").alias("p"), "at")
     return last.join(held, keys & (F.col("last_at") == F.col("at")) & (F.col("predicate") == F.col("p")), "left_anti").select("edge_id", "predicate", "last_at")
+
+
+def recheck(events: DataFrame, relations: DataFrame) -> DataFrame:
+    """Status of accepted events (event_id, mission_id, subject_id, predicate, object_id, start_sec) from geometry.
+
+    Accepted where the relation holds at the last co-time of the pair up to the
+    start, rejected where it doesn't, uncertain where the pair was never seen.
+    """
+    r = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), F.col("predicate").alias("p"), "at")
+    met = events.join(r, (F.col("mission_id") == F.col("m")) & (F.col("subject_id") == F.col("l")) & (F.col("object_id") == F.col("r")) & (F.col("at") <= F.col("start_sec")), "left")
+    last = met.groupBy("event_id").agg(F.max("at").alias("last_at"), F.max(F.when(F.col("p") == F.col("predicate"), F.col("at"))).alias("held_at"))
+    return last.select("event_id", F.when(F.col("last_at").isNull(), "uncertain").when(F.col("held_at") == F.col("last_at"), "accepted").otherwise("rejected").alias("status"))
+
+
+def claim_count_events(claims: DataFrame, events: DataFrame) -> DataFrame:
+    """Events from accepted count claims (claim_id, mission_id, label, start_sec, end_sec, said) that no count event overlaps."""
+    from .joins import prefixed
+
+    e = prefixed(events, "e_")
+    free = claims.join(e, (F.col("mission_id") == F.col("e_mission_id")) & (F.col("label") == F.col("e_label")) & (F.col("start_sec") < F.col("e_end_sec")) & (F.col("e_start_sec") < F.col("end_sec")), "left_anti")
+    return free.select("mission_id", F.concat_ws("-", F.lit("evt-claim"), "claim_id").alias("event_id"), "label", "start_sec", (F.col("start_sec") + EVENT_SEC).alias("end_sec"), F.col("said").alias("n"))
+
+
+def screen_claims(claims: DataFrame, relations: DataFrame, tolerance: float) -> DataFrame:
+    """Geometry claims that the nearest co-time within the tolerance contradicts: (claim_id, seen).
+
+    A claim goes where the opposite of its predicate holds then and itself doesn't.
+    """
+    opposite = F.create_map(*[F.lit(x) for x in ("left_of", "right_of", "right_of", "left_of", "above", "below", "below", "above")])
+    r = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), F.col("predicate").alias("p"), "at")
+    met = claims.join(r, (F.col("mission_id") == F.col("m")) & (F.col("subject_id") == F.col("l")) & (F.col("object_id") == F.col("r")) & (F.abs(F.col("at") - F.col("start_sec")) <= tolerance))
+    at = met.groupBy("claim_id", "predicate", F.abs(F.col("at") - F.col("start_sec")).alias("off"), "at").agg(F.collect_set("p").alias("held"))
+    best = at.groupBy("claim_id").agg(F.min_by(F.struct("predicate", "held", "at"), F.struct("off", "at")).alias("b"))
+    return best.filter(F.array_contains("b.held", opposite[F.col("b.predicate")]) & ~F.array_contains("b.held", F.col("b.predicate"))).select("claim_id", F.col("b.at").alias("seen"))
+
+
+def run_rows(events: DataFrame) -> DataFrame:
+    """One run a mission: its id is the digest of what it holds; counts for the query table."""
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda e: e.cast("string")), ",")
+    return events.groupBy("mission_id").agg(F.sha2(ids, 256).alias("run_id"), F.count("*").alias("events"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.sum("n_evidence").alias("evidence"))
+
+
+def degradations(missions: DataFrame, outputs: dict[str, DataFrame | None]) -> DataFrame:
+    """Missions that a stage has no model output for: (mission_id, stage, code).
+
+    A missing table means that its provider is unavailable; a table without rows
+    of a mission means that it gave no result.
+    """
+    found = None
+    for stage, df in outputs.items():
+        if df is None:
+            rows = missions.select("mission_id", F.lit(stage).alias("stage"), F.lit("provider_unavailable").alias("code"))
+        else:
+            rows = missions.select("mission_id").join(df.select("mission_id").distinct(), "mission_id", "left_anti").select("mission_id", F.lit(stage).alias("stage"), F.lit("no_result").alias("code"))
+        found = rows if found is None else found.unionByName(rows)
+    return found

@@ -169,3 +169,9 @@ def route(messages: DataFrame, contracts: dict[str, tuple[str, str, Sequence[str
         good[k] = own.filter(ok).select("topic", "row.*")
         dead = dead.unionByName(own.filter(~ok).select("topic", "value", F.lit("invalid").alias("reason")))
     return good, dead
+
+
+def append_timeline(captions: DataFrame, path: str, checkpoint: str):
+    """Starts the stream that appends captions to the scene timeline; returns its query."""
+    rows = captions.filter("caption is not null").select("mission_id", "frame_id", "t_sec", "caption")
+    return rows.writeStream.outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
