@@ -204,6 +204,8 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
     all_anchors = materialise(anchors(rows, prefix), "suffix-anchors")
     shared = all_anchors.groupBy(F.col("prefix_hash").alias("key")).agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low <> high").select("key")
+    # Written first: a join that reuses the grouping's shuffle couldn't split a prefix that a third of the rows hold.
+    shared = materialise(shared, "suffix-shared")
     places = all_anchors.join(shared, F.col("prefix_hash") == F.col("key")).groupBy("rid").agg(F.collect_set("pos").alias("at"))
     around = materialise(surroundings(rows, places, prefix, min_words).withColumn("ctx", F.xxhash64("prefix_hash", "after", "before")), "suffix-surroundings")
     distinct = materialise(
