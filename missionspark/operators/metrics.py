@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import distance_3d, iou_2d, iou_3d, temporal_iou
@@ -18,21 +18,29 @@ ACTIVE = "state in ('confirmed', 'occluded')"
 IOU = 0.5
 
 
-#: Seconds of a mission that one task matches; frames are matched alone.
-CHUNK_SEC = 64.0
 
+def greedy_scan(pairs: DataFrame, scope: Sequence[str], order: Sequence[Column], left: str, right: str) -> DataFrame:
+    """Takes the pairs of each scope in order and uses each side once.
 
-def _one_to_one(pairs: pd.DataFrame, order: list[tuple[str, bool]], scope: list[str], left: str, right: str) -> pd.DataFrame:
-    """Takes pairs in order (column, ascending) and uses each side once in its scope."""
-    pairs = pairs.sort_values([c for c, _ in order], ascending=[a for _, a in order], kind="stable")
-    used_l, used_r, keep = set(), set(), []
-    for i, row in enumerate(zip(pairs[left], pairs[right], *(pairs[c] for c in scope))):
-        a, b = (row[0], *row[2:]), (row[1], *row[2:])
-        if a not in used_l and b not in used_r:
-            used_l.add(a)
-            used_r.add(b)
-            keep.append(i)
-    return pairs.iloc[keep]
+    Scopes are dealt by hash and sorted in their task; one pass over the sorted
+    rows needs the sides used in the current scope only.
+    """
+    names = pairs.columns
+
+    def take(frames):
+        last, used_l, used_r = None, set(), set()
+        for frame in frames:
+            keep = []
+            for i, row in enumerate(zip(frame[left].tolist(), frame[right].tolist(), *(frame[c].tolist() for c in scope))):
+                if row[2:] != last:
+                    last, used_l, used_r = row[2:], set(), set()
+                if row[0] not in used_l and row[1] not in used_r:
+                    used_l.add(row[0])
+                    used_r.add(row[1])
+                    keep.append(i)
+            yield frame.iloc[keep]
+
+    return pairs.repartition(*scope).sortWithinPartitions(*scope, *order).select(*names).mapInPandas(take, pairs.schema)
 
 
 def frame_matches(pred: DataFrame, truth: DataFrame, least: float = IOU) -> DataFrame:
@@ -45,10 +53,7 @@ def frame_matches(pred: DataFrame, truth: DataFrame, least: float = IOU) -> Data
     met = pred.join(prefixed(truth, "g_"), (F.col("mission_id") == F.col("g_mission_id")) & (F.col("t_sec") == F.col("g_t_sec")))
     pairs = met.withColumn("iou", F.round(iou_2d(box(""), box("g_")), 9)).filter(F.col("iou") >= least).select("mission_id", "t_sec", "track_id", F.col("g_gt_id").alias("gt_id"), "iou")
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        return _one_to_one(group, [("iou", False), ("track_id", False), ("gt_id", False)], ["t_sec"], "track_id", "gt_id")
-
-    return pairs.groupBy("mission_id", F.floor(F.col("t_sec") / CHUNK_SEC)).applyInPandas(best, pairs.schema)
+    return greedy_scan(pairs, ["mission_id", "t_sec"], [F.desc("iou"), F.desc("track_id"), F.desc("gt_id")], "track_id", "gt_id")
 
 
 def detection_counts(pred: DataFrame, truth: DataFrame, matches: DataFrame) -> DataFrame:
@@ -89,21 +94,26 @@ def grounding(pred: DataFrame, truth: DataFrame) -> DataFrame:
     met = pred.join(prefixed(truth, "g_"), (F.col("mission_id") == F.col("g_mission_id")) & (F.col("t_sec") == F.col("g_t_sec")), "left")
     pairs = met.withColumn("iou", F.coalesce(F.round(iou_2d(box(""), box("g_")), 9), F.lit(0.0))).select("mission_id", "t_sec", "track_id", "confidence", F.col("g_gt_id").alias("gt_id"), "iou")
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["t_sec", "confidence", "track_id", "iou", "gt_id"], ascending=[True, False, True, False, True])
-        taken, rows, last, done = set(), [], None, False
-        for m, t, track, conf, gt, iou in group.itertuples(index=False):
-            if (t, track, conf) != last:  # the next prediction; its pairs follow, best first
-                rows.append([m, t, track, conf, 0])
-                last, done = (t, track, conf), False
-            if not done and iou > 0 and (t, gt) not in taken:
-                done = True  # the best free truth decides
-                if iou >= IOU:
-                    taken.add((t, gt))
-                    rows[-1][4] = 1
-        return pd.DataFrame(rows, columns=["mission_id", "t_sec", "track_id", "confidence", "hit"])
-
-    hits = pairs.groupBy("mission_id", F.floor(F.col("t_sec") / CHUNK_SEC)).applyInPandas(take, "mission_id long, t_sec double, track_id string, confidence double, hit int")
+    def take(frames):
+        scope, last, done, taken = None, None, False, set()
+        for frame in frames:
+            rows = []
+            for m, t, track, conf, gt, iou in frame.itertuples(index=False):
+                if (m, t) != scope:
+                    scope, last, taken = (m, t), None, set()
+                if (track, conf) != last:  # the next prediction; its pairs follow, best first
+                    last, done = (track, conf), False
+                if not done and iou > 0 and gt not in taken:
+                    done = True  # the best free truth decides
+                    if iou >= IOU:
+                        taken.add(gt)
+                        rows.append((m, t, track, conf))
+            yield pd.DataFrame(rows, columns=["mission_id", "t_sec", "track_id", "confidence"])
+
+    dealt = pairs.repartition("mission_id", "t_sec").sortWithinPartitions("mission_id", "t_sec", F.desc("confidence"), "track_id", F.desc("iou"), "gt_id")
+    found = dealt.mapInPandas(take, "mission_id long, t_sec double, track_id string, confidence double").withColumn("hit", F.lit(1))
+    keys = ["mission_id", "t_sec", "track_id", "confidence"]
+    hits = pred.select(*keys).join(found, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     order = Window.partitionBy("mission_id").orderBy(F.desc("confidence"), "t_sec", "track_id")
     steps = hits.withColumn("precision", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(order))
     n_truth = truth.groupBy("mission_id").agg(F.count("*").alias("n_truth"))
@@ -167,10 +177,7 @@ def interval_matches(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) ->
     pairs = met.withColumn("iou", F.round(temporal_iou(F.col("start_sec"), F.col("end_sec"), F.col("g_start_sec"), F.col("g_end_sec")), 9)).filter("iou > 0")
     pairs = pairs.select(*keys, "pred_id", F.col("g_truth_id").alias("truth_id"), "iou")
 
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        return _one_to_one(group, [("pred_id", True), ("iou", False), ("truth_id", True)], list(keys), "pred_id", "truth_id")
-
-    return pairs.groupBy("mission_id").applyInPandas(take, pairs.schema)
+    return greedy_scan(pairs, list(keys), [F.col("pred_id"), F.desc("iou"), F.col("truth_id")], "pred_id", "truth_id")
 
 
 def interval_quality(pred: DataFrame, truth: DataFrame, keys: Sequence[str]) -> DataFrame:

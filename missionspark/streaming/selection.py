@@ -7,6 +7,8 @@ also runs as a stream with keyed state.
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -142,18 +144,22 @@ def track(detections: DataFrame) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         rows, alive, born = [], {}, 0
-        for t, frame in group.sort_values(["t_sec", "detection_id"]).groupby("t_sec", sort=True):
-            if frame["cut"].any():
+        columns = ["t_sec", "detection_id", "label", "x", "y", "w", "h", "cut"]
+        ordered = sorted(zip(*(group[c].tolist() for c in columns)), key=lambda r: r[:2])
+        mission = group["mission_id"].iloc[0]
+        for t, frame in itertools.groupby(ordered, key=lambda r: r[0]):
+            frame = list(frame)
+            if any(r[7] for r in frame):
                 alive = {}
             alive = {k: a for k, a in alive.items() if t - a["t"] <= ENDED_SEC}
-            boxes = frame[["x", "y", "w", "h"]].to_numpy(float)
-            labels, ids = frame["label"].tolist(), frame["detection_id"].tolist()
+            boxes = [r[3:7] for r in frame]
+            labels, ids = [r[2] for r in frame], [r[1] for r in frame]
             pairs = []
             for k, a in alive.items():
-                moved = a["box"] + a["v"] * (t - a["t"])
+                dt = t - a["t"]
+                moved = (a["box"][0] + a["v"][0] * dt, a["box"][1] + a["v"][1] * dt, *a["box"][2:])
                 for i, b in enumerate(boxes):
-                    score = match_score(moved, b, a["label"] == labels[i])
-                    if score >= MATCH and a["label"] == labels[i]:
+                    if a["label"] == labels[i] and (score := match_score(moved, b, True)) >= MATCH:
                         pairs.append((-score, k, i))
             used_k, used_i = set(), {}
             for _, k, i in sorted(pairs):
@@ -164,24 +170,24 @@ def track(detections: DataFrame) -> DataFrame:
                 if i in used_i:
                     k, a = used_i[i], alive[used_i[i]]
                     dt = t - a["t"]
-                    velocity = np.r_[(b[:2] - a["box"][:2]) / dt, 0.0, 0.0] if dt > 0 else a["v"]
+                    velocity = ((b[0] - a["box"][0]) / dt, (b[1] - a["box"][1]) / dt) if dt > 0 else a["v"]
                     state = "confirmed"
                 else:
-                    k, velocity, state = born, np.zeros(4), "tentative"
+                    k, velocity, state = born, (0.0, 0.0), "tentative"
                     born += 1
                 alive[k] = {"t": t, "box": b, "v": velocity, "label": labels[i]}
-                rows.append((group["mission_id"].iloc[0], ids[i], t, k, state))
+                rows.append((mission, ids[i], t, k, state))
         return pd.DataFrame(rows, columns=["mission_id", "detection_id", "t_sec", "track_id", "state"])
 
     return detections.groupBy("mission_id").applyInPandas(run, "mission_id long, detection_id string, t_sec double, track_id long, state string")
 
 
-def match_score(a: np.ndarray, b: np.ndarray, same_label: bool) -> float:
+def match_score(a: tuple[float, ...], b: tuple[float, ...], same_label: bool) -> float:
     """Weighted likeness of a predicted and a detected box."""
     ix = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
     iy = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
     union = a[2] * a[3] + b[2] * b[3] - ix * iy
-    off = float(np.hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2))
+    off = math.hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2)
     size = min(a[2] * a[3], b[2] * b[3]) / max(a[2] * a[3], b[2] * b[3], 1e-12)
     return WEIGHTS["iou"] * (ix * iy / union if union > 0 else 0.0) + WEIGHTS["motion"] * max(0.0, 1 - off) + WEIGHTS["label"] * same_label + WEIGHTS["appearance"] * size
 
