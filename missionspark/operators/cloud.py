@@ -12,7 +12,8 @@ GATE, LEAST_POINTS, YAWS, UNDISTORT_STEPS = 8.0, 12, 360, 8
 def robust_points(points: DataFrame) -> DataFrame:
     """Points within ``GATE`` median absolute deviations of their cloud's median on every axis.
 
-    Clouds of (track_id, t_sec) that keep fewer than ``LEAST_POINTS`` are left out.
+    A cloud of (track_id, t_sec) that would keep fewer than ``LEAST_POINTS`` keeps
+    all of them; one that has fewer is left out.
     """
     keys = ["track_id", "t_sec"]
     k = [F.col(c).alias(f"k_{c}") for c in keys]
@@ -21,10 +22,13 @@ def robust_points(points: DataFrame) -> DataFrame:
     off = points.join(middle, same).drop("k_track_id", "k_t_sec")
     spread = off.groupBy(*k).agg(*[F.median(F.abs(F.col(c) - F.col(f"m_{c}"))).alias(f"d_{c}") for c in "xyz"])
     met = off.join(spread, same).drop("k_track_id", "k_t_sec")
+    inside = F.lit(True)
     for c in "xyz":
-        met = met.filter(F.abs(F.col(c) - F.col(f"m_{c}")) <= GATE * F.greatest(F.col(f"d_{c}"), F.lit(1e-6)))
-    enough = met.groupBy(*k).agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_POINTS)
-    return met.join(enough, same).select("track_id", "t_sec", "x", "y", "z")
+        inside = inside & (F.abs(F.col(c) - F.col(f"m_{c}")) <= GATE * (F.col(f"d_{c}") + 1e-9))
+    met = met.withColumn("inside", inside)
+    sizes = met.groupBy(*k).agg(F.count("*").alias("n"), F.count_if("inside").alias("n_inside")).filter(F.col("n") >= LEAST_POINTS)
+    kept = met.join(sizes, same).filter(F.col("inside") | (F.col("n_inside") < LEAST_POINTS))
+    return kept.select("track_id", "t_sec", "x", "y", "z")
 
 
 def box_fit(points: DataFrame) -> DataFrame:

@@ -28,11 +28,13 @@ ROBUST = """
 , p AS (SELECT CAST(floor(mission_id / 8) AS BIGINT) AS track_id, t_sec % 2 AS t_sec, cx AS x, cy AS y, cz AS z FROM geometry),
 m AS (SELECT *, median(x) OVER k AS mx, median(y) OVER k AS my, median(z) OVER k AS mz FROM p WINDOW k AS (PARTITION BY track_id, t_sec)),
 d AS (SELECT *, median(abs(x - mx)) OVER k AS dx, median(abs(y - my)) OVER k AS dy, median(abs(z - mz)) OVER k AS dz FROM m WINDOW k AS (PARTITION BY track_id, t_sec)),
-r AS (SELECT *, count(*) OVER (PARTITION BY track_id, t_sec) AS n FROM d WHERE abs(x - mx) <= 8 * greatest(dx, 1e-6) AND abs(y - my) <= 8 * greatest(dy, 1e-6) AND abs(z - mz) <= 8 * greatest(dz, 1e-6))"""
+i AS (SELECT *, abs(x - mx) <= 8 * (dx + 1e-9) AND abs(y - my) <= 8 * (dy + 1e-9) AND abs(z - mz) <= 8 * (dz + 1e-9) AS inside FROM d),
+s AS (SELECT *, count(*) OVER k AS n, count(*) FILTER (WHERE inside) OVER k AS n_inside FROM i WINDOW k AS (PARTITION BY track_id, t_sec)),
+r AS (SELECT * FROM s WHERE n >= 12 AND (inside OR n_inside < 12))"""
 
 
 @query("a13_box_fit", ["geometry"], ROBUST + """
-, u AS (SELECT track_id, t_sec, z, s.step, x * cos(radians(s.step / 2e0)) + y * sin(radians(s.step / 2e0)) AS u, y * cos(radians(s.step / 2e0)) - x * sin(radians(s.step / 2e0)) AS v FROM r, (SELECT unnest(range(360)) AS step) s WHERE n >= 12),
+, u AS (SELECT track_id, t_sec, z, s.step, x * cos(radians(s.step / 2e0)) + y * sin(radians(s.step / 2e0)) AS u, y * cos(radians(s.step / 2e0)) - x * sin(radians(s.step / 2e0)) AS v FROM r, (SELECT unnest(range(360)) AS step) s),
 b AS (SELECT track_id, t_sec, step, round((max(u) - min(u)) * (max(v) - min(v)), 9) AS area, max(u) - min(u) AS length, max(v) - min(v) AS width, max(z) - min(z) AS height, count(*) AS n FROM u GROUP BY ALL),
 o AS (SELECT *, row_number() OVER (PARTITION BY track_id, t_sec ORDER BY area, step) AS place FROM b)
 SELECT track_id, t_sec, step / 2e0 AS yaw, round(length, 6) AS length, round(width, 6) AS width, round(height, 6) AS height, n FROM o WHERE place = 1""")
