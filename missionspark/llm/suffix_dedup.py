@@ -215,6 +215,7 @@ def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     matches = alike.unionByName(neighbours(distinct, ["prefix_hash", "after", "before"], prefix, min_words)).unionByName(neighbours(distinct, ["prefix_hash", "before", "after"], prefix, min_words))
     # The matches of one suffix overlap in it: their union reaches furthest on both sides.
     matches = matches.groupBy(F.col("ctx").alias("of")).agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("other").alias("other"))
+    matches = materialise(matches, "suffix-spans")  # as above: surroundings that many rows hold
     marks = around.select("doc_id", "rid", "pos", "ctx").join(matches, F.col("ctx") == F.col("of")).select("doc_id", "rid", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"), "other").distinct()
     order = Window.partitionBy("rid").orderBy("start", "end")
     islands = (
