@@ -14,8 +14,8 @@ the blocks of its remaining bits; after three cuts at most 2**19 fingerprints
 can share a key, which bounds every tree.
 
 Sixty-four bits tell a Jaccard similarity of 0.8 badly (pairs differ in 4 to 17
-bits), so for a similarity the fingerprint has 512 bits and the shards come
-from sampled bits; see :func:`similar_links`.  A shard returns one edge for each
+bits), so for a similarity the fingerprint has 512 bits of the distinct shingles and
+the shards come from sampled bits; see :func:`similar_links`.  A shard returns one edge for each
 fingerprint that found a neighbour, not the pairs, and the edges' connected
 components are the groups.
 
@@ -223,7 +223,7 @@ def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, lanes
 
     def batches(it):
         for b in it:
-            fps = [wide_majority(shingle_hashes(t, words), lanes) for t in b.column(1).to_pylist()]
+            fps = [wide_majority(np.unique(shingle_hashes(t, words)), lanes) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
@@ -244,7 +244,7 @@ def similar_links(fps: DataFrame, similarity: float, lanes: int, recall: float =
     higher chance.  A shard that is still too large is dealt again by new bits.
     """
     width, same = BITS * lanes, agreement(similarity)
-    radius = math.ceil(width * (1 - same) + 0.5 * math.sqrt(width * same * (1 - same)))
+    radius = math.ceil(width * (1 - same) + 1.0 * math.sqrt(width * same * (1 - same)))
 
     def keyed(rows: DataFrame, count: int, level: int) -> DataFrame:
         bits = min(48, max(6, round(math.log2(max(2, count))) - 4))
