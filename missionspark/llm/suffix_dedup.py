@@ -4,15 +4,17 @@ Only suffixes that start at a minimiser are kept: of every ``WINDOW`` successive
 shingles of ``SHINGLE`` words the one with the least hash.  Any passage of
 ``min_words`` words holds one in its first ``WINDOW`` positions, so two copies
 share a retained suffix of at least ``min_words - WINDOW + 1`` words (its
-prefix).  Suffixes whose prefix occurs in one document alone are dropped; the
-others carry the words around them, as three-byte hashes, up to what a passage
-can need.  They are sorted by range, compared with their neighbours in suffix
-order, and each match is extended to the left and to the right; a second order,
-by the words to the left, finds the neighbours that share most there.  Suffixes
-with equal surroundings count once, however many rows hold them.
+prefix).  Suffixes whose prefix occurs in one document alone are dropped.
 
-A match of at least ``min_words`` marks the words of all rows that hold it;
-overlapping marks of a document are one span.
+Each window of ``min_words`` words belongs to one minimiser, the same one at the
+same distance wherever its words stand.  The others carry the hashes of their
+windows (their run); equal runs count once, however many rows hold them.  A
+window that two documents hold marks its words in every run that has it, so each
+occurrence is found, whatever stands around it and however often one document
+repeats it.  The windows of a run overlap in its prefix: its first and its last
+marked window bound one mark.
+
+Overlapping marks of a document are one span.
 
 Defined cases: null counts as empty; a text of fewer than ``min_words`` words
 has no span; rows that repeat id and text are one document; a passage that
@@ -33,7 +35,6 @@ from .storage import materialise
 #: Words of a hashed shingle (a power of two), and shingles of which one stays.
 SHINGLE, WINDOW = 8, 32
 P = 0x9E3779B97F4A7C15
-WIDTH = 3  # bytes of a word in the surroundings
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -58,29 +59,26 @@ def run_hash(h: np.ndarray, length: int) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def minimisers(h: np.ndarray) -> np.ndarray:
-    """Positions of the least shingle of each window, leftmost of equals."""
-    if len(h) < SHINGLE:
+def owners(h: np.ndarray, min_words: int) -> np.ndarray:
+    """The minimiser of each window of ``min_words`` words: its least shingle, leftmost of equals."""
+    if len(h) < min_words:
         return np.empty(0, np.int64)
-    s = run_hash(h, SHINGLE)
-    if len(s) <= WINDOW:
-        return np.array([int(s.argmin())])
-    at = np.lib.stride_tricks.sliding_window_view(s, WINDOW).argmin(axis=1)
-    return np.unique(at + np.arange(len(at)))
+    n = len(h) - min_words + 1
+    at = np.lib.stride_tricks.sliding_window_view(run_hash(h, SHINGLE), WINDOW)[:n].argmin(axis=1)
+    return at + np.arange(n)
 
 
-def anchors(docs: DataFrame, prefix: int) -> DataFrame:
-    """(rid, pos, prefix_hash) of every retained suffix that holds a prefix."""
+def anchors(docs: DataFrame, prefix: int, min_words: int) -> DataFrame:
+    """(rid, pos, prefix_hash) of every suffix that owns a window."""
 
     def batches(it):
         for b in it:
             rid, pos, key = [], [], []
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 h = word_hashes(t)
-                if len(h) < prefix + WINDOW - 1:
+                if len(h) < min_words:
                     continue
-                at = minimisers(h)
-                at = at[at + prefix <= len(h)]
+                at = np.unique(owners(h, min_words))
                 pos.append(at)
                 key.append(run_hash(h, prefix)[at])
                 rid.append(np.full(len(at), r, np.int64))
@@ -90,133 +88,52 @@ def anchors(docs: DataFrame, prefix: int) -> DataFrame:
     return docs.select("rid", "text").mapInArrow(batches, "rid long, pos int, prefix_hash long")
 
 
-def surroundings(docs: DataFrame, places: DataFrame, prefix: int, min_words: int) -> DataFrame:
-    """(doc_id, rid, pos, prefix_hash, after, before): words behind the prefix and, backwards, before it."""
-    right, left = min_words - prefix, WINDOW - 1
+def runs(docs: DataFrame, places: DataFrame, min_words: int) -> DataFrame:
+    """(doc_id, rid, start, ctx, windows): hashes of the successive windows of each place, from the word ``start`` on."""
 
     def batches(it):
         for b in it:
-            out = [[], [], [], [], [], []]
+            ids, rid, start, ctx, ends, parts = [], [], [], [], [0], []
             for d, r, t, at in zip(*(c.to_pylist() for c in b.columns)):
                 h = word_hashes(t)
-                key = run_hash(h, prefix)
-                small = (h >> np.uint64(64 - 8 * WIDTH)).astype(">u4").view(np.uint8).reshape(-1, 4)[:, 4 - WIDTH :]
-                ahead, back = small.tobytes(), small[::-1].tobytes()
-                for p in sorted(at):
-                    a, z = (p + prefix) * WIDTH, (len(h) - p) * WIDTH
-                    for x, v in zip(out, (d, r, p, int(key[p].view(np.int64)), ahead[a : a + right * WIDTH], back[z : z + left * WIDTH])):
-                        x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], b.column(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary()), pa.array(out[5], pa.binary())], ["doc_id", "rid", "pos", "prefix_hash", "after", "before"])
+                own, windows = owners(h, min_words), run_hash(h, min_words)
+                at = np.array(sorted(at))
+                for x, y in zip(np.searchsorted(own, at, "left").tolist(), np.searchsorted(own, at, "right").tolist()):
+                    part = windows[x:y]
+                    for k, v in zip((ids, rid, start, ctx, ends, parts), (d, r, x, xxhash.xxh64_intdigest(part.tobytes()), ends[-1] + y - x, part)):
+                        k.append(v)
+            flat = np.concatenate(parts) if parts else np.empty(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, b.column(0).type), pa.array(rid, pa.int64()), pa.array(start, pa.int32()), pa.array(np.array(ctx, np.uint64).view(np.int64)), lists], ["doc_id", "rid", "start", "ctx", "windows"])
 
     met = docs.join(places.withColumnRenamed("rid", "at_rid"), F.col("rid") == F.col("at_rid")).select("doc_id", "rid", "text", "at")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return met.mapInArrow(batches, f"doc_id {kind}, rid long, pos int, prefix_hash long, after binary, before binary")
-
-
-def common(a: bytes, b: bytes) -> int:
-    """Equal words at the start of two runs of hashes."""
-    n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n // WIDTH
-    low, high = 0, n // WIDTH  # the first difference, by halving
-    while low < high:
-        mid = (low + high + 1) // 2
-        if a[: mid * WIDTH] == b[: mid * WIDTH]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
-
-
-ROW = "prefix_hash long, after binary, before binary, ctx long, low long, high long, first_id {kind}"
-MATCH = "ctx long, left int, right int, other {kind}, edge struct<part:int,last:boolean,{row}>"
-
-
-def neighbours(distinct: DataFrame, order: list[str], prefix: int, min_words: int) -> DataFrame:
-    """(ctx, left, right, other) of matches between neighbours in this order.
-
-    The rows are sorted by range, so equal prefixes may lie in several tasks.
-    Each task also hands on its first and its last row; these, two a task, are
-    compared in a second step.
-    """
-    kind = distinct.schema["first_id"].dataType.simpleString()
-    names = ["prefix_hash", "after", "before", "ctx", "low", "high", "first_id"]
-
-    def compare(x: tuple, y: tuple) -> list[tuple]:
-        if x[0] != y[0] or (x[4] == x[5] == y[4] == y[5]):  # another prefix, or one document alone
-            return []
-        left, right = common(x[2], y[2]), prefix + common(x[1], y[1])
-        return [(x[3], left, right, y[6]), (y[3], left, right, x[6])] if left + right >= min_words else []
-
-    def schema(b: pa.RecordBatch) -> pa.StructType:
-        return pa.struct([("part", pa.int32()), ("last", pa.bool_()), *[(n, b.column(k).type) for k, n in enumerate(names)]])
-
-    def emit(found: list[tuple], edges: list[dict], b: pa.RecordBatch) -> pa.RecordBatch:
-        blank = [None] * len(edges)
-        columns = list(zip(*found)) or [(), (), (), ()]
-        kinds = [pa.int64(), pa.int32(), pa.int32(), b.column(6).type]
-        return pa.RecordBatch.from_arrays([*[pa.array([*c, *blank], k) for c, k in zip(columns, kinds)], pa.array([None] * len(found) + edges, schema(b))], ["ctx", "left", "right", "other", "edge"])
-
-    def batches(it):
-        from pyspark import TaskContext
-
-        part, last, b = TaskContext.get().partitionId(), None, None
-        for b in it:
-            found, edges = [], []
-            for row in zip(*(c.to_pylist() for c in b.columns)):
-                if last is None:
-                    edges.append({"part": part, "last": False, **dict(zip(names, row))})
-                else:
-                    found += compare(last, row)
-                last = row
-            yield emit(found, edges, b)
-        if last is not None:
-            yield emit([], [{"part": part, "last": True, **dict(zip(names, last))}], b)
-
-    row = ", ".join(f"{n}:{distinct.schema[n].dataType.simpleString()}" for n in names)
-    found = distinct.select(*names).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(batches, f"ctx long, left int, right int, other {kind}, edge struct<part:int,last:boolean,{row}>")
-    found = materialise(found, "suffix-matches")
-    # Two rows a task: the last row of one and the first of the next that has rows.
-    step = Window.partitionBy(F.lit(0)).orderBy("edge.part", "edge.last")
-    ends = found.filter("edge is not null").select("edge", F.lead("edge").over(step).alias("then")).filter("edge.last and then is not null")
-
-    def across(it):
-        for b in it:
-            found = []
-            for e, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                found += compare(tuple(e[n] for n in names), tuple(t[n] for n in names))
-            columns = list(zip(*found)) or [(), (), (), ()]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), b.column(0).type.field("first_id").type]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["ctx", "left", "right", "other"])
-
-    return found.filter("edge is null").drop("edge").unionByName(ends.mapInArrow(across, f"ctx long, left int, right int, other {kind}"))
+    return met.mapInArrow(batches, f"doc_id {kind}, rid long, start int, ctx long, windows array<long>")
 
 
 def repeated_passages(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50) -> DataFrame:
     """One row for each passage of a document that other documents repeat.
 
     doc_id, start_word, end_word (exclusive), n_words, first_doc_id: the least
-    id among this and the compared documents that hold a part of the passage.
+    id among the documents that hold a part of the passage.
     """
     if min_words < WINDOW + SHINGLE:
         raise ValueError(f"a passage needs {WINDOW + SHINGLE} words at least")
     prefix = min_words - WINDOW + 1
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    all_anchors = materialise(anchors(rows, prefix), "suffix-anchors")
+    all_anchors = materialise(anchors(rows, prefix, min_words), "suffix-anchors")
     shared = all_anchors.groupBy(F.col("prefix_hash").alias("key")).agg(F.min("rid").alias("low"), F.max("rid").alias("high")).filter("low <> high").select("key")
     # Written first: a join that reuses the grouping's shuffle couldn't split a prefix that a third of the rows hold.
     shared = materialise(shared, "suffix-shared")
     places = all_anchors.join(shared, F.col("prefix_hash") == F.col("key")).groupBy("rid").agg(F.collect_set("pos").alias("at"))
-    around = materialise(surroundings(rows, places, prefix, min_words).withColumn("ctx", F.xxhash64("prefix_hash", "after", "before")), "suffix-surroundings")
-    distinct = materialise(
-        around.groupBy("prefix_hash", "after", "before", "ctx").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min("doc_id").alias("first_id")), "suffix-distinct"
-    )
-    alike = distinct.filter("low <> high").select("ctx", F.floor(F.octet_length("before") / WIDTH).cast("int").alias("left"), (F.lit(prefix) + F.floor(F.octet_length("after") / WIDTH)).cast("int").alias("right"), F.col("first_id").alias("other")).filter(F.col("left") + F.col("right") >= min_words)
-    matches = alike.unionByName(neighbours(distinct, ["prefix_hash", "after", "before"], prefix, min_words)).unionByName(neighbours(distinct, ["prefix_hash", "before", "after"], prefix, min_words))
-    # The matches of one suffix overlap in it: their union reaches furthest on both sides.
-    matches = matches.groupBy(F.col("ctx").alias("of")).agg(F.max("left").alias("left"), F.max("right").alias("right"), F.min("other").alias("other"))
-    matches = materialise(matches, "suffix-spans")  # as above: surroundings that many rows hold
-    marks = around.select("doc_id", "rid", "pos", "ctx").join(matches, F.col("ctx") == F.col("of")).select("doc_id", "rid", (F.col("pos") - F.col("left")).alias("start"), (F.col("pos") + F.col("right")).alias("end"), "other").distinct()
+    around = materialise(runs(rows, places, min_words), "suffix-runs")
+    distinct = materialise(around.groupBy("ctx", "windows").agg(F.min("rid").alias("low"), F.max("rid").alias("high"), F.min("doc_id").alias("first_id")), "suffix-distinct")
+    windows = distinct.select("ctx", "low", "high", "first_id", F.posexplode("windows").alias("k", "window"))
+    held = windows.groupBy(F.col("window").alias("held")).agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("first_id").alias("other")).filter("low <> high").select("held", "other")
+    held = materialise(held, "suffix-windows")  # as above: a window that many runs hold
+    matches = windows.select("ctx", "k", "window").join(held, F.col("window") == F.col("held")).groupBy(F.col("ctx").alias("of")).agg(F.min("k").alias("first"), F.max("k").alias("last"), F.min("other").alias("other"))
+    matches = materialise(matches, "suffix-spans")  # as above: a run that many rows hold
+    marks = around.select("doc_id", "rid", F.col("start").alias("at"), "ctx").join(matches, F.col("ctx") == F.col("of")).select("doc_id", "rid", (F.col("at") + F.col("first")).alias("start"), (F.col("at") + F.col("last") + min_words).alias("end"), "other").distinct()
     order = Window.partitionBy("rid").orderBy("start", "end")
     islands = (
         marks.withColumn("reach", F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)))

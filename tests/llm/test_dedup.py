@@ -212,6 +212,33 @@ def test_passages_against_brute_force(spark):
     assert all(r.first_doc_id <= r.doc_id and r.first_doc_id in range(12) for r in out if r.doc_id in range(12))
 
 
+def marked(spark, texts):
+    got = {i: set() for i in texts}
+    for r in suffix_dedup.repeated_passages(frame(spark, list(texts.items())).repartition(3)).collect():
+        got[r.doc_id] |= set(range(r.start_word, r.end_word))
+    return got
+
+
+def test_passages_that_one_document_repeats(spark):
+    texts = {}
+    for g in range(4):
+        p = words(10 * g, 50 + 15 * g)
+        texts[2 * g] = " ".join(f"{words(1000 + 100 * g + k, 40)} {p}" for k in range(10)) + " " + words(900 + g, 40)
+        texts[2 * g + 1] = f"{words(700 + g, 60)} {p} {words(800 + g, 60)}"
+    got = marked(spark, texts)
+    assert got == brute_marks(texts) and all(len(got[2 * g]) >= 10 * (50 + 15 * g) for g in range(4))
+
+
+def test_passages_longer_on_each_side_elsewhere(spark):
+    texts = {}
+    for g in range(20):
+        left, core, right = words(10 * g, 40).split(), words(10 * g + 1, 33).split(), words(10 * g + 2, 40).split()
+        for k, (a, b) in enumerate([(40, 40), (9, 8), (16, 0), (0, 16), (14, 2), (2, 14)]):  # all but the second share under 50 words with the first
+            texts[10 * g + k] = " ".join([words(5000 + 100 * g + k, 60), *left[40 - a :], *core, *right[:b], words(9000 + 100 * g + k, 60)])
+    got = marked(spark, texts)
+    assert got == brute_marks(texts) and all(got[10 * g] and got[10 * g + 1] for g in range(20))
+
+
 def test_passages_odd_rows(spark):
     p = words(1, 80)
     docs = frame(spark, [(1, p), (1, p), (None, p), (2, words(2, 80))]).withColumn("pos", F.lit(1)).withColumn("rid", F.lit(2))
