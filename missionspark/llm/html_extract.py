@@ -2,11 +2,13 @@
 
 The standard library's streaming parser is read once; a line is the text inside
 one block element, with the number of tags met in it.  The ratio of text to
-tags of the lines is smoothed by a Gaussian, lines above one standard deviation
-seed clusters, and the region from the first to the last line of the heaviest
-cluster is the content, with the other lines of the same containers around it.
-A page that marks its article (``article``, ``main``
-or their roles) names the region itself.  Menus, headers, footers, sidebars,
+tags of the lines is smoothed by a Gaussian, and lines above one standard
+deviation seed clusters.  Each cluster counts, with the other lines of its
+containers at its edges and what lies between two clusters of one container.
+Where a page marks articles (``article``, ``main`` or their roles) and they hold
+at least half of the clusters' text, their lines are the content, siblings
+included; else the clusters are, with the marked articles that they touch.
+Menus, headers, footers, sidebars,
 notices, adverts, forms, scripts, styles and reader comments are left out
 wherever they stand, by element, role and words of class and id.
 
@@ -57,7 +59,8 @@ class Lines(HTMLParser):
         self.tags = 0
         self.skip, self.article, self.articles = False, 0, 0
         self.containers: list[int] = []  # open containers, by number
-        self.opened = 0
+        self.opened, self.bodies = 0, {0}
+        self.last: dict[int, int] = {}  # the last container opened inside a closed one
 
     def end_line(self):
         if self.parts:
@@ -99,6 +102,8 @@ class Lines(HTMLParser):
         if tag in CONTAINER:
             self.opened += 1
             self.containers.append(self.opened)
+            if tag == "body":
+                self.bodies.add(self.opened)
         if not self.skip:
             self.skip = self.outside(tag, attrs)
             if not self.skip and not self.article and (tag in ("article", "main") or ("role", "main") in attrs or ("role", "article") in attrs):
@@ -117,7 +122,7 @@ class Lines(HTMLParser):
         self.skip, self.article = self.stack[at][1], self.stack[at][2]
         for name, _, _ in self.stack[at:]:
             if name in CONTAINER:
-                self.containers.pop()
+                self.last[self.containers.pop()] = self.opened
         del self.stack[at:]
 
     def handle_endtag(self, tag):
@@ -153,14 +158,14 @@ def smoothed(ratios: np.ndarray, width: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
-def content_region(lines: list[tuple[str, int, int, int]], width: float = 1.0) -> tuple[int, int]:
-    """(first, end) of the region that threshold clustering selects."""
+def content_lines(parser: Lines, width: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+    """Which lines threshold clustering seeds, and which it selects with their surroundings."""
+    lines = parser.lines
     ratios = np.array([len(t) / max(1, tags) for t, tags, _, _ in lines])
-    smooth = smoothed(ratios, width)
-    over = smooth >= ratios.std()
-    if not over.any():
-        return 0, len(lines)
-    edges = np.flatnonzero(np.diff(np.r_[False, over, False].astype(int)))
+    seeds = smoothed(ratios, width) >= ratios.std()
+    if not seeds.any():
+        return np.ones(len(lines), bool), np.ones(len(lines), bool)
+    edges = np.flatnonzero(np.diff(np.r_[False, seeds, False].astype(int)))
     clusters = [[a, z] for a, z in zip(edges[::2].tolist(), edges[1::2].tolist())]
     joined = [clusters[0]]
     for a, z in clusters[1:]:  # short lines between long ones belong to the text
@@ -168,13 +173,22 @@ def content_region(lines: list[tuple[str, int, int, int]], width: float = 1.0) -
             joined[-1][1] = z
         else:
             joined.append([a, z])
-    first, end = max(joined, key=lambda c: sum(len(line[0]) for line in lines[c[0] : c[1]]))
-    inside = {line[3] for line in lines[first:end]}
-    while first and lines[first - 1][3] in inside:  # titles and lists at the edges
-        first -= 1
-    while end < len(lines) and lines[end][3] in inside:
-        end += 1
-    return first, end
+    chosen = np.zeros(len(lines), bool)
+    before, end = set(), 0
+    for first, stop in joined:
+        inside = {line[3] for line in lines[first:stop]}
+        shared = before & inside - parser.bodies
+        gap = lines[end:first]
+        if shared and all(any(c <= line[3] <= parser.last.get(c, parser.opened) for c in shared) for line in gap):
+            first = end
+        while first > end and lines[first - 1][3] in inside:  # titles and lists at the edges
+            first -= 1
+        end = stop
+        while end < len(lines) and not seeds[end] and lines[end][3] in inside:
+            end += 1
+        chosen[first:end] = True
+        before = inside
+    return seeds, chosen
 
 
 def main_text(html: str | None, width: float = 1.0) -> str:
@@ -187,15 +201,14 @@ def main_text(html: str | None, width: float = 1.0) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    sizes: dict[int, int] = {}
-    for text, _, article, _ in lines:
-        if article:
-            sizes[article] = sizes.get(article, 0) + len(text)
-    if sizes:
-        chosen = max(sizes, key=lambda a: (sizes[a], -a))
-        return "\n\n".join(line[0] for line in lines if line[2] == chosen)
-    first, end = content_region(lines, width)
-    return "\n\n".join(line[0] for line in lines[first:end])
+    seeds, chosen = content_lines(parser, width)
+    article = np.array([line[2] for line in lines])
+    size = np.array([len(line[0]) for line in lines])
+    if 2 * size[seeds & (article > 0)].sum() >= size[seeds].sum():
+        chosen = article > 0
+    else:
+        chosen |= np.isin(article, article[seeds & (article > 0)])
+    return "\n\n".join(line[0] for line, take in zip(lines, chosen.tolist()) if take)
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", width: float = 1.0) -> DataFrame:

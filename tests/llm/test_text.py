@@ -73,6 +73,20 @@ def test_region_without_an_article():
     assert html_extract.main_text(page).split("\n\n") == ["T", (words * 4).strip(), (words * 5).strip(), "short"]
 
 
+def test_every_article_and_cluster_stays():
+    words = "many words of running text stand here in one line, "
+    f, p, q = html_extract.main_text, (words * 4).strip(), (words * 6).strip()
+    assert f(f'<article><p>{q}</p></article><article><p>{p}</p></article><article class="comment"><p>{p}</p></article>') == f"{q}\n\n{p}"
+    cells = "<table>" + "<tr><td><a>1</a></td><td><a>2</a></td></tr>" * 4 + "</table>"
+    links = '<div><a href="1">x</a><a href="2">y</a></div>' * 6
+    page = f"{links}<div><p>{q}</p><p>{q}</p></div>{cells}<div><p>{p}</p><p>{p}</p></div>{links}"
+    assert [b for b in f(page).split("\n\n") if len(b) > 2] == [q, q, p, p]  # a table parts two containers
+    page = f"{links}<div><p>{q}</p>{cells}<p>{p}</p></div>{links}"
+    assert [b for b in f(page).split("\n\n") if b != "xy"] == [q, *["1", "2"] * 4, p]  # a table of the article; smoothing may take a line beside
+    page = f"{links}<div><p>{q}</p><p>{q}</p></div>{links}<article><a>a</a><a>teaser</a></article>{links}"
+    assert [b for b in f(page).split("\n\n") if b != "xy"] == [q, q]  # the ratio tells that the mark isn't the text
+
+
 def test_extract_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     import html
