@@ -234,6 +234,15 @@ def j15(t):
     return J.subtitles(t("frames"), segments, 0.5)
 
 
+@query("j15_whole_subtitles", ["frames"], """
+, s AS (SELECT CAST(conv_id % 25 AS BIGINT) AS mission_id, conv_id * 3e0 + turn AS start_sec, conv_id * 3e0 + turn + 0.8e0 AS end_sec, text FROM conversations)
+SELECT f.frame_id, string_agg(s.text, ' ' ORDER BY s.start_sec, s.text) AS subtitle FROM frames f LEFT JOIN s ON f.mission_id = s.mission_id AND f.t_sec >= s.start_sec - 0.5 AND f.t_sec <= s.end_sec + 0.5 GROUP BY f.frame_id""")
+def j15_whole(t):
+    at = F.col("conv_id") * F.lit(3.0) + F.col("turn")
+    segments = t.raw("conversations").select((F.col("conv_id") % 25).alias("mission_id"), at.alias("start_sec"), (at + 0.8).alias("end_sec"), "text")
+    return J.subtitles(t("frames"), segments, 0.5)
+
+
 @query("j16_label_masks", ["tracks", "truth"], f"""
 , c AS (SELECT m.mission_id, m.gt_id, m.t_sec, round({iou('m', 'd')}, 9) AS v, d.label FROM truth m JOIN tracks d ON m.mission_id = d.mission_id AND m.t_sec = d.t_sec),
 b AS (SELECT mission_id, gt_id, t_sec, max(v) AS v, arg_max(label, (v, label)) AS label FROM c GROUP BY ALL)

@@ -26,3 +26,10 @@ def test_entry(spark, sf_dir):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_subtitles_are_whole_texts(spark, sf_dir):
+    texts = {r.text for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("text").collect() if r.text}
+    found = [r.subtitle for r in entry.queries()["j15_whole_subtitles"](spark, sf_dir).collect() if r.subtitle]
+    assert found and all(any(s.startswith(x) for x in texts) and any(s.endswith(x) for x in texts) for s in found)
+    assert max(map(len, found)) > 100
