@@ -282,6 +282,16 @@ def a12(t):
     return rows.select("track_id", "space", F.posexplode("prototype").alias("at", "x")).filter("at < 8").select("track_id", "space", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
 
 
+@query("a12_whole_prototypes", ["points"], """
+, n AS (SELECT mission_id, robot_id, max(t_sec) AS last FROM points GROUP BY ALL),
+w AS (SELECT mission_id, robot_id, exp((t_sec - last) / 2e0) AS weight, embedding FROM points JOIN n USING (mission_id, robot_id)),
+u AS (SELECT mission_id, robot_id, weight, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM w)
+SELECT mission_id AS track_id, robot_id AS space, CAST(dim AS BIGINT) AS dim, round(sum(weight * CAST(x AS DOUBLE)) / sum(weight), 5) AS x FROM u GROUP BY mission_id, robot_id, dim""")
+def a12_whole(t):
+    rows = A.prototypes(t("points").select(F.col("mission_id").alias("track_id"), F.col("robot_id").alias("space"), "t_sec", F.col("embedding").alias("vector")))
+    return rows.select("track_id", "space", F.posexplode("prototype").alias("at", "x")).select("track_id", "space", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
+
+
 @query("k1_vector_topk", ["points"], """
 , s AS (SELECT q.id AS query_id, p.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 9) AS score FROM points q JOIN points p ON q.id <> p.id AND p.type = 'frame' WHERE q.id % 20 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s)

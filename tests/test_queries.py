@@ -33,3 +33,9 @@ def test_subtitles_are_whole_texts(spark, sf_dir):
     found = [r.subtitle for r in entry.queries()["j15_whole_subtitles"](spark, sf_dir).collect() if r.subtitle]
     assert found and all(any(s.startswith(x) for x in texts) and any(s.endswith(x) for x in texts) for s in found)
     assert max(map(len, found)) > 100
+
+
+def test_prototypes_have_all_dimensions(spark, sf_dir):
+    width = len(spark.read.parquet(f"{sf_dir}/embeddings.parquet").first()["embedding"])
+    found = entry.queries()["a12_whole_prototypes"](spark, sf_dir).groupBy("track_id", "space").count().collect()
+    assert width > 8 and found and {r["count"] for r in found} == {width}
