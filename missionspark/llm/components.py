@@ -2,8 +2,8 @@
 
 The alternating large-star and small-star rounds of the MapReduce literature:
 each round points every node at a smaller neighbour, and the edges end as one
-star for each component.  Minima are aggregated before the shuffle, and a hub
-with many neighbours is an ordinary skewed join that Spark splits.
+star for each component.  Minima are aggregated before the shuffle and written
+first, so that a hub with many neighbours is a skewed join that Spark can split.
 """
 
 from __future__ import annotations
@@ -11,12 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import discard, new_path
+from .storage import discard, materialise, new_path
 
 
 def _star(pairs: DataFrame, large: bool) -> DataFrame:
     """Rows (u, v), v a neighbour of u; large: the larger v go to u's minimum."""
-    least = pairs.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")).withColumnRenamed("u", "at")
+    least = materialise(pairs.groupBy(F.col("u").alias("at")).agg(F.least(F.min("v"), F.first("u")).alias("m")), "components-least")
     joined = pairs.join(least, F.col("u") == F.col("at"))
     if large:
         return joined.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()

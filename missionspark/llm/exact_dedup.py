@@ -90,7 +90,8 @@ def strangers(docs: DataFrame, state: DataFrame, doc_id: str = "doc_id", text: s
     rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("bytes")).withColumn("digest", F.sha2("bytes", 256))
     met = rows.join(hits, F.col("digest") == F.col("hit")).drop("hit")
     met = materialise(met, "dedup-hits")
-    stays = met.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("of")).agg(F.min("bytes").alias("kept_bytes"))
+    # Written first: a join that reuses the grouping's shuffle couldn't split a text that a third of the rows hold.
+    stays = materialise(met.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("of")).agg(F.min("bytes").alias("kept_bytes")), "dedup-stays")
     others = met.join(stays, F.col("digest") == F.col("of")).filter(F.col("bytes") != F.col("kept_bytes"))
     return others.select("doc_id", "digest", F.sha2("bytes", 512).alias("own"))
 

@@ -14,10 +14,10 @@ the blocks of its remaining bits; after three cuts at most 2**19 fingerprints
 can share a key, which bounds every tree.
 
 Sixty-four bits tell a Jaccard similarity of 0.8 badly (pairs differ in 4 to 17
-bits), so for a similarity the fingerprint has 512 bits of the distinct shingles and
-the shards come from sampled bits; see :func:`similar_links`.  A shard returns one edge for each
-fingerprint that found a neighbour, not the pairs, and the edges' connected
-components are the groups.
+bits), so for a similarity the fingerprint has 256 bits of the distinct shingles,
+the shards come from sampled bits, and what links there is compared exactly, by
+shingle sets; see :func:`similar_links`.  Both ways give edges that join the
+groups and not all pairs; the edges' connected components are the groups.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
 zero and is linked like any other; a text of fewer words than a shingle has one
@@ -28,6 +28,8 @@ empty result.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 
 import numpy as np
@@ -55,15 +57,18 @@ def shingle_hashes(text: str | None, words: int = 3, seed: int = 42) -> np.ndarr
     return np.array([digest(join(s), seed) for s in zip(*(tokens[k:] for k in range(words)))], np.uint64)
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The fingerprint: bits that over half of the hashes have."""
-    if not len(hashes):
-        return 0
+def bit_counts(hashes: np.ndarray) -> np.ndarray:
+    """How many hashes have each bit, from the highest bit on."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 1 << 14):
         block = hashes[at : at + (1 << 14)].astype(">u8")
         ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > len(hashes)).view(">u8")[0])
+    return ones
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint: bits that over half of the hashes have."""
+    return int(np.packbits(bit_counts(hashes) * 2 > len(hashes)).view(">u8")[0]) if len(hashes) else 0
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -164,7 +169,8 @@ def shards(fps: DataFrame, radius: int, shard_rows: int, cuts: int = 3) -> DataF
     done, rows = None, fps.select("fp")
     for level in range(1, cuts + 1):
         at = keyed(rows, level)
-        size = at.groupBy(F.col("key").alias("sized")).agg(F.count("*").alias("n")).filter("n > 1")
+        # Written first: a join that reuses the grouping's shuffle couldn't split a hot key.
+        size = materialise(at.groupBy(F.col("key").alias("sized")).agg(F.count("*").alias("n")).filter("n > 1"), "simhash-sizes")
         at = at.join(size, F.col("key") == F.col("sized")).drop("sized")
         if level < cuts:
             at = materialise(at, "simhash-shards")
@@ -206,7 +212,13 @@ def links(fps: DataFrame, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
 
 
 def wide_majority(hashes: np.ndarray, lanes: int) -> bytes:
-    """A fingerprint of ``64 * lanes`` bits: each lane mixes the hashes anew."""
+    """A fingerprint of ``64 * lanes`` bits: each lane mixes the hashes anew.
+
+    Where exactly half of the hashes have a bit the first one decides, so that a
+    bit is set with an even chance in texts of any length.
+    """
+    if not len(hashes):
+        return bytes(8 * lanes)
     odd = np.uint64(0x9E3779B97F4A7C15)
     found = []
     for lane in range(lanes):
@@ -214,116 +226,343 @@ def wide_majority(hashes: np.ndarray, lanes: int) -> bytes:
         mixed ^= mixed >> np.uint64(32)
         mixed *= odd
         mixed ^= mixed >> np.uint64(29)
-        found.append(majority(mixed).to_bytes(8, "big"))
+        twice = 2 * bit_counts(mixed)
+        found.append(np.packbits((twice > len(mixed)) | (twice == len(mixed)) & (bit_counts(mixed[:1]) > 0)).tobytes())
     return b"".join(found)
 
 
 def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, lanes: int) -> DataFrame:
-    """(doc_id, fp): the wide fingerprint as binary."""
+    """(doc_id, text_key, fp, n_shingles): the wide fingerprint of the distinct shingles as binary."""
 
     def batches(it):
         for b in it:
-            fps = [wide_majority(np.unique(shingle_hashes(t, words)), lanes) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.binary())], ["doc_id", "fp"])
+            sets = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([wide_majority(s, lanes) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32())], ["doc_id", "text_key", "fp", "n_shingles"]
+            )
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, fp binary")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    return rows.mapInArrow(batches, f"doc_id {kind}, text_key long, fp binary, n_shingles int")
+
+
+def set_chance(shared: int, own: int, hits: int) -> float:
+    """Chance of a bit that ``hits`` of the shared hashes have, over all values of the set's own hashes."""
+    return sum(math.comb(own, k) * (1.0 if 2 * (hits + k) > shared + own else 0.5 if 2 * (hits + k) == shared + own else 0.0) for k in range(own + 1)) / 2**own
 
 
-def agreement(similarity: float) -> float:
-    """Chance that one bit agrees for two shingle sets of this Jaccard similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def bit_difference(shared: int, a: int, b: int) -> float:
+    """Chance that one bit differs between two sets with ``shared`` shingles and ``a`` and ``b`` of their own."""
+    total = 0.0
+    for hits in range(shared + 1):
+        p, q = set_chance(shared, a, hits), set_chance(shared, b, hits)
+        total += math.comb(shared, hits) / 2**shared * (p * (1 - q) + q * (1 - p))
+    return total
 
 
-def similar_links(fps: DataFrame, similarity: float, lanes: int, recall: float = 0.98, shard_rows: int = 4096) -> DataFrame:
-    """Edges (u, v) between wide fingerprints of at least this similarity.
+@functools.cache
+def most_difference(similarity: float, least: int) -> float:
+    """The greatest :func:`bit_difference` of sets at the similarity of which one has ``least`` to 48 shingles.
 
-    A shard is a value of some sampled bits.  With more fingerprints a key takes
-    more bits, so that a shard keeps about sixteen strangers, and there are as
-    many keys as the recall asks for at the threshold; closer pairs meet with a
-    higher chance.  A shard that is still too large is dealt again by new bits.
+    Larger sets approach the angle between them, acos(2 s / (1 + s)) / pi, from above.
     """
-    width, same = BITS * lanes, agreement(similarity)
-    radius = math.ceil(width * (1 - same) + 1.0 * math.sqrt(width * same * (1 - same)))
-
-    def keyed(rows: DataFrame, count: int, level: int) -> DataFrame:
-        bits = min(48, max(6, round(math.log2(max(2, count))) - 4))
-        tables = math.ceil(math.log(1 - recall) / math.log(1 - same**bits))
-        rng = np.random.default_rng(level)
-        places = np.stack([rng.choice(width, bits, replace=False) for _ in range(tables)])
-        powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-
-        def batches(it):
-            for b in it:
-                fp = b.column(1).to_pylist()
-                if not fp:
-                    continue
-                on = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1)
-                keys = np.stack([(on[:, at].astype(np.uint64) * powers).sum(axis=1) for at in places], axis=1).view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["shard", "fp", "keys"])
-
-        wide = materialise(rows.mapInArrow(batches, "shard long, fp binary, keys array<long>"), "simhash-keys")
-        return wide.select(F.posexplode("keys").alias("table", "bits"), "shard", "fp").select(F.xxhash64("shard", "table", "bits").alias("key"), "fp")
+    found = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for n in range(least, 49):
+        for m in range(n, math.floor(n / similarity + 1e-9) + 1):
+            shared = math.ceil(similarity / (1 + similarity) * (n + m) - 1e-9)
+            if shared < n or shared == n < m:
+                found = max(found, bit_difference(shared, n - shared, m - shared))
+    return found
+
+
+#: Sets of fewer shingles than this differ in more bits at the same similarity, and take more keys.
+SMALL = 6
+
+
+def wide_keys(fps: DataFrame, similarity: float, lanes: int, recall: float) -> DataFrame:
+    """(fp, keys): the shards of each fingerprint, one for each sample of its bits.
+
+    With more fingerprints a key takes more bits, so that a shard keeps about
+    sixteen strangers, and there are as many keys as the recall asks for at the
+    threshold; closer pairs meet with a higher chance.
+    """
+    width, bits = BITS * lanes, min(48, max(6, round(math.log2(max(2, fps.count()))) - 4))
+    few, many = (math.ceil(math.log(1 - recall) / math.log(1 - (1 - most_difference(similarity, n)) ** bits)) for n in (SMALL, 1))
+    many = max(few, many)
+    rng = np.random.default_rng(0)
+    places = [rng.choice(width, bits, replace=False) for _ in range(many)]
+    powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
+    salts = np.arange(many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def batches(it):
-        key, values, us, vs = None, [], [], []
+        for b in it:
+            fp = b.column(0).to_pylist()
+            if not fp:
+                continue
+            on = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1)
+            keys = np.stack([(on[:, at].astype(np.uint64) * powers).sum(axis=1) for at in places], axis=1)
+            keys = (keys + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + salts  # the bits and the number of their sample
+            own = np.arange(many) < np.where(b.column(1).to_numpy() < SMALL, many, few)[:, None]
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own.sum(axis=1))].astype(np.int32)), pa.array(keys[own].view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["fp", "keys"])
 
-        def close():
-            if len(values) > 1:
-                for u, v in shard_edges(values, radius):
-                    us.append(u.to_bytes(width // 8, "big"))
-                    vs.append(v.to_bytes(width // 8, "big"))
+    return fps.select("fp", "n_shingles").mapInArrow(batches, "fp binary, keys array<long>")
+
+
+def value_of(fp: bytes) -> int:
+    return int.from_bytes(fp, "big")
+
+
+def sorted_groups(it, keys: int):
+    """Rows of sorted batches, one iterator for each run of equal first ``keys`` columns: (key, rows)."""
+    rows = (row for b in it for row in zip(*(c.to_pylist() for c in b.columns)))
+    return itertools.groupby(rows, key=lambda row: row[:keys])
 
-        def taken() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
-            us.clear()
-            vs.clear()
-            return out
 
+def pair_batches(pairs):
+    """Record batches (u, v) of at most 10,000 pairs of bytes."""
+    while taken := list(itertools.islice(pairs, 10_000)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*taken)], ["u", "v"])
+
+
+def cluster_edges(keys: DataFrame, radius: int, shard_rows: int) -> DataFrame:
+    """Edges (u, v) that join all fingerprints within the radius inside a shard.
+
+    A shard is a BK-tree.  A shard above ``shard_rows`` is joined whole, by its
+    least value: clusters may hold too much, but never too little.
+    """
+    keyed = keys.select(F.explode("keys").alias("key"), "fp")
+    # Written first: a join that reuses the grouping's shuffle couldn't split a hot key.
+    hot = keyed.groupBy(F.col("key").alias("hot_key")).agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter(F.col("n") > shard_rows)
+    hot = materialise(hot.drop("n"), "simhash-hot")
+    whole = keyed.join(hot, F.col("key") == F.col("hot_key")).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    cold = keyed.join(hot.select("hot_key"), F.col("key") == F.col("hot_key"), "left_anti") if not hot.isEmpty() else keyed
+
+    def batches(it):
+        def close(values, us, vs):
+            if len(values) > 1:
+                for u, v in shard_edges([value_of(x) for x in values], radius):
+                    us.append(u.to_bytes(width, "big"))
+                    vs.append(v.to_bytes(width, "big"))
+
+        key, values, width = None, [], 0
         for b in it:
-            keys, fps = b.column(0).to_numpy(), b.column(1)
-            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, int)
-            ends = np.r_[starts[1:], len(keys)] if len(keys) else starts
-            for a, z in zip(starts.tolist(), ends.tolist()):
+            keys, fps, us, vs = b.column(0).to_numpy(), b.column(1).to_pylist(), [], []
+            width = len(fps[0]) if fps else width
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist() if len(keys) else []
+            for a, z in zip(starts, [*starts[1:], len(keys)]):
                 if key is None or keys[a] != key:
-                    close()
+                    close(values, us, vs)
                     key, values = keys[a], []
-                if z - a > 1 or z == len(keys) or a == 0:  # else it is alone in its shard
-                    values += [int.from_bytes(f, "big") for f in fps.slice(a, z - a).to_pylist()]
-            yield taken()
-        close()
-        yield taken()
-
-    rows, count, done = fps.select(F.lit(0).cast("long").alias("shard"), "fp"), fps.count(), None
-    for level in range(3):
-        at = keyed(rows, count, level)
-        sizes = materialise(at.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows).withColumnRenamed("key", "shard"), "simhash-hot")
-        largest = sizes.agg(F.max("n")).first()[0] if level < 2 else None
-        cold = at if largest is None else at.join(sizes, F.col("key") == F.col("shard"), "left_anti")
-        done = cold if done is None else done.unionByName(cold)
-        if largest is None:
-            break
-        rows, count = at.join(sizes, F.col("key") == F.col("shard")).select("shard", "fp"), largest
-    return done.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(batches, "u binary, v binary").distinct()
+                values += fps[a:z]
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+        us, vs = [], []
+        close(values, us, vs)
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
+
+    found = cold.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(batches, "u binary, v binary")
+    return found.unionByName(whole).filter("u <> v").distinct()
+
+
+def shingle_sets(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
+    """(fp, shingles): the sorted shingle hashes of the first document of each fingerprint, as bytes."""
+    asked = distinct.select("fp", F.col("first.doc_id").alias("asked_id"), F.col("first.text_key").alias("asked_key"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
+    texts = rows.join(asked, (F.col("text_key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("fp", "text").dropDuplicates(["fp"])
+
+    def batches(it):
+        for b in it:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["fp", "shingles"])
+
+    return texts.mapInArrow(batches, "fp binary, shingles binary")
+
+
+class Verifier:
+    """Distinct texts in a BK-tree; links those within the radius whose shingle sets are similar.
+
+    Many candidates of a text are counted at once, on a table of shingle hashes
+    modulo its size: no count is too low, so those that stay below the
+    similarity there need no exact comparison.
+    """
+
+    TABLE, MANY = 1 << 20, 8
+
+    def __init__(self, radius: int, similarity: float):
+        self.radius, self.similarity = radius, similarity
+        self.tree, self.fps, self.sets, self.root = Tree(), [], [], []
+        self.starts, self.size, self.cells = [], 0, np.empty(1 << 10, np.uint32)
+        self.marks = None
+
+    def top(self, x: int) -> int:
+        while self.root[x] != x:
+            self.root[x] = self.root[self.root[x]]
+            x = self.root[x]
+        return x
+
+    def add(self, fp: bytes, shingles: bytes) -> None:
+        own = np.frombuffer(shingles, np.uint64)
+        self.tree.add(value_of(fp))
+        self.fps.append(fp)
+        self.sets.append(own)
+        self.root.append(len(self.root))
+        self.starts.append(self.size)
+        end = self.size + len(own) + 1
+        if end > len(self.cells):
+            self.cells = np.r_[self.cells, np.empty(max(end, len(self.cells)), np.uint32)]
+        self.cells[self.size : end - 1] = own % np.uint64(self.TABLE)
+        self.cells[end - 1] = self.TABLE  # never marked; no run of cells is empty
+        self.size = end
+
+    def join(self, a: int, b: int) -> None:
+        a, b = self.top(a), self.top(b)
+        self.root[max(a, b)] = min(a, b)
+
+    def similar(self, a: np.ndarray, b: np.ndarray) -> bool:
+        if len(a) > len(b):
+            a, b = b, a
+        if not len(a):
+            return not len(b)
+        if len(a) < self.similarity * len(b):
+            return False
+        shared = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+        return shared / (len(a) + len(b) - shared) >= self.similarity
+
+    def promising(self, own: np.ndarray, hits: list[int]) -> list[int]:
+        """The hits that share enough cells of the table."""
+        if self.marks is None:
+            self.marks = np.zeros(self.TABLE + 1, np.uint8)
+        cells = own % np.uint64(self.TABLE)
+        self.marks[cells] = 1
+        shared = np.add.reduceat(self.marks[self.cells[: self.size]], self.starts, dtype=np.int64)
+        self.marks[cells] = 0
+        hits = np.array(hits)
+        sizes = np.diff(np.r_[self.starts, self.size])[hits] - 1
+        return hits[shared[hits] >= self.similarity / (1 + self.similarity) * (sizes + len(own)) - 1e-6].tolist()
+
+    def links(self, fp: bytes, shingles: bytes, skip=()) -> list[int]:
+        """One similar text of each group; near ones are tried first, groups in ``skip`` are not."""
+        value, own, skip, found = value_of(fp), np.frombuffer(shingles, np.uint64), set(skip), []
+        values = self.tree.values
+        hits = self.tree.near(value, self.radius)
+        if len(hits) > 1:
+            hits.sort(key=lambda h: (values[h] ^ value).bit_count())
+        for part in (hits[: self.MANY], hits[self.MANY :]):
+            part = [h for h in part if self.top(h) not in skip]
+            for h in self.promising(own, part) if len(part) > self.MANY else part:
+                if self.top(h) not in skip and self.similar(own, self.sets[h]):
+                    found.append(h)
+                    skip.add(self.top(h))
+        return found
+
+
+def block_links(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (u, v) inside the blocks of clusters, one for each text and group that it joins."""
+
+    def pairs(it):
+        for _, group in sorted_groups(it, 2):
+            block = Verifier(radius, similarity)
+            for _, _, fp, shingles in group:
+                hits = block.links(fp, shingles)
+                block.add(fp, shingles)
+                for h in hits:
+                    block.join(h, len(block.fps) - 1)
+                    yield fp, block.fps[h]
+
+    # A text of a large cluster can be its pivot and in a block of its own; it then meets itself, which does no harm.
+    return rows.select("cluster", "block", "fp", "shingles").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "fp").mapInArrow(lambda it: pair_batches(pairs(it)), "u binary, v binary")
+
+
+def cross_links(rows: DataFrame, roots: DataFrame, radius: int, similarity: float) -> DataFrame:
+    """Links (u, v) of texts of one cluster whose groups differ so far.
+
+    Of each cluster the texts outside its largest group make trees; each tree
+    goes to every block of the cluster, whose texts follow its edges.
+    """
+    rows = rows.join(roots, F.col("fp") == F.col("node"), "left").select("cluster", "n_blocks", "fp", "shingles", F.coalesce("root", "fp").alias("root"))
+    rows = materialise(rows, "simhash-open")
+    parts = rows.groupBy("cluster", "root").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles")).alias("bytes"))
+    sizes = parts.groupBy(F.col("cluster").alias("of")).agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"), F.max(F.struct("n", "bytes", "root")).alias("top")).filter("n > top.n")
+    share = F.greatest((F.col("n") - F.col("top.n")) / F.col("n"), (F.col("bytes") - F.col("top.bytes")) / F.greatest("bytes", F.lit(1)))
+    sizes = materialise(sizes.select("of", F.col("top.root").alias("largest"), share.alias("share")), "simhash-sizes")
+    met = rows.join(sizes, F.col("cluster") == F.col("of")).withColumn("n_trees", F.ceil(F.col("n_blocks") * F.col("share")).cast("int"))
+    one_of = lambda n: F.pmod(F.xxhash64("fp"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    trees = met.filter("root <> largest").select("cluster", one_of("n_trees").alias("tree"), every("n_blocks").alias("block"), F.lit(0).alias("asks"), "fp", "root", "shingles")
+    asking = met.select("cluster", every("n_trees").alias("tree"), one_of("n_blocks").alias("block"), F.lit(1).alias("asks"), "fp", "root", "shingles")
+
+    def pairs(it):
+        for _, group in sorted_groups(it, 3):
+            cell, numbers = Verifier(radius, similarity), {}
+            for _, _, _, asks, fp, root, shingles in group:
+                if not asks:
+                    cell.add(fp, shingles)
+                    cell.root[-1] = numbers.setdefault(root, len(cell.root) - 1)
+                else:
+                    yield from ((fp, cell.fps[h]) for h in cell.links(fp, shingles, [numbers[root]] if root in numbers else []))
+
+    both = trees.unionByName(asking).repartition("cluster", "tree", "block").sortWithinPartitions("cluster", "tree", "block", "asks")
+    return both.mapInArrow(lambda it: pair_batches(pairs(it)), "u binary, v binary")
+
+
+def similar_links(
+    distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int, similarity: float, lanes: int, recall: float = 0.98, shard_rows: int = 4096, block_shingles: int = 1 << 22
+) -> DataFrame:
+    """Edges (u, v) between wide fingerprints of texts of at least this similarity.
+
+    Fingerprints that meet in a shard within three deviations beyond the mean
+    distance at the threshold are chained to clusters.  Inside a cluster the
+    shingle sets decide: a text is compared with those within the radius, near
+    ones first, until it has a link to each group that it meets.  A cluster
+    above ``shard_rows`` texts or ``block_shingles`` shingles is dealt in blocks
+    that hold eight of its texts in common; a second pass compares what is
+    outside the largest group with all of the cluster, block by block.  So a
+    large group of near copies costs a few comparisons a member, no task holds
+    more than a block, and no link that would join two groups is left out.
+    """
+    width, differs = BITS * lanes, most_difference(similarity, SMALL)
+    radius = math.ceil(width * differs + 3.0 * math.sqrt(width * differs * (1 - differs)))
+    keys = materialise(wide_keys(distinct, similarity, lanes, recall), "simhash-keys")
+    clusters = components(materialise(cluster_edges(keys, radius, shard_rows), "simhash-edges"))
+    clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
+    met = materialise(distinct.join(clusters, F.col("fp") == F.col("node")).select("fp", "first", "n_shingles", F.col("root").alias("cluster")), "simhash-clusters")
+    pivots = F.array_compact(F.array(*[F.min(F.when(F.pmod(F.xxhash64("fp"), F.lit(8)) == k, F.col("fp"))) for k in range(8)]))
+    sizes = met.groupBy(F.col("cluster").alias("of")).agg(F.count("*").alias("n"), F.sum("n_shingles").alias("all"), pivots.alias("pivots"))
+    blocks = F.ceil(F.greatest(F.col("n") / shard_rows, F.col("all") / block_shingles)).cast("int")
+    sizes = materialise(sizes.select("of", F.greatest(blocks, F.lit(1)).alias("n_blocks"), "pivots"), "simhash-blocks")
+    sets = shingle_sets(met, docs, doc_id, text, words).withColumnRenamed("fp", "own")
+    placed = met.join(sizes, F.col("cluster") == F.col("of")).select("cluster", "fp", "n_blocks", F.expr("n_blocks > 1 and array_contains(pivots, fp)").alias("pivot"))
+    rows = materialise(placed.join(sets, F.col("fp") == F.col("own")).drop("own"), "simhash-sets")
+    everywhere = F.sequence(F.lit(0), F.col("n_blocks") - 1)
+    dealt = rows.withColumn("block", F.explode(F.when(F.col("pivot"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int")))))
+    links = materialise(block_links(dealt, radius, similarity), "simhash-links")
+    large = rows.filter("n_blocks > 1")
+    if large.isEmpty():
+        return links
+    return links.unionByName(cross_links(large, components(links), radius, similarity))
 
 
 def simhash_groups(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None, lanes: int = 8
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, radius: int = 2, similarity: float | None = None, lanes: int = 4, shard_rows: int = 4096
 ) -> DataFrame:
     """One row a document: doc_id, fp, component_id, group_size.
 
     Documents link within ``radius`` of 64 bits.  With ``similarity`` they link
-    by the share of equal bits that this Jaccard similarity of shingle sets
-    gives, on ``64 * lanes`` bits.
+    where the Jaccard similarity of their shingle sets is that or more; candidates
+    come from fingerprints of ``64 * lanes`` bits.
     """
-    found = fingerprints(docs, doc_id, text, words) if similarity is None else wide_fingerprints(docs, doc_id, text, words, lanes)
-    rows = materialise(found, "simhash-fingerprints")
-    distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
-    roots = components(links(distinct, radius) if similarity is None else similar_links(distinct, similarity, lanes))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
+    if similarity is None:
+        rows = materialise(fingerprints(docs, doc_id, text, words), "simhash-fingerprints")
+        distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "simhash-distinct")
+        roots = components(links(distinct, radius, shard_rows))
+    else:
+        rows = materialise(wide_fingerprints(docs, doc_id, text, words, lanes), "simhash-fingerprints")
+        one = F.min(F.struct("doc_id", "text_key")).alias("first")
+        distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), one, F.min("n_shingles").alias("n_shingles")), "simhash-distinct")
+        roots = components(similar_links(distinct, docs, doc_id, text, words, similarity, lanes, shard_rows=shard_rows))
+    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "simhash-placed")
-    groups = placed.groupBy(F.col("root").alias("of")).agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size"))
+    # Written first: a join that reuses the grouping's shuffle couldn't split a group that a third of the rows are in.
+    groups = materialise(placed.groupBy(F.col("root").alias("of")).agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size")), "simhash-groups")
     labels = placed.join(groups, F.col("root") == F.col("of")).select(F.col("fp").alias("label_fp"), "component_id", "group_size")
     return rows.join(labels, F.col("fp") == F.col("label_fp")).select("doc_id", "fp", "component_id", "group_size")
 

@@ -121,24 +121,89 @@ def test_bk_tree_finds_what_a_scan_finds():
 
 
 def jaccard(a, b):
-    s = [set(zip(*(t.split()[k:] for k in range(5)))) for t in (a, b)]
+    s = [set(zip(*(t.split()[k:] for k in range(5)))) or {tuple(t.split())} for t in (a, b)]
     return len(s[0] & s[1]) / max(1, len(s[0] | s[1]))
 
 
-def test_near_duplicates_at_a_similarity(spark):
+def varied(base, seed, edits):
+    rng, own = random.Random(seed), list(base)
+    for _ in range(edits):
+        own[rng.randrange(len(own))] = f"w{rng.randrange(10**6)}"
+    return " ".join(own)
+
+
+def similar_texts():
+    """Pairs of all similarities and lengths, some just at 0.8."""
     texts = {}
-    for g in range(30):
-        base = words(g, 300).split()
+    for g in range(60):
+        base = words(g, 20 + 7 * g).split()
         texts[10 * g] = " ".join(base)
-        for c in range(1, 3):
-            own = list(base)
-            for j in range(c * 3):
-                own[(j * 53 + g) % 300] = f"w{c}{j}"
-            texts[10 * g + c] = " ".join(own)
-    left = {r.doc_id for r in simhash.representatives(frame(spark, list(texts.items()))).collect()}
-    assert all(10 * g in left for g in range(30))
-    close = [i for i in texts if i % 10 and jaccard(texts[i], texts[i - i % 10]) >= 0.85]
-    assert sum(i in left for i in close) <= len(close) * 0.03
+        for c in range(1, 6):
+            texts[10 * g + c] = varied(base, 10 * g + c, c * len(base) // 110)
+    for g in range(40):  # 8 against 9 words, 12 against 13 words: four of five and eight of nine shingles
+        base = words(7000 + g, 13).split()
+        texts |= {1000 + 10 * g: " ".join(base[:8]), 1001 + 10 * g: " ".join(base[:9]), 1005 + 10 * g: " ".join(base[:7])}
+    return texts | {5000 + k: words(9000 + k, 5 + k) for k in range(60)} | {5100: None, 5101: "", 5102: "one two", 5103: "ONE two"}
+
+
+def components_of(out):
+    return {r.doc_id: r.component_id for r in out.collect()}
+
+
+def test_links_at_a_similarity_against_brute_force(spark):
+    texts = similar_texts()
+    low = {i: lower(t) for i, t in texts.items()}
+    got = components_of(simhash.simhash_groups(frame(spark, list(texts.items())).repartition(5), words=5, similarity=0.8))
+    pairs = [(a, b) for a, b in __import__("itertools").combinations(sorted(texts), 2) if a // 10 == b // 10 and jaccard(low[a], low[b]) >= 0.8]
+    want = brute_components(sorted(texts), lambda a, b: a // 10 == b // 10 and (a, b) in pairs or {a, b} in ({5100, 5101}, {5102, 5103}))
+    found = sum(got[a] == got[b] for a, b in pairs)
+    assert len(pairs) > 150 and found >= 0.97 * len(pairs)  # nothing but the shards' recall
+    short = [(a, b) for a, b in pairs if len(low[b].split()) < 10]
+    assert len(short) >= 40 and sum(got[a] == got[b] for a, b in short) >= 0.9 * len(short)
+    assert all(want[i] == want[k] for i, k in got.items())  # no link below the similarity
+    assert got[5100] == got[5101] and got[5102] == got[5103] == 5102
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 24])
+def test_large_groups_of_near_copies(spark, shard_rows):
+    """A group dealt in blocks has the components of all its pairs."""
+    base, texts = words(1, 120).split(), {}
+    for k in range(160):
+        texts[k] = varied(base, k, 1 + k % 6)
+    texts |= {1000 + k: words(3000 + k, 100) for k in range(30)}
+    want = brute_components(sorted(texts), lambda a, b: b < 1000 and jaccard(texts[a], texts[b]) >= 0.8)
+    got = components_of(simhash.simhash_groups(frame(spark, list(texts.items())), words=5, similarity=0.8, shard_rows=shard_rows))
+    assert got == want and 1 < len({want[k] for k in range(160)}) < 120
+
+
+def test_wide_bits_are_even_and_differ_as_told():
+    rng = np.random.default_rng(1)
+    draw = lambda n: rng.integers(0, 1 << 64, n, dtype=np.uint64)
+    bits = lambda f: np.unpackbits(np.frombuffer(f, np.uint8))
+    for n in (1, 2, 4, 6, 9, 40):
+        share = np.mean([bits(simhash.wide_majority(np.unique(draw(n)), 4)).mean() for _ in range(60)])
+        assert abs(share - 0.5) < 0.03
+    for shared, a, b in ((4, 0, 1), (8, 1, 1), (80, 10, 10)):
+        apart = []
+        for _ in range(80):
+            s = draw(shared)
+            x, y = (simhash.wide_majority(np.unique(np.r_[s, draw(k)]), 4) for k in (a, b))
+            apart.append((bits(x) != bits(y)).mean())
+        assert np.mean(apart) < simhash.bit_difference(shared, a, b) + 0.012 and simhash.bit_difference(shared, a, b) <= simhash.most_difference(0.8, 1) + 1e-9
+    assert simhash.wide_majority(draw(0), 4) == bytes(32)
+
+
+def test_candidates_counted_at_once_lose_none():
+    rng = np.random.default_rng(2)
+    base = np.unique(rng.integers(0, 1 << 64, 90, dtype=np.uint64))
+    block = simhash.Verifier(256, 0.8)
+    sets = [np.unique(np.r_[base[: 90 - k % 12], rng.integers(0, 1 << 64, k % 9, dtype=np.uint64)]) for k in range(60)]
+    for s in sets:
+        block.add(simhash.wide_majority(s, 4), s.tobytes())
+    for s in sets[:20]:
+        near = [h for h in range(60) if len(np.intersect1d(s, sets[h])) / len(np.union1d(s, sets[h])) >= 0.8]
+        assert sorted(block.links(simhash.wide_majority(s, 4), s.tobytes())) == near  # each is a group of its own
+        assert set(near) <= set(block.promising(s, list(range(60))))
 
 
 def test_near_duplicates_odd_rows(spark):
