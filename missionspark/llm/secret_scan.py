@@ -5,22 +5,25 @@ secret value under a vague name or without a name, an endpoint) are common in
 clean text; they are reported only where complementary parts meet: a weak
 secret needs an identifier or an endpoint in its scope, an identifier needs a
 secret, an endpoint needs both.  A scope is ``SCOPE`` code points and ``LINES``
-line ends around a part; an interval join inside the document, a sweep over
-parts by start, finds who meets whom.
+line ends around a part; an interval join inside the document finds who meets
+whom.  Parts that overlap are no company for each other, so no part vouches for
+itself: a key word names one kind, and a bare value inside a named part or an
+endpoint is that part's text.
 
 Spans are code points, end exclusive, of the whole match.
 
 Defined cases: null text counts as empty and has no span; strong spans never
 go away when weak ones are added; a weak span that a strong one covers in part
 is not reported again; rows that repeat are scanned alike; a text of any length
-is scanned whole.
+is scanned whole, in time that grows with its length (runs of a pattern are
+read once: a scheme has at most ``SCHEME`` letters).
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,12 +37,14 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "identifier", "value", "endpoint")
 
+#: Letters of an endpoint's scheme.
+SCHEME = 16
 IDENTIFIER = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|user(?:_?name)?|login|account(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.@=-]{3,}""", re.ASCII | re.IGNORECASE)
-VALUE = re.compile(r"""\b(?:pwd|pass|auth|credential|private_?key|access_?key|client_?secret)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.ASCII | re.IGNORECASE)
+VALUE = re.compile(r"""\b(?:pwd|pass|auth|credential|private_?key|secret_?(?:access_?)?key|client_?secret)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.ASCII | re.IGNORECASE)
 BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[A-Z])(?=[A-Za-z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{32,64}={0,2}(?![A-Za-z0-9+/_=-])")
-ENDPOINT = re.compile(r"""\b(?:[a-z][a-z0-9+.-]*://[^\s"'<>]{4,}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""", re.ASCII | re.IGNORECASE)
+ENDPOINT = re.compile(rf"""\b(?:[a-z][a-z0-9+.-]{{0,{SCHEME - 1}}}://[^\s"'<>]{{4,}}|(?:host|endpoint|server)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{{4,}})""", re.ASCII | re.IGNORECASE)
 #: Words without which a named weak pattern can't match, in lower case.
-HINTS = ("://", "host", "endpoint", "server", "access", "client", "user", "login", "account", "pwd", "pass", "auth", "credential", "private")
+HINTS = ("://", "host", "endpoint", "server", "access", "client", "user", "login", "account", "pwd", "pass", "auth", "credential", "private", "secret")
 
 Span = tuple[int, str, int]  # start, kind, end
 
@@ -57,37 +62,31 @@ def base_spans(text: str) -> list[Span]:
 
 
 def weak_spans(text: str) -> list[Span]:
-    """Candidates that need company."""
-    found = [(m.start(), "value", m.end()) for m in BARE.finditer(text)]
+    """Candidates that need company; a bare value is none where it overlaps a named one."""
+    found = []
     low = text.lower()
     if any(h in low for h in HINTS):
         for kind, pattern in (("identifier", IDENTIFIER), ("value", VALUE), ("endpoint", ENDPOINT)):
             found += [(m.start(), kind, m.end()) for m in pattern.finditer(text)]
-    return sorted(found)
+    bare = [(m.start(), "value", m.end()) for m in BARE.finditer(text)]
+    return sorted(found + (_outside(bare, [(s, e) for s, _, e in found]) if found else bare))
 
 
 def near(parts: list[Span], others: list[Span], breaks: list[int]) -> list[bool]:
-    """Interval join: which parts have another one inside their scope.
+    """Interval join: which parts have another one inside their scope that doesn't overlap them.
 
-    Both lists are in order of start.  Only the last other that starts before a
-    part and the first that starts after it can be nearest, save for long ones
-    that reach further, which the running maximum of ends keeps.
+    Of the others that end before a part the last end is nearest, of those that
+    start behind it the first start.
     """
-    starts = [s for s, _, _ in others]
-    reach, furthest = [], (-1, -1)
-    for s, _, e in others:
-        furthest = max(furthest, (e, s))
-        reach.append(furthest[0])
+    starts, ends = sorted(s for s, _, _ in others), sorted(e for _, _, e in others)
 
     def meets(a: int, z: int) -> bool:
         return z - a <= SCOPE and bisect_left(breaks, z) - bisect_left(breaks, a) <= LINES
 
     found = []
     for s, _, e in parts:
-        i = bisect_left(starts, s)
-        before = i > 0 and (reach[i - 1] >= s or meets(reach[i - 1], s))
-        after = i < len(starts) and (starts[i] <= e or meets(e, starts[i]))
-        found.append(before or after)
+        i, j = bisect_right(ends, s), bisect_left(starts, e)
+        found.append(i > 0 and meets(ends[i - 1], s) or j < len(starts) and meets(e, starts[j]))
     return found
 
 
@@ -97,7 +96,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
     if not weak:
         return []
     taken = [(s, e) for s, _, e in base]
-    free = [w for w in weak if not any(s < w[2] and w[0] < e for s, e in taken)] if len(taken) < 32 else _outside(weak, taken)
+    free = _outside(weak, taken)
     breaks = [m.start() for m in re.finditer("\n", text)]
     names = sorted([w for w in free if w[1] == "identifier"] + [b for b in base if b[1] == "access"])
     places = [w for w in free if w[1] == "endpoint"]
@@ -110,7 +109,7 @@ def linked_spans(text: str, base: list[Span]) -> list[Span]:
 
 
 def _outside(spans: list[Span], taken: list[tuple[int, int]]) -> list[Span]:
-    """Spans that meet none of many taken ones, in order of start."""
+    """Spans that overlap none of the taken ones, in order of start."""
     taken = sorted(taken)
     starts, reach, top = [s for s, _ in taken], [], -1
     for _, e in taken:

@@ -145,13 +145,70 @@ def test_weak_parts_need_company():
     assert kinds("login: bob\n\n\n\n\npwd=hunter22") == []
 
 
+def test_a_part_is_no_company_for_itself():
+    kinds = lambda t: [s[1] for s in secret_scan.scan(t)[1]]
+    assert kinds("access_key=abcdef123") == [] and kinds("secret_access_key=abcdef123") == [] and kinds("https://a.example/?user=bob") == []
+    bare = "Ab1" * 12
+    assert kinds(bare) == kinds(f"user={bare}") == kinds(f"https://a.example/{bare}") == []
+    assert kinds(f"user=bob {bare}") == ["identifier", "value"]
+    assert kinds("access_key=abcdef123 secret_access_key=Zz9+abcdef") == ["identifier", "value"]
+    assert kinds("https://a.example/?user=bob&pwd=hunter22") == ["identifier", "value"]  # the endpoint holds both and has no part beside it
+
+
 def test_interval_join_against_all_pairs():
     rng = random.Random(4)
-    for _ in range(300):
+    seen = set()
+    for _ in range(600):
         spans = lambda n: sorted((s, "x", s + rng.randint(1, 400)) for s in rng.sample(range(4000), n))
-        a, b, breaks = spans(8), spans(6), sorted(rng.sample(range(4000), 12))
-        ok = lambda p, q: max(p[0], q[0]) <= min(p[2], q[2]) or (lambda x, y: y - x <= secret_scan.SCOPE and sum(x <= z < y for z in breaks) <= secret_scan.LINES)(min(p[2], q[2]), max(p[0], q[0]))
-        assert all(got or not any(ok(p, q) and q[0] != p[0] for q in b) for p, got in zip(a, secret_scan.near(a, b, breaks)) if not any(q[2] > p[0] and q[0] <= p[0] for q in b))
+        a, b, breaks = spans(8), spans(rng.randint(0, 6)), sorted(rng.sample(range(4000), 40))
+        a = sorted(a + b[:2])  # parts that are among the others, too
+
+        def ok(p, q):
+            if p[0] < q[2] and q[0] < p[2]:
+                return False
+            x, z = min(p[2], q[2]), max(p[0], q[0])
+            return z - x <= secret_scan.SCOPE and sum(x <= k < z for k in breaks) <= secret_scan.LINES
+
+        want = [any(ok(p, q) for q in b) for p in a]
+        assert secret_scan.near(a, b, breaks) == want
+        seen |= set(want)
+    assert seen == {True, False}
+
+
+def brute_linked(text):
+    """The rules of company over all pairs of parts."""
+    base = brute_base(text)
+    over = lambda p, q: p[0] < q[2] and q[0] < p[2]
+    meet = lambda p, q: not over(p, q) and max(p[0], q[0]) - min(p[2], q[2]) <= secret_scan.SCOPE and text[min(p[2], q[2]) : max(p[0], q[0])].count("\n") <= secret_scan.LINES
+    named = [(m.start(), k, m.end()) for k, x in (("identifier", secret_scan.IDENTIFIER), ("value", secret_scan.VALUE), ("endpoint", secret_scan.ENDPOINT)) for m in x.finditer(text)]
+    bare = [(m.start(), "value", m.end()) for m in secret_scan.BARE.finditer(text)]
+    weak = {w for w in named + [x for x in bare if not any(over(x, n) for n in named)] if not any(over(w, b) for b in base)}
+    names = {w for w in weak if w[1] == "identifier"} | {b for b in base if b[1] == "access"}
+    places, values = {w for w in weak if w[1] == "endpoint"}, {w for w in weak if w[1] == "value"} | {b for b in base if b[1] != "access"}
+    values = {v for v in values if any(meet(v, x) for x in names | places)}
+    names = {n for n in names if any(meet(n, v) for v in values)}
+    places = {p for p in places if any(meet(p, v) for v in values) and any(meet(p, n) for n in names)}
+    return sorted(set(base) | ((values | names | places) & weak), key=lambda s: (s[0], secret_scan.KINDS.index(s[1])))
+
+
+def test_linked_spans_against_brute_force():
+    rng = random.Random(8)
+    bits = ["user=bob1 ", "login: amy2\n", "access_key=abcdef123 ", "secret_key=abcdef99 ", "pwd=hunter22 ", "auth: zzzzzz\n", "host=db.local ", "https://a.example/x?pwd=secret123 ", "Ab1" * 12 + " ", "AKIA" + "B2" * 9 + " ", "0a" * 13 + " ", "token=abcdefgh ", "word " * 20, "\n\n\n\n", "é "]
+    some = 0
+    for _ in range(1500):
+        text = "".join(rng.choices(bits, k=rng.randint(1, 10)))
+        assert secret_scan.scan(text)[1] == brute_linked(text), text
+        some += len(secret_scan.scan(text)[1]) > len(brute_base(text))
+    assert some > 200
+
+
+def test_long_texts_are_scanned_in_their_length():
+    import time
+
+    for text in ("user " + "a." * 500_000, "pass" + " " * 1_000_000, "user=" * 200_000, "Ab1" * 330_000, "token" * 200_000, "host:" * 200_000, "http://" * 140_000, "user=bob pwd=hunter22 " * 40_000):
+        began = time.process_time()
+        secret_scan.scan(text)
+        assert time.process_time() - began < 4, text[:20]
 
 
 def test_secret_rows(spark):
