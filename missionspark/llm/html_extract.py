@@ -15,12 +15,14 @@ wherever they stand, by element, role and words of class and id.
 Defined cases: null or empty html gives an empty text; a page without a line
 of text gives an empty text; a page whose lines are all alike keeps all of
 them; unclosed and crossing tags are closed by the nearest open element of the
-same name; repeated rows are extracted alike.
+same name, an end without a start is none; a page of any length takes time in
+proportion, however its tags nest; repeated rows are extracted alike.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html.parser import HTMLParser
 
 import numpy as np
@@ -36,14 +38,19 @@ BLOCK = frozenset(
 )
 SKIP = frozenset("nav aside form script style template noscript iframe object svg canvas select button textarea head title dialog menu search".split())
 CONTAINER = frozenset("body div section table".split())
+WALLS = frozenset(("article", "main", "body"))
 PAGE_EDGE = frozenset(("header", "footer"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-#: Words of class and id that name something other than the article.
-OUTSIDE = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|header|footer|sidebar|side|aside|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|"
-    r"alert|popup|modal|newsletter|subscribe|subscription|comments?|commentlist|respond|replies|disqus|share|sharing|social|breadcrumbs?|pagination|related|recommended|toolbar|widget|skip-?link)(?:$|[\s_-])",
-    re.IGNORECASE,
+# Words of class and id that name something other than the article.
+NAMES = (
+    r"nav|navbar|navigation|menu|footer|sidebar|side|aside|ads?|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|gdpr|notice|notification|"
+    r"alert|popup|modal|newsletter|subscribe|subscription|comments?|commentlist|respond|replies|disqus|share|sharing|social|breadcrumbs?|pagination|related|recommended|toolbar|widget|skip-?link"
 )
+FURNITURE = r"bar|box|buttons?|links?|posts?|articles?|stories|list|section|form|slot|unit|container|wrapper|block|area|panel|signup|banner|notice|popup|widgets?|icons?|thread"
+#: Outside an article one part of a name is enough.
+OUTSIDE = re.compile(rf"(?:^|[\s_-])(?:{NAMES}|header)(?:$|[\s_-])", re.IGNORECASE)
+#: Inside, "post-header", "related-work" or "share-price" name the article's own parts: the whole name has to be one of furniture.
+INSIDE = re.compile(rf"(?:^|\s)(?:(?:post|article|entry|page|site|user|reader)[_-])?(?:{NAMES})(?:[_-](?:{FURNITURE}))*(?:$|\s)", re.IGNORECASE)
 CLOSES_P = BLOCK - {"body", "html"}
 SPACE = re.compile(r"\s+")
 
@@ -55,6 +62,8 @@ class Lines(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
         self.stack: list[tuple[str, bool, int]] = []  # name, left out, article
+        self.open: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
+        self.walls: list[int] = []  # where articles and bodies do
         self.parts: list[str] = []
         self.tags = 0
         self.skip, self.article, self.articles = False, 0, 0
@@ -78,7 +87,7 @@ class Lines(HTMLParser):
         if tag == "footer":
             return True
         for name, value in attrs:
-            if value and (name in ("class", "id") and tag not in ("body", "html", "article", "main") and OUTSIDE.search(value) or name == "role" and value.lower() in ROLES):
+            if value and (name in ("class", "id") and tag not in ("body", "html", "article", "main") and (INSIDE if self.article else OUTSIDE).search(value) or name == "role" and value.lower() in ROLES):
                 return True
             if value and name in ("class", "id") and tag == "article" and "comment" in value.lower():
                 return True
@@ -98,6 +107,9 @@ class Lines(HTMLParser):
             if tag == "br" and not self.skip:
                 self.parts.append(" ")
             return
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in WALLS:
+            self.walls.append(len(self.stack))
         self.stack.append((tag, self.skip, self.article))
         if tag in CONTAINER:
             self.opened += 1
@@ -120,25 +132,31 @@ class Lines(HTMLParser):
     def leave(self, at: int):
         self.end_line()
         self.skip, self.article = self.stack[at][1], self.stack[at][2]
-        for name, _, _ in self.stack[at:]:
+        self.drop(at)
+
+    def drop(self, at: int):
+        """Closes what is open from this place of the stack on."""
+        while len(self.stack) > at:
+            name = self.stack.pop()[0]
+            self.open[name].pop()
+            if name in WALLS:
+                self.walls.pop()
             if name in CONTAINER:
                 self.last[self.containers.pop()] = self.opened
-        del self.stack[at:]
 
     def handle_endtag(self, tag):
         self.tags += 1
         if tag in BLOCK:
             self.end_line()
-        for at in range(len(self.stack) - 1, -1, -1):
-            name, skip, article = self.stack[at]
-            if name == tag:
-                if tag not in BLOCK and skip == self.skip and article == self.article:
-                    del self.stack[at:]
-                else:
-                    self.leave(at)
-                return
-            if name in ("article", "main", "body") and tag not in ("article", "main", "body", "html"):
-                return  # an end without a start inside the article
+        places = self.open.get(tag)
+        if not places or tag not in WALLS and tag != "html" and self.walls and self.walls[-1] > places[-1]:
+            return  # an end without a start, or without one inside the article
+        at = places[-1]
+        _, skip, article = self.stack[at]
+        if tag not in BLOCK and skip == self.skip and article == self.article:
+            self.drop(at)
+        else:
+            self.leave(at)
 
     def finish(self):
         """The end of the page closes what is open."""
@@ -158,6 +176,17 @@ def smoothed(ratios: np.ndarray, width: float) -> np.ndarray:
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
 
 
+def within(lines, containers: set[int], parser: Lines) -> bool:
+    """Whether every line lies in one of the containers, which are nested or apart."""
+    starts, ends = [], []
+    for c in sorted(containers):
+        if not ends or c > ends[-1]:
+            starts.append(c)
+            ends.append(parser.last.get(c, parser.opened))
+    places = [bisect_right(starts, line[3]) - 1 for line in lines]
+    return all(k >= 0 and line[3] <= ends[k] for k, line in zip(places, lines))
+
+
 def content_lines(parser: Lines, width: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Which lines threshold clustering seeds, and which it selects with their surroundings."""
     lines = parser.lines
@@ -178,8 +207,7 @@ def content_lines(parser: Lines, width: float = 1.0) -> tuple[np.ndarray, np.nda
     for first, stop in joined:
         inside = {line[3] for line in lines[first:stop]}
         shared = before & inside - parser.bodies
-        gap = lines[end:first]
-        if shared and all(any(c <= line[3] <= parser.last.get(c, parser.opened) for c in shared) for line in gap):
+        if shared and within(lines[end:first], shared, parser):
             first = end
         while first > end and lines[first - 1][3] in inside:  # titles and lists at the edges
             first -= 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+import math
 import random
 import re
 
@@ -87,6 +88,52 @@ def test_every_article_and_cluster_stays():
     assert [b for b in f(page).split("\n\n") if b != "xy"] == [q, q]  # the ratio tells that the mark isn't the text
 
 
+def test_names_inside_an_article():
+    f = html_extract.main_text
+    assert f('<article><div class="post-header"><h1>Title</h1></div><p class="share-price">A</p><div class="related-work side-effects"><p>B</p></div></article>') == "Title\n\nA\n\nB"
+    outs = ("ads", "share-buttons", "related-posts", "post-comments", "comment-list", "cookie-notice", "x newsletter-signup y", "widget", "notice", "ad_slot")
+    assert f("<article><p>A</p>" + "".join(f'<div class="{c}"><p>no</p></div>' for c in outs) + "</article>") == "A"
+    assert f('<div class="post-header">no</div><article><p>A</p></article><div class="related-work">no</div>') == "A"
+
+
+def test_ends_without_starts():
+    f = html_extract.main_text
+    assert f("<b>x<article></b><p>A <i>b</i></i> c</b></p><p>D</p></article>").endswith("A b c\n\nD")
+    assert f("<div><b><div>a</b> b</div></div><p>c</p>") == "a b\n\nc"
+
+
+def test_pages_of_unclosed_tags_take_time_in_proportion():
+    import time
+
+    n = 100_000
+    for page in ("<b>" * n + "</i>" * n, "<b>x" * n + "</i>" * n, "<article>" + "<i>" * n + "</b>" * n, "<b><article>" + "<i>x" * n + "</b>" * n, "<div>word " * n, "<p>x" * n, "<div>" * n + "text " * 50 + "</div>" * n, "<div>some text here " * n + "<a>b</a></div>" * n):
+        began = time.process_time()
+        html_extract.main_text(page)
+        assert time.process_time() - began < 15, page[:20]
+
+
+def brute_seeds(lines, width=1.0):
+    """Lines whose smoothed ratio of text to tags is one deviation or more."""
+    ratios = [len(t) / max(1, tags) for t, tags, _, _ in lines]
+    kernel = {d: math.exp(-0.5 * (d / width) ** 2) for d in range(-3, 4)}
+    smooth = [sum(w * ratios[min(len(ratios) - 1, max(0, k + d))] for d, w in kernel.items()) / sum(kernel.values()) for k in range(len(ratios))]
+    mean = sum(ratios) / len(ratios)
+    return [s >= math.sqrt(sum((r - mean) ** 2 for r in ratios) / len(ratios)) - 1e-9 for s in smooth]
+
+
+def test_method_against_brute_force_and_without_marks(spark, sf_dir):
+    """On the given pages the clusters alone find the marked article, and seeds are those of the definition."""
+    for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        parser = html_extract.Lines()
+        bare = re.sub(r"(</?)(?:article|main)\b", r"\1div", r.html)
+        assert "<article" not in bare and "<main" not in bare
+        parser.feed(bare)
+        parser.finish()
+        seeds, _ = html_extract.content_lines(parser)
+        assert seeds.tolist() == brute_seeds(parser.lines) or not any(brute_seeds(parser.lines))
+        assert html_extract.main_text(bare) == html_extract.main_text(r.html)
+
+
 def test_extract_given_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     import html
