@@ -29,18 +29,30 @@ def model_breakdown(frames: DataFrame, most: int = 20) -> DataFrame:
     return frames.filter("caption_model is not null").groupBy("caption_model").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "caption_model").limit(most)
 
 
-def annotation_roi(frames: DataFrame) -> DataFrame:
-    """One row: annotations, their span, months, weekly rate and a verdict.
+#: Annotations a week up to which their automation is told low and moderate, days before it is told, minutes that a reload saves.
+LOW_A_WEEK, HIGH_A_WEEK, LEAST_DAYS, MINUTES_A_RELOAD = 0.5, 2.0, 7, 3
 
-    Below seven days of annotation the rate and the verdict are null.
+
+def annotation_roi(frames: DataFrame, jobs: DataFrame) -> DataFrame:
+    """One row: annotations, their span and months, jobs that followed, weekly rate and a verdict.
+
+    ``jobs`` has (type, status, progress as JSON).  An observed span is a day at
+    least; below seven days the rate is null and the data insufficient.
     """
     done = frames.filter("al_tag = 'annotated'")
     row = done.agg(
         F.count("*").alias("annotated"), F.min("created_at").alias("first_at"), F.max("created_at").alias("last_at"), F.countDistinct(F.date_format("created_at", "yyyy-MM")).alias("months"),
     )
-    days = F.timestamp_diff("SECOND", F.col("first_at"), F.col("last_at")) / 86400.0
-    rate = F.when(days >= 7, F.col("annotated") / (days / 7))
-    return row.withColumn("per_week", rate).withColumn("verdict", F.when(rate < 0.5, "low").when(rate < 2.0, "medium").when(rate >= 2.0, "high"))
+    tuned = F.col("type") == "supervised_finetune"
+    accepted = tuned & F.coalesce(F.get_json_object("progress", "$.accepted") == "true", F.lit(False))
+    work = jobs.agg(F.count_if(tuned).alias("triggered"), F.count_if(accepted).alias("accepted"), F.count_if((F.col("type") == "reembed") & (F.col("status") == "finished")).alias("reembeds"))
+    days = F.greatest(F.timestamp_diff("MICROSECOND", F.col("first_at"), F.col("last_at")) / 86400e6, F.lit(1.0))
+    days = F.when(F.col("first_at").isNotNull(), days)
+    rate = F.when(days >= LEAST_DAYS, F.col("annotated") / (days / 7))
+    row = row.join(F.broadcast(work)).withColumn("days", days).withColumn("per_week", rate)  # one row each
+    verdict = F.when(rate.isNull(), "INSUFFICIENT_DATA").when(rate < LOW_A_WEEK, "LOW_FREQUENCY").when(rate < HIGH_A_WEEK, "MODERATE_FREQUENCY").otherwise("HIGH_FREQUENCY")
+    share = F.when(F.col("triggered") > 0, F.round(F.col("accepted") / F.col("triggered"), 3))
+    return row.withColumn("acceptance_rate", share).withColumn("minutes_saved", F.col("accepted") * MINUTES_A_RELOAD).withColumn("verdict", verdict)
 
 
 def robots(missions: DataFrame) -> DataFrame:
@@ -86,14 +98,18 @@ def al_tags(frames: DataFrame, k: int, threshold: float) -> DataFrame:
     """Active-learning score and tag of each frame.
 
     Distance and lack of confidence weigh 0.60 and 0.40, or 0.35 and 0.25 beside
-    0.40 of surprise where it is known.  The best ``k`` of a mission are to be
-    annotated; other frames at the distance threshold are novel.
+    0.40 of surprise in a mission of which any is known.  What is missing counts
+    as 0.5, and so does a confidence of 0, which no caption gives.  The best ``k``
+    of a mission are to be annotated; other frames at the distance threshold are novel.
     """
-    doubt = F.lit(1.0) - F.coalesce("caption_confidence", F.lit(0.0))
-    score = F.when(F.col("surprise").isNull(), 0.60 * F.col("dist") + 0.40 * doubt).otherwise(0.35 * F.col("dist") + 0.25 * doubt + 0.40 * F.col("surprise"))
-    place = F.row_number().over(Window.partitionBy("mission_id").orderBy(F.desc("al_score"), "frame_id"))
+    mission = Window.partitionBy("mission_id")
+    half = lambda c: F.coalesce(c, F.lit(0.5))
+    doubt, dist = F.lit(1.0) - half(F.nullif(F.col("caption_confidence"), F.lit(0.0))), half(F.col("dist"))
+    surprised = F.count("surprise").over(mission) > 0
+    score = F.when(surprised, 0.35 * dist + 0.25 * doubt + 0.40 * half(F.col("surprise"))).otherwise(0.60 * dist + 0.40 * doubt)
+    place = F.row_number().over(mission.orderBy(F.desc("al_score"), "frame_id"))
     rows = frames.drop("al_score", "al_tag").withColumn("al_score", score).withColumn("place", place)
-    return rows.withColumn("al_tag", F.when(F.col("place") <= k, "needs_annotation").when(F.col("dist") >= threshold, "novel")).drop("place")
+    return rows.withColumn("al_tag", F.when(F.col("place") <= k, "needs_annotation").when(dist >= threshold, "novel")).drop("place")
 
 
 def mission_report(frames: DataFrame) -> DataFrame:
@@ -167,12 +183,18 @@ def fuse_motion(points: DataFrame, window_sec: float = 1.0) -> DataFrame:
 
 
 def prototypes(embeddings: DataFrame, tau: float = 2.0) -> DataFrame:
-    """Time-decayed mean vector of each track and embedding space.
+    """Time-decayed vector of each track and embedding space.
 
-    The weight halves its logarithm by age: exp((t - newest) / tau).
+    Each observation, in order of (t_sec, observation_id), replaces the share
+    1 - exp(-dt / tau) of what was before, dt after its forerunner.  So an
+    observation's weight in the end is its share times exp(-age / tau), and the
+    first one's is exp(-age / tau) alone: sums, without a loop over observations.
     """
+    order = Window.partitionBy("track_id", "space").orderBy("t_sec", "observation_id")
     newest = embeddings.groupBy(F.col("track_id").alias("k"), F.col("space").alias("sp")).agg(F.max("t_sec").alias("last"))
-    weighted = embeddings.join(newest, (F.col("track_id") == F.col("k")) & (F.col("space") == F.col("sp"))).withColumn("weight", F.exp((F.col("t_sec") - F.col("last")) / tau))
-    parts = weighted.select("track_id", "space", "weight", F.posexplode("vector").alias("at", "x"))
-    means = parts.groupBy("track_id", "space", "at").agg((F.sum(F.col("weight") * F.col("x")) / F.sum("weight")).alias("x"))
+    gap = embeddings.withColumn("before", F.lag("t_sec").over(order)).join(newest, (F.col("track_id") == F.col("k")) & (F.col("space") == F.col("sp")))
+    share = F.when(F.col("before").isNull(), 1.0).otherwise(F.lit(1.0) - F.exp((F.col("before") - F.col("t_sec")) / max(tau, 1e-6)))
+    weighted = gap.withColumn("weight", share * F.exp((F.col("t_sec") - F.col("last")) / max(tau, 1e-6)))
+    parts = weighted.filter("weight > 0").select("track_id", "space", "weight", F.posexplode("vector").alias("at", "x"))
+    means = parts.groupBy("track_id", "space", "at").agg(F.sum(F.col("weight") * F.col("x")).alias("x"))
     return means.groupBy("track_id", "space").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda e: e["x"]).alias("prototype"))

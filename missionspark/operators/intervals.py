@@ -148,14 +148,18 @@ def check_monotonic(tracks: DataFrame, keys: Sequence[str], line: str) -> DataFr
     return tracks.withColumn("before", before).filter(F.col("t_sec") < F.col("before")).select(*keys, line, "t_sec", "before")
 
 
-def replay_stamp(events: DataFrame, keys: Sequence[str], spacing_sec: float, delays: dict[str, float], default: float) -> DataFrame:
+#: Order of a replay: event time, kind, sector, sensor; the id parts what is alike in all.
+REPLAY_ORDER = ("event_time", "event_kind", "sector_id", "sensor_type", "event_id")
+
+
+def replay_stamp(events: DataFrame, keys: Sequence[str], start: Column, delays: dict[str, float], spacing_sec: float = 0.25) -> DataFrame:
     """Total order of each run and the time at which a replay hands on its events.
 
-    The later of (start + spacing * place) and the event's time, plus a delay by kind.
+    The later of (start + spacing * place) and the event's time, plus the delay of
+    its kind and the delay of its sensor (0 if none is named); times in seconds.
     """
-    window = Window.partitionBy(*keys).orderBy("t_device", "packet_id")
-    place = F.row_number().over(window) - 1
-    start = F.min("t_device").over(Window.partitionBy(*keys))
-    delay = F.coalesce(*[F.when(F.col("sensor_type") == k, F.lit(v)) for k, v in delays.items()], F.lit(default))
-    ingest = F.greatest(start + spacing_sec * place, F.col("t_device")) + delay
-    return events.withColumn("place", place).withColumn("ingest", ingest).withColumn("freshness_sec", F.col("ingest") - F.col("t_device"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*REPLAY_ORDER)) - 1
+    named = F.create_map(*[F.lit(x) for pair in delays.items() for x in pair]) if delays else None
+    delay = lambda c: F.lit(0.0) if named is None else F.coalesce(F.try_element_at(named, F.col(c)), F.lit(0.0))
+    ingest = F.greatest(start + spacing_sec * place, F.col("event_time")) + delay("event_kind") + delay("sensor_type")
+    return events.withColumn("place", place).withColumn("ingest_time", ingest).withColumn("freshness_sec", F.col("ingest_time") - F.col("event_time"))

@@ -102,17 +102,42 @@ def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], width: floa
     return a.join(b, on).drop("bucket", "r_bucket")
 
 
+def nearest_start(queries: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(event_id, near_id, near_start): the row whose start is nearest, of equals the least id.
+
+    One window over both sides in each direction; a key's rows never meet in pairs.
+    """
+    none = F.lit(None).cast(rows.schema["event_id"].dataType)
+    a = queries.select(*keys, "start_sec", F.lit(1).alias("side"), F.col("event_id").alias("asks"), F.lit(None).cast("struct<s:double,id:bigint>").alias("row"))
+    row = F.struct(F.col("start_sec").alias("s"), F.col("least").alias("id"))
+    b = rows.groupBy(*keys, "start_sec").agg(F.min("event_id").alias("least")).select(*keys, "start_sec", F.lit(0).alias("side"), none.alias("asks"), row.alias("row"))
+    both = a.unionByName(b)
+    upto = Window.partitionBy(*keys).orderBy("start_sec", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = Window.partitionBy(*keys).orderBy(F.desc("start_sec"), "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = both.withColumn("low", F.last("row", ignorenulls=True).over(upto)).withColumn("high", F.last("row", ignorenulls=True).over(after)).filter("side = 1")
+    rank = lambda r: F.when(F.col(r).isNotNull(), F.struct(F.abs(F.col(f"{r}.s") - F.col("start_sec")).alias("off"), F.col(f"{r}.id").alias("id"), F.col(f"{r}.s").alias("s")))
+    return both.withColumn("best", F.least(rank("low"), rank("high"))).select(F.col("asks").alias("event_id"), F.col("best.id").alias("near_id"), F.col("best.s").alias("near_start"))
+
+
 def superseded_events(deep: DataFrame, fast: DataFrame) -> DataFrame:
-    """For each deep event the fast one of its type that it replaces.
+    """For each deep event the fast one of its type that it replaces; null where there is none.
 
-    Shared participants first, then the longest overlap, then the nearest start, then the least id.
+    Of the fast events that share its participant, or where none does of all, the
+    one with the longest overlap; where none overlaps, the shared one with the
+    nearest start.  Events with a participant of their own and no overlap replace
+    none.  Ties go to the least id.
     """
-    met = deep.join(prefixed(fast, "f_"), (F.col("mission_id") == F.col("f_mission_id")) & (F.col("type") == F.col("f_type")))
-    rank = F.struct(
-        F.when(F.col("participant") == F.col("f_participant"), 0).otherwise(1), -span_overlap(F.col("start_sec"), F.col("end_sec"), F.col("f_start_sec"), F.col("f_end_sec")),
-        F.abs(F.col("start_sec") - F.col("f_start_sec")), F.col("f_event_id"),
-    )
-    return met.groupBy("event_id").agg(F.min_by("f_event_id", rank).alias("replaces"))
+    keys = ["mission_id", "type", "participant"]
+    shared = nearest_start(deep, fast, keys).filter("near_id is not null").select(F.col("event_id").alias("of"), "near_id")
+
+    def longest(on: Sequence[str]) -> DataFrame:
+        met = overlaps(deep, fast.select("mission_id", "type", "participant", "event_id", "start_sec", "end_sec"), on)
+        span = span_overlap(F.col("start_sec"), F.col("end_sec"), F.col("r_start_sec"), F.col("r_end_sec"))
+        return met.groupBy(F.col("event_id").alias("of")).agg(F.min(F.struct((-span).alias("span"), F.col("r_event_id").alias("id"))).getField("id").alias("id"))
+
+    same, any_ = longest(keys).select(F.col("of").alias("s_of"), F.col("id").alias("s_id")), longest(keys[:2]).select(F.col("of").alias("a_of"), F.col("id").alias("a_id"))
+    met = deep.join(shared, F.col("event_id") == F.col("of"), "left").join(same, F.col("event_id") == F.col("s_of"), "left").join(any_, F.col("event_id") == F.col("a_of"), "left")
+    return met.select("event_id", F.when(F.col("near_id").isNotNull(), F.coalesce("s_id", "near_id")).otherwise(F.col("a_id")).alias("replaces"))
 
 
 def link_profiles(fast: DataFrame, deep: DataFrame) -> DataFrame:

@@ -114,10 +114,14 @@ def w7(t):
 
 
 @query("w8_replay_stamp", ["packets"], """
-, p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY t_device, packet_id) - 1 AS place, min(t_device) OVER (PARTITION BY session_id) AS start FROM packets)
-SELECT packet_id, place, round(greatest(start + 0.25e0 * place, t_device) + CASE sensor_type WHEN 'camera' THEN 0.4e0 WHEN 'gps' THEN 0.1e0 ELSE 0.05e0 END - t_device, 4) AS freshness_sec FROM p""")
+, e AS (SELECT packet_id, session_id, t_device AS event_time, CASE WHEN value > 25 THEN 'threat' ELSE 'sensor' END AS kind, packet_id % 7 AS sector, sensor_type FROM packets),
+p AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_time, kind, sector, sensor_type, packet_id) - 1 AS place FROM e)
+SELECT packet_id, place, round(greatest(1704500000e0 + 0.25e0 * place, event_time) + CASE kind WHEN 'threat' THEN 0.4e0 ELSE 0 END + CASE sensor_type WHEN 'camera' THEN 0.3e0 WHEN 'gps' THEN 0.1e0 ELSE 0 END - event_time, 4) AS freshness_sec FROM p""")
 def w8(t):
-    return W.replay_stamp(t("packets"), ["session_id"], 0.25, {"camera": 0.4, "gps": 0.1}, 0.05).select("packet_id", F.col("place").cast("bigint").alias("place"), F.round("freshness_sec", 4).alias("freshness_sec"))
+    kind = F.when(F.col("value") > 25, "threat").otherwise("sensor")
+    rows = t("packets").select(F.col("packet_id").alias("event_id"), "session_id", F.col("t_device").alias("event_time"), kind.alias("event_kind"), (F.col("packet_id") % 7).alias("sector_id"), "sensor_type")
+    out = W.replay_stamp(rows, ["session_id"], F.lit(1704500000.0), {"threat": 0.4, "camera": 0.3, "gps": 0.1})
+    return out.select(F.col("event_id").alias("packet_id"), F.col("place").cast("bigint").alias("place"), F.round("freshness_sec", 4).alias("freshness_sec"))
 
 
 @query("w9_check_monotonic", ["packets"], """
@@ -177,12 +181,15 @@ def j6_semi(t):
 
 
 @query("j7_superseded_events", ["timeline"], """
-, c AS (SELECT a.event_id, b.event_id AS f, CASE WHEN a.participant = b.participant THEN 0 ELSE 1 END AS p, -greatest(0, least(a.end_sec, b.end_sec) - greatest(a.start_sec, b.start_sec)) AS o, abs(a.start_sec - b.start_sec) AS d
-  FROM timeline a JOIN timeline b ON a.mission_id = b.mission_id AND a.type = b.type AND a.event_id % 2 = 0 AND b.event_id % 2 = 0 AND a.event_id % 8 = 0 AND b.event_id % 8 <> 0)
-SELECT event_id, arg_min(f, (p, o, d, f)) AS replaces FROM c GROUP BY event_id""")
+, d AS (SELECT * FROM timeline WHERE floor(event_id / 4) % 4 = 0), f AS (SELECT * FROM timeline WHERE floor(event_id / 4) % 4 <> 0),
+c AS (SELECT d.event_id, f.event_id AS f, d.participant = f.participant AS shared, least(d.end_sec, f.end_sec) - greatest(d.start_sec, f.start_sec) AS o, abs(d.start_sec - f.start_sec) AS off FROM d JOIN f USING (mission_id, type)),
+s AS (SELECT *, bool_or(shared) OVER (PARTITION BY event_id) AS any_shared FROM c),
+k AS (SELECT * FROM s WHERE (shared OR NOT any_shared) AND (o > 0 OR shared)),
+b AS (SELECT event_id, arg_min(f, (CASE WHEN o > 0 THEN -o ELSE 0 END, CASE WHEN o > 0 THEN 0 ELSE off END, f)) AS replaces FROM k GROUP BY 1)
+SELECT d.event_id, b.replaces FROM d LEFT JOIN b USING (event_id)""")
 def j7(t):
-    even = t("timeline").filter("event_id % 2 = 0")
-    return J.superseded_events(even.filter("event_id % 8 = 0"), even.filter("event_id % 8 <> 0"))
+    deep = F.floor(F.col("event_id") / 4) % 4 == 0
+    return J.superseded_events(t("timeline").filter(deep), t("timeline").filter(~deep))
 
 
 @query("j8_link_profiles", ["tracks"], """
@@ -226,21 +233,21 @@ def j13(t):
 
 
 @query("j15_subtitles", ["frames"], """
-, s AS (SELECT CAST(conv_id % 25 AS BIGINT) AS mission_id, conv_id * 3e0 + turn AS start_sec, conv_id * 3e0 + turn + 0.8e0 AS end_sec, substr(text, 1, 12) AS text FROM conversations)
+, s AS (SELECT CAST(conv_id % 25 AS BIGINT) AS mission_id, conv_id * 3e0 + turn AS start_sec, conv_id * 3e0 + turn + 0.8e0 AS end_sec, text FROM conversations)
 SELECT f.frame_id, string_agg(s.text, ' ' ORDER BY s.start_sec, s.text) AS subtitle FROM frames f LEFT JOIN s ON f.mission_id = s.mission_id AND f.t_sec >= s.start_sec - 0.5 AND f.t_sec <= s.end_sec + 0.5 GROUP BY f.frame_id""")
 def j15(t):
     at = F.col("conv_id") * F.lit(3.0) + F.col("turn")
-    segments = t.raw("conversations").select((F.col("conv_id") % 25).alias("mission_id"), at.alias("start_sec"), (at + 0.8).alias("end_sec"), F.substring("text", 1, 12).alias("text"))
+    segments = t.raw("conversations").select((F.col("conv_id") % 25).alias("mission_id"), at.alias("start_sec"), (at + 0.8).alias("end_sec"), "text")
     return J.subtitles(t("frames"), segments, 0.5)
 
 
 @query("j15_whole_subtitles", ["frames"], """
 , s AS (SELECT CAST(conv_id % 25 AS BIGINT) AS mission_id, conv_id * 3e0 + turn AS start_sec, conv_id * 3e0 + turn + 0.8e0 AS end_sec, text FROM conversations)
-SELECT f.frame_id, string_agg(s.text, ' ' ORDER BY s.start_sec, s.text) AS subtitle FROM frames f LEFT JOIN s ON f.mission_id = s.mission_id AND f.t_sec >= s.start_sec - 0.5 AND f.t_sec <= s.end_sec + 0.5 GROUP BY f.frame_id""")
+SELECT f.frame_id, string_agg(s.text, ' ' ORDER BY s.start_sec, s.text) AS subtitle FROM frames f LEFT JOIN s ON f.mission_id = s.mission_id AND f.t_sec >= s.start_sec - 1.5 AND f.t_sec <= s.end_sec + 1.5 GROUP BY f.frame_id""")
 def j15_whole(t):
     at = F.col("conv_id") * F.lit(3.0) + F.col("turn")
     segments = t.raw("conversations").select((F.col("conv_id") % 25).alias("mission_id"), at.alias("start_sec"), (at + 0.8).alias("end_sec"), "text")
-    return J.subtitles(t("frames"), segments, 0.5)
+    return J.subtitles(t("frames"), segments, 1.5)
 
 
 @query("j16_label_masks", ["tracks", "truth"], f"""

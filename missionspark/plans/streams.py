@@ -136,23 +136,77 @@ def t1(t):
 
 
 @query("t2_normalise_telemetry", [], """
-SELECT event_id AS packet_id, CASE event_id % 3 WHEN 0 THEN 'gps' WHEN 1 THEN 'imu' ELSE 'barometer' END AS sensor_type, round(1700000000e0 + event_id, 3) AS t_device, round((520000000 + event_id) / 1e7, 7) AS lat, CASE event_id % 3 WHEN 0 THEN round((event_id % 5000) / 1e3, 3) ELSE CAST(event_id % 5000 AS DOUBLE) END AS alt FROM events WHERE event_id % 4 <> 3""")
+WITH m AS (SELECT event_id, event_id % 6 AS k, (event_id + 1700000000) * CASE WHEN event_id % 2 = 0 THEN 1000 ELSE 1000000 END AS stamp, event_id % 5000 AS alt FROM events)
+SELECT event_id AS packet_id, CASE WHEN k <= 1 THEN 'gps' WHEN k = 2 THEN 'imu' WHEN k = 3 THEN 'barometer' ELSE 'magnetometer' END AS sensor_type, round(CASE WHEN stamp > 1e12 THEN stamp / 1e6 ELSE stamp / 1e3 END, 3) AS t_device,
+  CASE k WHEN 0 THEN round((520000000 + event_id) / 1e7, 7) WHEN 1 THEN 52.5 END AS lat, CASE WHEN k <= 1 THEN round(CASE WHEN alt > 1000 THEN alt / 1e3 ELSE alt END, 3) WHEN k = 3 THEN CAST(alt AS DOUBLE) END AS altitude,
+  CASE WHEN k <= 1 THEN round((event_id % 700) / 1e2, 3) END AS vx, CASE k WHEN 2 THEN round(event_id % 31 / 10e0, 3) END AS yaw, CASE k WHEN 4 THEN CAST(event_id % 360 AS DOUBLE) END AS heading
+FROM m WHERE k <= 3 OR k = 4 AND event_id % 4 = 0""")
 def t2(t):
-    k, e = F.col("event_id") % 3, F.col("event_id")
-    kind = F.when(e % 4 == 3, "HEARTBEAT").when(k == 0, "GLOBAL_POSITION_INT").when(k == 1, "ATTITUDE").otherwise("SCALED_PRESSURE")
-    stamp = F.when(e % 2 == 0, (e + 1700000000) * 1000).otherwise((e + 1700000000) * 1000000)
-    payload = F.concat(F.lit('{"lat":'), e + 520000000, F.lit(',"alt":'), e % 5000, F.lit("}"))
+    e = F.col("event_id")
+    k = e % 6
+    kind = F.when(k == 0, "GLOBAL_POSITION_INT").when(k == 1, " gps_raw_int").when(k == 2, "Attitude").when(k == 3, "ALTITUDE").when(k == 4, "VFR_HUD").otherwise("HEARTBEAT")
+    stamp = (e + 1700000000) * F.when(e % 2 == 0, 1000).otherwise(1000000)
+    lat = F.when(k == 1, F.lit("52.5")).otherwise((e + 520000000).cast("string"))
+    height = F.when(k == 0, F.concat(F.lit('"relative_alt":'), e % 5000, F.lit(',"alt":9'))).when(k == 3, F.concat(F.lit('"altitude":'), e % 5000)).otherwise(F.concat(F.lit('"alt":"'), e % 5000, F.lit('"')))
+    heading = F.when(e % 4 == 0, F.concat(F.lit(',"heading":'), e % 360)).otherwise(F.lit(""))
+    payload = F.concat(F.lit('{"lat":'), lat, F.lit(","), height, F.lit(',"vx":'), e % 700, F.lit(',"yaw":'), e % 31 / 10.0, heading, F.lit("}"))
     raw = t.raw("events").select(e.alias("packet_id"), F.col("user_id").alias("session_id"), kind.alias("message_type"), stamp.alias("timestamp"), payload.alias("payload"))
-    return T.normalise_telemetry(raw).select("packet_id", "sensor_type", F.round("t_device", 3).alias("t_device"), F.round("lat", 7).alias("lat"), F.round("alt", 3).alias("alt"))
+    return T.normalise_telemetry(raw).select("packet_id", "sensor_type", F.round("t_device", 3).alias("t_device"), F.round("lat", 7).alias("lat"), F.round("altitude", 3).alias("altitude"), F.round("vx", 3).alias("vx"), F.round("yaw", 3).alias("yaw"), "heading")
+
+
+@query("t2_topic_packets", [], """
+SELECT event_id AS packet_id, ['imu', 'gps', 'gps', 'barometer', 'magnetometer', 'camera', 'camera'][event_id % 9 + 1] AS sensor_type, CASE WHEN event_id % 5 = 0 THEN 0e0 ELSE event_id / 4e0 END AS t_device FROM events WHERE event_id % 9 < 7""")
+def t2_topics(t):
+    e = F.col("event_id")
+    topics = F.array(*map(F.lit, ("/a/imu", "/a/gps", " /drone/fix ", "/pressure", "/x/mag", "/front/image", "/camera/image_raw", "/other", "/image/compressed")))
+    raw = t.raw("events").select(e.alias("packet_id"), F.col("user_id").alias("session_id"), F.get(topics, (e % 9).cast("int")).alias("topic"), F.when(e % 5 != 0, e / 4.0).alias("stamp"), F.col("props").alias("payload"))
+    return T.normalise_topics(raw).select("packet_id", "sensor_type", "t_device")
+
+
+# What each sensor's packet says, by its id and value: one gps packet of seven has no place, one imu packet of five neither turn nor velocity.
+READINGS_SQL = """
+, r AS (SELECT session_id, packet_id, sensor_type, t_device, ts, value, sensor_type = 'gps' AND packet_id % 7 <> 0 AS g, sensor_type = 'imu' AND packet_id % 5 <> 0 AS i, sensor_type = 'barometer' AS b, sensor_type = 'magnetometer' AS m FROM packets),"""
+
+
+def _readings(t):
+    p, v = F.col("packet_id"), F.col("value")
+    imu = F.when(p % 5 == 0, F.lit("{}")).when(p % 3 == 0, F.concat(F.lit('{"velocity_enu":{"x":'), v, F.lit(',"y":"2.5"}}'))).otherwise(F.concat(F.lit('{"yaw":'), v / 50.0, F.lit(',"roll":"0.25"}')))
+    gps = F.concat(F.lit('{"east":'), v, F.when(p % 7 == 0, "").otherwise(',"north":"8.5"'), F.lit(',"ve":1.5,"vn":-0.5,"altitude":'), v * 2.0, F.lit("}"))
+    payload = F.when(F.col("sensor_type") == "gps", gps).when(F.col("sensor_type") == "imu", imu).when(F.col("sensor_type") == "barometer", F.concat(F.lit('{"up":'), v, F.lit("}"))).otherwise(F.concat(F.lit('{"heading":'), v / 40.0, F.lit("}")))
+    return t("packets").withColumn("payload", payload)
 
 
-@query("t3_fuse_pose", ["packets"], """
-, l AS (SELECT session_id, max(t_device) AS anchor, max(t_device) FILTER (WHERE sensor_type = 'gps') AS g, arg_max(packet_id, (t_device, packet_id)) FILTER (WHERE sensor_type = 'gps') AS gp, max(t_device) FILTER (WHERE sensor_type = 'imu') AS i, max(t_device) FILTER (WHERE sensor_type = 'barometer') AS b, max(t_device) FILTER (WHERE sensor_type = 'magnetometer') AS m FROM packets GROUP BY 1),
-f AS (SELECT session_id, anchor - g <= 40000 AS hg, coalesce(anchor - i <= 40000, false) AS hi, coalesce(anchor - b <= 40000, false) AS hb, coalesce(anchor - m <= 40000, false) AS hm, gp FROM l)
-SELECT session_id, CASE WHEN hg THEN gp END AS gps_packet, CASE WHEN hi THEN 'imu' WHEN hm THEN 'magnetometer' END AS orientation_from, round(CASE WHEN hg THEN 0.25 ELSE 4 END + CASE WHEN hi THEN 0.04 ELSE 0.5 END + CASE WHEN hb THEN 0.25 ELSE 1 END, 6) AS covariance_trace,
-CASE WHEN NOT coalesce(hg, false) THEN 'lost' WHEN NOT (hi OR hm) OR NOT hb THEN 'degraded' ELSE 'ok' END AS status FROM f""")
+def _fused_sql(keys: str, lag_ms: float) -> str:
+    newest = ", ".join(f"arg_max({{'t': t_device, 'ok': {ok}, 'id': packet_id, 'v': value}}, (t_device, packet_id)) FILTER (WHERE sensor_type = '{s}') AS {c}" for c, s, ok in (("g", "gps", "g"), ("i", "imu", "i"), ("b", "barometer", "b"), ("m", "magnetometer", "m")))
+    on = ", ".join(f"coalesce({c}.ok AND (a - {c}.t) * 1000e0 <= {lag_ms}, false) AS {c}_on, CASE WHEN coalesce({c}.ok AND (a - {c}.t) * 1000e0 <= {lag_ms}, false) THEN round_even((a - {c}.t) * 1000e0, 0) ELSE 0 END AS {c}_off" for c in "gibm")
+    return f"""
+l AS (SELECT {keys}, {newest} FROM r GROUP BY ALL),
+a AS (SELECT *, greatest(CASE WHEN g.ok THEN g.t END, CASE WHEN i.ok THEN i.t END, CASE WHEN b.ok THEN b.t END, CASE WHEN m.ok THEN m.t END) AS a FROM l),
+o AS (SELECT *, {on} FROM a),
+u AS (SELECT *, 1 + CAST(i_on AS INTEGER) + CAST(b_on AS INTEGER) + CAST(m_on AND NOT i_on AS INTEGER) AS used, i_on AND i.id % 3 <> 0 AS turn FROM o),
+p AS (SELECT *, CASE WHEN g_on THEN g.id END AS gps_packet, CASE WHEN used = 1 THEN 'gps_fallback' ELSE concat('fused_gps', CASE WHEN i_on THEN '_imu' ELSE '' END, CASE WHEN b_on THEN '_barometer' ELSE '' END, CASE WHEN m_on AND NOT i_on THEN '_magnetometer' ELSE '' END) END AS source,
+  CASE WHEN b_on THEN b.v ELSE g.v * 2 END AS height, CASE WHEN turn THEN cos(0.125e0) * cos(i.v / 100) WHEN m_on THEN cos(m.v / 80) END AS qw, CASE WHEN i_on AND NOT turn THEN i.v ELSE 1.5 END AS vx,
+  round(greatest(0.05, 1 - least(used, 4) * 0.18e0) + (g_off + i_off + b_off + m_off) / 1e3, 4) AS trace, CASE WHEN used = 1 THEN 'degraded' ELSE 'ok' END AS status FROM u)"""
+
+
+def _pose_columns():
+    return ["gps_packet", "source", F.round("position_enu.z", 6).alias("height"), F.round("orientation_quat.w", 6).alias("qw"), F.round("velocity_enu.x", 6).alias("vx"), F.round("covariance_trace", 4).alias("covariance_trace"), "tracking_status"]
+
+
+POSE_SQL = "gps_packet, source, round(height, 6) AS height, round(qw, 6) AS qw, round(vx, 6) AS vx, trace AS covariance_trace, status AS tracking_status"
+
+
+@query("t3_fuse_pose", ["packets"], READINGS_SQL + _fused_sql("session_id", 4e7) + f" SELECT session_id, {POSE_SQL} FROM p WHERE g_on")
 def t3(t):
-    return T.fuse_pose(t("packets"), 40000.0).select("session_id", "gps_packet", "orientation_from", F.round("covariance_trace", 6).cast("double").alias("covariance_trace"), "status")
+    return T.fuse_pose(_readings(t), 4e7).filter("source is not null").select("session_id", *_pose_columns())
+
+
+@query("t3_carried_pose", ["packets"], READINGS_SQL + _fused_sql("session_id, CAST(floor(epoch_us(ts) / 1e6 / 259200) AS BIGINT) AS win", 1e8) + """,
+c AS (SELECT *, max(CASE WHEN g_on THEN win END) OVER (PARTITION BY session_id ORDER BY win) AS from_win FROM p)
+SELECT c.session_id, c.win, NOT c.g_on AS carried, x.gps_packet, x.source, x.trace AS covariance_trace FROM c LEFT JOIN p x ON x.session_id = c.session_id AND x.win = c.from_win""")
+def t3_carried(t):
+    poses = T.carry_pose(T.fuse_pose(_readings(t).withColumn("ts", F.col("ts").cast("timestamp")), 1e8, "3 days"))
+    return poses.select("session_id", F.floor(F.unix_timestamp("window.start") / 259200).alias("win"), "carried", "gps_packet", "source", "covariance_trace")
 
 
 @query("t4_camera_events", [], """
@@ -174,17 +228,20 @@ def t5(t):
 
 
 @query("t6_incidents", [], """
-WITH e AS (SELECT ts, concat('z', user_id % 12) AS zone_id, event_type AS modality, (event_id % 10) / 10e0 AS confidence FROM events),
-w AS (SELECT 'r1' AS rule_id, zone_id, floor(epoch_us(ts) / 1e6 / 7200) AS win, modality, confidence FROM e WHERE modality IN ('view', 'click') AND confidence >= 0.3
-  UNION ALL SELECT 'r2', zone_id, floor(epoch_us(ts) / 1e6 / 86400), modality, confidence FROM e WHERE modality IN ('error', 'purchase', 'signup') AND confidence >= 0.5 AND zone_id = 'z3')
-SELECT rule_id, zone_id, max(confidence) AS confidence, count(*) AS n FROM w GROUP BY rule_id, zone_id, win HAVING count(DISTINCT modality) = CASE rule_id WHEN 'r1' THEN 2 ELSE 3 END""")
+WITH e AS (SELECT epoch_us(ts) AS at_us, concat('z', user_id % 12) AS zone_id, event_type AS modality, (event_id % 10) / 10e0 AS confidence FROM events),
+k AS (SELECT 'r1' AS rule_id, 2 AS wanted, CAST(7200000000 AS BIGINT) AS w, * FROM e WHERE modality IN ('view', 'click') AND confidence >= 0.3
+  UNION ALL SELECT 'r2', 3, 86400000000, * FROM e WHERE modality IN ('error', 'purchase', 'signup') AND confidence >= 0.5 AND zone_id = 'z3'),
+s AS (SELECT rule_id, zone_id, at_us, any_value(w) AS w, any_value(wanted) AS wanted, max(confidence) AS confidence, count(*) AS n FROM k GROUP BY ALL),
+c AS (SELECT s.*, (SELECT count(DISTINCT modality) FROM k WHERE k.rule_id = s.rule_id AND k.zone_id = s.zone_id AND k.at_us BETWEEN s.at_us - s.w AND s.at_us) = wanted AS complete FROM s),
+b AS (SELECT *, coalesce(lag(complete) OVER o AND at_us - lag(at_us) OVER o <= w, false) AS goes_on FROM c WINDOW o AS (PARTITION BY rule_id, zone_id ORDER BY at_us))
+SELECT rule_id, zone_id, at_us, confidence, n FROM b WHERE complete AND NOT goes_on""")
 def t6(t):
     rows = t.raw("events").select(F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("z"), F.col("user_id") % 12).alias("zone_id"), F.col("event_type").alias("modality"), ((F.col("event_id") % 10) / 10.0).alias("confidence"))
     rules = t.spark.createDataFrame(
         [("r1", ["view", "click"], None, 7200, 0.3, True), ("r2", ["error", "purchase", "signup"], "z3", 86400, 0.5, True), ("r3", ["view"], None, 60, 0.0, False)],
         "rule_id string, modalities array<string>, zone_id string, window_s int, min_confidence double, enabled boolean",
     )
-    return T.incidents(rows, rules).select("rule_id", "zone_id", "confidence", "n")
+    return T.incidents(rows, rules).select("rule_id", "zone_id", F.unix_micros("at").alias("at_us"), "confidence", "n")
 
 
 @query("t7_thin_frames", [], None)
@@ -204,8 +261,9 @@ def t9(t):
 
 @query("t10_track", [], None)
 def t10(t):
-    d = t("tracks").select("mission_id", F.col("observation_id").alias("detection_id"), "t_sec", "label", "x", "y", "w", "h", (F.col("confidence") < 0.03).alias("cut"))
-    return S.track(d)
+    d = t("tracks").select("mission_id", F.col("observation_id").alias("detection_id"), "t_sec", "label", "x", "y", "w", "h", (F.col("confidence") < 0.03).alias("cut"), F.array("w", "h", F.col("confidence")).alias("descriptor"))
+    frames = t("truth").select("mission_id", "t_sec", F.lit(False).alias("cut")).distinct()
+    return S.track(d, frames)
 
 
 @query("t11_rate_limit", ["signals"], """

@@ -158,12 +158,16 @@ def a3(t):
     return A.model_breakdown(t("frames"))
 
 
-@query("a4_annotation_roi", ["frames"], """
+@query("a4_annotation_roi", ["frames", "jobs"], """
 , r AS (SELECT count(*) AS annotated, min(created_at) AS first_at, max(created_at) AS last_at, count(DISTINCT strftime(created_at, '%Y-%m')) AS months FROM frames WHERE al_tag = 'annotated'),
-w AS (SELECT *, CASE WHEN floor((epoch_us(last_at) - epoch_us(first_at)) / 1e6) / 86400e0 >= 7 THEN annotated / (floor((epoch_us(last_at) - epoch_us(first_at)) / 1e6) / 86400e0 / 7) END AS rate FROM r)
-SELECT annotated, months, round(rate, 4) AS per_week, CASE WHEN rate < 0.5 THEN 'low' WHEN rate < 2 THEN 'medium' WHEN rate >= 2 THEN 'high' END AS verdict FROM w""")
+d AS (SELECT *, CASE WHEN first_at IS NOT NULL THEN greatest((epoch_us(last_at) - epoch_us(first_at)) / 86400e6, 1e0) END AS days FROM r),
+w AS (SELECT *, CASE WHEN days >= 7 THEN annotated / (days / 7) END AS rate FROM d),
+j AS (SELECT count(*) FILTER (WHERE type = 'supervised_finetune') AS triggered, count(*) FILTER (WHERE type = 'supervised_finetune' AND progress LIKE '%true%') AS accepted, count(*) FILTER (WHERE type = 'reembed' AND status = 'finished') AS reembeds FROM jobs)
+SELECT annotated, months, round(days, 4) AS days, round(rate, 4) AS per_week, triggered, accepted, reembeds, round(accepted / triggered, 3) AS acceptance_rate, accepted * 3 AS minutes_saved,
+  CASE WHEN rate IS NULL THEN 'INSUFFICIENT_DATA' WHEN rate < 0.5 THEN 'LOW_FREQUENCY' WHEN rate < 2 THEN 'MODERATE_FREQUENCY' ELSE 'HIGH_FREQUENCY' END AS verdict FROM w, j""")
 def a4(t):
-    return A.annotation_roi(t("frames")).select("annotated", "months", F.round("per_week", 4).alias("per_week"), "verdict")
+    rows = A.annotation_roi(t("frames"), t("jobs"))
+    return rows.select("annotated", "months", F.round("days", 4).alias("days"), F.round("per_week", 4).alias("per_week"), "triggered", "accepted", "reembeds", "acceptance_rate", "minutes_saved", "verdict")
 
 
 @query("a5_robots", ["missions"], " SELECT DISTINCT robot_id FROM missions WHERE robot_id IS NOT NULL ORDER BY 1")
@@ -204,12 +208,13 @@ def a9(t):
 
 
 @query("a10_al_tags", ["frames"], """
-, s AS (SELECT frame_id, mission_id, (event % 97) / 96e0 AS dist, caption_confidence, CASE WHEN event % 3 = 0 THEN (event % 11) / 10e0 END AS surprise FROM (SELECT *, frame_id AS event FROM frames)),
-c AS (SELECT *, CASE WHEN surprise IS NULL THEN 0.60e0 * dist + 0.40e0 * (1e0 - coalesce(caption_confidence, 0e0)) ELSE 0.35e0 * dist + 0.25e0 * (1e0 - coalesce(caption_confidence, 0e0)) + 0.40e0 * surprise END AS al_score FROM s),
+, s AS (SELECT frame_id, mission_id, CASE WHEN frame_id % 13 <> 0 THEN (frame_id % 97) / 96e0 ELSE 0.5 END AS dist, coalesce(nullif(caption_confidence, 0), 0.5) AS sure, CASE WHEN frame_id % 3 = 0 THEN (frame_id % 11) / 10e0 ELSE 0.5 END AS surprise, mission_id % 2 = 0 AS known FROM frames),
+c AS (SELECT *, CASE WHEN known THEN 0.35e0 * dist + 0.25e0 * (1e0 - sure) + 0.40e0 * surprise ELSE 0.60e0 * dist + 0.40e0 * (1e0 - sure) END AS al_score FROM s),
 p AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY al_score DESC, frame_id) AS place FROM c)
 SELECT frame_id, round(al_score, 9) AS al_score, CASE WHEN place <= 50 THEN 'needs_annotation' WHEN dist >= 0.7 THEN 'novel' END AS al_tag FROM p""")
 def a10(t):
-    frames = t("frames").withColumn("dist", (F.col("frame_id") % 97) / F.lit(96.0)).withColumn("surprise", F.when(F.col("frame_id") % 3 == 0, (F.col("frame_id") % 11) / F.lit(10.0)))
+    k = F.col("frame_id")
+    frames = t("frames").withColumn("dist", F.when(k % 13 != 0, (k % 97) / F.lit(96.0))).withColumn("surprise", F.when((k % 3 == 0) & (F.col("mission_id") % 2 == 0), (k % 11) / F.lit(10.0)))
     return A.al_tags(frames, 50, 0.7).select("frame_id", F.round("al_score", 9).alias("al_score"), "al_tag")
 
 
@@ -272,24 +277,29 @@ def a22(t):
     return A.mission_summary(t("tracks"), t("timeline"), t("geometry"))
 
 
-@query("a12_prototypes", ["points"], """
-, n AS (SELECT mission_id, robot_id, max(t_sec) AS last FROM points GROUP BY ALL),
-w AS (SELECT mission_id, robot_id, exp((t_sec - last) / 2e0) AS weight, embedding FROM points JOIN n USING (mission_id, robot_id)),
-u AS (SELECT mission_id, robot_id, weight, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM w)
-SELECT mission_id AS track_id, robot_id AS space, CAST(dim AS BIGINT) AS dim, round(sum(weight * CAST(x AS DOUBLE)) / sum(weight), 5) AS x FROM u WHERE dim <= 8 GROUP BY mission_id, robot_id, dim""")
+def _prototype_sql(track: str, tau: str) -> str:
+    """The recursion itself, one observation after the other."""
+    return f"""
+, o AS (SELECT {track} AS track_id, robot_id AS space, t_sec, CAST(embedding AS DOUBLE[]) AS v, row_number() OVER (PARTITION BY {track}, robot_id ORDER BY t_sec, id) AS n FROM points),
+p AS (SELECT track_id, space, n, t_sec, v FROM o WHERE n = 1
+  UNION ALL SELECT o.track_id, o.space, o.n, o.t_sec, list_transform(list_zip(p.v, o.v), lambda x: exp((p.t_sec - o.t_sec) / {tau}) * x[1] + (1 - exp((p.t_sec - o.t_sec) / {tau})) * x[2]) FROM p JOIN o ON o.track_id = p.track_id AND o.space = p.space AND o.n = p.n + 1),
+l AS (SELECT track_id, space, arg_max(v, n) AS v FROM p GROUP BY ALL)
+SELECT track_id, space, CAST(unnest(generate_series(1, len(v))) AS BIGINT) AS dim, round(unnest(v), 5) AS x FROM l"""
+
+
+def _prototypes(t, track, tau):
+    rows = A.prototypes(t("points").select(track.alias("track_id"), F.col("robot_id").alias("space"), "t_sec", F.col("id").alias("observation_id"), F.col("embedding").alias("vector")), tau)
+    return rows.select("track_id", "space", F.posexplode("prototype").alias("at", "x")).select("track_id", "space", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
+
+
+@query("a12_prototypes", ["points"], _prototype_sql("mission_id", "2e0"))
 def a12(t):
-    rows = A.prototypes(t("points").select(F.col("mission_id").alias("track_id"), F.col("robot_id").alias("space"), "t_sec", F.col("embedding").alias("vector")))
-    return rows.select("track_id", "space", F.posexplode("prototype").alias("at", "x")).filter("at < 8").select("track_id", "space", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
+    return _prototypes(t, F.col("mission_id"), 2.0)
 
 
-@query("a12_whole_prototypes", ["points"], """
-, n AS (SELECT mission_id, robot_id, max(t_sec) AS last FROM points GROUP BY ALL),
-w AS (SELECT mission_id, robot_id, exp((t_sec - last) / 2e0) AS weight, embedding FROM points JOIN n USING (mission_id, robot_id)),
-u AS (SELECT mission_id, robot_id, weight, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS dim FROM w)
-SELECT mission_id AS track_id, robot_id AS space, CAST(dim AS BIGINT) AS dim, round(sum(weight * CAST(x AS DOUBLE)) / sum(weight), 5) AS x FROM u GROUP BY mission_id, robot_id, dim""")
+@query("a12_whole_prototypes", ["points"], _prototype_sql("mission_id % 3", "0.5e0"))
 def a12_whole(t):
-    rows = A.prototypes(t("points").select(F.col("mission_id").alias("track_id"), F.col("robot_id").alias("space"), "t_sec", F.col("embedding").alias("vector")))
-    return rows.select("track_id", "space", F.posexplode("prototype").alias("at", "x")).select("track_id", "space", (F.col("at") + 1).cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
+    return _prototypes(t, F.col("mission_id") % 3, 0.5)
 
 
 @query("k1_vector_topk", ["points"], """

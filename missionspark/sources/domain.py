@@ -82,6 +82,11 @@ FROM {orders}""",
 SELECT o_orderkey AS proposal_id, CAST(floor(o_orderkey / 20) AS BIGINT) AS mission_id, CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'uncertain' END AS status,
        CASE WHEN o_orderkey % 4 = 0 OR o_orderkey % 7 = 3 THEN NULL ELSE o_orderkey - 1 END AS supersedes, CASE o_orderkey % 3 WHEN 0 THEN 'count' WHEN 1 THEN 'geometry' ELSE 'action' END AS claim_kind,
        CAST(o_orderkey % 60 AS DOUBLE) * 0.5e0 AS start_sec, CAST(o_orderkey % 60 AS DOUBLE) * 0.5e0 + 2e0 AS end_sec, concat('s', CAST(o_orderkey % 4 AS {BIGSTR})) AS subject_id
+FROM {orders}""",
+    # Background jobs with their progress.
+    "jobs": """
+SELECT o_orderkey AS job_id, CASE o_orderkey % 5 WHEN 0 THEN 'supervised_finetune' WHEN 1 THEN 'reembed' ELSE 'index' END AS type, CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'queued' ELSE 'failed' END AS status,
+       CASE o_orderkey % 3 WHEN 0 THEN '{{"accepted": true}}' WHEN 1 THEN '{{"accepted": false}}' ELSE NULL END AS progress
 FROM {orders}""",
     # Detected events of missions.
     "timeline": """
@@ -112,4 +117,4 @@ def domain(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def domain_sql(*names: str) -> str:
     """The WITH clause of these domain tables in DuckDB."""
     words = {k: v[1] for k, v in DIALECT.items()}
-    return "WITH " + ", ".join(f"{n} AS ({DOMAIN[n].format(**words, **{t: t for t in tables_of(DOMAIN[n])})})" for n in names)
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({DOMAIN[n].format(**words, **{t: t for t in tables_of(DOMAIN[n])})})" for n in names)

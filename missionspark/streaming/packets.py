@@ -7,8 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 SENSORS = ("camera", "gps", "imu", "barometer", "magnetometer")
 
@@ -31,55 +33,108 @@ def ingest_semantics(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def epoch_seconds(t: Column) -> Column:
-    """Seconds since the epoch of a number in seconds, milliseconds or microseconds."""
-    return F.when(t > 1e14, t / 1e6).when(t > 1e11, t / 1e3).otherwise(t.cast("double"))
+    """Seconds of a device time in microseconds (above 1e12), milliseconds (above 1e9) or seconds."""
+    return F.when(t > 1e12, t / 1e6).when(t > 1e9, t / 1e3).otherwise(t.cast("double"))
 
 
 def normalise_telemetry(raw: DataFrame) -> DataFrame:
     """MAVLink-style messages (message_type, timestamp, payload JSON) to packets in SI units.
 
-    Degrees come as 1e7 integers, heights in millimetres, speeds in cm/s.
+    Degrees beyond 180 are 1e7 integers, heights beyond 1,000 millimetres, speeds
+    of positions cm/s; the height above ground goes before the one above sea.
+    Messages of other kinds, without a time, or of a compass without a heading
+    give no packet.
     """
-    number = lambda path: F.get_json_object("payload", path).cast("double")
-    kind = F.lower("message_type")
-    sensor = F.when(kind.isin("global_position_int", "gps_raw_int"), "gps").when(kind.isin("attitude", "scaled_imu"), "imu").when(kind == "scaled_pressure", "barometer").when(kind == "vfr_hud", "magnetometer")
-    degrees = lambda path: F.when(F.abs(number(path)) > 360, number(path) / 1e7).otherwise(number(path))
-    metres = F.when(kind == "global_position_int", number("$.alt") / 1e3).otherwise(number("$.alt"))
+    number = lambda path: F.expr(f"try_cast(get_json_object(payload, '$.{path}') AS DOUBLE)")
+    kind = F.upper(F.trim("message_type"))
+    position, inertial, pressure = kind.isin("GLOBAL_POSITION_INT", "GPS_RAW_INT"), kind.isin("ATTITUDE", "HIGHRES_IMU", "RAW_IMU"), kind.isin("SCALED_PRESSURE", "ALTITUDE")
+    compass = kind.isin("VFR_HUD", "COMPASSMOT_STATUS") & number("heading").isNotNull()
+    sensor = F.when(position, "gps").when(inertial, "imu").when(pressure, "barometer").when(compass, "magnetometer")
+    scaled = lambda x, most, by: F.when(F.abs(x) > most, x / by).otherwise(x)
+    height = F.when(position, scaled(F.coalesce(number("relative_alt"), number("alt")), 1000, 1e3)).when(pressure, F.coalesce(number("altitude"), number("press_abs")))
+    of = lambda group, *paths: [F.when(group, number(path)).alias(path) for path in paths]
     return raw.select(
-        "packet_id", "session_id", sensor.alias("sensor_type"), epoch_seconds(F.col("timestamp")).alias("t_device"), degrees("$.lat").alias("lat"), degrees("$.lon").alias("lon"), metres.alias("alt"), (number("$.vx") / 100).alias("vx")
-    ).filter("sensor_type is not null")
+        "packet_id", "session_id", sensor.alias("sensor_type"), epoch_seconds(F.col("timestamp")).alias("t_device"), *[F.when(position, scaled(number(c), 180, 1e7)).alias(c) for c in ("lat", "lon")],
+        height.alias("altitude"), *of(position, "east", "north", "up"), *[F.when(position, number(c) / 100).alias(c) for c in ("vx", "vy", "vz")], *of(inertial, "roll", "pitch", "yaw", "rollspeed", "pitchspeed", "yawspeed", "xacc", "yacc", "zacc"),
+        F.when(compass, number("heading")).alias("heading"),
+    ).filter("sensor_type is not null and t_device is not null")
 
 
 def topic_sensor(topic: Column) -> Column:
-    """Sensor of a ROS-style topic, by its last part."""
-    last = F.lower(F.substring_index(topic, "/", -1))
-    return F.when(last.isin("fix", "navsat", "gps"), "gps").when(last.isin("imu", "data"), "imu").when(last.isin("image_raw", "image", "compressed"), "camera").when(last.isin("pressure", "baro"), "barometer").when(last == "mag", "magnetometer")
+    """Sensor of a ROS-style topic, by its end."""
+    ends = {"imu": ("/imu",), "gps": ("/gps", "/fix"), "barometer": ("/barometer", "/pressure"), "magnetometer": ("/mag", "/magnetometer"), "camera": ("/image", "/camera/image_raw")}
+    return F.coalesce(*[F.when(F.trim(topic).endswith(end), F.lit(sensor)) for sensor, all_ends in ends.items() for end in all_ends])
 
 
-def fuse_pose(packets: DataFrame, lag_sec: float, window: str | None = None) -> DataFrame:
-    """One pose for each session (and event-time window): the latest packet of each sensor.
+def normalise_topics(raw: DataFrame) -> DataFrame:
+    """ROS-style messages (topic, stamp, payload) to packets; a message without a stamp is at 0, other topics give none."""
+    return raw.select("packet_id", "session_id", topic_sensor(F.col("topic")).alias("sensor_type"), F.coalesce("stamp", F.lit(0.0)).alias("t_device"), "payload").filter("sensor_type is not null")
 
-    The newest packet is the anchor; sensors further back than the lag are
-    dropped.  A place needs gps; height comes from the barometer if there is
-    one; orientation from the imu, else the magnetometer.  The covariance trace
-    is the sum of what each missing or present sensor contributes.
+
+# What fusion reads of a payload; numbers may come as text.
+XYZW, XYZ = "struct<x:string,y:string,z:string,w:string>", "struct<x:string,y:string,z:string>"
+READING = ", ".join(f"{c} string" for c in ("east", "north", "up", "altitude", "vx", "vy", "vz", "ve", "vn", "vu", "roll", "pitch", "yaw", "heading", "global_map_id")) + f", orientation_quat {XYZW}, velocity_enu {XYZ}"
+FUSED = ("gps", "imu", "barometer", "magnetometer")
+
+
+def euler_quaternion(roll: Column, pitch: Column, yaw: Column) -> Column:
+    """(x, y, z, w) of Euler angles in radians."""
+    (sr, cr), (sp, cp), (sy, cy) = ((F.sin(a / 2), F.cos(a / 2)) for a in (roll, pitch, yaw))
+    return F.struct((sr * cp * cy - cr * sp * sy).alias("x"), (cr * sp * cy + sr * cp * sy).alias("y"), (cr * cp * sy - sr * sp * cy).alias("z"), (cr * cp * cy + sr * sp * sy).alias("w"))
+
+
+def fuse_pose(packets: DataFrame, max_lag_ms: float, window: str | None = None) -> DataFrame:
+    """One row for each session (and event-time window), fused from the latest packet of each sensor.
+
+    Sensors that give a reading (gps a place, imu a turn or a velocity, barometer
+    a height, magnetometer a heading) decide: the newest is the anchor, and those
+    further back than the lag are dropped.  A pose needs gps; without it all but
+    the keys is null.  Height comes from the barometer if there is one,
+    orientation from the imu, else the magnetometer, velocity from the imu, else
+    gps.  The trace of the covariance falls with the number of sensors, to four,
+    and grows by the seconds that they are behind the anchor.
     """
     keys = ["session_id"] + ([F.window("ts", window).alias("window")] if window else [])
-    latest = lambda s: F.max(F.when(F.col("sensor_type") == s, F.struct("t_device", "packet_id", "value"))).alias(s)
-    rows = packets.groupBy(*keys).agg(F.max("t_device").alias("anchor"), *[latest(s) for s in SENSORS])
-    fresh = {s: F.when(F.col("anchor") - F.col(f"{s}.t_device") <= lag_sec, F.col(s)) for s in SENSORS}
-    orientation = F.when(fresh["imu"].isNotNull(), "imu").when(fresh["magnetometer"].isNotNull(), "magnetometer")
-    height = F.coalesce(fresh["barometer"]["value"], fresh["gps"]["value"])
-    trace = F.when(fresh["gps"].isNotNull(), 0.25).otherwise(4.0) + F.when(fresh["imu"].isNotNull(), 0.04).otherwise(0.5) + F.when(fresh["barometer"].isNotNull(), 0.25).otherwise(1.0)
-    status = F.when(fresh["gps"].isNull(), "lost").when(orientation.isNull() | fresh["barometer"].isNull(), "degraded").otherwise("ok")
-    out = rows.select(*(["session_id"] + (["window"] if window else [])), "anchor", fresh["gps"]["packet_id"].alias("gps_packet"), orientation.alias("orientation_from"), height.alias("height"), trace.alias("covariance_trace"), status.alias("status"))
-    return out
+    names = ["session_id"] + (["window"] if window else [])
+    rows = packets.withColumn("r", F.from_json("payload", READING))
+    newest = lambda s: F.max_by(F.struct("t_device", "packet_id", "r"), F.when(F.col("sensor_type") == s, F.struct("t_device", "packet_id"))).alias(s)
+    rows = rows.groupBy(*keys).agg(*[newest(s) for s in FUSED])
+    number = lambda path: F.expr(f"try_cast({path} AS DOUBLE)")
+    vector = lambda prefix, x, y, z: F.when(number(f"{prefix}.{x}").isNotNull() & number(f"{prefix}.{y}").isNotNull(), F.struct(number(f"{prefix}.{x}").alias("x"), number(f"{prefix}.{y}").alias("y"), F.coalesce(number(f"{prefix}.{z}"), F.lit(0.0)).alias("z")))
+    zero = lambda c: F.coalesce(number(c), F.lit(0.0))
+    quat = [number(f"imu.r.orientation_quat.{c}") for c in "xyzw"]
+    given = F.when(F.expr(" AND ".join(f"try_cast(imu.r.orientation_quat.{c} AS DOUBLE) IS NOT NULL" for c in "xyzw")), F.struct(*[q.alias(c) for q, c in zip(quat, "xyzw")]))
+    turned = F.when(number("imu.r.yaw").isNotNull(), euler_quaternion(zero("imu.r.roll"), zero("imu.r.pitch"), number("imu.r.yaw")))
+    heading = F.coalesce(number("magnetometer.r.heading"), number("magnetometer.r.yaw"))
+    rows = rows.select(
+        *names, *FUSED, F.coalesce(vector("gps.r", "vx", "vy", "vz"), vector("gps.r", "ve", "vn", "vu")).alias("gps_v"), F.coalesce(given, turned).alias("imu_q"), F.coalesce(vector("imu.r.velocity_enu", *"xyz"), vector("imu.r", "vx", "vy", "vz")).alias("imu_v"),
+        F.coalesce(number("barometer.r.altitude"), number("barometer.r.up")).alias("height"), F.when(heading.isNotNull(), euler_quaternion(F.lit(0.0), F.lit(0.0), heading)).alias("magnetometer_q"),
+    )
+    usable = {"gps": number("gps.r.east").isNotNull() & number("gps.r.north").isNotNull(), "imu": F.col("imu_q").isNotNull() | F.col("imu_v").isNotNull(), "barometer": F.col("height").isNotNull(), "magnetometer": F.col("magnetometer_q").isNotNull()}
+    rows = rows.withColumn("anchor", F.greatest(*[F.when(usable[s], F.col(f"{s}.t_device")) for s in FUSED]))
+    behind = {s: (F.col("anchor") - F.col(f"{s}.t_device")) * 1000.0 for s in FUSED}
+    fresh = {s: F.coalesce(usable[s] & (behind[s] <= max_lag_ms), F.lit(False)) for s in FUSED}
+    rows = rows.select("*", *[fresh[s].alias(f"{s}_on") for s in FUSED])
+    on = {s: F.col(f"{s}_on") for s in FUSED}
+    orientation = F.coalesce(F.when(on["imu"], F.col("imu_q")), F.when(on["magnetometer"], F.col("magnetometer_q")))
+    used = F.filter(F.array(F.lit("gps"), F.when(on["imu"], "imu"), F.when(on["barometer"], "barometer"), F.when(on["magnetometer"] & ~on["imu"], "magnetometer")), lambda x: x.isNotNull())
+    lag = sum((F.when(on[s], F.bround(behind[s], 0)).otherwise(0.0) for s in FUSED), F.lit(0.0)) / 1000.0
+    trace = F.round(F.greatest(F.lit(0.05), F.lit(1.0) - F.least(F.size(used), F.lit(4)) * 0.18) + lag, 4)
+    position = F.struct(number("gps.r.east").alias("x"), number("gps.r.north").alias("y"), F.coalesce(F.when(on["barometer"], F.col("height")), number("gps.r.up"), number("gps.r.altitude"), F.lit(0.0)).alias("z"))
+    map_id = F.coalesce(*[F.when(on[s], F.expr(f"try_cast({s}.r.global_map_id AS BIGINT)")) for s in FUSED])
+    pose = {
+        "gps_packet": F.col("gps.packet_id"), "t_sec": F.col("anchor"), "source": F.when(F.size(used) == 1, F.lit("gps_fallback")).otherwise(F.concat_ws("_", F.lit("fused"), used)), "position_enu": position, "orientation_quat": orientation,
+        "velocity_enu": F.coalesce(F.when(on["imu"], F.col("imu_v")), F.col("gps_v")), "covariance_trace": trace, "tracking_status": F.when(F.size(used) == 1, "degraded").otherwise("ok"), "global_map_id": map_id,
+    }
+    return rows.select(*names, *[F.when(on["gps"], c).alias(k) for k, c in pose.items()])
 
 
 def carry_pose(poses: DataFrame) -> DataFrame:
-    """Batch: windows without a place keep the last known one of their session."""
+    """Batch: windows without a pose take the last one of their session, as it was; before the first there is none."""
     order = Window.partitionBy("session_id").orderBy("window").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return poses.withColumn("carried", F.last("gps_packet", ignorenulls=True).over(order))
+    columns = [c for c in poses.columns if c not in ("session_id", "window")]
+    last = F.last(F.when(F.col("source").isNotNull(), F.struct(*columns)), ignorenulls=True).over(order)
+    return poses.select("session_id", "window", F.col("source").isNull().alias("carried"), last.alias("pose")).select("session_id", "window", "carried", "pose.*")
 
 
 def camera_events(raw: DataFrame) -> DataFrame:
@@ -99,22 +154,78 @@ def freshness(events: DataFrame, event_time: str = "event_time", ingest_time: st
     return events.withColumn("freshness_sec", seconds).withColumn("node_id", F.lower(F.trim("node_id"))).withColumn("sensor_type", F.lower(F.trim("sensor_type")))
 
 
-def incidents(envelopes: DataFrame, rules: DataFrame, watermark: str = "1 minute") -> DataFrame:
-    """Rules whose modalities all occur in one zone inside their window.
+def matched(envelopes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Envelopes (ts, zone_id, modality, confidence) with each enabled rule that names their modality and zone."""
+    named = rules.filter("enabled").select("rule_id", "modalities", F.col("zone_id").alias("rule_zone"), "window_s", "min_confidence", F.explode(F.array_distinct("modalities")).alias("rule_modality"))
+    met = envelopes.join(named, (F.col("modality") == F.col("rule_modality")) & (F.col("rule_zone").isNull() | (F.col("rule_zone") == F.col("zone_id"))) & (F.col("confidence") >= F.col("min_confidence")))
+    return met.select("rule_id", "zone_id", "modalities", F.col("window_s").cast("long").alias("window_s"), "ts", "modality", "confidence")
 
-    ``rules`` (rule_id, modalities, zone_id or null, window_s, min_confidence) is
-    a small table.  Every rule's events are counted in tumbling windows of its
-    length; a null zone means any.
+
+#: Lengths of a rule's window in a chunk of time; a chunk is one task's share of a zone.
+CHUNK_WINDOWS = 64
+
+
+def incidents(envelopes: DataFrame, rules: DataFrame) -> DataFrame:
+    """Batch: times at which a rule's modalities have all occurred in one zone within its window.
+
+    ``rules`` has (rule_id, modalities, zone_id or null for any, window_s,
+    min_confidence, enabled).  The window slides: it ends at each event of a
+    rule and a zone.  Events in a row that complete it are one incident, told at
+    the first; an event more than a window later begins another one.  Each chunk
+    of time is worked out by itself, with the two windows before it.
     """
-    met = envelopes.join(
-        F.broadcast(rules.withColumnsRenamed({"zone_id": "rule_zone"}).filter("enabled")),
-        (F.col("rule_zone").isNull() | (F.col("rule_zone") == F.col("zone_id"))) & F.expr("array_contains(modalities, modality)") & (F.col("confidence") >= F.col("min_confidence")),
-    )
-    if envelopes.isStreaming:
-        met = met.withWatermark("ts", watermark)
-    start = F.timestamp_seconds(F.floor(F.unix_timestamp("ts") / F.col("window_s")) * F.col("window_s"))
-    grouped = met.withColumn("window_start", start).groupBy("rule_id", "zone_id", "window_start").agg(F.collect_set("modality").alias("seen"), F.first("modalities").alias("modalities"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
-    return grouped.filter(F.size(F.array_except("modalities", "seen")) == 0).select("rule_id", "zone_id", "window_start", F.array_sort("seen").alias("seen"), "confidence", "n")
+    keys = ["rule_id", "zone_id"]
+    met = matched(envelopes, rules).withColumn("at", F.unix_micros("ts")).withColumn("window_us", F.col("window_s") * 1_000_000)
+    stamps = met.groupBy(*keys, "at", "window_us", "modalities").agg(F.collect_set("modality").alias("seen"), F.max("confidence").alias("confidence"), F.count("*").alias("n"))
+    length = F.col("window_us") * CHUNK_WINDOWS
+    own, late = F.floor(F.col("at") / length), F.col("at") % length >= length - 2 * F.col("window_us")
+    chunk = F.explode(F.when(late, F.array(own, own + 1)).otherwise(F.array(own)))
+    dealt = stamps.withColumn("own", own).withColumn("chunk", chunk)
+    each = dealt.withColumn("wanted", F.explode(F.array_distinct("modalities")))
+    order = Window.partitionBy(*keys, "chunk", "wanted").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.withColumn("last", F.coalesce(F.max(F.when(F.expr("array_contains(seen, wanted)"), F.col("at"))).over(order), F.lit(-(1 << 62))))
+    told = each.groupBy(*keys, "chunk", "own", "at", "window_us", "confidence", "n").agg(F.min("last").alias("oldest"), F.array_sort(F.collect_set("wanted")).alias("seen"))
+    told = told.withColumn("complete", F.col("oldest") >= F.col("at") - F.col("window_us"))
+    before = Window.partitionBy(*keys, "chunk").orderBy("at")
+    told = told.withColumn("goes_on", F.coalesce(F.lag("complete").over(before) & (F.col("at") - F.lag("at").over(before) <= F.col("window_us")), F.lit(False)))
+    return told.filter("complete and not goes_on and chunk = own").select(*keys, F.timestamp_micros("at").alias("at"), "seen", "confidence", "n")
+
+
+def incidents_stream(envelopes: DataFrame, rules: DataFrame, watermark: str = "1 minute") -> DataFrame:
+    """Stream: the incidents of :func:`incidents`, (rule_id, zone_id, at, seen).
+
+    The state of a rule and a zone is the last time of each modality and of the
+    last event; it goes when the watermark is a window past it.  Events of a key
+    must not come later than a micro-batch; inside one they are sorted.
+    """
+
+    def follow(key, batches, state: GroupState):
+        rule, zone = key
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(batches))
+        times, last, complete = ({}, None, False)
+        if state.exists:
+            names, stamps, last, complete = state.get
+            times = dict(zip(names, stamps))
+        out = []
+        for at, group in rows.groupby("at", sort=True):
+            at, wanted, window = int(at), sorted(set(group["modalities"].iloc[0])), int(group["window_s"].iloc[0]) * 1_000_000
+            times |= dict.fromkeys(group["modality"], at)
+            goes_on = complete and at - last <= window
+            complete = all(m in times and times[m] >= at - window for m in wanted)
+            if complete and not goes_on:
+                out.append((rule, zone, at, wanted))
+            last = at
+        state.update((list(times), list(times.values()), last, complete))
+        state.setTimeoutTimestamp(max(last // 1000 + int(rows["window_s"].iloc[0]) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=["rule_id", "zone_id", "at", "seen"])
+
+    rows = matched(envelopes.withWatermark("ts", watermark), rules).withColumn("at", F.unix_micros("ts"))
+    schema = "rule_id string, zone_id string, at long, seen array<string>"
+    found = rows.groupBy("rule_id", "zone_id").applyInPandasWithState(follow, schema, "names array<string>, stamps array<long>, last long, complete boolean", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.withColumn("at", F.timestamp_micros("at"))
 
 
 def rate_limit(rows: DataFrame, keys: Sequence[str], skip: int, spacing_sec: float) -> DataFrame:

@@ -8,6 +8,7 @@ also runs as a stream with keyed state.
 from __future__ import annotations
 
 import itertools
+import json
 import math
 from collections.abc import Iterator
 
@@ -18,26 +19,44 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
+def victim(times: list[float], safe: list[bool]) -> int:
+    """Which queued frame goes: the interior one nearest behind its forerunner, the first of equals.
+
+    Protected frames and both ends stay; without another the first unprotected
+    frame goes, and where all are protected the oldest.
+    """
+    free = [(times[i] - times[i - 1], i) for i in range(1, len(times) - 1) if not safe[i]]
+    if free:
+        return min(free)[1]
+    return next((i for i, s in enumerate(safe) if not s), 0)
+
+
 def thin_frames(signals: DataFrame, capacity: int, chunk_sec: float) -> DataFrame:
-    """Frames of each chunk with ``kept``: over capacity the interior frame with the least spacing goes first.
+    """Frames with ``kept``, and for those that go the gap up to ``gap_end_sec``.
 
-    The first and the newest frame and protected ones (``cut``) stay.
+    Frames enter a queue one by one, which gives up one as soon as it is over
+    capacity (see :func:`victim`; ``cut`` protects) and is emptied at the end of
+    each chunk, counted from the mission's first frame.
     """
 
     def thin(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["t_sec", "frame_id"]).reset_index(drop=True)
-        left = list(range(len(group)))
-        t, safe = group["t_sec"].to_numpy(), group["cut"].to_numpy()
-        while len(left) > capacity:
-            free = [(t[left[i + 1]] - t[left[i - 1]], left[i], i) for i in range(1, len(left) - 1) if not safe[left[i]]]
-            if not free:
-                break
-            del left[min(free)[2]]
-        keep = np.zeros(len(group), bool)
-        keep[left] = True
-        return group[["mission_id", "frame_id", "t_sec"]].assign(kept=keep)
-
-    return signals.groupBy("mission_id", F.floor(F.col("t_sec") / chunk_sec)).applyInPandas(thin, "mission_id long, frame_id long, t_sec double, kept boolean")
+        t, safe = group["t_sec"].tolist(), group["cut"].tolist()
+        queue, gaps = [], {}
+        for i in range(len(t)):
+            queue.append(i)
+            if len(queue) > capacity:
+                at = victim([t[q] for q in queue], [safe[q] for q in queue])
+                gone = queue.pop(at)
+                after = t[queue[at]] if at < len(queue) else None
+                gaps[gone] = after if after is not None and after > t[gone] else t[gone] + 1e-3
+        return group[["mission_id", "frame_id", "t_sec"]].assign(kept=[i not in gaps for i in range(len(t))], gap_end_sec=[gaps.get(i) for i in range(len(t))])
+
+    if capacity < 1:
+        raise ValueError("the queue's capacity is at least 1")
+    first = signals.groupBy(F.col("mission_id").alias("of")).agg(F.min("t_sec").alias("first"))
+    rows = signals.join(first, F.col("mission_id") == F.col("of")).withColumn("chunk", F.floor((F.col("t_sec") - F.col("first")) / chunk_sec))
+    return rows.groupBy("mission_id", "chunk").applyInPandas(thin, "mission_id long, frame_id long, t_sec double, kept boolean, gap_end_sec double")
 
 
 def keyframes(signals: DataFrame, *, chunk_sec: float = 60.0, budget: int = 2, least_drift: float = 0.0, heartbeat_sec: float = 10.0, coalesce_sec: float = 0.25) -> DataFrame:
@@ -129,67 +148,141 @@ def keep_frames_stream(signals: DataFrame, most_gap: float = 5.0, least_change:
 
 # Fixed values of the tracker.
 WEIGHTS = {"iou": 0.45, "motion": 0.25, "label": 0.15, "appearance": 0.15}
-MATCH, OCCLUDED_SEC, ENDED_SEC = 0.40, 1.0, 2.0
+MATCH, OCCLUDED_SEC, ENDED_SEC, REACH = 0.40, 1.0, 2.0, 0.5
 
 
-def track(detections: DataFrame) -> DataFrame:
-    """Object tracks of each mission: (mission_id, detection_id, t_sec, track_id, state).
+def clamped(box) -> tuple[float, ...]:
+    """A box of at least a thousandth inside the unit square, to six digits."""
+    x, y, w, h = map(float, box)
+    w, h = (min(1.0, max(1e-3, v)) for v in (w, h))
+    return tuple(round(v, 6) for v in (min(max(0.0, x), 1.0 - w), min(max(0.0, y), 1.0 - h), w, h))
+
+
+def likeness(a, b) -> float:
+    """Cosine of two descriptors, 0 where one is missing, and not below 0."""
+    if a is None or b is None or not len(a) or len(a) != len(b):
+        return 0.0
+    x, y = np.asarray(a, float), np.asarray(b, float)
+    norm = math.sqrt(float(x @ x)) * math.sqrt(float(y @ y))
+    return max(0.0, float(x @ y) / norm) if norm > 1e-12 else 0.0
 
-    Detections (mission_id, detection_id, t_sec, label, x, y, w, h, cut) of one
-    time are matched greedily, best score first, to the tracks that are alive:
-    overlap with the box that constant motion predicts, nearness of its centre,
-    label and appearance (size).  A cut ends all tracks; a track unseen for two
-    seconds ends.
-    """
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows, alive, born = [], {}, 0
-        columns = ["t_sec", "detection_id", "label", "x", "y", "w", "h", "cut"]
-        ordered = sorted(zip(*(group[c].tolist() for c in columns)), key=lambda r: r[:2])
-        mission = group["mission_id"].iloc[0]
-        for t, frame in itertools.groupby(ordered, key=lambda r: r[0]):
-            frame = list(frame)
-            if any(r[7] for r in frame):
-                alive = {}
-            alive = {k: a for k, a in alive.items() if t - a["t"] <= ENDED_SEC}
-            boxes = [r[3:7] for r in frame]
-            labels, ids = [r[2] for r in frame], [r[1] for r in frame]
-            pairs = []
-            for k, a in alive.items():
-                dt = t - a["t"]
-                moved = (a["box"][0] + a["v"][0] * dt, a["box"][1] + a["v"][1] * dt, *a["box"][2:])
-                for i, b in enumerate(boxes):
-                    if a["label"] == labels[i] and (score := match_score(moved, b, True)) >= MATCH:
-                        pairs.append((-score, k, i))
-            used_k, used_i = set(), {}
-            for _, k, i in sorted(pairs):
-                if k not in used_k and i not in used_i:
-                    used_k.add(k)
-                    used_i[i] = k
-            for i, b in enumerate(boxes):
-                if i in used_i:
-                    k, a = used_i[i], alive[used_i[i]]
-                    dt = t - a["t"]
-                    velocity = ((b[0] - a["box"][0]) / dt, (b[1] - a["box"][1]) / dt) if dt > 0 else a["v"]
-                    state = "confirmed"
-                else:
-                    k, velocity, state = born, (0.0, 0.0), "tentative"
-                    born += 1
-                alive[k] = {"t": t, "box": b, "v": velocity, "label": labels[i]}
-                rows.append((mission, ids[i], t, k, state))
-        return pd.DataFrame(rows, columns=["mission_id", "detection_id", "t_sec", "track_id", "state"])
-
-    return detections.groupBy("mission_id").applyInPandas(run, "mission_id long, detection_id string, t_sec double, track_id long, state string")
-
-
-def match_score(a: tuple[float, ...], b: tuple[float, ...], same_label: bool) -> float:
-    """Weighted likeness of a predicted and a detected box."""
+def match_score(a: tuple[float, ...], b: tuple[float, ...], appearance: float = 0.0) -> float:
+    """Weighted likeness of a predicted and a detected box of one label."""
     ix = max(0.0, min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]))
     iy = max(0.0, min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1]))
     union = a[2] * a[3] + b[2] * b[3] - ix * iy
     off = math.hypot(a[0] + a[2] / 2 - b[0] - b[2] / 2, a[1] + a[3] / 2 - b[1] - b[3] / 2)
-    size = min(a[2] * a[3], b[2] * b[3]) / max(a[2] * a[3], b[2] * b[3], 1e-12)
-    return WEIGHTS["iou"] * (ix * iy / union if union > 0 else 0.0) + WEIGHTS["motion"] * max(0.0, 1 - off) + WEIGHTS["label"] * same_label + WEIGHTS["appearance"] * size
+    return WEIGHTS["iou"] * (ix * iy / union if union > 0 else 0.0) + WEIGHTS["motion"] * max(0.0, 1 - off / REACH) + WEIGHTS["label"] + WEIGHTS["appearance"] * appearance
+
+
+def predicted(track: dict, t: float) -> tuple[float, ...]:
+    """The track's box moved by its velocity since its last row."""
+    dt, (x, y, w, h) = t - track["t"], track["box"]
+    return clamped((x + track["v"][0] * dt, y + track["v"][1] * dt, w, h))
+
+
+def advance(state: dict, t: float, cut: bool, detections: list[tuple]) -> list[tuple]:
+    """Moves the live tracks on to a frame; rows (detection_id, track_id, state, label, box).
+
+    ``state`` is {"born": number, "live": {track number: track}} and is changed.
+    Detections are (detection_id, label, box, descriptor or None).
+    """
+    rows, live = [], state["live"]
+
+    def tell(k: int, kind: str, box, detection=None):
+        live[k]["state"], live[k]["t"] = kind, t
+        rows.append((detection, k, kind, live[k]["label"], clamped(box)))
+
+    for k in [k for k, a in live.items() if cut or t - a["met"] > ENDED_SEC]:
+        tell(k, "ended", live[k]["box"])
+        del live[k]
+    places = {k: predicted(a, t) for k, a in live.items()}
+    pairs = []
+    for k, a in live.items():
+        for i, (_, label, box, look) in enumerate(detections):
+            if a["label"] == label and (score := match_score(places[k], box, likeness(a["look"], look))) >= MATCH:
+                pairs.append((-score, k, i))
+    by_track, by_detection = {}, {}
+    for _, k, i in sorted(pairs):
+        if k not in by_track and i not in by_detection:
+            by_track[k], by_detection[i] = i, k
+    unseen = [k for k in live if k not in by_track]
+    for k, i in by_track.items():
+        a, (detection, _, box, look) = live[k], detections[i]
+        box, old, dt = clamped(box), a["box"], max(1e-3, t - a["t"])
+        a["v"] = [(box[c] + box[c + 2] / 2 - old[c] - old[c + 2] / 2) / dt for c in (0, 1)]
+        a |= {"box": list(box), "met": t, "hits": a["hits"] + 1, "look": look if look is not None and len(look) else a["look"]}
+        tell(k, "confirmed" if a["hits"] >= 2 else "tentative", box, detection)
+    for i, (detection, label, box, look) in enumerate(detections):
+        if i not in by_detection:
+            state["born"] += 1
+            live[state["born"]] = {"box": list(clamped(box)), "v": [0.0, 0.0], "t": t, "met": t, "hits": 1, "label": label, "look": look, "state": "tentative"}
+            tell(state["born"], "tentative", box, detection)
+    for k in unseen:
+        if t - live[k]["met"] <= OCCLUDED_SEC:
+            tell(k, "occluded", places[k])
+        elif live[k]["state"] != "lost":
+            tell(k, "lost", places[k])
+    return rows
+
+
+TRACK_ROWS = "mission_id long, t_sec double, detection_id string, track_id string, state string, label string, x double, y double, w double, h double"
+
+
+def frames_of(group: pd.DataFrame):
+    """(t, cut, detections) of each frame in order of time; a row without a detection_id is a frame alone."""
+    group = group.sort_values(["t_sec", "detection_id"])
+    columns = [group[c].tolist() for c in ("t_sec", "cut", "detection_id", "label", "x", "y", "w", "h", "look")]
+    for t, rows in itertools.groupby(zip(*columns), key=lambda r: r[0]):
+        rows = list(rows)
+        yield t, any(r[1] for r in rows), [(r[2], r[3], r[4:8], r[8]) for r in rows if isinstance(r[2], str)]
+
+
+def track_rows(state: dict, mission, group: pd.DataFrame) -> pd.DataFrame:
+    rows = [(mission, t, d, f"track-{k:04d}", kind, label, *box) for t, cut, detections in frames_of(group) for d, k, kind, label, box in advance(state, t, cut, detections)]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in TRACK_ROWS.split(", ")])
+
+
+def observed(detections: DataFrame, frames: DataFrame | None) -> DataFrame:
+    """Detections, and frames of their missions as rows without one."""
+    look = F.col("descriptor").cast("array<double>") if "descriptor" in detections.columns else F.lit(None).cast("array<double>")
+    rows = detections.select("mission_id", "t_sec", F.col("cut").alias("cut"), "detection_id", "label", "x", "y", "w", "h", look.alias("look"))
+    return rows if frames is None else rows.unionByName(frames.select("mission_id", "t_sec", "cut"), allowMissingColumns=True)
+
+
+def track(detections: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Batch: one row for each live track of each frame that says something new of it.
+
+    Detections (mission_id, detection_id, t_sec, label, x, y, w, h, cut and,
+    if known, descriptor) are matched greedily, best score first, to the tracks
+    of their label: overlap with the box that constant motion predicts, nearness
+    of its centre, label and cosine of the descriptors.  A track is tentative at
+    its first detection and confirmed from the second on; unseen it is occluded
+    for a second, then lost, told once, and after two seconds it ends.  A cut
+    ends all tracks.  ``frames`` (mission_id, t_sec, cut) adds frames on which
+    nothing was detected.
+    """
+    return observed(detections, frames).groupBy("mission_id").applyInPandas(lambda key, group: track_rows({"born": 0, "live": {}}, key[0], group), TRACK_ROWS)
+
+
+def track_stream(detections: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """Stream: :func:`track` with the live tracks of each mission as keyed state, of one bounded row a track.
+
+    Frames of a mission must arrive in order, each in one micro-batch.
+    """
+
+    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {"born": 0, "live": {}}
+        if state.exists:
+            known = json.loads(state.get[0])
+            known["live"] = {int(k): a for k, a in known["live"].items()}
+        rows = track_rows(known, key[0], pd.concat(list(batches)))
+        plain = {k: a | {"look": None if a["look"] is None else [float(x) for x in a["look"]]} for k, a in known["live"].items()}
+        state.update((json.dumps({"born": known["born"], "live": plain}),))
+        yield rows
+
+    return observed(detections, frames).groupBy("mission_id").applyInPandasWithState(follow, TRACK_ROWS, "tracks string", "append", GroupStateTimeout.NoTimeout)
 
 
 def acoustic(chunks: DataFrame, rate: int = 8000) -> DataFrame:

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import math
 import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from missionspark.plans.registry import Tables
+from missionspark.plans.streams import _readings
 from missionspark.streaming import packets as T
 from missionspark.streaming import selection as S
 
@@ -36,8 +39,8 @@ def test_ingest_stream_is_the_batch(spark, sf_dir, tmp_path):
 
 
 def test_pose_stream_ends_as_the_batch(spark, sf_dir, tmp_path):
-    rows = Tables(spark, sf_dir)("packets").select("packet_id", "session_id", "sensor_type", "t_device", "value")
-    fuse = lambda df: T.fuse_pose(df, 40000.0)
+    rows = _readings(Tables(spark, sf_dir)).select("packet_id", "session_id", "sensor_type", "t_device", "payload")
+    fuse = lambda df: T.fuse_pose(df, 4e7)
     assert as_set(through(spark, rows, fuse, "complete", tmp_path)) == as_set(fuse(rows))
 
 
@@ -48,28 +51,139 @@ def test_kept_frames_stream_is_the_batch(spark, tmp_path):
     assert as_set(through(spark, rows, lambda df: S.keep_frames_stream(df, 9.0, 25.0), "append", tmp_path)) == as_set(batch)
 
 
-def test_incidents_need_all_modalities(spark):
-    e = spark.createDataFrame([("2024-01-01 00:00:01", "z", "audio", 0.9), ("2024-01-01 00:00:20", "z", "video", 0.8), ("2024-01-01 00:02:00", "z", "audio", 0.9)], "ts string, zone_id string, modality string, confidence double").withColumn("ts", F.to_timestamp("ts"))
-    rules = spark.createDataFrame([("r", ["audio", "video"], None, 60, 0.5, True)], "rule_id string, modalities array<string>, zone_id string, window_s int, min_confidence double, enabled boolean")
-    assert [(r.rule_id, r.n) for r in T.incidents(e, rules).collect()] == [("r", 2)]
+RULES = "rule_id string, modalities array<string>, zone_id string, window_s int, min_confidence double, enabled boolean"
 
 
-def test_pose_fusion_golden(spark):
-    data = [(1, 1, "gps", 12.5, 7.0), (2, 1, "imu", 12.54, 1.0), (3, 1, "barometer", 12.56, 90.0)]
-    row = T.fuse_pose(spark.createDataFrame(data, "packet_id long, session_id long, sensor_type string, t_device double, value double"), 0.1).first()
-    assert row.covariance_trace == pytest.approx(0.54) and row.status == "ok" and row.height == 90.0
+def envelopes(spark, rows):
+    return spark.createDataFrame(rows, "s double, zone_id string, modality string, confidence double").withColumn("ts", F.timestamp_micros((F.col("s") * 1e6).cast("long")))
 
 
-def test_thinning_keeps_cuts_and_ends(spark):
-    data = [(1, i, t, i == 2) for i, t in enumerate((0.0, 1.0, 1.1, 1.2, 5.0))]
-    out = S.thin_frames(spark.createDataFrame(data, "mission_id long, frame_id long, t_sec double, cut boolean"), 3, 100.0)
-    assert sorted(r.frame_id for r in out.filter("kept").collect()) == [0, 2, 4]
+def test_incidents_slide(spark):
+    """One second apart over the edge of a minute is one incident; a minute and a second is none."""
+    rows = [(59.5, "z", "audio", 0.9), (60.5, "z", "video", 0.8), (70.0, "z", "audio", 0.9), (200.0, "z", "audio", 0.9), (261.0, "z", "video", 0.9), (262.0, "z", "audio", 0.4), (259.0, "y", "audio", 0.9), (3900.0, "y", "video", 0.9), (3960.0, "y", "audio", 0.9)]
+    rules = spark.createDataFrame([("r", ["audio", "video"], None, 60, 0.5, True), ("off", ["audio"], None, 60, 0.5, False), ("y", ["audio"], "y", 60, 0.5, True)], RULES)
+    got = sorted((r.rule_id, r.zone_id, r.at.timestamp() % 86400, r.seen) for r in T.incidents(envelopes(spark, rows), rules).collect())
+    assert [g[:2] for g in got] == [("r", "y"), ("r", "z"), ("y", "y"), ("y", "y")] and [g[2] % 3600 for g in got] == [360.0, 60.5, 259.0, 360.0] and got[0][3] == ["audio", "video"]
 
 
-def test_tracker_follows_and_a_cut_ends(spark):
-    data = [(1, f"d{t}", float(t) / 2, "car", 0.1 + t * 0.01, 0.1, 0.2, 0.2, t == 3) for t in range(5)]
-    out = S.track(spark.createDataFrame(data, "mission_id long, detection_id string, t_sec double, label string, x double, y double, w double, h double, cut boolean"))
-    assert [(r.track_id, r.state) for r in out.orderBy("t_sec").collect()] == [(0, "tentative"), (0, "confirmed"), (0, "confirmed"), (1, "tentative"), (1, "confirmed")]
+def brute_incidents(rows, wanted, window):
+    found = []
+    for zone in sorted({r[1] for r in rows}):
+        mine = sorted((s, m) for s, z, m, c in rows if z == zone and c >= 0.5 and m in wanted)
+        last, full = None, False
+        for s in sorted({s for s, _ in mine}):
+            now = {m for t, m in mine if s - window <= t <= s} == set(wanted)
+            if now and not (full and s - last <= window):
+                found.append((zone, s))
+            last, full = s, now
+    return found
+
+
+def test_incidents_against_brute_force_in_batch_and_stream(spark, tmp_path, monkeypatch):
+    import random
+
+    monkeypatch.setattr(T, "CHUNK_WINDOWS", 4)
+
+    rng = random.Random(3)
+    rows = [(float(rng.randrange(20_000)) / 2, rng.choice("yz"), rng.choice(["audio", "video", "lora"]), rng.choice([0.4, 0.9])) for _ in range(700)]
+    rules = spark.createDataFrame([("r", ["audio", "video", "lora"], None, 120, 0.5, True)], RULES)
+    want = brute_incidents(rows, ["audio", "video", "lora"], 120.0)
+    at = lambda df: sorted((r.zone_id, r.at_us / 1e6) for r in df.select("zone_id", F.unix_micros("at").alias("at_us")).collect())
+    df = envelopes(spark, rows)
+    assert len(want) > 20 and at(T.incidents(df, rules)) == want
+    stream = through(spark, df, lambda e: T.incidents_stream(e, rules), "append", tmp_path, files=4)
+    assert at(stream) == want
+
+
+def fused(spark, readings, lag_ms):
+    rows = [(k, 1, s, t, json.dumps(p)) for k, (s, t, p) in enumerate(readings)]
+    return T.fuse_pose(spark.createDataFrame(rows, "packet_id long, session_id long, sensor_type string, t_device double, payload string"), lag_ms).first()
+
+
+@pytest.mark.parametrize(
+    "readings, lag_ms, source, trace, height",
+    [
+        ([("gps", 12.5, {"east": 1, "north": 2, "up": 3}), ("imu", 12.54, {"yaw": 0.2}), ("barometer", 12.56, {"altitude": 90})], 100, "fused_gps_imu_barometer", 0.54, 90.0),  # 1 - 3 * 0.18, 60 + 20 + 0 ms behind
+        ([("gps", 12.5, {"east": 1, "north": 2, "up": 3}), ("imu", 12.54, {"yaw": 0.2}), ("barometer", 12.56, {"altitude": 90})], 30, None, None, None),  # gps is 60 ms behind
+        ([("gps", 10.0, {"east": "1", "north": "2", "altitude": 7}), ("imu", 8.0, {"yaw": 0.2})], 1500, "gps_fallback", 0.82, 7.0),
+        ([("gps", 10.0, {"east": 1, "north": 2}), ("magnetometer", 10.25, {"heading": 1.0}), ("barometer", 10.0, {"up": 5})], 1000, "fused_gps_barometer_magnetometer", 0.96, 5.0),
+        ([("gps", 10.0, {"east": 1, "north": 2}), ("imu", 10.0, {"vx": 1, "vy": 2}), ("magnetometer", 10.5, {"heading": 1.0})], 1000, "fused_gps_imu", 1.64, 0.0),  # the compass turns it but isn't named beside the imu
+        ([("gps", 10.0, {"east": 1, "north": 2}), ("camera", 99.0, {}), ("imu", 98.0, {})], 1000, "gps_fallback", 0.82, 0.0),  # neither gives a reading, so neither is the anchor
+        ([("gps", 9.0, {"east": 1, "north": 2}), ("gps", 10.0, {"east": 1}), ("imu", 10.0, {"yaw": 1})], 5000, None, None, None),  # the latest gps packet has no place
+    ],
+)
+def test_pose_fusion_golden(spark, readings, lag_ms, source, trace, height):
+    row = fused(spark, readings, lag_ms)
+    assert row.source == source and (row.covariance_trace is None) == (trace is None)
+    if source:
+        assert row.covariance_trace == pytest.approx(trace) and row.position_enu.z == height and row.tracking_status == ("degraded" if source == "gps_fallback" else "ok")
+
+
+def test_pose_orientation_and_velocity(spark):
+    row = fused(spark, [("gps", 1.0, {"east": 1, "north": 2, "ve": 3, "vn": 4, "global_map_id": "x"}), ("imu", 1.0, {"orientation_quat": {"x": 0, "y": 0, "z": 1, "w": 0}, "global_map_id": 7}), ("magnetometer", 1.0, {"heading": 2.0})], 10)
+    assert tuple(row.orientation_quat) == (0, 0, 1, 0) and tuple(row.velocity_enu) == (3, 4, 0) and row.global_map_id == 7
+    row = fused(spark, [("gps", 1.0, {"east": 1, "north": 2}), ("magnetometer", 1.0, {"yaw": 2.0})], 10)
+    assert row.orientation_quat.w == pytest.approx(math.cos(1.0)) and row.orientation_quat.z == pytest.approx(math.sin(1.0)) and row.velocity_enu is None
+
+
+def test_carried_pose(spark):
+    gps = json.dumps({"east": 1, "north": 2})
+    rows = [(1, 1, "imu", 1.0, "{}", 0), (2, 1, "gps", 2.0, gps, 60), (3, 1, "imu", 3.0, "{}", 120), (4, 2, "imu", 3.0, "{}", 120)]
+    df = spark.createDataFrame(rows, "packet_id long, session_id long, sensor_type string, t_device double, payload string, s long").withColumn("ts", F.timestamp_seconds("s"))
+    out = T.carry_pose(T.fuse_pose(df, 10, "1 minute")).orderBy("session_id", "window").collect()
+    assert [(r.session_id, r.carried, r.gps_packet, r.t_sec) for r in out] == [(1, True, None, None), (1, False, 2, 2.0), (1, True, 2, 2.0), (2, True, None, None)]
+
+
+def thinned(spark, times, capacity, chunk, cuts=()):
+    out = S.thin_frames(spark.createDataFrame([(1, i, float(t), i in cuts) for i, t in enumerate(times)], "mission_id long, frame_id long, t_sec double, cut boolean"), capacity, chunk)
+    return {r.frame_id: r.gap_end_sec for r in out.collect() if not r.kept}
+
+
+def test_thinning_drops_the_closest_to_its_forerunner(spark):
+    assert thinned(spark, (0, 1, 3, 3.5, 5), 4, 100) == {3: 5.0}
+    # One by one: at 1.2 the queue is 0, 1, 1.1, 1.2 and 1.1 goes, though 1.2 will be nearer.
+    assert thinned(spark, (0, 1, 1.1, 1.15, 5), 3, 100, cuts=()) == {2: 1.15, 3: 5.0}
+    assert thinned(spark, (0, 1, 1.1, 1.2, 5), 3, 100, cuts=(2,)) == {1: 1.1, 3: 5.0}
+    assert thinned(spark, (0, 1, 2, 3), 3, 100, cuts=(0, 1, 2, 3)) == {0: 1.0}  # all protected: the oldest
+    assert thinned(spark, (0, 1, 2, 3), 3, 100, cuts=(1, 2)) == {0: 1.0}  # else the first that isn't
+    assert thinned(spark, (7, 8, 9, 10, 11, 12), 3, 3.0) == {}  # chunks from the first frame
+
+
+DETECTIONS = "mission_id long, detection_id string, t_sec double, label string, x double, y double, w double, h double, cut boolean, descriptor array<double>"
+
+
+def tracked(spark, rows, frames=()):
+    f = spark.createDataFrame([(1, t, cut) for t, cut in frames], "mission_id long, t_sec double, cut boolean") if frames else None
+    out = S.track(spark.createDataFrame([(1, d, t, label, x, 0.1, 0.2, 0.2, False, look) for d, t, label, x, look in rows], DETECTIONS), f)
+    return [(r.t_sec, r.track_id, r.state, r.detection_id) for r in out.orderBy("t_sec", "track_id").collect()]
+
+
+def test_tracker_states(spark):
+    rows = [("a", 0.0, "car", 0.1, None), ("b", 0.5, "car", 0.12, None), ("c", 4.0, "car", 0.1, None)]
+    got = tracked(spark, rows, [(t, False) for t in (1.0, 1.5, 2.0, 2.5, 3.0)])
+    first = [(0.0, "tentative", "a"), (0.5, "confirmed", "b"), (1.0, "occluded", None), (1.5, "occluded", None), (2.0, "lost", None), (3.0, "ended", None)]
+    assert got == [(t, "track-0001", s, d) for t, s, d in first] + [(4.0, "track-0002", "tentative", "c")]
+
+
+def test_tracker_cut_ends_all(spark):
+    got = tracked(spark, [("a", 0.0, "car", 0.1, None), ("b", 0.5, "car", 0.1, None), ("c", 0.5, "box", 0.1, None)], [(0.5, True)])
+    assert got == [(0.0, "track-0001", "tentative", "a"), (0.5, "track-0001", "ended", None), (0.5, "track-0002", "tentative", "b"), (0.5, "track-0003", "tentative", "c")]
+
+
+def test_tracker_score():
+    box = (0.1, 0.1, 0.2, 0.2)
+    assert S.match_score(box, box, 1.0) == pytest.approx(1.0) and S.match_score(box, box) == pytest.approx(0.85)
+    assert S.match_score(box, (0.35, 0.1, 0.2, 0.2)) == pytest.approx(0.25 * 0.5 + 0.15)  # half of the reach away
+    assert S.likeness([1.0, 0.0], [1.0, 1.0]) == pytest.approx(0.5**0.5) and S.likeness(None, [1.0]) == S.likeness([1.0], [-1.0]) == 0.0
+    track = {"box": [0.1, 0.1, 0.2, 0.2], "v": [0.2, 0.0], "t": 1.0}
+    assert S.predicted(track, 2.0) == (0.3, 0.1, 0.2, 0.2) and S.predicted(track, 9.0)[0] == 0.8
+
+
+def test_tracker_stream_is_the_batch(spark, sf_dir, tmp_path):
+    d = Tables(spark, sf_dir)("tracks").filter("mission_id < 12").select("t_sec", "mission_id", F.col("observation_id").alias("detection_id"), "label", "x", "y", "w", "h", (F.col("confidence") < 0.03).alias("cut"), F.array("w", "h").alias("descriptor"))
+    batch = S.track(d)
+    assert batch.count() > 100
+    assert as_set(through(spark, d, S.track_stream, "append", tmp_path, files=4)) == as_set(batch)
 
 
 def test_silence(spark):
