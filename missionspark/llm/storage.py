@@ -1,45 +1,5 @@
-"""Tables that cut lineage, kept in the folder that the cluster shares.
+"""Tables that cut lineage, in the shared folder of the library's :mod:`missionspark.sources.storage`."""
 
-``spark.checkpoint.dir`` names that folder; only where it is unset (tests, a
-notebook) a folder of this machine is taken.  A table written there survives
-the loss of any executor, and later stages read it instead of repeating the
-work that made it.
-"""
+from ..sources.storage import discard, materialise, new_path, shared_dir
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this session, without a trailing slash."""
-    context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = context.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="missionspark-")
-        context.setCheckpointDir(named)
-    return named.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a table of :func:`new_path` that nothing reads any more."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+__all__ = ["discard", "materialise", "new_path", "shared_dir"]
