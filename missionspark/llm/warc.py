@@ -8,11 +8,13 @@ the files at the magic and emit each candidate record with the offset where it
 says that its successor starts.  Pointer jumping from the file's start, which
 doubles the reach of every pointer in each round, retains the records that the
 chain reaches; what else looked like a record lies inside a payload, and the
-pieces of such a payload are put together again.
+pieces of such a payload are put together again, in a second scan of their files
+that finds each piece by its byte offset.
 
 Defined cases: null html is an empty payload; payloads shorter than
 ``least_bytes`` are responses all; rows that repeat page and payload are all
-responses where the id is the least; a null page id comes after all others and
+responses where the id is the least; page ids are of any ordered type, and text
+is percent-encoded in a record's name; a null page id comes after all others and
 is null when read; line ends in a url are percent-encoded; an empty table gives
 archives without a record and an empty result; other columns are not written.
 """
@@ -29,6 +31,7 @@ from .storage import discard, materialise, new_path
 # Fixed values of the format.
 MAGIC, LINE, END = "WARC/1.", "\r\n", "\r\n\r\n"
 HEX32, BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+NO_PAGE = "<urn:page>"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Groups of equal payloads that are broadcast (28 bytes each); more are joined by shuffle.
@@ -54,13 +57,14 @@ def records(pages: DataFrame, page_id: str, url: str, html: str, least_bytes: in
     if groups.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
         groups = F.broadcast(groups)  # the pages then stay where they are read
     met = rows.join(groups, F.unhex("digest") == F.col("of"), "left")
-    revisit = F.coalesce(F.col("first_id") != F.coalesce(F.col("page_id"), F.col("first_id") + 1), F.lit(False)) & (F.octet_length("html") >= least_bytes)
+    revisit = F.col("first_id").isNotNull() & ~F.col("first_id").eqNullSafe(F.col("page_id")) & (F.octet_length("html") >= least_bytes)
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP), F.col("html")))
 
     def header(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(LINE))
 
-    name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
+    encoded = F.url_encode if rows.schema["page_id"].dataType.typeName() == "string" else lambda c: c.cast("string")
+    name = lambda c: F.coalesce(F.concat(F.lit("<urn:page:"), encoded(F.col(c)), F.lit(">")), F.lit(NO_PAGE))
     clean = F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A")
     head = F.concat(
         F.lit(f"{MAGIC}1{LINE}"), header("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))), header("WARC-Record-ID", name("page_id")),
@@ -161,8 +165,13 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         return found.select(columns)
     # Payloads that hold the magic: their pieces, in order, with the magic between.
     owners = parted.select(F.col("file").alias("own_file"), F.col("at").alias("own_at"), "next", "length", "head_bytes", "type", "record", "refers", "said", "http")
-    inside = rows.select("file", "seq", "piece_at").join(owners.select("own_file", "own_at", "next"), (F.col("file") == F.col("own_file")) & (F.col("piece_at") > F.col("own_at")) & (F.col("piece_at") < F.col("next")))
-    pieces = candidates(spark, path).select(F.col("file").alias("piece_file"), F.col("seq").alias("piece_seq"), "value").join(inside, (F.col("piece_file") == F.col("file")) & (F.col("piece_seq") == F.col("seq")))
+    inside = rows.select("file", "piece_at").join(owners.select("own_file", "own_at", "next"), (F.col("file") == F.col("own_file")) & (F.col("piece_at") > F.col("own_at")) & (F.col("piece_at") < F.col("next")))
+    # The scan may cut the files elsewhere than the first one did, so pieces are known by their place in the file.
+    wanted = materialise(owners.select(F.col("own_file").alias("of")).distinct(), "warc-parted")
+    again = candidates(spark, path).join(wanted, F.col("file") == F.col("of"), "left_semi")
+    before = Window.partitionBy("file").orderBy("split", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    again = again.withColumn("offset", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(before), F.lit(0)))
+    pieces = again.select(F.col("file").alias("piece_file"), "offset", "value").join(inside, (F.col("piece_file") == F.col("file")) & (F.col("offset") == F.col("piece_at")))
     joined = pieces.groupBy("own_file", "own_at").agg(F.array_sort(F.collect_list(F.struct("piece_at", "value"))).alias("list"))
     text = F.array_join(F.transform("list", lambda x: x.getField("value")), MAGIC).cast("binary")
     mended = joined.withColumn("bytes", text).withColumnsRenamed({"own_file": "file", "own_at": "at"}).join(owners.withColumnsRenamed({"own_file": "f", "own_at": "a"}), (F.col("file") == F.col("f")) & (F.col("at") == F.col("a")))
@@ -173,7 +182,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 def page_number(record: str, kind: str) -> Column:
     """The page id in a record's name; null for a page without one."""
-    return F.nullif(F.regexp_extract(record, "<urn:page:(.*)>", 1), F.lit("null")).cast(kind)
+    found = F.when(F.col(record).startswith("<urn:page:"), F.regexp_extract(record, "<urn:page:(.*)>", 1))
+    return F.url_decode(found) if kind == "string" else found.cast(kind)
 
 
 def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html", least_bytes: int = 0) -> DataFrame:
