@@ -17,6 +17,7 @@ and the text are not read.
 from __future__ import annotations
 
 import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-#: Cut texts that a task remembers; more are forgotten together.
-REMEMBERED = 600_000
+#: Short parts (at most SHORT characters) that a task remembers; more are forgotten together.
+REMEMBERED, SHORT = 300_000, 48
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 
@@ -105,7 +106,7 @@ class Codec:
         """Viterbi over the positions of ``part`` that begin a character."""
         b = part.encode()
         n, lost = len(b), float("-inf")
-        best, back = [lost] * (n + 1), [(0, -1)] * (n + 1)
+        best, came, last = array("d", [lost]) * (n + 1), array("q", [0]) * (n + 1), array("i", [-1]) * (n + 1)
         best[0] = 0.0
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         at = 0
@@ -122,14 +123,14 @@ class Codec:
                 if piece >= 0:
                     score = here + scores[piece]
                     if score > best[j]:
-                        best[j], back[j] = score, (at, piece)
+                        best[j], came[j], last[j] = score, at, piece
                     single = single or j == at + width
             if not single and here + self.least > best[at + width]:
-                best[at + width], back[at + width] = here + self.least, (at, -1)
+                best[at + width], came[at + width], last[at + width] = here + self.least, at, -1
             at += width
         found, z = [], n
         while z:
-            a, piece = back[z]
+            a, piece = came[z], last[z]
             if piece >= 0:
                 found.append(piece)
             elif self.bytes:
@@ -206,19 +207,21 @@ class Codec:
         return self._tables
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Piece numbers of many texts; repeated parts are worked out once."""
+        """Piece numbers of many texts; repeated short parts are worked out once.
+
+        What is remembered has a bound; a long part (a text without spaces is one)
+        is worked out by itself and forgotten, in 20 bytes a byte of text.
+        """
         cut = [self.cuts.findall(self.escape(t)) if t else [] for t in texts]
         memory = self.memory
         if len(memory) > REMEMBERED:
             memory.clear()
-        new = {p for parts in cut for p in parts}.difference(memory)
-        short = sorted((p for p in new if len(p) <= 48), key=len)  # alike in length, so that few wait for one
+        short = sorted({p for parts in cut for p in parts if len(p) <= SHORT}.difference(memory), key=len)  # alike in length, so that few wait for one
         for at in range(0, len(short), 20_000):
             some = short[at : at + 20_000]
             memory.update(zip(some, self.best_paths(some)))
-        for p in new.difference(short) if len(short) < len(new) else ():
-            memory[p] = np.array(self.best_path(p), np.int32).tobytes()
-        return [np.frombuffer(b"".join([memory[p] for p in parts]), np.int32) for parts in cut]
+        ids = lambda p: memory[p] if len(p) <= SHORT else np.array(self.best_path(p), np.int32).tobytes()
+        return [np.frombuffer(b"".join([ids(p) for p in parts]), np.int32) for parts in cut]
 
     def encode(self, text: str | None) -> np.ndarray:
         """Piece numbers of a text."""
