@@ -9,7 +9,8 @@ distance where a set of k-mers would not.
 Defined cases: null counts as empty, and all empty texts agree in every slot; a
 text shorter than a k-mer is one k-mer, which then fills both places of a pair; equal texts have equal fingerprints; rows that repeat follow
 each other in order of their text's digest; a table of one row is its own next
-document; null ids come last; an empty table gives an empty result.
+document; ids are of any ordered type, null ids come last; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -22,14 +23,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 K, SLOTS = 8, 64
-#: Where the slots stand on the ring of hashes.
-STARTS = np.arange(SLOTS, dtype=np.uint64) * np.uint64((1 << 64) // SLOTS)
 P = 0x9E3779B97F4A7C15
+#: Each slot orders the hashes by a product of its own: odd factors drawn with a fixed seed.
+FACTORS = np.random.default_rng(20).integers(0, 1 << 64, SLOTS, dtype=np.uint64) | np.uint64(1)
+#: Hashes that all slots order at once; of more, slot by slot.
+AT_ONCE = 1 << 13
 _POWERS = [np.uint64(pow(P, 1 << j, 1 << 64)) for j in range(K.bit_length())]
 #: Low bits of a sorted hash that hold the place of its k-mer.
 PLACE = 20
-#: Buckets of the id order; each is sorted and read by one task.
-MAX_BUCKETS = 1024
+#: Rows of a bucket of the id order, which one task sorts and reads as a stream, and the most buckets.
+BUCKET_ROWS, MAX_BUCKETS = 20_000, 1 << 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -75,18 +78,35 @@ def numbered(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s, place
 
 
+def least_two(x: np.ndarray, factors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the least and the second least of the hashes in the order of each slot; of equals the first.
+
+    Of one hash both are its place.
+    """
+    keys = x * factors[:, None]
+    rows = np.arange(len(factors))
+    first = keys.argmin(axis=1)
+    if len(x) == 1:
+        return first, first
+    keys[rows, first] = np.uint64((1 << 64) - 1)
+    second = keys.argmin(axis=1)
+    return first, np.where(second == first, (first + 1) % len(x), second)
+
+
 def fingerprint(text: str) -> np.ndarray:
     """The slots of a text, 16 bits each.
 
-    The hashes lie on a ring.  A slot's hash is the distance from its place on
-    the ring, so its two least k-mers are the next two on the ring.
+    A slot takes the two occurrence-numbered k-mers that its own order puts
+    first, puts them back in the order of the text and hashes the pair.
     """
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     if not len(points):
         return np.zeros(SLOTS, np.uint16)
     x, place = numbered(kmers(points))
-    first = np.searchsorted(x, STARTS) % len(x)
-    second = (first + 1) % len(x)
+    if len(x) <= AT_ONCE:
+        first, second = least_two(x, FACTORS)
+    else:
+        first, second = (np.concatenate(c) for c in zip(*(least_two(x, FACTORS[k : k + 1]) for k in range(SLOTS))))
     swap = place[first] > place[second]
     early, late = x[np.where(swap, second, first)], x[np.where(swap, first, second)]
     return (_mix(_mix(early) * np.uint64(3) + _mix(late + np.uint64(1)) + np.arange(SLOTS, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)
@@ -118,6 +138,22 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, fingerprint string")
 
 
+def position(value, bounds: list):
+    """How many of the ascending bounds are at most ``value``, by halving."""
+    if not bounds:
+        return F.lit(0)
+    known = F.lit(bounds)
+    span = F.struct(F.lit(0).alias("low"), F.lit(len(bounds)).alias("high"))
+    middle = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
+
+    def halve(s, _):
+        at = middle(s)
+        right = (s["low"] < s["high"]) & (F.get(known, at) <= value)
+        return F.struct(F.when(right, at + 1).otherwise(s["low"]).alias("low"), F.when(right | (s["low"] >= s["high"]), s["high"]).otherwise(at).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(bounds).bit_length())), span, halve)["low"]
+
+
 def in_id_order(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFrame:
     """Rows (bucket, after, doc_id, text) sorted by descending id in each bucket.
 
@@ -126,11 +162,12 @@ def in_id_order(docs: DataFrame, doc_id: str, text: str, buckets: int) -> DataFr
     is shuffled once.
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    bounds = rows.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10 * buckets)).first()[0] if buckets > 1 else None
-    below = F.filter(F.lit(sorted(set(bounds))), lambda x: x < F.col("doc_id")) if bounds else F.array()
-    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(F.size(below))).withColumn("tie", F.xxhash64("text"))
+    # The ids alone are dealt by range first; the least id of each range is one bound, so bounds follow the rows and are few.
+    ids = docs.select(F.col(doc_id).alias("doc_id")).filter("doc_id is not null").repartitionByRange(buckets, "doc_id")
+    bounds = sorted(r.least for r in ids.groupBy(F.spark_partition_id()).agg(F.min("doc_id").alias("least")).collect()) if buckets > 1 else []
+    rows = rows.withColumn("bucket", F.when(F.col("doc_id").isNull(), -1).otherwise(position(F.col("doc_id"), bounds))).withColumn("tie", F.xxhash64("text"))
     heads = rows.groupBy("bucket").agg(F.max(F.struct("doc_id", "tie")).alias("head"))
-    order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row for each of at most 1,025 buckets
+    order = Window.partitionBy(F.lit(0)).orderBy("bucket")  # one row for each bucket, 65,537 at most
     heads = heads.select(
         F.col("bucket").alias("of"), F.col("head.doc_id").alias("head_id"), F.col("head.tie").alias("head_tie"),
         F.coalesce(F.lead("bucket").over(order), F.min("bucket").over(order)).alias("also"),
@@ -147,7 +184,7 @@ def edit_report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """One row a document, compared with its edited text and the next document."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = in_id_order(docs, doc_id, text, min(MAX_BUCKETS, 8 * parts))
+    dealt = in_id_order(docs, doc_id, text, min(MAX_BUCKETS, max(8 * parts, docs.count() // BUCKET_ROWS)))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
     def batches(it):

@@ -49,6 +49,33 @@ def test_warc_round_trip(spark, least):
     assert sorted(map(str, want)) == sorted(str((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in out) and all(r.intact for r in out)
 
 
+def test_warc_of_text_ids(spark):
+    rows = [("b", "u", "same"), ("a b>\r\n%41", "u", "same"), ("null", "u", "x WARC/1.1\r\n y"), (None, "u", "same"), ("", "u", "own")]
+    out = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string").repartition(2)).collect()
+    assert {r.page_id: (r.record_type, r.refers_to) for r in out} == {"a b>\r\n%41": ("response", None), "b": ("revisit", "a b>\r\n%41"), None: ("revisit", "a b>\r\n%41"), "null": ("response", None), "": ("response", None)}
+    assert all(r.intact for r in out)
+
+
+def test_pieces_are_found_however_the_scan_cuts(spark, tmp_path, monkeypatch):
+    """The second scan of the files runs with other splits than the first."""
+    body = "long " * 3000
+    rows = [(k, "u", f"{body}WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n{body}WARC/1.{k}") for k in range(12)]
+    path = str(tmp_path / "archives")
+    warc.write_archives(spark.createDataFrame(rows, PAGES).repartition(2), path)
+    sizes, scan = iter(("7000", "40000", "40000")), warc.candidates
+
+    def scanned(spark, path):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return scan(spark, path)
+
+    monkeypatch.setattr(warc, "candidates", scanned)
+    try:
+        got = {r.record: (r.payload_bytes, r.said == "sha1:" + r.digest) for r in warc.read_archives(spark, path).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {f"<urn:page:{k}>": (len(h), True) for k, _, h in rows}
+
+
 def test_warc_of_no_pages(spark):
     assert warc.round_trip(spark.createDataFrame([], PAGES)).count() == 0
 
@@ -382,6 +409,16 @@ def test_viterbi_is_the_librarys_lattice(codec):
         assert codec.decode(ours) == lib.decode(theirs) == text
 
 
+def test_long_parts_are_not_remembered(codec, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 3)
+    codec.memory.clear()
+    long = "abcdefghij" * 20_000
+    for text in (long, "a b c d e f", "é" * 60, "g h"):
+        assert codec.decode(codec.encode(text).tolist()) == text
+    assert all(len(p) <= sentencepiece_codec.SHORT for p in codec.memory) and len(codec.memory) <= 12
+    assert codec.encode("x" * 30 + "é☃y" * 9).tolist() == codec.encode(None).tolist() + codec.encode("x" * 30 + "é☃y" * 9).tolist()
+
+
 def test_encoding_rows_round_trip(spark, codec):
     texts = [None, "", " ", "a", "  two  spaces ", "日本 ☃ \U0001f600", "\n\ttabs", "x" * 5000, "é" * 300, "many words " * 3000]
     docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "a")], "doc_id long, text string").withColumn("ids", F.lit("clash"))
@@ -413,7 +450,7 @@ def test_double_array_knows_its_keys_alone():
 
 
 def brute_signature(text):
-    """The ring by its definition, from numbered k-mers in lists."""
+    """The slots by their definition, from numbered k-mers in lists."""
     points = np.frombuffer(text.encode("utf-32-le"), "<u4")
     if not len(points):
         return [0] * order_minhash.SLOTS
@@ -426,9 +463,9 @@ def brute_signature(text):
         ring.append((int(x), place))
     ring.sort()
     out = []
-    for j, start in enumerate(order_minhash.STARTS):
-        at = next((i for i, (x, _) in enumerate(ring) if x >= int(start)), 0)
-        a, b = sorted((ring[at], ring[(at + 1) % len(ring)]), key=lambda r: r[1])
+    for j, factor in enumerate(order_minhash.FACTORS.tolist()):
+        two = sorted(ring, key=lambda r: r[0] * factor % (1 << 64))[:2]
+        a, b = sorted((two * 2)[:2], key=lambda r: r[1])
         a, b = np.array([a[0]], np.uint64), np.array([b[0]], np.uint64)
         out.append(int((order_minhash._mix(order_minhash._mix(a) * np.uint64(3) + order_minhash._mix(b + np.uint64(1)) + np.uint64(j)) >> np.uint64(48))[0]))
     return out
@@ -436,10 +473,37 @@ def brute_signature(text):
 
 def test_signature_by_definition():
     with np.errstate(over="ignore"):
-        for text in ("", "a", "abcdefgh", "abcabcabcabcabcabc", "the quick brown fox jumps over the lazy dog " * 3, "é☃" * 20):
+        for text in ("", "a", "abcdefgh", "abcabcabcabcabcabc", "the quick brown fox jumps over the lazy dog " * 3, "é☃" * 20, "abcdefghi", "".join(chr(97 + k * k % 23) for k in range(9000))):
             assert order_minhash.fingerprint(text).tolist() == brute_signature(text), text
 
 
+def test_slots_are_independent():
+    """The share of equal slots has the spread of 64 independent draws, not that of neighbours on one ring."""
+    rng = random.Random(3)
+    same = []
+    for _ in range(60):
+        words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(120)]
+        other = [w if k % 30 else "edited" for k, w in enumerate(words)]
+        same.append(order_minhash.likeness(order_minhash.fingerprint(" ".join(words)), order_minhash.fingerprint(" ".join(other))))
+    p = np.mean(same)
+    assert 0.5 < p < 0.95 and np.std(same) < 1.6 * (p * (1 - p) / order_minhash.SLOTS) ** 0.5
+
+
+def test_ids_of_text(spark):
+    rows = [(f"id-{i:03d}", f"text number {i} " * (1 + i % 4)) for i in range(80)] + [(None, "last")]
+    out = order_minhash.edit_report(spark.createDataFrame(rows, "doc_id string, text string").repartition(4)).collect()
+    ordered = sorted((r for r in rows if r[0]), reverse=True) + [rows[-1]]
+    assert len(out) == len(rows)
+    for (i, text), (_, other) in zip(ordered, ordered[1:] + ordered[:1]):
+        got = next(r for r in out if r.doc_id == i)
+        assert got.edited_sha256 == hashlib.sha256(order_minhash.edited(text, other).encode()).hexdigest()
+
+
+def test_position_among_bounds(spark):
+    df = spark.range(0, 40).select(order_minhash.position(F.col("id"), [0, 3, 4, 9, 30]).alias("n"), "id")
+    assert all(r.n == sum(b <= r.id for b in (0, 3, 4, 9, 30)) for r in df.collect())
+
+
 def test_order_matters_and_edits_cost():
     rng = random.Random(7)
     words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(200)]
