@@ -2,22 +2,30 @@
 
 A log of arrivals (digest, identifier, locator) is read as a stream and grouped
 by digest in the disk-backed RocksDB state store.  There is no watermark, so a
-key never expires: a text that comes back years later still meets its first
-digest.  The state of a key holds the number of rows, the stable identifier
-that stays and the locator of its content.  Where a digest is hit again, the
-full bytes of the row are compared with those of the row that stays; a row with
-other bytes leaves the group and forms one by its own bytes.
+key never expires: with a ``store`` folder, log, state and checkpoint outlive the
+call, and a text that comes back years later still meets its first digest.  The
+state of a key holds the number of rows, the stable identifier that stays and
+the locator of its content: file and row.
+
+Where a digest is hit again, the full bytes of the row are compared with those
+at the locator that stays, which may lie in a file of an earlier call; a row
+with other bytes leaves the group and forms one by its own bytes, among the rows
+of its call.
 
 Only DataFrame operations run on the executors.
 
 Defined cases: null text counts as empty, and all empty texts are equal; of
 equal texts the row with the largest identifier stays, null identifiers last;
 of rows that repeat identifier and text exactly one stays; an empty table gives
-an empty result; other columns of the input are never read.
+an empty result; other columns of the input are never read; with a store the
+answers are for the rows of the call, after them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +37,7 @@ STORE = {
     # Each store preallocates some megabytes of disk, so their number follows the keys and not the shuffles.
     "spark.sql.streaming.internal.stateStore.partitions": None,
 }
-#: Arrivals for each state store; there are as many stores as cores at least.
+#: Arrivals for each state store; there are as many stores as cores at least.  A store folder keeps the number of its first call.
 STORE_ROWS = 50_000
 
 
@@ -39,23 +47,39 @@ def normalised(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
-def arrivals(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Log of (doc_id, row, digest, locator); row numbers the rows of the log."""
-    digest = F.sha2(normalised(F.col(text)), 256)
-    return docs.select(F.col(doc_id).alias("doc_id"), F.monotonically_increasing_id().alias("row"), digest.alias("digest"), F.input_file_name().alias("locator"))
+def sha256(content: Column) -> Column:
+    return F.sha2(content, 256)
 
 
-def stream_state(spark: SparkSession, log_path: str, log: DataFrame, files_per_batch: int | None = None) -> DataFrame:
-    """Runs the log through the keyed state; the last state of every digest.
+def located(docs: DataFrame) -> DataFrame:
+    """The documents with ``locator`` (file, row) beside their columns in ``doc``.
 
-    The query starts from its checkpoint in the shared folder, so a batch that
-    was cut short is done again from the last committed state.
+    Rows that don't come straight from Parquet files are written to some first.
     """
-    state_path, checkpoint = new_path(spark, "dedup-state"), new_path(spark, "dedup-checkpoint")
+    locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+    try:
+        return docs.select(doc, locator)
+    except AnalysisException:
+        return materialise(docs, "dedup-content").select(doc, locator)
+
+
+def arrivals(rows: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Log of (doc_id, locator, digest)."""
+    return rows.select(F.col("doc")[doc_id].alias("doc_id"), "locator", digest(normalised(F.col("doc")[text])).alias("digest"))
+
+
+def stream_state(spark: SparkSession, log_path: str, log: DataFrame, store: str, files_per_batch: int | None = None) -> DataFrame:
+    """Runs what is new in the log through the keyed state; the last state of each digest that it met.
+
+    The query goes on from the checkpoint in the store, so a batch that was cut
+    short is done again from the last committed state.
+    """
+    state_path = new_path(spark, "dedup-state")
     reader = spark.readStream.schema(log.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    best = F.max(F.struct("doc_id", "row", "locator")).alias("best")
+    best = F.max(F.struct("doc_id", "locator")).alias("best")
     grouped = reader.parquet(log_path).groupBy("digest").agg(F.count("*").alias("n"), best)
     stores = max(spark.sparkContext.defaultParallelism, -(-log.count() // STORE_ROWS))
     options = {k: v or str(stores) for k, v in STORE.items()}
@@ -64,7 +88,7 @@ def stream_state(spark: SparkSession, log_path: str, log: DataFrame, files_per_b
         spark.conf.set(k, v)
     try:
         query = (
-            grouped.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+            grouped.writeStream.outputMode("update").option("checkpointLocation", f"{store}/checkpoint").trigger(availableNow=True)
             .foreachBatch(lambda changed, batch: changed.write.mode("overwrite").parquet(f"{state_path}/batch={batch}"))
             .start()
         )
@@ -81,46 +105,65 @@ def stream_state(spark: SparkSession, log_path: str, log: DataFrame, files_per_b
     return changes.groupBy("digest").agg(F.max_by(F.struct("n", "best"), "batch").alias("last")).select("digest", "last.*")
 
 
-def strangers(docs: DataFrame, state: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows whose digest was hit but whose bytes differ from the bytes that stay.
+def strangers(rows: DataFrame, state: DataFrame, doc_id: str = "doc_id", text: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """Rows of a hit digest whose bytes differ from those at the locator that stays: (locator, digest, own).
 
-    (doc_id, digest, own): own identifies the row's bytes by another digest.
+    ``own`` identifies the row's bytes by another digest.
     """
-    hits = state.filter("n > 1").select(F.col("digest").alias("hit"), F.col("best.doc_id").alias("keep_id"))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), normalised(F.col(text)).alias("bytes")).withColumn("digest", F.sha2("bytes", 256))
-    met = rows.join(hits, F.col("digest") == F.col("hit")).drop("hit")
-    met = materialise(met, "dedup-hits")
-    # Written first: a join that reuses the grouping's shuffle couldn't split a text that a third of the rows hold.
-    stays = materialise(met.filter(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(F.col("digest").alias("of")).agg(F.min("bytes").alias("kept_bytes")), "dedup-stays")
+    spark = rows.sparkSession
+    hits = state.filter("n > 1").select(F.col("digest").alias("hit"), F.col("best.locator").alias("keeps"))
+    own = rows.select("locator", normalised(F.col("doc")[text]).alias("bytes")).withColumn("digest", digest(F.col("bytes")))
+    met = materialise(own.join(hits, F.col("digest") == F.col("hit")).drop("hit"), "dedup-hits")
+    # Written first: a join that reuses this shuffle couldn't split a text that a third of the rows hold.
+    stays = materialise(met.filter(F.col("locator") == F.col("keeps")).select(F.col("digest").alias("of"), F.col("bytes").alias("kept_bytes")), "dedup-stays")
+    earlier = hits.join(stays, F.col("hit") == F.col("of"), "left_anti")
+    files = [r.file for r in earlier.select(F.col("keeps.file").alias("file")).distinct().collect()]  # input files of earlier calls
+    if files:
+        content = spark.read.parquet(*files).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), normalised(F.col(text)).alias("kept_bytes"))
+        stays = stays.unionByName(earlier.join(content, F.col("keeps") == F.col("at")).select(F.col("hit").alias("of"), "kept_bytes"))
     others = met.join(stays, F.col("digest") == F.col("of")).filter(F.col("bytes") != F.col("kept_bytes"))
-    return others.select("doc_id", "digest", F.sha2("bytes", 512).alias("own"))
+    return others.select("locator", "digest", F.sha2("bytes", 512).alias("own"))
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", files_per_batch: int | None = None) -> DataFrame:
-    """One row a document: doc_id, row, keep_id, group_size, kept, text_sha256."""
-    spark = docs.sparkSession
-    log = arrivals(docs, doc_id, text)
-    path = new_path(spark, "dedup-log")
+def decisions(rows: DataFrame, doc_id: str, text: str, files_per_batch: int | None, store: str | None, digest: Callable[[Column], Column]) -> DataFrame:
+    """(doc_id, locator, keep_id, group_size, kept, text_sha256) of located rows."""
+    spark = rows.sparkSession
+    store = store or new_path(spark, "dedup-store")
+    log = arrivals(rows, doc_id, text, digest)
+    path = new_path(spark, "dedup-arrivals")
     log.write.parquet(path)
     log = spark.read.schema(log.schema).parquet(path)
-    state = stream_state(spark, path, log, files_per_batch)
-    odd = materialise(strangers(docs, state, doc_id, text).distinct(), "dedup-strangers")
+    log.write.mode("append").parquet(f"{store}/log")
+    state = stream_state(spark, f"{store}/log", log, store, files_per_batch)
+    odd = materialise(strangers(rows, state, doc_id, text, digest), "dedup-strangers")
     found = log.join(state.withColumnRenamed("digest", "key"), F.col("digest") == F.col("key")).drop("key")
     answer = lambda n, best: (
-        F.col("doc_id"), F.col("row"), best.getField("doc_id").alias("keep_id"), n.alias("group_size"),
-        (F.col("row") == best.getField("row")).alias("kept"), F.col("digest").alias("text_sha256"),
+        F.col("doc_id"), F.col("locator"), best.getField("doc_id").alias("keep_id"), n.alias("group_size"),
+        (F.col("locator") == best.getField("locator")).alias("kept"), F.col("digest").alias("text_sha256"),
     )
     if odd.isEmpty():
         return found.select(*answer(F.col("n"), F.col("best")))
-    split = found.join(odd.select(F.col("doc_id").alias("odd_id"), F.col("digest").alias("odd_digest"), "own"), F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("digest") == F.col("odd_digest")), "left").withColumn("own", F.coalesce("own", F.lit("")))
-    groups = split.groupBy("digest", "own").agg(F.count("*").alias("n"), F.max(F.struct("doc_id", "row", "locator")).alias("best"))
-    return split.drop("n", "best").join(groups, ["digest", "own"]).select(*answer(F.col("n"), F.col("best")))
+    # Groups of strangers by their bytes; the others are as many less.
+    parts = odd.withColumnsRenamed({"locator": "odd_at", "digest": "odd_digest"})
+    split = found.join(parts, F.col("locator") == F.col("odd_at"), "left")
+    by_bytes = materialise(split.filter("own is not null").groupBy("digest", "own").agg(F.count("*").alias("own_n"), F.max(F.struct("doc_id", "locator")).alias("own_best")).withColumnsRenamed({"digest": "d", "own": "o"}), "dedup-own")
+    gone = materialise(by_bytes.groupBy(F.col("d").alias("g")).agg(F.sum("own_n").alias("gone")), "dedup-gone")
+    split = split.join(by_bytes, (F.col("digest") == F.col("d")) & (F.col("own") == F.col("o")), "left").join(gone, F.col("digest") == F.col("g"), "left")
+    return split.select(*answer(F.coalesce("own_n", F.col("n") - F.coalesce("gone", F.lit(0))), F.coalesce("own_best", "best")))
+
+
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", files_per_batch: int | None = None, store: str | None = None, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """One row a document: doc_id, locator, keep_id, group_size, kept, text_sha256.
+
+    ``store`` names a shared folder that keeps the state for later calls, whose
+    documents then meet those of all calls before; without it the state is of
+    this call alone.  Files that hold kept content must stay readable.
+    """
+    return decisions(located(docs), doc_id, text, files_per_batch, store, digest)
 
 
-def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", store: str | None = None) -> DataFrame:
     """The documents that stay, with their own columns."""
-    kept = exact_dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(doc_id).alias("own_id"), F.sha2(normalised(F.col(text)), 256).alias("own_digest"))
-    left = rows.join(kept, (F.col("own_digest") == F.col("kept_digest")) & F.col("own_id").eqNullSafe(F.col("kept_id")))
-    return left.dropDuplicates(["kept_digest", "kept_id"]).select("row.*")
+    rows = located(docs)
+    gone = materialise(decisions(rows, doc_id, text, None, store, sha256).filter("not kept").select(F.col("locator").alias("gone")), "dedup-dropped")
+    return rows.join(gone, F.col("locator") == F.col("gone"), "left_anti").select("doc.*")

@@ -48,15 +48,46 @@ def test_exact_dedup_odd_rows(spark, files):
 
 def test_exact_dedup_empty_and_pipeline_form(spark):
     assert exact_dedup.exact_dedup(frame(spark, []).filter("false")).count() == 0
-    docs = frame(spark, ODD).withColumn("digest", F.lit("clash")).withColumn("row", F.lit(1))
+    docs = frame(spark, ODD).withColumn("digest", F.lit("clash")).withColumn("locator", F.lit(1)).withColumn("doc", F.lit(2))
     left = exact_dedup.deduplicated(docs)
     assert left.columns == docs.columns and sorted((r.doc_id for r in left.collect())) == [2, 4, 6, 7, 10]
 
 
+def weak(content):
+    """A digest of one hexadecimal digit, so that other bytes hit it."""
+    return F.substring(F.sha2(content, 256), 1, 1)
+
+
 def test_other_bytes_leave_the_group(spark):
-    docs = frame(spark, [(1, "a"), (2, "b"), (3, "a")])
-    state = spark.createDataFrame([(hashlib.sha256(b"a").hexdigest(), 2, (3, 0, "")), (hashlib.sha256(b"b").hexdigest(), 2, (9, 0, ""))], "digest string, n long, best struct<doc_id:long,row:long,locator:string>")
-    assert exact_dedup.strangers(docs, state).count() == 0  # equal bytes stay; a keeper that isn't there accuses none
+    rows = [(i, f"text {i % 40}") for i in range(200)] + [(300, None), (301, ""), (301, "")]
+    out = exact_dedup.exact_dedup(frame(spark, rows).repartition(4), digest=weak).collect()
+    by_text = {}
+    for i, t in rows:
+        by_text.setdefault(t or "", []).append(i)
+    assert len(out) == len(rows) and len({r.text_sha256 for r in out}) <= 16
+    for r in out:
+        group = by_text[dict(rows)[r.doc_id] or ""]
+        assert (r.keep_id, r.group_size) == (max(group), len(group))
+    assert sorted(r.doc_id for r in out if r.kept) == sorted(max(g) for g in by_text.values())
+
+
+def test_state_outlives_the_call(spark, tmp_path):
+    store = str(tmp_path / "store")
+    first = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(1, "a"), (5, "b"), (2, "A")]), store=store).collect()}
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in first.items()} == {1: (2, 2, False), 2: (2, 2, True), 5: (5, 1, True)}
+    second = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(3, "B"), (4, "a"), (9, "c")]), store=store).collect()}
+    assert {i: (r.keep_id, r.group_size, r.kept) for i, r in second.items()} == {3: (5, 2, False), 4: (4, 3, True), 9: (9, 1, True)}
+    third = exact_dedup.exact_dedup(frame(spark, [(7, "z"), (8, "A")]), store=store).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in third} == {7: (7, 1), 8: (8, 4)}
+    assert exact_dedup.exact_dedup(frame(spark, []).filter("false"), store=store).count() == 0
+
+
+def test_bytes_are_read_at_the_locator_of_an_earlier_call(spark, tmp_path):
+    """Another text with the digest of a text kept by a call before leaves its group."""
+    store, one = str(tmp_path / "store"), lambda content: F.lit("same")
+    exact_dedup.exact_dedup(frame(spark, [(50, "kept")]), store=store, digest=one).collect()
+    out = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(1, "KEPT"), (2, "other"), (3, "other")]), store=store, digest=one).collect()}
+    assert {i: (r.keep_id, r.kept) for i, r in out.items()} == {1: (50, False), 2: (3, False), 3: (3, True)} and out[1].group_size == 2
 
 
 def brute_fingerprint(text, k=3):
