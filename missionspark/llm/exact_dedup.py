@@ -29,7 +29,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .storage import materialise, new_path
+from .storage import materialise, new_path, small
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 STORE = {
@@ -111,9 +111,9 @@ def strangers(rows: DataFrame, state: DataFrame, doc_id: str = "doc_id", text: s
     ``own`` identifies the row's bytes by another digest.
     """
     spark = rows.sparkSession
-    hits = state.filter("n > 1").select(F.col("digest").alias("hit"), F.col("best.locator").alias("keeps"))
+    hits = materialise(state.filter("n > 1").select(F.col("digest").alias("hit"), F.col("best.locator").alias("keeps")), "dedup-hit")
     own = rows.select("locator", normalised(F.col("doc")[text]).alias("bytes")).withColumn("digest", digest(F.col("bytes")))
-    met = materialise(own.join(hits, F.col("digest") == F.col("hit")).drop("hit"), "dedup-hits")
+    met = materialise(own.join(small(hits), F.col("digest") == F.col("hit")).drop("hit"), "dedup-hits")
     # Written first: a join that reuses this shuffle couldn't split a text that a third of the rows hold.
     stays = materialise(met.filter(F.col("locator") == F.col("keeps")).select(F.col("digest").alias("of"), F.col("bytes").alias("kept_bytes")), "dedup-stays")
     earlier = hits.join(stays, F.col("hit") == F.col("of"), "left_anti")
@@ -166,4 +166,4 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", st
     """The documents that stay, with their own columns."""
     rows = located(docs)
     gone = materialise(decisions(rows, doc_id, text, None, store, sha256).filter("not kept").select(F.col("locator").alias("gone")), "dedup-dropped")
-    return rows.join(gone, F.col("locator") == F.col("gone"), "left_anti").select("doc.*")
+    return rows.join(small(gone), F.col("locator") == F.col("gone"), "left_anti").select("doc.*")

@@ -15,8 +15,8 @@ can share a key, which bounds every tree.
 
 Sixty-four bits tell a Jaccard similarity of 0.8 badly (pairs differ in 4 to 17
 bits), so for a similarity the fingerprint has 256 bits of the distinct shingles,
-the shards come from sampled bits, and what links there is compared exactly, by
-shingle sets; see :func:`similar_links`.  Both ways give edges that join the
+the shards come from least shingles, and what links there is compared exactly,
+by shingle sets; see :func:`similar_links`.  Both ways give edges that join the
 groups and not all pairs; the edges' connected components are the groups.
 
 Defined cases: null text counts as empty; a text without words has fingerprint
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .storage import materialise
+from .storage import materialise, release, small
 
 BITS = 64
 UPPER_TO_LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -231,19 +231,36 @@ def wide_majority(hashes: np.ndarray, lanes: int) -> bytes:
     return b"".join(found)
 
 
+#: Least shingles of a shard's key, and keys of a document: of two texts at a Jaccard similarity of 0.8 1 - (1 - 0.8**3)**6 = 0.987 meet.
+LEAST, KEYS = 3, 6
+ORDERS = np.random.default_rng(11).integers(0, 1 << 64, LEAST * KEYS, dtype=np.uint64) | np.uint64(1)
+
+
+def least_keys(hashes: np.ndarray) -> np.ndarray:
+    """A key for each of ``KEYS`` shards: which shingles ``LEAST`` random orders put first."""
+    least = np.concatenate([(hashes[None, :] * ORDERS[k : k + LEAST, None]).min(axis=1) for k in range(0, len(ORDERS), LEAST)])
+    key = np.arange(1, KEYS + 1, dtype=np.uint64)
+    for k in range(LEAST):
+        key = (key ^ least[k::LEAST]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return key.view(np.int64)
+
+
 def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, lanes: int) -> DataFrame:
-    """(doc_id, text_key, fp, n_shingles): the wide fingerprint of the distinct shingles as binary."""
+    """(doc_id, text_key, fp, n_shingles, keys): the wide fingerprint of the distinct shingles as binary, and its shards."""
 
     def batches(it):
         for b in it:
             sets = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]
+            keys = [least_keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([wide_majority(s, lanes) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32())], ["doc_id", "text_key", "fp", "n_shingles"]
+                [b.column(0), b.column(1), pa.array([wide_majority(s, lanes) for s in sets], pa.binary()), pa.array(list(map(len, sets)), pa.int32()), lists], ["doc_id", "text_key", "fp", "n_shingles", "keys"]
             )
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, text_key long, fp binary, n_shingles int")
+    return rows.mapInArrow(batches, f"doc_id {kind}, text_key long, fp binary, n_shingles int, keys array<long>")
 
 
 def set_chance(shared: int, own: int, hits: int) -> float:
@@ -275,38 +292,30 @@ def most_difference(similarity: float, least: int) -> float:
     return found
 
 
-#: Sets of fewer shingles than this differ in more bits at the same similarity, and take more keys.
-SMALL = 6
-
-
-def wide_keys(fps: DataFrame, similarity: float, lanes: int, recall: float) -> DataFrame:
-    """(fp, keys): the shards of each fingerprint, one for each sample of its bits.
+def finer_keys(rows: DataFrame, count: int, similarity: float, lanes: int, recall: float) -> DataFrame:
+    """(key, fp): rows (shard, fp) of large shards in finer ones, one for each sample of bits.
 
-    With more fingerprints a key takes more bits, so that a shard keeps about
-    sixteen strangers, and there are as many keys as the recall asks for at the
-    threshold; closer pairs meet with a higher chance.
+    A key takes so many bits that of ``count`` strangers about sixteen share it,
+    and there are as many keys as the recall asks for at the similarity.
     """
-    width, bits = BITS * lanes, min(48, max(6, round(math.log2(max(2, fps.count()))) - 4))
-    few, many = (math.ceil(math.log(1 - recall) / math.log(1 - (1 - most_difference(similarity, n)) ** bits)) for n in (SMALL, 1))
-    many = max(few, many)
+    width, bits = BITS * lanes, min(48, max(6, math.ceil(math.log2(max(2, count))) - 4))
+    tables = math.ceil(math.log(1 - recall) / math.log(1 - (1 - most_difference(similarity, 1)) ** bits))
     rng = np.random.default_rng(0)
-    places = [rng.choice(width, bits, replace=False) for _ in range(many)]
+    places = [rng.choice(width, bits, replace=False) for _ in range(tables)]
     powers = np.uint64(1) << np.arange(bits, dtype=np.uint64)
-    salts = np.arange(many, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
     def batches(it):
         for b in it:
-            fp = b.column(0).to_pylist()
+            fp = b.column(1).to_pylist()
             if not fp:
                 continue
             on = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1), axis=1)
-            keys = np.stack([(on[:, at].astype(np.uint64) * powers).sum(axis=1) for at in places], axis=1)
-            keys = (keys + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93) + salts  # the bits and the number of their sample
-            own = np.arange(many) < np.where(b.column(1).to_numpy() < SMALL, many, few)[:, None]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(own.sum(axis=1))].astype(np.int32)), pa.array(keys[own].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), lists], ["fp", "keys"])
+            keys = np.stack([(on[:, at].astype(np.uint64) * powers).sum(axis=1) for at in places], axis=1).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["shard", "fp", "keys"])
 
-    return fps.select("fp", "n_shingles").mapInArrow(batches, "fp binary, keys array<long>")
+    wide = rows.select("shard", "fp").mapInArrow(batches, "shard long, fp binary, keys array<long>")
+    return wide.select("shard", "fp", F.posexplode("keys").alias("table", "bits")).select(F.xxhash64("shard", "table", "bits").alias("key"), "fp")
 
 
 def value_of(fp: bytes) -> int:
@@ -325,18 +334,13 @@ def pair_batches(pairs):
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*taken)], ["u", "v"])
 
 
-def cluster_edges(keys: DataFrame, radius: int, shard_rows: int) -> DataFrame:
-    """Edges (u, v) that join all fingerprints within the radius inside a shard.
+def oversized(keyed: DataFrame, shard_rows: int) -> DataFrame:
+    """(hot_key, n) of the shards above ``shard_rows``, written first: a join that reuses the grouping's shuffle couldn't split a hot key."""
+    return materialise(keyed.groupBy(F.col("key").alias("hot_key")).agg(F.count("*").alias("n")).filter(F.col("n") > shard_rows), "simhash-hot")
 
-    A shard is a BK-tree.  A shard above ``shard_rows`` is joined whole, by its
-    least value: clusters may hold too much, but never too little.
-    """
-    keyed = keys.select(F.explode("keys").alias("key"), "fp")
-    # Written first: a join that reuses the grouping's shuffle couldn't split a hot key.
-    hot = keyed.groupBy(F.col("key").alias("hot_key")).agg(F.count("*").alias("n"), F.min("fp").alias("pivot")).filter(F.col("n") > shard_rows)
-    hot = materialise(hot.drop("n"), "simhash-hot")
-    whole = keyed.join(hot, F.col("key") == F.col("hot_key")).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
-    cold = keyed.join(hot.select("hot_key"), F.col("key") == F.col("hot_key"), "left_anti") if not hot.isEmpty() else keyed
+
+def tree_edges(keyed: DataFrame, radius: int) -> DataFrame:
+    """Edges (u, v) that join all fingerprints within the radius inside a shard, which is a BK-tree."""
 
     def batches(it):
         def close(values, us, vs):
@@ -360,13 +364,36 @@ def cluster_edges(keys: DataFrame, radius: int, shard_rows: int) -> DataFrame:
         close(values, us, vs)
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    found = cold.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(batches, "u binary, v binary")
-    return found.unionByName(whole).filter("u <> v").distinct()
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(batches, "u binary, v binary")
+
+
+def cluster_edges(distinct: DataFrame, radius: int, shard_rows: int, similarity: float, lanes: int, recall: float) -> DataFrame:
+    """Edges (u, v) that join all fingerprints within the radius that meet in a shard.
+
+    A shard above ``shard_rows`` (texts that share a common passage, or a large
+    group of near copies) is dealt again by sampled bits.  What is still above
+    it then agrees in most bits and is joined whole, by its least value: clusters
+    may hold too much, but never too little.
+    """
+    keyed = distinct.select(F.explode("first.keys").alias("key"), "fp")
+    hot = oversized(keyed, shard_rows)
+    if hot.isEmpty():
+        return tree_edges(keyed, radius).filter("u <> v").distinct()
+    on = F.col("key") == F.col("hot_key")
+    found = tree_edges(keyed.join(small(hot), on, "left_anti"), radius)
+    again = keyed.join(small(hot), on).select(F.col("key").alias("shard"), "fp")
+    finer = materialise(finer_keys(again, hot.agg(F.max("n")).first()[0], similarity, lanes, recall), "simhash-finer")
+    whole = oversized(finer, shard_rows)
+    found = found.unionByName(tree_edges(finer.join(small(whole), on, "left_anti"), radius))
+    left = materialise(finer.join(small(whole), on).select("key", "fp"), "simhash-whole")
+    pivots = materialise(left.groupBy(F.col("key").alias("of")).agg(F.min("fp").alias("pivot")), "simhash-pivots")
+    joined = left.join(small(pivots), F.col("key") == F.col("of")).select(F.col("fp").alias("u"), F.col("pivot").alias("v"))
+    return found.unionByName(joined).filter("u <> v").distinct()
 
 
 def shingle_sets(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """(fp, shingles): the sorted shingle hashes of the first document of each fingerprint, as bytes."""
-    asked = distinct.select("fp", F.col("first.doc_id").alias("asked_id"), F.col("first.text_key").alias("asked_key"))
+    asked = small(distinct.select("fp", F.col("first.doc_id").alias("asked_id"), F.col("first.text_key").alias("asked_key")))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("text_key", F.xxhash64("text"))
     texts = rows.join(asked, (F.col("text_key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("fp", "text").dropDuplicates(["fp"])
 
@@ -509,8 +536,9 @@ def similar_links(
 ) -> DataFrame:
     """Edges (u, v) between wide fingerprints of texts of at least this similarity.
 
-    Fingerprints that meet in a shard within three deviations beyond the mean
-    distance at the threshold are chained to clusters.  Inside a cluster the
+    Texts are dealt to shards by their least shingles; fingerprints in a shard
+    within three deviations beyond the mean distance at the threshold are chained
+    to clusters.  Inside a cluster the
     shingle sets decide: a text is compared with those within the radius, near
     ones first, until it has a link to each group that it meets.  A cluster
     above ``shard_rows`` texts or ``block_shingles`` shingles is dealt in blocks
@@ -519,10 +547,10 @@ def similar_links(
     large group of near copies costs a few comparisons a member, no task holds
     more than a block, and no link that would join two groups is left out.
     """
-    width, differs = BITS * lanes, most_difference(similarity, SMALL)
+    width, differs = BITS * lanes, most_difference(similarity, 1)
     radius = math.ceil(width * differs + 3.0 * math.sqrt(width * differs * (1 - differs)))
-    keys = materialise(wide_keys(distinct, similarity, lanes, recall), "simhash-keys")
-    clusters = components(materialise(cluster_edges(keys, radius, shard_rows), "simhash-edges"))
+    edges = materialise(cluster_edges(distinct, radius, shard_rows, similarity, lanes, recall), "simhash-edges")
+    clusters = components(edges)
     clusters = clusters.unionByName(clusters.select(F.col("root").alias("node"), "root").distinct())
     met = materialise(distinct.join(clusters, F.col("fp") == F.col("node")).select("fp", "first", "n_shingles", F.col("root").alias("cluster")), "simhash-clusters")
     pivots = F.array_compact(F.array(*[F.min(F.when(F.pmod(F.xxhash64("fp"), F.lit(8)) == k, F.col("fp"))) for k in range(8)]))
@@ -535,8 +563,10 @@ def similar_links(
     everywhere = F.sequence(F.lit(0), F.col("n_blocks") - 1)
     dealt = rows.withColumn("block", F.explode(F.when(F.col("pivot"), everywhere).otherwise(F.array(F.pmod(F.xxhash64("fp"), F.col("n_blocks")).cast("int")))))
     links = materialise(block_links(dealt, radius, similarity), "simhash-links")
+    release(edges, met, sizes)
     large = rows.filter("n_blocks > 1")
     if large.isEmpty():
+        release(rows)
         return links
     return links.unionByName(cross_links(large, components(links), radius, similarity))
 
@@ -556,10 +586,10 @@ def simhash_groups(
         roots = components(links(distinct, radius, shard_rows))
     else:
         rows = materialise(wide_fingerprints(docs, doc_id, text, words, lanes), "simhash-fingerprints")
-        one = F.min(F.struct("doc_id", "text_key")).alias("first")
+        one = F.min(F.struct("doc_id", "text_key", "keys")).alias("first")
         distinct = materialise(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"), one, F.min("n_shingles").alias("n_shingles")), "simhash-distinct")
         roots = components(similar_links(distinct, docs, doc_id, text, words, similarity, lanes, shard_rows=shard_rows))
-    placed = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
+    placed = distinct.join(small(roots), F.col("fp") == F.col("node"), "left").select("fp", "first_id", "n", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "simhash-placed")
     # Written first: a join that reuses the grouping's shuffle couldn't split a group that a third of the rows are in.
     groups = materialise(placed.groupBy(F.col("root").alias("of")).agg(F.min("first_id").alias("component_id"), F.sum("n").alias("group_size")), "simhash-groups")
@@ -578,9 +608,13 @@ def representatives(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Rows that repeat the smallest id of their group are reduced to one.  Rows
     without an id stay, as no decision can name them.
     """
-    found = simhash_groups(docs, doc_id, text, words, similarity=similarity)
-    keep = found.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("kept_id")).distinct()
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(row, F.col(doc_id).alias("own_id"))
-    kept = rows.join(keep, F.col("own_id") == F.col("kept_id")).dropDuplicates(["kept_id"])
-    return kept.select("row.*").unionByName(rows.filter("own_id is null").select("row.*"))
+    found = simhash_groups(docs, doc_id, text, words, similarity=similarity).filter("doc_id is not null")
+    ids = materialise(found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n")), "simhash-ids")
+    # Those that go are few beside those that stay, and so are the repeated ones.
+    gone, twice = (small(materialise(ids.filter(f).select(F.col("doc_id").alias(name)), f"simhash-{name}")) for f, name in (("not stays", "gone"), ("stays and n > 1", "twice")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("own_id"))
+    left = rows.join(gone, F.col("own_id") == F.col("gone"), "left_anti")
+    if twice.isEmpty():
+        return left.select("row.*")
+    one = left.join(twice, F.col("own_id") == F.col("twice"), "left_semi").dropDuplicates(["own_id"])
+    return left.join(twice, F.col("own_id") == F.col("twice"), "left_anti").unionByName(one).select("row.*")

@@ -1,5 +1,5 @@
 """Tables that cut lineage, in the shared folder of the library's :mod:`missionspark.sources.storage`."""
 
-from ..sources.storage import discard, materialise, new_path, shared_dir
+from ..sources.storage import discard, materialise, new_path, release, shared_dir, small
 
-__all__ = ["discard", "materialise", "new_path", "shared_dir"]
+__all__ = ["discard", "materialise", "new_path", "release", "shared_dir", "small"]
