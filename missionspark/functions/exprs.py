@@ -16,10 +16,11 @@ def half_even(x: Column, digits: int) -> Column:
 
 
 def flat_metres(lat: Column, lon: Column, lat0: Column | float, lon0: Column | float) -> Column:
-    """Distance on a plane that touches the earth at (lat0, lon0)."""
+    """Distance on a plane that touches the earth at (lat0, lon0); the short way over the date line."""
     lat0, lon0 = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lat0, lon0))
     north = (lat - lat0) * EARTH_M_PER_DEGREE
-    east = (lon - lon0) * EARTH_M_PER_DEGREE * F.cos(F.radians(lat0))
+    apart = lon - lon0
+    east = F.when(F.abs(apart) > 180, apart - F.signum(apart) * 360).otherwise(apart) * EARTH_M_PER_DEGREE * F.cos(F.radians(lat0))
     return F.sqrt(north * north + east * east)
 
 

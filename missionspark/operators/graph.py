@@ -33,19 +33,33 @@ def node_deltas(tracks: DataFrame, samples: DataFrame) -> DataFrame:
     return both.select("mission_id", "node_id", F.least("t0", "g0").alias("t_sec"), F.when(F.col("t0").isNotNull(), "track").otherwise("region").alias("kind"), F.coalesce("label", "node_id").alias("label"))
 
 
-def edge_events(edges: DataFrame) -> DataFrame:
-    """Events of intervals: a region entered and left, a nearest band approached.
+def edge_events(edges: DataFrame, samples: DataFrame, regions: DataFrame) -> DataFrame:
+    """Events of relation intervals: (mission_id, edge_id, type, participants, start_sec, end_sec, evidence_id).
 
-    Containment of a subject in another is entering it at the start and leaving
-    it at the end; the band up to two metres is an approach.
+    What a region (mission_id, region_id) contains has entered it at the start of
+    the interval, and left it at its own first sample after the end, if there is
+    one.  A band up to two metres is an approach, a support puts its object down.
     """
+    from .joins import asof
+
     near = f"{BANDS[0][0]:.3f}-{BANDS[0][1]:.3f}"
-    kinds = F.when(F.col("predicate") == "contains", F.array(F.struct(F.lit("entered_region").alias("type"), F.col("start_sec").alias("at")), F.struct(F.lit("left_region").alias("type"), F.col("end_sec").alias("at")))).when(
-        (F.col("predicate") == "distance_band") & (F.col("band") == near), F.array(F.struct(F.lit("approached").alias("type"), F.col("start_sec").alias("at")))
+    r = regions.select(F.col("mission_id").alias("r_m"), F.col("region_id").alias("r_id")).distinct()
+    inside = edges.filter("predicate = 'contains'").join(r, (F.col("mission_id") == F.col("r_m")) & (F.col("subject_id") == F.col("r_id")), "left_semi")
+
+    def rows(found: DataFrame, kind: str, who: tuple[str, str]) -> DataFrame:
+        return found.select("mission_id", "edge_id", F.lit(kind).alias("type"), F.array(*who).alias("participants"), "start_sec", (F.col("start_sec") + EVENT_SEC).alias("end_sec"), "evidence_id")
+
+    # The first sample at or after a time is the last one at or before it on the clock turned round.
+    turned = samples.select("mission_id", F.col("subject_id").alias("object_id"), (-F.col("t_sec")).alias("t_sec"), F.col("t_sec").alias("at"))
+    ends = inside.select(F.col("edge_id").alias("query_id"), "mission_id", "object_id", (-F.col("end_sec")).alias("t_sec"))
+    later = asof(ends, turned, ["mission_id", "object_id"], ["at"], tolerance=0.0).filter("at is not null").select(F.col("query_id").alias("of"), "at")
+    left = inside.join(later, F.col("edge_id") == F.col("of")).withColumn("start_sec", F.col("at"))
+    object_first, subject_first = ("object_id", "subject_id"), ("subject_id", "object_id")
+    return (
+        rows(inside, "entered_region", object_first).unionByName(rows(left, "left_region", object_first))
+        .unionByName(rows(edges.filter((F.col("predicate") == "distance_band") & (F.col("band") == near)), "approached", subject_first))
+        .unionByName(rows(edges.filter("predicate = 'supports'"), "put_down", object_first))
     )
-    rows = edges.select("mission_id", "edge_id", "subject_id", "object_id", "evidence_id", F.explode(kinds).alias("e"))
-    who = F.when(F.col("e.type") == "approached", F.col("subject_id")).otherwise(F.col("object_id"))
-    return rows.select("mission_id", "edge_id", F.col("e.type").alias("type"), who.alias("participant"), F.col("e.at").alias("start_sec"), (F.col("e.at") + EVENT_SEC).alias("end_sec"), "evidence_id")
 
 
 def picked_up(edges: DataFrame, samples: DataFrame) -> DataFrame:
@@ -74,33 +88,150 @@ def context(edges: DataFrame, samples: DataFrame) -> DataFrame:
     return tracks.join(by_mission, "mission_id", "full").select("mission_id", F.to_json(F.struct("trajectories", "edges")).alias("document"))
 
 
-def verify_claims(claims: DataFrame, edges: DataFrame, events: DataFrame, counts: DataFrame) -> DataFrame:
-    """Status of open claims, the first rule that speaks wins.
+# Fixed values of the claim rules.
+GEOMETRIC = ("contains", "intersects", "distance_band", "supports", "contacts", "left_of", "right_of", "above", "below", "visible", "occludes", "relative_motion")
+OPPOSITE = {"left_of": "right_of", "right_of": "left_of", "above": "below", "below": "above"}
+NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
+ACTIVE = ("tentative", "confirmed", "occluded")
+MOST_RESIDUAL_M, MOST_COVARIANCE = 0.5, 1.0
 
-    A count claim is accepted where the active tracks are as many as it says; a
-    geometry claim where an accepted edge of its predicate overlaps it, and
-    rejected where only the opposite one does; an action claim where an accepted
-    event of its subject overlaps it.  Others are uncertain.
-    """
-    from .joins import overlaps
 
-    opposite = F.create_map(*[F.lit(x) for x in ("left_of", "right_of", "right_of", "left_of", "above", "below", "below", "above")])
-    accepted = edges.filter("status = 'accepted'").select("mission_id", "subject_id", "start_sec", "end_sec", F.col("predicate").alias("held"))
-    wide = claims.select("claim_id", "mission_id", "subject_id", "predicate", "start_sec", "end_sec")
-    met = overlaps(wide, accepted, ["mission_id", "subject_id"]).groupBy(F.col("claim_id").alias("g")).agg(
-        F.max(F.col("r_held") == F.col("predicate")).alias("same"), F.max(F.coalesce(F.col("r_held") == opposite[F.col("predicate")], F.lit(False))).alias("against")
+def singular(label: Column) -> Column:
+    return F.regexp_replace(F.lower(label), "s+$", "")
+
+
+def said_count(text: Column) -> tuple[Column, Column]:
+    """(number, label) of a text that begins with a count ("two cars ..."); null without one."""
+    words = F.split(F.trim(F.regexp_replace(F.lower(text), r"[-\s]+", " ")), " ")
+    first, label = F.get(words, F.lit(0)), F.nullif(singular(F.get(words, F.lit(1))), F.lit(""))
+    known = F.create_map(*[x for k, w in enumerate(NUMBER_WORDS) for x in (F.lit(w), F.lit(k))])
+    number = F.coalesce(F.when(first.rlike(r"^\d{1,9}$"), first.cast("int")), F.try_element_at(known, first))
+    ok = number.isNotNull() & label.isNotNull()
+    return F.when(ok, number), F.when(ok, label)
+
+
+def counted(claims: DataFrame, tracks: DataFrame) -> DataFrame:
+    """(claim_id, actual): tracks of the claim's label whose latest state at its start is an active one."""
+    from .joins import asof
+
+    rows = tracks.withColumn("label", singular(F.col("label"))).select("mission_id", "label", "track_id", "t_sec", "state")
+    seen = rows.select("mission_id", "label", "track_id").distinct()
+    asks = claims.select("claim_id", "mission_id", F.col("said_label").alias("label"), F.coalesce("start_sec", F.lit(0.0)).alias("t_sec")).join(seen, ["mission_id", "label"])
+    asks = asks.withColumn("query_id", F.struct("claim_id", "track_id"))
+    last = asof(asks, rows, ["mission_id", "label", "track_id"], ["state"])
+    return last.filter(F.col("state").isin(*ACTIVE)).groupBy(F.col("query_id.claim_id").alias("counted_id")).agg(F.count("*").alias("actual"))
+
+
+def nearest_pairs(claims: DataFrame, samples: DataFrame) -> DataFrame:
+    """(claim_id, l, r, has_l, has_r): the samples of both subjects nearest in time inside the claim's interval.
+
+    Of equal gaps the earlier subject sample, then the earlier object sample.
+    Each subject sample looks at the object samples just before and after it.
+    """
+    from .joins import asof, points_in_intervals
+
+    columns = [c for c in samples.columns if c not in ("mission_id", "subject_id")]
+    own = samples.select("mission_id", "subject_id", "t_sec", F.struct(*columns).alias("sample"))
+    span = claims.select("claim_id", "mission_id", "subject_id", "object_id", "start_sec", "end_sec")
+
+    def inside(who: str) -> DataFrame:
+        return points_in_intervals(span.select("claim_id", "mission_id", F.col(who).alias("subject_id"), F.col("object_id").alias("other"), "start_sec", "end_sec"), own, ["mission_id", "subject_id"], 8.0)
+
+    left = inside("subject_id").select("claim_id", "mission_id", "other", "start_sec", "end_sec", F.col("p_t_sec").alias("t"), F.col("p_sample").alias("l"))
+    asks = left.select(F.struct("claim_id", "t").alias("query_id"), "mission_id", F.col("other").alias("subject_id"), F.col("t").alias("t_sec"))
+    state = own.select("mission_id", "subject_id", "t_sec", "sample")
+    before = asof(asks, state, ["mission_id", "subject_id"], ["sample"], tolerance=0.0)
+    turned = lambda df: df.withColumn("t_sec", -F.col("t_sec"))
+    after = asof(turned(asks), turned(state), ["mission_id", "subject_id"], ["sample"], tolerance=0.0)
+    near = before.select("query_id", "sample").unionByName(after.select("query_id", "sample")).filter("sample is not null").select(F.col("query_id.claim_id").alias("n_id"), F.col("query_id.t").alias("n_t"), F.col("sample").alias("r"))
+    met = left.join(near, (F.col("claim_id") == F.col("n_id")) & (F.col("t") == F.col("n_t"))).filter((F.col("r.t_sec") >= F.col("start_sec")) & (F.col("r.t_sec") < F.col("end_sec")))
+    best = met.groupBy(F.col("claim_id").alias("pair_id")).agg(F.min_by(F.struct("l", "r"), F.struct(F.abs(F.col("t") - F.col("r.t_sec")), "t", "r.t_sec")).alias("p"))
+    has = lambda who, name: inside(who).select(F.col("claim_id").alias(f"{name}_id")).distinct()
+    rows = span.select("claim_id").join(best, F.col("claim_id") == F.col("pair_id"), "left")
+    rows = rows.join(has("subject_id", "has_l"), F.col("claim_id") == F.col("has_l_id"), "left").join(has("object_id", "has_r"), F.col("claim_id") == F.col("has_r_id"), "left")
+    return rows.select(F.col("claim_id").alias("pair_id"), F.col("p.l").alias("l"), F.col("p.r").alias("r"), F.col("has_l_id").isNotNull().alias("has_l"), F.col("has_r_id").isNotNull().alias("has_r"))
+
+
+def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links: DataFrame, samples: DataFrame, edges: DataFrame, metric_missions: DataFrame) -> DataFrame:
+    """(claim_id, mission_id, status, reason, needs_review): the first rule that speaks for a claim decides.
+
+    ``claims`` has (claim_id, mission_id, claim_kind, text, predicate, subject_id,
+    object_id, start_sec, end_sec, band_low, band_high).  In order: identity needs
+    a link of the tracker (mission_id, track_id); a count is compared with the
+    active tracks of its label; a geometric predicate is worked out anew from
+    stored samples, behind its gates (known ids, lifetime, metric scale,
+    calibration, residual, covariance, speed, band); an event has no evidence but
+    the model's word; ids that nobody knows are refused; the rest needs review.
+    ``samples`` has residual_m and covariance beside the columns of the relations.
+    Without an interval a claim counts for the whole mission.
+    """
+    from .intervals import METRIC, infeasible, predicates
+    from .joins import asof, motion_in, overlaps
+
+    number, label = said_count(F.col("text"))
+    span = samples.groupBy(F.col("mission_id").alias("span_m")).agg(F.min("t_sec").alias("low"), (F.max("t_sec") + 1e-6).alias("high"))
+    rows = claims.withColumn("said", number).withColumn("said_label", label).withColumn("bounded", F.col("start_sec").isNotNull() & F.col("end_sec").isNotNull())
+    geometric = F.coalesce(F.col("predicate").isin(*GEOMETRIC), F.lit(False))
+    identity = F.coalesce(F.col("predicate").isin("same_as", "identity"), F.lit(False)) | F.coalesce(F.lower("text").contains("same object"), F.lit(False))
+    rows = rows.withColumn("rule", F.when(identity, "identity").when(F.col("said").isNotNull() & ~geometric, "count").when(geometric, "geometry").when(F.col("claim_kind") == "event", "event").otherwise("open"))
+    linked = links.select(F.col("mission_id").alias("link_m"), F.col("track_id").alias("link_t")).distinct()
+    rows = rows.join(linked, (F.col("mission_id") == F.col("link_m")) & (F.col("subject_id") == F.col("link_t")), "left")
+    rows = rows.join(counted(rows.filter("rule = 'count'"), tracks), F.col("claim_id") == F.col("counted_id"), "left")
+    ids = nodes.select("mission_id", F.col("node_id").alias("id")).unionByName(tracks.select("mission_id", F.col("track_id").alias("id"))).distinct().withColumn("stored", F.lit(False))
+    sampled = samples.select("mission_id", F.col("subject_id").alias("id")).distinct().withColumn("stored", F.lit(True))
+    ids = ids.unionByName(sampled).groupBy("mission_id", "id").agg(F.max("stored").alias("stored"), F.min("stored").alias("only_stored"))
+    for who in ("subject", "object"):
+        known = ids.select(F.col("mission_id").alias(f"{who}_m"), F.col("id").alias(f"{who}_known"), F.col("stored").alias(f"{who}_stored"), (~F.col("only_stored")).alias(f"{who}_named"))
+        rows = rows.join(known, (F.col("mission_id") == F.col(f"{who}_m")) & (F.col(f"{who}_id") == F.col(f"{who}_known")), "left")
+    asked = rows.filter("rule = 'geometry'").join(span, F.col("mission_id") == F.col("span_m"), "left")
+    asked = asked.withColumn("start_sec", F.when(F.col("bounded"), F.col("start_sec")).otherwise(F.col("low"))).withColumn("end_sec", F.when(F.col("bounded"), F.col("end_sec")).otherwise(F.col("high")))
+    rows = rows.join(nearest_pairs(asked, samples), F.col("claim_id") == F.col("pair_id"), "left")
+    moved = motion_in(asked.select("claim_id", "mission_id", "subject_id", "start_sec", "end_sec"), samples.select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz"), ["mission_id", "subject_id"], "claim_id")
+    rows = rows.join(moved.select(F.col("claim_id").alias("moved_id"), F.when(F.col("n") >= 2, F.col("moved_m")).alias("moved_m")), F.col("claim_id") == F.col("moved_id"), "left")
+    bad = infeasible(samples).select(F.col("mission_id").alias("bad_m"), F.col("subject_id").alias("bad_s"))
+    for who in ("subject", "object"):
+        rows = rows.join(bad.select(F.col("bad_m").alias(f"{who}_bm"), F.col("bad_s").alias(f"{who}_bad")), (F.col("mission_id") == F.col(f"{who}_bm")) & (F.col(f"{who}_id") == F.col(f"{who}_bad")), "left")
+    rows = rows.join(metric_missions.select(F.col("mission_id").alias("metric_m")).distinct(), F.col("mission_id") == F.col("metric_m"), "left")
+    looks = rows.filter("predicate = 'visible' and l is not null").select(F.col("claim_id").alias("query_id"), "mission_id", F.col("subject_id").alias("track_id"), F.col("l.t_sec").alias("t_sec"))
+    looks = asof(looks, tracks.select("mission_id", "track_id", "t_sec", "state"), ["mission_id", "track_id"], ["state"])
+    rows = rows.join(looks.select(F.col("query_id").alias("looked"), F.col("state").alias("seen_state")), F.col("claim_id") == F.col("looked"), "left")
+    opposite = F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair])
+    turned = rows.filter("rule = 'geometry'").select("claim_id", "mission_id", "subject_id", "object_id", F.try_element_at(opposite, F.col("predicate")).alias("predicate"), F.coalesce("start_sec", F.lit(-1e9)).alias("start_sec"), F.coalesce("end_sec", F.lit(1e9)).alias("end_sec"))
+    against = overlaps(turned.filter("predicate is not null and start_sec > -1e9 and end_sec < 1e9"), edges.filter("status = 'accepted'").select("mission_id", "subject_id", "object_id", "predicate", "start_sec", "end_sec"), ["mission_id", "subject_id", "object_id", "predicate"], how="left_semi")
+    rows = rows.join(against.select(F.col("claim_id").alias("against_id")).distinct(), F.col("claim_id") == F.col("against_id"), "left")
+    flat = rows.select("*", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m", "metric_scale", "calibration_id", "residual_m", "covariance")])
+    needs_metric = F.col("predicate").isin(*METRIC)
+
+    def gate(s: str) -> Column:
+        return (
+            F.when(needs_metric & ((F.col(f"{s}_metric_scale") != "metric") | F.col(f"{s}_calibration_id").isNull()), "metric_scale_missing")
+            .when(F.col(f"{s}_residual_m") > MOST_RESIDUAL_M, "uncertainty_gate").when(needs_metric & (F.col(f"{s}_covariance") > MOST_COVARIANCE), "uncertainty_gate")
+        )
+
+    distance = distance_3d(tuple(F.col(f"l_c{a}") for a in "xyz"), tuple(F.col(f"r_c{a}") for a in "xyz"))
+    holds = F.coalesce(*[F.when(F.col("predicate") == p, c) for p, c in predicates().items()], F.when(F.col("predicate") == "distance_band", (distance >= F.col("band_low")) & (distance <= F.col("band_high"))), F.when(F.col("predicate") == "relative_motion", F.col("moved_m") > MOVED_M), F.lit(False))
+    is_known = lambda who: F.col(f"{who}_known").isNotNull()
+    pair = F.col("l").isNotNull()
+    tell = lambda cond, status, reason: F.when(cond, F.struct(F.lit(status).alias("status"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("reason")))
+    gated = F.coalesce(gate("l"), gate("r"), F.when(F.col("subject_bad").isNotNull() | F.col("object_bad").isNotNull(), "uncertainty_gate"))
+    active = F.coalesce(F.col("seen_state").isin(*ACTIVE), F.lit(False))
+    geometry = F.coalesce(
+        tell(~is_known("subject") | ~is_known("object"), "rejected", "dangling_id"),
+        tell(F.col("bounded") & (~F.col("has_l") | ~F.col("has_r")) & (F.coalesce("subject_stored", F.lit(False)) | F.coalesce("object_stored", F.lit(False))), "rejected", "lifetime_disjoint"),
+        tell(~pair, "uncertain", "missing_geometry"), tell(needs_metric & F.col("metric_m").isNull(), "uncertain", "metric_scale_missing"), tell(gated.isNotNull(), "uncertain", gated),
+        tell((F.col("predicate") == "distance_band") & F.col("band_low").isNull(), "uncertain", "missing_distance_band"),
+        tell((F.col("predicate") == "visible") & ~active, "uncertain", "missing_evidence"), tell(holds | (F.col("predicate") == "visible"), "accepted", F.lit(None)),
+        tell(F.col("against_id").isNotNull(), "rejected", "mutually_exclusive"), tell(F.lit(True), "rejected", "geometry_contradiction"),
     )
-    acts = events.filter("status = 'accepted'").select("mission_id", F.col("participant").alias("subject_id"), "start_sec", "end_sec")
-    acted = overlaps(wide, acts, ["mission_id", "subject_id"], how="left_semi").select(F.col("claim_id").alias("a"))
-    n = counts.select(F.col("mission_id").alias("c_m"), F.col("t_sec").alias("c_t"), F.col("n").alias("active"))
-    rows = claims.join(met, F.col("claim_id") == F.col("g"), "left").join(acted, F.col("claim_id") == F.col("a"), "left").join(n, (F.col("mission_id") == F.col("c_m")) & (F.col("start_sec") == F.col("c_t")), "left")
-    kind = F.col("claim_kind")
-    status = F.coalesce(
-        F.when((kind == "count") & F.col("active").isNotNull(), F.when(F.col("active") == F.col("said"), "accepted").otherwise("rejected")),
-        F.when((kind == "geometry") & F.col("same"), F.lit("accepted")), F.when((kind == "geometry") & F.col("against"), F.lit("rejected")),
-        F.when((kind == "action") & F.col("a").isNotNull(), F.lit("accepted")), F.lit("uncertain"),
+    unknown = lambda who: F.col(f"{who}_id").isNotNull() & ~F.coalesce(F.col(f"{who}_named"), F.lit(False))
+    actual = F.coalesce("actual", F.lit(0))
+    verdict = F.coalesce(
+        tell((F.col("rule") == "identity") & F.col("link_t").isNotNull(), "accepted", F.lit(None)), tell(F.col("rule").isin("identity", "event"), "uncertain", "vlm_not_sole_evidence"),
+        tell((F.col("rule") == "count") & (actual == F.col("said")) & (F.col("said") > 0), "accepted", F.lit(None)), tell(F.col("rule") == "count", "rejected", "count_mismatch"),
+        F.when(F.col("rule") == "geometry", geometry), tell(unknown("subject") | unknown("object"), "rejected", "dangling_id"), tell(F.lit(True), "uncertain", F.lit(None)),
     )
-    return rows.select("claim_id", "mission_id", "claim_kind", status.alias("status"))
+    review = (F.col("rule") == "open") & ~unknown("subject") & ~unknown("object")
+    return flat.select("claim_id", "mission_id", "claim_kind", verdict.alias("v"), review.alias("needs_review")).select("claim_id", "mission_id", "claim_kind", "v.status", "v.reason", "needs_review")
 
 
 def uncertainty_gates(samples: DataFrame, most_residual: float = 0.5, most_covariance: float = 1.0) -> DataFrame:
@@ -130,19 +261,41 @@ def audit(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(b, F.col("claim_id") == F.col("b")).filter("status <> was").select("claim_id", "was", "status")
 
 
-def answers(events: DataFrame, edges: DataFrame) -> DataFrame:
-    """Questions from templates that have one answer in their mission.
+STATES = ("picked_up", "put_down", "left_region", "approached")
+
 
-    When a type of event happened to a participant, how often, and what was left
-    of a subject; several answers to one question give none.
+def answers(events: DataFrame, tracks: DataFrame, edges: DataFrame) -> DataFrame:
+    """Questions from templates that have one answer in their mission: (mission_id, template, about, answer, cite).
+
+    ``events`` has participants (the thing acted on last), label (what a count
+    is of), n_evidence and evidence_ref.  Who entered a region that was entered
+    once; how many of a label were active when its count first changed, if all
+    participants have the label; who did what happened once in the mission, of
+    four kinds of change; what is left of a subject; where the earliest evidence
+    is stored.  Several answers to a question, or none with evidence, give no row.
     """
-    ok = events.filter("status = 'accepted' and n_evidence > 0")
-    when = ok.groupBy("mission_id", "type", "participant").agg(F.count("*").alias("n"), F.min("start_sec").alias("at"), F.min("event_id").alias("cite"))
-    single = when.filter("n = 1").select("mission_id", F.lit("when").alias("template"), F.concat_ws(" ", F.lit("when"), "type", "participant").alias("question"), F.col("at").cast("string").alias("answer"), "cite")
-    count = when.select("mission_id", F.lit("count").alias("template"), F.concat_ws(" ", F.lit("how often"), "type", "participant").alias("question"), F.col("n").cast("string").alias("answer"), "cite")
-    left = edges.filter("status = 'accepted' and predicate = 'left_of'").groupBy("mission_id", "object_id").agg(F.countDistinct("subject_id").alias("n"), F.min("subject_id").alias("answer"), F.min("edge_id").alias("cite"))
-    side = left.filter("n = 1").select("mission_id", F.lit("left_of").alias("template"), F.concat_ws(" ", F.lit("what is left of"), "object_id").alias("question"), "answer", "cite")
-    return single.unionByName(count).unionByName(side)
+    ok = events.filter("status = 'accepted'").withColumn("other", F.element_at("participants", -1)).withColumn("who", F.array_except("participants", F.array("other")))
+    ok = ok.withColumn("actors", F.size("who")).withColumn("who", F.get("who", F.lit(0)))
+    row = F.struct("event_id", "who", "actors", "n_evidence", F.size("participants").alias("n"))
+    once = lambda found: found.filter("times = 1 and one.n >= 2 and one.actors = 1 and one.n_evidence > 0")
+    entered = once(ok.filter("type = 'entered_region'").groupBy("mission_id", "other").agg(F.count("*").alias("times"), F.first(row).alias("one")))
+    entered = entered.select("mission_id", F.lit("entered").alias("template"), F.col("other").alias("about"), F.col("one.who").alias("answer"), F.col("one.event_id").alias("cite"))
+    changed = once(ok.filter(F.col("type").isin(*STATES)).groupBy("mission_id", "type").agg(F.count("*").alias("times"), F.first(row).alias("one"), F.first("other").alias("other")))
+    changed = changed.select("mission_id", F.lit("state_change").alias("template"), F.concat_ws(" ", "type", "other").alias("about"), F.col("one.who").alias("answer"), F.col("one.event_id").alias("cite"))
+    counts = ok.filter("type = 'count_changed'").withColumn("label", singular(F.col("label")))
+    first = counts.groupBy("mission_id", "label").agg(F.min("start_sec").alias("at"))
+    at_first = counts.join(first.select(F.col("mission_id").alias("m"), F.col("label").alias("l"), "at"), (F.col("mission_id") == F.col("m")) & (F.col("label") == F.col("l")) & (F.col("start_sec") - F.col("at") <= 1e-6))
+    single = at_first.groupBy("mission_id", "label").agg(F.count("*").alias("times"), F.first("event_id").alias("event_id"), F.first("participants").alias("participants")).filter("times = 1")
+    named = tracks.groupBy(F.col("mission_id").alias("m"), F.col("track_id").alias("t")).agg(singular(F.max_by("label", "t_sec")).alias("is"))
+    each = single.select("mission_id", "label", "event_id", F.explode("participants").alias("p")).join(named, (F.col("mission_id") == F.col("m")) & (F.col("p") == F.col("t")), "left")
+    alike = each.groupBy("mission_id", "label", "event_id").agg(F.bool_and(F.coalesce(F.col("is") == F.col("label"), F.lit(False))).alias("all"), F.count("*").alias("n")).filter("all")
+    count = alike.select("mission_id", F.lit("count").alias("template"), F.col("label").alias("about"), F.col("n").cast("string").alias("answer"), F.col("event_id").alias("cite"))
+    left = edges.filter("status = 'accepted' and predicate = 'left_of'").groupBy(F.col("mission_id").alias("m"), "object_id").agg(F.countDistinct("subject_id").alias("times"), F.min("subject_id").alias("subject")).filter("times = 1")
+    support = ok.filter("n_evidence > 0").select("mission_id", F.explode("participants").alias("p"), "start_sec", "event_id").groupBy("mission_id", "p").agg(F.min(F.struct("start_sec", "event_id")).alias("first"))
+    side = left.join(support, (F.col("m") == F.col("mission_id")) & (F.col("subject") == F.col("p"))).select("mission_id", F.lit("left_of").alias("template"), F.col("object_id").alias("about"), F.col("subject").alias("answer"), F.col("first.event_id").alias("cite"))
+    stored = ok.filter("n_evidence > 0 and evidence_ref is not null").groupBy("mission_id").agg(F.min(F.struct("start_sec", "event_id", "evidence_ref")).alias("e"))
+    where = stored.select("mission_id", F.lit("evidence").alias("template"), F.col("e.event_id").cast("string").alias("about"), F.col("e.evidence_ref").alias("answer"), F.col("e.event_id").alias("cite"))
+    return entered.unionByName(changed).unionByName(count).unionByName(side).unionByName(where)
 
 
 def parse_claims(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,16 +313,37 @@ def parse_claims(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select("text_id", "place", *[F.col("m")[c].alias(c) for c in ("claim_kind", "text", "subject_id", "predicate", "object_id")]), rows.filter("bad").select("text_id")
 
 
-def check_geometry(edges: DataFrame, relations: DataFrame) -> DataFrame:
-    """Accepted edges that don't hold at the last co-time inside their interval.
+def check_geometry(edges: DataFrame, samples: DataFrame, metric_missions: DataFrame) -> DataFrame:
+    """Issues of accepted edges (mission_id, edge_id, code) against stored geometry.
 
-    ``relations`` has what holds at each time: (mission_id, at, l_subject_id, r_subject_id, predicate).
+    A metric predicate needs a metric mission; both subjects need a sample inside
+    the interval; their last ones there have to agree with the predicate (and its
+    band_low and band_high), motion with the first and the last of the subject.
     """
-    keys = (F.col("mission_id") == F.col("m")) & (F.col("subject_id") == F.col("l")) & (F.col("object_id") == F.col("r"))
-    times = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), "at").distinct()
-    last = edges.filter("status = 'accepted'").join(times, keys & (F.col("at") >= F.col("start_sec")) & (F.col("at") < F.col("end_sec"))).groupBy("edge_id", "mission_id", "subject_id", "object_id", "predicate").agg(F.max("at").alias("last_at"))
-    held = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), F.col("predicate").alias("p"), "at")
-    return last.join(held, keys & (F.col("last_at") == F.col("at")) & (F.col("predicate") == F.col("p")), "left_anti").select("edge_id", "predicate", "last_at")
+    from .intervals import METRIC, predicates
+    from .joins import asof, motion_in, prefixed
+
+    ok = edges.filter("status = 'accepted'")
+    columns = ["t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m"]
+    state = samples.select("mission_id", "subject_id", "t_sec", F.struct(*columns).alias("sample"))
+
+    def last(who: str, prefix: str) -> DataFrame:
+        asks = ok.select(F.col("edge_id").alias("query_id"), "mission_id", F.col(who).alias("subject_id"), F.col("end_sec").alias("t_sec"))
+        found = asof(asks, state, ["mission_id", "subject_id"], ["sample"], tolerance=0.0, strict=True).select("query_id", "sample.*")
+        return prefixed(found, prefix)
+
+    rows = ok.join(last("subject_id", "l_"), F.col("edge_id") == F.col("l_query_id")).join(last("object_id", "r_"), F.col("edge_id") == F.col("r_query_id"))
+    moved = motion_in(ok.select("edge_id", "mission_id", "subject_id", "start_sec", "end_sec"), samples.select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz"), ["mission_id", "subject_id"], "edge_id")
+    rows = rows.join(moved.select(F.col("edge_id").alias("moved_id"), F.when(F.col("n") >= 2, F.col("moved_m")).alias("moved_m")), F.col("edge_id") == F.col("moved_id"), "left")
+    rows = rows.join(metric_missions.select(F.col("mission_id").alias("metric_m")).distinct(), F.col("mission_id") == F.col("metric_m"), "left")
+    inside = F.coalesce((F.col("l_t_sec") >= F.col("start_sec")) & (F.col("r_t_sec") >= F.col("start_sec")), F.lit(False))
+    distance = distance_3d(tuple(F.col(f"l_c{a}") for a in "xyz"), tuple(F.col(f"r_c{a}") for a in "xyz"))
+    holds = F.coalesce(
+        *[F.when(F.col("predicate") == p, c) for p, c in predicates().items()], F.when(F.col("predicate") == "distance_band", (distance >= F.col("band_low")) & (distance <= F.col("band_high"))),
+        F.when(F.col("predicate") == "relative_motion", F.col("moved_m") > MOVED_M), F.col("predicate") == "visible",
+    )
+    codes = F.array(F.when(F.col("predicate").isin(*METRIC) & F.col("metric_m").isNull(), "metric_predicate"), F.when(~inside, "no_geometry"), F.when(inside & ~F.coalesce(holds, F.lit(False)), "contradiction"))
+    return rows.select("mission_id", "edge_id", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
 
 
 def recheck(events: DataFrame, relations: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,36 +23,40 @@ def _box(p: str) -> tuple[list[Column], list[Column]]:
     return low, [F.col(f"{p}c{a}") + F.col(f"{p}e{a}") / 2 for a in "xyz"]
 
 
+def predicates(left: str = "l_", right: str = "r_") -> dict[str, Column]:
+    """When each geometric predicate holds between two samples, whose columns have these prefixes."""
+    (ll, lh), (rl, rh) = _box(left), _box(right)
+    every = lambda parts: functools.reduce(lambda x, y: x & y, parts)
+    over = every([(ll[k] <= rh[k]) & (rl[k] <= lh[k]) for k in range(2)])
+    touch = over & (F.abs(rl[2] - lh[2]) <= CONTACT_GAP_M)
+    x, z = ((F.col(f"{left}c{a}"), F.col(f"{right}c{a}")) for a in "xz")
+    return {
+        "contains": every([(ll[k] <= rl[k]) & (rh[k] <= lh[k]) for k in range(3)]), "intersects": every([(ll[k] <= rh[k]) & (rl[k] <= lh[k]) for k in range(3)]),
+        "left_of": x[0] + AXIS_TOLERANCE_M < x[1], "right_of": x[0] > x[1] + AXIS_TOLERANCE_M,
+        "above": z[0] > z[1] + AXIS_TOLERANCE_M, "below": z[0] + AXIS_TOLERANCE_M < z[1],
+        "supports": touch, "contacts": touch, "occludes": (F.col(f"{left}depth_m") + AXIS_TOLERANCE_M < F.col(f"{right}depth_m")) & over,
+    }
+
+
 def relations(samples: DataFrame) -> DataFrame:
     """Predicates that hold between two subjects at one time.
 
-    (mission_id, at, l_subject_id, r_subject_id, predicate, band, sample_id).
+    (mission_id, at, l_subject_id, r_subject_id, predicate, band, sample_id, tick,
+    next_at): tick numbers the pair's co-times, next_at is the following one.
     Symmetric ones are given once, metric ones where both samples are metric.
     """
-    (ll, lh), (rl, rh) = _box("l_"), _box("r_")
     distance = distance_3d(tuple(F.col(f"l_c{a}") for a in "xyz"), tuple(F.col(f"r_c{a}") for a in "xyz"))
-    both = lambda parts: [p for p in parts]
-    every = lambda parts: F.expr("true") if not parts else parts[0] if len(parts) == 1 else parts[0] & every(parts[1:])
-    over = every(both([(ll[k] <= rh[k]) & (rl[k] <= lh[k]) for k in range(2)]))
     metric = (F.col("l_metric_scale") == "metric") & (F.col("r_metric_scale") == "metric")
     once = F.col("l_subject_id") < F.col("r_subject_id")
-    near = F.abs(rl[2] - lh[2]) <= CONTACT_GAP_M
-    x, y = (F.col("l_cx"), F.col("r_cx")), (F.col("l_cz"), F.col("r_cz"))
-    holds = {
-        "contains": every([(ll[k] <= rl[k]) & (rh[k] <= lh[k]) for k in range(3)]),
-        "intersects": once & every([(ll[k] <= rh[k]) & (rl[k] <= lh[k]) for k in range(3)]),
-        "left_of": x[0] + AXIS_TOLERANCE_M < x[1], "right_of": x[0] > x[1] + AXIS_TOLERANCE_M,
-        "above": y[0] > y[1] + AXIS_TOLERANCE_M, "below": y[0] + AXIS_TOLERANCE_M < y[1],
-        "supports": metric & over & near, "contacts": once & metric & over & near,
-        "occludes": (F.col("l_depth_m") + AXIS_TOLERANCE_M < F.col("r_depth_m")) & over,
-    }
+    holds = {p: c & (once if p in SYMMETRIC else F.lit(True)) & (metric if p in METRIC else F.lit(True)) for p, c in predicates().items()}
     band = F.coalesce(*[F.when((distance >= low) & (distance <= high), F.lit(f"{low:.3f}-{high:.3f}")) for low, high in BANDS])
     none = F.lit("")
     found = F.array(*[F.when(c, F.struct(F.lit(p).alias("predicate"), none.alias("band"))) for p, c in holds.items()], F.when(once & metric & band.isNotNull(), F.struct(F.lit("distance_band").alias("predicate"), band.alias("band"))))
-    pairs = cotime_pairs(samples)
+    order = Window.partitionBy("l_mission_id", "l_subject_id", "r_subject_id").orderBy("l_at")
+    pairs = cotime_pairs(samples).withColumn("tick", F.row_number().over(order)).withColumn("next_at", F.lead("l_at").over(order))
     return pairs.select(
-        F.col("l_mission_id").alias("mission_id"), F.col("l_at").alias("at"), "l_subject_id", "r_subject_id", F.col("l_sample_id").alias("sample_id"), F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")
-    ).select("mission_id", "at", "l_subject_id", "r_subject_id", "sample_id", "f.predicate", "f.band")
+        F.col("l_mission_id").alias("mission_id"), F.col("l_at").alias("at"), "l_subject_id", "r_subject_id", F.col("l_sample_id").alias("sample_id"), "tick", "next_at", F.explode(F.filter(found, lambda f: f.isNotNull())).alias("f")
+    ).select("mission_id", "at", "l_subject_id", "r_subject_id", "sample_id", "f.predicate", "f.band", "tick", "next_at")
 
 
 def relation_intervals(samples: DataFrame) -> DataFrame:
@@ -60,11 +65,8 @@ def relation_intervals(samples: DataFrame) -> DataFrame:
     A run ends at the pair's first co-time at which it doesn't hold, or a second
     after the pair's last co-time.  The run's last sample is the evidence.
     """
-    pairs = cotime_pairs(samples).select(F.col("l_mission_id").alias("mission_id"), F.col("l_at").alias("at"), "l_subject_id", "r_subject_id")
     pair = ["mission_id", "l_subject_id", "r_subject_id"]
-    order = Window.partitionBy(*pair).orderBy("at")
-    ticks = pairs.withColumn("tick", F.row_number().over(order)).withColumn("next_at", F.lead("at").over(order))
-    held = relations(samples).join(ticks, [*pair, "at"])
+    held = relations(samples)
     run = Window.partitionBy(*pair, "predicate", "band").orderBy("tick")
     # Successive ticks minus successive numbers are constant inside a run.
     held = held.withColumn("run", F.col("tick") - F.row_number().over(run))

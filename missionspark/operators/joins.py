@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import cosine, distance_3d, flat_metres, half_even, iou_2d, span_overlap
+from ..functions.exprs import EARTH_M_PER_DEGREE, cosine, distance_3d, flat_metres, half_even, iou_2d, span_overlap
 
 
 def prefixed(df: DataFrame, prefix: str, columns: Sequence[str] | None = None) -> DataFrame:
@@ -74,17 +74,17 @@ def nearest_in_time(left: DataFrame, right: DataFrame, keys: Sequence[str], row_
     return met.groupBy(row_id).agg(F.min(F.struct("off", "p_t_sec", f"p_{right_id}")).alias("best")).select(row_id, F.col("best.off").alias("off"), F.col(f"best.p_{right_id}").alias("nearest_id"))
 
 
-def asof(queries: DataFrame, states: DataFrame, keys: Sequence[str], columns: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
-    """The latest state at or before each query's time.
+def asof(queries: DataFrame, states: DataFrame, keys: Sequence[str], columns: Sequence[str], tolerance: float = 1e-6, strict: bool = False) -> DataFrame:
+    """The latest state at or before each query's time, or with ``strict`` before it.
 
     One union and one window: states carry a value, queries none, and the last
     value before a query is its answer.  Both sides share one shuffle by key.
     """
     value = F.struct(*[F.col(c) for c in columns])
     s = states.select(*keys, F.col("t_sec").alias("sort_t"), F.lit(0).alias("side"), value.alias("state"), F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(None).cast("double").alias("t_sec"))
-    q = queries.select(*keys, (F.col("t_sec") + tolerance).alias("sort_t"), F.lit(1).alias("side"), F.lit(None).cast(s.schema["state"].dataType).alias("state"), "query_id", "t_sec")
+    q = queries.select(*keys, (F.col("t_sec") + tolerance).alias("sort_t"), F.lit(-1 if strict else 1).alias("side"), F.lit(None).cast(s.schema["state"].dataType).alias("state"), "query_id", "t_sec")
     window = Window.partitionBy(*keys).orderBy("sort_t", "side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return s.unionByName(q).withColumn("state", F.last("state", ignorenulls=True).over(window)).filter("side = 1").select("query_id", *keys, "t_sec", *[F.col(f"state.{c}").alias(c) for c in columns])
+    return s.unionByName(q).withColumn("state", F.last("state", ignorenulls=True).over(window)).filter("side <> 0").select("query_id", *keys, "t_sec", *[F.col(f"state.{c}").alias(c) for c in columns])
 
 
 def overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], width: float = 8.0, how: str = "inner") -> DataFrame:
@@ -157,12 +157,31 @@ def check_refs(references: dict[str, tuple[DataFrame, str, DataFrame, str]]) ->
     return found
 
 
-def geo_cell(lat: Column, lon: Column, metres: float, lat0: float = 60.0) -> tuple[Column, Column]:
-    """Cell of a grid whose steps are at least ``metres`` below this latitude."""
-    import math
+def _columns_of(row: Column, step: float) -> Column:
+    """Cells of a row of the grid: at least as wide as the step, also at the far edges of both neighbour rows."""
+    widest = F.least(F.greatest(F.abs((row - 1) * step), F.abs((row + 2) * step)), F.lit(89.9))
+    return F.greatest(F.floor(F.lit(360.0) * F.cos(F.radians(widest)) / step), F.lit(1))
 
-    step = metres / 111_320.0
-    return F.floor(lat / step), F.floor(lon / (step / math.cos(math.radians(lat0))))
+
+def geo_cell(lat: Column, lon: Column, metres: float) -> tuple[Column, Column]:
+    """(row, column) of a grid over the globe whose cells are at least ``metres`` wide and high at any latitude."""
+    step = metres / EARTH_M_PER_DEGREE
+    row = F.floor(lat / step)
+    n = _columns_of(row, step)
+    return row, F.pmod(F.floor((lon + 180.0) / 360.0 * n), n)
+
+
+def geo_cells_near(lat: Column, lon: Column, metres: float) -> Column:
+    """Array of the (row, column) cells that hold all points within ``metres``: three rows, each as far as it reaches, over the date line too."""
+    step = metres / EARTH_M_PER_DEGREE
+    here = F.floor(lat / step)
+
+    def cells(row: Column) -> Column:
+        n = _columns_of(row, step)
+        column = F.floor((lon + 180.0) / 360.0 * n)
+        return F.transform(F.array_distinct(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.pmod(column + d, n))), lambda c: F.struct(row.alias("row"), c.alias("column")))
+
+    return F.concat(cells(here - 1), cells(here), cells(here + 1))
 
 
 def around(cell: Column) -> Column:
@@ -177,12 +196,11 @@ def assign_sites(missions: DataFrame, sites: DataFrame, within_m: float = 5_000.
     """
     row, column = geo_cell(F.col("lat"), F.col("lon"), within_m)
     m = missions.withColumn("row", row).withColumn("column", column)
-    s_row, s_column = geo_cell(F.col("lat"), F.col("lon"), within_m)
-    s = sites.select(F.col("site_id").alias("near_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.explode(around(s_row)).alias("s_row"), s_column.alias("c")).select("near_id", "s_lat", "s_lon", "s_row", F.explode(around(F.col("c"))).alias("s_column"))
-    met = m.join(s, (F.col("row") == F.col("s_row")) & (F.col("column") == F.col("s_column")))
+    s = sites.select(F.col("site_id").alias("near_id"), F.col("lat").alias("s_lat"), F.col("lon").alias("s_lon"), F.explode(geo_cells_near(F.col("lat"), F.col("lon"), within_m)).alias("s"))
+    met = m.join(s, (F.col("row") == F.col("s.row")) & (F.col("column") == F.col("s.column")))
     met = met.withColumn("off", flat_metres(F.col("lat"), F.col("lon"), F.col("s_lat"), F.col("s_lon"))).filter(F.col("off") <= within_m)
     best = met.groupBy(F.col("mission_id").alias("of")).agg(F.min(F.struct("off", "near_id")).alias("best"))
-    new = F.concat_ws(":", F.lit("new"), "row", "column")
+    new = F.concat_ws(":", F.lit("new"), F.col("row").cast("string"), F.col("column").cast("string"))
     return m.join(best, F.col("mission_id") == F.col("of"), "left").select("mission_id", F.coalesce(F.col("best.near_id").cast("string"), new).alias("site"), F.col("best.off").alias("distance_m"))
 
 
@@ -194,8 +212,8 @@ def detect_changes(points: DataFrame, radius_m: float, threshold: float, vector:
     """
     row, column = geo_cell(F.col("lat"), F.col("lon"), radius_m)
     rows = points.select("id", "mission_id", "lat", "lon", F.col(vector).alias("v"), row.alias("row"), column.alias("column"))
-    other = prefixed(rows, "r_").withColumn("r_row", F.explode(around(F.col("r_row")))).withColumn("r_column", F.explode(around(F.col("r_column"))))
-    met = rows.join(other, (F.col("row") == F.col("r_row")) & (F.col("column") == F.col("r_column")) & (F.col("mission_id") != F.col("r_mission_id")))
+    other = prefixed(rows.drop("row", "column"), "r_").withColumn("r_cell", F.explode(geo_cells_near(F.col("r_lat"), F.col("r_lon"), radius_m)))
+    met = rows.join(other, (F.col("row") == F.col("r_cell.row")) & (F.col("column") == F.col("r_cell.column")) & (F.col("mission_id") != F.col("r_mission_id")))
     met = met.filter(flat_metres(F.col("lat"), F.col("lon"), F.col("r_lat"), F.col("r_lon")) <= radius_m).withColumn("distance", F.round(F.lit(1.0) - cosine(F.col("v"), F.col("r_v")), 9))
     best = met.groupBy("id").agg(F.min(F.struct("distance", "r_id")).alias("best"))
     return best.filter(F.col("best.distance") > threshold).select("id", F.col("best.r_id").alias("reference"), F.col("best.distance").alias("distance"))
@@ -251,11 +269,27 @@ def apply_annotations(frames: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(named, "name").filter(F.col("cvat_label").isNull()).select("frame_id", "new_label")
 
 
-def evidence(events: DataFrame, geometry: DataFrame, tolerance: float) -> DataFrame:
-    """Geometry samples that an event cites by subject and time (round to a grid)."""
-    at = lambda c: F.floor(F.col(c) / tolerance)
-    g = prefixed(geometry, "g_")
-    return events.join(g, (F.col("mission_id") == F.col("g_mission_id")) & (F.col("participant") == F.col("g_subject_id")) & (at("start_sec") == at("g_t_sec")), "left").select("event_id", F.col("g_sample_id").alias("sample_id"))
+def evidence(cited: DataFrame, geometry: DataFrame, masks: DataFrame, tolerance: float) -> DataFrame:
+    """Stored geometry and masks that cited events stand on: (event_id, sample_id, mask_id), one of both null.
+
+    Cited events have (event_id, mission_id, participant, start_sec); rows of the
+    participant within the tolerance of the start belong to them.  An event
+    without any has one row of nulls.
+    """
+    def near(rows: DataFrame, subject: str, row_id: str) -> DataFrame:
+        s = rows.select("mission_id", F.col(subject).alias("participant"), "t_sec", F.col(row_id).alias("row_id"))
+        wide = cited.select("event_id", "mission_id", "participant", (F.col("start_sec") - tolerance).alias("start_sec"), (F.col("start_sec") + tolerance + 1e-9).alias("end_sec"))
+        return points_in_intervals(wide, s, ["mission_id", "participant"], max(8 * tolerance, 1e-3)).select(F.col("event_id").alias("of"), F.col("p_row_id").cast("string").alias("row_id"))
+
+    none = F.lit(None).cast("string")
+    found = near(geometry, "subject_id", "sample_id").select("of", F.col("row_id").alias("sample_id"), none.alias("mask_id")).unionByName(near(masks, "track_id", "mask_id").select("of", none.alias("sample_id"), F.col("row_id").alias("mask_id")))
+    return cited.select("event_id").join(found, F.col("event_id") == F.col("of"), "left").select("event_id", "sample_id", "mask_id")
+
+
+def answer_evidence(answers: DataFrame, events: DataFrame) -> DataFrame:
+    """The events that answers (qa_id, evidence_event_ids) cite, each with the answer's id."""
+    cites = answers.select("qa_id", F.explode("evidence_event_ids").alias("cited"))
+    return cites.join(events, F.col("cited") == F.col("event_id")).select("qa_id", "event_id", "mission_id", "participant", "start_sec")
 
 
 def precheck(files: DataFrame, processed: DataFrame) -> DataFrame:
@@ -265,15 +299,38 @@ def precheck(files: DataFrame, processed: DataFrame) -> DataFrame:
     return met.withColumn("state", F.when(F.col("known").isNull(), "new").when(F.col("known_size") == F.col("size"), "processed").otherwise("changed")).drop("known")
 
 
-def link_identities(tracks: DataFrame, vectors: str, least_cosine: float = 0.85, least_gap: float = 2.0) -> DataFrame:
-    """Births linked to the latest ended track of their label that looks alike.
+def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None = None, least_cosine: float = 0.85, least_gap: float = 2.0) -> DataFrame:
+    """Births linked to the latest ended track of their label that looks alike: (mission_id, track_id, linked, reason).
 
-    ``tracks`` has (mission_id, track_id, label, born, ended, vector).
+    ``tracks`` has (mission_id, track_id, label, born, ended, vector).  Between
+    end and birth lie ``least_gap`` seconds (an occlusion), or a reset of the
+    tracker (mission_id, t_sec) after the end and not after the birth (a cut).
     """
     other = prefixed(tracks, "o_")
-    met = tracks.join(other, (F.col("mission_id") == F.col("o_mission_id")) & (F.col("label") == F.col("o_label")) & (F.col("track_id") != F.col("o_track_id")) & (F.col("o_ended") + least_gap <= F.col("born")))
+    rows = tracks.withColumn("last_reset", F.lit(None).cast("double"))
+    if resets is not None:
+        births = tracks.select(F.col("track_id").alias("query_id"), "mission_id", F.col("born").alias("t_sec"))
+        last = asof(births, resets.select("mission_id", "t_sec", F.col("t_sec").alias("reset")), ["mission_id"], ["reset"], tolerance=0.0)
+        rows = tracks.join(last.select(F.col("query_id").alias("q"), F.col("mission_id").alias("q_m"), F.col("reset").alias("last_reset")), (F.col("track_id") == F.col("q")) & (F.col("mission_id") == F.col("q_m")))
+    met = rows.join(other, (F.col("mission_id") == F.col("o_mission_id")) & (F.col("label") == F.col("o_label")) & (F.col("track_id") != F.col("o_track_id")) & (F.col("o_ended") <= F.col("born")))
+    met = met.withColumn("cut", F.coalesce(F.col("last_reset") > F.col("o_ended"), F.lit(False))).filter(F.col("cut") | (F.col("born") - F.col("o_ended") >= least_gap))
     met = met.filter(cosine(F.col(vectors), F.col(f"o_{vectors}")) >= least_cosine)
-    return met.groupBy("mission_id", "track_id").agg(F.max(F.struct("o_ended", "o_track_id")).getField("o_track_id").alias("linked"))
+    best = met.groupBy("mission_id", "track_id").agg(F.max(F.struct("o_ended", "o_track_id", "cut")).alias("best"))
+    return best.select("mission_id", "track_id", F.col("best.o_track_id").alias("linked"), F.when(F.col("best.cut"), "camera_cut").otherwise("occlusion").alias("reason"))
+
+
+def facts_diff(changes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts that differ between a changed frame and its reference: (id, reference, key, was, is).
+
+    ``facts`` has (id, facts as a map); keys of one side alone are null on the other.
+    """
+    now, then = (facts.select(F.col("id").alias(f"{p}_id"), F.col("facts").alias(f"{p}_facts")) for p in ("n", "t"))
+    met = changes.join(now, F.col("id") == F.col("n_id"), "left").join(then, F.col("reference") == F.col("t_id"), "left")
+    empty = F.create_map().cast("map<string,string>")
+    n, t = F.coalesce("n_facts", empty), F.coalesce("t_facts", empty)
+    rows = met.select("id", "reference", n.alias("n"), t.alias("t"), F.explode(F.array_union(F.map_keys(n), F.map_keys(t))).alias("key"))
+    rows = rows.select("id", "reference", "key", F.try_element_at("t", F.col("key")).alias("was"), F.try_element_at("n", F.col("key")).alias("is"))
+    return rows.filter(~F.col("was").eqNullSafe(F.col("is")))
 
 
 def georeference(observations: DataFrame, poses: DataFrame) -> DataFrame:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import cosine
+from ..sources.storage import discard, materialise, release
 
 
 def materialise_graph(deltas: DataFrame) -> DataFrame:
@@ -20,31 +22,53 @@ def materialise_graph(deltas: DataFrame) -> DataFrame:
     return met.withColumn("superseded", F.col("gone").isNotNull()).drop("gone").filter("not superseded and op <> 'end'")
 
 
-def effective_status(proposals: DataFrame, depth: int = 64) -> DataFrame:
+def _doubled(ends: DataFrame) -> DataFrame:
+    """Pointers (node, last) each moved on to where their target points; those that point at an end stay."""
+    far = ends.select(F.col("node").alias("via"), F.col("last").alias("further"))
+    return ends.join(far, F.col("last") == F.col("via"), "left").select("node", F.coalesce("further", "last").alias("last"))
+
+
+def effective_status(proposals: DataFrame) -> DataFrame:
     """The status at the end of each proposal's chain of replacements.
 
-    Of several replacements the last one counts.  Pointers are doubled in each
-    round, so a chain of n needs log2(n) joins; chains beyond ``depth`` are cut.
+    Of several replacements the last one counts.  Pointers are doubled until none
+    moves, so a chain of n needs log2(n) rounds; a chain that runs into a cycle
+    has no end and no status.
     """
     child = proposals.filter("supersedes is not null").groupBy(F.col("supersedes").alias("parent")).agg(F.max("proposal_id").alias("child"))
-    ends = proposals.select("proposal_id").join(child, F.col("proposal_id") == F.col("parent"), "left").select("proposal_id", F.coalesce("child", "proposal_id").alias("last"))
-    for _ in range(max(1, (depth - 1).bit_length())):
-        far = ends.select(F.col("proposal_id").alias("via"), F.col("last").alias("further"))
-        ends = ends.join(far, F.col("last") == F.col("via")).select("proposal_id", F.col("further").alias("last"))
+    ends = materialise(proposals.select("proposal_id").join(child, F.col("proposal_id") == F.col("parent")).select(F.col("proposal_id").alias("node"), F.col("child").alias("last")), "status-chain")
+    rounds = max(1, ends.count()).bit_length() + 1
+    for _ in range(rounds):
+        step = materialise(_doubled(ends), "status-chain")
+        moved = ends.select("node", F.col("last").alias("was")).join(step, "node").filter("was <> last").isEmpty()
+        release(ends)
+        ends = step
+        if moved:
+            break
+    # After more than the chain's length of steps a pointer that still points at a node with a child runs in a cycle.
     status = proposals.select(F.col("proposal_id").alias("of"), "status")
-    return ends.join(status, F.col("last") == F.col("of")).select("proposal_id", F.col("last").alias("effective_id"), F.col("status").alias("effective_status"))
+    inner = ends.select(F.col("node").alias("inner"))
+    found = proposals.select("proposal_id").join(ends, F.col("proposal_id") == F.col("node"), "left").withColumn("last", F.coalesce("last", "proposal_id")).join(inner, F.col("last") == F.col("inner"), "left")
+    found = found.withColumn("last", F.when(F.col("inner").isNull(), F.col("last"))).join(status, F.col("last") == F.col("of"), "left")
+    return found.select("proposal_id", F.col("last").alias("effective_id"), F.col("status").alias("effective_status"))
 
 
-def check_cycles(pairs: DataFrame, nodes: int) -> DataFrame:
-    """Nodes (child, parent pairs) that come back to themselves.
+def check_cycles(pairs: DataFrame) -> DataFrame:
+    """Nodes of (child, parent) pairs that come back to themselves.
 
-    After doubling beyond the number of nodes a pointer that hasn't ended runs in a cycle.
+    Pointers that end are dropped while the others are doubled; what is left
+    after more steps than there are nodes points into a cycle, and the nodes
+    pointed at are the cycle's own.
     """
-    at = pairs.select("child", "parent")
-    for _ in range(max(1, nodes).bit_length()):
-        far = at.select(F.col("child").alias("via"), F.col("parent").alias("further"))
-        at = at.join(far, F.col("parent") == F.col("via")).select("child", F.col("further").alias("parent"))
-    return at.select(F.col("parent").alias("node")).distinct()
+    at = materialise(pairs.filter("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("last")).distinct(), "cycles")
+    for _ in range(max(1, at.count()).bit_length()):
+        far = at.select(F.col("node").alias("via"), F.col("last").alias("further"))
+        step = materialise(at.join(far, F.col("last") == F.col("via")).select("node", F.col("further").alias("last")), "cycles")
+        release(at)
+        at = step
+        if at.isEmpty():
+            break
+    return at.select(F.col("last").alias("node")).distinct()
 
 
 def check_unique(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -79,7 +103,7 @@ def dedupe_files(files: DataFrame, processed: DataFrame, content: str) -> DataFr
 
 
 def hamming_pairs(tiles: DataFrame, radius: int, bits: int = 64) -> DataFrame:
-    """Pairs of 64-bit hashes within a Hamming radius: (a, b, distance), a before b.
+    """Pairs of hashes of so many bits within a Hamming radius: (a, b, distance), a before b.
 
     Equal bands bring together all pairs: radius + 1 bands have an equal one.
     """
@@ -93,18 +117,21 @@ def hamming_pairs(tiles: DataFrame, radius: int, bits: int = 64) -> DataFrame:
     return met.withColumn("distance", off).filter(F.col("distance") <= radius).select(F.col("tile_id").alias("a"), F.col("o_id").alias("b"), "distance").distinct()
 
 
-def dedupe_tiles(tiles: DataFrame, radius: int = 6, least_cosine: float = 0.95, most: int = 200) -> DataFrame:
+def dedupe_tiles(tiles: DataFrame, radius: int = 6, least_cosine: float = 0.95, most: int = 200, bits: int = 64) -> DataFrame:
     """Tiles that no earlier tile of their mission resembles, the best of each cell and window.
 
-    A tile goes if an earlier one has a hash within the radius and a vector as
-    alike; of the others the best score of a (mission, cell, window) stays, at
-    most ``most`` of a mission.
+    A tile goes if an earlier one (a lesser id) has a hash within the radius and a
+    vector as alike; tiles of one hash and one vector are one, the least id, before
+    pairs are formed.  Of the others the best score of a (mission, cell, window)
+    stays, at most ``most`` of a mission.
     """
-    near = hamming_pairs(tiles, radius)
-    v = tiles.select(F.col("tile_id").alias("va"), F.col("mission_id").alias("ma"), F.col("vector").alias("xa"))
-    w = tiles.select(F.col("tile_id").alias("vb"), F.col("mission_id").alias("mb"), F.col("vector").alias("xb"))
+    same = ["mission_id", "hash", "vector"]
+    first = tiles.groupBy(*same).agg(F.min_by(F.struct(*[c for c in tiles.columns if c not in same]), "tile_id").alias("t")).select(*same, "t.*")
+    near = hamming_pairs(first, radius, bits)
+    v = first.select(F.col("tile_id").alias("va"), F.col("mission_id").alias("ma"), F.col("vector").alias("xa"))
+    w = first.select(F.col("tile_id").alias("vb"), F.col("mission_id").alias("mb"), F.col("vector").alias("xb"))
     alike = near.join(v, F.col("a") == F.col("va")).join(w, F.col("b") == F.col("vb")).filter((F.col("ma") == F.col("mb")) & (cosine(F.col("xa"), F.col("xb")) > least_cosine))
-    left = tiles.join(alike.select(F.col("b").alias("gone")).distinct(), F.col("tile_id") == F.col("gone"), "left_anti")
+    left = first.join(alike.select(F.col("b").alias("gone")).distinct(), F.col("tile_id") == F.col("gone"), "left_anti")
     best = left.groupBy("mission_id", "cell", "window").agg(F.max_by(F.struct("tile_id", "score"), F.struct("score", -F.col("tile_id"))).alias("t")).select("mission_id", "cell", "window", "t.*")
     place = F.row_number().over(Window.partitionBy("mission_id").orderBy(F.desc("score"), "tile_id"))
     return best.withColumn("place", place).filter(F.col("place") <= most).drop("place")
@@ -148,6 +175,35 @@ def replace_partition(df: DataFrame, path: str, column: str) -> None:
     df.write.partitionBy(column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
+def replace_run(tables: dict[str, DataFrame], folder: str, run_column: str = "run_id") -> None:
+    """Run, events, edges and QA of the runs in ``tables['run']`` replace what is stored of these runs.
+
+    Every table lies in a folder of its own, one partition a run.  A run that has
+    no rows of a kind leaves none behind: its old partition is emptied.  A run
+    that another stored run supersedes is refused, as results point at it.
+    """
+    run = tables["run"]
+    spark = run.sparkSession
+    ids = run.select(run_column).distinct()
+    try:
+        stored = spark.read.parquet(f"{folder}/run")
+        pointed = stored.filter("supersedes_run_id is not null").select(F.col("supersedes_run_id").alias("pointed"), F.col(run_column).alias("by"))
+        own = ids.select(F.col(run_column).alias("own"))
+        if not pointed.join(ids, F.col("pointed") == F.col(run_column)).join(own, F.col("by") == F.col("own"), "left_anti").isEmpty():
+            raise ValueError("a run that a later run supersedes can't be replaced")
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+    names = {r[0] for r in ids.collect()}  # the runs of one call
+    for kind, df in tables.items():
+        if not df.join(ids, run_column, "left_anti").isEmpty():
+            raise ValueError(f"{kind} has rows of another run")
+        df.write.partitionBy(run_column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/{kind}")
+        kept = {r[0] for r in df.select(run_column).distinct().collect()}
+        for name in names - kept:
+            discard(spark, f"{folder}/{kind}/{run_column}={name}")
+
+
 def supersede(versions: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(accepted rows with their version, refused rows): a new document names the current digest.
 
@@ -168,6 +224,29 @@ def unpublished(events: DataFrame, ledger: DataFrame) -> DataFrame:
     return publishable(events).join(known, F.col("event_id") == F.col("known"), "left_anti").dropDuplicates(["event_id"])
 
 
+def envelopes(events: DataFrame, zone_id: str, sensor_id: str, published_at: Column) -> DataFrame:
+    """Events in the envelope of the bus: (event_id, ts, zone_id, sensor_id, confidence, payload, artifact_uri)."""
+    payload = F.to_json(F.struct("event_id", "mission_id", F.col("type").alias("event_type"), "start_sec", "end_sec", "participant", "confidence", F.lit("accepted").alias("verification_status"), F.lit("timeline.json").alias("artifact_uri")))
+    return events.select("event_id", published_at.alias("ts"), F.lit(zone_id).alias("zone_id"), F.lit(sensor_id).alias("sensor_id"), "confidence", payload.alias("payload"), F.lit("timeline.json").alias("artifact_uri"))
+
+
+def publish(events: DataFrame, path: str, zone_id: str, sensor_id: str, published_at: Column) -> DataFrame:
+    """Appends the envelopes of events that the ledger at ``path`` doesn't have; returns what was appended.
+
+    Run again, also on a stream's repeated batch, it appends nothing.
+    """
+    spark = events.sparkSession
+    try:
+        ledger = spark.read.parquet(path).select("event_id")
+    except AnalysisException as error:  # the first publication makes the ledger
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        ledger = spark.createDataFrame([], events.select("event_id").schema)
+    new = materialise(envelopes(unpublished(events, ledger), zone_id, sensor_id, published_at), "published")
+    new.write.mode("append").parquet(path)
+    return new
+
+
 def write_replay(df: DataFrame, path: str, order: Sequence[str]) -> None:
     """Writes a replay log as JSON lines in one order over all files."""
     df.repartitionByRange(*order).sortWithinPartitions(*order).write.json(path)

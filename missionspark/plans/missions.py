@@ -212,8 +212,10 @@ def j9(t):
 
 @query("j11_assign_sites", ["missions", "sites"], """
 , c AS (SELECT m.mission_id, s.site_id, sqrt(pow((m.lat - s.lat) * 111320e0, 2) + pow((m.lon - s.lon) * 111320e0 * cos(radians(s.lat)), 2)) AS off FROM missions m JOIN sites s ON abs(m.lat - s.lat) < 0.1 AND abs(m.lon - s.lon) < 0.2),
-b AS (SELECT mission_id, min(off) AS off, arg_min(site_id, (off, site_id)) AS site_id FROM c WHERE off <= 5000 GROUP BY 1)
-SELECT m.mission_id, coalesce(CAST(b.site_id AS VARCHAR), concat('new:', CAST(floor(m.lat / (5000e0 / 111320e0)) AS BIGINT), ':', CAST(floor(m.lon / ((5000e0 / 111320e0) / cos(radians(60e0)))) AS BIGINT))) AS site, round(b.off, 3) AS distance_m FROM missions m LEFT JOIN b USING (mission_id)""")
+b AS (SELECT mission_id, min(off) AS off, arg_min(site_id, (off, site_id)) AS site_id FROM c WHERE off <= 5000 GROUP BY 1),
+r AS (SELECT *, floor(lat / (5000e0 / 111320e0)) AS cell FROM missions),
+w AS (SELECT *, greatest(floor(360e0 * cos(radians(least(greatest(abs((cell - 1) * (5000e0 / 111320e0)), abs((cell + 2) * (5000e0 / 111320e0))), 89.9e0))) / (5000e0 / 111320e0)), 1) AS n FROM r)
+SELECT m.mission_id, coalesce(CAST(b.site_id AS VARCHAR), concat('new:', CAST(CAST(cell AS BIGINT) AS VARCHAR), ':', CAST(CAST(floor((lon + 180e0) / 360e0 * n) AS BIGINT) % CAST(n AS BIGINT) AS VARCHAR))) AS site, round(b.off, 3) AS distance_m FROM w m LEFT JOIN b USING (mission_id)""")
 def j11(t):
     return J.assign_sites(t("missions"), t("sites")).select("mission_id", "site", F.round("distance_m", 3).alias("distance_m"))
 
@@ -273,9 +275,40 @@ def j18(t):
     return J.apply_annotations(frames, labels)
 
 
-@query("j19_evidence", ["timeline", "geometry"], " SELECT e.event_id, g.sample_id FROM timeline e LEFT JOIN geometry g ON e.mission_id = g.mission_id AND e.participant = g.subject_id AND floor(e.start_sec / 0.5) = floor(g.t_sec / 0.5)")
+@query("j12_facts_diff", ["points", "frames"], """
+, c AS (SELECT a.id, b.id AS r, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS distance FROM points a JOIN points b ON a.mission_id <> b.mission_id
+  AND sqrt(pow((a.lat - b.lat) * 111320e0, 2) + pow((a.lon - b.lon) * 111320e0 * cos(radians(b.lat)), 2)) <= 60),
+n AS (SELECT id, min(distance) AS distance, arg_min(r, (distance, r)) AS reference FROM c GROUP BY id),
+f AS (SELECT frame_id AS id, json_extract_string(facts, '$.road_condition') AS road, json_extract_string(facts, '$.vehicle_groups[0].count') AS cars FROM frames),
+d AS (SELECT n.id, n.reference, unnest(['road_condition', 'cars']) AS key, unnest([t.road, t.cars]) AS was, unnest([f.road, f.cars]) AS "is" FROM n LEFT JOIN f ON f.id = n.id LEFT JOIN f t ON t.id = n.reference WHERE n.distance > 0.35)
+SELECT id, reference, key, was, "is" FROM d WHERE was IS DISTINCT FROM "is" """)
+def j12_facts(t):
+    road, cars = F.get_json_object("facts", "$.road_condition"), F.get_json_object("facts", "$.vehicle_groups[0].count")
+    facts = t("frames").filter("facts is not null").select(F.col("frame_id").alias("id"), F.create_map(F.lit("road_condition"), road, F.lit("cars"), cars).alias("facts"))
+    return J.facts_diff(J.detect_changes(t("points"), 60.0, 0.35), facts)
+
+
+@query("j19_evidence", ["timeline", "geometry", "tracks"], """
+, e AS (SELECT event_id, mission_id, participant, start_sec % 4 AS start_sec FROM timeline),
+f AS (SELECT e.event_id, g.sample_id, CAST(NULL AS VARCHAR) AS mask_id FROM e JOIN geometry g ON e.mission_id = g.mission_id AND e.participant = g.subject_id AND g.t_sec BETWEEN e.start_sec - 0.5 AND e.start_sec + 0.5
+  UNION ALL SELECT e.event_id, NULL, k.observation_id FROM e JOIN tracks k ON e.mission_id = k.mission_id AND e.participant = k.track_id AND k.t_sec BETWEEN e.start_sec - 0.5 AND e.start_sec + 0.5)
+SELECT e.event_id, f.sample_id, f.mask_id FROM e LEFT JOIN f USING (event_id)""")
 def j19(t):
-    return J.evidence(t("timeline"), t("geometry"), 0.5)
+    return J.evidence(t("timeline").withColumn("start_sec", F.col("start_sec") % 4), t("geometry"), t("tracks").withColumnRenamed("observation_id", "mask_id"), 0.5)
+
+
+@query("j19_answer_evidence", ["timeline", "geometry", "tracks"], """
+, a AS (SELECT mission_id AS qa_id, unnest(list_slice(list_sort(list(event_id)), 1, 3)) AS event_id FROM timeline WHERE status = 'accepted' GROUP BY mission_id),
+e AS (SELECT qa_id, event_id, mission_id, participant, start_sec % 4 AS start_sec FROM a JOIN timeline USING (event_id)),
+f AS (SELECT e.event_id, g.sample_id, CAST(NULL AS VARCHAR) AS mask_id FROM e JOIN geometry g ON e.mission_id = g.mission_id AND e.participant = g.subject_id AND g.t_sec BETWEEN e.start_sec - 0.5 AND e.start_sec + 0.5
+  UNION ALL SELECT e.event_id, NULL, k.observation_id FROM e JOIN tracks k ON e.mission_id = k.mission_id AND e.participant = k.track_id AND k.t_sec BETWEEN e.start_sec - 0.5 AND e.start_sec + 0.5)
+SELECT e.qa_id, e.event_id, f.sample_id, f.mask_id FROM e LEFT JOIN f USING (event_id)""")
+def j19_answers(t):
+    events = t("timeline").withColumn("start_sec", F.col("start_sec") % 4)
+    answers = events.filter("status = 'accepted'").groupBy(F.col("mission_id").alias("qa_id")).agg(F.slice(F.array_sort(F.collect_list("event_id")), 1, 3).alias("evidence_event_ids"))
+    cited = J.answer_evidence(answers, events)
+    found = J.evidence(cited, t("geometry"), t("tracks").withColumnRenamed("observation_id", "mask_id"), 0.5)
+    return cited.select("qa_id", F.col("event_id").alias("of")).join(found, F.col("of") == F.col("event_id")).select("qa_id", "event_id", "sample_id", "mask_id")
 
 
 @query("j20_precheck", [], """
@@ -288,12 +321,15 @@ def j20(t):
 
 @query("j21_link_identities", ["points"], """
 , k AS (SELECT mission_id % 3 AS mission_id, id AS track_id, mission_id % 2 AS label, (id % 50) * 2e0 AS born, (id % 50) * 2e0 + 5 AS ended, embedding FROM points WHERE type = 'frame'),
-c AS (SELECT a.mission_id, a.track_id, b.ended, b.track_id AS o FROM k a JOIN k b ON a.mission_id = b.mission_id AND a.label = b.label AND a.track_id <> b.track_id AND b.ended + 2 <= a.born AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.6)
-SELECT mission_id, track_id, arg_max(o, (ended, o)) AS linked FROM c GROUP BY ALL""")
+r AS (SELECT DISTINCT mission_id % 3 AS mission_id, (id % 10) * 11e0 AS t_sec FROM points WHERE type = 'tile'),
+c AS (SELECT a.mission_id, a.track_id, b.ended, b.track_id AS o, a.born - b.ended AS gap, EXISTS (SELECT 1 FROM r WHERE r.mission_id = a.mission_id AND r.t_sec > b.ended AND r.t_sec <= a.born) AS cut FROM k a JOIN k b ON a.mission_id = b.mission_id AND a.label = b.label AND a.track_id <> b.track_id AND b.ended <= a.born
+  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.6)
+SELECT mission_id, track_id, arg_max(o, (ended, o)) AS linked, CASE WHEN arg_max(cut, (ended, o)) THEN 'camera_cut' ELSE 'occlusion' END AS reason FROM c WHERE cut OR gap >= 2 GROUP BY ALL""")
 def j21(t):
     born = (F.col("id") % 50) * F.lit(2.0)
     tracks = t("points").filter("type = 'frame'").select((F.col("mission_id") % 3).alias("mission_id"), F.col("id").alias("track_id"), (F.col("mission_id") % 2).alias("label"), born.alias("born"), (born + 5).alias("ended"), F.col("embedding").alias("vector"))
-    return J.link_identities(tracks, "vector", 0.6)
+    resets = t("points").filter("type = 'tile'").select((F.col("mission_id") % 3).alias("mission_id"), ((F.col("id") % 10) * F.lit(11.0)).alias("t_sec")).distinct()
+    return J.link_identities(tracks, "vector", resets, 0.6)
 
 
 @query("j22_georeference", ["tracks", "geometry"], """
@@ -328,19 +364,22 @@ def g1(t):
 
 @query("g2_effective_status", ["proposals"], """
 , c AS (SELECT supersedes AS parent, max(proposal_id) AS child FROM proposals WHERE supersedes IS NOT NULL GROUP BY 1),
-n AS (SELECT proposal_id, coalesce(child, proposal_id) AS n1 FROM proposals LEFT JOIN c ON parent = proposal_id),
-n2 AS (SELECT a.proposal_id, b.n1 AS n2 FROM n a JOIN n b ON a.n1 = b.proposal_id), n4 AS (SELECT a.proposal_id, b.n2 AS n4 FROM n2 a JOIN n2 b ON a.n2 = b.proposal_id)
-SELECT n4.proposal_id, n4 AS effective_id, status AS effective_status FROM n4 JOIN proposals p ON p.proposal_id = n4""")
+walk AS (SELECT proposal_id, proposal_id AS last FROM proposals UNION ALL SELECT w.proposal_id, c.child FROM walk w JOIN c ON c.parent = w.last),
+ends AS (SELECT proposal_id, last FROM walk WHERE last NOT IN (SELECT parent FROM c))
+SELECT e.proposal_id, e.last AS effective_id, p.status AS effective_status FROM ends e JOIN proposals p ON p.proposal_id = e.last""")
 def g2(t):
-    return G.effective_status(t("proposals"), depth=4)
+    return G.effective_status(t("proposals"))
 
 
-@query("g3_check_cycles", ["proposals"], " SELECT DISTINCT proposal_id AS node FROM proposals WHERE proposal_id % 40 < 3")
+@query("g3_check_cycles", ["proposals"], """
+, p AS (SELECT proposal_id AS child, CASE WHEN proposal_id % 40 = 0 THEN proposal_id + 2 WHEN proposal_id % 40 = 25 THEN proposal_id + 13 WHEN proposal_id % 40 < 39 THEN proposal_id - 1 END AS parent FROM proposals),
+k AS (SELECT child, parent FROM p WHERE parent IS NOT NULL AND parent IN (SELECT child FROM p)),
+reach AS (SELECT child, parent FROM k UNION SELECT r.child, k.parent FROM reach r JOIN k ON k.child = r.parent)
+SELECT child AS node FROM reach WHERE child = parent""")
 def g3(t):
-    ids = t("proposals").select("proposal_id")
-    place = F.col("proposal_id") % 40
-    pairs = ids.filter(place < 12).select(F.col("proposal_id").alias("child"), (F.col("proposal_id") - F.when(place == 0, -2).otherwise(1)).alias("parent"))
-    return G.check_cycles(pairs, 64)
+    i = F.col("proposal_id")
+    parent = F.when(i % 40 == 0, i + 2).when(i % 40 == 25, i + 13).when(i % 40 < 39, i - 1)
+    return G.check_cycles(t("proposals").select(i.alias("child"), parent.alias("parent")))
 
 
 @query("g4_check_unique", [], """
@@ -381,7 +420,19 @@ SELECT a.tile_id AS a, b.tile_id AS b, bit_count(xor(a.hash, b.hash)) AS distanc
 def g8(t):
     bits = F.aggregate(F.sequence(F.lit(0), F.lit(47)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
     tiles = t("points").select(F.col("id").alias("tile_id"), bits.alias("hash"))
-    return G.hamming_pairs(tiles, 6).select("a", "b", F.col("distance").cast("int").alias("distance"))
+    return G.hamming_pairs(tiles, 6, 48).select("a", "b", F.col("distance").cast("int").alias("distance"))
+
+
+@query("g8_dedupe_tiles", ["points"], """
+, h AS (SELECT id AS tile_id, mission_id % 2 AS mission_id, CAST(list_sum(list_transform(range(48), lambda i: CASE WHEN embedding[CAST(i + 1 AS INTEGER)] > 0 THEN CAST(1 AS BIGINT) << CAST(i AS INTEGER) ELSE 0 END)) AS BIGINT) AS hash, embedding AS v, id % 20 AS cell, id // 100 AS win, (id * 37) % 101 AS score FROM points),
+g AS (SELECT DISTINCT b.tile_id FROM h a JOIN h b ON a.tile_id < b.tile_id AND a.mission_id = b.mission_id AND bit_count(xor(a.hash, b.hash)) <= 12 AND list_cosine_similarity(CAST(a.v AS DOUBLE[]), CAST(b.v AS DOUBLE[])) > 0.6),
+l AS (SELECT *, row_number() OVER (PARTITION BY mission_id, cell, win ORDER BY score DESC, tile_id) AS best FROM h WHERE tile_id NOT IN (SELECT tile_id FROM g)),
+r AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY score DESC, tile_id) AS place FROM l WHERE best = 1)
+SELECT mission_id, tile_id, cell, win, score FROM r WHERE place <= 200""")
+def g8_tiles(t):
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(47)), F.lit(0).cast("bigint"), lambda s, i: s + F.when(F.get("embedding", i) > 0, F.pow(F.lit(2.0), i).cast("bigint")).otherwise(F.lit(0).cast("bigint")))
+    tiles = t("points").select(F.col("id").alias("tile_id"), (F.col("mission_id") % 2).alias("mission_id"), bits.alias("hash"), F.col("embedding").alias("vector"), (F.col("id") % 20).alias("cell"), F.floor(F.col("id") / 100).alias("window"), ((F.col("id") * 37) % 101).alias("score"))
+    return G.dedupe_tiles(tiles, 12, 0.6, 200, 48).select("mission_id", "tile_id", "cell", F.col("window").alias("win"), "score")
 
 
 @query("g9_check_identity", ["frames", "missions"], """

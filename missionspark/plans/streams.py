@@ -19,14 +19,19 @@ def v1(t):
     return V.node_deltas(t("tracks").filter("confidence > 0.3"), t("geometry"))
 
 
-@query("v3_edge_events", ["edges"], """
-SELECT mission_id, edge_id, 'entered_region' AS type, object_id AS participant, start_sec FROM edges WHERE predicate = 'contains'
-UNION ALL SELECT mission_id, edge_id, 'left_region', object_id, end_sec FROM edges WHERE predicate = 'contains'
-UNION ALL SELECT mission_id, edge_id, 'approached', subject_id, start_sec FROM edges WHERE predicate = 'below' AND edge_id % 2 = 0""")
+@query("v3_edge_events", ["edges", "geometry"], """
+, e AS (SELECT mission_id, edge_id, subject_id, object_id, CASE predicate WHEN 'above' THEN 'supports' WHEN 'below' THEN 'distance_band' ELSE predicate END AS predicate, edge_id % 2 = 0 AS near, start_sec % 2 AS start_sec, start_sec % 2 + 0.75e0 AS end_sec FROM edges),
+i AS (SELECT * FROM e WHERE predicate = 'contains' AND subject_id IN ('s1', 's2'))
+SELECT mission_id, edge_id, 'entered_region' AS type, object_id AS first, subject_id AS second, start_sec FROM i
+UNION ALL SELECT i.mission_id, edge_id, 'left_region', object_id, i.subject_id, min(g.t_sec) FROM i JOIN geometry g ON g.mission_id = i.mission_id AND g.subject_id = i.object_id AND g.t_sec >= i.end_sec GROUP BY ALL
+UNION ALL SELECT mission_id, edge_id, 'approached', subject_id, object_id, start_sec FROM e WHERE predicate = 'distance_band' AND near
+UNION ALL SELECT mission_id, edge_id, 'put_down', object_id, subject_id, start_sec FROM e WHERE predicate = 'supports'""")
 def v3(t):
-    near = (F.col("predicate") == "below")
-    edges = t("edges").withColumn("band", F.when(near & (F.col("edge_id") % 2 == 0), "0.000-2.000").otherwise("2.000-8.000")).withColumn("evidence_id", F.lit("x")).withColumn("predicate", F.when(near, "distance_band").otherwise(F.col("predicate")))
-    return V.edge_events(edges).select("mission_id", "edge_id", "type", "participant", "start_sec")
+    p, start = F.col("predicate"), F.col("start_sec") % 2
+    edges = t("edges").withColumn("band", F.when(F.col("edge_id") % 2 == 0, "0.000-2.000").otherwise("2.000-8.000")).withColumn("evidence_id", F.lit("x")).withColumn("predicate", F.when(p == "above", "supports").when(p == "below", "distance_band").otherwise(p))
+    edges = edges.withColumn("end_sec", start + 0.75).withColumn("start_sec", start)
+    regions = t("edges").select("mission_id", F.explode(F.array(F.lit("s1"), F.lit("s2"))).alias("region_id")).distinct()
+    return V.edge_events(edges, t("geometry"), regions).select("mission_id", "edge_id", "type", F.col("participants")[0].alias("first"), F.col("participants")[1].alias("second"), "start_sec")
 
 
 @query("v4_picked_up", ["edges", "geometry"], """
@@ -57,25 +62,64 @@ def v6(t):
     return docs.withColumn("d", parsed).select("mission_id", n.alias("samples"), F.coalesce(F.size("d.edges"), F.lit(0)).cast("bigint").alias("edges"))
 
 
+#: Claims of ten kinds by their id, worked out by the rules one claim at a time.
 CLAIMS = """
-, c AS (SELECT proposal_id AS claim_id, mission_id, claim_kind, subject_id, start_sec, end_sec, CASE proposal_id % 4 WHEN 0 THEN 'left_of' WHEN 1 THEN 'right_of' WHEN 2 THEN 'above' ELSE 'below' END AS predicate, proposal_id % 3 AS said FROM proposals),
-n AS (SELECT mission_id, t_sec, count(DISTINCT track_id) AS n FROM tracks WHERE state IN ('confirmed', 'occluded') GROUP BY ALL),
-g AS (SELECT c.claim_id, bool_or(e.predicate = c.predicate) AS same, bool_or(e.predicate = CASE c.predicate WHEN 'left_of' THEN 'right_of' WHEN 'right_of' THEN 'left_of' WHEN 'above' THEN 'below' ELSE 'above' END) AS against FROM c JOIN edges e ON c.mission_id = e.mission_id AND c.subject_id = e.subject_id AND e.status = 'accepted' AND c.start_sec < e.end_sec AND e.start_sec < c.end_sec GROUP BY 1),
-a AS (SELECT DISTINCT c.claim_id FROM c JOIN timeline e ON c.mission_id = e.mission_id AND c.subject_id = e.participant AND e.status = 'accepted' AND c.start_sec < e.end_sec AND e.start_sec < c.end_sec),
-v AS (SELECT c.claim_id, c.claim_kind, CASE WHEN claim_kind = 'count' AND n.n IS NOT NULL THEN CASE WHEN n.n = c.said THEN 'accepted' ELSE 'rejected' END WHEN claim_kind = 'geometry' AND g.same THEN 'accepted' WHEN claim_kind = 'geometry' AND g.against THEN 'rejected'
-  WHEN claim_kind = 'action' AND a.claim_id IS NOT NULL THEN 'accepted' ELSE 'uncertain' END AS status FROM c LEFT JOIN g USING (claim_id) LEFT JOIN a USING (claim_id) LEFT JOIN n ON c.mission_id = n.mission_id AND c.start_sec = n.t_sec)"""
+, c AS (SELECT proposal_id AS claim_id, mission_id, status AS was, ['left_of', 'right_of', 'above', 'below', 'contains', 'supports', 'distance_band', 'visible', 'relative_motion', 'same_as', NULL, NULL, NULL][proposal_id % 13 + 1] AS predicate,
+    CASE proposal_id % 13 WHEN 10 THEN CAST((proposal_id // 13) % 3 AS INTEGER) END AS said, CASE proposal_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'box' END AS said_label, proposal_id % 13 = 11 AS is_event,
+    concat('s', CAST(proposal_id % 4 + 1 AS VARCHAR)) AS subject_id, concat('s', CAST((proposal_id + 2) % 6 + 1 + CASE WHEN proposal_id % 17 = 0 THEN 20 ELSE 0 END AS VARCHAR)) AS object_id,
+    CASE WHEN proposal_id % 11 <> 0 THEN (proposal_id % 7) * 0.5e0 END AS s0, CASE WHEN proposal_id % 11 <> 0 THEN (proposal_id % 7) * 0.5e0 + 0.75e0 END AS e0, CASE WHEN proposal_id % 5 <> 0 THEN 8e0 END AS high FROM proposals),
+g AS (SELECT *, cx / 15 AS residual, cy / 2 AS covariance FROM geometry),
+ids AS (SELECT mission_id, track_id AS id FROM tracks UNION SELECT mission_id, subject_id FROM geometry),
+sa AS (SELECT c.claim_id, g.* FROM c JOIN g ON g.mission_id = c.mission_id AND g.subject_id = c.subject_id AND (s0 IS NULL OR g.t_sec >= s0 AND g.t_sec < e0)),
+sb AS (SELECT c.claim_id, g.* FROM c JOIN g ON g.mission_id = c.mission_id AND g.subject_id = c.object_id AND (s0 IS NULL OR g.t_sec >= s0 AND g.t_sec < e0)),
+p AS (SELECT a.claim_id, a AS a, b AS b, row_number() OVER (PARTITION BY a.claim_id ORDER BY abs(a.t_sec - b.t_sec), a.t_sec, b.t_sec) AS place FROM sa a JOIN sb b USING (claim_id)),
+m AS (SELECT claim_id, count(*) AS n, sqrt(pow(arg_max(cx, t_sec) - arg_min(cx, t_sec), 2) + pow(arg_max(cy, t_sec) - arg_min(cy, t_sec), 2) + pow(arg_max(cz, t_sec) - arg_min(cz, t_sec), 2)) AS moved FROM sa GROUP BY 1),
+k AS (SELECT claim_id, count(*) AS actual FROM (SELECT c.claim_id, t.track_id, arg_max(t.state, t.t_sec) AS state FROM c JOIN tracks t ON t.mission_id = c.mission_id AND t.label = c.said_label AND t.t_sec <= coalesce(s0, 0) + 1e-6 GROUP BY ALL) WHERE state IN ('tentative', 'confirmed', 'occluded') GROUP BY 1),
+v0 AS (SELECT mission_id, subject_id, metric_scale, t_sec - lag(t_sec) OVER w AS dt, sqrt(pow(cx - lag(cx) OVER w, 2) + pow(cy - lag(cy) OVER w, 2) + pow(cz - lag(cz) OVER w, 2)) AS step FROM geometry WINDOW w AS (PARTITION BY mission_id, subject_id ORDER BY t_sec, sample_id)),
+bad AS (SELECT mission_id, subject_id FROM v0 GROUP BY ALL HAVING bool_and(metric_scale = 'metric') AND count(*) FILTER (WHERE dt <= 0 OR step > 30 * dt) > 0),
+f AS (SELECT c.*, p.a, p.b, EXISTS (SELECT 1 FROM sa WHERE sa.claim_id = c.claim_id) AS has_a, EXISTS (SELECT 1 FROM sb WHERE sb.claim_id = c.claim_id) AS has_b,
+    EXISTS (SELECT 1 FROM ids WHERE ids.mission_id = c.mission_id AND ids.id = c.subject_id) AND EXISTS (SELECT 1 FROM ids WHERE ids.mission_id = c.mission_id AND ids.id = c.object_id) AS known,
+    EXISTS (SELECT 1 FROM geometry x WHERE x.mission_id = c.mission_id AND x.subject_id IN (c.subject_id, c.object_id)) AS stored, EXISTS (SELECT 1 FROM bad WHERE bad.mission_id = c.mission_id AND bad.subject_id IN (c.subject_id, c.object_id)) AS fast,
+    EXISTS (SELECT 1 FROM tracks t WHERE t.mission_id = c.mission_id AND t.track_id = c.subject_id AND t.confidence > 0.9) AS linked, coalesce(k.actual, 0) AS actual, CASE WHEN m.n >= 2 THEN m.moved END AS moved, c.predicate IN ('supports', 'distance_band') AS metric,
+    (SELECT arg_max(t.state, t.t_sec) FROM tracks t WHERE t.mission_id = c.mission_id AND t.track_id = c.subject_id AND t.t_sec <= p.a.t_sec + 1e-6) AS seen,
+    EXISTS (SELECT 1 FROM edges e WHERE e.mission_id = c.mission_id AND e.status = 'accepted' AND e.subject_id = c.subject_id AND e.object_id = c.object_id AND e.start_sec % 3 < c.e0 AND c.s0 < e.start_sec % 3 + 1
+      AND e.predicate = CASE c.predicate WHEN 'left_of' THEN 'right_of' WHEN 'right_of' THEN 'left_of' WHEN 'above' THEN 'below' WHEN 'below' THEN 'above' END) AS against
+  FROM c LEFT JOIN p ON p.claim_id = c.claim_id AND p.place = 1 LEFT JOIN m ON m.claim_id = c.claim_id LEFT JOIN k ON k.claim_id = c.claim_id),
+h AS (SELECT *, a.cx - a.ex / 2 <= b.cx + b.ex / 2 AND b.cx - b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy + b.ey / 2 AND b.cy - b.ey / 2 <= a.cy + a.ey / 2 AS over_xy,
+    sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) AS dist, metric AND (a.metric_scale <> 'metric' OR a.calibration_id IS NULL) AS la, metric AND (b.metric_scale <> 'metric' OR b.calibration_id IS NULL) AS lb,
+    a.residual > 0.5 OR metric AND a.covariance > 1 AS ga, b.residual > 0.5 OR metric AND b.covariance > 1 AS gb FROM f),
+o AS (SELECT *, CASE predicate WHEN 'left_of' THEN a.cx + 0.05e0 < b.cx WHEN 'right_of' THEN a.cx > b.cx + 0.05e0 WHEN 'above' THEN a.cz > b.cz + 0.05e0 WHEN 'below' THEN a.cz + 0.05e0 < b.cz
+    WHEN 'contains' THEN a.cx - a.ex / 2 <= b.cx - b.ex / 2 AND b.cx + b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy - b.ey / 2 AND b.cy + b.ey / 2 <= a.cy + a.ey / 2 AND a.cz - a.ez / 2 <= b.cz - b.ez / 2 AND b.cz + b.ez / 2 <= a.cz + a.ez / 2
+    WHEN 'supports' THEN over_xy AND abs(b.cz - b.ez / 2 - (a.cz + a.ez / 2)) <= 0.05 WHEN 'distance_band' THEN dist <= high WHEN 'visible' THEN true WHEN 'relative_motion' THEN coalesce(moved > 0.05, false) END AS holds FROM h),
+v AS (SELECT claim_id, was, CASE WHEN predicate = 'same_as' THEN CASE WHEN linked THEN ['accepted', NULL] ELSE ['uncertain', 'vlm_not_sole_evidence'] END
+    WHEN said IS NOT NULL THEN CASE WHEN said = actual AND said > 0 THEN ['accepted', NULL] ELSE ['rejected', 'count_mismatch'] END
+    WHEN predicate IS NOT NULL THEN CASE WHEN NOT known THEN ['rejected', 'dangling_id'] WHEN s0 IS NOT NULL AND (NOT has_a OR NOT has_b) AND stored THEN ['rejected', 'lifetime_disjoint'] WHEN a IS NULL THEN ['uncertain', 'missing_geometry']
+      WHEN metric AND mission_id % 4 = 0 THEN ['uncertain', 'metric_scale_missing'] WHEN la THEN ['uncertain', 'metric_scale_missing'] WHEN ga THEN ['uncertain', 'uncertainty_gate'] WHEN lb THEN ['uncertain', 'metric_scale_missing'] WHEN gb OR fast THEN ['uncertain', 'uncertainty_gate']
+      WHEN predicate = 'distance_band' AND high IS NULL THEN ['uncertain', 'missing_distance_band'] WHEN predicate = 'visible' AND NOT coalesce(seen IN ('tentative', 'confirmed', 'occluded'), false) THEN ['uncertain', 'missing_evidence']
+      WHEN holds THEN ['accepted', NULL] WHEN against THEN ['rejected', 'mutually_exclusive'] ELSE ['rejected', 'geometry_contradiction'] END
+    WHEN is_event THEN ['uncertain', 'vlm_not_sole_evidence'] WHEN NOT known THEN ['rejected', 'dangling_id'] ELSE ['uncertain', NULL] END AS v, predicate IS NULL AND said IS NULL AND NOT is_event AND known AS needs_review FROM o)"""
 
 
 def _claims(t):
-    i = F.col("proposal_id") % 4
-    claims = t("proposals").select(F.col("proposal_id").alias("claim_id"), "mission_id", "claim_kind", "subject_id", "start_sec", "end_sec", F.when(i == 0, "left_of").when(i == 1, "right_of").when(i == 2, "above").otherwise("below").alias("predicate"), (F.col("proposal_id") % 3).alias("said"))
-    counts = t("tracks").filter("state in ('confirmed', 'occluded')").groupBy("mission_id", "t_sec").agg(F.countDistinct("track_id").alias("n"))
-    return claims, V.verify_claims(claims, t("edges"), t("timeline"), counts)
+    i = F.col("proposal_id")
+    k = (i % 13).cast("int")
+    names = F.array(*map(F.lit, ("left_of", "right_of", "above", "below", "contains", "supports", "distance_band", "visible", "relative_motion", "same_as")))
+    words, labels = F.array(*map(F.lit, ("Zero", "one", "2"))), F.array(*map(F.lit, ("persons", "Cars", "box")))
+    text = F.when(k == 10, F.concat_ws("-", F.get(words, (F.floor(i / 13) % 3).cast("int")), F.get(labels, (i % 3).cast("int")), F.lit("waiting"))).otherwise("the two met")
+    start = F.when(i % 11 != 0, (i % 7) * 0.5)
+    claims = t("proposals").select(
+        i.alias("claim_id"), "mission_id", F.when(k == 11, "event").otherwise("action").alias("claim_kind"), text.alias("text"), F.get(names, k).alias("predicate"), F.concat(F.lit("s"), i % 4 + 1).alias("subject_id"),
+        F.concat(F.lit("s"), (i + 2) % 6 + 1 + F.when(i % 17 == 0, 20).otherwise(0)).alias("object_id"), start.alias("start_sec"), (start + 0.75).alias("end_sec"), F.when(i % 5 != 0, 0.0).alias("band_low"), F.when(i % 5 != 0, 8.0).alias("band_high"),
+    )
+    samples = t("geometry").withColumn("residual_m", F.col("cx") / 15).withColumn("covariance", F.col("cy") / 2)
+    nodes = samples.select("mission_id", F.col("subject_id").alias("node_id")).distinct()
+    edges = t("edges").withColumn("start_sec", F.col("start_sec") % 3).withColumn("end_sec", F.col("start_sec") + 1)
+    return V.verify_claims(claims, t("tracks"), nodes, t("tracks").filter("confidence > 0.9"), samples, edges, samples.filter("mission_id % 4 <> 0").select("mission_id"))
 
 
-@query("v7_verify_claims", ["proposals", "edges", "timeline", "tracks"], CLAIMS + " SELECT claim_id, status FROM v")
+@query("v7_verify_claims", ["proposals", "edges", "geometry", "tracks"], CLAIMS + " SELECT claim_id, v[1] AS status, v[2] AS reason, needs_review FROM v")
 def v7(t):
-    return _claims(t)[1].select("claim_id", "status")
+    return _claims(t).select("claim_id", "status", "reason", "needs_review")
 
 
 @query("v8_uncertainty_gates", ["geometry"], """
@@ -92,30 +136,52 @@ def v9(t):
     return V.apply_reviews(claims, decisions, claims.filter("claim_id % 2 = 0"))
 
 
-@query("v12_audit", ["proposals", "edges", "timeline", "tracks"], CLAIMS + " SELECT v.claim_id, p.status AS was, v.status FROM v JOIN proposals p ON p.proposal_id = v.claim_id WHERE v.status <> p.status")
+@query("v12_audit", ["proposals", "edges", "geometry", "tracks"], CLAIMS + " SELECT claim_id, was, v[1] AS status FROM v WHERE v[1] <> was")
 def v12(t):
     before = t("proposals").select(F.col("proposal_id").alias("claim_id"), "status")
-    return V.audit(before, _claims(t)[1].select("claim_id", "status"))
-
-
-@query("v14_answers", ["timeline", "edges"], """
-, w AS (SELECT mission_id, type, participant, count(*) AS n, min(start_sec) AS first_at, min(event_id) AS cite FROM timeline WHERE status = 'accepted' AND n_evidence > 0 GROUP BY ALL),
-l AS (SELECT mission_id, object_id, count(DISTINCT subject_id) AS n, min(subject_id) AS answer, min(edge_id) AS cite FROM edges WHERE status = 'accepted' AND predicate = 'left_of' GROUP BY ALL)
-SELECT mission_id, 'when' AS template, concat('when ', type, ' ', participant) AS question, concat(CAST(CAST(first_at AS BIGINT) AS VARCHAR), '.0') AS answer, cite FROM w WHERE n = 1
-UNION ALL SELECT mission_id, 'count', concat('how often ', type, ' ', participant), CAST(n AS VARCHAR), cite FROM w
-UNION ALL SELECT mission_id, 'left_of', concat('what is left of ', object_id), answer, cite FROM l WHERE n = 1""")
+    return V.audit(before, _claims(t).select("claim_id", "status"))
+
+
+@query("v14_answers", ["timeline", "edges", "tracks"], """
+, e AS (SELECT event_id, mission_id, CASE WHEN type = 'approached' AND event_id % 3 = 0 THEN 'picked_up' WHEN type = 'left_region' AND event_id % 3 = 1 THEN 'put_down' ELSE type END AS type, start_sec, n_evidence, CASE WHEN type = 'count_changed' THEN [participant] ELSE [participant, concat('r', event_id % 3)] END AS participants,
+    CASE event_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'box' END AS label, CASE WHEN event_id % 2 = 0 THEN concat('geometry/', event_id) END AS ref FROM timeline WHERE status = 'accepted'),
+n AS (SELECT mission_id, participants[2] AS other, count(*) AS times, any_value(participants[1]) AS who, any_value(event_id) AS event_id, any_value(n_evidence) AS n_evidence FROM e WHERE type = 'entered_region' GROUP BY ALL),
+s AS (SELECT mission_id, type, count(*) AS times, any_value(participants[2]) AS other, any_value(participants[1]) AS who, any_value(event_id) AS event_id, any_value(n_evidence) AS n_evidence FROM e WHERE type IN ('picked_up', 'put_down', 'left_region', 'approached') GROUP BY ALL),
+f AS (SELECT mission_id, label, min(start_sec) AS at_sec FROM e WHERE type = 'count_changed' GROUP BY ALL),
+c AS (SELECT e.mission_id, e.label, count(*) AS times, any_value(event_id) AS event_id, any_value(participants) AS participants FROM e JOIN f ON e.mission_id = f.mission_id AND e.label = f.label AND e.start_sec - at_sec <= 1e-6 WHERE type = 'count_changed' GROUP BY ALL),
+x AS (SELECT mission_id, track_id, arg_max(label, t_sec) AS label FROM tracks GROUP BY ALL),
+l AS (SELECT mission_id, object_id, min(subject_id) AS subject FROM edges WHERE status = 'accepted' AND predicate = 'left_of' GROUP BY ALL HAVING count(DISTINCT subject_id) = 1),
+u AS (SELECT e.mission_id, unnest(participants) AS p, start_sec, event_id FROM e WHERE n_evidence > 0)
+SELECT mission_id, 'entered' AS template, other AS about, who AS answer, event_id AS cite FROM n WHERE times = 1 AND n_evidence > 0
+UNION ALL SELECT mission_id, 'state_change', concat(type, ' ', other), who, event_id FROM s WHERE times = 1 AND n_evidence > 0
+UNION ALL SELECT c.mission_id, 'count', c.label, '1', event_id FROM c JOIN x ON x.mission_id = c.mission_id AND x.track_id = c.participants[1] AND x.label = c.label WHERE times = 1
+UNION ALL SELECT l.mission_id, 'left_of', object_id, subject, arg_min(event_id, (start_sec, event_id)) FROM l JOIN u ON u.mission_id = l.mission_id AND u.p = l.subject GROUP BY ALL
+UNION ALL SELECT mission_id, 'evidence', CAST(arg_min(event_id, (start_sec, event_id)) AS VARCHAR), arg_min(ref, (start_sec, event_id)), arg_min(event_id, (start_sec, event_id)) FROM e WHERE n_evidence > 0 AND ref IS NOT NULL GROUP BY mission_id""")
 def v14(t):
-    return V.answers(t("timeline"), t("edges"))
-
-
-@query("v15_check_geometry", ["geometry"], RELATIONS + """
-, e AS (SELECT mission_id, subject_id, sample_id AS edge_id, CASE WHEN cx > 5 THEN 'left_of' ELSE 'above' END AS predicate, t_sec AS start_sec, t_sec + 1 AS end_sec FROM geometry WHERE subject_id = 's1'),
-x AS (SELECT e.edge_id, e.mission_id, e.subject_id, e.predicate, max(p.at_sec) AS last_at FROM e JOIN (SELECT DISTINCT mission_id, l, r, at_sec FROM rel WHERE r = 's2') p ON p.mission_id = e.mission_id AND p.l = e.subject_id AND p.at_sec >= e.start_sec AND p.at_sec < e.end_sec GROUP BY ALL)
-SELECT edge_id, predicate, last_at FROM x WHERE NOT EXISTS (SELECT 1 FROM rel h WHERE h.mission_id = x.mission_id AND h.l = x.subject_id AND h.r = 's2' AND h.at_sec = x.last_at AND h.predicate = x.predicate)""")
+    i, kind = F.col("event_id"), F.col("type")
+    region = F.concat(F.lit("r"), i % 3)
+    events = t("timeline").withColumn("participants", F.when(kind == "count_changed", F.array("participant")).otherwise(F.array(F.col("participant"), region)))
+    events = events.withColumn("type", F.when((kind == "approached") & (i % 3 == 0), "picked_up").when((kind == "left_region") & (i % 3 == 1), "put_down").otherwise(kind))
+    events = events.withColumn("label", F.when(i % 3 == 0, "Persons").when(i % 3 == 1, "cars").otherwise("box")).withColumn("evidence_ref", F.when(i % 2 == 0, F.concat(F.lit("geometry/"), i)))
+    return V.answers(events, t("tracks"), t("edges"))
+
+
+@query("v15_check_geometry", ["edges", "geometry"], """
+, e AS (SELECT mission_id, edge_id, subject_id, object_id, CASE edge_id % 7 WHEN 0 THEN 'supports' WHEN 1 THEN 'distance_band' WHEN 2 THEN 'relative_motion' ELSE predicate END AS predicate, start_sec % 3 AS start_sec, start_sec % 3 + 1 AS end_sec FROM edges WHERE status = 'accepted'),
+a AS (SELECT edge_id, arg_max(g, t_sec) AS a, count(*) AS n, sqrt(pow(arg_max(cx, t_sec) - arg_min(cx, t_sec), 2) + pow(arg_max(cy, t_sec) - arg_min(cy, t_sec), 2) + pow(arg_max(cz, t_sec) - arg_min(cz, t_sec), 2)) AS moved FROM e JOIN geometry g ON g.mission_id = e.mission_id AND g.subject_id = e.subject_id AND g.t_sec >= e.start_sec AND g.t_sec < e.end_sec GROUP BY 1),
+b AS (SELECT edge_id, arg_max(g, t_sec) AS b FROM e JOIN geometry g ON g.mission_id = e.mission_id AND g.subject_id = e.object_id AND g.t_sec >= e.start_sec AND g.t_sec < e.end_sec GROUP BY 1),
+x AS (SELECT e.*, a.a AS a, b.b AS b, a.n, a.moved FROM e LEFT JOIN a USING (edge_id) LEFT JOIN b USING (edge_id)),
+h AS (SELECT *, CASE predicate WHEN 'left_of' THEN a.cx + 0.05e0 < b.cx WHEN 'right_of' THEN a.cx > b.cx + 0.05e0 WHEN 'above' THEN a.cz > b.cz + 0.05e0 WHEN 'below' THEN a.cz + 0.05e0 < b.cz
+    WHEN 'contains' THEN a.cx - a.ex / 2 <= b.cx - b.ex / 2 AND b.cx + b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy - b.ey / 2 AND b.cy + b.ey / 2 <= a.cy + a.ey / 2 AND a.cz - a.ez / 2 <= b.cz - b.ez / 2 AND b.cz + b.ez / 2 <= a.cz + a.ez / 2
+    WHEN 'supports' THEN a.cx - a.ex / 2 <= b.cx + b.ex / 2 AND b.cx - b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy + b.ey / 2 AND b.cy - b.ey / 2 <= a.cy + a.ey / 2 AND abs(b.cz - b.ez / 2 - (a.cz + a.ez / 2)) <= 0.05
+    WHEN 'distance_band' THEN sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) BETWEEN 0 AND 4 ELSE coalesce(n >= 2 AND moved > 0.05, false) END AS holds FROM x)
+SELECT mission_id, edge_id, 'metric_predicate' AS code FROM h WHERE predicate IN ('supports', 'distance_band') AND mission_id % 3 = 0
+UNION ALL SELECT mission_id, edge_id, 'no_geometry' FROM h WHERE a IS NULL OR b IS NULL UNION ALL SELECT mission_id, edge_id, 'contradiction' FROM h WHERE a IS NOT NULL AND b IS NOT NULL AND NOT holds""")
 def v15(t):
-    g = t("geometry")
-    edges = g.filter("subject_id = 's1'").select("mission_id", "subject_id", F.lit("s2").alias("object_id"), F.col("sample_id").alias("edge_id"), F.when(F.col("cx") > 5, "left_of").otherwise("above").alias("predicate"), F.col("t_sec").alias("start_sec"), (F.col("t_sec") + 1).alias("end_sec"), F.lit("accepted").alias("status"))
-    return V.check_geometry(edges, W.relations(g))
+    k, start = F.col("edge_id") % 7, F.col("start_sec") % 3
+    edges = t("edges").withColumn("predicate", F.when(k == 0, "supports").when(k == 1, "distance_band").when(k == 2, "relative_motion").otherwise(F.col("predicate"))).withColumn("end_sec", start + 1).withColumn("start_sec", start)
+    edges = edges.withColumn("band_low", F.lit(0.0)).withColumn("band_high", F.lit(4.0))
+    return V.check_geometry(edges, t("geometry"), t("geometry").filter("mission_id % 3 <> 0").select("mission_id"))
 
 
 @query("p10_parse_claims", [], """
