@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Short parts (at most SHORT characters) that a task remembers; more are forgotten together.
-REMEMBERED, SHORT = 300_000, 48
+REMEMBERED, SHORT = 200_000, 48
+#: Texts that a task holds with their pieces at once.
+AT_ONCE = 512
 UNKNOWN_PENALTY = 10.0
 NORMAL, UNKNOWN, USER_DEFINED, BYTE = 1, 2, 4, 6
 
@@ -255,9 +257,9 @@ def encode(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "t
     def batches(it):
         codec = shared.value
         is_byte = np.array([k == BYTE for k in codec.kinds])
-        for b in it:
+        for b in (whole.slice(at, AT_ONCE) for whole in it for at in range(0, max(1, whole.num_rows), AT_ONCE)):
             texts = b.column(1).to_pylist()
-            ids = [i for at in range(0, len(texts), 512) for i in codec.encode_all(texts[at : at + 512])]
+            ids = codec.encode_all(texts)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
             flat = np.concatenate(ids) if ids else np.empty(0, np.int32)
             same = [codec.decode(i.tolist()) == (t or "") for i, t in zip(ids, texts)]

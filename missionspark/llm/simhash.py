@@ -231,6 +231,11 @@ def wide_majority(hashes: np.ndarray, lanes: int) -> bytes:
     return b"".join(found)
 
 
+def slices(batches, rows: int = 512):
+    """Batches of at most so many rows, so that few texts are held with what is made of them."""
+    return (b.slice(at, rows) for b in batches for at in range(0, max(1, b.num_rows), rows))
+
+
 #: Least shingles of a shard's key, and keys of a document: of two texts at a Jaccard similarity of 0.8 1 - (1 - 0.8**3)**6 = 0.987 meet.
 LEAST, KEYS = 3, 6
 ORDERS = np.random.default_rng(11).integers(0, 1 << 64, LEAST * KEYS, dtype=np.uint64) | np.uint64(1)
@@ -250,7 +255,7 @@ def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, lanes
     """(doc_id, text_key, fp, n_shingles, keys): the wide fingerprint of the distinct shingles as binary, and its shards."""
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             sets = [np.unique(shingle_hashes(t, words)) for t in b.column(2).to_pylist()]
             keys = [least_keys(s) if len(s) else np.empty(0, np.int64) for s in sets]
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]).astype(np.int32)), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
@@ -398,7 +403,7 @@ def shingle_sets(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, w
     texts = rows.join(asked, (F.col("text_key") == F.col("asked_key")) & F.col("doc_id").eqNullSafe(F.col("asked_id"))).select("fp", "text").dropDuplicates(["fp"])
 
     def batches(it):
-        for b in it:
+        for b in slices(it):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["fp", "shingles"])
 
     return texts.mapInArrow(batches, "fp binary, shingles binary")
