@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import distance_3d
+from ..sources.storage import materialise
 from .intervals import BANDS, MOVED_M, count_changes, motion_edges, relation_intervals
 
 EVENT_SEC = 1.0
@@ -137,7 +141,8 @@ def nearest_pairs(claims: DataFrame, samples: DataFrame) -> DataFrame:
     def inside(who: str) -> DataFrame:
         return points_in_intervals(span.select("claim_id", "mission_id", F.col(who).alias("subject_id"), F.col("object_id").alias("other"), "start_sec", "end_sec"), own, ["mission_id", "subject_id"], 8.0)
 
-    left = inside("subject_id").select("claim_id", "mission_id", "other", "start_sec", "end_sec", F.col("p_t_sec").alias("t"), F.col("p_sample").alias("l"))
+    subjects = materialise(inside("subject_id"), "claims-subjects")
+    left = subjects.select("claim_id", "mission_id", "other", "start_sec", "end_sec", F.col("p_t_sec").alias("t"), F.col("p_sample").alias("l"))
     asks = left.select(F.struct("claim_id", "t").alias("query_id"), "mission_id", F.col("other").alias("subject_id"), F.col("t").alias("t_sec"))
     state = own.select("mission_id", "subject_id", "t_sec", "sample")
     before = asof(asks, state, ["mission_id", "subject_id"], ["sample"], tolerance=0.0)
@@ -146,9 +151,9 @@ def nearest_pairs(claims: DataFrame, samples: DataFrame) -> DataFrame:
     near = before.select("query_id", "sample").unionByName(after.select("query_id", "sample")).filter("sample is not null").select(F.col("query_id.claim_id").alias("n_id"), F.col("query_id.t").alias("n_t"), F.col("sample").alias("r"))
     met = left.join(near, (F.col("claim_id") == F.col("n_id")) & (F.col("t") == F.col("n_t"))).filter((F.col("r.t_sec") >= F.col("start_sec")) & (F.col("r.t_sec") < F.col("end_sec")))
     best = met.groupBy(F.col("claim_id").alias("pair_id")).agg(F.min_by(F.struct("l", "r"), F.struct(F.abs(F.col("t") - F.col("r.t_sec")), "t", "r.t_sec")).alias("p"))
-    has = lambda who, name: inside(who).select(F.col("claim_id").alias(f"{name}_id")).distinct()
+    has = lambda found, name: found.select(F.col("claim_id").alias(f"{name}_id")).distinct()
     rows = span.select("claim_id").join(best, F.col("claim_id") == F.col("pair_id"), "left")
-    rows = rows.join(has("subject_id", "has_l"), F.col("claim_id") == F.col("has_l_id"), "left").join(has("object_id", "has_r"), F.col("claim_id") == F.col("has_r_id"), "left")
+    rows = rows.join(has(subjects, "has_l"), F.col("claim_id") == F.col("has_l_id"), "left").join(has(inside("object_id"), "has_r"), F.col("claim_id") == F.col("has_r_id"), "left")
     return rows.select(F.col("claim_id").alias("pair_id"), F.col("p.l").alias("l"), F.col("p.r").alias("r"), F.col("has_l_id").isNotNull().alias("has_l"), F.col("has_r_id").isNotNull().alias("has_r"))
 
 
@@ -185,6 +190,7 @@ def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links:
         rows = rows.join(known, (F.col("mission_id") == F.col(f"{who}_m")) & (F.col(f"{who}_id") == F.col(f"{who}_known")), "left")
     asked = rows.filter("rule = 'geometry'").join(span, F.col("mission_id") == F.col("span_m"), "left")
     asked = asked.withColumn("start_sec", F.when(F.col("bounded"), F.col("start_sec")).otherwise(F.col("low"))).withColumn("end_sec", F.when(F.col("bounded"), F.col("end_sec")).otherwise(F.col("high")))
+    asked = materialise(asked.select("claim_id", "mission_id", "subject_id", "object_id", "start_sec", "end_sec"), "claims-asked")
     rows = rows.join(nearest_pairs(asked, samples), F.col("claim_id") == F.col("pair_id"), "left")
     moved = motion_in(asked.select("claim_id", "mission_id", "subject_id", "start_sec", "end_sec"), samples.select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz"), ["mission_id", "subject_id"], "claim_id")
     rows = rows.join(moved.select(F.col("claim_id").alias("moved_id"), F.when(F.col("n") >= 2, F.col("moved_m")).alias("moved_m")), F.col("claim_id") == F.col("moved_id"), "left")
@@ -386,6 +392,18 @@ def run_rows(events: DataFrame) -> DataFrame:
     return events.groupBy("mission_id").agg(F.sha2(ids, 256).alias("run_id"), F.count("*").alias("events"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.sum("n_evidence").alias("evidence"))
 
 
+def provided(inputs: DataFrame, stage: str, schema: str, provider: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None) -> tuple[DataFrame | None, DataFrame]:
+    """(outputs, degradations) of a stage's model over its inputs, which have a mission_id.
+
+    A provider maps Arrow batches of inputs to rows of the schema, a model loaded
+    once a task.  None is an unavailable one: no outputs and a degradation row for
+    each mission; a mission that a provider gives nothing for has one, too.
+    """
+    missions = inputs.select("mission_id").distinct()
+    outputs = None if provider is None else materialise(inputs.mapInPandas(provider, schema), f"provided-{stage}")
+    return outputs, degradations(missions, {stage: outputs})
+
+
 def degradations(missions: DataFrame, outputs: dict[str, DataFrame | None]) -> DataFrame:
     """Missions that a stage has no model output for: (mission_id, stage, code).
 

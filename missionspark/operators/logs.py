@@ -216,6 +216,13 @@ def supersede(versions: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame,
     return met.filter("fits").select(*new.columns, "version"), met.filter("not fits").select(*new.columns)
 
 
+def history(versions: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """All versions of all documents after new ones were accepted, the latest of each flagged as current."""
+    both = versions.select(key, "version", "digest").unionByName(accepted.select(key, F.col("version").cast(versions.schema["version"].dataType), "digest"))
+    last = both.groupBy(F.col(key).alias("of")).agg(F.max("version").alias("last"))
+    return both.join(last, F.col(key) == F.col("of")).withColumn("current", F.col("version") == F.col("last")).drop("of", "last")
+
+
 def unpublished(events: DataFrame, ledger: DataFrame) -> DataFrame:
     """Accepted events with evidence that the ledger doesn't know, each once."""
     from .filters import publishable

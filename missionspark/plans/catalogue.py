@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import registry
-from . import missions, scenes, streams, tables  # noqa: F401  they register their queries
+from . import files, missions, scenes, streams, tables  # noqa: F401  they register their queries
 
 FLAGSHIP = "k1_vector_topk"
 
