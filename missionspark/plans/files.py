@@ -121,15 +121,13 @@ def s7_history(t):
     return G.history(versions, accepted, "doc").select("doc", "version", "current")
 
 
-@query("s9_replace_partition", ["timeline"], " SELECT event_id, mission_id, CASE WHEN mission_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM timeline WHERE mission_id % 3 <> 0 OR event_id % 2 = 0 OR mission_id NOT IN (SELECT mission_id FROM timeline WHERE event_id % 2 = 0)")
+@query("s9_replace_partition", ["timeline"], " SELECT event_id, mission_id % 40 AS part, CASE WHEN mission_id % 40 % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM timeline WHERE mission_id % 40 % 3 <> 0 OR event_id % 2 = 0")
 def s9(t):
     path = new_path(t.spark, "partitions")
-    rows = t("timeline").select("event_id", F.lit("old").alias("state"), "mission_id")
-    rows.write.partitionBy("mission_id").parquet(path)
-    kept = rows.filter("mission_id % 3 = 0").groupBy("mission_id").agg(F.count_if(F.col("event_id") % 2 == 0).alias("even"))
-    new = rows.filter("mission_id % 3 = 0").join(kept, "mission_id").filter("event_id % 2 = 0 or even = 0").select("event_id", F.lit("new").alias("state"), "mission_id")
-    G.replace_partition(new, path, "mission_id")
-    return t.spark.read.parquet(path).withColumn("mission_id", F.col("mission_id").cast("long")).select("event_id", "mission_id", "state")
+    rows = t("timeline").select("event_id", F.lit("old").alias("state"), (F.col("mission_id") % 40).alias("part"))
+    rows.write.partitionBy("part").parquet(path)
+    G.replace_partition(rows.filter("part % 3 = 0 and event_id % 2 = 0").withColumn("state", F.lit("new")), path, "part")
+    return t.spark.read.parquet(path).withColumn("part", F.col("part").cast("long")).select("event_id", "part", "state")
 
 
 @query("s10_replace_run", ["timeline", "edges"], """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import bundles as B
 from ..operators import intervals as W
 from ..operators import joins as J
 from ..operators import logs as G
@@ -210,6 +211,48 @@ def j9(t):
     return J.check_refs({"edge_subject": (key(t("edges")), "ref", key(t("geometry")).select("ref").distinct(), "ref"), "proposal_supersedes": (moved, "ref", p, "proposal_id")})
 
 
+BUNDLE = ("observations", "nodes", "edges", "samples", "proposals", "events", "qa", "timeline_qa", "masks", "files")
+
+
+def _bundle(t):
+    return {name: t(f"b_{name}") for name in BUNDLE}
+
+
+def _ref_sql(kind: str, table: str, column: str, known: str, many: bool = False) -> str:
+    item = f"unnest({column})" if many else column
+    return f"SELECT '{kind}' AS kind, concat(mission_id, '/', x) AS id, count(*) AS n FROM (SELECT mission_id, {item} AS x FROM b_{table}) WHERE x IS NOT NULL AND (mission_id, x) NOT IN (SELECT mission_id, x FROM ({known})) GROUP BY ALL"
+
+
+def _known(*parts: tuple[str, str]) -> str:
+    return " UNION ".join(f"SELECT mission_id, {column} AS x FROM b_{table} WHERE {column} IS NOT NULL" for table, column in parts)
+
+
+TRACKS, DELTAS = _known(("observations", "track_id")), _known(("nodes", "delta_id"), ("edges", "delta_id"))
+
+
+@query("j9_bundle_refs", [f"b_{name}" for name in BUNDLE], " " + " UNION ALL ".join([
+    _ref_sql("identity_link", "observations", "linked_track_id", TRACKS), _ref_sql("track_supersedes", "observations", "supersedes", _known(("observations", "observation_id"))),
+    _ref_sql("node_supersedes", "nodes", "supersedes", DELTAS), _ref_sql("delta_supersedes", "edges", "delta_supersedes", DELTAS), _ref_sql("node_track", "nodes", "track_id", TRACKS),
+    _ref_sql("edge_subject", "edges", "subject_id", _known(("nodes", "node_id"))), _ref_sql("edge_object", "edges", "object_id", _known(("nodes", "node_id"))), _ref_sql("edge_supersedes", "edges", "supersedes", _known(("edges", "edge_id"))),
+    _ref_sql("edge_evidence", "edges", "evidence_ids", _known(("observations", "observation_id"), ("samples", "sample_id")), True), _ref_sql("proposal_supersedes", "proposals", "supersedes", _known(("proposals", "proposal_id"))),
+    _ref_sql("event_supersedes", "events", "supersedes", _known(("events", "event_id"))), _ref_sql("event_participant", "events", "participants", _known(("observations", "track_id"), ("nodes", "node_id")), True),
+    _ref_sql("event_delta", "events", "delta_refs", DELTAS, True), _ref_sql("event_claim", "events", "claim_ref", _known(("proposals", "proposal_id"))), _ref_sql("event_evidence_track", "events", "evidence_tracks", TRACKS, True),
+    _ref_sql("event_evidence_file", "events", "evidence_files", _known(("files", "path")), True), _ref_sql("qa_evidence", "timeline_qa", "evidence_event_ids", _known(("events", "event_id")), True), _ref_sql("mask_track", "masks", "track_id", TRACKS),
+    "SELECT 'qa_log', concat(coalesce(q.mission_id, t.mission_id), '/', coalesce(q.qa_id, t.qa_id)) AS id, count(*) FROM b_qa q FULL JOIN b_timeline_qa t ON q.mission_id = t.mission_id AND q.qa_id = t.qa_id WHERE q.answer IS DISTINCT FROM t.answer GROUP BY ALL",
+]))
+def j9_bundle(t):
+    return B.dangling(_bundle(t))
+
+
+@query("g4_bundle_unique", [f"b_{name}" for name in BUNDLE], " SELECT kind, id, count(*) AS n FROM (" + " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, concat(mission_id, '/', {column}) AS id FROM b_{table}"
+    for kind, table, column in [("observation_id", "observations", "observation_id"), ("delta_id", "nodes", "delta_id"), ("delta_id", "edges", "delta_id"), ("proposal_id", "proposals", "proposal_id"), ("event_id", "events", "event_id"), ("qa_id", "qa", "qa_id"),
+                                ("timeline_qa_id", "timeline_qa", "qa_id"), ("node_id", "nodes", "node_id"), ("edge_id", "edges", "edge_id"), ("sample_id", "samples", "sample_id")]
+) + ") GROUP BY ALL HAVING count(*) > 1")
+def g4_bundle(t):
+    return B.repeated(_bundle(t))
+
+
 @query("j11_assign_sites", ["missions", "sites"], """
 , c AS (SELECT m.mission_id, s.site_id, sqrt(pow((m.lat - s.lat) * 111320e0, 2) + pow((m.lon - s.lon) * 111320e0 * cos(radians(s.lat)), 2)) AS off FROM missions m JOIN sites s ON abs(m.lat - s.lat) < 0.1 AND abs(m.lon - s.lon) < 0.2),
 b AS (SELECT mission_id, min(off) AS off, arg_min(site_id, (off, site_id)) AS site_id FROM c WHERE off <= 5000 GROUP BY 1),
@@ -222,11 +265,11 @@ def j11(t):
 
 @query("j12_detect_changes", ["points"], """
 , c AS (SELECT a.id, b.id AS r, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS distance FROM points a JOIN points b ON a.mission_id <> b.mission_id
-  AND sqrt(pow((a.lat - b.lat) * 111320e0, 2) + pow((a.lon - b.lon) * 111320e0 * cos(radians(b.lat)), 2)) <= 60),
+  AND sqrt(pow((a.lat - b.lat) * 111320e0, 2) + pow((a.lon - b.lon) * 111320e0 * cos(radians(b.lat)), 2)) <= 400),
 n AS (SELECT id, min(distance) AS distance, arg_min(r, (distance, r)) AS reference FROM c GROUP BY id)
 SELECT id, reference, round(distance, 6) AS distance FROM n WHERE distance > 0.35""")
 def j12(t):
-    return J.detect_changes(t("points"), 60.0, 0.35).select("id", "reference", F.round("distance", 6).alias("distance"))
+    return J.detect_changes(t("points"), 400.0, 0.35).select("id", "reference", F.round("distance", 6).alias("distance"))
 
 
 @query("j13_site_missions", ["missions", "sites"], " SELECT s.site_id, m.mission_id, m.robot_id FROM sites s JOIN missions m USING (site_id) WHERE m.status = 'done' ORDER BY 1, 2")
@@ -277,7 +320,7 @@ def j18(t):
 
 @query("j12_facts_diff", ["points", "frames"], """
 , c AS (SELECT a.id, b.id AS r, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS distance FROM points a JOIN points b ON a.mission_id <> b.mission_id
-  AND sqrt(pow((a.lat - b.lat) * 111320e0, 2) + pow((a.lon - b.lon) * 111320e0 * cos(radians(b.lat)), 2)) <= 60),
+  AND sqrt(pow((a.lat - b.lat) * 111320e0, 2) + pow((a.lon - b.lon) * 111320e0 * cos(radians(b.lat)), 2)) <= 400),
 n AS (SELECT id, min(distance) AS distance, arg_min(r, (distance, r)) AS reference FROM c GROUP BY id),
 f AS (SELECT frame_id AS id, json_extract_string(facts, '$.road_condition') AS road, json_extract_string(facts, '$.vehicle_groups[0].count') AS cars FROM frames),
 d AS (SELECT n.id, n.reference, unnest(['road_condition', 'cars']) AS key, unnest([t.road, t.cars]) AS was, unnest([f.road, f.cars]) AS "is" FROM n LEFT JOIN f ON f.id = n.id LEFT JOIN f t ON t.id = n.reference WHERE n.distance > 0.35)
@@ -285,7 +328,7 @@ SELECT id, reference, key, was, "is" FROM d WHERE was IS DISTINCT FROM "is" """)
 def j12_facts(t):
     road, cars = F.get_json_object("facts", "$.road_condition"), F.get_json_object("facts", "$.vehicle_groups[0].count")
     facts = t("frames").filter("facts is not null").select(F.col("frame_id").alias("id"), F.create_map(F.lit("road_condition"), road, F.lit("cars"), cars).alias("facts"))
-    return J.facts_diff(J.detect_changes(t("points"), 60.0, 0.35), facts)
+    return J.facts_diff(J.detect_changes(t("points"), 400.0, 0.35), facts)
 
 
 @query("j19_evidence", ["timeline", "geometry", "tracks"], """
@@ -323,13 +366,13 @@ def j20(t):
 , k AS (SELECT mission_id % 3 AS mission_id, id AS track_id, mission_id % 2 AS label, (id % 50) * 2e0 AS born, (id % 50) * 2e0 + 5 AS ended, embedding FROM points WHERE type = 'frame'),
 r AS (SELECT DISTINCT mission_id % 3 AS mission_id, (id % 10) * 11e0 AS t_sec FROM points WHERE type = 'tile'),
 c AS (SELECT a.mission_id, a.track_id, b.ended, b.track_id AS o, a.born - b.ended AS gap, EXISTS (SELECT 1 FROM r WHERE r.mission_id = a.mission_id AND r.t_sec > b.ended AND r.t_sec <= a.born) AS cut FROM k a JOIN k b ON a.mission_id = b.mission_id AND a.label = b.label AND a.track_id <> b.track_id AND b.ended <= a.born
-  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.6)
+  AND list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) >= 0.2)
 SELECT mission_id, track_id, arg_max(o, (ended, o)) AS linked, CASE WHEN arg_max(cut, (ended, o)) THEN 'camera_cut' ELSE 'occlusion' END AS reason FROM c WHERE cut OR gap >= 2 GROUP BY ALL""")
 def j21(t):
     born = (F.col("id") % 50) * F.lit(2.0)
     tracks = t("points").filter("type = 'frame'").select((F.col("mission_id") % 3).alias("mission_id"), F.col("id").alias("track_id"), (F.col("mission_id") % 2).alias("label"), born.alias("born"), (born + 5).alias("ended"), F.col("embedding").alias("vector"))
     resets = t("points").filter("type = 'tile'").select((F.col("mission_id") % 3).alias("mission_id"), ((F.col("id") % 10) * F.lit(11.0)).alias("t_sec")).distinct()
-    return J.link_identities(tracks, "vector", resets, 0.6)
+    return J.link_identities(tracks, "vector", resets, 0.2)
 
 
 @query("j22_georeference", ["tracks", "geometry"], """

@@ -94,6 +94,33 @@ SELECT o_orderkey AS event_id, CAST(o_custkey AS BIGINT) AS mission_id, CASE o_o
        CAST(o_orderkey % 50 AS DOUBLE) AS start_sec, CAST(o_orderkey % 50 AS DOUBLE) + 1e0 + CAST(o_orderkey % 7 AS DOUBLE) AS end_sec, concat('s', CAST(o_orderkey % 5 AS {BIGSTR})) AS participant,
        CASE o_orderstatus WHEN 'F' THEN 'accepted' WHEN 'O' THEN 'rejected' ELSE 'uncertain' END AS status, CAST(o_orderkey % 3 AS BIGINT) AS n_evidence, o_totalprice / 1e6 AS confidence
 FROM {orders}""",
+    # Tables of mission bundles, with some references that nothing answers and some ids that repeat.
+    "b_observations": """
+SELECT CAST(floor(l_orderkey / 40) AS BIGINT) AS mission_id, concat('o', CAST(l_orderkey % 40 AS {BIGSTR}), '-', CAST(l_linenumber AS {BIGSTR})) AS observation_id, concat('s', CAST(l_linenumber AS {BIGSTR})) AS track_id,
+       CASE WHEN l_partkey % 9 = 0 THEN concat('s', CAST(l_linenumber % 4 + 5 AS {BIGSTR})) ELSE NULL END AS linked_track_id, CASE WHEN l_partkey % 11 = 0 THEN concat('o', CAST(l_orderkey % 40 AS {BIGSTR}), '-', CAST(l_linenumber % 5 AS {BIGSTR})) ELSE NULL END AS supersedes
+FROM {lineitem}""",
+    "b_nodes": """
+SELECT DISTINCT CAST(floor(l_orderkey / 40) AS BIGINT) AS mission_id, concat('dn', CAST(l_linenumber AS {BIGSTR})) AS delta_id, CASE WHEN l_linenumber % 3 = 0 THEN concat('dn', CAST(l_linenumber + 2 AS {BIGSTR})) ELSE NULL END AS supersedes,
+       concat('s', CAST(l_linenumber AS {BIGSTR})) AS node_id, concat('s', CAST(l_linenumber % 7 + 1 AS {BIGSTR})) AS track_id
+FROM {lineitem} WHERE l_linenumber < 7""",
+    "b_edges": """
+SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('de', CAST(o_orderkey % 38 AS {BIGSTR})) AS delta_id, CASE WHEN o_orderkey % 6 = 0 THEN concat('de', CAST(o_orderkey % 41 AS {BIGSTR})) ELSE NULL END AS delta_supersedes, concat('e', CAST(o_orderkey % 39 AS {BIGSTR})) AS edge_id,
+       concat('s', CAST(o_orderkey % 4 + 1 AS {BIGSTR})) AS subject_id, concat('s', CAST(o_orderkey % 8 AS {BIGSTR})) AS object_id, CASE WHEN o_orderkey % 5 = 0 THEN concat('e', CAST(o_orderkey % 43 AS {BIGSTR})) ELSE NULL END AS supersedes,
+       split(concat('o', CAST(o_orderkey % 40 AS {BIGSTR}), '-', CAST(o_custkey % 5 AS {BIGSTR}), ',g', CAST(o_orderkey % 45 AS {BIGSTR})), ',') AS evidence_ids
+FROM {orders}""",
+    "b_samples": "SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('g', CAST(o_orderkey % 40 AS {BIGSTR})) AS sample_id FROM {orders}",
+    "b_proposals": """
+SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('p', CAST(o_orderkey % 39 AS {BIGSTR})) AS proposal_id, CASE WHEN o_orderkey % 4 = 0 THEN concat('p', CAST(o_orderkey % 44 AS {BIGSTR})) ELSE NULL END AS supersedes FROM {orders}""",
+    "b_events": """
+SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('v', CAST(o_orderkey % 39 AS {BIGSTR})) AS event_id, CASE WHEN o_orderkey % 7 = 0 THEN concat('v', CAST(o_orderkey % 47 AS {BIGSTR})) ELSE NULL END AS supersedes,
+       split(concat('s', CAST(o_custkey % 8 AS {BIGSTR}), ',s', CAST(o_orderkey % 6 + 1 AS {BIGSTR})), ',') AS participants, split(concat('de', CAST(o_custkey % 41 AS {BIGSTR}), ',dn', CAST(o_custkey % 9 AS {BIGSTR})), ',') AS delta_refs,
+       CASE WHEN o_orderkey % 3 = 0 THEN concat('p', CAST(o_custkey % 42 AS {BIGSTR})) ELSE NULL END AS claim_ref, split(concat('s', CAST(o_custkey % 9 AS {BIGSTR})), ',') AS evidence_tracks, split(concat('geometry/g', CAST(o_custkey % 50 AS {BIGSTR})), ',') AS evidence_files
+FROM {orders}""",
+    "b_qa": "SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('q', CAST(o_orderkey % 40 AS {BIGSTR})) AS qa_id, CAST(o_custkey % 10 AS {BIGSTR}) AS answer FROM {orders} WHERE o_orderkey % 9 <> 0",
+    "b_timeline_qa": """
+SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('q', CAST(o_orderkey % 40 AS {BIGSTR})) AS qa_id, CAST(CASE WHEN o_orderkey % 13 = 0 THEN 11 ELSE o_custkey % 10 END AS {BIGSTR}) AS answer, split(concat('v', CAST(o_custkey % 41 AS {BIGSTR})), ',') AS evidence_event_ids FROM {orders} WHERE o_orderkey % 10 <> 0""",
+    "b_masks": "SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('s', CAST(o_custkey % 9 AS {BIGSTR})) AS track_id FROM {orders}",
+    "b_files": "SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS mission_id, concat('geometry/g', CAST(o_orderkey % 40 AS {BIGSTR})) AS path FROM {orders}",
     # Frame quality signals in order of time.
     "signals": """
 SELECT CAST(user_id % 25 AS BIGINT) AS mission_id, event_id AS frame_id, CAST({EPOCH_US}(CAST(ts AS TIMESTAMP)) AS DOUBLE) / 1e6 - 1704067200e0 AS t_sec, value AS drift, event_type <> 'error' AS good, event_type = 'signup' AS cut FROM {events}""",
