@@ -108,6 +108,39 @@ def track_rules() -> dict[str, Column]:
     }
 
 
+def sample_rules() -> dict[str, Column]:
+    """Contract of a stored 3D sample's shape: extents, quaternion, covariance, vector."""
+    norm = F.sqrt(F.aggregate("quaternion", F.lit(0.0), lambda s, x: s + x * x))
+    return {
+        "extent_not_positive": (F.col("ex") > 0) & (F.col("ey") > 0) & (F.col("ez") > 0), "quaternion_not_unit": (F.size("quaternion") == 4) & (F.abs(norm - 1.0) <= 1e-3),
+        "covariance_negative": F.forall("covariance_diag", lambda x: x >= 0), "vector_length": F.size("vector") == F.col("dim"),
+    }
+
+
+def mask_rules() -> dict[str, Column]:
+    """Contract of a mask: one bit a pixel."""
+    return {"bit_count": (F.length("bits") == F.col("width") * F.col("height")) & F.col("bits").rlike("^[01]*$")}
+
+
+def delta_rules(predicates: Sequence[str]) -> dict[str, Column]:
+    """Contract of a graph delta: a node or an edge, and accepted edges of a predicate that geometry can decide."""
+    return {
+        "node_or_edge": F.col("node_id").isNull() != F.col("edge_id").isNull(),
+        "open_predicate_accepted": F.col("edge_id").isNull() | (F.col("status") != "accepted") | F.coalesce(F.col("predicate").isin(*predicates), F.lit(False)),
+        "band_missing": F.coalesce(F.col("predicate") != "distance_band", F.lit(True)) | F.col("band_max").isNotNull(),
+    }
+
+
+def event_rules() -> dict[str, Column]:
+    """Contract of an event."""
+    return {"interval_order": F.col("end_sec") > F.col("start_sec"), "accepted_without_evidence": (F.col("status") != "accepted") | (F.col("n_evidence") > 0)}
+
+
+def answer_rules() -> dict[str, Column]:
+    """Contract of an answer: accepted ones cite events and are never causal."""
+    return {"accepted_without_evidence": (F.col("status") != "accepted") | (F.col("n_evidence") > 0), "causal_accepted": ~((F.col("status") == "accepted") & F.col("program").rlike(r"^caus(ed|al)\("))}
+
+
 def pending(frames: DataFrame, cursor: tuple | None = None) -> DataFrame:
     """Frames still to caption, behind a cursor of (created_at, frame_id)."""
     rows = frames.filter(F.col("caption").isNull() & F.col("caption_skip_reason").isNull())

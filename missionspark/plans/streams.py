@@ -315,9 +315,20 @@ def t7(t):
     return S.thin_frames(t("signals"), 12, 86400.0)
 
 
+def _looks(t):
+    """Frame signals with a descriptor of three numbers."""
+    d = F.col("drift")
+    return t("signals").withColumn("embedding", F.array(F.sin(d), F.cos(d), F.floor(d / 7).cast("double"))).withColumn("drift", d / 300)
+
+
 @query("t8_keyframes", [], None)
 def t8(t):
-    return S.keyframes(t("signals"), chunk_sec=86400.0, heartbeat_sec=7200.0, coalesce_sec=60.0)
+    return S.keyframes(_looks(t), chunk_sec=86400.0, most_gap=7200.0, spacing=60.0)
+
+
+@query("t8_deep_keyframes", [], None)
+def t8_deep(t):
+    return S.keyframes(_looks(t), "deep", chunk_sec=86400.0, most_gap=7200.0, spacing=60.0)
 
 
 @query("t9_keep_frames", [], None)

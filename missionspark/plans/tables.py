@@ -70,6 +70,34 @@ def p7(t):
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
+@query("p7_all_contracts", ["geometry", "edges", "timeline", "proposals"], """
+, g AS (SELECT sample_id, depth_m, ex - CASE WHEN depth_m > 4.5 THEN 3 ELSE 0 END AS ex, cy - 1 AS cov, CASE WHEN cx > 9 THEN 3 ELSE 4 END AS len, CASE WHEN cz > 1 THEN 0.5e0 ELSE 1e0 END AS w FROM geometry)
+SELECT 'sample' AS contract, sample_id AS id, 'extent_not_positive' AS code FROM g WHERE ex <= 0 UNION ALL SELECT 'sample', sample_id, 'quaternion_not_unit' FROM g WHERE w <> 1 UNION ALL SELECT 'sample', sample_id, 'covariance_negative' FROM g WHERE cov < 0
+UNION ALL SELECT 'sample', sample_id, 'vector_length' FROM g WHERE len <> 4
+UNION ALL SELECT 'mask', sample_id, 'bit_count' FROM geometry WHERE cx > 9 OR cz > 1.5
+UNION ALL SELECT 'delta', CAST(edge_id AS VARCHAR), 'node_or_edge' FROM edges WHERE edge_id % 12 = 0 UNION ALL SELECT 'delta', CAST(edge_id AS VARCHAR), 'open_predicate_accepted' FROM edges WHERE status = 'accepted' AND edge_id % 10 = 3 UNION ALL SELECT 'delta', CAST(edge_id AS VARCHAR), 'band_missing' FROM edges WHERE edge_id % 10 = 4
+UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), 'accepted_without_evidence' FROM timeline WHERE status = 'accepted' AND n_evidence = 0 UNION ALL SELECT 'event', CAST(event_id AS VARCHAR), 'interval_order' FROM timeline WHERE end_sec - event_id % 3 <= start_sec
+UNION ALL SELECT 'answer', CAST(proposal_id AS VARCHAR), 'accepted_without_evidence' FROM proposals WHERE status = 'accepted' AND proposal_id % 3 = 0 UNION ALL SELECT 'answer', CAST(proposal_id AS VARCHAR), 'causal_accepted' FROM proposals WHERE status = 'accepted' AND proposal_id % 7 = 0""")
+def p7_all(t):
+    from ..operators.graph import GEOMETRIC
+
+    f = F.col
+    short = F.when(f("cx") > 9, F.array(*[F.lit(1.0)] * 3)).otherwise(F.array(*[F.lit(1.0)] * 4))
+    samples = t("geometry").withColumn("ex", f("ex") - F.when(f("depth_m") > 4.5, 3).otherwise(0)).withColumn("covariance_diag", F.array(F.lit(0.5), f("cy") - 1)).withColumn("vector", short).withColumn("dim", F.lit(4))
+    samples = samples.withColumn("quaternion", F.array(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.when(f("cz") > 1, 0.5).otherwise(1.0)))
+    masks = t("geometry").withColumn("width", F.lit(4)).withColumn("height", F.lit(2)).withColumn("bits", F.when(f("cx") > 9, "0101010").when(f("cz") > 1.5, "0101010x").otherwise("01010101"))
+    k = f("edge_id")
+    deltas = t("edges").withColumn("node_id", F.when(k % 12 == 0, "s1")).withColumn("predicate", F.when(k % 10 == 3, "holds").when(k % 10 == 4, "distance_band").otherwise(f("predicate"))).withColumn("band_max", F.lit(None).cast("double"))
+    events = t("timeline").withColumn("end_sec", f("end_sec") - f("event_id") % 3)
+    answers = t("proposals").withColumn("n_evidence", f("proposal_id") % 3).withColumn("program", F.when(f("proposal_id") % 7 == 0, "caused(a, b)").otherwise("count(car, at=1)"))
+    parts = [("sample", samples, P.sample_rules(), "sample_id"), ("mask", masks, P.mask_rules(), "sample_id"), ("delta", deltas, P.delta_rules(GEOMETRIC), "edge_id"), ("event", events, P.event_rules(), "event_id"), ("answer", answers, P.answer_rules(), "proposal_id")]
+    found = None
+    for kind, df, rules, key in parts:
+        rows = P.check_rows(df, rules, [key]).select(F.lit(kind).alias("contract"), F.col(key).cast("string").alias("id"), "code")
+        found = rows if found is None else found.unionByName(rows)
+    return found
+
+
 @query("p8_pending", ["frames"], " SELECT frame_id FROM frames WHERE caption IS NULL AND caption_skip_reason IS NULL AND (created_at, frame_id) > (TIMESTAMP '2024-01-10', 100)")
 def p8(t):
     return P.pending(t("frames"), (CURSOR, 100)).select("frame_id")

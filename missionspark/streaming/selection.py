@@ -7,14 +7,16 @@ also runs as a stream with keyed state.
 
 from __future__ import annotations
 
+import functools
 import itertools
 import json
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,50 +61,140 @@ def thin_frames(signals: DataFrame, capacity: int, chunk_sec: float) -> DataFram
     return rows.groupBy("mission_id", "chunk").applyInPandas(thin, "mission_id long, frame_id long, t_sec double, kept boolean, gap_end_sec double")
 
 
-def keyframes(signals: DataFrame, *, chunk_sec: float = 60.0, budget: int = 2, least_drift: float = 0.0, heartbeat_sec: float = 10.0, coalesce_sec: float = 0.25) -> DataFrame:
-    """Picked frames (mission_id, frame_id, t_sec, reason).
+# Fixed values of keyframe selection: thresholds of the gate; reasons that force a frame.
+GATE = {"hist_diff": 0.25, "ssim_diff": 0.25, "drift": 0.15}
+FORCED = ("scene_cut", "prompt_change", "calibration_change", "stream_start", "max_gap")
 
-    Good frames with a cut are forced; each chunk adds its frames of the
-    greatest drift from what is picked, up to the budget; a frame follows where
-    nothing was picked for a heartbeat, and picks nearer than the coalescing
-    time keep the forced or earlier one.  Ties go by (t_sec, frame_id).
+
+def residual(vector: np.ndarray, basis: list[np.ndarray]) -> tuple[float, np.ndarray]:
+    """What of a unit vector the orthonormal basis doesn't hold: its length and direction."""
+    norm = float(np.linalg.norm(vector))
+    left = vector / norm if norm > 1e-12 else np.zeros_like(vector)
+    for b in basis:
+        left = left - float(left @ b) * b
+    norm = float(np.linalg.norm(left))
+    return (norm, left / norm) if norm > 1e-12 else (0.0, np.zeros_like(left))
+
+
+def diverse(vectors: list[np.ndarray], required: list[int], budget: int) -> list[int]:
+    """Places that are taken beside the required ones: greatest residual first, the earlier of equals."""
+    basis, taken, pool = [], 0, [i for i in range(len(vectors)) if i not in set(required)]
+
+    def take(i: int) -> None:
+        length, unit = residual(vectors[i], basis)
+        if length > 1e-8:
+            basis.append(unit)
+
+    for i in required:
+        take(i)
+        taken += 1
+    found = []
+    while taken < budget and pool:
+        lengths = [round(residual(vectors[i], basis)[0], 9) for i in pool]
+        best = int(np.argmax(lengths))
+        if taken and residual(vectors[pool[best]], basis)[0] <= 1e-8:
+            break
+        found.append(pool[best])
+        take(pool.pop(best))
+        taken += 1
+    return found
+
+
+def heartbeats(times: list[float], picked: list[int], most_gap: float) -> list[int]:
+    """Places that fill gaps between picked ones longer than ``most_gap``.
+
+    A gap takes the first free place at or after its limit, else the last one
+    before it; behind the last pick only places beyond the limit count.
     """
-    good = signals.filter("good")
+    free = sorted(set(range(len(times))) - set(picked))
+    found, gaps = [], list(zip(picked, [*picked[1:], None]))[::-1]
+    while gaps:
+        low, high = gaps.pop()
+        limit = times[low] + most_gap
+        if high is not None and times[high] - times[low] <= most_gap:
+            continue
+        at = bisect_left(free, limit, key=lambda i: times[i])
+        if high is None:
+            while at < len(free) and times[free[at]] - times[low] <= most_gap:
+                at += 1
+        elif at == len(free) or times[free[at]] >= times[high]:
+            at -= 1
+            while at > 0 and times[free[at]] == times[free[at - 1]]:
+                at -= 1
+            if at < 0 or times[free[at]] <= times[low]:
+                continue
+        if at >= len(free):
+            continue
+        pick = free.pop(at)
+        found.append(pick)
+        gaps += [(pick, high), (low, pick)]
+    return found
+
+
+def coalesced(rows: list[tuple[float, bool]], spacing: float) -> list[int]:
+    """Places that stay of picks (t, forced) nearer than the spacing: forced before others, then the earlier."""
+    kept = []
+    for i, (t, forced) in enumerate(rows):
+        if not kept or t - rows[kept[-1]][0] >= spacing or forced and rows[kept[-1]][1]:
+            kept.append(i)
+        elif forced:
+            kept[-1] = i
+    return kept
+
+
+def keyframes(signals: DataFrame, profile: str = "fast", *, chunk_sec: float = 4.0, budget: int = 2, most_gap: float = 10.0, spacing: float = 0.25) -> DataFrame:
+    """Picked frames (mission_id, frame_id, t_sec, reasons, forced).
+
+    Signals have (mission_id, frame_id, t_sec, good) and, where known, hist_diff,
+    ssim_diff, drift, cut, prompt_changed, calibration_changed and embedding.  A
+    good frame is a candidate if it is the mission's first, is forced by a
+    change, or passes a threshold of :data:`GATE`.  In each chunk from the first
+    frame on (profile ``deep``: once in the mission, with the chunks' budgets
+    together) the forced ones are taken and then those whose embedding adds most
+    to what is taken, up to the budget.  Gaps beyond ``most_gap`` are filled from
+    all good frames, and picks nearer than ``spacing`` are thinned.  Only
+    candidates carry their embedding to a task; the last step sees a mission's
+    times alone.
+    """
+    def known(name: str, kind: str, otherwise) -> Column:
+        return F.coalesce(F.col(name), F.lit(otherwise).cast(kind)) if name in signals.columns else F.lit(otherwise).cast(kind)
+
+    good = signals.filter("good and t_sec >= 0")
+    first = good.groupBy(F.col("mission_id").alias("of")).agg(F.min(F.struct("t_sec", "frame_id")).alias("first"), F.max("t_sec").alias("end"))
+    rows = good.join(first, F.col("mission_id") == F.col("of"))
+    changes = {"stream_start": F.col("frame_id") == F.col("first.frame_id"), "scene_cut": known("cut", "boolean", False), "prompt_change": known("prompt_changed", "boolean", False), "calibration_change": known("calibration_changed", "boolean", False)}
+    reasons = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in changes.items()]), lambda r: r.isNotNull())
+    passes = functools.reduce(lambda x, y: x | y, [known(c, "double", 0.0) > least for c, least in GATE.items()])
+    look = F.col("embedding").cast("array<double>") if "embedding" in signals.columns else F.lit(None).cast("array<double>")
+    rows = rows.select("mission_id", "frame_id", "t_sec", reasons.alias("reasons"), passes.alias("passes"), look.alias("look"), F.floor((F.col("t_sec") - F.col("first.t_sec")) / chunk_sec).alias("chunk"), F.floor((F.col("end") - F.col("first.t_sec")) / chunk_sec).alias("last_chunk"))
+    candidates = rows.filter("size(reasons) > 0 or passes")
 
     def pick(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["t_sec", "frame_id"]).reset_index(drop=True)
-        drift, reason = group["drift"].to_numpy(float), np.where(group["cut"].to_numpy(bool), "forced", "")
-        chosen = [i for i, r in enumerate(reason) if r]
-        for _ in range(budget):
-            base = drift[chosen] if chosen else np.array([0.0])
-            residual = np.abs(drift[:, None] - base[None, :]).min(axis=1)
-            residual[chosen] = -1.0
-            if not len(residual) or residual.max() <= least_drift:
-                break
-            best = int(residual.argmax())
-            chosen.append(best)
-            reason[best] = "drift"
-        return group.assign(reason=reason)[["mission_id", "frame_id", "t_sec", "reason"]]
-
-    picked = good.groupBy("mission_id", F.floor(F.col("t_sec") / chunk_sec)).applyInPandas(pick, "mission_id long, frame_id long, t_sec double, reason string")
+        vectors = [np.asarray(v, float) if v is not None and len(v) else np.zeros(1) for v in group["look"]]
+        why = [list(r) for r in group["reasons"]]
+        most = max(1, budget) * (int(group["last_chunk"].iloc[0]) + 1 if profile == "deep" else 1)
+        for i in diverse(vectors, [i for i, r in enumerate(why) if r], most):
+            why[i] = ["diversity"]
+        taken = [i for i, r in enumerate(why) if r]
+        return group.loc[taken, ["mission_id", "frame_id"]].assign(why=[why[i] for i in taken])
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        rows, last = [], -np.inf
-        for m, f, t, reason in group.sort_values(["t_sec", "frame_id"]).itertuples(index=False):
-            if not reason and t - last >= heartbeat_sec:
-                reason = "heartbeat"
-            if not reason:
-                continue
-            if rows and t - last < coalesce_sec:
-                if reason == "forced" and rows[-1][3] != "forced":
-                    rows[-1] = (m, f, t, reason)
-                    last = t
-                continue
-            rows.append((m, f, t, reason))
-            last = t
-        return pd.DataFrame(rows, columns=["mission_id", "frame_id", "t_sec", "reason"])
+    keys = ["mission_id"] + (["chunk"] if profile != "deep" else [])
+    picked = candidates.groupBy(*keys).applyInPandas(pick, "mission_id long, frame_id long, why array<string>")
 
-    return picked.groupBy("mission_id").applyInPandas(settle, "mission_id long, frame_id long, t_sec double, reason string")
+    def settle(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["t_sec", "frame_id"]).reset_index(drop=True)
+        times = group["t_sec"].tolist()
+        why = [sorted(r) if r is not None and len(r) else [] for r in group["why"]]
+        for i in heartbeats(times, [i for i, r in enumerate(why) if r], most_gap) if most_gap > 0 else ():
+            why[i] = ["max_gap"]
+        taken = [i for i, r in enumerate(why) if r]
+        forced = [any(r in FORCED for r in why[i]) for i in taken]
+        stay = [taken[k] for k in coalesced([(times[i], f) for i, f in zip(taken, forced)], spacing)] if spacing > 0 else taken
+        return group.loc[stay, ["mission_id", "frame_id", "t_sec"]].assign(reasons=[why[i] for i in stay], forced=[any(r in FORCED for r in why[i]) for i in stay])
+
+    slim = rows.select("mission_id", "frame_id", "t_sec").join(picked.select(F.col("mission_id").alias("p_m"), F.col("frame_id").alias("p_f"), "why"), (F.col("mission_id") == F.col("p_m")) & (F.col("frame_id") == F.col("p_f")), "left")
+    return slim.select("mission_id", "frame_id", "t_sec", "why").groupBy("mission_id").applyInPandas(settle, "mission_id long, frame_id long, t_sec double, reasons array<string>, forced boolean")
 
 
 def gate(last: tuple[float, float] | None, t: float, drift: float, most_gap: float, least_change: float) -> bool:
