@@ -122,12 +122,19 @@ def test_mask_quality_by_hand(spark):
 
 
 def test_cycles_and_chains(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8), (8, 9)], "child long, parent long")
-    assert sorted(r[0] for r in G.check_cycles(pairs, 10).collect()) == [1, 2, 3]
+    tail = [(k, k + 1) for k in range(100, 400)] + [(20, 1)]  # a long chain, and one that runs into the cycle
+    pairs = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (7, 8), (8, 9), (50, 50)] + tail, "child long, parent long")
+    assert sorted(r[0] for r in G.check_cycles(pairs).collect()) == [1, 2, 3, 50]
     p = spark.createDataFrame([(1, None, "open"), (2, 1, "open"), (3, 2, "accepted"), (4, None, "rejected")], "proposal_id long, supersedes long, status string")
     assert rows(G.effective_status(p).select("proposal_id", "effective_status"), "proposal_id") == [(1, "accepted"), (2, "accepted"), (3, "accepted"), (4, "rejected")]
 
 
+def test_a_chain_of_any_length_has_its_end(spark):
+    chain = [(k, k - 1 if k > 1 else None, "accepted" if k == 300 else "open") for k in range(1, 301)] + [(500, 501, "x"), (501, 500, "y")]
+    out = {r.proposal_id: (r.effective_id, r.effective_status) for r in G.effective_status(spark.createDataFrame(chain, "proposal_id long, supersedes long, status string")).collect()}
+    assert len(out) == 302 and all(out[k] == (300, "accepted") for k in range(1, 301)) and out[500] == out[501] == (None, None)
+
+
 def test_tiles_keep_the_first_of_alike_ones(spark):
     data = [(1, 1, 0b1111, [1.0, 0.0], "c1", 0, 0.5), (2, 1, 0b1110, [1.0, 0.01], "c2", 0, 0.9), (3, 1, -1, [0.0, 1.0], "c1", 0, 0.7)]
     tiles = spark.createDataFrame(data, "tile_id long, mission_id long, hash long, vector array<double>, cell string, window int, score double")
@@ -192,10 +199,152 @@ def test_replay_log_is_ordered(spark, tmp_path):
     assert [(g["t"], g["id"]) for g in got] == sorted((i % 7, i) for i in range(50))
 
 
-def test_prototype_is_the_decayed_mean(spark):
-    e = spark.createDataFrame([("t", "s", 0.0, [1.0, 0.0]), ("t", "s", 2.0, [0.0, 1.0])], "track_id string, space string, t_sec double, vector array<double>")
-    w = math.exp(-1)
-    assert A.prototypes(e).first().prototype == pytest.approx([w / (1 + w), 1 / (1 + w)])
+def test_prototype_is_the_recursion(spark):
+    rng = __import__("random").Random(2)
+    data = [(k, "tu"[k % 2], "s", float(rng.choice([0, 1, 1, 2.5, 4, 7])), [rng.random(), rng.random()]) for k in range(24)]
+    e = spark.createDataFrame(data, "observation_id long, track_id string, space string, t_sec double, vector array<double>")
+    want = {}
+    for k, track, _, t, v in sorted(data, key=lambda d: (d[3], d[0])):
+        if track not in want:
+            want[track] = (t, v)
+        else:
+            before, old = want[track]
+            w = math.exp((before - t) / 2.0)
+            want[track] = (t, [w * x + (1 - w) * y for x, y in zip(old, v)])
+    got = {r.track_id: r.prototype for r in A.prototypes(e).collect()}
+    assert all(got[k] == pytest.approx(v) for k, (_, v) in want.items()) and set(got) == set(want)
+
+
+def test_missing_signals_count_as_half(spark):
+    data = [(1, 1, 1.0, None, None), (2, 1, 1.0, 0.0, None), (3, 1, None, 0.9, None), (4, 2, 0.0, 0.5, 1.0), (5, 2, 0.0, 0.5, None)]
+    f = spark.createDataFrame(data, "frame_id long, mission_id long, dist double, caption_confidence double, surprise double")
+    got = {r.frame_id: r.al_score for r in A.al_tags(f, 1, 0.7).collect()}
+    assert got == pytest.approx({1: 0.8, 2: 0.8, 3: 0.34, 4: 0.525, 5: 0.325})
+
+
+def test_replaced_event_by_participant_and_overlap(spark):
+    schema = "event_id long, mission_id long, type string, participant string, start_sec double, end_sec double"
+    fast = spark.createDataFrame([(1, 1, "a", "x", 0.0, 1.0), (2, 1, "a", "y", 4.0, 9.0), (3, 1, "a", "x", 30.0, 31.0), (4, 1, "b", "x", 5.0, 6.0), (5, 2, "a", "z", 5.0, 6.0)], schema)
+    deep = spark.createDataFrame([(10, 1, "a", "x", 5.0, 6.0), (11, 1, "a", "x", 0.5, 40.0), (12, 1, "a", "q", 5.0, 6.0), (13, 1, "a", "q", 20.0, 21.0), (14, 1, "c", "x", 5.0, 6.0), (15, 1, "a", "x", 25.0, 26.0)], schema)
+    # 10 shares x with 1 and 3 alone, and 1 is nearer; 11 overlaps 3 longer than 1; 12 shares with none and overlaps 2; 13 overlaps none.
+    assert dict(rows(J.superseded_events(deep, fast))) == {10: 1, 11: 3, 12: 2, 13: None, 14: None, 15: 3}
+
+
+def test_grid_cells_hold_at_every_latitude(spark):
+    rng = __import__("random").Random(4)
+    places = [(i, rng.choice([0.0, 45.0, 69.9, 80.0, -75.0]) + rng.uniform(-0.2, 0.2), rng.choice([-179.99, 0.0, 179.95, 60.0]) + rng.uniform(-0.2, 0.2)) for i in range(400)]
+    places = [(i, lat, (lon + 540) % 360 - 180) for i, lat, lon in places]
+    m = spark.createDataFrame(places[:250], "mission_id long, lat double, lon double")
+    s = spark.createDataFrame(places[250:], "site_id long, lat double, lon double")
+    got = {r.mission_id: r.distance_m for r in J.assign_sites(m, s, 5000.0).collect()}
+
+    def off(a, b):
+        apart = (a[2] - b[2] + 540) % 360 - 180
+        return math.hypot((a[1] - b[1]) * 111320.0, apart * 111320.0 * math.cos(math.radians(b[1])))
+
+    want = {a[0]: min(off(a, b) for b in places[250:]) for a in places[:250]}
+    assert sum(d <= 5000 for d in want.values()) > 40
+    assert all((got[i] is None) == (d > 5000) and (got[i] is None or got[i] == pytest.approx(d, abs=1e-3)) for i, d in want.items())
+
+
+def test_identity_needs_a_gap_or_a_reset(spark):
+    data = [(1, "a", "car", 0.0, 5.0, [1.0, 0.0]), (1, "b", "car", 6.0, 9.0, [1.0, 0.1]), (1, "c", "car", 20.0, 21.0, [1.0, 0.0]), (1, "d", "box", 20.0, 21.0, [1.0, 0.0]), (1, "e", "car", 30.0, 31.0, [0.0, 1.0])]
+    tracks = spark.createDataFrame(data, "mission_id long, track_id string, label string, born double, ended double, vector array<double>")
+    link = lambda r: sorted(rows(J.link_identities(tracks, "vector", r).select("track_id", "linked", "reason")))
+    assert link(None) == [("c", "b", "occlusion")]
+    resets = spark.createDataFrame([(1, 5.5), (2, 20.0)], "mission_id long, t_sec double")
+    assert link(resets) == [("b", "a", "camera_cut"), ("c", "b", "occlusion")]
+
+
+def test_facts_that_differ(spark):
+    changes = spark.createDataFrame([(1, 2), (3, 4)], "id long, reference long")
+    facts = spark.createDataFrame([(1, {"road": "wet", "cars": "2"}), (2, {"road": "dry", "cars": "2", "snow": "no"}), (3, {"road": "wet"})], "id long, facts map<string,string>")
+    assert rows(J.facts_diff(changes, facts), "id", "key") == [(1, 2, "road", "dry", "wet"), (1, 2, "snow", "no", None), (3, 4, "road", None, "wet")]
+
+
+def claim(i, predicate=None, text="they met", subject="a", obj="b", start=0.0, end=2.0, kind="action", band=(None, None)):
+    return (i, 1, kind, text, predicate, subject, obj, start, end, *band)
+
+
+CLAIM = "claim_id long, mission_id long, claim_kind string, text string, predicate string, subject_id string, object_id string, start_sec double, end_sec double, band_low double, band_high double"
+
+
+def test_claims_by_the_first_rule_that_speaks(spark):
+    base = [sample("a", 0, 0), sample("a", 1, 1), sample("b", 0, 5), sample("b", 1, 5, z=1.0), sample("c", 9, 0), sample("far", 0, 0), sample("far", 1, 900), sample("r", 0, 3, scale="relative")]
+    samples = spark.createDataFrame(base, GEO).withColumn("residual_m", F.when((F.col("subject_id") == "b") & (F.col("t_sec") == 1), 0.9)).withColumn("covariance", F.lit(0.1))
+    tracks = spark.createDataFrame([(1, "a", "Cars", 0.0, "confirmed"), (1, "b", "car", 0.0, "lost"), (1, "d", "car", 1.0, "tentative"), (1, "d", "car", 5.0, "ended")], "mission_id long, track_id string, label string, t_sec double, state string")
+    nodes = spark.createDataFrame([(1, "a"), (1, "b")], "mission_id long, node_id string")
+    links = spark.createDataFrame([(1, "a")], "mission_id long, track_id string")
+    edges = spark.createDataFrame([(1, 1, "a", "b", "left_of", "accepted", 0.0, 5.0)], "edge_id long, mission_id long, subject_id string, object_id string, predicate string, status string, start_sec double, end_sec double")
+    cases = {
+        ("accepted", None): [claim(1, "same_as"), claim(2, text="2 cars wait", start=1.0), claim(3, text="one car", start=0.0), claim(4, "left_of", end=1.0), claim(5, "distance_band", end=1.0, band=(2.0, 8.0)), claim(6, "visible", end=1.0)],
+        ("uncertain", "vlm_not_sole_evidence"): [claim(10, "same_as", subject="b"), claim(11, kind="event"), claim(12, text="The same object again", subject="b")],
+        ("rejected", "count_mismatch"): [claim(20, text="three cars", start=1.0), claim(21, text="zero cars", start=9.0)],
+        ("rejected", "dangling_id"): [claim(30, "left_of", obj="nobody"), claim(31, obj="nobody")],
+        ("rejected", "lifetime_disjoint"): [claim(40, "left_of", obj="c")], ("uncertain", "missing_geometry"): [claim(41, "left_of", subject="d", obj="d")],
+        ("uncertain", "metric_scale_missing"): [claim(50, "supports", obj="r")], ("uncertain", "uncertainty_gate"): [claim(51, "left_of", start=0.5, end=2.0), claim(52, "left_of", obj="far", end=1.0)],
+        ("uncertain", "missing_distance_band"): [claim(60, "distance_band", end=1.0)], ("uncertain", "missing_evidence"): [claim(61, "visible", subject="b", obj="a", end=1.0)],
+        ("rejected", "mutually_exclusive"): [claim(70, "right_of", end=1.0)], ("rejected", "geometry_contradiction"): [claim(71, "above", end=1.0)],
+        ("uncertain", None): [claim(80), claim(81, subject=None, obj=None)],
+    }
+    df = spark.createDataFrame([c for cs in cases.values() for c in cs], CLAIM)
+    got = {r.claim_id: (r.status, r.reason, r.needs_review) for r in V.verify_claims(df, tracks, nodes, links, samples, edges, spark.createDataFrame([(1,)], "mission_id long")).collect()}
+    assert got == {c[0]: (*verdict, verdict == ("uncertain", None)) for verdict, cs in cases.items() for c in cs}
+
+
+def test_counts_in_words(spark):
+    texts = ["Two-cars wait", "3 persons", "eleven cars", "car", "ten  buses here", "", None, "12 s"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select(*[c.alias(n) for c, n in zip(V.said_count(F.col("text")), ("n", "l"))])
+    assert rows(df) == [(2, "car"), (3, "person"), (None, None), (None, None), (10, "buse"), (None, None), (None, None), (None, None)]
+
+
+def test_interval_events(spark):
+    e = spark.createDataFrame([(1, 1, "zone", "a", "contains", "", 0.0, 1.0, "x"), (2, 1, "b", "a", "contains", "", 0.0, 1.0, "x"), (3, 1, "a", "b", "distance_band", "0.000-2.000", 2.0, 3.0, "x"), (4, 1, "a", "b", "distance_band", "2.000-8.000", 2.0, 3.0, "x"), (5, 1, "b", "a", "supports", "", 3.0, 4.0, "x"), (6, 1, "zone", "b", "contains", "", 0.0, 9.0, "x")],
+                              "edge_id long, mission_id long, subject_id string, object_id string, predicate string, band string, start_sec double, end_sec double, evidence_id string")
+    s = spark.createDataFrame([sample("a", t, 0) for t in (0, 1.5, 2)] + [sample("b", 1, 0)], GEO)
+    got = sorted((r.edge_id, r.type, tuple(r.participants), r.start_sec) for r in V.edge_events(e, s, spark.createDataFrame([(1, "zone")], "mission_id long, region_id string")).collect())
+    assert got == [(1, "entered_region", ("a", "zone"), 0.0), (1, "left_region", ("a", "zone"), 1.5), (3, "approached", ("a", "b"), 2.0), (5, "put_down", ("a", "b"), 3.0), (6, "entered_region", ("b", "zone"), 0.0)]
+
+
+def test_answers_only_where_there_is_one(spark):
+    schema = "event_id long, mission_id long, type string, participants array<string>, label string, start_sec double, status string, n_evidence long, evidence_ref string"
+    events = spark.createDataFrame([
+        (1, 1, "entered_region", ["a", "zone"], None, 1.0, "accepted", 1, None), (2, 1, "entered_region", ["a", "yard"], None, 1.0, "accepted", 1, None), (3, 1, "entered_region", ["b", "yard"], None, 2.0, "accepted", 1, None), (4, 1, "put_down", ["a", "b"], None, 3.0, "accepted", 0, None),
+        (5, 1, "picked_up", ["b", "a"], None, 3.0, "accepted", 2, "geometry/b"), (6, 1, "count_changed", ["a", "b"], "Cars", 4.0, "accepted", 1, "geometry/x"), (7, 1, "count_changed", ["a"], "car", 9.0, "accepted", 1, None), (8, 1, "count_changed", ["p"], "person", 2.0, "accepted", 1, None), (9, 1, "approached", ["a", "b"], None, 0.0, "rejected", 1, "geometry/r"),
+    ], schema)
+    tracks = spark.createDataFrame([(1, "a", "car", 0.0), (1, "b", "cars", 0.0), (1, "p", "box", 0.0)], "mission_id long, track_id string, label string, t_sec double")
+    edges = spark.createDataFrame([(1, "a", "left_of", "b", "accepted"), (1, "b", "left_of", "c", "accepted"), (1, "a", "left_of", "c", "accepted"), (1, "q", "left_of", "d", "accepted"), (1, "b", "left_of", "a", "rejected")], "mission_id long, subject_id string, predicate string, object_id string, status string")
+    got = sorted((r.template, r.about, r.answer, r.cite) for r in V.answers(events, tracks, edges).collect())
+    assert got == [("count", "car", "2", 6), ("entered", "zone", "a", 1), ("evidence", "5", "geometry/b", 5), ("left_of", "b", "a", 1), ("state_change", "picked_up a", "b", 5)]
+
+
+def test_a_run_that_is_pointed_at_stays(spark, tmp_path):
+    run = lambda i, over=None: spark.createDataFrame([(i, over)], "run_id long, supersedes_run_id long")
+    rows_of = lambda i, ids: spark.createDataFrame([(i, k) for k in ids], "run_id long, id long")
+    folder = str(tmp_path)
+    for i, ids, over in ((1, [1, 2], None), (2, [3], 1), (2, [4, 5], 1), (2, [], 1)):
+        G.replace_run({"run": run(i, over), "events": rows_of(i, ids)}, folder)
+        stored = sorted((r.run_id, r.id) for r in spark.read.parquet(f"{folder}/events").collect())
+        assert stored == [(1, 1), (1, 2)] + [(2, k) for k in (ids if i == 2 else [])]
+    with pytest.raises(ValueError):
+        G.replace_run({"run": run(1), "events": rows_of(1, [9])}, folder)
+    with pytest.raises(ValueError):
+        G.replace_run({"run": run(5), "events": rows_of(6, [9])}, folder)
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from missionspark.sources.storage import shared_dir
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getConf=lambda: {}, getCheckpointDir=lambda: folder, setCheckpointDir=lambda d: None)
+        return SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda k, d: d))
+
+    assert shared_dir(session("yarn", "hdfs://x/y/")) == "hdfs://x/y" and shared_dir(session("local[2]"))
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
 
 
 def test_motion_fusion_shifts_to_the_newest_centre(spark):

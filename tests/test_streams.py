@@ -186,6 +186,48 @@ def test_tracker_stream_is_the_batch(spark, sf_dir, tmp_path):
     assert as_set(through(spark, d, S.track_stream, "append", tmp_path, files=4)) == as_set(batch)
 
 
+def test_heartbeats_by_definition():
+    """One pick after the other, as long as a gap is too long and a free frame is in it."""
+    import random
+
+    def by_definition(times, picked, most):
+        picked = set(picked)
+        while True:
+            order = sorted(picked, key=lambda i: (times[i], i))
+            for low, high in zip(order, [*order[1:], None]):
+                limit = times[low] + most
+                if high is not None and times[high] - times[low] <= most:
+                    continue
+                free = [i for i in range(len(times)) if i not in picked and (times[i] - times[low] > most if high is None else times[low] < times[i] < times[high])]
+                free = [i for i in free if times[i] >= limit] or free
+                if free:
+                    picked.add(min(free, key=lambda i: (abs(times[i] - limit), i)))
+                    break
+            else:
+                return picked
+
+    rng = random.Random(5)
+    for _ in range(200):
+        times = sorted(rng.sample(range(200), rng.randint(1, 40)))
+        picked = sorted({0, *rng.sample(range(len(times)), rng.randint(0, len(times) // 4))})
+        assert {*picked, *S.heartbeats([float(t) for t in times], picked, 10.0)} == by_definition(times, picked, 10.0)
+
+
+def test_keyframe_picks():
+    e = [__import__("numpy").array(v, float) for v in ([1, 0, 0], [2, 0, 0], [0, 1, 0], [0.1, 1, 0], [0, 0, 3])]
+    assert S.diverse(e, [0], 3) == [2, 4] and S.diverse(e, [0], 9) == [2, 4] and S.diverse(e, [], 2) == [0, 2] and S.diverse(e, [0, 2, 4], 2) == []
+    assert S.coalesced([(0.0, False), (0.1, True), (0.2, True), (0.3, False), (0.5, False)], 0.25) == [1, 2, 4]
+
+
+def test_keyframes_of_a_mission(spark):
+    rows = [(1, k, float(k), k != 3, 0.5 if k in (2, 6, 7) else 0.0, k == 5, [float(k == 2), float(k == 6), float(k == 7), 1.0]) for k in range(9)] + [(1, 9, 40.0, True, 0.0, False, None)]
+    df = spark.createDataFrame(rows, "mission_id long, frame_id long, t_sec double, good boolean, drift double, cut boolean, embedding array<double>")
+    got = lambda **k: {r.frame_id: r.reasons for r in S.keyframes(df, **k).collect()}
+    want = {0: ["stream_start"], 2: ["diversity"], 5: ["scene_cut"], 6: ["diversity"], 8: ["max_gap"], 9: ["max_gap"]}  # 8 is the last free frame of a gap that none fills
+    assert got(chunk_sec=4.0, budget=2) == want
+    assert got(profile="deep", chunk_sec=4.0, budget=1) == {k: v for k, v in want.items()} | {7: ["diversity"]}
+
+
 def test_silence(spark):
     out = S.acoustic(spark.createDataFrame([(1, [0.0] * 100), (2, [0.5, -0.5] * 50), (3, [])], "chunk_id long, samples array<double>"))
     assert {r.chunk_id: r.silence for r in out.collect()} == {1: True, 2: False, 3: True}
