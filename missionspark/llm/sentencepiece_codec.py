@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Short parts (at most SHORT characters) that a task remembers; more are forgotten together.
@@ -257,7 +259,7 @@ def encode(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "t
     def batches(it):
         codec = shared.value
         is_byte = np.array([k == BYTE for k in codec.kinds])
-        for b in (whole.slice(at, AT_ONCE) for whole in it for at in range(0, max(1, whole.num_rows), AT_ONCE)):
+        for b in slices(it, AT_ONCE):
             texts = b.column(1).to_pylist()
             ids = codec.encode_all(texts)
             ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)

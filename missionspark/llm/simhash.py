@@ -38,6 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .components import components
 from .storage import materialise, release, small
 
@@ -231,11 +232,6 @@ def wide_majority(hashes: np.ndarray, lanes: int) -> bytes:
     return b"".join(found)
 
 
-def slices(batches, rows: int = 512):
-    """Batches of at most so many rows, so that few texts are held with what is made of them."""
-    return (b.slice(at, rows) for b in batches for at in range(0, max(1, b.num_rows), rows))
-
-
 #: Least shingles of a shard's key, and keys of a document: of two texts at a Jaccard similarity of 0.8 1 - (1 - 0.8**3)**6 = 0.987 meet.
 LEAST, KEYS = 3, 6
 ORDERS = np.random.default_rng(11).integers(0, 1 << 64, LEAST * KEYS, dtype=np.uint64) | np.uint64(1)

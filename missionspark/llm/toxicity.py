@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .batches import slices
 from .storage import materialise
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -257,7 +258,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
 
     def batches(it):
         known = shared.value
-        for b in it:
+        for b in slices(it):
             found = [passages(t, known) for t in b.column(1).to_pylist()]
             scores = [logistic(known.curve, evidence(f)) for f in found]
             spans = [[{"start": a, "end": z, "score": s, "chance": c} for a, z, s, c in f] for f in found]
@@ -275,7 +276,7 @@ def clean_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
 
     def batches(it):
         known = shared.value
-        for b in it:
+        for b in slices(it):
             keep = [logistic(known.curve, evidence(passages(t, known))) < threshold for t in b.column(text).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
