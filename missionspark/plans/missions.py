@@ -554,7 +554,19 @@ def m5(t):
     return M.count_mae(t("tracks"), t("truth").groupBy("mission_id", "t_sec", "label").agg(F.count("*").alias("count")))
 
 
-@query("m6_mask_quality", [], None)
+def _bit_sql(place: str, seed: int) -> str:
+    return f"((o_orderkey * 7 + ({place}) * ({place}) + {seed}) % 5 < 3)"
+
+
+def _edge_sql(seed: int) -> str:
+    inner = " AND ".join(f"{inside} AND {_bit_sql(place, seed)}" for inside, place in (("i % 6 < 5", "i + 1"), ("i % 6 > 0", "i - 1"), ("i // 6 < 5", "i + 6"), ("i // 6 > 0", "i - 6")))
+    return f"({_bit_sql('i', seed)} AND NOT ({inner}))"
+
+
+@query("m6_mask_quality", [], f"""
+WITH b AS (SELECT CAST(o_custkey AS BIGINT) AS mission_id, o_orderkey AS mask_id, {_bit_sql('i', 0)} AS p, {_bit_sql('i', 1)} AS g, {_edge_sql(0)} AS pe, {_edge_sql(1)} AS ge FROM orders, (SELECT unnest(range(36)) AS i)),
+m AS (SELECT mission_id, mask_id, mask_id % 9 <> 4 AS here, count(*) FILTER (WHERE p AND g) AS inter, count(*) FILTER (WHERE p OR g) AS either, count(*) FILTER (WHERE pe AND ge) AS hit, count(*) FILTER (WHERE pe) AS n_p, count(*) FILTER (WHERE ge) AS n_g FROM b GROUP BY ALL)
+SELECT mission_id, round(avg(CASE WHEN NOT here OR either = 0 THEN 0 ELSE inter / either END), 6) AS j, round(avg(CASE WHEN NOT here OR hit = 0 THEN 0 ELSE 2 * (hit / n_p) * (hit / n_g) / (hit / n_p + hit / n_g) END), 6) AS f FROM m GROUP BY mission_id""")
 def m6(t):
     bits = lambda seed: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(35)), lambda i: F.when((F.col("o_orderkey") * 7 + i * i + seed) % 5 < 3, "1").otherwise("0")), "")
     masks = lambda seed: t.raw("orders").select((F.col("o_custkey").cast("bigint")).alias("mission_id"), F.col("o_orderkey").alias("mask_id"), F.lit(6).alias("width"), F.lit(6).alias("height"), bits(seed).alias("bits"))

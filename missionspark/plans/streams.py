@@ -331,7 +331,10 @@ def t8_deep(t):
     return S.keyframes(_looks(t), "deep", chunk_sec=86400.0, most_gap=7200.0, spacing=60.0)
 
 
-@query("t9_keep_frames", [], None)
+@query("t9_keep_frames", ["signals"], """
+, k AS (SELECT mission_id, arg_min(frame_id, (t_sec, frame_id)) AS frame_id, min(t_sec) AS t_sec, arg_min(drift, (t_sec, frame_id)) AS drift FROM signals GROUP BY mission_id
+  UNION ALL SELECT s.mission_id, arg_min(s.frame_id, (s.t_sec, s.frame_id)), min(s.t_sec), arg_min(s.drift, (s.t_sec, s.frame_id)) FROM k JOIN signals s ON s.mission_id = k.mission_id AND (s.t_sec, s.frame_id) > (k.t_sec, k.frame_id) AND (s.t_sec - k.t_sec >= 20000 OR abs(s.drift - k.drift) >= 15) GROUP BY s.mission_id)
+SELECT mission_id, frame_id, t_sec FROM k""")
 def t9(t):
     return S.keep_frames(t("signals"), most_gap=20000.0, least_change=15.0)
 
@@ -399,6 +402,15 @@ def t17(t):
     return rows.groupBy("target").agg(F.count("*").alias("n"))
 
 
-@query("a19_acoustic", [], None)
+def _band_sql(name: str, low: float, high: float) -> str:
+    return f"round(coalesce(sum(power) FILTER (WHERE hz >= {low} AND hz < {high}), 0) / sum(power), 6) AS {name}"
+
+
+@query("a19_acoustic", [], """
+WITH s AS (SELECT vec_id AS chunk_id, CAST(embedding AS DOUBLE[]) AS x, len(embedding) AS n, sqrt(list_sum(list_transform(CAST(embedding AS DOUBLE[]), lambda v: v * v)) / len(embedding)) AS rms FROM embeddings),
+f AS (SELECT chunk_id, rms, k * 8000e0 / n AS hz, pow(list_sum(list_transform(range(n), lambda i: x[CAST(i + 1 AS INTEGER)] * cos(2 * pi() * k * i / n))), 2) + pow(list_sum(list_transform(range(n), lambda i: x[CAST(i + 1 AS INTEGER)] * sin(2 * pi() * k * i / n))), 2) AS power
+  FROM s, (SELECT unnest(range(4096)) AS k) WHERE k <= n // 2)
+SELECT chunk_id, round(20 * log10(greatest(any_value(rms), 1e-9)), 6) AS rms_db, 20 * log10(greatest(any_value(rms), 1e-9)) < -45 AS silence, """ + ", ".join(_band_sql(*b) for b in (("speech", 300, 1000), ("alarm", 1000, 2500), ("engine", 40, 300), ("glass", 2500, 4000))) + " FROM f GROUP BY chunk_id")
 def a19(t):
-    return S.acoustic(t("points").select(F.col("id").alias("chunk_id"), F.col("embedding").alias("samples")))
+    rows = S.acoustic(t("points").select(F.col("id").alias("chunk_id"), F.col("embedding").alias("samples")))
+    return rows.select("chunk_id", "silence", *[F.round(c, 6).alias(c) for c in ("rms_db", "speech", "alarm", "engine", "glass")])

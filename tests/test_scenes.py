@@ -41,3 +41,25 @@ def test_degradations(spark):
     missions = spark.createDataFrame([(1,), (2,)], "mission_id long")
     out = V.degradations(missions, {"depth": None, "mask": missions.filter("mission_id = 1")})
     assert sorted(map(tuple, out.collect())) == [(1, "depth", "provider_unavailable"), (2, "depth", "provider_unavailable"), (2, "mask", "no_result")]
+
+
+def test_distance_to_the_nearest_centroid(spark):
+    data = [(k, [10.0 * (k % 3), 0.1 * (k // 3)]) for k in range(30)]
+    out = C.centroid_distance(spark.createDataFrame(data, "id long, vector array<double>"), most=3).collect()
+    by_cluster = {}
+    for r in out:
+        by_cluster.setdefault(r.cluster, []).append(r.id)
+    assert sorted(map(sorted, by_cluster.values())) == [[k for k in range(30) if k % 3 == j] for j in range(3)]
+    assert all(r.distance == pytest.approx(abs(0.1 * (r.id // 3) - 0.45)) for r in out)  # ten points a tenth apart
+
+
+def test_baseline_comparison_counts_each_side(spark):
+    from missionspark.operators import metrics as M
+
+    schema = "mission_id long, {} long, subject_id string, predicate string, object_id string, start_sec double, end_sec double"
+    truth = spark.createDataFrame([(1, 1, "a", "left_of", "b", 0.0, 4.0), (1, 2, "a", "above", "b", 0.0, 4.0)], schema.format("truth_id"))
+    ours = spark.createDataFrame([(1, 1, "a", "left_of", "b", 0.0, 4.0), (1, 2, "a", "above", "b", 0.0, 3.0), (1, 3, "a", "left_of", "c", 0.0, 4.0)], schema.format("pred_id"))
+    keys = ["mission_id", "subject_id", "predicate", "object_id"]
+    row = M.interval_quality(ours, truth, keys).first()
+    assert row.precision == pytest.approx(2 / 3)
+    assert M.interval_quality(ours.filter("pred_id = 3"), truth, keys).first().precision == 0.0
