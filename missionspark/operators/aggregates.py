@@ -16,12 +16,18 @@ def counts_by(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
 
 
 def caption_health(frames: DataFrame) -> DataFrame:
-    """One row: counts, null rate, mean and exact 95th percentile of the confidence."""
-    return frames.agg(
-        F.count("*").alias("total"), F.count("caption").alias("captioned"), F.count_if(F.col("caption_skip_reason").isNotNull()).alias("skipped"),
-        (F.count_if(F.col("caption").isNull()) / F.greatest(F.count("*"), F.lit(1))).alias("null_rate"), F.avg("caption_confidence").alias("mean_confidence"),
+    """One row: counts, null rate, mean and exact 95th percentile of the confidence.
+
+    Frames skipped on purpose aren't captionable; without a captionable one the
+    null rate is null.
+    """
+    skipped = F.col("caption_skip_reason").isNotNull()
+    row = frames.agg(
+        F.count("*").alias("total"), F.count("caption").alias("captioned"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("caption").isNull() & ~skipped).alias("missing"), F.avg("caption_confidence").alias("mean_confidence"),
         F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY caption_confidence) FILTER (WHERE caption_confidence IS NOT NULL)").alias("p95_confidence"),
     )
+    captionable = F.col("total") - F.col("skipped")
+    return row.withColumn("null_rate", F.when(captionable > 0, F.col("missing") / captionable))
 
 
 def model_breakdown(frames: DataFrame, most: int = 20) -> DataFrame:
@@ -79,9 +85,19 @@ def sensor_profile(packets: DataFrame, capabilities: dict[str, str]) -> DataFram
     return sensors.withColumn("capabilities", F.array_sort(F.array_distinct(gives)))
 
 
-def risk_summary(frames: DataFrame, risk: str, threshold: float) -> DataFrame:
-    """Analysed and high-risk frames of each mission."""
-    return frames.groupBy("mission_id").agg(F.count(risk).alias("analysed"), F.count_if(F.col(risk) >= threshold).alias("high_risk"), F.max(risk).alias("worst"))
+def risk_summary(frames: DataFrame, expert: str = "$.expert") -> DataFrame:
+    """Analysed and high-risk frames of each mission, and how often their experts agreed, by kind.
+
+    The expert's answer is an object at a path of the facts; one that says that
+    its service was unavailable or its answer unreadable isn't analysed, and what
+    an answer doesn't say is unknown.
+    """
+    at = lambda path: F.get_json_object("facts", f"{expert}{path}")
+    failed = lambda path: F.coalesce(~at(path).isin("false", "null", "", "0"), F.lit(False))
+    rows = frames.filter(at("").startswith("{")).filter(~failed(".service_unavailable") & ~failed(".parse_error"))
+    rows = rows.select("mission_id", F.coalesce(at(".understanding.risk_level"), F.lit("unknown")).alias("risk"), F.coalesce(at(".mixture_of_experts.expert_agreement"), F.lit("unknown")).alias("agreement"))
+    by_kind = rows.groupBy("mission_id", "agreement").agg(F.count("*").alias("n"), F.count_if(F.col("risk") == "high").alias("high"))
+    return by_kind.groupBy("mission_id").agg(F.sum("n").alias("analysed"), F.sum("high").alias("high_risk"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("agreement", "n")))).alias("agreement"))
 
 
 def segment_summary(masks: DataFrame, least_area: float, top: int) -> DataFrame:
@@ -120,10 +136,11 @@ def mission_report(frames: DataFrame) -> DataFrame:
     )
 
 
-def retrain_due(frames: DataFrame, watermark, least: int = 50, fresh: int = 100) -> DataFrame:
-    """One row: annotated frames, those since the watermark, and whether to retrain."""
-    row = frames.agg(F.count_if(F.col("al_tag") == "annotated").alias("annotated"), F.count_if((F.col("al_tag") == "annotated") & (F.col("created_at") > F.lit(watermark))).alias("fresh"))
-    return row.withColumn("due", (F.col("annotated") >= least) & (F.col("fresh") >= fresh))
+def retrain_due(frames: DataFrame, jobs: DataFrame, watermark: int, least: int = 50, fresh: int = 100) -> DataFrame:
+    """One row: annotated frames, those beyond the count at the last retraining, active jobs, and whether to retrain."""
+    row = frames.agg(F.count_if(F.col("al_tag") == "annotated").alias("annotated")).withColumn("fresh", F.col("annotated") - watermark)
+    active = jobs.agg(F.count_if((F.col("type") == "supervised_finetune") & F.col("status").isin("pending", "running")).alias("active"))
+    return row.join(F.broadcast(active)).withColumn("due", (F.col("annotated") >= least) & (F.col("fresh") >= fresh) & (F.col("active") == 0))  # one row each
 
 
 def mission_summary(tracks: DataFrame, events: DataFrame, geometry: DataFrame) -> DataFrame:

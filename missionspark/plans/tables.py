@@ -174,11 +174,12 @@ def a1(t):
 
 
 @query("a2_caption_health", ["frames"], """
-SELECT count(*) AS total, count(caption) AS captioned, count(caption_skip_reason) AS skipped, round(count(*) FILTER (WHERE caption IS NULL) / greatest(count(*), 1), 6) AS null_rate,
+SELECT count(*) AS total, count(caption) AS captioned, count(caption_skip_reason) AS skipped, count(*) FILTER (WHERE caption IS NULL AND caption_skip_reason IS NULL) AS missing,
+round(count(*) FILTER (WHERE caption IS NULL AND caption_skip_reason IS NULL) / nullif(count(*) FILTER (WHERE caption_skip_reason IS NULL), 0), 6) AS null_rate,
 round(avg(caption_confidence), 6) AS mean_confidence, round(quantile_cont(caption_confidence, 0.95), 6) AS p95_confidence FROM frames""")
 def a2(t):
     row = A.caption_health(t("frames"))
-    return row.select("total", "captioned", "skipped", *[F.round(c, 6).alias(c) for c in ("null_rate", "mean_confidence", "p95_confidence")])
+    return row.select("total", "captioned", "skipped", "missing", *[F.round(c, 6).alias(c) for c in ("null_rate", "mean_confidence", "p95_confidence")])
 
 
 @query("a3_model_breakdown", ["frames"], " SELECT caption_model, count(*) AS n FROM frames WHERE caption_model IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 20")
@@ -220,9 +221,16 @@ def a7(t):
     return rows.select("session_id", F.array_join("sensors", ",").alias("sensors"), F.array_join("capabilities", ",").alias("capabilities"))
 
 
-@query("a8_risk_summary", ["frames"], " SELECT mission_id, count(al_score) AS analysed, count(*) FILTER (WHERE al_score >= 20) AS high_risk, max(al_score) AS worst FROM frames GROUP BY mission_id")
+@query("a8_risk_summary", ["frames"], """
+, e AS (SELECT mission_id, frame_id % 7 AS k, CASE frame_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'unknown' END AS risk, CASE frame_id % 5 WHEN 0 THEN 'full' WHEN 1 THEN 'split' ELSE 'unknown' END AS agreement FROM frames)
+SELECT mission_id, count(*) AS analysed, count(*) FILTER (WHERE risk = 'high') AS high_risk, count(*) FILTER (WHERE agreement = 'full') AS "full", count(*) FILTER (WHERE agreement = 'split') AS split, count(*) FILTER (WHERE agreement = 'unknown') AS "unknown" FROM e WHERE k < 4 GROUP BY mission_id""")
 def a8(t):
-    return A.risk_summary(t("frames"), "al_score", 20.0)
+    i = F.col("frame_id")
+    said = lambda k, cond: F.when(cond, F.concat(F.lit(f'"{k}":"'), F.when(i % (3 if k == "risk_level" else 5) == 0, "high" if k == "risk_level" else "full").otherwise("low" if k == "risk_level" else "split"), F.lit('"'))).otherwise("")
+    answer = F.concat(F.lit('{"service_unavailable":'), F.when(i % 7 == 4, "true").otherwise("false"), F.when(i % 7 == 5, ',"parse_error":"bad"').otherwise(""), F.lit(',"understanding":{'), said("risk_level", i % 3 < 2), F.lit('},"mixture_of_experts":{'), said("expert_agreement", i % 5 < 2), F.lit("}}"))
+    frames = t("frames").withColumn("facts", F.when(i % 7 == 6, '{"expert":[1]}').otherwise(F.concat(F.lit('{"expert":'), answer, F.lit("}"))))
+    kinds = [F.coalesce(F.try_element_at("agreement", F.lit(k)), F.lit(0)).alias(k) for k in ("full", "split", "unknown")]
+    return A.risk_summary(frames).select("mission_id", "analysed", "high_risk", *kinds)
 
 
 @query("a9_segment_summary", ["tracks"], """
@@ -273,11 +281,11 @@ def a17(t):
     return A.gap_coverage(stages, gaps)
 
 
-@query("a18_retrain_due", ["frames"], """
-, r AS (SELECT count(*) FILTER (WHERE al_tag = 'annotated') AS annotated, count(*) FILTER (WHERE al_tag = 'annotated' AND created_at > TIMESTAMP '2024-01-10') AS fresh FROM frames)
-SELECT *, annotated >= 50 AND fresh >= 100 AS due FROM r""")
+@query("a18_retrain_due", ["frames", "jobs"], """
+, r AS (SELECT count(*) FILTER (WHERE al_tag = 'annotated') AS annotated, count(*) FILTER (WHERE al_tag = 'annotated') - 120 AS fresh FROM frames), j AS (SELECT count(*) FILTER (WHERE type = 'supervised_finetune' AND status IN ('pending', 'running')) AS active FROM jobs)
+SELECT annotated, fresh, active, annotated >= 50 AND fresh >= 100 AND active = 0 AS due FROM r, j""")
 def a18(t):
-    return A.retrain_due(t("frames"), CURSOR)
+    return A.retrain_due(t("frames"), t("jobs"), 120)
 
 
 @query("a20_mission_report", ["frames"], """
