@@ -72,11 +72,11 @@ def m14(t):
 
 
 CHECKED = """
-, e AS (SELECT sample_id AS event_id, mission_id, subject_id, 's2' AS object_id, CASE WHEN cx > 5 THEN 'left_of' ELSE 'above' END AS predicate, t_sec + 0.25 AS start_sec FROM geometry WHERE subject_id IN ('s1', 's3'))"""
+, e AS (SELECT sample_id AS event_id, mission_id, subject_id, CASE WHEN subject_id = 's2' THEN 's3' ELSE 's2' END AS object_id, CASE WHEN cx > 5 THEN 'left_of' ELSE 'above' END AS predicate, t_sec + 0.25 AS start_sec FROM geometry)"""
 
 
 def _checked(t):
-    return t("geometry").filter("subject_id in ('s1', 's3')").select(F.col("sample_id").alias("event_id"), "mission_id", "subject_id", F.lit("s2").alias("object_id"), F.when(F.col("cx") > 5, "left_of").otherwise("above").alias("predicate"), (F.col("t_sec") + 0.25).alias("start_sec"))
+    return t("geometry").select(F.col("sample_id").alias("event_id"), "mission_id", "subject_id", F.when(F.col("subject_id") == "s2", "s3").otherwise("s2").alias("object_id"), F.when(F.col("cx") > 5, "left_of").otherwise("above").alias("predicate"), (F.col("t_sec") + 0.25).alias("start_sec"))
 
 
 @query("v10_recheck", ["geometry"], RELATIONS + CHECKED + """
