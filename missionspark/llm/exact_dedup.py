@@ -51,6 +51,14 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+def scan_alone(docs: DataFrame) -> bool:
+    """Whether the rows are those of files, each at most once: a scan with filters and projections, no join or explode."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
+        node = node.children().apply(0)
+    return node.children().isEmpty() and "Relation" in node.nodeName()
+
+
 def located(docs: DataFrame) -> DataFrame:
     """The documents with ``locator`` (file, row) beside their columns in ``doc``.
 
@@ -59,9 +67,11 @@ def located(docs: DataFrame) -> DataFrame:
     locator = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("locator")
     doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
     try:
-        return docs.select(doc, locator)
-    except AnalysisException:
-        return materialise(docs, "dedup-content").select(doc, locator)
+        if scan_alone(docs):
+            return docs.select(doc, locator)
+    except AnalysisException:  # files of another kind
+        pass
+    return materialise(docs, "dedup-content").select(doc, locator)
 
 
 def arrivals(rows: DataFrame, doc_id: str, text: str, digest: Callable[[Column], Column] = sha256) -> DataFrame:

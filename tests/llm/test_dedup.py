@@ -71,6 +71,20 @@ def test_other_bytes_leave_the_group(spark):
     assert sorted(r.doc_id for r in out if r.kept) == sorted(max(g) for g in by_text.values())
 
 
+def test_rows_that_share_a_place_in_a_file(spark, tmp_path):
+    """Exploded and joined rows of one file row are rows of their own; filtered scans are read in place."""
+    path = str(tmp_path / "docs")
+    frame(spark, [(1, "a"), (2, "b")]).write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert exact_dedup.scan_alone(docs.filter("doc_id > 0").select("doc_id", "text"))
+    twice = docs.withColumn("n", F.explode(F.array(F.lit(1), F.lit(2))))
+    joined = docs.join(spark.createDataFrame([(1,), (1,), (2,)], "k long"), F.col("doc_id") == F.col("k"))
+    for rows, n in ((twice, 4), (joined, 3)):
+        assert not exact_dedup.scan_alone(rows)
+        out = exact_dedup.exact_dedup(rows).collect()
+        assert len(out) == n and sorted(r.doc_id for r in out if r.kept) == [1, 2] and exact_dedup.deduplicated(rows).count() == 2
+
+
 def test_state_outlives_the_call(spark, tmp_path):
     store = str(tmp_path / "store")
     first = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(1, "a"), (5, "b"), (2, "A")]), store=store).collect()}
