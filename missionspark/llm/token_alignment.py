@@ -26,9 +26,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +46,12 @@ WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Bytes of text that a task aligns together, products that are held at once, and id pairs that are broadcast.
 TOGETHER, PRODUCTS, BROADCAST_PAIRS = 1 << 20, 1 << 20, 1 << 19
 SHIFT = 32
+#: A space between two that are no white space starts a word of both tokenizers, so what lies between such cuts is aligned by itself.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Short parts (at most SHORT characters) that a task remembers with their alignment.
+REMEMBERED, SHORT = 150_000, 48
+#: Parts that are encoded as one text.
+JOINED = 256
 
 
 @dataclass
@@ -144,10 +152,12 @@ def byte_bpe(content: bytes) -> Tokenizer:
 
 
 def piece_bpe(content: bytes) -> Tokenizer:
-    """A model of pieces that puts a space before the text."""
+    """A model of pieces that puts a space before the text; refuses one with pieces that go on after a word's end."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_proto=content)
+    if any(MARK in p.lstrip(MARK) for p in map(model.id_to_piece, range(model.get_piece_size()))):
+        raise ValueError("only models whose pieces stay inside a word are supported")
     raw = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else b"" if model.is_control(i) else p.replace(MARK, " ").encode() for i, p in enumerate(map(model.id_to_piece, range(model.get_piece_size())))]
     return Tokenizer(raw, lambda texts: model.encode(texts, num_threads=1))
 
@@ -171,11 +181,13 @@ class Aligned:
     a_group: np.ndarray
     b_group: np.ndarray
     groups: int
-    _ends: tuple[np.ndarray, np.ndarray]
+    #: Byte offsets where tokens of each end, and where both do.
+    ends: tuple[np.ndarray, np.ndarray]
+    cuts: np.ndarray
 
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(a token, b token, bytes that they share), by a token."""
-        return Rows.spans(self._ends[0]).times(Rows.spans(self._ends[1]).transposed())
+        return Rows.spans(self.ends[0]).times(Rows.spans(self.ends[1]).transposed())
 
     def shared_groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(a token, b token, 1) of every pair in one group, by a token."""
@@ -184,44 +196,109 @@ class Aligned:
 
 def align(a: list[list[int]], b: list[list[int]], left: Tokenizer, right: Tokenizer) -> Aligned:
     """Aligns the tokens of texts, each text's of equal bytes."""
-    ids = [np.fromiter((i for x in side for i in x), np.int64) for side in (a, b)]
+    ids = [np.array(list(chain.from_iterable(side)), np.int64) for side in (a, b)]
     at = [np.r_[0, np.cumsum([len(x) for x in side])].astype(np.int64) for side in (a, b)]
     ends = [np.cumsum(t.length[x]) if len(x) else x for t, x in zip((left, right), ids)]
     cuts = ends[0][np.isin(ends[0], ends[1])]
     group = [np.searchsorted(cuts, e) for e in ends]
-    return Aligned(*ids, *at, *group, len(cuts), (ends[0], ends[1]))
-
-
-def rows_of(texts: list[str | None], left: Tokenizer, right: Tokenizer) -> list[tuple]:
-    """(n_a, n_b, n_groups, n_links, n_shared, groups_sha256, pairs, times) of each text."""
-    told = [i for i, t in enumerate(texts) if t]
-    a, b = (t.encode([texts[i] for i in told]) for t in (left, right))
-    fits = []
-    for k, i in enumerate(told):
-        want = (" " + texts[i]).encode()
-        fits.append(b"".join(map(left.raw.__getitem__, a[k])) == want == b"".join(map(right.raw.__getitem__, b[k])))
-    kept = [k for k, ok in enumerate(fits) if ok]
-    found = align([a[k] for k in kept], [b[k] for k in kept], left, right)
-    of_a = np.repeat(np.arange(len(kept)), np.diff(found.a_at))
-    pairs, docs = [], []
+    return Aligned(*ids, *at, *group, len(cuts), (ends[0], ends[1]), cuts)
+
+
+def joined(ids: list[int], tokenizer: Tokenizer) -> bytes:
+    return b"".join(map(tokenizer.raw.__getitem__, ids))
+
+
+def parts_of(parts: list[str], left: Tokenizer, right: Tokenizer) -> list[tuple]:
+    """(numbers, groups, pairs) of each part with the space before it.
+
+    The numbers are n_a, n_b, n_groups, n_links, n_shared and whether the bytes of
+    both are those of the part, as bytes of 64-bit numbers like the pairs; groups
+    is text.  Parts that begin and end with a character are encoded together, as a text
+    that would be cut into them.
+    """
+    plain = [p for p in parts if p and not p[0].isspace() and not p[-1].isspace() and MARK not in p]
+    rest = set(parts).difference(plain)
+    pieces = [plain[k : k + JOINED] for k in range(0, len(plain), JOINED)] + [[p] for p in parts if p in rest]
+    out, good = {}, []
+    texts = [" ".join(p) for p in pieces]
+    for piece, text, x, y in zip(pieces, texts, left.encode(texts), right.encode(texts)):
+        if joined(x, left) == (" " + text).encode() == joined(y, right):
+            good.append((piece, x, y))
+        elif len(piece) == 1:
+            out[piece[0]] = (bytes(48), "", b"")
+        else:  # each for itself
+            out.update((p, parts_of([p], left, right)[0]) for p in piece)
+    order = [p for piece, _, _ in good for p in piece]
+    found = align([x for _, x, _ in good], [y for _, _, y in good], left, right)
+    upto = np.cumsum([len(p.encode()) + 1 for p in order], dtype=np.int64)
+    a_at, b_at, group_at = (np.r_[0, np.searchsorted(ends, upto, "right")] for ends in (*found.ends, found.cuts))
+    pairs, tokens = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for i, j, _ in found.links():
         pairs.append(found.a[i] << SHIFT | found.b[j])
-        docs.append(of_a[i])
-    pairs, docs = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (pairs, docs))
-    link_at = np.searchsorted(docs, np.arange(len(kept) + 1))
-    in_group = np.bincount(found.a_group, minlength=found.groups) * np.bincount(found.b_group, minlength=found.groups)
-    out = [(0, 0, 0, 0, 0, "", (), ()) for _ in texts]
-    for n, k in enumerate(kept):
-        (a0, a1), (b0, b1) = found.a_at[n : n + 2], found.b_at[n : n + 2]
-        first, last = int(found.a_group[a0]), int(found.a_group[a1 - 1])
-        sides = []
-        for tokens, group in ((a[k], found.a_group[a0:a1]), (b[k], found.b_group[b0:b1])):
-            edge = np.searchsorted(group, np.arange(first, last + 2)).tolist()
-            names = list(map(str, tokens))
-            sides.append([",".join(names[x:y]) for x, y in zip(edge, edge[1:])])
-        digest = hashlib.sha256(";".join(map("|".join, zip(*sides))).encode()).hexdigest()
-        distinct, times = np.unique(pairs[link_at[n] : link_at[n + 1]], return_counts=True)
-        out[told[k]] = (int(a1 - a0), int(b1 - b0), last - first + 1, int(link_at[n + 1] - link_at[n]), int(in_group[first : last + 1].sum()), digest, distinct, times)
+        tokens.append(i)
+    pairs, link_at = np.concatenate(pairs), np.searchsorted(np.concatenate(tokens), a_at)
+    in_group = np.r_[0, np.cumsum(np.bincount(found.a_group, minlength=found.groups) * np.bincount(found.b_group, minlength=found.groups))]
+    sides = []
+    for ids, group in ((found.a, found.a_group), (found.b, found.b_group)):
+        edge, names = np.searchsorted(group, np.arange(found.groups + 1)).tolist(), list(map(str, ids.tolist()))
+        sides.append([names[x] if y == x + 1 else ",".join(names[x:y]) for x, y in zip(edge, edge[1:])])
+    groups = list(map("|".join, zip(*sides)))
+    numbers = np.ones((len(order), 6), np.int64)
+    numbers[:, :5] = np.diff([a_at, b_at, group_at, link_at, in_group[group_at]]).T
+    texts = [";".join(groups[x:y]) for x, y in pairwise(group_at.tolist())]
+    raw, edge, plain = pairs.tobytes(), (8 * link_at).tolist(), numbers.tobytes()
+    out.update(zip(order, zip([plain[x : x + 48] for x in range(0, len(plain), 48)], texts, [raw[x:y] for x, y in pairwise(edge)])))
+    return [out[p] for p in parts]
+
+
+class Memory:
+    """Short parts and what is known of them: those met lately, and those met before that."""
+
+    def __init__(self):
+        self.late: dict = {}
+        self.early: dict = {}
+
+    def known(self, parts: list[str], work_out) -> list[tuple]:
+        """What is known of each part; new ones are worked out together."""
+        late, early = self.late, self.early
+        found = [late.get(p) or early.get(p) for p in parts]
+        new = [p for p, x in zip(parts, found) if x is None]
+        told = dict(zip(new, work_out(new)))
+        found = [told[p] if x is None else x for p, x in zip(parts, found)]
+        late.update((p, x) for p, x in zip(parts, found) if len(p) <= SHORT)
+        if len(late) > REMEMBERED:
+            self.late, self.early = {}, late
+        return found
+
+
+def rows_of(texts: list[str | None], left: Tokenizer, right: Tokenizer, memory: Memory) -> list[tuple]:
+    """(n_a, n_b, n_groups, n_links, n_shared, groups_sha256, pairs, times) of each text.
+
+    A text is put together from its parts; those of this call are aligned at once,
+    and short ones are remembered.
+    """
+    cut = [CUT.split(t) if t else [] for t in texts]
+    every = list(chain.from_iterable(cut))
+    local = {p: i for i, p in enumerate(dict.fromkeys(every))}
+    which = np.array(list(map(local.__getitem__, every)), np.int64)
+    known = memory.known(list(local), lambda new: parts_of(new, left, right))
+    numbers, groups, pairs = zip(*known) if known else ((), (), ())
+    numbers = np.frombuffer(b"".join(numbers), np.int64).reshape(-1, 6)
+    flat, starts = np.frombuffer(b"".join(pairs), np.int64), np.r_[0, np.cumsum(numbers[:, 3])]
+    out, at = [], 0
+    for parts in cut:
+        here, at = which[at : at + len(parts)], at + len(parts)
+        if not len(here) or not numbers[here, 5].all():
+            out.append((0, 0, 0, 0, 0, "", (), ()))
+            continue
+        digest = hashlib.sha256(";".join([groups[i] for i in here.tolist()]).encode()).hexdigest()
+        each, often = np.unique(here, return_counts=True)
+        width = numbers[each, 3]
+        code = flat[np.repeat(starts[each] - np.cumsum(width) + width, width) + np.arange(width.sum())]
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        out.append((*numbers[here, :5].sum(axis=0).tolist(), digest, code[first], np.add.reduceat(np.repeat(often, width)[order], first)))
     return out
 
 
@@ -246,9 +323,9 @@ def token_pairs(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str
     shared = docs.sparkSession.sparkContext.broadcast(tuple(contents))  # bounded by the vocabularies
 
     def tasks(batches):
-        left, right = tokenizers_of(*shared.value)
+        (left, right), memory = tokenizers_of(*shared.value), Memory()
         for ids, texts in portions(batches):
-            rows = rows_of(texts, left, right)
+            rows = rows_of(texts, left, right, memory)
             columns = list(zip(*rows))
             lists = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in c])].astype(np.int32)), pa.array(np.concatenate([np.asarray(x, np.int64) for x in c]))) for c in columns[6:]]
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.string()), *lists], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_shared", "groups_sha256", "pairs", "times"])
@@ -277,7 +354,7 @@ def link_table(docs: DataFrame, byte_model: str = BYTE_MODEL, piece_model: str =
             for k, t in enumerate(texts):
                 a, b = (x.encode([t]) if t else [[]] for x in (left, right))
                 want = (" " + (t or "")).encode()
-                if b"".join(map(left.raw.__getitem__, a[0])) != want or b"".join(map(right.raw.__getitem__, b[0])) != want:
+                if joined(a[0], left) != want or joined(b[0], right) != want:
                     continue
                 found = align(a, b, left, right)
                 for i, j, value in found.shared_groups() if shared_groups else found.links():
