@@ -153,10 +153,12 @@ def mission_summary(tracks: DataFrame, events: DataFrame, geometry: DataFrame) -
 
 
 def count_disagreement(tracks: DataFrame, counts: DataFrame) -> DataFrame:
-    """Counted objects against active tracks at a time: (mission_id, t_sec, label, counted, active, off)."""
-    active = tracks.filter("state in ('confirmed', 'occluded')").groupBy("mission_id", "t_sec", "label").agg(F.countDistinct("track_id").alias("active"))
+    """Counts that the active observations at their time don't bear out: (mission_id, t_sec, label, counted, active, off)."""
+    from .intervals import ACTIVE
+
+    active = tracks.filter(F.col("state").isin(*ACTIVE)).groupBy("mission_id", "t_sec", "label").agg(F.count("*").alias("active"))
     met = counts.join(active, ["mission_id", "t_sec", "label"], "left").withColumn("active", F.coalesce("active", F.lit(0)))
-    return met.withColumn("off", F.abs(F.col("counted") - F.col("active")))
+    return met.filter("counted <> active").withColumn("off", F.abs(F.col("counted") - F.col("active")))
 
 
 def gap_coverage(stages: DataFrame, gaps: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import distance_3d
 from ..sources.storage import materialise
-from .intervals import BANDS, MOVED_M, count_changes, motion_edges, relation_intervals
+from .intervals import ACTIVE, BANDS, METRIC, MOVED_M, count_changes, motion_edges, predicates, relation_intervals
 
 EVENT_SEC = 1.0
 
@@ -67,21 +67,41 @@ def edge_events(edges: DataFrame, samples: DataFrame, regions: DataFrame) -> Dat
 
 
 def picked_up(edges: DataFrame, samples: DataFrame) -> DataFrame:
-    """Supported objects that moved after the support ended: at the first sample that shows it."""
-    held = edges.filter("predicate = 'supports'").select("mission_id", "edge_id", F.col("object_id").alias("subject"), "start_sec", "end_sec")
-    s = samples.select(F.col("mission_id").alias("m"), F.col("subject_id").alias("s"), "t_sec", "cx", "cy", "cz")
-    met = held.join(s, (F.col("mission_id") == F.col("m")) & (F.col("subject") == F.col("s")) & (F.col("t_sec") >= F.col("start_sec")))
+    """Supported objects that lie elsewhere after the support: their first sample of all against the first at or after its end."""
+    from .joins import asof
+
+    held = edges.filter("predicate = 'supports'").select("mission_id", "edge_id", F.col("object_id").alias("subject_id"), "end_sec")
     at = F.struct("cx", "cy", "cz")
-    first = F.min_by(at, "t_sec").over(Window.partitionBy("edge_id", "mission_id"))
-    moved = met.withColumn("first", first).withColumn("moved_m", distance_3d(tuple(F.col(f"first.{c}") for c in ("cx", "cy", "cz")), tuple(F.col(c) for c in ("cx", "cy", "cz"))))
-    later = moved.filter((F.col("t_sec") >= F.col("end_sec")) & (F.col("moved_m") > MOVED_M))
-    return later.groupBy("mission_id", "edge_id", "subject").agg(F.min("t_sec").alias("start_sec"))
+    first = samples.groupBy(F.col("mission_id").alias("m"), F.col("subject_id").alias("s")).agg(F.min_by(at, "t_sec").alias("first"), F.count("*").alias("n")).filter("n >= 2")
+    # The first sample at or after a time is the last one at or before it on the clock turned round.
+    turned = samples.select("mission_id", "subject_id", (-F.col("t_sec")).alias("t_sec"), F.col("t_sec").alias("at"), at.alias("later"))
+    ends = held.select(F.struct("mission_id", "edge_id", "subject_id").alias("query_id"), "mission_id", "subject_id", (-F.col("end_sec")).alias("t_sec"))
+    later = asof(ends, turned, ["mission_id", "subject_id"], ["at", "later"], tolerance=1e-9).filter("at is not null")
+    met = later.join(first, (F.col("mission_id") == F.col("m")) & (F.col("subject_id") == F.col("s")))
+    moved = distance_3d(*(tuple(F.col(f"{p}.{c}") for c in ("cx", "cy", "cz")) for p in ("first", "later")))
+    return met.filter(moved > MOVED_M).select("mission_id", F.col("query_id.edge_id").alias("edge_id"), F.col("subject_id").alias("subject"), F.col("at").alias("start_sec"))
+
 
+def token(label: Column) -> Column:
+    """A label as part of an id: letters and digits, other characters one hyphen."""
+    return F.coalesce(F.nullif(F.substring(F.btrim(F.regexp_replace(F.lower(label), r"[^\p{L}\p{N}]+", "-"), F.lit("-")), 1, 64), F.lit("")), F.lit("label"))
 
-def count_events(tracks: DataFrame) -> DataFrame:
-    """Events of changed counts, with their id and participants."""
-    found = count_changes(tracks)
-    return found.select("mission_id", F.concat_ws("-", F.lit("evt-count"), F.regexp_replace(F.lower("label"), "[^a-z0-9]+", "-"), millis(F.col("at"))).alias("event_id"), "label", F.col("at").alias("start_sec"), (F.col("at") + EVENT_SEC).alias("end_sec"), "ids", "n")
+
+def count_event_id(label: Column, at: Column) -> Column:
+    return F.concat_ws("-", F.lit("evt-count"), token(label), millis(at))
+
+
+def count_events(tracks: DataFrame, samples: DataFrame) -> DataFrame:
+    """Events of changed counts, with their id, participants and evidence.
+
+    The evidence is the first participant's sample at the time of the change, or
+    else its first one; without a sample there is no event.
+    """
+    found = count_changes(tracks).withColumn("who", F.element_at("ids", 1))
+    kept = samples.groupBy(F.col("mission_id").alias("m"), F.col("subject_id").alias("s")).agg(F.min_by("sample_id", "t_sec").alias("first_id"))
+    exact = samples.groupBy(F.col("mission_id").alias("em"), F.col("subject_id").alias("es"), F.bround("t_sec", 6).alias("et")).agg(F.min("sample_id").alias("exact_id"))
+    met = found.join(kept, (F.col("mission_id") == F.col("m")) & (F.col("who") == F.col("s"))).join(exact, (F.col("mission_id") == F.col("em")) & (F.col("who") == F.col("es")) & (F.col("at") == F.col("et")), "left")
+    return met.select("mission_id", count_event_id(F.col("label"), F.col("at")).alias("event_id"), "label", F.col("at").alias("start_sec"), (F.col("at") + EVENT_SEC).alias("end_sec"), "ids", "n", F.coalesce("exact_id", "first_id").alias("evidence_id"))
 
 
 def context(edges: DataFrame, samples: DataFrame) -> DataFrame:
@@ -96,8 +116,8 @@ def context(edges: DataFrame, samples: DataFrame) -> DataFrame:
 GEOMETRIC = ("contains", "intersects", "distance_band", "supports", "contacts", "left_of", "right_of", "above", "below", "visible", "occludes", "relative_motion")
 OPPOSITE = {"left_of": "right_of", "right_of": "left_of", "above": "below", "below": "above"}
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten")
-ACTIVE = ("tentative", "confirmed", "occluded")
 MOST_RESIDUAL_M, MOST_COVARIANCE = 0.5, 1.0
+BAND = r"(\d+(?:\.\d+)?)\s*(?:m|meters?)?\s*(?:to|-)\s*(\d+(?:\.\d+)?)"
 
 
 def singular(label: Column) -> Column:
@@ -115,7 +135,7 @@ def said_count(text: Column) -> tuple[Column, Column]:
 
 
 def counted(claims: DataFrame, tracks: DataFrame) -> DataFrame:
-    """(claim_id, actual): tracks of the claim's label whose latest state at its start is an active one."""
+    """(counted_id, actual, ids): tracks of the claim's label whose latest state at its start is an active one."""
     from .joins import asof
 
     rows = tracks.withColumn("label", singular(F.col("label"))).select("mission_id", "label", "track_id", "t_sec", "state")
@@ -123,7 +143,7 @@ def counted(claims: DataFrame, tracks: DataFrame) -> DataFrame:
     asks = claims.select("claim_id", "mission_id", F.col("said_label").alias("label"), F.coalesce("start_sec", F.lit(0.0)).alias("t_sec")).join(seen, ["mission_id", "label"])
     asks = asks.withColumn("query_id", F.struct("claim_id", "track_id"))
     last = asof(asks, rows, ["mission_id", "label", "track_id"], ["state"])
-    return last.filter(F.col("state").isin(*ACTIVE)).groupBy(F.col("query_id.claim_id").alias("counted_id")).agg(F.count("*").alias("actual"))
+    return last.filter(F.col("state").isin(*ACTIVE)).groupBy(F.col("query_id.claim_id").alias("counted_id")).agg(F.count("*").alias("actual"), F.array_sort(F.collect_set("query_id.track_id")).alias("ids"))
 
 
 def nearest_pairs(claims: DataFrame, samples: DataFrame) -> DataFrame:
@@ -158,24 +178,30 @@ def nearest_pairs(claims: DataFrame, samples: DataFrame) -> DataFrame:
 
 
 def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links: DataFrame, samples: DataFrame, edges: DataFrame, metric_missions: DataFrame) -> DataFrame:
-    """(claim_id, mission_id, status, reason, needs_review): the first rule that speaks for a claim decides.
+    """(claim_id, mission_id, claim_kind, status, reasons, needs_review): the first rule that speaks for a claim decides.
 
     ``claims`` has (claim_id, mission_id, claim_kind, text, predicate, subject_id,
-    object_id, start_sec, end_sec, band_low, band_high).  In order: identity needs
+    object_id, start_sec, end_sec) and may have the status that it came with; a
+    distance is read from the text ("2 m to 8 m").  In order: identity needs
     a link of the tracker (mission_id, track_id); a count is compared with the
     active tracks of its label; a geometric predicate is worked out anew from
-    stored samples, behind its gates (known ids, lifetime, metric scale,
-    calibration, residual, covariance, speed, band); an event has no evidence but
+    stored samples, behind its gates (known ids, lifetime, one coordinate frame,
+    metric scale, calibration, residual, covariance, speed, band), and refused for
+    up to three reasons; an event has no evidence but
     the model's word; ids that nobody knows are refused; the rest needs review.
-    ``samples`` has residual_m and covariance beside the columns of the relations.
+    ``samples`` has residual_m and covariance beside the columns of the relations,
+    and a frame where missions have several.
     Without an interval a claim counts for the whole mission.
     """
-    from .intervals import METRIC, infeasible, predicates
+    from .intervals import infeasible
     from .joins import asof, motion_in, overlaps
 
     number, label = said_count(F.col("text"))
     span = samples.groupBy(F.col("mission_id").alias("span_m")).agg(F.min("t_sec").alias("low"), (F.max("t_sec") + 1e-6).alias("high"))
-    rows = claims.withColumn("said", number).withColumn("said_label", label).withColumn("bounded", F.col("start_sec").isNotNull() & F.col("end_sec").isNotNull())
+    low, high = (F.regexp_extract("text", BAND, k).try_cast("double") for k in (1, 2))
+    rows = claims if "status" in claims.columns else claims.withColumn("status", F.lit(None).cast("string"))
+    samples = samples if "frame" in samples.columns else samples.withColumn("frame", F.lit(""))
+    rows = rows.withColumnRenamed("status", "came_with").withColumn("band_low", F.when(high > low, low)).withColumn("band_high", F.when(high > low, high)).withColumn("said", number).withColumn("said_label", label).withColumn("bounded", F.col("start_sec").isNotNull() & F.col("end_sec").isNotNull())
     geometric = F.coalesce(F.col("predicate").isin(*GEOMETRIC), F.lit(False))
     identity = F.coalesce(F.col("predicate").isin("same_as", "identity"), F.lit(False)) | F.coalesce(F.lower("text").contains("same object"), F.lit(False))
     rows = rows.withColumn("rule", F.when(identity, "identity").when(F.col("said").isNotNull() & ~geometric, "count").when(geometric, "geometry").when(F.col("claim_kind") == "event", "event").otherwise("open"))
@@ -205,7 +231,7 @@ def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links:
     turned = rows.filter("rule = 'geometry'").select("claim_id", "mission_id", "subject_id", "object_id", F.try_element_at(opposite, F.col("predicate")).alias("predicate"), F.coalesce("start_sec", F.lit(-1e9)).alias("start_sec"), F.coalesce("end_sec", F.lit(1e9)).alias("end_sec"))
     against = overlaps(turned.filter("predicate is not null and start_sec > -1e9 and end_sec < 1e9"), edges.filter("status = 'accepted'").select("mission_id", "subject_id", "object_id", "predicate", "start_sec", "end_sec"), ["mission_id", "subject_id", "object_id", "predicate"], how="left_semi")
     rows = rows.join(against.select(F.col("claim_id").alias("against_id")).distinct(), F.col("claim_id") == F.col("against_id"), "left")
-    flat = rows.select("*", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m", "metric_scale", "calibration_id", "residual_m", "covariance")])
+    flat = rows.select("*", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m", "metric_scale", "calibration_id", "residual_m", "covariance", "frame")])
     needs_metric = F.col("predicate").isin(*METRIC)
 
     def gate(s: str) -> Column:
@@ -214,30 +240,29 @@ def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links:
             .when(F.col(f"{s}_residual_m") > MOST_RESIDUAL_M, "uncertainty_gate").when(needs_metric & (F.col(f"{s}_covariance") > MOST_COVARIANCE), "uncertainty_gate")
         )
 
-    distance = distance_3d(tuple(F.col(f"l_c{a}") for a in "xyz"), tuple(F.col(f"r_c{a}") for a in "xyz"))
-    holds = F.coalesce(*[F.when(F.col("predicate") == p, c) for p, c in predicates().items()], F.when(F.col("predicate") == "distance_band", (distance >= F.col("band_low")) & (distance <= F.col("band_high"))), F.when(F.col("predicate") == "relative_motion", F.col("moved_m") > MOVED_M), F.lit(False))
+    holds = relation_holds(F.col("moved_m"), F.col("band_low"), F.col("band_high"))
     is_known = lambda who: F.col(f"{who}_known").isNotNull()
     pair = F.col("l").isNotNull()
-    tell = lambda cond, status, reason: F.when(cond, F.struct(F.lit(status).alias("status"), (reason if isinstance(reason, Column) else F.lit(reason)).cast("string").alias("reason")))
+    tell = lambda cond, status, *reasons: F.when(cond, F.struct(F.lit(status).alias("status"), F.array_compact(F.array(*[r if isinstance(r, Column) else F.lit(r) for r in reasons]).cast("array<string>")).alias("reasons")))
     gated = F.coalesce(gate("l"), gate("r"), F.when(F.col("subject_bad").isNotNull() | F.col("object_bad").isNotNull(), "uncertainty_gate"))
     active = F.coalesce(F.col("seen_state").isin(*ACTIVE), F.lit(False))
     geometry = F.coalesce(
         tell(~is_known("subject") | ~is_known("object"), "rejected", "dangling_id"),
         tell(F.col("bounded") & (~F.col("has_l") | ~F.col("has_r")) & (F.coalesce("subject_stored", F.lit(False)) | F.coalesce("object_stored", F.lit(False))), "rejected", "lifetime_disjoint"),
-        tell(~pair, "uncertain", "missing_geometry"), tell(needs_metric & F.col("metric_m").isNull(), "uncertain", "metric_scale_missing"), tell(gated.isNotNull(), "uncertain", gated),
+        tell(~pair, "uncertain", "missing_geometry"), tell(~F.col("l_frame").eqNullSafe(F.col("r_frame")), "rejected", "mixed_coordinate_frame"), tell(needs_metric & F.col("metric_m").isNull(), "uncertain", "metric_scale_missing"), tell(gated.isNotNull(), "uncertain", gated),
         tell((F.col("predicate") == "distance_band") & F.col("band_low").isNull(), "uncertain", "missing_distance_band"),
-        tell((F.col("predicate") == "visible") & ~active, "uncertain", "missing_evidence"), tell(holds | (F.col("predicate") == "visible"), "accepted", F.lit(None)),
-        tell(F.col("against_id").isNotNull(), "rejected", "mutually_exclusive"), tell(F.lit(True), "rejected", "geometry_contradiction"),
+        tell((F.col("predicate") == "visible") & ~active, "uncertain", "missing_evidence"), tell(holds, "accepted"),
+        tell(F.lit(True), "rejected", "geometry_contradiction", F.when(F.col("came_with") == "accepted", "geometry_overrides_confidence"), F.when(F.col("against_id").isNotNull(), "mutually_exclusive")),
     )
     unknown = lambda who: F.col(f"{who}_id").isNotNull() & ~F.coalesce(F.col(f"{who}_named"), F.lit(False))
     actual = F.coalesce("actual", F.lit(0))
     verdict = F.coalesce(
-        tell((F.col("rule") == "identity") & F.col("link_t").isNotNull(), "accepted", F.lit(None)), tell(F.col("rule").isin("identity", "event"), "uncertain", "vlm_not_sole_evidence"),
-        tell((F.col("rule") == "count") & (actual == F.col("said")) & (F.col("said") > 0), "accepted", F.lit(None)), tell(F.col("rule") == "count", "rejected", "count_mismatch"),
-        F.when(F.col("rule") == "geometry", geometry), tell(unknown("subject") | unknown("object"), "rejected", "dangling_id"), tell(F.lit(True), "uncertain", F.lit(None)),
+        tell((F.col("rule") == "identity") & F.col("link_t").isNotNull(), "accepted"), tell(F.col("rule").isin("identity", "event"), "uncertain", "vlm_not_sole_evidence"),
+        tell((F.col("rule") == "count") & (actual == F.col("said")) & (F.col("said") > 0), "accepted"), tell(F.col("rule") == "count", "rejected", "count_mismatch"),
+        F.when(F.col("rule") == "geometry", geometry), tell(unknown("subject") | unknown("object"), "rejected", "dangling_id"), tell(F.lit(True), "uncertain"),
     )
     review = (F.col("rule") == "open") & ~unknown("subject") & ~unknown("object")
-    return flat.select("claim_id", "mission_id", "claim_kind", verdict.alias("v"), review.alias("needs_review")).select("claim_id", "mission_id", "claim_kind", "v.status", "v.reason", "needs_review")
+    return flat.select("claim_id", "mission_id", "claim_kind", verdict.alias("v"), review.alias("needs_review")).select("claim_id", "mission_id", "claim_kind", "v.status", "v.reasons", "needs_review")
 
 
 def uncertainty_gates(samples: DataFrame, most_residual: float = 0.5, most_covariance: float = 1.0) -> DataFrame:
@@ -262,9 +287,14 @@ def apply_reviews(pending: DataFrame, decisions: DataFrame, supported: DataFrame
 
 
 def audit(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Claims whose status changed, with both."""
-    b = before.select(F.col("claim_id").alias("b"), F.col("status").alias("was"))
-    return after.join(b, F.col("claim_id") == F.col("b")).filter("status <> was").select("claim_id", "was", "status")
+    """New rows of the claim log (claim_id, supersedes, status, reasons) where the status or the reasons changed.
+
+    Both sides have claim_id, status and reasons, an array; the old row stays and the new one names it.
+    """
+    b = before.select(F.col("claim_id").alias("b"), F.col("status").alias("was"), F.col("reasons").alias("had"))
+    none = F.array().cast("array<string>")
+    same = F.col("status").eqNullSafe(F.col("was")) & (F.coalesce("reasons", none) == F.coalesce("had", none))
+    return after.join(b, F.col("claim_id") == F.col("b")).filter(~same).select(F.concat(F.lit("audit-"), F.col("claim_id").cast("string")).alias("claim_id"), F.col("b").alias("supersedes"), "status", "reasons")
 
 
 STATES = ("picked_up", "put_down", "left_region", "approached")
@@ -326,7 +356,6 @@ def check_geometry(edges: DataFrame, samples: DataFrame, metric_missions: DataFr
     the interval; their last ones there have to agree with the predicate (and its
     band_low and band_high), motion with the first and the last of the subject.
     """
-    from .intervals import METRIC, predicates
     from .joins import asof, motion_in, prefixed
 
     ok = edges.filter("status = 'accepted'")
@@ -352,38 +381,123 @@ def check_geometry(edges: DataFrame, samples: DataFrame, metric_missions: DataFr
     return rows.select("mission_id", "edge_id", F.explode(F.filter(codes, lambda c: c.isNotNull())).alias("code"))
 
 
-def recheck(events: DataFrame, relations: DataFrame) -> DataFrame:
-    """Status of accepted events (event_id, mission_id, subject_id, predicate, object_id, start_sec) from geometry.
+def relation_holds(moved: Column, low: Column, high: Column) -> Column:
+    """Whether the row's predicate holds between the samples with l_ and r_ columns; unknown ones don't."""
+    distance = distance_3d(tuple(F.col(f"l_c{a}") for a in "xyz"), tuple(F.col(f"r_c{a}") for a in "xyz"))
+    p = F.col("predicate")
+    rules = predicates() | {"distance_band": (distance >= low) & (distance <= high), "visible": F.lit(True), "relative_motion": moved > MOVED_M}
+    return F.coalesce(*[F.when(p == name, F.coalesce(holds, F.lit(False))) for name, holds in rules.items()], F.lit(False))
+
+
+def evidenced(events: DataFrame, evidence: DataFrame, files: DataFrame) -> DataFrame:
+    """Events (event_id, mission_id, ...) with ``proved``: they have evidence, and a stored file behind every piece of it.
 
-    Accepted where the relation holds at the last co-time of the pair up to the
-    start, rejected where it doesn't, uncertain where the pair was never seen.
+    ``evidence`` has (mission_id, event_id, geometry_ref, mask_ref), ``files`` (mission_id, path).
     """
-    r = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), F.col("predicate").alias("p"), "at")
-    met = events.join(r, (F.col("mission_id") == F.col("m")) & (F.col("subject_id") == F.col("l")) & (F.col("object_id") == F.col("r")) & (F.col("at") <= F.col("start_sec")), "left")
-    last = met.groupBy("event_id").agg(F.max("at").alias("last_at"), F.max(F.when(F.col("p") == F.col("predicate"), F.col("at"))).alias("held_at"))
-    return last.select("event_id", F.when(F.col("last_at").isNull(), "uncertain").when(F.col("held_at") == F.col("last_at"), "accepted").otherwise("rejected").alias("status"))
+    stored = files.select(F.col("mission_id").alias("fm"), "path").distinct()
+    each = evidence.withColumn("piece", F.monotonically_increasing_id()).select("mission_id", "event_id", "piece", F.explode(F.array("geometry_ref", "mask_ref")).alias("ref"))
+    found = each.join(stored, (F.col("mission_id") == F.col("fm")) & (F.col("ref") == F.col("path")), "left").groupBy("mission_id", "event_id", "piece").agg(F.max(F.col("path").isNotNull()).alias("there"))
+    proved = found.groupBy(F.col("mission_id").alias("pm"), F.col("event_id").alias("pe")).agg(F.min("there").alias("proved"))
+    return events.join(proved, (F.col("mission_id") == F.col("pm")) & (F.col("event_id") == F.col("pe")), "left").withColumn("proved", F.coalesce("proved", F.lit(False))).drop("pm", "pe")
+
+
+def recheck(events: DataFrame, edges: DataFrame, samples: DataFrame, tracks: DataFrame, metric_missions: DataFrame) -> DataFrame:
+    """(event_id, mission_id, status, rules, reasons) of events, worked out anew from stored geometry.
+
+    ``events`` has (event_id, mission_id, status, rules, reasons, participants,
+    refs, proved), see :func:`evidenced`; ``edges`` (mission_id, delta_id,
+    subject_id, predicate, object_id, start_sec, end_sec, band_low, band_high).
+    Only accepted events are looked at.  One without stored evidence is rejected.
+    The cited edges are taken in their order, each with the samples of its ends
+    that lie nearest in time inside its interval, and the first that fails
+    decides; uncited counts need their participants to be tracks; what cites
+    nothing else can't be worked out anew.
+    """
+    from .joins import motion_in
+
+    cited = events.filter("status = 'accepted' and proved").select("event_id", F.col("mission_id").alias("em"), F.posexplode("refs").alias("place", "ref"))
+    cited = cited.join(edges, (F.col("em") == F.col("mission_id")) & (F.col("ref") == F.col("delta_id"))).withColumn("claim_id", F.struct("event_id", "place"))
+    cited = materialise(cited.select("claim_id", "event_id", "place", "mission_id", "subject_id", "predicate", "object_id", "start_sec", "end_sec", "band_low", "band_high"), "recheck-cited")
+    columns = ("cx", "cy", "cz", "ex", "ey", "ez", "depth_m", "metric_scale", "calibration_id", "residual_m", "covariance")
+    pairs = nearest_pairs(cited, samples.select("mission_id", "subject_id", "t_sec", *columns))
+    pairs = pairs.select("pair_id", F.col("l").isNotNull().alias("met"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in columns])
+    moved = motion_in(cited.select("claim_id", "mission_id", "subject_id", "start_sec", "end_sec"), samples.select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz"), ["mission_id", "subject_id"], "claim_id")
+    rows = cited.join(pairs, F.col("claim_id") == F.col("pair_id")).join(moved.select(F.col("claim_id").alias("moved_id"), F.when(F.col("n") >= 2, F.col("moved_m")).alias("moved_m")), F.col("claim_id") == F.col("moved_id"), "left")
+    rows = rows.join(metric_missions.select(F.col("mission_id").alias("metric_m")).distinct(), F.col("mission_id") == F.col("metric_m"), "left")
+    metric = F.col("predicate").isin(*METRIC)
+    gate = lambda s: (metric & ((F.col(f"{s}_metric_scale") != "metric") | F.col(f"{s}_calibration_id").isNull())) | F.coalesce(F.col(f"{s}_residual_m") > MOST_RESIDUAL_M, F.lit(False)) | (metric & F.coalesce(F.col(f"{s}_covariance") > MOST_COVARIANCE, F.lit(False)))
+    tell = lambda when, status, reason, *more: F.when(when, F.struct(F.lit(status).alias("status"), F.array(*more).cast("array<string>").alias("rules"), F.array(F.lit(reason)).alias("reasons")))
+    own = F.col("predicate")
+    failed = F.coalesce(
+        tell(metric & F.col("metric_m").isNull(), "uncertain", "metric_scale_missing", own), tell(~F.col("met"), "uncertain", "missing_geometry", own),
+        tell(gate("l") | gate("r"), "uncertain", "uncertainty_gate", own), tell(~relation_holds(F.col("moved_m"), F.col("band_low"), F.col("band_high")), "rejected", "geometry_contradiction", own, F.lit("geometry")),
+    )
+    decided = rows.withColumn("failed", failed).groupBy(F.col("event_id").alias("de"), F.col("mission_id").alias("dm")).agg(F.min_by("failed", F.when(F.col("failed").isNotNull(), F.col("place"))).alias("failed"))
+    known = tracks.select(F.col("mission_id").alias("tm"), F.col("track_id").alias("t")).distinct()
+    asked = events.filter("status = 'accepted' and proved and array_contains(rules, 'track_count')").select("event_id", "mission_id", F.explode("participants").alias("p"))
+    dangling = asked.join(known, (F.col("mission_id") == F.col("tm")) & (F.col("p") == F.col("t")), "left_anti").select(F.col("event_id").alias("xe"), F.col("mission_id").alias("xm")).distinct()
+    out = events.join(decided, (F.col("event_id") == F.col("de")) & (F.col("mission_id") == F.col("dm")), "left").join(dangling, (F.col("event_id") == F.col("xe")) & (F.col("mission_id") == F.col("xm")), "left")
+    row = lambda status, rules, *reasons: F.struct(status.alias("status"), rules.cast("array<string>").alias("rules"), F.array(*map(F.lit, reasons)).cast("array<string>").alias("reasons"))
+    count = F.array(F.lit("track_count"))
+    verdict = (
+        F.when(F.coalesce(F.col("status") != "accepted", F.lit(True)), F.struct("status", F.col("rules").cast("array<string>").alias("rules"), F.col("reasons").cast("array<string>").alias("reasons")))
+        .when(~F.col("proved"), row(F.lit("rejected"), F.col("rules"), "missing_evidence"))
+        .when(F.col("de").isNotNull(), F.coalesce("failed", row(F.lit("accepted"), F.col("rules"))))
+        .when(F.array_contains("rules", "track_count"), F.when(F.col("xe").isNotNull(), row(F.lit("rejected"), count, "dangling_id")).otherwise(row(F.lit("accepted"), count)))
+        .otherwise(row(F.lit("uncertain"), F.col("rules"), "unrecomputed"))
+    )
+    return out.select("event_id", "mission_id", verdict.alias("v")).select("event_id", "mission_id", "v.*")
 
 
-def claim_count_events(claims: DataFrame, events: DataFrame) -> DataFrame:
-    """Events from accepted count claims (claim_id, mission_id, label, start_sec, end_sec, said) that no count event overlaps."""
-    from .joins import prefixed
+def claim_count_events(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, samples: DataFrame, events: DataFrame) -> DataFrame:
+    """Count events (event_id, mission_id, label, start_sec, end_sec, ids, n, evidence_id) from accepted count claims.
 
-    e = prefixed(events, "e_")
-    free = claims.join(e, (F.col("mission_id") == F.col("e_mission_id")) & (F.col("label") == F.col("e_label")) & (F.col("start_sec") < F.col("e_end_sec")) & (F.col("e_start_sec") < F.col("end_sec")), "left_anti")
-    return free.select("mission_id", F.concat_ws("-", F.lit("evt-claim"), "claim_id").alias("event_id"), "label", "start_sec", (F.col("start_sec") + EVENT_SEC).alias("end_sec"), F.col("said").alias("n"))
+    ``claims`` has (claim_id, mission_id, text, start_sec), ``nodes`` (mission_id,
+    node_id, track_id).  The tracks of the label are counted again; the event needs
+    as many as the text says, no count event of just these participants, a stored
+    sample of the first one (itself or a node of it; the earliest), and a new id.
+    """
+    number, label = said_count(F.col("text"))
+    rows = claims.select("claim_id", "mission_id", "start_sec", number.alias("said"), label.alias("said_label")).filter("said is not null")
+    rows = rows.join(counted(rows, tracks), F.col("claim_id") == F.col("counted_id")).filter("actual = said and said > 0").withColumn("who", F.element_at("ids", 1))
+    taken = events.filter("type = 'count_changed'").select(F.col("mission_id").alias("am"), F.array_sort("participants").alias("those")).distinct()
+    rows = rows.join(taken, (F.col("mission_id") == F.col("am")) & (F.col("ids") == F.col("those")), "left_anti")
+    alias = nodes.select(F.col("mission_id").alias("nm"), F.col("track_id").alias("nt"), F.col("node_id").alias("ns")).unionByName(tracks.select(F.col("mission_id").alias("nm"), F.col("track_id").alias("nt"), F.col("track_id").alias("ns"))).distinct()
+    first = samples.join(alias, (F.col("mission_id") == F.col("nm")) & (F.col("subject_id") == F.col("ns"))).groupBy(F.col("nm").alias("sm"), F.col("nt").alias("st")).agg(F.min(F.struct("t_sec", "sample_id")).alias("first"))
+    rows = rows.join(first, (F.col("mission_id") == F.col("sm")) & (F.col("who") == F.col("st"))).withColumn("at", F.coalesce("start_sec", "first.t_sec"))
+    rows = rows.withColumn("event_id", count_event_id(F.col("said_label"), F.col("at")))
+    ids = events.select(F.col("mission_id").alias("im"), F.col("event_id").cast("string").alias("i"))
+    rows = rows.join(ids, (F.col("mission_id") == F.col("im")) & (F.col("event_id") == F.col("i")), "left_anti")
+    return rows.select("event_id", "mission_id", F.col("said_label").alias("label"), F.col("at").alias("start_sec"), (F.col("at") + EVENT_SEC).alias("end_sec"), "ids", F.col("said").alias("n"), F.col("first.sample_id").alias("evidence_id"))
+
+
+def nearest_samples(claims: DataFrame, samples: DataFrame, who: str, prefix: str) -> DataFrame:
+    """The sample of a claim's subject nearest to its start, the earlier of equals; without a start the last one."""
+    from .joins import asof
+
+    state = samples.select("mission_id", "subject_id", "t_sec", F.struct(*[c for c in samples.columns if c not in ("mission_id", "subject_id")]).alias("sample"))
+    asks = claims.select(F.struct("claim_id", F.col("start_sec").alias("start")).alias("query_id"), "mission_id", F.col(who).alias("subject_id"), F.coalesce("start_sec", F.lit(1e300)).alias("t_sec"))
+    before = asof(asks, state, ["mission_id", "subject_id"], ["sample"], tolerance=0.0)
+    turned = lambda df: df.withColumn("t_sec", -F.col("t_sec"))
+    after = asof(turned(asks), turned(state), ["mission_id", "subject_id"], ["sample"], tolerance=0.0)
+    both = before.select("query_id", "sample").unionByName(after.select("query_id", "sample")).filter("sample is not null")
+    off = F.struct(F.abs(F.col("sample.t_sec") - F.coalesce("query_id.start", F.lit(1e300))), "sample.t_sec")
+    best = both.groupBy(F.col("query_id.claim_id").alias(f"{prefix}of")).agg(F.min_by("sample", off).alias("s"))
+    return best.select(f"{prefix}of", *[F.col(f"s.{c}").alias(f"{prefix}{c}") for c in samples.columns if c not in ("mission_id", "subject_id")])
 
 
-def screen_claims(claims: DataFrame, relations: DataFrame, tolerance: float) -> DataFrame:
-    """Geometry claims that the nearest co-time within the tolerance contradicts: (claim_id, seen).
+def screen_claims(claims: DataFrame, samples: DataFrame) -> DataFrame:
+    """Claims with a geometric predicate that doesn't hold between the nearest samples of both: (claim_id).
 
-    A claim goes where the opposite of its predicate holds then and itself doesn't.
+    A claim whose ends have no sample is not told; a distance or a motion can't be
+    seen in two samples, so such a claim is always told.
     """
-    opposite = F.create_map(*[F.lit(x) for x in ("left_of", "right_of", "right_of", "left_of", "above", "below", "below", "above")])
-    r = relations.select(F.col("mission_id").alias("m"), F.col("l_subject_id").alias("l"), F.col("r_subject_id").alias("r"), F.col("predicate").alias("p"), "at")
-    met = claims.join(r, (F.col("mission_id") == F.col("m")) & (F.col("subject_id") == F.col("l")) & (F.col("object_id") == F.col("r")) & (F.abs(F.col("at") - F.col("start_sec")) <= tolerance))
-    at = met.groupBy("claim_id", "predicate", F.abs(F.col("at") - F.col("start_sec")).alias("off"), "at").agg(F.collect_set("p").alias("held"))
-    best = at.groupBy("claim_id").agg(F.min_by(F.struct("predicate", "held", "at"), F.struct("off", "at")).alias("b"))
-    return best.filter(F.array_contains("b.held", opposite[F.col("b.predicate")]) & ~F.array_contains("b.held", F.col("b.predicate"))).select("claim_id", F.col("b.at").alias("seen"))
+    asked = claims.filter(F.col("predicate").isin(*GEOMETRIC) & F.col("subject_id").isNotNull() & F.col("object_id").isNotNull())
+    met = asked
+    for who, prefix in (("subject_id", "l_"), ("object_id", "r_")):
+        met = met.join(nearest_samples(asked, samples, who, prefix), F.col("claim_id") == F.col(f"{prefix}of"))
+    none = F.lit(None).cast("double")
+    return met.filter(~relation_holds(none, none, none)).select("claim_id")
 
 
 def run_rows(events: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ from .joins import cotime_pairs
 # Fixed values of the relation rules.
 AXIS_TOLERANCE_M, CONTACT_GAP_M, MOVED_M, TAIL_SEC = 0.05, 0.05, 0.05, 1.0
 BANDS = ((0.0, 2.0), (2.0, 8.0), (8.0, 32.0))
+#: States of a track that is still there, seen or not.
+ACTIVE = ("tentative", "confirmed", "occluded")
 SYMMETRIC, METRIC = ("intersects", "contacts", "distance_band"), ("supports", "contacts", "distance_band")
 
 
@@ -117,7 +119,7 @@ def count_changes(tracks: DataFrame) -> DataFrame:
     Every label is looked at in every time of its mission; a label that becomes
     empty gives no row.
     """
-    active = tracks.filter("state in ('confirmed', 'occluded')").withColumn("at", F.bround("t_sec", 6))
+    active = tracks.filter(F.col("state").isin(*ACTIVE)).withColumn("at", F.bround("t_sec", 6))
     sets = active.groupBy("mission_id", "label", "at").agg(F.array_sort(F.collect_set("track_id")).alias("ids"))
     times = active.select("mission_id", "at").distinct()
     grid = active.select("mission_id", "label").distinct().join(times, "mission_id")

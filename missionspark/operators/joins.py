@@ -334,10 +334,11 @@ def facts_diff(changes: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def georeference(observations: DataFrame, poses: DataFrame) -> DataFrame:
-    """Places of observations: the pose at or before them plus the box's offset at its range."""
+    """Places of observations: the pose at or before them plus the offset of the box's centre, inside the image, at its range."""
     met = asof(observations.withColumnRenamed("observation_id", "query_id").select("query_id", "mission_id", "t_sec"), poses, ["mission_id"], ["east", "north"])
     rows = observations.join(met.select(F.col("query_id").alias("q"), "east", "north"), F.col("observation_id") == F.col("q"))
-    return rows.select("observation_id", (F.col("east") + (F.col("x") + F.col("w") / 2 - 0.5) * F.col("range_m")).alias("east_m"), (F.col("north") + F.col("range_m")).alias("north_m"))
+    centre = lambda low, size: F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col(low) + F.col(size) / 2))
+    return rows.select("observation_id", (F.col("east") + (centre("x", "w") - 0.5) * F.col("range_m")).alias("east_m"), (F.col("north") + (0.5 - centre("y", "h")) * F.col("range_m")).alias("north_m"))
 
 
 def region_samples(regions: DataFrame, stamps: DataFrame) -> DataFrame:

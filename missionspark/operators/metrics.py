@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ..functions.exprs import distance_3d, iou_2d, iou_3d, temporal_iou
 from .joins import prefixed
 
-ACTIVE = "state in ('confirmed', 'occluded')"
+#: States whose boxes count as found; an occluded box is a guess of the tracker.
+ACTIVE = "state in ('tentative', 'confirmed')"
 IOU = 0.5
 
 
@@ -86,9 +87,11 @@ def tracking_quality(pred: DataFrame, truth: DataFrame) -> DataFrame:
 
 
 def grounding(pred: DataFrame, truth: DataFrame) -> DataFrame:
-    """Average precision of each mission: predictions by confidence, each takes its best free truth.
+    """Average precision and recall of each mission.
 
-    Frames don't share truths, so the greedy step runs frame by frame.
+    For the precision predictions go by confidence and each takes its best free
+    truth; frames don't share truths, so the greedy step runs frame by frame.  The
+    recall is that of :func:`frame_matches`, whose pairs go by overlap.
     """
     box = lambda p: tuple(F.col(f"{p}{c}") for c in "xywh")
     met = pred.join(prefixed(truth, "g_"), (F.col("mission_id") == F.col("g_mission_id")) & (F.col("t_sec") == F.col("g_t_sec")), "left")
@@ -117,10 +120,11 @@ def grounding(pred: DataFrame, truth: DataFrame) -> DataFrame:
     order = Window.partitionBy("mission_id").orderBy(F.desc("confidence"), "t_sec", "track_id")
     steps = hits.withColumn("precision", F.sum("hit").over(order.rowsBetween(Window.unboundedPreceding, 0)) / F.row_number().over(order))
     n_truth = truth.groupBy("mission_id").agg(F.count("*").alias("n_truth"))
-    ap = steps.filter("hit = 1").groupBy("mission_id").agg(F.sum("precision").alias("gain"), F.count("*").alias("hits"))
-    both = pred.select("mission_id").distinct().join(n_truth, "mission_id", "full").join(ap, "mission_id", "left")
+    ap = steps.filter("hit = 1").groupBy("mission_id").agg(F.sum("precision").alias("gain"))
+    met = frame_matches(pred, truth).groupBy("mission_id").agg(F.count("*").alias("met"))
+    both = pred.select("mission_id").distinct().join(n_truth, "mission_id", "full").join(ap, "mission_id", "left").join(met, "mission_id", "left")
     n = F.coalesce("n_truth", F.lit(0))
-    return both.select("mission_id", F.round(F.when(n > 0, F.coalesce("gain", F.lit(0.0)) / n).otherwise(0.0), 6).alias("ap"), F.round(F.when(n > 0, F.coalesce("hits", F.lit(0)) / n).otherwise(0.0), 6).alias("recall"))
+    return both.select("mission_id", F.round(F.when(n > 0, F.coalesce("gain", F.lit(0.0)) / n).otherwise(0.0), 6).alias("ap"), F.round(F.when(n > 0, F.coalesce("met", F.lit(0)) / n).otherwise(0.0), 6).alias("recall"))
 
 
 def coverage(boundaries: DataFrame, keyframes: DataFrame, tolerance: float = 0.5) -> DataFrame:

@@ -99,7 +99,7 @@ def w4(t):
 
 
 @query("w5_count_changes", ["tracks"], """
-, a AS (SELECT mission_id, label, round_even(t_sec, 6) AS at_sec, list_sort(list(DISTINCT track_id)) AS ids FROM tracks WHERE state IN ('confirmed', 'occluded') GROUP BY ALL),
+, a AS (SELECT mission_id, label, round_even(t_sec, 6) AS at_sec, list_sort(list(DISTINCT track_id)) AS ids FROM tracks WHERE state IN ('tentative', 'confirmed', 'occluded') GROUP BY ALL),
 g AS (SELECT l.mission_id, l.label, x.at_sec FROM (SELECT DISTINCT mission_id, label FROM a) l JOIN (SELECT DISTINCT mission_id, at_sec FROM a) x USING (mission_id)),
 d AS (SELECT g.*, coalesce(ids, []) AS ids, lag(coalesce(ids, []), 1, []) OVER (PARTITION BY g.mission_id, g.label ORDER BY g.at_sec) AS before FROM g LEFT JOIN a USING (mission_id, label, at_sec))
 SELECT mission_id, label, at_sec, array_to_string(ids, ',') AS ids, CAST(len(ids) AS INTEGER) AS n FROM d WHERE ids <> before AND len(ids) > 0""")
@@ -377,7 +377,7 @@ def j21(t):
 
 @query("j22_georeference", ["tracks", "geometry"], """
 , p AS (SELECT mission_id, t_sec, max(cx) AS east, max(cy) AS north FROM geometry WHERE subject_id = 's1' GROUP BY ALL)
-SELECT o.observation_id, round(p.east + (o.x + o.w / 2 - 0.5) * (o.confidence * 20), 6) AS east_m, round(p.north + o.confidence * 20, 6) AS north_m FROM tracks o ASOF LEFT JOIN p ON o.mission_id = p.mission_id AND o.t_sec + 1e-6 >= p.t_sec""")
+SELECT o.observation_id, round(p.east + (least(1, greatest(0, o.x + o.w / 2)) - 0.5) * (o.confidence * 20), 6) AS east_m, round(p.north + (0.5 - least(1, greatest(0, o.y + o.h / 2))) * (o.confidence * 20), 6) AS north_m FROM tracks o ASOF LEFT JOIN p ON o.mission_id = p.mission_id AND o.t_sec + 1e-6 >= p.t_sec""")
 def j22(t):
     poses = t("geometry").filter("subject_id = 's1'").groupBy("mission_id", "t_sec").agg(F.max("cx").alias("east"), F.max("cy").alias("north"))
     rows = J.georeference(t("tracks").withColumn("range_m", F.col("confidence") * 20), poses)
@@ -519,7 +519,7 @@ def m1(t):
 
 
 PAIRS = f"""
-, pred AS (SELECT * FROM tracks WHERE state IN ('confirmed', 'occluded')),
+, pred AS (SELECT * FROM tracks WHERE state IN ('tentative', 'confirmed')),
 c AS (SELECT p.mission_id, p.t_sec, p.track_id, g.gt_id, round({iou('p', 'g')}, 9) AS v FROM pred p JOIN truth g ON p.mission_id = g.mission_id AND p.t_sec = g.t_sec)"""
 
 
@@ -548,7 +548,7 @@ def m4(t):
 
 
 @query("m5_count_mae", ["tracks", "truth"], """
-, c AS (SELECT mission_id, t_sec, label, count(*) AS n FROM truth GROUP BY ALL), a AS (SELECT mission_id, t_sec, label, count(*) AS n FROM tracks WHERE state IN ('confirmed', 'occluded') GROUP BY ALL)
+, c AS (SELECT mission_id, t_sec, label, count(*) AS n FROM truth GROUP BY ALL), a AS (SELECT mission_id, t_sec, label, count(*) AS n FROM tracks WHERE state IN ('tentative', 'confirmed') GROUP BY ALL)
 SELECT mission_id, round(avg(abs(coalesce(a.n, 0) - c.n)), 6) AS mae FROM c LEFT JOIN a USING (mission_id, t_sec, label) GROUP BY mission_id""")
 def m5(t):
     return M.count_mae(t("tracks"), t("truth").groupBy("mission_id", "t_sec", "label").agg(F.count("*").alias("count")))
@@ -632,7 +632,7 @@ def m12(t):
 
 
 @query("m13_roll_up", ["tracks", "truth"], """
-, c AS (SELECT mission_id, t_sec, label, count(*) AS n FROM truth GROUP BY ALL), a AS (SELECT mission_id, t_sec, label, count(*) AS n FROM tracks WHERE state IN ('confirmed', 'occluded') GROUP BY ALL),
+, c AS (SELECT mission_id, t_sec, label, count(*) AS n FROM truth GROUP BY ALL), a AS (SELECT mission_id, t_sec, label, count(*) AS n FROM tracks WHERE state IN ('tentative', 'confirmed') GROUP BY ALL),
 m AS (SELECT mission_id, round(avg(abs(coalesce(a.n, 0) - c.n)), 6) AS mae FROM c LEFT JOIN a USING (mission_id, t_sec, label) GROUP BY mission_id)
 SELECT count(*) AS missions, round(avg(mae), 4) AS mae, max(mae) AS max_mae FROM m""")
 def m13(t):

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import cloud as C
 from ..operators import graph as V
-from ..operators import intervals as W
 from ..operators import metrics as M
-from .missions import RELATIONS
 from .registry import query
 
 
@@ -71,36 +69,81 @@ def m14(t):
     return ours.join(base, F.col("mission_id") == F.col("b"), "left").select("mission_id", "precision", F.coalesce("baseline_precision", F.lit(0.0)).alias("baseline_precision"))
 
 
-CHECKED = """
-, e AS (SELECT sample_id AS event_id, mission_id, subject_id, CASE WHEN subject_id = 's2' THEN 's3' ELSE 's2' END AS object_id, CASE WHEN cx > 5 THEN 'left_of' ELSE 'above' END AS predicate, t_sec + 0.25 AS start_sec FROM geometry)"""
-
-
-def _checked(t):
-    return t("geometry").select(F.col("sample_id").alias("event_id"), "mission_id", "subject_id", F.when(F.col("subject_id") == "s2", "s3").otherwise("s2").alias("object_id"), F.when(F.col("cx") > 5, "left_of").otherwise("above").alias("predicate"), (F.col("t_sec") + 0.25).alias("start_sec"))
-
-
-@query("v10_recheck", ["geometry"], RELATIONS + CHECKED + """
-, x AS (SELECT e.event_id, max(rel.at_sec) AS last_at, max(rel.at_sec) FILTER (WHERE rel.predicate = e.predicate) AS held_at FROM e LEFT JOIN rel ON rel.mission_id = e.mission_id AND rel.l = e.subject_id AND rel.r = e.object_id AND rel.at_sec <= e.start_sec GROUP BY 1)
-SELECT event_id, CASE WHEN last_at IS NULL THEN 'uncertain' WHEN held_at = last_at THEN 'accepted' ELSE 'rejected' END AS status FROM x""")
+#: Cited edges and events by the id of a claim.
+CITED = """
+, g AS (SELECT *, cx / 15 AS residual, cy / 2 AS covariance FROM geometry),
+d AS (SELECT proposal_id AS delta_id, mission_id, ['left_of', 'right_of', 'above', 'below', 'contains', 'supports', 'distance_band', 'visible', 'relative_motion', 'next_to'][proposal_id % 10 + 1] AS predicate, concat('s', proposal_id % 4 + 1) AS subject_id,
+  concat('s', (proposal_id + 2) % 6 + 1) AS object_id, (proposal_id % 7) * 0.5e0 AS start_sec, (proposal_id % 7) * 0.5e0 + 0.75e0 AS end_sec FROM proposals),
+e AS (SELECT proposal_id AS event_id, mission_id, proposal_id % 11 <> 0 AS accepted, proposal_id % 5 = 0 AS counts, proposal_id % 5 > 1 AS cites, proposal_id % 7 <> 0 AS proved, [concat('s', proposal_id % 4 + 1), concat('s', proposal_id % 9)] AS participants FROM proposals),
+c AS (SELECT event_id, 0 AS place, d.* FROM e JOIN d ON d.delta_id = event_id WHERE cites UNION ALL SELECT event_id, 1, d.* FROM e JOIN d ON d.delta_id = event_id - 1 AND d.mission_id = e.mission_id WHERE cites),
+sa AS (SELECT c.event_id, c.place, g.* FROM c JOIN g ON g.mission_id = c.mission_id AND g.subject_id = c.subject_id AND g.t_sec >= c.start_sec AND g.t_sec < c.end_sec),
+sb AS (SELECT c.event_id, c.place, g.* FROM c JOIN g ON g.mission_id = c.mission_id AND g.subject_id = c.object_id AND g.t_sec >= c.start_sec AND g.t_sec < c.end_sec),
+p AS (SELECT a.event_id, a.place, a AS a, b AS b, row_number() OVER (PARTITION BY a.event_id, a.place ORDER BY abs(a.t_sec - b.t_sec), a.t_sec, b.t_sec) AS nth FROM sa a JOIN sb b USING (event_id, place)),
+m AS (SELECT event_id, place, count(*) AS n, sqrt(pow(arg_max(cx, t_sec) - arg_min(cx, t_sec), 2) + pow(arg_max(cy, t_sec) - arg_min(cy, t_sec), 2) + pow(arg_max(cz, t_sec) - arg_min(cz, t_sec), 2)) AS moved FROM sa GROUP BY ALL),
+h AS (SELECT c.*, a, b, CASE WHEN m.n >= 2 THEN moved END AS moved, predicate IN ('supports', 'distance_band') AS metric, a.cx - a.ex / 2 <= b.cx + b.ex / 2 AND b.cx - b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy + b.ey / 2 AND b.cy - b.ey / 2 <= a.cy + a.ey / 2 AS over_xy
+  FROM c LEFT JOIN p ON p.event_id = c.event_id AND p.place = c.place AND nth = 1 LEFT JOIN m ON m.event_id = c.event_id AND m.place = c.place),
+o AS (SELECT *, metric AND (a.metric_scale <> 'metric' OR a.calibration_id IS NULL OR b.metric_scale <> 'metric' OR b.calibration_id IS NULL OR a.covariance > 1 OR b.covariance > 1) OR a.residual > 0.5 OR b.residual > 0.5 AS gated,
+  CASE predicate WHEN 'left_of' THEN a.cx + 0.05e0 < b.cx WHEN 'right_of' THEN a.cx > b.cx + 0.05e0 WHEN 'above' THEN a.cz > b.cz + 0.05e0 WHEN 'below' THEN a.cz + 0.05e0 < b.cz
+    WHEN 'contains' THEN a.cx - a.ex / 2 <= b.cx - b.ex / 2 AND b.cx + b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy - b.ey / 2 AND b.cy + b.ey / 2 <= a.cy + a.ey / 2 AND a.cz - a.ez / 2 <= b.cz - b.ez / 2 AND b.cz + b.ez / 2 <= a.cz + a.ez / 2
+    WHEN 'supports' THEN over_xy AND abs(b.cz - b.ez / 2 - (a.cz + a.ez / 2)) <= 0.05 WHEN 'distance_band' THEN sqrt(pow(a.cx - b.cx, 2) + pow(a.cy - b.cy, 2) + pow(a.cz - b.cz, 2)) <= 8 WHEN 'visible' THEN true
+    WHEN 'relative_motion' THEN coalesce(moved > 0.05, false) ELSE false END AS holds FROM h),
+w AS (SELECT event_id, place, CASE WHEN metric AND mission_id % 4 = 0 THEN ['uncertain', predicate, 'metric_scale_missing'] WHEN a IS NULL THEN ['uncertain', predicate, 'missing_geometry'] WHEN gated THEN ['uncertain', predicate, 'uncertainty_gate']
+  WHEN NOT holds THEN ['rejected', concat(predicate, ',geometry'), 'geometry_contradiction'] END AS failed FROM o),
+x AS (SELECT event_id, arg_min(failed, place) FILTER (WHERE failed IS NOT NULL) AS failed FROM w GROUP BY 1),
+v AS (SELECT e.event_id, CASE WHEN NOT accepted THEN ['uncertain', 'old', 'older'] WHEN NOT proved THEN ['rejected', CASE WHEN counts THEN 'track_count' ELSE 'geometry' END, 'missing_evidence'] WHEN x.event_id IS NOT NULL THEN coalesce(failed, ['accepted', 'geometry', ''])
+  WHEN counts THEN CASE WHEN (SELECT count(DISTINCT track_id) FROM tracks t WHERE t.mission_id = e.mission_id AND list_contains(participants, t.track_id)) < len(list_distinct(participants)) THEN ['rejected', 'track_count', 'dangling_id'] ELSE ['accepted', 'track_count', ''] END
+  ELSE ['uncertain', 'geometry', 'unrecomputed'] END AS v FROM e LEFT JOIN x USING (event_id))"""
+
+
+@query("v10_recheck", ["proposals", "geometry", "tracks"], CITED + " SELECT event_id, v[1] AS status, v[2] AS rules, v[3] AS reasons FROM v")
 def v10(t):
-    return V.recheck(_checked(t), W.relations(t("geometry")))
-
-
-@query("v11_claim_count_events", ["proposals", "timeline"], """
-SELECT mission_id, concat('evt-claim-', proposal_id) AS event_id, start_sec, proposal_id % 5 AS n FROM proposals p WHERE claim_kind = 'count' AND status = 'accepted'
-AND NOT EXISTS (SELECT 1 FROM timeline e WHERE e.type = 'count_changed' AND e.mission_id = p.mission_id AND e.participant = p.subject_id AND p.start_sec < e.end_sec AND e.start_sec < p.end_sec)""")
+    i, words = F.col("proposal_id"), lambda *names: F.array(*map(F.lit, names))
+    start = (i % 7) * 0.5
+    names = words("left_of", "right_of", "above", "below", "contains", "supports", "distance_band", "visible", "relative_motion", "next_to")
+    s = lambda n: F.concat(F.lit("s"), n)
+    edges = t("proposals").select("mission_id", i.alias("delta_id"), F.get(names, (i % 10).cast("int")).alias("predicate"), s(i % 4 + 1).alias("subject_id"), s((i + 2) % 6 + 1).alias("object_id"), start.alias("start_sec"), (start + 0.75).alias("end_sec"), F.lit(0.0).alias("band_low"), F.lit(8.0).alias("band_high"))
+    old, none = i % 11 == 0, F.array().cast("array<bigint>")
+    events = t("proposals").select(
+        i.alias("event_id"), "mission_id", F.when(old, "uncertain").otherwise("accepted").alias("status"), F.when(old, words("old")).when(i % 5 == 0, words("track_count")).otherwise(words("geometry")).alias("rules"),
+        F.when(old, words("older")).otherwise(F.array().cast("array<string>")).alias("reasons"), F.array(s(i % 4 + 1), s(i % 9)).alias("participants"), F.when(i % 5 > 1, F.array(i, i - 1)).otherwise(none).alias("refs"),
+    )
+    evidence = t("proposals").select("mission_id", i.alias("event_id"), F.concat(F.lit("geometry/"), i).alias("geometry_ref"), F.lit(None).cast("string").alias("mask_ref"))
+    files = evidence.filter("event_id % 7 <> 0").select("mission_id", F.col("geometry_ref").alias("path"))
+    samples = t("geometry").withColumn("residual_m", F.col("cx") / 15).withColumn("covariance", F.col("cy") / 2)
+    out = V.recheck(V.evidenced(events, evidence, files), edges, samples, t("tracks"), samples.filter("mission_id % 4 <> 0").select("mission_id"))
+    return out.select("event_id", "status", F.array_join("rules", ",").alias("rules"), F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("v11_claim_count_events", ["proposals", "timeline", "tracks", "geometry"], """
+, c AS (SELECT proposal_id AS claim_id, mission_id, CAST((proposal_id // 13) % 3 AS INTEGER) AS said, CASE proposal_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'box' END AS label, CASE WHEN proposal_id % 11 <> 0 THEN (proposal_id % 7) * 0.5e0 END AS at_sec FROM proposals WHERE status = 'accepted'),
+k AS (SELECT claim_id, list_sort(list(track_id)) AS ids FROM (SELECT c.claim_id, t.track_id, arg_max(t.state, t.t_sec) AS state FROM c JOIN tracks t ON t.mission_id = c.mission_id AND t.label = c.label AND t.t_sec <= coalesce(at_sec, 0) + 1e-6 GROUP BY ALL) WHERE state IN ('tentative', 'confirmed', 'occluded') GROUP BY 1),
+s AS (SELECT mission_id, subject_id, min(t_sec) AS t_sec, arg_min(sample_id, t_sec) AS sample_id FROM geometry WHERE subject_id <> 's4' AND t_sec >= 0.5e0 GROUP BY ALL),
+r AS (SELECT concat('evt-count-', label, '-', lpad(CAST(CAST(round_even(coalesce(at_sec, s.t_sec) * 1000, 0) AS BIGINT) AS VARCHAR), 7, '0')) AS event_id, c.mission_id, said AS n, array_to_string(ids, ',') AS ids, s.sample_id AS evidence_id, coalesce(at_sec, s.t_sec) AS start_sec, ids AS those
+  FROM c JOIN k USING (claim_id) JOIN s ON s.mission_id = c.mission_id AND s.subject_id = ids[1] WHERE len(ids) = said AND said > 0)
+SELECT event_id, mission_id, n, ids, evidence_id, start_sec FROM r WHERE NOT EXISTS (SELECT 1 FROM timeline e WHERE e.type = 'count_changed' AND e.mission_id = r.mission_id AND [e.participant] = those) AND NOT (mission_id % 5 = 0 AND event_id = 'evt-count-car-0000500')""")
 def v11(t):
-    claims = t("proposals").filter("claim_kind = 'count' and status = 'accepted'").select(F.col("proposal_id").alias("claim_id"), "mission_id", F.col("subject_id").alias("label"), "start_sec", "end_sec", (F.col("proposal_id") % 5).alias("said"))
-    events = t("timeline").filter("type = 'count_changed'").select("mission_id", F.col("participant").alias("label"), "start_sec", "end_sec")
-    return V.claim_count_events(claims, events).select("mission_id", "event_id", "start_sec", "n")
-
-
-@query("v13_screen_claims", ["geometry"], RELATIONS + CHECKED + """
-, h AS (SELECT e.event_id, e.predicate, abs(rel.at_sec - e.start_sec) AS off, rel.at_sec, list(DISTINCT rel.predicate) AS held FROM e JOIN rel ON rel.mission_id = e.mission_id AND rel.l = e.subject_id AND rel.r = e.object_id AND abs(rel.at_sec - e.start_sec) <= 0.5 GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY off, at_sec) AS place FROM h)
-SELECT event_id AS claim_id, at_sec AS seen FROM o WHERE place = 1 AND list_contains(held, CASE predicate WHEN 'left_of' THEN 'right_of' ELSE 'below' END) AND NOT list_contains(held, predicate)""")
+    i = F.col("proposal_id")
+    number = F.get(F.array(*map(F.lit, ("zero", "One", "2"))), (F.floor(i / 13) % 3).cast("int"))
+    label = F.get(F.array(*map(F.lit, ("Persons", "cars", "box"))), (i % 3).cast("int"))
+    claims = t("proposals").filter("status = 'accepted'").select(i.alias("claim_id"), "mission_id", F.concat_ws(" ", number, label, F.lit("wait")).alias("text"), F.when(i % 11 != 0, (i % 7) * 0.5).alias("start_sec"))
+    events = t("timeline").select("mission_id", F.col("event_id").cast("string").alias("event_id"), "type", F.array("participant").alias("participants"))
+    events = events.unionByName(t("tracks").filter("mission_id % 5 = 0").select("mission_id", F.lit("evt-count-car-0000500").alias("event_id"), F.lit("approached").alias("type"), F.array("track_id").alias("participants")))
+    samples = t("geometry").filter("subject_id <> 's4' and t_sec >= 0.5").withColumn("subject_id", F.when(F.col("subject_id") == "s1", "node-1").otherwise(F.col("subject_id")))
+    nodes = samples.filter("subject_id = 'node-1'").select("mission_id", F.col("subject_id").alias("node_id"), F.lit("s1").alias("track_id")).distinct()
+    return V.claim_count_events(claims, t("tracks"), nodes, samples, events).select("event_id", "mission_id", "n", F.array_join("ids", ",").alias("ids"), "evidence_id", "start_sec")
+
+
+@query("v13_screen_claims", ["proposals", "geometry"], """
+, c AS (SELECT proposal_id AS claim_id, mission_id, ['left_of', 'right_of', 'above', 'below', 'occludes', 'distance_band', 'visible', 'next_to'][proposal_id % 8 + 1] AS predicate, concat('s', proposal_id % 4 + 1) AS l, concat('s', (proposal_id + 2) % 6 + 1) AS r, CASE WHEN proposal_id % 5 <> 0 THEN (proposal_id % 9) * 0.45e0 END AS at_sec FROM proposals),
+a AS (SELECT claim_id, predicate, g.* FROM c JOIN geometry g ON g.mission_id = c.mission_id AND g.subject_id = l QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN at_sec IS NULL THEN -t_sec ELSE abs(t_sec - at_sec) END, t_sec) = 1),
+b AS (SELECT claim_id, g.* FROM c JOIN geometry g ON g.mission_id = c.mission_id AND g.subject_id = r QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY CASE WHEN at_sec IS NULL THEN -t_sec ELSE abs(t_sec - at_sec) END, t_sec) = 1)
+SELECT claim_id FROM a JOIN b USING (claim_id) WHERE NOT CASE predicate WHEN 'left_of' THEN a.cx + 0.05e0 < b.cx WHEN 'right_of' THEN a.cx > b.cx + 0.05e0 WHEN 'above' THEN a.cz > b.cz + 0.05e0 WHEN 'below' THEN a.cz + 0.05e0 < b.cz WHEN 'distance_band' THEN false
+  WHEN 'occludes' THEN a.depth_m + 0.05e0 < b.depth_m AND a.cx - a.ex / 2 <= b.cx + b.ex / 2 AND b.cx - b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy + b.ey / 2 AND b.cy - b.ey / 2 <= a.cy + a.ey / 2 ELSE true END""")
 def v13(t):
-    return V.screen_claims(_checked(t).withColumnRenamed("event_id", "claim_id"), W.relations(t("geometry")), 0.5)
+    i = F.col("proposal_id")
+    names = F.array(*map(F.lit, ("left_of", "right_of", "above", "below", "occludes", "distance_band", "visible", "next_to")))
+    claims = t("proposals").select(i.alias("claim_id"), "mission_id", F.get(names, (i % 8).cast("int")).alias("predicate"), F.concat(F.lit("s"), i % 4 + 1).alias("subject_id"), F.concat(F.lit("s"), (i + 2) % 6 + 1).alias("object_id"), F.when(i % 5 != 0, (i % 9) * 0.45).alias("start_sec"))
+    return V.screen_claims(claims, t("geometry").select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m"))
 
 
 @query("p9_run_rows", ["timeline"], """

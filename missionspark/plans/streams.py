@@ -35,21 +35,25 @@ def v3(t):
 
 
 @query("v4_picked_up", ["edges", "geometry"], """
-, h AS (SELECT mission_id, edge_id, subject_id AS s, 0e0 AS start_sec, start_sec % 3 AS end_sec FROM edges WHERE predicate = 'above'),
-m AS (SELECT h.*, g.t_sec, g.cx, g.cy, g.cz, first_value(g.cx) OVER w AS x0, first_value(g.cy) OVER w AS y0, first_value(g.cz) OVER w AS z0 FROM h JOIN geometry g ON h.mission_id = g.mission_id AND h.s = g.subject_id AND g.t_sec >= h.start_sec WINDOW w AS (PARTITION BY h.mission_id, h.edge_id ORDER BY g.t_sec))
-SELECT mission_id, edge_id, s AS subject, min(t_sec) AS start_sec FROM m WHERE t_sec >= end_sec AND sqrt((cx - x0) * (cx - x0) + (cy - y0) * (cy - y0) + (cz - z0) * (cz - z0)) > 0.05 GROUP BY ALL""")
+, h AS (SELECT mission_id, edge_id, subject_id AS s, start_sec % 3 AS end_sec FROM edges WHERE predicate = 'above'),
+f AS (SELECT mission_id, subject_id AS s, arg_min(cx, t_sec) AS x0, arg_min(cy, t_sec) AS y0, arg_min(cz, t_sec) AS z0 FROM geometry GROUP BY ALL HAVING count(*) >= 2),
+l AS (SELECT h.mission_id, h.edge_id, h.s, min(t_sec) AS t_sec, arg_min(cx, t_sec) AS x1, arg_min(cy, t_sec) AS y1, arg_min(cz, t_sec) AS z1 FROM h JOIN geometry g ON h.mission_id = g.mission_id AND h.s = g.subject_id AND g.t_sec >= h.end_sec - 1e-9 GROUP BY ALL)
+SELECT mission_id, edge_id, s AS subject, t_sec AS start_sec FROM l JOIN f USING (mission_id, s) WHERE sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2) + pow(z1 - z0, 2)) > 0.05""")
 def v4(t):
-    held = t("edges").filter("predicate = 'above'").select("mission_id", "edge_id", F.lit("supports").alias("predicate"), F.col("subject_id").alias("object_id"), F.lit(0.0).alias("start_sec"), (F.col("start_sec") % 3).alias("end_sec"))
+    held = t("edges").filter("predicate = 'above'").select("mission_id", "edge_id", F.lit("supports").alias("predicate"), F.col("subject_id").alias("object_id"), (F.col("start_sec") % 3).alias("end_sec"))
     return V.picked_up(held, t("geometry"))
 
 
-@query("v5_count_events", ["tracks"], """
-, a AS (SELECT mission_id, label, round_even(t_sec, 6) AS at_sec, list_sort(list(DISTINCT track_id)) AS ids FROM tracks WHERE state IN ('confirmed', 'occluded') GROUP BY ALL),
+@query("v5_count_events", ["tracks", "geometry"], """
+, a AS (SELECT mission_id, label, round_even(t_sec, 6) AS at_sec, list_sort(list(DISTINCT track_id)) AS ids FROM tracks WHERE state IN ('tentative', 'confirmed', 'occluded') GROUP BY ALL),
 g AS (SELECT l.mission_id, l.label, x.at_sec FROM (SELECT DISTINCT mission_id, label FROM a) l JOIN (SELECT DISTINCT mission_id, at_sec FROM a) x USING (mission_id)),
-d AS (SELECT g.*, coalesce(ids, []) AS ids, lag(coalesce(ids, []), 1, []) OVER (PARTITION BY g.mission_id, g.label ORDER BY g.at_sec) AS before FROM g LEFT JOIN a USING (mission_id, label, at_sec))
-SELECT mission_id, concat('evt-count-', label, '-', lpad(CAST(CAST(round_even(at_sec * 1000, 0) AS BIGINT) AS VARCHAR), 7, '0')) AS event_id, CAST(len(ids) AS INTEGER) AS n FROM d WHERE ids <> before AND len(ids) > 0""")
+d AS (SELECT g.*, coalesce(ids, []) AS ids, lag(coalesce(ids, []), 1, []) OVER (PARTITION BY g.mission_id, g.label ORDER BY g.at_sec) AS before FROM g LEFT JOIN a USING (mission_id, label, at_sec)),
+s AS (SELECT * FROM geometry WHERE subject_id <> 's2' AND t_sec >= 1)
+SELECT mission_id, concat('evt-count-', label, '-', lpad(CAST(CAST(round_even(at_sec * 1000, 0) AS BIGINT) AS VARCHAR), 7, '0')) AS event_id, CAST(len(ids) AS INTEGER) AS n,
+  coalesce((SELECT any_value(sample_id) FROM s WHERE s.mission_id = d.mission_id AND s.subject_id = ids[1] AND abs(s.t_sec - at_sec) < 1e-6), (SELECT arg_min(sample_id, t_sec) FROM s WHERE s.mission_id = d.mission_id AND s.subject_id = ids[1])) AS evidence_id
+FROM d WHERE ids <> before AND len(ids) > 0 AND EXISTS (SELECT 1 FROM s WHERE s.mission_id = d.mission_id AND s.subject_id = ids[1])""")
 def v5(t):
-    return V.count_events(t("tracks")).select("mission_id", "event_id", "n")
+    return V.count_events(t("tracks"), t("geometry").filter("subject_id <> 's2' and t_sec >= 1")).select("mission_id", "event_id", "n", "evidence_id")
 
 
 @query("v6_context", ["geometry", "edges"], """
@@ -68,7 +72,7 @@ CLAIMS = """
     CASE proposal_id % 13 WHEN 10 THEN CAST((proposal_id // 13) % 3 AS INTEGER) END AS said, CASE proposal_id % 3 WHEN 0 THEN 'person' WHEN 1 THEN 'car' ELSE 'box' END AS said_label, proposal_id % 13 = 11 AS is_event,
     concat('s', CAST(proposal_id % 4 + 1 AS VARCHAR)) AS subject_id, concat('s', CAST((proposal_id + 2) % 6 + 1 + CASE WHEN proposal_id % 17 = 0 THEN 20 ELSE 0 END AS VARCHAR)) AS object_id,
     CASE WHEN proposal_id % 11 <> 0 THEN (proposal_id % 7) * 0.5e0 END AS s0, CASE WHEN proposal_id % 11 <> 0 THEN (proposal_id % 7) * 0.5e0 + 0.75e0 END AS e0, CASE WHEN proposal_id % 5 <> 0 THEN 8e0 END AS high FROM proposals),
-g AS (SELECT *, cx / 15 AS residual, cy / 2 AS covariance FROM geometry),
+g AS (SELECT *, cx / 15 AS residual, cy / 2 AS covariance, subject_id = 's3' AND mission_id % 6 = 1 AS other_frame FROM geometry),
 ids AS (SELECT mission_id, track_id AS id FROM tracks UNION SELECT mission_id, subject_id FROM geometry),
 sa AS (SELECT c.claim_id, g.* FROM c JOIN g ON g.mission_id = c.mission_id AND g.subject_id = c.subject_id AND (s0 IS NULL OR g.t_sec >= s0 AND g.t_sec < e0)),
 sb AS (SELECT c.claim_id, g.* FROM c JOIN g ON g.mission_id = c.mission_id AND g.subject_id = c.object_id AND (s0 IS NULL OR g.t_sec >= s0 AND g.t_sec < e0)),
@@ -90,13 +94,13 @@ h AS (SELECT *, a.cx - a.ex / 2 <= b.cx + b.ex / 2 AND b.cx - b.ex / 2 <= a.cx +
     a.residual > 0.5 OR metric AND a.covariance > 1 AS ga, b.residual > 0.5 OR metric AND b.covariance > 1 AS gb FROM f),
 o AS (SELECT *, CASE predicate WHEN 'left_of' THEN a.cx + 0.05e0 < b.cx WHEN 'right_of' THEN a.cx > b.cx + 0.05e0 WHEN 'above' THEN a.cz > b.cz + 0.05e0 WHEN 'below' THEN a.cz + 0.05e0 < b.cz
     WHEN 'contains' THEN a.cx - a.ex / 2 <= b.cx - b.ex / 2 AND b.cx + b.ex / 2 <= a.cx + a.ex / 2 AND a.cy - a.ey / 2 <= b.cy - b.ey / 2 AND b.cy + b.ey / 2 <= a.cy + a.ey / 2 AND a.cz - a.ez / 2 <= b.cz - b.ez / 2 AND b.cz + b.ez / 2 <= a.cz + a.ez / 2
-    WHEN 'supports' THEN over_xy AND abs(b.cz - b.ez / 2 - (a.cz + a.ez / 2)) <= 0.05 WHEN 'distance_band' THEN dist <= high WHEN 'visible' THEN true WHEN 'relative_motion' THEN coalesce(moved > 0.05, false) END AS holds FROM h),
+    WHEN 'supports' THEN over_xy AND abs(b.cz - b.ez / 2 - (a.cz + a.ez / 2)) <= 0.05 WHEN 'distance_band' THEN dist BETWEEN 0.5 AND high WHEN 'visible' THEN true WHEN 'relative_motion' THEN coalesce(moved > 0.05, false) END AS holds FROM h),
 v AS (SELECT claim_id, was, CASE WHEN predicate = 'same_as' THEN CASE WHEN linked THEN ['accepted', NULL] ELSE ['uncertain', 'vlm_not_sole_evidence'] END
     WHEN said IS NOT NULL THEN CASE WHEN said = actual AND said > 0 THEN ['accepted', NULL] ELSE ['rejected', 'count_mismatch'] END
-    WHEN predicate IS NOT NULL THEN CASE WHEN NOT known THEN ['rejected', 'dangling_id'] WHEN s0 IS NOT NULL AND (NOT has_a OR NOT has_b) AND stored THEN ['rejected', 'lifetime_disjoint'] WHEN a IS NULL THEN ['uncertain', 'missing_geometry']
+    WHEN predicate IS NOT NULL THEN CASE WHEN NOT known THEN ['rejected', 'dangling_id'] WHEN s0 IS NOT NULL AND (NOT has_a OR NOT has_b) AND stored THEN ['rejected', 'lifetime_disjoint'] WHEN a IS NULL THEN ['uncertain', 'missing_geometry'] WHEN a.other_frame <> b.other_frame THEN ['rejected', 'mixed_coordinate_frame']
       WHEN metric AND mission_id % 4 = 0 THEN ['uncertain', 'metric_scale_missing'] WHEN la THEN ['uncertain', 'metric_scale_missing'] WHEN ga THEN ['uncertain', 'uncertainty_gate'] WHEN lb THEN ['uncertain', 'metric_scale_missing'] WHEN gb OR fast THEN ['uncertain', 'uncertainty_gate']
       WHEN predicate = 'distance_band' AND high IS NULL THEN ['uncertain', 'missing_distance_band'] WHEN predicate = 'visible' AND NOT coalesce(seen IN ('tentative', 'confirmed', 'occluded'), false) THEN ['uncertain', 'missing_evidence']
-      WHEN holds THEN ['accepted', NULL] WHEN against THEN ['rejected', 'mutually_exclusive'] ELSE ['rejected', 'geometry_contradiction'] END
+      WHEN holds THEN ['accepted', NULL] ELSE ['rejected', concat('geometry_contradiction', CASE WHEN was = 'accepted' THEN ',geometry_overrides_confidence' END, CASE WHEN against THEN ',mutually_exclusive' END)] END
     WHEN is_event THEN ['uncertain', 'vlm_not_sole_evidence'] WHEN NOT known THEN ['rejected', 'dangling_id'] ELSE ['uncertain', NULL] END AS v, predicate IS NULL AND said IS NULL AND NOT is_event AND known AS needs_review FROM o)"""
 
 
@@ -105,21 +109,21 @@ def _claims(t):
     k = (i % 13).cast("int")
     names = F.array(*map(F.lit, ("left_of", "right_of", "above", "below", "contains", "supports", "distance_band", "visible", "relative_motion", "same_as")))
     words, labels = F.array(*map(F.lit, ("Zero", "one", "2"))), F.array(*map(F.lit, ("persons", "Cars", "box")))
-    text = F.when(k == 10, F.concat_ws("-", F.get(words, (F.floor(i / 13) % 3).cast("int")), F.get(labels, (i % 3).cast("int")), F.lit("waiting"))).otherwise("the two met")
+    text = F.when((k == 6) & (i % 5 != 0), "from 0.5 m to 8 meters apart").when(k == 10, F.concat_ws("-", F.get(words, (F.floor(i / 13) % 3).cast("int")), F.get(labels, (i % 3).cast("int")), F.lit("waiting"))).otherwise("the two met")
     start = F.when(i % 11 != 0, (i % 7) * 0.5)
     claims = t("proposals").select(
         i.alias("claim_id"), "mission_id", F.when(k == 11, "event").otherwise("action").alias("claim_kind"), text.alias("text"), F.get(names, k).alias("predicate"), F.concat(F.lit("s"), i % 4 + 1).alias("subject_id"),
-        F.concat(F.lit("s"), (i + 2) % 6 + 1 + F.when(i % 17 == 0, 20).otherwise(0)).alias("object_id"), start.alias("start_sec"), (start + 0.75).alias("end_sec"), F.when(i % 5 != 0, 0.0).alias("band_low"), F.when(i % 5 != 0, 8.0).alias("band_high"),
+        F.concat(F.lit("s"), (i + 2) % 6 + 1 + F.when(i % 17 == 0, 20).otherwise(0)).alias("object_id"), start.alias("start_sec"), (start + 0.75).alias("end_sec"), "status",
     )
-    samples = t("geometry").withColumn("residual_m", F.col("cx") / 15).withColumn("covariance", F.col("cy") / 2)
+    samples = t("geometry").withColumn("residual_m", F.col("cx") / 15).withColumn("covariance", F.col("cy") / 2).withColumn("frame", F.when((F.col("subject_id") == "s3") & (F.col("mission_id") % 6 == 1), "camera").otherwise("world"))
     nodes = samples.select("mission_id", F.col("subject_id").alias("node_id")).distinct()
     edges = t("edges").withColumn("start_sec", F.col("start_sec") % 3).withColumn("end_sec", F.col("start_sec") + 1)
     return V.verify_claims(claims, t("tracks"), nodes, t("tracks").filter("confidence > 0.9"), samples, edges, samples.filter("mission_id % 4 <> 0").select("mission_id"))
 
 
-@query("v7_verify_claims", ["proposals", "edges", "geometry", "tracks"], CLAIMS + " SELECT claim_id, v[1] AS status, v[2] AS reason, needs_review FROM v")
+@query("v7_verify_claims", ["proposals", "edges", "geometry", "tracks"], CLAIMS + " SELECT claim_id, v[1] AS status, coalesce(v[2], '') AS reasons, needs_review FROM v")
 def v7(t):
-    return _claims(t).select("claim_id", "status", "reason", "needs_review")
+    return _claims(t).select("claim_id", "status", F.array_join("reasons", ",").alias("reasons"), "needs_review")
 
 
 @query("v8_uncertainty_gates", ["geometry"], """
@@ -136,10 +140,12 @@ def v9(t):
     return V.apply_reviews(claims, decisions, claims.filter("claim_id % 2 = 0"))
 
 
-@query("v12_audit", ["proposals", "edges", "geometry", "tracks"], CLAIMS + " SELECT claim_id, was, v[1] AS status FROM v WHERE v[1] <> was")
+@query("v12_audit", ["proposals", "edges", "geometry", "tracks"], CLAIMS + """
+SELECT concat('audit-', claim_id) AS claim_id, claim_id AS supersedes, v[1] AS status, coalesce(v[2], '') AS reasons FROM v WHERE v[1] <> was OR coalesce(v[2], '') <> CASE WHEN claim_id % 2 = 0 THEN 'vlm_not_sole_evidence' ELSE '' END""")
 def v12(t):
-    before = t("proposals").select(F.col("proposal_id").alias("claim_id"), "status")
-    return V.audit(before, _claims(t).select("claim_id", "status"))
+    none = F.array().cast("array<string>")
+    before = t("proposals").select(F.col("proposal_id").alias("claim_id"), "status", F.when(F.col("proposal_id") % 2 == 0, F.array(F.lit("vlm_not_sole_evidence"))).otherwise(none).alias("reasons"))
+    return V.audit(before, _claims(t).select("claim_id", "status", "reasons")).withColumn("reasons", F.array_join("reasons", ","))
 
 
 @query("v14_answers", ["timeline", "edges", "tracks"], """

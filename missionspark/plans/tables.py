@@ -296,9 +296,9 @@ def a20(t):
 
 
 @query("a21_count_disagreement", ["tracks"], """
-, a AS (SELECT mission_id, t_sec, label, count(DISTINCT track_id) AS active FROM tracks WHERE state IN ('confirmed', 'occluded') GROUP BY ALL),
+, a AS (SELECT mission_id, t_sec, label, count(*) AS active FROM tracks WHERE state IN ('tentative', 'confirmed', 'occluded') GROUP BY ALL),
 c AS (SELECT mission_id, t_sec, label, count(*) AS counted FROM tracks GROUP BY ALL)
-SELECT mission_id, t_sec, label, counted, coalesce(active, 0) AS active, abs(counted - coalesce(active, 0)) AS off FROM c LEFT JOIN a USING (mission_id, t_sec, label)""")
+SELECT mission_id, t_sec, label, counted, coalesce(active, 0) AS active, abs(counted - coalesce(active, 0)) AS off FROM c LEFT JOIN a USING (mission_id, t_sec, label) WHERE counted <> coalesce(active, 0)""")
 def a21(t):
     counts = t("tracks").groupBy("mission_id", "t_sec", "label").agg(F.count("*").alias("counted"))
     return A.count_disagreement(t("tracks"), counts).select("mission_id", "t_sec", "label", "counted", "active", "off")

@@ -262,33 +262,34 @@ def test_facts_that_differ(spark):
     assert rows(J.facts_diff(changes, facts), "id", "key") == [(1, 2, "road", "dry", "wet"), (1, 2, "snow", "no", None), (3, 4, "road", None, "wet")]
 
 
-def claim(i, predicate=None, text="they met", subject="a", obj="b", start=0.0, end=2.0, kind="action", band=(None, None)):
-    return (i, 1, kind, text, predicate, subject, obj, start, end, *band)
+def claim(i, predicate=None, text="they met", subject="a", obj="b", start=0.0, end=2.0, kind="action", status="uncertain"):
+    return (i, 1, kind, text, predicate, subject, obj, start, end, status)
 
 
-CLAIM = "claim_id long, mission_id long, claim_kind string, text string, predicate string, subject_id string, object_id string, start_sec double, end_sec double, band_low double, band_high double"
+CLAIM = "claim_id long, mission_id long, claim_kind string, text string, predicate string, subject_id string, object_id string, start_sec double, end_sec double, status string"
 
 
 def test_claims_by_the_first_rule_that_speaks(spark):
-    base = [sample("a", 0, 0), sample("a", 1, 1), sample("b", 0, 5), sample("b", 1, 5, z=1.0), sample("c", 9, 0), sample("far", 0, 0), sample("far", 1, 900), sample("r", 0, 3, scale="relative")]
-    samples = spark.createDataFrame(base, GEO).withColumn("residual_m", F.when((F.col("subject_id") == "b") & (F.col("t_sec") == 1), 0.9)).withColumn("covariance", F.lit(0.1))
+    base = [sample("a", 0, 0), sample("a", 1, 1), sample("b", 0, 5), sample("b", 1, 5, z=1.0), sample("c", 9, 0), sample("far", 0, 0), sample("far", 1, 900), sample("r", 0, 3, scale="relative"), sample("camera", 0, 9)]
+    samples = spark.createDataFrame(base, GEO).withColumn("residual_m", F.when((F.col("subject_id") == "b") & (F.col("t_sec") == 1), 0.9)).withColumn("covariance", F.lit(0.1)).withColumn("frame", F.when(F.col("subject_id") == "camera", "camera").otherwise("world"))
     tracks = spark.createDataFrame([(1, "a", "Cars", 0.0, "confirmed"), (1, "b", "car", 0.0, "lost"), (1, "d", "car", 1.0, "tentative"), (1, "d", "car", 5.0, "ended")], "mission_id long, track_id string, label string, t_sec double, state string")
     nodes = spark.createDataFrame([(1, "a"), (1, "b")], "mission_id long, node_id string")
     links = spark.createDataFrame([(1, "a")], "mission_id long, track_id string")
     edges = spark.createDataFrame([(1, 1, "a", "b", "left_of", "accepted", 0.0, 5.0)], "edge_id long, mission_id long, subject_id string, object_id string, predicate string, status string, start_sec double, end_sec double")
     cases = {
-        ("accepted", None): [claim(1, "same_as"), claim(2, text="2 cars wait", start=1.0), claim(3, text="one car", start=0.0), claim(4, "left_of", end=1.0), claim(5, "distance_band", end=1.0, band=(2.0, 8.0)), claim(6, "visible", end=1.0)],
+        ("accepted", None): [claim(1, "same_as"), claim(2, text="2 cars wait", start=1.0), claim(3, text="one car", start=0.0), claim(4, "left_of", end=1.0), claim(5, "distance_band", "2 m to 8.5 meters apart", end=1.0), claim(6, "visible", end=1.0)],
         ("uncertain", "vlm_not_sole_evidence"): [claim(10, "same_as", subject="b"), claim(11, kind="event"), claim(12, text="The same object again", subject="b")],
         ("rejected", "count_mismatch"): [claim(20, text="three cars", start=1.0), claim(21, text="zero cars", start=9.0)],
         ("rejected", "dangling_id"): [claim(30, "left_of", obj="nobody"), claim(31, obj="nobody")],
         ("rejected", "lifetime_disjoint"): [claim(40, "left_of", obj="c")], ("uncertain", "missing_geometry"): [claim(41, "left_of", subject="d", obj="d")],
         ("uncertain", "metric_scale_missing"): [claim(50, "supports", obj="r")], ("uncertain", "uncertainty_gate"): [claim(51, "left_of", start=0.5, end=2.0), claim(52, "left_of", obj="far", end=1.0)],
-        ("uncertain", "missing_distance_band"): [claim(60, "distance_band", end=1.0)], ("uncertain", "missing_evidence"): [claim(61, "visible", subject="b", obj="a", end=1.0)],
-        ("rejected", "mutually_exclusive"): [claim(70, "right_of", end=1.0)], ("rejected", "geometry_contradiction"): [claim(71, "above", end=1.0)],
+        ("uncertain", "missing_distance_band"): [claim(60, "distance_band", end=1.0), claim(62, "distance_band", "8-2 m", end=1.0)], ("uncertain", "missing_evidence"): [claim(61, "visible", subject="b", obj="a", end=1.0)],
+        ("rejected", "geometry_contradiction,mutually_exclusive"): [claim(70, "right_of", end=1.0)], ("rejected", "geometry_contradiction"): [claim(71, "above", end=1.0)], ("rejected", "geometry_contradiction,geometry_overrides_confidence,mutually_exclusive"): [claim(72, "right_of", end=1.0, status="accepted")],
+        ("rejected", "mixed_coordinate_frame"): [claim(73, "left_of", obj="camera", end=1.0)],
         ("uncertain", None): [claim(80), claim(81, subject=None, obj=None)],
     }
     df = spark.createDataFrame([c for cs in cases.values() for c in cs], CLAIM)
-    got = {r.claim_id: (r.status, r.reason, r.needs_review) for r in V.verify_claims(df, tracks, nodes, links, samples, edges, spark.createDataFrame([(1,)], "mission_id long")).collect()}
+    got = {r.claim_id: (r.status, ",".join(r.reasons) or None, r.needs_review) for r in V.verify_claims(df, tracks, nodes, links, samples, edges, spark.createDataFrame([(1,)], "mission_id long")).collect()}
     assert got == {c[0]: (*verdict, verdict == ("uncertain", None)) for verdict, cs in cases.items() for c in cs}
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import pytest
+from pyspark.sql import functions as F
 
 from missionspark.operators import cloud as C
 from missionspark.operators import graph as V
@@ -29,12 +30,102 @@ def test_pixels_go_out_and_back(spark):
     assert sorted(r.z for r in out if r.track_id == "c")[6] == 1.0
 
 
-def test_recheck_and_screen(spark):
-    rel = spark.createDataFrame([(1, "a", "b", "left_of", 0.0), (1, "a", "b", "right_of", 1.0)], "mission_id long, l_subject_id string, r_subject_id string, predicate string, at double")
-    schema = "event_id string, mission_id long, subject_id string, object_id string, predicate string, start_sec double"
-    events = spark.createDataFrame([("ok", 1, "a", "b", "left_of", 0.5), ("no", 1, "a", "b", "left_of", 1.5), ("unseen", 1, "a", "z", "left_of", 1.5), ("early", 1, "a", "b", "left_of", -1.0)], schema)
-    assert {r.event_id: r.status for r in V.recheck(events, rel).collect()} == {"ok": "accepted", "no": "rejected", "unseen": "uncertain", "early": "uncertain"}
-    assert [r.claim_id for r in V.screen_claims(events.withColumnRenamed("event_id", "claim_id"), rel, 0.5).collect()] == ["no"]
+SAMPLE = "mission_id long, subject_id string, sample_id string, t_sec double, cx double, cy double, cz double, ex double, ey double, ez double, depth_m double, metric_scale string, calibration_id string, residual_m double, covariance double"
+
+
+def sample(subject, t, x, z=0.0, scale="metric", residual=None, covariance=0.1, mission=1):
+    return (mission, subject, f"{subject}@{t}", float(t), float(x), 0.0, z, 1.0, 1.0, 1.0, 1.0, scale, "cal", residual, covariance)
+
+
+def test_recheck_by_the_first_cited_edge_that_fails(spark):
+    samples = spark.createDataFrame(
+        [sample("a", 0, 0), sample("b", 0, 5), sample("a", 1, 0), sample("b", 1, -5), sample("late", 9, 0), sample("noisy", 0, 9, residual=0.9), sample("spread", 0, 9, covariance=2.0), sample("rel", 0, 9, scale="relative")], SAMPLE
+    )
+    edge = lambda i, s, p, o, start=0.0, end=0.5, low=None, high=None, m=1: (m, i, s, p, o, start, end, low, high)
+    edges = spark.createDataFrame(
+        [edge("ok", "a", "left_of", "b"), edge("no", "a", "left_of", "b", 1.0, 2.0), edge("unseen", "a", "left_of", "late"), edge("noise", "a", "left_of", "noisy"), edge("spread", "a", "left_of", "spread"), edge("spread-band", "a", "distance_band", "spread", low=0.0, high=20.0),
+         edge("band", "a", "distance_band", "b", low=2.0, high=8.0), edge("far", "a", "distance_band", "b", low=0.0, high=2.0), edge("relative", "a", "distance_band", "rel", low=0.0, high=20.0), edge("seen", "a", "visible", "b"), edge("odd", "a", "next_to", "b"), edge("moved", "b", "relative_motion", "a", 0.0, 2.0), edge("plain", "a", "contacts", "b", m=2)],
+        "mission_id long, delta_id string, subject_id string, predicate string, object_id string, start_sec double, end_sec double, band_low double, band_high double",
+    )
+    tracks = spark.createDataFrame([(1, "a"), (1, "b")], "mission_id long, track_id string")
+    cases = {
+        ("accepted", "r", ""): [["ok"], ["ok", "band"], ["seen"], ["spread"], ["moved"], ["nobody", "ok"]], ("rejected", "left_of,geometry", "geometry_contradiction"): [["no"], ["ok", "no", "unseen"]],
+        ("uncertain", "left_of", "missing_geometry"): [["unseen", "no"]], ("uncertain", "left_of", "uncertainty_gate"): [["noise"]], ("uncertain", "distance_band", "uncertainty_gate"): [["spread-band"], ["relative"]],
+        ("rejected", "distance_band,geometry", "geometry_contradiction"): [["far"]], ("rejected", "next_to,geometry", "geometry_contradiction"): [["odd"]], ("uncertain", "r", "unrecomputed"): [[], ["nobody"]],
+    }
+    events = [(f"e{n}-{k}", 1, "accepted", ["r"], [], ["a"], refs, want) for n, (want, all_refs) in enumerate(cases.items()) for k, refs in enumerate(all_refs)]
+    events += [
+        ("old", 1, "uncertain", ["x"], ["y"], ["a"], ["no"], ("uncertain", "x", "y")), ("count", 1, "accepted", ["track_count"], [], ["a", "b"], [], ("accepted", "track_count", "")), ("strange", 1, "accepted", ["track_count"], [], ["a", "z"], [], ("rejected", "track_count", "dangling_id")),
+        ("unmetric", 2, "accepted", ["r"], [], ["a"], ["plain"], ("uncertain", "contacts", "metric_scale_missing")), ("bare", 1, "accepted", ["r"], [], ["a"], ["ok"], ("rejected", "r", "missing_evidence")), ("half", 1, "accepted", ["r"], [], ["a"], ["ok"], ("rejected", "r", "missing_evidence")),
+    ]
+    df = spark.createDataFrame([e[:7] for e in events], "event_id string, mission_id long, status string, rules array<string>, reasons array<string>, participants array<string>, refs array<string>")
+    proofs = [(e[1], e[0], f"g/{e[0]}", None) for e in events if e[0] != "bare"] + [(1, "half", None, "m/gone"), (1, "count", None, "m/there")]
+    evidence = spark.createDataFrame(proofs, "mission_id long, event_id string, geometry_ref string, mask_ref string")
+    files = spark.createDataFrame([(p[0], p[2]) for p in proofs if p[2]] + [(1, "m/there"), (2, "m/gone")], "mission_id long, path string")
+    out = V.recheck(V.evidenced(df, evidence, files), edges, samples, tracks, spark.createDataFrame([(1,)], "mission_id long"))
+    assert {r.event_id: (r.status, ",".join(r.rules), ",".join(r.reasons)) for r in out.collect()} == {e[0]: e[7] for e in events}
+
+
+def test_claims_against_the_nearest_samples(spark):
+    samples = spark.createDataFrame([sample("a", 0, 0), sample("a", 4, 9), sample("b", 1, 5), sample("b", 3, 2)], SAMPLE)
+    told = {1: ("left_of", 9.0), 2: ("right_of", 0.0), 3: ("left_of", None), 4: ("distance_band", 0.0), 5: ("relative_motion", 0.0)}
+    fine = {6: ("left_of", 0.0), 7: ("right_of", None), 8: ("visible", 1.0), 9: ("next_to", 1.0), 10: ("left_of", 2.0)}  # at 2.0 the earlier of equals
+    rows = [(k, 1, p, "a", "b", t) for k, (p, t) in (told | fine).items()] + [(11, 1, "right_of", "a", "nobody", 0.0), (12, 1, "right_of", None, "b", 0.0)]
+    claims = spark.createDataFrame(rows, "claim_id long, mission_id long, predicate string, subject_id string, object_id string, start_sec double")
+    assert sorted(r.claim_id for r in V.screen_claims(claims, samples).collect()) == sorted(told)
+
+
+TRACKS = "mission_id long, track_id string, label string, t_sec double, state string"
+
+
+def test_count_events_from_claims(spark):
+    tracks = spark.createDataFrame([(1, "b", "Cars", 0.0, "tentative"), (1, "a", "car", 0.0, "occluded"), (1, "c", "car", 0.0, "lost"), (1, "p", "person", 0.0, "confirmed"), (1, "q", "dog", 0.0, "confirmed")], TRACKS)
+    samples = spark.createDataFrame([sample("node", 2, 0), sample("node", 1, 0), sample("p", 0, 0)], SAMPLE)
+    nodes = spark.createDataFrame([(1, "node", "a")], "mission_id long, node_id string, track_id string")
+    events = spark.createDataFrame([(1, "evt-count-car-0003000", "approached", ["x"]), (1, "e2", "count_changed", ["p"]), (2, "e3", "count_changed", ["a", "b"])], "mission_id long, event_id string, type string, participants array<string>")
+    texts = {1: ("two cars", 1.5), 2: ("two cars", 3.0), 3: ("three cars", 1.5), 4: ("one person", 1.5), 5: ("one dog", 1.5), 6: ("2 cars wait", None), 7: ("cars", 1.0)}
+    claims = spark.createDataFrame([(k, 1, text, t) for k, (text, t) in texts.items()], "claim_id long, mission_id long, text string, start_sec double")
+    out = {r.event_id: (r.ids, r.n, r.start_sec, r.evidence_id) for r in V.claim_count_events(claims, tracks, nodes, samples, events).collect()}
+    assert out == {"evt-count-car-0001500": (["a", "b"], 2, 1.5, "node@1"), "evt-count-car-0001000": (["a", "b"], 2, 1.0, "node@1")}
+
+
+def test_audit_rows_name_what_they_replace(spark):
+    schema = "claim_id long, status string, reasons array<string>"
+    before = spark.createDataFrame([(1, "uncertain", []), (2, "accepted", ["x"]), (3, "accepted", None), (4, "accepted", ["x"])], schema)
+    after = spark.createDataFrame([(1, "accepted", []), (2, "accepted", ["y"]), (3, "accepted", []), (4, "accepted", ["x"])], schema)
+    assert sorted((r.claim_id, r.supersedes, r.status, r.reasons) for r in V.audit(before, after).collect()) == [("audit-1", 1, "accepted", []), ("audit-2", 2, "accepted", ["y"])]
+
+
+def test_active_states(spark):
+    from missionspark.operators import aggregates as A
+    from missionspark.operators import intervals as W
+    from missionspark.operators import metrics as M
+
+    tracks = spark.createDataFrame([(1, "a", "car", 0.0, "tentative"), (1, "b", "car", 0.0, "occluded"), (1, "c", "car", 0.0, "lost"), (1, "d", "car", 0.0, "ended")], TRACKS)
+    assert [r.ids for r in W.count_changes(tracks).collect()] == [["a", "b"]]
+    counts = spark.createDataFrame([(1, 0.0, "car", 2), (1, 1.0, "car", 1)], "mission_id long, t_sec double, label string, counted long")
+    assert [(r.t_sec, r.counted, r.active) for r in A.count_disagreement(tracks, counts).collect()] == [(1.0, 1, 0)]
+    one = tracks.filter("track_id in ('a', 'b')")
+    truth = counts.filter("t_sec = 0").select("mission_id", "t_sec", "label", (F.col("counted") - 1).alias("count"))
+    assert M.count_mae(one, truth).first().mae == 0.0  # an occluded box isn't found
+    events = V.count_events(tracks, spark.createDataFrame([sample("a", 5, 0), sample("a", 3, 0)], SAMPLE)).collect()
+    assert [(e.event_id, e.evidence_id, e.n) for e in events] == [("evt-count-car-0000000", "a@3", 2)]
+    assert not V.count_events(tracks, spark.createDataFrame([sample("b", 0, 0)], SAMPLE)).collect()
+
+
+def test_picked_up_compares_first_of_all_with_first_after(spark):
+    edges = spark.createDataFrame([(1, k, "supports", f"cup{k}", 1.0) for k in range(3)], "mission_id long, edge_id long, predicate string, object_id string, end_sec double")
+    samples = spark.createDataFrame([sample("cup0", 0, 0), sample("cup0", 1, 0.01), sample("cup0", 2, 1.0), sample("cup1", 0, 0), sample("cup1", 1.5, 1.0), sample("cup2", 2, 1.0)], SAMPLE)
+    assert [(r.edge_id, r.start_sec) for r in V.picked_up(edges, samples).collect()] == [(1, 1.5)]
+
+
+def test_places_from_the_centre_of_a_box(spark):
+    from missionspark.operators import joins as J
+
+    poses = spark.createDataFrame([(1, 0.0, 100.0, 200.0)], "mission_id long, t_sec double, east double, north double")
+    boxes = {"half": (0.4, 0.4, 0.2, 0.2, 100.0, 200.0), "corner": (0.9, 0.8, 0.4, 0.6, 105.0, 195.0), "top": (0.0, -0.5, 0.2, 0.2, 96.0, 205.0)}
+    rows = spark.createDataFrame([(k, 1, 1.0, *v[:4], 10.0) for k, v in boxes.items()], "observation_id string, mission_id long, t_sec double, x double, y double, w double, h double, range_m double")
+    assert {r.observation_id: pytest.approx((r.east_m, r.north_m)) for r in J.georeference(rows, poses).collect()} == {k: v[4:] for k, v in boxes.items()}
 
 
 def test_degradations(spark):
