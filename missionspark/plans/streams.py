@@ -338,11 +338,28 @@ def t8_deep(t):
 
 
 @query("t9_keep_frames", ["signals"], """
-, k AS (SELECT mission_id, arg_min(frame_id, (t_sec, frame_id)) AS frame_id, min(t_sec) AS t_sec, arg_min(drift, (t_sec, frame_id)) AS drift FROM signals GROUP BY mission_id
-  UNION ALL SELECT s.mission_id, arg_min(s.frame_id, (s.t_sec, s.frame_id)), min(s.t_sec), arg_min(s.drift, (s.t_sec, s.frame_id)) FROM k JOIN signals s ON s.mission_id = k.mission_id AND (s.t_sec, s.frame_id) > (k.t_sec, k.frame_id) AND (s.t_sec - k.t_sec >= 20000 OR abs(s.drift - k.drift) >= 15) GROUP BY s.mission_id)
-SELECT mission_id, frame_id, t_sec FROM k""")
+, l AS (SELECT mission_id, frame_id, t_sec, good, floor(drift / 25) * 25 AS base, row_number() OVER (PARTITION BY mission_id ORDER BY t_sec, frame_id) AS nth FROM signals),
+th AS (SELECT *, list_transform(range(1, 10), lambda k: floor(base * k) % 256) AS thumb, cos(base / 40) AS v1, sin(base / 40) AS v2 FROM l),
+f AS (SELECT *, list_transform(range(16), lambda b: len(list_filter(thumb, lambda x: floor(x * 16 / 256) = b)) / 9) AS shares, list_avg(thumb) AS mu, list_avg(list_transform(thumb, lambda x: x * x)) - list_avg(thumb) * list_avg(thumb) AS var FROM th),
+r AS (
+  SELECT mission_id, frame_id, t_sec, nth + 2 AS next_nth, CAST(5 AS BIGINT) AS step, 1e0 AS rate, thumb AS prev, CASE WHEN good THEN thumb END AS k_thumb, CASE WHEN good THEN shares END AS k_shares, CASE WHEN good THEN mu END AS k_mu, CASE WHEN good THEN var END AS k_var,
+    CASE WHEN good THEN v1 END AS k1, CASE WHEN good THEN v2 END AS k2, CASE WHEN good THEN t_sec ELSE -1e0 END AS k_t, good AS kept, 0e0 AS histogram, 0e0 AS structure, 1e0 AS drift FROM f WHERE nth = 1
+  UNION ALL
+  SELECT mission_id, frame_id, t_sec, nth + step, CAST(greatest(1, round_even(5 / new_rate, 0)) AS BIGINT), new_rate, thumb, CASE WHEN now THEN thumb ELSE k_thumb END, CASE WHEN now THEN shares ELSE k_shares END, CASE WHEN now THEN mu ELSE k_mu END, CASE WHEN now THEN var ELSE k_var END,
+    CASE WHEN now THEN v1 ELSE k1 END, CASE WHEN now THEN v2 ELSE k2 END, CASE WHEN now THEN t_sec ELSE k_t END, now, histogram, structure, drift
+  FROM (SELECT *, good AND (histogram > 0.4 OR structure > 0.4 OR drift > 0.3 OR t_sec - k_t > 100000) AS now FROM (
+    SELECT f.*, r.step, r.k_thumb, r.k_shares, r.k_mu, r.k_var, r.k1, r.k2, r.k_t,
+      CASE WHEN list_avg(list_transform(range(1, 10), lambda i: abs(f.thumb[i] - r.prev[i]))) < 2 THEN greatest(0.5, r.rate * 0.5) WHEN list_avg(list_transform(range(1, 10), lambda i: abs(f.thumb[i] - r.prev[i]))) > 60 THEN least(5, r.rate * 1.5) ELSE r.rate END AS new_rate,
+      CASE WHEN k_thumb IS NULL THEN 0 ELSE list_sum(list_transform(range(1, 17), lambda b: abs(f.shares[b] - r.k_shares[b]))) / 2 END AS histogram, CASE WHEN k_thumb IS NULL THEN 1 ELSE 1 - (f.v1 * k1 + f.v2 * k2) END AS drift,
+      CASE WHEN k_thumb IS NULL THEN 0 ELSE 1 - (2 * mu * k_mu + 6.5025) * (2 * (list_avg(list_transform(range(1, 10), lambda i: f.thumb[i] * r.k_thumb[i])) - mu * k_mu) + 58.5225) / ((mu * mu + k_mu * k_mu + 6.5025) * (var + k_var + 58.5225)) END AS structure
+    FROM r JOIN f ON f.mission_id = r.mission_id AND f.nth = r.next_nth)))
+SELECT mission_id, frame_id, t_sec, round(histogram, 6) AS histogram, round(structure, 6) AS structure, round(drift, 6) AS drift, round(rate, 6) AS rate FROM r WHERE kept""")
 def t9(t):
-    return S.keep_frames(t("signals"), most_gap=20000.0, least_change=15.0)
+    base = F.floor(F.col("drift") / 25) * 25
+    thumb = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda k: (F.floor(F.col("base") * k) % 256).cast("double"))
+    frames = t("signals").withColumn("base", base).select("mission_id", "frame_id", "t_sec", thumb.alias("thumb"), F.array(F.cos(F.col("base") / 40), F.sin(F.col("base") / 40)).alias("vector"), "good")
+    kept = S.keep_frames(frames, S.KeepGate(change=0.4, drift=0.3, most_gap=100000.0, still=2.0, moving=60.0))
+    return kept.select("mission_id", "frame_id", "t_sec", *[F.round(c, 6).alias(c) for c in ("histogram", "structure", "drift", "rate")])
 
 
 @query("t10_track", [], None)
@@ -353,10 +370,12 @@ def t10(t):
 
 
 @query("t11_rate_limit", ["signals"], """
-, n AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY t_sec, frame_id) - 1 AS nth FROM signals)
-SELECT mission_id, min(t_sec) AS t_sec, arg_min(frame_id, (t_sec, frame_id)) AS frame_id FROM n WHERE nth % 3 = 0 GROUP BY mission_id, floor(t_sec / 28800)""")
+, n AS (SELECT *, row_number() OVER (PARTITION BY mission_id ORDER BY t_sec, frame_id) AS nth FROM signals), c AS (SELECT * FROM n WHERE nth % 3 = 0),
+k AS (SELECT mission_id, min(nth) AS nth, min(t_sec) AS t_sec FROM c GROUP BY 1
+  UNION ALL SELECT c.mission_id, min(c.nth), min(c.t_sec) FROM k JOIN c ON c.mission_id = k.mission_id AND c.nth > k.nth AND c.t_sec >= k.t_sec + 23040 GROUP BY c.mission_id)
+SELECT mission_id, c.t_sec, frame_id FROM k JOIN c USING (mission_id, nth)""")
 def t11(t):
-    return T.rate_limit(t("signals"), ["mission_id"], 2, 28800.0)
+    return T.rate_limit(t("signals"), ["mission_id"], 3, 28800.0)
 
 
 @query("t12_acoustic_to_events", [], " SELECT concat('cam', event_id) AS camera, event_type AS label, value AS score FROM events WHERE event_id % 4 <> 0 UNION ALL SELECT concat('cam', event_id), 'alarm', 0.5 FROM events WHERE event_id % 4 = 2")

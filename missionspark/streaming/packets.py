@@ -5,13 +5,20 @@ All functions take a streaming or a batch DataFrame unless they say otherwise.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.commits import committed, publish
+from ..sources.storage import materialise, release
+
+#: Share of the interval that two caption frames are apart at least.
+LEAST_SHARE = 0.8
 SENSORS = ("camera", "gps", "imu", "barometer", "magnetometer")
 
 
@@ -228,11 +235,69 @@ def incidents_stream(envelopes: DataFrame, rules: DataFrame, watermark: str = "1
     return found.withColumn("at", F.timestamp_micros("at"))
 
 
-def rate_limit(rows: DataFrame, keys: Sequence[str], skip: int, spacing_sec: float) -> DataFrame:
-    """Batch: every ``skip + 1``-th row, at most one in each slot of the spacing."""
+def spaced(rows: DataFrame, keys: Sequence[str], spacing_sec: float) -> DataFrame:
+    """Rows such that each follows the one taken before it by the spacing at least; the first of a key is taken.
+
+    Which row follows is known for every row at once, as its first one that is far
+    enough.  The chain from the first row is then found by doubling: in each round
+    what is reached jumps on by as many rows as it has, and every jump becomes two.
+    """
+    from ..operators.joins import asof
+
+    at = Window.partitionBy(*keys).orderBy("t_sec", "frame_id")
+    numbered = materialise(rows.select(*keys, "t_sec", "frame_id").withColumn("nth", F.row_number().over(at)), "spaced-rows")
+    # The first row at or after a time is the last one at or before it on the clock turned round.
+    turned = numbered.groupBy(*keys, "t_sec").agg(F.min("nth").alias("to")).withColumn("t_sec", -F.col("t_sec"))
+    asks = numbered.select(*keys, F.col("nth").alias("query_id"), (-(F.col("t_sec") + spacing_sec)).alias("t_sec"))
+    jumps = materialise(asof(asks, turned, keys, ["to"], tolerance=0.0).filter("to is not null").select(*keys, F.col("query_id").alias("nth"), "to"), "spaced-jumps")
+    reached = materialise(numbered.filter("nth = 1").select(*keys, "nth"), "spaced-reached")
+    while not jumps.isEmpty():
+        far = jumps.withColumnRenamed("nth", "via").withColumnRenamed("to", "beyond")
+        old_jumps, old_reached = jumps, reached
+        reached = materialise(reached.unionByName(reached.join(jumps, [*keys, "nth"]).select(*keys, F.col("to").alias("nth"))), "spaced-reached")
+        jumps = materialise(jumps.join(far.withColumnRenamed("via", "to"), [*keys, "to"]).select(*keys, "nth", F.col("beyond").alias("to")), "spaced-jumps")
+        release(old_jumps, old_reached)
+    return numbered.join(reached, [*keys, "nth"], "left_semi").select(*keys, "t_sec", "frame_id")
+
+
+def rate_limit(rows: DataFrame, keys: Sequence[str], every: int, interval_sec: float) -> DataFrame:
+    """Batch: every so-manieth row, and of these none nearer than 0.8 of the interval to the one taken before it."""
     order = Window.partitionBy(*keys).orderBy("t_sec", "frame_id")
-    kept = rows.withColumn("nth", F.row_number().over(order) - 1).filter(F.col("nth") % (skip + 1) == 0).withColumn("slot", F.floor(F.col("t_sec") / spacing_sec))
-    return kept.groupBy(*keys, "slot").agg(F.min(F.struct("t_sec", "frame_id")).alias("first")).select(*keys, "first.*")
+    nth = rows.withColumn("place", F.row_number().over(order)).filter(F.col("place") % every == 0)
+    return spaced(nth, keys, LEAST_SHARE * interval_sec)
+
+
+class RateProcessor(StatefulProcessor):
+    """The row limit with the number of rows and the time of the last one taken as state."""
+
+    def __init__(self, every: int, spacing_sec: float, names: list[str]):
+        self.every, self.spacing_sec, self.names = every, spacing_sec, names
+
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("last", "place long, t_sec double")
+
+    def handleInputRows(self, key, rows, timerValues):
+        place, last = self.state.get() if self.state.exists() else (0, None)
+        taken = []
+        for t, frame in pd.concat(list(rows)).sort_values(["t_sec", "frame_id"])[["t_sec", "frame_id"]].itertuples(index=False, name=None):
+            place += 1
+            if place % self.every == 0 and (last is None or t >= last + self.spacing_sec):
+                last = t
+                taken.append((*key, t, frame))
+        self.state.update((place, last))
+        yield pd.DataFrame(taken, columns=self.names)
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(rows: DataFrame, keys: Sequence[str], every: int, interval_sec: float) -> DataFrame:
+    """Stream: :func:`rate_limit`; rows of a key must arrive in order, inside a batch they are sorted.
+
+    Needs the RocksDB state store.
+    """
+    kept = rows.select(*keys, "t_sec", "frame_id")
+    return kept.groupBy(*keys).transformWithStateInPandas(RateProcessor(every, LEAST_SHARE * interval_sec, kept.columns), kept.schema, "append", "none")
 
 
 def acoustic_to_events(observations: DataFrame) -> DataFrame:
@@ -255,6 +320,33 @@ def latest_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("row")).select(*keys, "row.*")
 
 
+def upsert_latest(root: str, keys: Sequence[str], order: Sequence[str]):
+    """A ``foreachBatch`` function that keeps the latest row of each key in a table below ``root``.
+
+    A batch's result is written beside the table and published with the batch's
+    number in one step; a batch that comes again, after a restart, changes
+    nothing.  :func:`latest_table` reads what was published last.
+    """
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        last = committed(spark, root)
+        if last is not None and last["batch"] >= number:
+            return
+        rows = batch if last is None else spark.read.schema(batch.schema).parquet(last["path"]).unionByName(batch)
+        path = f"{root}/data/batch-{number}-{uuid.uuid4().hex}"
+        latest_rows(rows, keys, order).select(*batch.columns).write.parquet(path)
+        publish(spark, root, {"batch": number, "path": path})
+
+    return upsert
+
+
+def latest_table(spark, root: str) -> DataFrame | None:
+    """The table that :func:`upsert_latest` published last."""
+    last = committed(spark, root)
+    return None if last is None else spark.read.parquet(last["path"])
+
+
 def finalise(frames: DataFrame, packets: DataFrame) -> DataFrame:
     """Sessions to missions: frames, and the larger of camera packets and frames."""
     f = frames.groupBy("session_id").agg(F.count("*").alias("frames"), F.max("t_sec").alias("last_t"))

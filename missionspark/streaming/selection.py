@@ -12,13 +12,13 @@ import itertools
 import json
 import math
 from bisect import bisect_left
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor
 
 
 def victim(times: list[float], safe: list[bool]) -> int:
@@ -197,45 +197,144 @@ def keyframes(signals: DataFrame, profile: str = "fast", *, chunk_sec: float = 4
     return slim.select("mission_id", "frame_id", "t_sec", "why").groupBy("mission_id").applyInPandas(settle, "mission_id long, frame_id long, t_sec double, reasons array<string>, forced boolean")
 
 
-def gate(last: tuple[float, float] | None, t: float, drift: float, most_gap: float, least_change: float) -> bool:
-    """Whether a frame is kept, given time and drift of the last one that was."""
-    return last is None or t - last[0] >= most_gap or abs(drift - last[1]) >= least_change
+@dataclass(frozen=True)
+class KeepGate:
+    """When a frame is kept and how many are read; a threshold is met above it."""
 
+    change: float = 0.25
+    drift: float = 0.15
+    most_gap: float = 10.0
+    still: float = 2.0
+    moving: float = 12.0
+    rate: float = 2.0
+    slowest: float = 0.5
+    fastest: float = 5.0
+    bins: int = 16
 
-def keep_frames(signals: DataFrame, most_gap: float = 5.0, least_change: float = 10.0) -> DataFrame:
-    """Batch: frames that differ from the last kept one of their mission, or follow it late."""
+    def step(self, rate: float) -> int:
+        """Frames from one that is read to the next."""
+        return max(1, round(self.fastest / rate))
 
-    def keep(group: pd.DataFrame) -> pd.DataFrame:
-        last, kept = None, []
-        group = group.sort_values(["t_sec", "frame_id"])
-        for t, drift in zip(group["t_sec"], group["drift"]):
-            ok = gate(last, t, drift, most_gap, least_change)
-            last = (t, drift) if ok else last
-            kept.append(ok)
-        return group[kept][["mission_id", "frame_id", "t_sec"]]
+    def start(self) -> dict:
+        return {"rate": self.rate, "step": self.step(self.rate), "wait": 0, "prev": None, "kept": None, "vector": None, "t": -1.0}
 
-    return signals.groupBy("mission_id").applyInPandas(keep, "mission_id long, frame_id long, t_sec double")
 
+def histogram_change(a: np.ndarray, b: np.ndarray, bins: int) -> float:
+    """Half the distance of the shares of grey levels (0 to 255) in equal bins."""
+    shares = [np.bincount(np.clip(x * bins // 256, 0, bins - 1).astype(int), minlength=bins) / len(x) for x in (a, b)]
+    return float(np.abs(shares[0] - shares[1]).sum() / 2)
 
-def keep_frames_stream(signals: DataFrame, most_gap: float = 5.0, least_change: float = 10.0) -> DataFrame:
-    """Stream: the same gate with the last kept frame of each mission as keyed state.
 
-    Frames of a mission must arrive in order; inside a batch they are sorted.
+def structure_change(a: np.ndarray, b: np.ndarray) -> float:
+    """One less the structural similarity of two thumbnails as a whole."""
+    c1, c2 = (0.01 * 255) ** 2, (0.03 * 255) ** 2
+    x, y = a.mean(), b.mean()
+    both = ((a - x) * (b - y)).mean()
+    return float(1 - (2 * x * y + c1) * (2 * both + c2) / ((x * x + y * y + c1) * (((a - x) ** 2).mean() + ((b - y) ** 2).mean() + c2)))
+
+
+def look_at(state: dict, gate: KeepGate, t: float, thumb, vector, good: bool) -> tuple | None:
+    """Moves the state on by one frame; (histogram, structure, drift, rate) of a frame that is kept.
+
+    A frame is passed over while the state waits.  One that is read sets the rate:
+    halved where it is like the frame read before, raised by half where much
+    moved; the new rate counts from the next frame that is read.  A bad frame
+    isn't kept.
     """
+    if state["wait"] > 0:
+        state["wait"] -= 1
+        return None
+    thumb, vector = np.asarray(thumb, float), np.asarray(vector, float)
+    motion = 0.0 if state["prev"] is None else float(np.abs(thumb - np.asarray(state["prev"], float)).mean())
+    rate = state["rate"]
+    if motion < gate.still:
+        rate = max(gate.slowest, rate * 0.5)
+    elif motion > gate.moving:
+        rate = min(gate.fastest, rate * 1.5)
+    state |= {"wait": state["step"] - 1, "prev": thumb.tolist(), "rate": rate, "step": gate.step(rate)}
+    if not good:
+        return None
+    histogram = structure = 0.0
+    drift = 1.0
+    if state["kept"] is not None:
+        kept = np.asarray(state["kept"], float)
+        histogram, structure = histogram_change(kept, thumb, gate.bins), structure_change(kept, thumb)
+        drift = float(1.0 - vector @ np.asarray(state["vector"], float))
+    if not (histogram > gate.change or structure > gate.change or drift > gate.drift or t - state["t"] > gate.most_gap):
+        return None
+    state |= {"kept": thumb.tolist(), "vector": vector.tolist(), "t": t}
+    return histogram, structure, drift, rate
+
+
+KEPT_ROWS = "mission_id long, frame_id long, t_sec double, histogram double, structure double, drift double, rate double"
+FRAME_COLUMNS = ("t_sec", "frame_id", "thumb", "vector", "good")
+
+
+def kept_rows(mission, state: dict, gate: KeepGate, rows) -> list[tuple]:
+    """Rows of the frames (of FRAME_COLUMNS, in order) that are kept."""
+    found = []
+    for t, frame, thumb, vector, good in rows:
+        seen = look_at(state, gate, t, thumb, vector, good)
+        if seen is not None:
+            found.append((mission, frame, t, *seen))
+    return found
+
+
+def keep_frames(frames: DataFrame, gate: KeepGate = KeepGate()) -> DataFrame:
+    """Batch: frames that differ from the last kept one of their mission, read at a rate that follows the motion.
+
+    ``frames`` has (mission_id, frame_id, t_sec, thumb: grey levels, vector: a unit
+    embedding, good).  Missions are dealt by hash and read in order, with one
+    state held, so that memory doesn't grow with a mission.
+    """
+    names = [c.split()[0] for c in KEPT_ROWS.split(", ")]
+
+    def keep(batches):
+        last, state = None, gate.start()
+        for batch in batches:
+            found = []
+            for mission, rows in itertools.groupby(batch.itertuples(index=False, name=None), key=lambda r: r[0]):
+                if mission != last:
+                    last, state = mission, gate.start()
+                found += kept_rows(mission, state, gate, (r[1:] for r in rows))
+            yield pd.DataFrame(found, columns=names)
+
+    rows = frames.select("mission_id", *FRAME_COLUMNS).repartition("mission_id").sortWithinPartitions("mission_id", "t_sec", "frame_id")
+    return rows.mapInPandas(keep, KEPT_ROWS)
+
+
+class KeepProcessor(StatefulProcessor):
+    """The gate with the state of each mission in the state store."""
+
+    fields = ("rate", "step", "wait", "prev", "kept", "vector", "t")
+
+    def __init__(self, gate: KeepGate):
+        self.gate = gate
 
-    def keep(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get if state.exists else None
-        rows = pd.concat(list(batches)).sort_values(["t_sec", "frame_id"])
-        kept = []
-        for t, drift in zip(rows["t_sec"], rows["drift"]):
-            ok = gate(last, t, drift, most_gap, least_change)
-            last = (t, drift) if ok else last
-            kept.append(ok)
-        if last is not None:
-            state.update(last)
-        yield rows[kept][["mission_id", "frame_id", "t_sec"]]
+    def init(self, handle) -> None:
+        self.state = handle.getValueState("gate", "rate double, step int, wait int, prev array<double>, kept array<double>, vector array<double>, t double")
 
-    return signals.groupBy("mission_id").applyInPandasWithState(keep, "mission_id long, frame_id long, t_sec double", "t double, drift double", "append", GroupStateTimeout.NoTimeout)
+    def handleInputRows(self, key, rows, timerValues):
+        state = dict(zip(self.fields, self.state.get())) if self.state.exists() else self.gate.start()
+        frames = pd.concat(list(rows)).sort_values(["t_sec", "frame_id"])
+        found = kept_rows(key[0], state, self.gate, frames[list(FRAME_COLUMNS)].itertuples(index=False, name=None))
+        self.state.update(tuple(state[f] for f in self.fields))
+        yield pd.DataFrame(found, columns=[c.split()[0] for c in KEPT_ROWS.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def keep_frames_stream(frames: DataFrame, gate: KeepGate = KeepGate()) -> DataFrame:
+    """Stream: :func:`keep_frames`; frames of a mission must arrive in order, inside a batch they are sorted.
+
+    Needs the RocksDB state store, see :data:`STATE_STORE`.
+    """
+    return frames.groupBy("mission_id").transformWithStateInPandas(KeepProcessor(gate), KEPT_ROWS, "append", "none")
+
+
+#: Setting of a session whose streams keep state by processors of their own.
+STATE_STORE = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
 
 
 # Fixed values of the tracker.
@@ -358,23 +457,62 @@ def track(detections: DataFrame, frames: DataFrame | None = None) -> DataFrame:
     return observed(detections, frames).groupBy("mission_id").applyInPandas(lambda key, group: track_rows({"born": 0, "live": {}}, key[0], group), TRACK_ROWS)
 
 
-def track_stream(detections: DataFrame, frames: DataFrame | None = None) -> DataFrame:
-    """Stream: :func:`track` with the live tracks of each mission as keyed state, of one bounded row a track.
+#: Event time of a mission's second 0: a stream starts with its watermark at 0 and drops what isn't later.
+CLOCK_SEC = 86_400.0
 
-    Frames of a mission must arrive in order, each in one micro-batch.
+
+class TrackProcessor(StatefulProcessor):
+    """The tracker with the live tracks of each mission in the state store, and timers that end them.
+
+    Each frame sets a timer for the moments when a live track, unseen until then,
+    is lost and ended.  So a track ends when the watermark passes, although its
+    mission has no further frame.
     """
 
-    def follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known = {"born": 0, "live": {}}
-        if state.exists:
-            known = json.loads(state.get[0])
-            known["live"] = {int(k): a for k, a in known["live"].items()}
-        rows = track_rows(known, key[0], pd.concat(list(batches)))
-        plain = {k: a | {"look": None if a["look"] is None else [float(x) for x in a["look"]]} for k, a in known["live"].items()}
-        state.update((json.dumps({"born": known["born"], "live": plain}),))
-        yield rows
+    columns = [c.split()[0] for c in TRACK_ROWS.split(", ")]
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.tracks = handle.getValueState("tracks", "tracks string")
 
-    return observed(detections, frames).groupBy("mission_id").applyInPandasWithState(follow, TRACK_ROWS, "tracks string", "append", GroupStateTimeout.NoTimeout)
+    def load(self) -> dict:
+        known = json.loads(self.tracks.get()[0]) if self.tracks.exists() else {"born": 0, "live": {}}
+        known["live"] = {int(k): a for k, a in known["live"].items()}
+        return known
+
+    def save(self, known: dict) -> None:
+        plain = {k: a | {"look": None if a["look"] is None else [float(x) for x in a["look"]]} for k, a in known["live"].items()}
+        self.tracks.update((json.dumps({"born": known["born"], "live": plain}),))
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        # A moment after the span, as a track ends beyond it and not at it.
+        for at in {math.floor((CLOCK_SEC + a["met"] + (OCCLUDED_SEC if a["state"] != "lost" else ENDED_SEC)) * 1000) + 1 for a in known["live"].values()}:
+            self.handle.registerTimer(at)
+
+    def handleInputRows(self, key, rows, timerValues):
+        known = self.load()
+        found = track_rows(known, key[0], pd.concat(list(rows)))
+        self.save(known)
+        yield found
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        at, known = expiredTimerInfo.getExpiryTimeInMs() / 1000 - CLOCK_SEC, self.load()
+        rows = [(key[0], at, d, f"track-{k:04d}", kind, label, *box) for d, k, kind, label, box in advance(known, at, False, []) if kind in ("lost", "ended")]
+        self.save(known)
+        yield pd.DataFrame(rows, columns=self.columns)
+
+    def close(self) -> None:
+        pass
+
+
+def track_stream(detections: DataFrame, frames: DataFrame | None = None, watermark: str = "0 seconds") -> DataFrame:
+    """Stream: :func:`track`, and tracks that are lost or ended although no frame of their mission comes.
+
+    Frames of a mission must arrive in order, each in one micro-batch.  Needs the
+    RocksDB state store, see :data:`STATE_STORE`.
+    """
+    rows = observed(detections, frames).withColumn("at", F.timestamp_micros(((F.col("t_sec") + CLOCK_SEC) * 1e6).cast("long"))).withWatermark("at", watermark)
+    return rows.groupBy("mission_id").transformWithStateInPandas(TrackProcessor(), TRACK_ROWS, "append", "eventTime")
 
 
 def acoustic(chunks: DataFrame, rate: int = 8000) -> DataFrame:
