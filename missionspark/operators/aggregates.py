@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise, release, small
+
 
 def counts_by(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
     """Counts of the named classes, 0 for those that don't occur."""
@@ -15,8 +17,37 @@ def counts_by(df: DataFrame, column: str, classes: Sequence[str]) -> DataFrame:
     return named.join(found, F.col(column) == F.col("class"), "left").select(column, F.coalesce("n", F.lit(0)).alias("n"))
 
 
+#: Bins that a range of values is cut into by each pass.
+BINS = 1024
+
+
+def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, which, value, n): the values at some ranks (from 1) of each key's n values that aren't null.
+
+    ``ranks`` are columns of ``n``.  Each pass cuts the range that holds a rank into
+    bins, counts them where the rows are and keeps the range of the bin that holds
+    it, until the range is one value: three passes narrow it a thousand million
+    times.  No task sorts or holds a key's values.
+    """
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("v"))
+    asked = F.explode(F.array(*[F.struct(F.lit(name).alias("which"), rank.cast("long").alias("rank")) for name, rank in ranks.items()]))
+    state = rows.groupBy(*keys).agg(F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("*").alias("n")).withColumn("a", asked).select(*keys, "lo", "hi", "n", "a.*")
+    state = materialise(state.withColumn("rank", F.greatest(F.lit(1), F.least("rank", "n"))), "ranks")
+    while not state.filter("lo < hi").isEmpty():
+        open_ = state.filter("lo < hi").withColumnsRenamed({k: f"s_{k}" for k in keys})
+        met = rows.join(small(open_), [*[F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in keys], F.col("v").between(F.col("lo"), F.col("hi"))])
+        # Halves, so that the range of any two doubles is finite.
+        bin_ = F.least(F.lit(BINS - 1), F.floor((F.col("v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * BINS))
+        bins = met.withColumn("bin", bin_).groupBy(*keys, "which", "n", "rank", "bin").agg(F.count("*").alias("m"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        upto = bins.withColumn("upto", F.sum("m").over(Window.partitionBy(*keys, "which").orderBy("bin")))
+        held = upto.filter((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("m") < F.col("rank"))).select(*keys, "lo", "hi", "n", "which", (F.col("rank") - F.col("upto") + F.col("m")).alias("rank"))
+        old, state = state, materialise(state.filter("lo >= hi").unionByName(held), "ranks")
+        release(old)
+    return state.select(*keys, "which", F.col("lo").alias("value"), "n")
+
+
 def caption_health(frames: DataFrame) -> DataFrame:
-    """One row: counts, null rate, mean and exact 95th percentile of the confidence.
+    """One row: counts, null rate, mean and exact 95th percentile (between the two values around it) of the confidence.
 
     Frames skipped on purpose aren't captionable; without a captionable one the
     null rate is null.
@@ -24,8 +55,13 @@ def caption_health(frames: DataFrame) -> DataFrame:
     skipped = F.col("caption_skip_reason").isNotNull()
     row = frames.agg(
         F.count("*").alias("total"), F.count("caption").alias("captioned"), F.count_if(skipped).alias("skipped"), F.count_if(F.col("caption").isNull() & ~skipped).alias("missing"), F.avg("caption_confidence").alias("mean_confidence"),
-        F.expr("percentile_cont(0.95) WITHIN GROUP (ORDER BY caption_confidence) FILTER (WHERE caption_confidence IS NOT NULL)").alias("p95_confidence"),
     )
+    known = frames.filter("caption_confidence is not null").select(F.lit(0).alias("all"), F.col("caption_confidence").cast("double").alias("v"))
+    # The two values around place 0.95 * (n - 1), counted from 0.
+    place = 0.95 * (F.col("n") - 1)
+    found = order_statistics(known, ["all"], "v", {"low": F.floor(place) + 1, "high": F.ceil(place) + 1})
+    ends = found.agg(F.max(F.when(F.col("which") == "low", F.col("value"))).alias("low"), F.max(F.when(F.col("which") == "high", F.col("value"))).alias("high"), F.max(place - F.floor(place)).alias("part"))
+    row = row.join(F.broadcast(ends)).withColumn("p95_confidence", F.col("low") + (F.col("high") - F.col("low")) * F.col("part")).drop("low", "high", "part")  # one row each
     captionable = F.col("total") - F.col("skipped")
     return row.withColumn("null_rate", F.when(captionable > 0, F.col("missing") / captionable))
 

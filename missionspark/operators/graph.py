@@ -500,12 +500,6 @@ def screen_claims(claims: DataFrame, samples: DataFrame) -> DataFrame:
     return met.filter(~relation_holds(none, none, none)).select("claim_id")
 
 
-def run_rows(events: DataFrame) -> DataFrame:
-    """One run a mission: its id is the digest of what it holds; counts for the query table."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda e: e.cast("string")), ",")
-    return events.groupBy("mission_id").agg(F.sha2(ids, 256).alias("run_id"), F.count("*").alias("events"), F.count_if(F.col("status") == "accepted").alias("accepted"), F.sum("n_evidence").alias("evidence"))
-
-
 def provided(inputs: DataFrame, stage: str, schema: str, provider: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None) -> tuple[DataFrame | None, DataFrame]:
     """(outputs, degradations) of a stage's model over its inputs, which have a mission_id.
 

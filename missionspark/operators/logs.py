@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.exprs import cosine
-from ..sources.storage import discard, materialise, release
+from ..sources import commits
+from ..sources.storage import discard, materialise, release, small
 
 
 def materialise_graph(deltas: DataFrame) -> DataFrame:
@@ -102,19 +106,52 @@ def dedupe_files(files: DataFrame, processed: DataFrame, content: str) -> DataFr
     return first.join(processed.select("digest").distinct(), "digest", "left_anti")
 
 
-def hamming_pairs(tiles: DataFrame, radius: int, bits: int = 64) -> DataFrame:
-    """Pairs of hashes of so many bits within a Hamming radius: (a, b, distance), a before b.
+#: Hashes of one key and band that are compared with each other; of more, those alike in a second band are.
+BUCKET_ROWS = 2_000
 
-    Equal bands bring together all pairs: radius + 1 bands have an equal one.
+
+def bands(radius: int, bits: Sequence[int]) -> list[list[int]]:
+    """So many parts of the bits that hashes within the radius agree in one of them."""
+    edges = [round(len(bits) * k / (radius + 1)) for k in range(radius + 2)]
+    return [list(bits[lo:hi]) for lo, hi in zip(edges, edges[1:])]
+
+
+def hamming_pairs(tiles: DataFrame, radius: int, bits: int = 64, keys: Sequence[str] = (), bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Pairs of hashes of so many bits within a Hamming radius: (keys, a, b, distance), a before b.
+
+    Only hashes of equal keys meet.  Of radius + 1 bands one is equal in every
+    such pair.  In a band of more rows than ``bucket_rows`` the other bits are cut
+    in bands again, of which one is equal too: so a frequent part makes pairs of
+    hashes that are alike in more than it.
     """
-    bands = radius + 1
-    edges = [round(bits * k / bands) for k in range(bands + 1)]
-    band = F.array(*[F.struct(F.lit(k).alias("band"), F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("part")) for k, (lo, hi) in enumerate(zip(edges, edges[1:]))])
-    rows = tiles.select("tile_id", "hash", F.explode(band).alias("b")).select("tile_id", "hash", "b.*")
-    other = rows.select(F.col("tile_id").alias("o_id"), F.col("hash").alias("o_hash"), F.col("band").alias("o_band"), F.col("part").alias("o_part"))
-    met = rows.join(other, (F.col("band") == F.col("o_band")) & (F.col("part") == F.col("o_part")) & (F.col("tile_id") < F.col("o_id")))
+    def part(own: Sequence[int]) -> Column:
+        lo, n = (own[0], len(own)) if own else (0, 0)
+        return F.shiftrightunsigned("hash", lo).bitwiseAND(F.lit((1 << n) - 1 if n < 64 else -1))
+
+    cut = bands(radius, range(bits))
+    band = F.array(*[F.struct(F.lit(k).alias("band"), part(own).alias("part")) for k, own in enumerate(cut)])
+    rows = tiles.select(*keys, "tile_id", "hash", F.explode(band).alias("b")).select(*keys, "tile_id", "hash", "b.*")
+    crowd = materialise(rows.groupBy(*keys, "band", "part").agg(F.count("*").alias("rows")).filter(F.col("rows") > bucket_rows), "tiles-crowds")
+    # The bits before and after a band, each a run of bits, cut to second bands.
+    second = []
+    for k, own in enumerate(cut):
+        rest = [[i for i in range(bits) if i < own[0]], [i for i in range(bits) if i > own[-1]]] if own else [list(range(bits)), []]
+        pieces, left = [], radius + 1
+        for run in rest:
+            n = round((radius + 1) * len(run) / max(1, bits - len(own))) if run is rest[0] else left
+            n = min(max(n, 0), left)
+            pieces += bands(n - 1, run) if n > 0 else []
+            left -= n
+        second.append(F.when(F.col("band") == k, F.array(*[F.struct(F.lit(j).alias("band2"), part(p).alias("part2")) for j, p in enumerate(pieces)])))
+    on = [*keys, "band", "part"]
+    calm = rows.join(crowd, on, "left_anti").withColumn("band2", F.lit(-1)).withColumn("part2", F.lit(0).cast("long"))
+    busy = rows.join(crowd, on, "left_semi").withColumn("c", F.explode(F.coalesce(*second))).select(*on, "tile_id", "hash", F.col("c.band2").alias("band2"), F.col("c.part2").cast("long").alias("part2"))
+    dealt = calm.select(*on, "tile_id", "hash", "band2", "part2").unionByName(busy)
+    on = [*on, "band2", "part2"]
+    other = dealt.select(*[F.col(c).alias(f"o_{c}") for c in (*on, "tile_id", "hash")])
     off = F.bit_count(F.col("hash").bitwiseXOR(F.col("o_hash")))
-    return met.withColumn("distance", off).filter(F.col("distance") <= radius).select(F.col("tile_id").alias("a"), F.col("o_id").alias("b"), "distance").distinct()
+    met = dealt.join(other, [*[F.col(c).eqNullSafe(F.col(f"o_{c}")) for c in on], F.col("tile_id") < F.col("o_tile_id"), off <= radius])
+    return met.select(*keys, F.col("tile_id").alias("a"), F.col("o_tile_id").alias("b"), off.alias("distance")).distinct()
 
 
 def dedupe_tiles(tiles: DataFrame, radius: int = 6, least_cosine: float = 0.95, most: int = 200, bits: int = 64) -> DataFrame:
@@ -127,7 +164,7 @@ def dedupe_tiles(tiles: DataFrame, radius: int = 6, least_cosine: float = 0.95,
     """
     same = ["mission_id", "hash", "vector"]
     first = tiles.groupBy(*same).agg(F.min_by(F.struct(*[c for c in tiles.columns if c not in same]), "tile_id").alias("t")).select(*same, "t.*")
-    near = hamming_pairs(first, radius, bits)
+    near = hamming_pairs(first, radius, bits, ["mission_id"]).drop("mission_id")
     v = first.select(F.col("tile_id").alias("va"), F.col("mission_id").alias("ma"), F.col("vector").alias("xa"))
     w = first.select(F.col("tile_id").alias("vb"), F.col("mission_id").alias("mb"), F.col("vector").alias("xb"))
     alike = near.join(v, F.col("a") == F.col("va")).join(w, F.col("b") == F.col("vb")).filter((F.col("ma") == F.col("mb")) & (cosine(F.col("xa"), F.col("xb")) > least_cosine))
@@ -175,33 +212,85 @@ def replace_partition(df: DataFrame, path: str, column: str) -> None:
     df.write.partitionBy(column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def replace_run(tables: dict[str, DataFrame], folder: str, run_column: str = "run_id") -> None:
+def replace_run(tables: dict[str, DataFrame], folder: str, run_column: str = "run_id") -> str:
     """Run, events, edges and QA of the runs in ``tables['run']`` replace what is stored of these runs.
 
-    Every table lies in a folder of its own, one partition a run.  A run that has
-    no rows of a kind leaves none behind: its old partition is emptied.  A run
-    that another stored run supersedes is refused, as results point at it.
+    The rows are appended under the name of this attempt, and so are the runs that
+    it replaces; one commit then switches all tables at once.  Until it is there
+    :func:`read_runs` gives the old rows of every table, also when the attempt was
+    cut short, and of two attempts at a time one is refused.  A run that another
+    stored run supersedes can't be replaced, as results point at it.  Returns the
+    attempt.
     """
     run = tables["run"]
     spark = run.sparkSession
     ids = run.select(run_column).distinct()
-    try:
-        stored = spark.read.parquet(f"{folder}/run")
+    known = commits.numbers(spark, folder)
+    if known:
+        stored = read_runs(spark, folder, "run", run_column)
         pointed = stored.filter("supersedes_run_id is not null").select(F.col("supersedes_run_id").alias("pointed"), F.col(run_column).alias("by"))
         own = ids.select(F.col(run_column).alias("own"))
         if not pointed.join(ids, F.col("pointed") == F.col(run_column)).join(own, F.col("by") == F.col("own"), "left_anti").isEmpty():
             raise ValueError("a run that a later run supersedes can't be replaced")
-    except AnalysisException as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-    names = {r[0] for r in ids.collect()}  # the runs of one call
     for kind, df in tables.items():
         if not df.join(ids, run_column, "left_anti").isEmpty():
             raise ValueError(f"{kind} has rows of another run")
-        df.write.partitionBy(run_column).option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(f"{folder}/{kind}")
-        kept = {r[0] for r in df.select(run_column).distinct().collect()}
-        for name in names - kept:
-            discard(spark, f"{folder}/{kind}/{run_column}={name}")
+    attempt = uuid.uuid4().hex
+    stage_run(tables, folder, attempt, run_column)
+    commits.publish(spark, folder, {"attempt": attempt, "schemas": {kind: df.schema.json() for kind, df in tables.items()}}, after=known[-1] if known else 0)
+    return attempt
+
+
+def stage_run(tables: dict[str, DataFrame], folder: str, attempt: str, run_column: str = "run_id") -> None:
+    """Writes an attempt's rows, which nobody sees before its commit."""
+    for kind, df in tables.items():
+        df.withColumn("attempt", F.lit(attempt)).write.partitionBy("attempt").mode("append").parquet(f"{folder}/{kind}")
+    tables["run"].select(run_column).distinct().withColumn("attempt", F.lit(attempt)).write.partitionBy("attempt").mode("append").parquet(f"{folder}/switches")
+
+
+def current_runs(spark: SparkSession, folder: str, run_column: str = "run_id") -> DataFrame:
+    """(run, attempt): the attempt of the last commit that replaced a run."""
+    log = spark.read.schema("attempt string").json(f"{folder}/commits/*.json").select(F.col("attempt").alias("by"), F.col("_metadata.file_name").alias("number"))
+    switches = spark.read.parquet(f"{folder}/switches").select(run_column, F.col("attempt").cast("string").alias("attempt"))
+    return switches.join(log, F.col("attempt") == F.col("by")).groupBy(run_column).agg(F.max_by("attempt", "number").alias("attempt"))
+
+
+def read_runs(spark: SparkSession, folder: str, kind: str, run_column: str = "run_id") -> DataFrame:
+    """The stored rows of a kind, each run as its last commit left it."""
+    schema = StructType.fromJson(json.loads(commits.committed(spark, folder)["schemas"][kind]))
+    rows = spark.read.schema(StructType([*schema.fields, StructField("attempt", StringType())])).parquet(f"{folder}/{kind}")
+    return rows.join(current_runs(spark, folder, run_column), [run_column, "attempt"], "left_semi").select(*schema.names)
+
+
+def vacuum_runs(spark: SparkSession, folder: str, kinds: Sequence[str], run_column: str = "run_id") -> None:
+    """Deletes attempts that no run is left with, unfinished ones too; not while a writer is at work."""
+    live = {r.attempt for r in current_runs(spark, folder, run_column).select("attempt").distinct().toLocalIterator()}
+    for kind in kinds:
+        for name in commits.folders(spark, f"{folder}/{kind}"):
+            if name.startswith("attempt=") and name[8:] not in live:
+                discard(spark, f"{folder}/{kind}/{name}")
+
+
+def run_tables(manifests: DataFrame, events: DataFrame, edges: DataFrame, qa: DataFrame) -> dict[str, DataFrame]:
+    """Query rows of mission bundles, for :func:`replace_run`: run, events, edges and qa under the digest of the manifest.
+
+    ``manifests`` has (mission_id, manifest, artifact_dir), the manifest as it is
+    stored, with profile, schema_version, coordinate_frame (name, metric_scale,
+    calibration_id), degradations and supersedes_sha256; ``events`` an array
+    ``evidence``, of which the number is kept.  Rows of missions without a
+    manifest have no run and are left out.
+    """
+    field = lambda path: F.get_json_object("manifest", f"$.{path}")
+    run_id = F.sha2("manifest", 256).alias("run_id")
+    run = manifests.select(
+        run_id, "mission_id", field("profile").alias("profile"), field("schema_version").alias("schema_version"), field("coordinate_frame.name").alias("coordinate_frame"), field("coordinate_frame.metric_scale").alias("metric_scale"),
+        field("coordinate_frame.calibration_id").alias("calibration_id"), "artifact_dir", F.concat(F.lit("sha256:"), F.sha2("manifest", 256)).alias("manifest_sha256"), field("degradations").alias("degradations"),
+        F.regexp_replace(field("supersedes_sha256"), "^sha256:", "").alias("supersedes_run_id"),
+    )
+    of = manifests.select(F.col("mission_id").alias("of"), run_id)
+    under = lambda rows, ref: rows.join(of, F.col("mission_id") == F.col("of")).drop("of").withColumn("artifact_ref", F.lit(ref))
+    told = under(events, "timeline.json").withColumn("evidence_count", F.coalesce(F.size("evidence"), F.lit(0))).drop("evidence")
+    return {"run": run, "events": told, "edges": under(edges, "graph-deltas.jsonl"), "qa": under(qa, "qa.jsonl")}
 
 
 def supersede(versions: DataFrame, new: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -270,13 +359,27 @@ def export_vectors(points: DataFrame, missions: Sequence | None = None, bbox: tu
     return rows.select("id", "mission_id", "t_sec", *[F.coalesce(c, nan).alias(c) for c in ("lat", "lon", "tx", "ty", "tz")], "embedding")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(value, file, line) of text files, which are read in splits.
+
+    A split's rows are numbered where they are read; what a split's first line is
+    follows from the numbers of lines of the splits before it, so a huge file is
+    many tasks and none has all of its lines.
+    """
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    splits = text.groupBy(F.col("file").alias("of"), F.col("start").alias("at")).agg(F.min("n").alias("first"), F.count("*").alias("lines"))
+    before = F.coalesce(F.sum("lines").over(Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = materialise(splits.withColumn("before", before).drop("lines"), "log-splits")
+    met = text.join(small(splits), (F.col("file") == F.col("of")) & (F.col("start") == F.col("at")))
+    return met.select("value", "file", (F.col("before") + F.col("n") - F.col("first") + 1).alias("line"))
+
+
 def read_log(spark: SparkSession, path: str, schema: str, allowed: Sequence[str], version: str) -> tuple[DataFrame, DataFrame]:
     """(rows, issues) of JSON lines, fail-closed: a bad line is an issue with its file and line.
 
     A line must be an object of the schema with known fields and this version.
     """
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("n"))
-    text = text.withColumn("line", F.row_number().over(Window.partitionBy("file").orderBy("n")))
+    text = numbered_lines(spark, path)
     parsed = text.withColumn("row", F.from_json("value", f"{schema}, schema_version string, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}))
     keys = F.json_object_keys("value")
     code = F.coalesce(

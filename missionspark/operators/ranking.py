@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .aggregates import order_statistics
 from .filters import geo_box, scene_filter, within_enu, within_metres
 
 #: Query vectors that go to the tasks at once; more are searched block by block.
@@ -128,7 +129,5 @@ def list_rows(df: DataFrame, mission_id, **equals) -> DataFrame:
 
 def nearest_rank(df: DataFrame, keys: list[str], value: str, share: float) -> DataFrame:
     """The percentile at rank ceil(share * n) of each key."""
-    rows = df.filter(F.col(value).isNotNull())
-    every = Window.partitionBy(*keys)
-    placed = rows.withColumn("place", F.row_number().over(every.orderBy(value))).withColumn("n", F.count("*").over(every))
-    return placed.filter(F.col("place") == F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("n")))).select(*keys, F.col(value).alias("percentile"), "n")
+    found = order_statistics(df, keys, value, {"rank": F.ceil(F.lit(share) * F.col("n"))})
+    return found.select(*keys, F.col("value").alias("percentile"), "n")

@@ -145,7 +145,9 @@ def s10(t):
     G.replace_run({"run": state(runs, "first"), "events": state(events, "first"), "edges": state(edges, "first")}, folder)
     few = runs.filter("run_id < 4")
     G.replace_run({"run": state(few, "second"), "events": state(events.filter("run_id < 4 and id % 2 = 0"), "second"), "edges": state(edges.filter("run_id < 0"), "second")}, folder)
-    read = lambda kind: t.spark.read.parquet(f"{folder}/{kind}")
+    # An attempt that is cut short before its commit changes nothing.
+    G.stage_run({"run": state(runs, "lost"), "events": state(events, "lost"), "edges": state(edges, "lost")}, folder, "lost")
+    read = lambda kind: G.read_runs(t.spark, folder, kind)
     parts = [read("run").withColumn("id", F.lit(None).cast("long"))] + [read(k) for k in ("events", "edges")]
     rows = [df.select(F.lit(k).alias("kind"), F.col("run_id").cast("long").alias("run_id"), "id", "state") for k, df in zip(("run", "events", "edges"), parts)]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])

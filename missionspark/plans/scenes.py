@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import aggregates as A
 from ..operators import cloud as C
 from ..operators import graph as V
+from ..operators import logs as G
 from ..operators import metrics as M
 from .registry import query
 
@@ -146,10 +147,27 @@ def v13(t):
     return V.screen_claims(claims, t("geometry").select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m"))
 
 
-@query("p9_run_rows", ["timeline"], """
-SELECT mission_id, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS run_id, count(*) AS events, count(*) FILTER (WHERE status = 'accepted') AS accepted, CAST(sum(n_evidence) AS BIGINT) AS evidence FROM timeline GROUP BY mission_id""")
+@query("p9_run_rows", ["missions", "timeline", "edges", "proposals"], """
+, m AS (SELECT mission_id, concat('{"coordinate_frame":{"calibration_id":', CASE WHEN mission_id % 3 = 0 THEN 'null' ELSE '"cal"' END, ',"metric_scale":"metric","name":"world"},"mission_id":"m-', mission_id, '","profile":"', status, '","schema_version":"1","supersedes_sha256":', CASE WHEN mission_id % 2 = 0 THEN concat('"sha256:', robot_id, '"') ELSE 'null' END, '}') AS manifest FROM missions WHERE mission_id % 5 <> 0),
+r AS (SELECT mission_id, sha256(manifest) AS run_id, status AS profile, CASE WHEN mission_id % 3 <> 0 THEN 'cal' END AS cal, CASE WHEN mission_id % 2 = 0 THEN robot_id END AS supersedes FROM m JOIN missions USING (mission_id))
+SELECT 'run' AS kind, run_id, CAST(mission_id AS VARCHAR) AS id, profile AS status, cal AS about, supersedes, CAST(NULL AS BIGINT) AS n FROM r
+UNION ALL SELECT 'events', run_id, CAST(event_id AS VARCHAR), status, type, NULL, n_evidence FROM timeline JOIN r USING (mission_id)
+UNION ALL SELECT 'edges', run_id, CAST(edge_id AS VARCHAR), status, predicate, NULL, NULL FROM edges JOIN r USING (mission_id)
+UNION ALL SELECT 'qa', run_id, CAST(proposal_id AS VARCHAR), status, claim_kind, NULL, NULL FROM proposals JOIN r USING (mission_id)""")
 def p9(t):
-    return V.run_rows(t("timeline"))
+    i, text = F.col("mission_id"), F.lit
+    manifest = F.concat(
+        text('{"coordinate_frame":{"calibration_id":'), F.when(i % 3 == 0, "null").otherwise('"cal"'), text(',"metric_scale":"metric","name":"world"},"mission_id":"m-'), i.cast("string"), text('","profile":"'), "status",
+        text('","schema_version":"1","supersedes_sha256":'), F.when(i % 2 == 0, F.concat(text('"sha256:'), "robot_id", text('"'))).otherwise("null"), text("}"),
+    )
+    manifests = t("missions").filter("mission_id % 5 <> 0").select("mission_id", manifest.alias("manifest"), F.lit("artifacts").alias("artifact_dir"))
+    events = t("timeline").withColumn("evidence", F.array_repeat(F.lit("x"), F.col("n_evidence").cast("int")))
+    found = G.run_tables(manifests, events, t("edges"), t("proposals"))
+    none = lambda kind: F.lit(None).cast(kind)
+    row = lambda kind, key, status, about, supersedes, n: found[kind].select(F.lit(kind).alias("kind"), "run_id", F.col(key).cast("string").alias("id"), F.col(status).alias("status"), F.col(about).alias("about"), supersedes.alias("supersedes"), n.cast("long").alias("n"))
+    parts = [row("run", "mission_id", "profile", "calibration_id", F.col("supersedes_run_id"), none("long")), row("events", "event_id", "status", "type", none("string"), F.col("evidence_count"))]
+    parts += [row("edges", "edge_id", "status", "predicate", none("string"), none("long")), row("qa", "proposal_id", "status", "claim_kind", none("string"), none("long"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 @query("u2_degradations", ["missions", "timeline"], """

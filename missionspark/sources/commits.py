@@ -32,6 +32,12 @@ def numbers(spark: SparkSession, root: str) -> list[int]:
     return sorted(int(n.split(".")[0]) for n in names if n.endswith(".json") and n[0] != "_")
 
 
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders right below ``root``."""
+    path, system = _files(spark, root)
+    return sorted(s.getPath().getName() for s in system.listStatus(path) if s.isDirectory()) if system.exists(path) else []
+
+
 def committed(spark: SparkSession, root: str) -> dict | None:
     """What was published last."""
     known = numbers(spark, root)
