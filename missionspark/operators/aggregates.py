@@ -179,13 +179,25 @@ def retrain_due(frames: DataFrame, jobs: DataFrame, watermark: int, least: int =
     return row.join(F.broadcast(active)).withColumn("due", (F.col("annotated") >= least) & (F.col("fresh") >= fresh) & (F.col("active") == 0))  # one row each
 
 
-def mission_summary(tracks: DataFrame, events: DataFrame, geometry: DataFrame) -> DataFrame:
-    """Tracks, observations, accepted events, samples and scale of each mission."""
-    by_track = tracks.groupBy("mission_id").agg(F.countDistinct("track_id").alias("tracks"), F.count("*").alias("observations"))
+def mission_summary(tracks: DataFrame, events: DataFrame, geometry: DataFrame, runs: DataFrame) -> DataFrame:
+    """One row a run (mission_id, profile, metric_scale, degradations): tracks, observations by label, accepted events, samples, scale, stages that degraded.
+
+    The accepted events themselves are the rows of ``events``, one document of all
+    of them isn't made.  A run without a manifest has no scale: it is unavailable.
+    """
+    by_label = tracks.groupBy("mission_id", "label").agg(F.count("*").alias("n"))
+    labels = by_label.groupBy("mission_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n")))).alias("labels"), F.sum("n").alias("observations"))
+    by_track = tracks.groupBy("mission_id").agg(F.countDistinct("track_id").alias("tracks"))
     by_event = events.filter("status = 'accepted'").groupBy("mission_id").agg(F.count("*").alias("accepted_events"))
-    by_sample = geometry.groupBy("mission_id").agg(F.count("*").alias("samples"), F.min("metric_scale").alias("scale"))
-    found = by_track.join(by_event, "mission_id", "left").join(by_sample, "mission_id", "left")
-    return found.select("mission_id", "tracks", "observations", F.coalesce("accepted_events", F.lit(0)).alias("accepted_events"), F.coalesce("samples", F.lit(0)).alias("samples"), "scale")
+    by_sample = geometry.groupBy("mission_id").agg(F.count("*").alias("samples"))
+    found = runs.select("mission_id", "profile", "metric_scale", "degradations")
+    for part in (by_track, labels, by_event, by_sample):
+        found = found.join(part, "mission_id", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select(
+        "mission_id", "profile", none("tracks"), none("observations"), F.coalesce("labels", F.create_map().cast("map<string,bigint>")).alias("labels"), none("accepted_events"), none("samples"), F.coalesce("metric_scale", F.lit("unavailable")).alias("metric_scale"),
+        F.array_sort(F.array_distinct(F.coalesce("degradations", F.array().cast("array<string>")))).alias("degradations"),
+    )
 
 
 def count_disagreement(tracks: DataFrame, counts: DataFrame) -> DataFrame:

@@ -20,21 +20,44 @@ def millis(t: Column) -> Column:
     return F.lpad(F.bround(t * 1000, 0).cast("bigint").cast("string"), 7, "0")
 
 
-def edge_deltas(samples: DataFrame, with_motion: bool = True) -> DataFrame:
+def edge_deltas(samples: DataFrame, with_motion: bool = True, tracks: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Edges of the scene graph with ids: relation intervals and motion."""
-    found = relation_intervals(samples)
+    found = relation_intervals(samples, tracks, regions)
     if with_motion:
         moved = motion_edges(samples).select("mission_id", "subject_id", F.lit("relative_motion").alias("predicate"), "object_id", F.lit("").alias("band"), "start_sec", "end_sec", "evidence_id")
         found = found.unionByName(moved)
     return found.withColumn("edge_id", F.concat_ws("-", F.lit("edge"), "predicate", "subject_id", "object_id", millis(F.col("start_sec"))))
 
 
-def node_deltas(tracks: DataFrame, samples: DataFrame) -> DataFrame:
-    """Nodes: the first time of each subject, its last label, and whether it is tracked."""
-    by_track = tracks.groupBy("mission_id", F.col("track_id").alias("node_id")).agg(F.min("t_sec").alias("t0"), F.max_by("label", "t_sec").alias("label"))
+def node_deltas(tracks: DataFrame, samples: DataFrame, regions: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """Nodes (mission_id, node_id, delta_id, op, t_sec, kind, label, track_id, supersedes).
+
+    A track's node comes at its first observation with the label of its last one,
+    any other subject's at its first sample.  ``regions`` (mission_id, region_id)
+    are regions, and so is what is no track.  A node whose track is linked
+    (mission_id, track_id, linked) supersedes that track's node if it came before.
+    """
+    last = F.max(F.struct("t_sec", "observation_id", "label"))
+    by_track = tracks.groupBy("mission_id", F.col("track_id").alias("node_id")).agg(F.min("t_sec").alias("t0"), last.alias("last"))
     by_sample = samples.groupBy("mission_id", F.col("subject_id").alias("node_id")).agg(F.min("t_sec").alias("g0"))
-    both = by_track.join(by_sample, ["mission_id", "node_id"], "full")
-    return both.select("mission_id", "node_id", F.least("t0", "g0").alias("t_sec"), F.when(F.col("t0").isNotNull(), "track").otherwise("region").alias("kind"), F.coalesce("label", "node_id").alias("label"))
+    both = by_track.join(by_sample, ["mission_id", "node_id"], "full").withColumn("t_sec", F.coalesce("t0", "g0"))
+    kind = F.when(F.col("t0").isNull(), "region")
+    if regions is not None:
+        named = regions.select(F.col("mission_id").alias("rm"), F.col("region_id").alias("r")).distinct()
+        both = both.join(named, (F.col("mission_id") == F.col("rm")) & (F.col("node_id") == F.col("r")), "left")
+        kind = kind.when(F.col("r").isNotNull(), "region")
+    supersedes = F.lit(None).cast("string")
+    if links is not None:
+        first = both.select(F.col("mission_id").alias("fm"), F.col("node_id").alias("f"), F.col("t_sec").alias("f_t"))
+        one = links.select(F.col("mission_id").alias("lm"), F.col("track_id").alias("l"), "linked").join(first, (F.col("lm") == F.col("fm")) & (F.col("linked") == F.col("f")))
+        both = both.join(one, (F.col("mission_id") == F.col("lm")) & (F.col("node_id") == F.col("l")), "left")
+        before = F.struct(F.col("f_t"), F.col("f")) < F.struct(F.col("t_sec"), F.col("node_id"))
+        supersedes = F.when(before, F.concat(F.lit("delta-node-"), "linked"))
+    rows = both.withColumn("supersedes", supersedes)
+    return rows.select(
+        "mission_id", "node_id", F.concat(F.lit("delta-node-"), "node_id").alias("delta_id"), F.when(F.col("supersedes").isNotNull(), "supersede").otherwise("add").alias("op"), "t_sec", kind.otherwise("track").alias("kind"),
+        F.coalesce("last.label", "node_id").alias("label"), F.when(F.col("t0").isNotNull(), F.col("node_id")).alias("track_id"), "supersedes",
+    )
 
 
 def edge_events(edges: DataFrame, samples: DataFrame, regions: DataFrame) -> DataFrame:

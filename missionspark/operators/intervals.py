@@ -40,20 +40,39 @@ def predicates(left: str = "l_", right: str = "r_") -> dict[str, Column]:
     }
 
 
-def relations(samples: DataFrame) -> DataFrame:
+def seen(samples: DataFrame, tracks: DataFrame, regions: DataFrame | None = None) -> DataFrame:
+    """Samples with ``seen`` (their subject is a track, active at the sample's time) and ``region``.
+
+    Regions (mission_id, region_id) are those named, and subjects that are no track.
+    """
+    active = tracks.filter(F.col("state").isin(*ACTIVE)).select(F.col("mission_id").alias("am"), F.col("track_id").alias("a"), F.bround("t_sec", 6).alias("a_at")).distinct()
+    known = tracks.select(F.col("mission_id").alias("tm"), F.col("track_id").alias("t")).distinct()
+    rows = samples.join(active, (F.col("mission_id") == F.col("am")) & (F.col("subject_id") == F.col("a")) & (F.bround("t_sec", 6) == F.col("a_at")), "left")
+    rows = rows.join(known, (F.col("mission_id") == F.col("tm")) & (F.col("subject_id") == F.col("t")), "left")
+    region = F.col("t").isNull()
+    if regions is not None:
+        named = regions.select(F.col("mission_id").alias("rm"), F.col("region_id").alias("r")).distinct()
+        rows = rows.join(named, (F.col("mission_id") == F.col("rm")) & (F.col("subject_id") == F.col("r")), "left")
+        region = region | F.col("r").isNotNull()
+    return rows.select(*samples.columns, F.col("a").isNotNull().alias("seen"), region.alias("region"))
+
+
+def relations(samples: DataFrame, tracks: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Predicates that hold between two subjects at one time.
 
     (mission_id, at, l_subject_id, r_subject_id, predicate, band, sample_id, tick,
     next_at): tick numbers the pair's co-times, next_at is the following one.
     Symmetric ones are given once, metric ones where both samples are metric.
+    With ``tracks``, an active track is visible from a region, see :func:`seen`.
     """
+    samples = samples if tracks is None else seen(samples, tracks, regions)
     distance = distance_3d(tuple(F.col(f"l_c{a}") for a in "xyz"), tuple(F.col(f"r_c{a}") for a in "xyz"))
     metric = (F.col("l_metric_scale") == "metric") & (F.col("r_metric_scale") == "metric")
     once = F.col("l_subject_id") < F.col("r_subject_id")
     holds = {p: c & (once if p in SYMMETRIC else F.lit(True)) & (metric if p in METRIC else F.lit(True)) for p, c in predicates().items()}
     band = F.coalesce(*[F.when((distance >= low) & (distance <= high), F.lit(f"{low:.3f}-{high:.3f}")) for low, high in BANDS])
     none = F.lit("")
-    found = F.array(*[F.when(c, F.struct(F.lit(p).alias("predicate"), none.alias("band"))) for p, c in holds.items()], F.when(once & metric & band.isNotNull(), F.struct(F.lit("distance_band").alias("predicate"), band.alias("band"))))
+    found = F.array(*[F.when(c, F.struct(F.lit(p).alias("predicate"), none.alias("band"))) for p, c in holds.items()], F.when(once & metric & band.isNotNull(), F.struct(F.lit("distance_band").alias("predicate"), band.alias("band"))), *([] if tracks is None else [F.when(F.col("l_seen") & F.col("r_region"), F.struct(F.lit("visible").alias("predicate"), none.alias("band")))]))
     order = Window.partitionBy("l_mission_id", "l_subject_id", "r_subject_id").orderBy("l_at")
     pairs = cotime_pairs(samples).withColumn("tick", F.row_number().over(order)).withColumn("next_at", F.lead("l_at").over(order))
     return pairs.select(
@@ -61,14 +80,14 @@ def relations(samples: DataFrame) -> DataFrame:
     ).select("mission_id", "at", "l_subject_id", "r_subject_id", "sample_id", "f.predicate", "f.band", "tick", "next_at")
 
 
-def relation_intervals(samples: DataFrame) -> DataFrame:
+def relation_intervals(samples: DataFrame, tracks: DataFrame | None = None, regions: DataFrame | None = None) -> DataFrame:
     """Relations over time: runs of co-times at which one predicate (and band) holds.
 
     A run ends at the pair's first co-time at which it doesn't hold, or a second
     after the pair's last co-time.  The run's last sample is the evidence.
     """
     pair = ["mission_id", "l_subject_id", "r_subject_id"]
-    held = relations(samples)
+    held = relations(samples, tracks, regions)
     run = Window.partitionBy(*pair, "predicate", "band").orderBy("tick")
     # Successive ticks minus successive numbers are constant inside a run.
     held = held.withColumn("run", F.col("tick") - F.row_number().over(run))

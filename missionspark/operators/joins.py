@@ -293,10 +293,40 @@ def answer_evidence(answers: DataFrame, events: DataFrame) -> DataFrame:
 
 
 def precheck(files: DataFrame, processed: DataFrame) -> DataFrame:
-    """Incoming files by what is known of their digest: new, or done before."""
-    known = processed.groupBy(F.col("digest").alias("known")).agg(F.max("size").alias("known_size"), F.count("*").alias("times"))
-    met = files.join(known, F.col("digest") == F.col("known"), "left")
-    return met.withColumn("state", F.when(F.col("known").isNull(), "new").when(F.col("known_size") == F.col("size"), "processed").otherwise("changed")).drop("known")
+    """Incoming files (file_id, digest, url, size) against processed ones (id, digest, url, size, updated_at).
+
+    (file_id, status, reason, existing): a file is looked up by its digest, if it
+    has none by its url, and else by its size, where the latest of that size
+    counts; one of which nothing is known can't be looked up.
+    """
+    latest = F.max(F.struct("updated_at", "id")).getField("id")
+    rows = files
+    for key in ("digest", "url", "size"):
+        known = processed.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias(f"of_{key}")).agg(latest.alias(f"by_{key}"))
+        rows = rows.join(known, F.col(key) == F.col(f"of_{key}"), "left")
+    reason = F.when(F.col("digest").isNotNull(), "hash").when(F.col("url").isNotNull(), "url").when(F.col("size").isNotNull(), "size").otherwise("hash_failed")
+    existing = F.when(reason == "hash", F.col("by_digest")).when(reason == "url", F.col("by_url")).when(reason == "size", F.col("by_size"))
+    status = F.when(reason == "hash_failed", "error").when(existing.isNotNull(), "duplicate").otherwise("new")
+    return rows.select("file_id", status.alias("status"), reason.alias("reason"), existing.alias("existing"))
+
+
+def both_names(rows: DataFrame, column: str, aliases: DataFrame) -> DataFrame:
+    """Rows under the name in a column and, once more, under its alias: of (mission_id, node_id, track_id) each names the other."""
+    pair = aliases.filter("track_id is not null and node_id <> track_id").select(F.col("mission_id").alias("alias_m"), "node_id", "track_id").distinct()
+    other = pair.select("alias_m", F.col("node_id").alias("alias_of"), F.col("track_id").alias("alias")).unionByName(pair.select("alias_m", F.col("track_id").alias("alias_of"), F.col("node_id").alias("alias")))
+    met = rows.join(other, (F.col("mission_id") == F.col("alias_m")) & (F.col(column) == F.col("alias_of")))
+    return rows.unionByName(met.withColumn(column, F.col("alias")).select(*rows.columns))
+
+
+def supported_claims(claims: DataFrame, events: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Claims (claim_id, mission_id, subject_id, start_sec, end_sec) that an accepted event with evidence bears out: (claim_id).
+
+    Its interval overlaps the claim's, and a participant is the subject, as a node or as a track.
+    """
+    held = events.filter("status = 'accepted' and n_evidence > 0").select("mission_id", F.explode("participants").alias("subject_id"), "start_sec", "end_sec")
+    asked = claims.filter("start_sec is not null and end_sec is not null and subject_id is not null").select("claim_id", "mission_id", "subject_id", "start_sec", "end_sec")
+    met = overlaps(both_names(asked, "subject_id", aliases), both_names(held, "subject_id", aliases), ["mission_id", "subject_id"], how="left_semi")
+    return met.select("claim_id").distinct()
 
 
 def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None = None, least_cosine: float = 0.85, least_gap: float = 2.0) -> DataFrame:

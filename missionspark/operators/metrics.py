@@ -235,6 +235,15 @@ def mask_quality(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return rows.groupBy("mission_id").agg(F.round(F.avg(j), 6).alias("j"), F.round(F.avg(f), 6).alias("f"))
 
 
-def roll_up(metrics: DataFrame, means: Sequence[str], sums: Sequence[str] = (), maxima: Sequence[str] = ()) -> DataFrame:
-    """One row over all missions: means of the defined values, sums and maxima."""
-    return metrics.agg(F.count("*").alias("missions"), *[F.round(F.avg(c), 6).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(f"max_{c}") for c in maxima])
+def roll_up(metrics: DataFrame, means: Sequence[str], sums: Sequence[str] = (), maxima: Sequence[str] = (), required: Sequence[str] = ()) -> DataFrame:
+    """One row over all valid missions: means of the defined values, sums, maxima, and the required conditions that no mission covers.
+
+    ``metrics`` has one row a mission; ``valid`` and ``conditions`` (an array) are optional.
+    """
+    rows = metrics.filter("valid") if "valid" in metrics.columns else metrics
+    met = F.flatten(F.collect_set("conditions")) if "conditions" in rows.columns else F.array().cast("array<string>")
+    missing = F.array_sort(F.array_except(F.array(*map(F.lit, required)).cast("array<string>"), met)).alias("missing")
+    if "conditions" in rows.columns:  # only those asked for, so that a mission adds few
+        wanted = F.array(*map(F.lit, required)).cast("array<string>")
+        rows = rows.withColumn("conditions", F.array_sort(F.array_intersect(F.coalesce("conditions", wanted), F.when(F.col("conditions").isNull(), F.array().cast("array<string>")).otherwise(wanted))))
+    return rows.agg(F.count("*").alias("missions"), *[F.round(F.avg(c), 6).alias(c) for c in means], *[F.sum(c).alias(c) for c in sums], *[F.max(c).alias(f"max_{c}") for c in maxima], missing)

@@ -49,21 +49,31 @@ def j1(t):
     return J.cotime_pairs(t("geometry")).select("l_sample_id", "r_sample_id")
 
 
-@query("j2_relations", ["geometry"], RELATIONS + " SELECT mission_id, at_sec, l AS subject_id, predicate, r AS object_id, band FROM rel")
+#: With what is visible from regions: 's1', which is no track here, and 's2' of some missions.
+SEEN = RELATIONS[:-1] + """
+  UNION ALL SELECT p.mission_id, at_sec, l, r, sample_id, 'visible', '' FROM pairs p JOIN (SELECT DISTINCT mission_id, track_id, round_even(t_sec, 6) AS t FROM tracks WHERE state IN ('tentative', 'confirmed', 'occluded') AND track_id <> 's1') k ON k.mission_id = p.mission_id AND k.track_id = l AND k.t = round_even(at_sec, 6)
+    WHERE r = 's1' OR r = 's2' AND p.mission_id % 3 = 0)"""
+
+
+def _looks(t):
+    return t("tracks").filter("track_id <> 's1'"), t("tracks").filter("mission_id % 3 = 0").select("mission_id", F.lit("s2").alias("region_id"))
+
+
+@query("j2_relations", ["geometry", "tracks"], SEEN + " SELECT mission_id, at_sec, l AS subject_id, predicate, r AS object_id, band FROM rel")
 def j2(t):
-    return W.relations(t("geometry")).select("mission_id", F.col("at").alias("at_sec"), F.col("l_subject_id").alias("subject_id"), "predicate", F.col("r_subject_id").alias("object_id"), "band")
+    return W.relations(t("geometry"), *_looks(t)).select("mission_id", F.col("at").alias("at_sec"), F.col("l_subject_id").alias("subject_id"), "predicate", F.col("r_subject_id").alias("object_id"), "band")
 
 
-@query("w2_relation_intervals", ["geometry"], RELATIONS + """
+@query("w2_relation_intervals", ["geometry", "tracks"], SEEN + """
 , ticks AS (SELECT mission_id, l, r, at_sec, row_number() OVER w AS tick, lead(at_sec) OVER w AS next_at FROM (SELECT DISTINCT mission_id, l, r, at_sec FROM pairs) WINDOW w AS (PARTITION BY mission_id, l, r ORDER BY at_sec)),
 held AS (SELECT rel.*, tick, next_at, tick - row_number() OVER (PARTITION BY rel.mission_id, rel.l, rel.r, predicate, band ORDER BY tick) AS run FROM rel JOIN ticks ON rel.mission_id = ticks.mission_id AND rel.l = ticks.l AND rel.r = ticks.r AND rel.at_sec = ticks.at_sec)
 SELECT mission_id, l AS subject_id, predicate, r AS object_id, band, min(at_sec) AS start_sec, coalesce(arg_max_null(next_at, at_sec), max(at_sec) + 1) AS end_sec, arg_max(sample_id, at_sec) AS evidence_id
 FROM held GROUP BY mission_id, l, r, predicate, band, run""")
 def w2(t):
-    return W.relation_intervals(t("geometry"))
+    return W.relation_intervals(t("geometry"), *_looks(t))
 
 
-@query("v2_edge_ids", ["geometry"], RELATIONS + """
+@query("v2_edge_ids", ["geometry", "tracks"], SEEN + """
 , ticks AS (SELECT mission_id, l, r, at_sec, row_number() OVER w AS tick FROM (SELECT DISTINCT mission_id, l, r, at_sec FROM pairs) WINDOW w AS (PARTITION BY mission_id, l, r ORDER BY at_sec)),
 held AS (SELECT rel.*, tick - row_number() OVER (PARTITION BY rel.mission_id, rel.l, rel.r, predicate, band ORDER BY tick) AS run FROM rel JOIN ticks ON rel.mission_id = ticks.mission_id AND rel.l = ticks.l AND rel.r = ticks.r AND rel.at_sec = ticks.at_sec)
 SELECT mission_id, concat('edge-', predicate, '-', l, '-', r, '-', lpad(CAST(CAST(round_even(min(at_sec) * 1000, 0) AS BIGINT) AS VARCHAR), 7, '0')) AS edge_id, arg_max(sample_id, at_sec) AS evidence_id
@@ -71,7 +81,7 @@ FROM held GROUP BY mission_id, l, r, predicate, band, run""")
 def v2(t):
     from ..operators.graph import edge_deltas
 
-    return edge_deltas(t("geometry"), with_motion=False).select("mission_id", "edge_id", "evidence_id")
+    return edge_deltas(t("geometry"), False, *_looks(t)).select("mission_id", "edge_id", "evidence_id")
 
 
 @query("w6_motion_edges", ["geometry"], """
@@ -175,10 +185,14 @@ def j6(t):
 
 
 @query("j6_supported_claims", ["proposals", "timeline"], """
-SELECT proposal_id FROM proposals p WHERE claim_kind = 'action' AND EXISTS (SELECT 1 FROM timeline e WHERE e.mission_id = p.mission_id AND e.participant = p.subject_id AND e.status = 'accepted' AND p.start_sec < e.end_sec AND e.start_sec < p.end_sec)""")
+, e AS (SELECT *, CASE WHEN event_id % 3 = 0 THEN replace(participant, 's', 'n') ELSE participant END AS who FROM timeline WHERE status = 'accepted' AND n_evidence > 0)
+SELECT proposal_id FROM proposals p WHERE claim_kind = 'action' AND EXISTS (SELECT 1 FROM e WHERE e.mission_id = p.mission_id AND (e.who = p.subject_id OR e.who = replace(p.subject_id, 's', 'n') AND p.mission_id % 2 = 0) AND p.start_sec < e.end_sec AND e.start_sec < p.end_sec)""")
 def j6_semi(t):
-    events = t("timeline").filter("status = 'accepted'").withColumnRenamed("participant", "subject_id")
-    return J.overlaps(t("proposals").filter("claim_kind = 'action'"), events, ["mission_id", "subject_id"], how="left_semi").select("proposal_id")
+    who = F.when(F.col("event_id") % 3 == 0, F.regexp_replace("participant", "s", "n")).otherwise(F.col("participant"))
+    events = t("timeline").withColumn("participants", F.array(who, F.lit("other")))
+    aliases = t("proposals").filter("mission_id % 2 = 0").select("mission_id", F.regexp_replace("subject_id", "s", "n").alias("node_id"), F.col("subject_id").alias("track_id")).distinct()
+    claims = t("proposals").filter("claim_kind = 'action'").withColumnRenamed("proposal_id", "claim_id")
+    return J.supported_claims(claims, events, aliases).withColumnRenamed("claim_id", "proposal_id")
 
 
 @query("j7_superseded_events", ["timeline"], """
@@ -355,11 +369,18 @@ def j19_answers(t):
 
 
 @query("j20_precheck", [], """
-WITH f AS (SELECT event_id AS file_id, md5(event_type || CAST(user_id % 40 AS VARCHAR)) AS digest, user_id % 10 AS size FROM events), p AS (SELECT digest, max(size) AS known_size, count(*) AS times FROM f WHERE file_id % 4 = 0 GROUP BY digest)
-SELECT file_id, CASE WHEN p.digest IS NULL THEN 'new' WHEN known_size = size THEN 'processed' ELSE 'changed' END AS state, times FROM f LEFT JOIN p USING (digest) WHERE file_id % 4 <> 0""")
+WITH f AS (SELECT event_id AS file_id, CASE WHEN event_id % 5 < 2 THEN md5(event_type || CAST(user_id % 40 AS VARCHAR)) END AS digest, CASE WHEN event_id % 5 < 3 THEN concat('u', user_id % 60) END AS url, CASE WHEN event_id % 5 < 4 THEN CAST(user_id % 50 AS BIGINT) END AS size, ts FROM events),
+p AS (SELECT event_id AS id, md5(event_type || CAST(user_id % 40 AS VARCHAR)) AS digest, concat('u', user_id % 60) AS url, CAST(user_id % 50 AS BIGINT) AS size, ts FROM events WHERE event_id % 60 = 0),
+r AS (SELECT file_id, CASE WHEN digest IS NOT NULL THEN 'hash' WHEN url IS NOT NULL THEN 'url' WHEN size IS NOT NULL THEN 'size' ELSE 'hash_failed' END AS reason, digest, url, size FROM f WHERE file_id % 60 <> 0),
+x AS (SELECT file_id, reason, CASE reason WHEN 'hash' THEN d.id WHEN 'url' THEN u.id WHEN 'size' THEN z.id END AS existing FROM r LEFT JOIN (SELECT digest, arg_max(id, (ts, id)) AS id FROM p GROUP BY 1) d USING (digest) LEFT JOIN (SELECT url, arg_max(id, (ts, id)) AS id FROM p GROUP BY 1) u USING (url) LEFT JOIN (SELECT size, arg_max(id, (ts, id)) AS id FROM p GROUP BY 1) z USING (size))
+SELECT file_id, CASE WHEN reason = 'hash_failed' THEN 'error' WHEN existing IS NOT NULL THEN 'duplicate' ELSE 'new' END AS status, reason, existing FROM x""")
 def j20(t):
-    files = t.raw("events").select(F.col("event_id").alias("file_id"), F.md5(F.concat("event_type", (F.col("user_id") % 40).cast("string"))).alias("digest"), (F.col("user_id") % 10).alias("size"))
-    return J.precheck(files.filter("file_id % 4 <> 0"), files.filter("file_id % 4 = 0")).select("file_id", "state", "times")
+    i, u = F.col("event_id"), F.col("user_id")
+    digest, url, size = F.md5(F.concat("event_type", (u % 40).cast("string"))), F.concat(F.lit("u"), u % 60), (u % 50).cast("long")
+    some = lambda c, below: F.when(i % 5 < below, c)
+    files = t.raw("events").filter("event_id % 60 <> 0").select(i.alias("file_id"), some(digest, 2).alias("digest"), some(url, 3).alias("url"), some(size, 4).alias("size"))
+    processed = t.raw("events").filter("event_id % 60 = 0").select(i.alias("id"), digest.alias("digest"), url.alias("url"), size.alias("size"), F.col("ts").alias("updated_at"))
+    return J.precheck(files, processed)
 
 
 @query("j21_link_identities", ["points"], """
@@ -631,10 +652,18 @@ def m12(t):
     return M.qa_accuracy(answers, e.select(F.col("event_id").alias("qa_id"), (F.col("event_id") % 3).cast("string").alias("answer")))
 
 
-@query("m13_roll_up", ["tracks", "truth"], """
+@query("m13_roll_up", ["tracks", "truth", "geometry"], """
 , c AS (SELECT mission_id, t_sec, label, count(*) AS n FROM truth GROUP BY ALL), a AS (SELECT mission_id, t_sec, label, count(*) AS n FROM tracks WHERE state IN ('tentative', 'confirmed') GROUP BY ALL),
-m AS (SELECT mission_id, round(avg(abs(coalesce(a.n, 0) - c.n)), 6) AS mae FROM c LEFT JOIN a USING (mission_id, t_sec, label) GROUP BY mission_id)
-SELECT count(*) AS missions, round(avg(mae), 4) AS mae, max(mae) AS max_mae FROM m""")
+m AS (SELECT mission_id, round(avg(abs(coalesce(a.n, 0) - c.n)), 6) AS count_mae FROM c LEFT JOIN a USING (mission_id, t_sec, label) GROUP BY mission_id),
+g AS (SELECT mission_id, avg(depth_m) AS depth_error, count(*) AS identity_switches, max(t_sec) AS queue_depth FROM geometry WHERE ex < 3 GROUP BY 1),
+t AS (SELECT DISTINCT mission_id, state FROM tracks)
+SELECT count(*) AS missions, round(avg(count_mae), 4) AS count_mae, round(avg(depth_error), 4) AS depth_error, CAST(sum(identity_switches) AS BIGINT) AS identity_switches, max(queue_depth) AS max_queue_depth,
+  (SELECT string_agg(w, ',' ORDER BY w) FROM (SELECT unnest(['occluded', 'lost', 'camera_cut', 'empty']) AS w) WHERE w NOT IN (SELECT state FROM t WHERE mission_id % 4 <> 0)) AS missing
+FROM m LEFT JOIN g USING (mission_id) WHERE mission_id % 4 <> 0""")
 def m13(t):
-    per = M.count_mae(t("tracks"), t("truth").groupBy("mission_id", "t_sec", "label").agg(F.count("*").alias("count")))
-    return M.roll_up(per, ["mae"], maxima=["mae"]).select("missions", F.round("mae", 4).alias("mae"), "max_mae")
+    per = M.count_mae(t("tracks"), t("truth").groupBy("mission_id", "t_sec", "label").agg(F.count("*").alias("count"))).withColumnRenamed("mae", "count_mae")
+    more = t("geometry").filter("ex < 3").groupBy("mission_id").agg(F.avg("depth_m").alias("depth_error"), F.count("*").alias("identity_switches"), F.max("t_sec").alias("queue_depth"))
+    states = t("tracks").groupBy("mission_id").agg(F.collect_set("state").alias("conditions"))
+    metrics = per.join(more, "mission_id", "left").join(states, "mission_id", "left").withColumn("valid", F.col("mission_id") % 4 != 0)
+    row = M.roll_up(metrics, ["count_mae", "depth_error"], ["identity_switches"], ["queue_depth"], ["occluded", "lost", "camera_cut", "empty"])
+    return row.select("missions", F.round("count_mae", 4).alias("count_mae"), F.round("depth_error", 4).alias("depth_error"), "identity_switches", "max_queue_depth", F.array_join("missing", ",").alias("missing"))

@@ -13,10 +13,15 @@ from .registry import query
 
 
 @query("v1_node_deltas", ["tracks", "geometry"], """
-, a AS (SELECT mission_id, track_id AS node_id, min(t_sec) AS t0, arg_max(label, t_sec) AS label FROM tracks WHERE confidence > 0.3 GROUP BY ALL), b AS (SELECT mission_id, subject_id AS node_id, min(t_sec) AS g0 FROM geometry GROUP BY ALL)
-SELECT mission_id, node_id, least(t0, g0) AS t_sec, CASE WHEN t0 IS NOT NULL THEN 'track' ELSE 'region' END AS kind, coalesce(label, node_id) AS label FROM a FULL JOIN b USING (mission_id, node_id)""")
+, a AS (SELECT mission_id, track_id AS node_id, min(t_sec) AS t0, arg_max(label, (t_sec, observation_id)) AS label FROM tracks WHERE confidence > 0.3 GROUP BY ALL), b AS (SELECT mission_id, subject_id AS node_id, min(t_sec) AS g0 FROM geometry GROUP BY ALL),
+n AS (SELECT mission_id, node_id, coalesce(t0, g0) AS t_sec, CASE WHEN t0 IS NULL OR node_id = 's4' AND mission_id % 3 = 0 THEN 'region' ELSE 'track' END AS kind, coalesce(label, node_id) AS label, CASE WHEN t0 IS NOT NULL THEN node_id END AS track_id FROM a FULL JOIN b USING (mission_id, node_id)),
+l AS (SELECT n.*, CASE WHEN (o.t_sec, o.node_id) < (n.t_sec, n.node_id) THEN concat('delta-node-', o.node_id) END AS supersedes FROM n LEFT JOIN n o ON o.mission_id = n.mission_id AND n.mission_id % 2 = 0 AND n.track_id IN ('s2', 's3') AND o.node_id = CASE n.track_id WHEN 's2' THEN 's1' ELSE 's5' END)
+SELECT mission_id, node_id, concat('delta-node-', node_id) AS delta_id, CASE WHEN supersedes IS NULL THEN 'add' ELSE 'supersede' END AS op, t_sec, kind, label, track_id, supersedes FROM l""")
 def v1(t):
-    return V.node_deltas(t("tracks").filter("confidence > 0.3"), t("geometry"))
+    tracks = t("tracks").filter("confidence > 0.3")
+    regions = t("geometry").filter("mission_id % 3 = 0").select("mission_id", F.lit("s4").alias("region_id"))
+    links = tracks.filter("mission_id % 2 = 0 and track_id in ('s2', 's3')").select("mission_id", "track_id", F.when(F.col("track_id") == "s2", "s1").otherwise("s5").alias("linked")).distinct()
+    return V.node_deltas(tracks, t("geometry"), regions, links)
 
 
 @query("v3_edge_events", ["edges", "geometry"], """

@@ -282,10 +282,14 @@ def a17(t):
 
 
 @query("a18_retrain_due", ["frames", "jobs"], """
-, r AS (SELECT count(*) FILTER (WHERE al_tag = 'annotated') AS annotated, count(*) FILTER (WHERE al_tag = 'annotated') - 120 AS fresh FROM frames), j AS (SELECT count(*) FILTER (WHERE type = 'supervised_finetune' AND status IN ('pending', 'running')) AS active FROM jobs)
-SELECT annotated, fresh, active, annotated >= 50 AND fresh >= 100 AND active = 0 AS due FROM r, j""")
+, r AS (SELECT count(*) FILTER (WHERE al_tag = 'annotated') AS annotated, count(*) FILTER (WHERE al_tag = 'annotated') - 120 AS fresh FROM frames),
+j AS (SELECT c, count(*) FILTER (WHERE type = 'supervised_finetune' AND CASE WHEN job_id % 3 = 1 THEN 'pending' WHEN job_id % 3 = 2 THEN 'running' ELSE status END IN ('pending', 'running') AND (c = 'busy' OR status = 'none')) AS active FROM jobs, (SELECT unnest(['busy', 'calm']) AS c) GROUP BY c)
+SELECT c AS state, annotated, fresh, active, annotated >= 50 AND fresh >= 100 AND active = 0 AS due FROM r, j""")
 def a18(t):
-    return A.retrain_due(t("frames"), t("jobs"), 120)
+    jobs = t("jobs").withColumn("status", F.when(F.col("job_id") % 3 == 1, "pending").when(F.col("job_id") % 3 == 2, "running").otherwise(F.col("status")))
+    found = {"busy": A.retrain_due(t("frames"), jobs, 120), "calm": A.retrain_due(t("frames"), t("jobs"), 120)}
+    busy, calm = (df.select(F.lit(name).alias("state"), "*") for name, df in found.items())
+    return busy.unionByName(calm)
 
 
 @query("a20_mission_report", ["frames"], """
@@ -304,13 +308,19 @@ def a21(t):
     return A.count_disagreement(t("tracks"), counts).select("mission_id", "t_sec", "label", "counted", "active", "off")
 
 
-@query("a22_mission_summary", ["tracks", "timeline", "geometry"], """
-, k AS (SELECT mission_id, count(DISTINCT track_id) AS tracks, count(*) AS observations FROM tracks GROUP BY 1),
-e AS (SELECT mission_id, count(*) AS accepted_events FROM timeline WHERE status = 'accepted' GROUP BY 1),
-g AS (SELECT mission_id, count(*) AS samples, min(metric_scale) AS scale FROM geometry GROUP BY 1)
-SELECT mission_id, tracks, observations, coalesce(accepted_events, 0) AS accepted_events, coalesce(samples, 0) AS samples, scale FROM k LEFT JOIN e USING (mission_id) LEFT JOIN g USING (mission_id)""")
+@query("a22_mission_summary", ["missions", "tracks", "timeline", "geometry"], """
+, n AS (SELECT mission_id, label, count(*) AS n FROM tracks GROUP BY ALL), h AS (SELECT mission_id, string_agg(concat(label, '=', n), ',' ORDER BY label) AS labels FROM n GROUP BY 1),
+k AS (SELECT mission_id, count(DISTINCT track_id) AS tracks, count(*) AS observations FROM tracks GROUP BY 1), e AS (SELECT mission_id, count(*) AS accepted_events FROM timeline WHERE status = 'accepted' GROUP BY 1), g AS (SELECT mission_id, count(*) AS samples FROM geometry GROUP BY 1)
+SELECT mission_id, status AS profile, coalesce(tracks, 0) AS tracks, coalesce(observations, 0) AS observations, coalesce(labels, '') AS labels, coalesce(accepted_events, 0) AS accepted_events, coalesce(samples, 0) AS samples,
+  CASE WHEN mission_id % 5 = 0 THEN 'unavailable' WHEN mission_id % 2 = 0 THEN 'metric' ELSE 'relative' END AS metric_scale, CASE mission_id % 3 WHEN 0 THEN '' WHEN 1 THEN 'depth' ELSE 'depth,mask' END AS degradations
+FROM missions LEFT JOIN h USING (mission_id) LEFT JOIN k USING (mission_id) LEFT JOIN e USING (mission_id) LEFT JOIN g USING (mission_id)""")
 def a22(t):
-    return A.mission_summary(t("tracks"), t("timeline"), t("geometry"))
+    i, word = F.col("mission_id"), F.lit
+    stages = F.when(i % 3 == 1, F.array(word("depth"))).when(i % 3 == 2, F.array(word("mask"), word("depth"), word("mask")))
+    runs = t("missions").select("mission_id", F.col("status").alias("profile"), F.when(i % 5 != 0, F.when(i % 2 == 0, "metric").otherwise("relative")).alias("metric_scale"), stages.alias("degradations"))
+    rows = A.mission_summary(t("tracks"), t("timeline"), t("geometry"), runs)
+    labels = F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], word("="), e["value"])), ",")
+    return rows.withColumn("labels", labels).withColumn("degradations", F.array_join("degradations", ","))
 
 
 def _prototype_sql(track: str, tau: str) -> str:

@@ -154,3 +154,51 @@ def test_baseline_comparison_counts_each_side(spark):
     row = M.interval_quality(ours, truth, keys).first()
     assert row.precision == pytest.approx(2 / 3)
     assert M.interval_quality(ours.filter("pred_id = 3"), truth, keys).first().precision == 0.0
+
+
+def test_visible_from_regions_and_node_deltas(spark):
+    from missionspark.operators import intervals as W
+
+    samples = spark.createDataFrame([sample(s, t, x) for s, x in (("a", 0), ("b", 3), ("zone", 9)) for t in (0, 1, 2)], SAMPLE)
+    states = {("a", 0.0): "tentative", ("a", 1.0): "occluded", ("a", 2.0): "lost", ("b", 0.0): "lost", ("b", 1.0): "confirmed"}
+    tracks = spark.createDataFrame([(1, s, f"{s}-{t}", "Cup" if t else "cup", t, state) for (s, t), state in states.items()], "mission_id long, track_id string, observation_id string, label string, t_sec double, state string")
+    told = lambda df: sorted((r.subject_id, r.object_id, r.start_sec, r.end_sec) for r in df.filter("predicate = 'visible'").collect())
+    assert told(W.relation_intervals(samples, tracks)) == [("a", "zone", 0.0, 2.0), ("b", "zone", 1.0, 2.0)]
+    regions = spark.createDataFrame([(1, "b"), (2, "a")], "mission_id long, region_id string")
+    assert told(W.relation_intervals(samples, tracks, regions)) == [("a", "b", 0.0, 2.0), ("a", "zone", 0.0, 2.0), ("b", "zone", 1.0, 2.0)]
+    assert not told(W.relation_intervals(samples))
+    links = spark.createDataFrame([(1, "b", "a"), (1, "a", "b")], "mission_id long, track_id string, linked string")
+    nodes = {r.node_id: (r.op, r.kind, r.label, r.track_id, r.supersedes, r.t_sec) for r in V.node_deltas(tracks, samples, regions, links).collect()}
+    assert nodes == {"a": ("add", "track", "Cup", "a", None, 0.0), "b": ("supersede", "region", "Cup", "b", "delta-node-a", 0.0), "zone": ("add", "region", "zone", None, None, 0.0)}
+
+
+def test_claims_borne_out_under_either_name(spark):
+    from missionspark.operators import joins as J
+
+    claims = spark.createDataFrame([(1, 1, "a", 0.0, 2.0), (2, 1, "node-a", 0.0, 2.0), (3, 1, "a", 5.0, 6.0), (4, 1, "b", 0.0, 2.0), (5, 2, "node-a", 0.0, 2.0), (6, 1, None, 0.0, 2.0), (7, 1, "a", None, 2.0)], "claim_id long, mission_id long, subject_id string, start_sec double, end_sec double")
+    events = spark.createDataFrame([(1, ["x", "node-a"], 1.0, 3.0, "accepted", 1), (2, ["a"], 1.0, 3.0, "accepted", 1), (1, ["b"], 1.0, 3.0, "accepted", 0), (1, ["b"], 1.0, 3.0, "rejected", 1)], "mission_id long, participants array<string>, start_sec double, end_sec double, status string, n_evidence long")
+    aliases = spark.createDataFrame([(1, "node-a", "a"), (1, "b", "b"), (1, "c", None)], "mission_id long, node_id string, track_id string")
+    assert sorted(r.claim_id for r in J.supported_claims(claims, events, aliases).collect()) == [1, 2]
+
+
+def test_lookups_of_incoming_files(spark):
+    from missionspark.operators import joins as J
+
+    files = spark.createDataFrame([(1, "d1", "u9", 5), (2, "d9", "u1", 5), (3, None, "u1", 5), (4, None, None, 5), (5, None, None, 6), (6, None, None, None)], "file_id long, digest string, url string, size long")
+    processed = spark.createDataFrame([(10, "d1", "u1", 5, 1.0), (11, "d2", None, 5, 3.0), (12, "d3", None, 5, 2.0)], "id long, digest string, url string, size long, updated_at double")
+    got = {r.file_id: (r.status, r.reason, r.existing) for r in J.precheck(files, processed).collect()}
+    assert got == {1: ("duplicate", "hash", 10), 2: ("new", "hash", None), 3: ("duplicate", "url", 10), 4: ("duplicate", "size", 11), 5: ("new", "size", None), 6: ("error", "hash_failed", None)}
+
+
+def test_corpus_roll_up_and_summary(spark):
+    from missionspark.operators import aggregates as A
+    from missionspark.operators import metrics as M
+
+    rows = spark.createDataFrame([(1, True, 0.5, 2.0, 4.0, ["cut", "other"]), (2, True, None, 3.0, 9.0, None), (3, False, 99.0, 99.0, 99.0, ["dark"])], "mission_id long, valid boolean, hota double, identity_switches double, queue_depth double, conditions array<string>")
+    row = M.roll_up(rows, ["hota"], ["identity_switches"], ["queue_depth"], ["dark", "cut"]).first()
+    assert (row.missions, row.hota, row.identity_switches, row.max_queue_depth, row.missing) == (2, 0.5, 5.0, 9.0, ["dark"])
+    tracks = spark.createDataFrame([(1, "a", "car"), (1, "a", "car"), (1, "b", "cup")], "mission_id long, track_id string, label string")
+    events = spark.createDataFrame([(1, "accepted"), (1, "rejected")], "mission_id long, status string")
+    runs = spark.createDataFrame([(1, "fast", "metric", ["mask", "depth", "mask"]), (2, "deep", None, None)], "mission_id long, profile string, metric_scale string, degradations array<string>")
+    got = {r.mission_id: (r.tracks, r.observations, r.labels, r.accepted_events, r.samples, r.metric_scale, r.degradations) for r in A.mission_summary(tracks, events, tracks.filter("label = 'cup'"), runs).collect()}
+    assert got == {1: (2, 3, {"car": 2, "cup": 1}, 1, 1, "metric", ["depth", "mask"]), 2: (0, 0, {}, 0, 0, "unavailable", [])}
