@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import degrees_box, half_even
 from ..operators import aggregates as A
+from ..operators import cells as C
 from ..operators import filters as P
 from ..operators import ranking as K
 from .registry import query
@@ -358,6 +359,16 @@ def k1(t):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "place")
 
 
+@query("k1_cell_topk", ["points"], """
+, s AS (SELECT q.id AS query_id, p.id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 9) AS score FROM points q JOIN points p ON q.id <> p.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM s)
+SELECT query_id, id, round(score, 6) AS score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 5""")
+def k1_cells(t):
+    points = t("points")
+    found = C.search(C.build(points), points, 5)
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "place")
+
+
 @query("j10_rerank", ["points"], """
 , c AS (SELECT id AS query_id, id + 1 AS id, 0.5e0 + (id % 10) / 20e0 AS score FROM points UNION ALL SELECT id, id + 2, 0.5e0 + (id % 7) / 20e0 FROM points),
 d AS (SELECT id AS query_id, id + 2 AS id, 0.1e0 + (id % 3) / 10e0 AS score FROM points WHERE id % 4 <> 1)
