@@ -15,8 +15,11 @@ wherever they stand, by element, role and words of class and id.
 Defined cases: null or empty html gives an empty text; a page without a line
 of text gives an empty text; a page whose lines are all alike keeps all of
 them; unclosed and crossing tags are closed by the nearest open element of the
-same name, an end without a start is none; a page of any length takes time in
-proportion, however its tags nest; repeated rows are extracted alike.
+same name, an end without a start is none; a tag, comment or quote that is never
+closed takes the rest of the page, as in browsers; a ``header`` in ``main`` is
+the page's if an ``article`` is in it too, else it is the text's own; a page of
+any length takes time in proportion, however its tags nest and whether they
+end; repeated rows are extracted alike.
 """
 
 from __future__ import annotations
@@ -64,6 +67,8 @@ class Lines(HTMLParser):
         self.stack: list[tuple[str, bool, int]] = []  # name, left out, article
         self.open: dict[str, list[int]] = {}  # where the open elements of a name stand in the stack
         self.walls: list[int] = []  # where articles and bodies do
+        self.mains: set[int] = set()  # articles that a main element marks, and those with an article element in them
+        self.holders: set[int] = set()
         self.parts: list[str] = []
         self.tags = 0
         self.skip, self.article, self.articles = False, 0, 0
@@ -118,9 +123,15 @@ class Lines(HTMLParser):
                 self.bodies.add(self.opened)
         if not self.skip:
             self.skip = self.outside(tag, attrs)
+            if not self.skip and tag == "article" and abs(self.article) in self.mains:
+                self.holders.add(abs(self.article))
+            if not self.skip and tag == "header" and self.article in self.mains and not self.open.get("article"):
+                self.article = -self.article  # kept apart until it is known whether the main element holds an article
             if not self.skip and not self.article and (tag in ("article", "main") or ("role", "main") in attrs or ("role", "article") in attrs):
                 self.articles += 1
                 self.article = self.articles
+                if tag == "main" or ("role", "main") in attrs:
+                    self.mains.add(self.article)
 
     def handle_startendtag(self, tag, attrs):
         self.tags += 1
@@ -162,6 +173,29 @@ class Lines(HTMLParser):
         """The end of the page closes what is open."""
         HTMLParser.close(self)
         self.end_line()
+        self.lines = [(text, tags, abs(article), container) for text, tags, article, container in self.lines if article >= 0 or -article not in self.holders]
+
+    def closed(self, end: int) -> int:
+        """Where a construct ends; what doesn't end takes all that follows, so it is looked at once."""
+        return end if end >= 0 else len(self.rawdata)
+
+    def parse_starttag(self, i):
+        return self.closed(super().parse_starttag(i))
+
+    def parse_endtag(self, i):
+        return self.closed(super().parse_endtag(i))
+
+    def parse_comment(self, i, report=True):
+        return self.closed(super().parse_comment(i, report))
+
+    def parse_pi(self, i):
+        return self.closed(super().parse_pi(i))
+
+    def parse_html_declaration(self, i):
+        try:
+            return self.closed(super().parse_html_declaration(i))
+        except AssertionError:  # a section of another kind is a comment
+            return self.closed(self.parse_bogus_comment(i))
 
     def handle_data(self, data):
         if not self.skip:

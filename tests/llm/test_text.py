@@ -139,6 +139,33 @@ def test_pages_of_unclosed_tags_take_time_in_proportion():
         assert time.process_time() - began < 15, page[:20]
 
 
+@pytest.mark.parametrize("unit", ["<a ", "<!--", '<a x="', "<a x='y", "</a", "<![CDATA[", "<![x", "<?", "<!x", "<!doctype", "<", "&#", "&a", "<a/", "<a =", "<script></x", "<p", "-->", '<a "', "<svg><"])
+def test_what_never_ends_is_looked_at_once(unit):
+    import time
+
+    n = 1_000_000 // len(unit)
+    for page in (f"<p>{'word ' * 30}</p>" + unit * n, f"<p>{'word ' * 30}</p>" + unit * n + ">"):
+        began = time.process_time()
+        assert html_extract.main_text(page).startswith("word word")
+        assert time.process_time() - began < 15, unit
+
+
+def test_what_never_ends_takes_the_rest():
+    f = html_extract.main_text
+    text = ("words of a page " * 6).strip()
+    for rest in ("<!-- no end", '<a href="no end', "<div class", "</p", "<![CDATA[ x", "<![if x", "<? x"):
+        assert f(f"<p>{text}</p>{rest} <b x") == text
+    assert f(f"<p>{text}</p><![foo]><p>{text}</p>") == f"{text}\n\n{text}"
+
+
+def test_header_of_the_page_inside_main():
+    f = html_extract.main_text
+    text = ("words of a page " * 6).strip()
+    assert f(f"<main><header><p>site header</p></header><article><header><h1>Title</h1></header><p>{text}</p></article></main>") == f"Title\n\n{text}"
+    assert f(f"<main><header><h1>Title</h1></header><p>{text}</p></main>") == f"Title\n\n{text}"
+    assert f(f"<div role=main><article><p>{text}</p></article><header>late header</header></div>") == text
+
+
 def brute_seeds(lines, width=1.0):
     """Lines whose smoothed ratio of text to tags is one deviation or more."""
     ratios = [len(t) / max(1, tags) for t, tags, _, _ in lines]
