@@ -127,12 +127,45 @@ def count_events(tracks: DataFrame, samples: DataFrame) -> DataFrame:
     return met.select("mission_id", count_event_id(F.col("label"), F.col("at")).alias("event_id"), "label", F.col("at").alias("start_sec"), (F.col("at") + EVENT_SEC).alias("end_sec"), "ids", "n", F.coalesce("exact_id", "first_id").alias("evidence_id"))
 
 
-def context(edges: DataFrame, samples: DataFrame) -> DataFrame:
-    """One document a mission: trajectories and edges as JSON, in a fixed order."""
-    paths = samples.groupBy("mission_id", "subject_id").agg(F.array_sort(F.collect_list(F.struct("t_sec", "cx", "cy", "cz"))).alias("path"))
-    tracks = paths.groupBy("mission_id").agg(F.array_sort(F.collect_list(F.struct("subject_id", "path"))).alias("trajectories"))
-    by_mission = edges.groupBy("mission_id").agg(F.array_sort(F.collect_list(F.struct("start_sec", "edge_id", "subject_id", "predicate", "object_id", "end_sec"))).alias("edges"))
-    return tracks.join(by_mission, "mission_id", "full").select("mission_id", F.to_json(F.struct("trajectories", "edges")).alias("document"))
+def context_lines(tracks: DataFrame, samples: DataFrame, edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """The context document of each mission in lines: (mission_id, part, who, t_sec, id, line), sorted by what stands before the line.
+
+    A document has edges, regions (samples of what is no track) and trajectories
+    (the samples of each track, with the label of its last observation), keys in
+    order, with centres and extents.  ``nodes`` (mission_id, node_id, kind) names
+    tracks without an observation.  A line is one edge or sample with the brackets
+    around it, so documents are written from sorted rows, see
+    :func:`write_contexts`, and no row holds a mission.
+    """
+    label = tracks.groupBy(F.col("mission_id").alias("lm"), F.col("track_id").alias("l")).agg(F.max(F.struct("t_sec", "observation_id", "label")).getField("label").alias("label"))
+    if nodes is not None:
+        named = nodes.filter("kind = 'track'").select(F.col("mission_id").alias("lm"), F.col("node_id").alias("l"), F.lit(None).cast("string").alias("label"))
+        label = label.unionByName(named).groupBy("lm", "l").agg(F.max("label").alias("label"))
+    rows = samples.join(label, (F.col("mission_id") == F.col("lm")) & (F.col("subject_id") == F.col("l")), "left").withColumn("tracked", F.col("l").isNotNull())
+    place = [F.array(*[F.col(f"{p}{a}") for a in "xyz"]).alias(name) for p, name in (("c", "center_m"), ("e", "extent_m"))]
+    text = lambda *columns: F.to_json(F.struct(*columns))
+    region = text(*place, F.col("subject_id").alias("node_id"), F.col("t_sec"))
+    order = Window.partitionBy("mission_id", "tracked", "subject_id").orderBy("t_sec", "sample_id")
+    listed = lambda c: F.to_json(F.array(c))
+    quoted = lambda c: F.substr(listed(c), F.lit(2), F.length(listed(c)) - 2)  # noqa: E731  without the brackets
+    opens = F.concat(F.lit('{"label":'), quoted(F.coalesce("label", F.col("subject_id"))), F.lit(',"samples":['))
+    closes = F.concat(F.lit('],"track_id":'), quoted(F.col("subject_id")), F.lit("}"))
+    point = F.concat(F.when(F.lag("t_sec").over(order).isNull(), opens).otherwise(F.lit("")), text(*place, F.col("t_sec")), F.when(F.lead("t_sec").over(order).isNull(), closes).otherwise(F.lit("")))
+    one = rows.select("mission_id", F.when(F.col("tracked"), 5).otherwise(3).alias("part"), F.col("subject_id").alias("who"), "t_sec", F.col("sample_id").cast("string").alias("id"), F.when(F.col("tracked"), point).otherwise(region).alias("line"))
+    edge = edges.select("mission_id", F.lit(1).alias("part"), F.lit("").alias("who"), F.col("start_sec").alias("t_sec"), F.col("edge_id").cast("string").alias("id"), text("end_sec", "object_id", "predicate", "start_sec", "subject_id").alias("line"))
+    items = one.unionByName(edge)
+    before = F.lag("line").over(Window.partitionBy("mission_id", "part").orderBy("who", "t_sec", "id"))
+    items = items.withColumn("line", F.concat(F.when(before.isNull(), "").otherwise(","), F.col("line")))
+    frame = F.array(*[F.struct(F.lit(k).alias("part"), F.lit(line).alias("line")) for k, line in ((0, '{"edges":['), (2, '],"regions":['), (4, '],"trajectories":['), (6, "]}"))])
+    missions = samples.select("mission_id").unionByName(edges.select("mission_id")).distinct()
+    outer = missions.select("mission_id", F.explode(frame).alias("f")).select("mission_id", "f.part", F.lit("").alias("who"), F.lit(None).cast("double").alias("t_sec"), F.lit("").alias("id"), "f.line")
+    return items.unionByName(outer)
+
+
+def write_contexts(lines: DataFrame, path: str) -> None:
+    """Writes each mission's document to a folder ``mission_id=...``, line after line as the sorted rows come."""
+    ordered = lines.repartition("mission_id").sortWithinPartitions("mission_id", "part", "who", "t_sec", "id")
+    ordered.select("mission_id", "line").write.partitionBy("mission_id").text(path)
 
 
 # Fixed values of the claim rules.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as V
@@ -61,14 +62,20 @@ def v5(t):
     return V.count_events(t("tracks"), t("geometry").filter("subject_id <> 's2' and t_sec >= 1")).select("mission_id", "event_id", "n", "evidence_id")
 
 
-@query("v6_context", ["geometry", "edges"], """
-, p AS (SELECT mission_id, count(*) AS samples FROM geometry GROUP BY 1), e AS (SELECT mission_id, count(*) AS edges FROM edges GROUP BY 1)
-SELECT mission_id, coalesce(samples, 0) AS samples, coalesce(edges, 0) AS edges FROM p FULL JOIN e USING (mission_id)""")
+@query("v6_context", ["geometry", "tracks", "edges"], """
+, l AS (SELECT mission_id, track_id, arg_max(label, (t_sec, observation_id)) AS label FROM tracks WHERE track_id <> 's1' AND confidence > 0.3 GROUP BY ALL),
+g AS (SELECT g.mission_id, subject_id, sample_id, t_sec, label, concat('"center_m":[', round(cx, 2), ',', round(cy, 2), ',', round(cz, 2), '],"extent_m":[', ex, ',', ey, ',', ez, ']') AS box FROM geometry g LEFT JOIN l ON l.mission_id = g.mission_id AND l.track_id = g.subject_id),
+p AS (SELECT mission_id, 1 AS part, '' AS who, start_sec AS t_sec, CAST(edge_id AS VARCHAR) AS id, concat('{"end_sec":', end_sec, ',"object_id":"', object_id, '","predicate":"', predicate, '","start_sec":', start_sec, ',"subject_id":"', subject_id, '"}') AS line FROM edges
+  UNION ALL SELECT mission_id, 3, subject_id, t_sec, sample_id, concat('{', box, ',"node_id":"', subject_id, '","t_sec":', t_sec, '}') FROM g WHERE label IS NULL
+  UNION ALL SELECT mission_id, 5, subject_id, t_sec, sample_id, concat(CASE WHEN row_number() OVER w = 1 THEN concat('{"label":"', label, '","samples":[') END, '{', box, ',"t_sec":', t_sec, '}', CASE WHEN row_number() OVER (PARTITION BY mission_id, subject_id ORDER BY t_sec DESC) = 1 THEN concat('],"track_id":"', subject_id, '"}') END)
+    FROM g WHERE label IS NOT NULL WINDOW w AS (PARTITION BY mission_id, subject_id ORDER BY t_sec)),
+c AS (SELECT mission_id, part, who, t_sec, id, concat(CASE WHEN row_number() OVER (PARTITION BY mission_id, part ORDER BY who, t_sec, id) > 1 THEN ',' END, line) AS line FROM p
+  UNION ALL SELECT mission_id, part, '', NULL, '', line FROM (SELECT DISTINCT mission_id FROM (SELECT mission_id FROM geometry UNION SELECT mission_id FROM edges)), (SELECT unnest([0, 2, 4, 6]) AS part, unnest(['{"edges":[', '],"regions":[', '],"trajectories":[', ']}']) AS line))
+SELECT mission_id, CAST(row_number() OVER (PARTITION BY mission_id ORDER BY part, who, t_sec, id) AS INTEGER) AS place, line FROM c""")
 def v6(t):
-    docs = V.context(t("edges"), t("geometry"))
-    parsed = F.from_json("document", "trajectories array<struct<subject_id:string,path:array<struct<t_sec:double>>>>, edges array<struct<edge_id:long>>")
-    n = F.aggregate(F.coalesce(F.col("d.trajectories"), F.array()), F.lit(0).cast("bigint"), lambda s, x: s + F.size(x["path"]))
-    return docs.withColumn("d", parsed).select("mission_id", n.alias("samples"), F.coalesce(F.size("d.edges"), F.lit(0)).cast("bigint").alias("edges"))
+    samples = t("geometry").withColumns({c: F.round(c, 2) for c in ("cx", "cy", "cz")})
+    lines = V.context_lines(t("tracks").filter("track_id <> 's1' and confidence > 0.3"), samples, t("edges"))
+    return lines.select("mission_id", F.row_number().over(Window.partitionBy("mission_id").orderBy("part", "who", "t_sec", "id")).alias("place"), "line")
 
 
 #: Claims of ten kinds by their id, worked out by the rules one claim at a time.

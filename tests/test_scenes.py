@@ -202,3 +202,24 @@ def test_corpus_roll_up_and_summary(spark):
     runs = spark.createDataFrame([(1, "fast", "metric", ["mask", "depth", "mask"]), (2, "deep", None, None)], "mission_id long, profile string, metric_scale string, degradations array<string>")
     got = {r.mission_id: (r.tracks, r.observations, r.labels, r.accepted_events, r.samples, r.metric_scale, r.degradations) for r in A.mission_summary(tracks, events, tracks.filter("label = 'cup'"), runs).collect()}
     assert got == {1: (2, 3, {"car": 2, "cup": 1}, 1, 1, "metric", ["depth", "mask"]), 2: (0, 0, {}, 0, 0, "unavailable", [])}
+
+
+def test_context_documents(spark, tmp_path):
+    import json
+
+    samples = spark.createDataFrame([sample("b]", 1, 5), sample("b]", 0, 4), sample("zone", 0, 9), sample("a", 0, 1), sample("quiet", 0, 2), sample("zone", 0, 3, mission=2)], SAMPLE)
+    tracks = spark.createDataFrame([(1, "a", "o1", 'the "cup"', 0.0), (1, "b]", "o2", "old", 0.0), (1, "b]", "o3", "car]", 1.0)], "mission_id long, track_id string, observation_id string, label string, t_sec double")
+    edges = spark.createDataFrame([(1, 7, "a", "left_of", "b]", 0.5, 2.0), (1, 6, "a", "above", "b]", 0.5, 1.0), (3, 1, "x", "above", "y", 0.0, 1.0)], "mission_id long, edge_id long, subject_id string, predicate string, object_id string, start_sec double, end_sec double")
+    nodes = spark.createDataFrame([(1, "quiet", "track"), (1, "zone", "region")], "mission_id long, node_id string, kind string")
+    V.write_contexts(V.context_lines(tracks, samples, edges, nodes), str(tmp_path / "c"))
+    docs = {}
+    for folder in (tmp_path / "c").glob("mission_id=*"):
+        (file,) = folder.glob("*.txt")
+        docs[int(folder.name.split("=")[1])] = json.loads(file.read_text())
+    point = lambda t, x, **more: {"center_m": [x, 0.0, 0.0], "extent_m": [1.0, 1.0, 1.0], "t_sec": t, **more}
+    edge = lambda p, end: {"end_sec": end, "object_id": "b]", "predicate": p, "start_sec": 0.5, "subject_id": "a"}
+    assert docs[1] == {
+        "edges": [edge("above", 1.0), edge("left_of", 2.0)], "regions": [point(0.0, 9.0, node_id="zone")],
+        "trajectories": [{"label": 'the "cup"', "samples": [point(0.0, 1.0)], "track_id": "a"}, {"label": "car]", "samples": [point(0.0, 4.0), point(1.0, 5.0)], "track_id": "b]"}, {"label": "quiet", "samples": [point(0.0, 2.0)], "track_id": "quiet"}],
+    }
+    assert docs[2] == {"edges": [], "regions": [point(0.0, 3.0, node_id="zone")], "trajectories": []} and docs[3]["regions"] == [] and len(docs[3]["edges"]) == 1
