@@ -325,7 +325,7 @@ def test_a_run_that_is_pointed_at_stays(spark, tmp_path):
     folder = str(tmp_path)
     for i, ids, over in ((1, [1, 2], None), (2, [3], 1), (2, [4, 5], 1), (2, [], 1)):
         G.replace_run({"run": run(i, over), "events": rows_of(i, ids)}, folder)
-        stored = sorted((r.run_id, r.id) for r in spark.read.parquet(f"{folder}/events").collect())
+        stored = sorted((r.run_id, r.id) for r in G.read_runs(spark, folder, "events").collect())
         assert stored == [(1, 1), (1, 2)] + [(2, k) for k in (ids if i == 2 else [])]
     with pytest.raises(ValueError):
         G.replace_run({"run": run(1), "events": rows_of(1, [9])}, folder)
