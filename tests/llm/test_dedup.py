@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -322,9 +323,9 @@ def test_passages_against_brute_force(spark):
     assert all(r.first_doc_id <= r.doc_id and r.first_doc_id in range(12) for r in out if r.doc_id in range(12))
 
 
-def marked(spark, texts):
+def marked(spark, texts, **options):
     got = {i: set() for i in texts}
-    for r in suffix_dedup.repeated_passages(frame(spark, list(texts.items())).repartition(3)).collect():
+    for r in suffix_dedup.repeated_passages(frame(spark, list(texts.items())).repartition(3), **options).collect():
         got[r.doc_id] |= set(range(r.start_word, r.end_word))
     return got
 
@@ -339,6 +340,44 @@ def test_passages_that_one_document_repeats(spark):
     assert got == brute_marks(texts) and all(len(got[2 * g]) >= 10 * (50 + 15 * g) for g in range(4))
 
 
+def test_passages_whose_prefix_is_crowded(spark):
+    """Many documents share a prefix, and few of them a passage: parts by longer keys, down to one passage."""
+    core, texts = words(1, 24).split(), {}
+    tails, heads = [words(50 + k, 40).split() for k in range(5)], [words(80 + k, 40).split() for k in range(4)]
+    for k in range(60):
+        texts[k] = " ".join([words(2000 + k, 30), *heads[k % 4][k % 7 :], *core, *tails[k % 5][: 40 - k % 11], words(3000 + k, 30)])
+    whole = words(5, 70)
+    texts |= {100 + k: f"{words(4000 + k, 10 + k)} {whole} {words(5000 + k, 20)}" for k in range(12)}
+    expected = brute_marks(texts)
+    assert sum(bool(v) for v in expected.values()) > 40
+    for block in (1, 5, 20):
+        assert marked(spark, texts, block=block) == expected
+
+
+def test_neighbours_by_definition():
+    """Passages by left lengths, from both orders, against all pairs of suffixes."""
+    rng = random.Random(3)
+
+    def changed(word, n):
+        return "".join((rng.choice("ab") if rng.random() < 0.04 else word) + " " for _ in range(n))
+
+    suffix = {(rng.randrange(3), changed("q", rng.randrange(32)), changed("p", rng.randrange(19, 51))) for _ in range(300)}
+    suffix = sorted(suffix, key=lambda s: (s[0], s[2]))
+    group, n = np.array([s[0] for s in suffix]), len(suffix)
+    rows, first, last, best = suffix_dedup.compared(group, pa.array([s[1] for s in suffix]), pa.array([s[2] for s in suffix]), np.arange(n), np.arange(n), np.arange(n), 50)
+    wanted = {}
+    for i, (g, a, b) in enumerate(suffix):
+        for length in range(32):
+            have = (a.split()[:length], b.split()[: 50 - length])
+            if (len(have[0]), len(have[1])) != (length, 50 - length):
+                continue
+            same = [j for j, (h, c, d) in enumerate(suffix) if h == g and (c.split()[:length], d.split()[: 50 - length]) == have]
+            if len(same) > 1:
+                was = wanted.get(i, (32, -1, i))
+                wanted[i] = (min(was[0], length), max(was[1], length), min(was[2], *same))
+    assert wanted and {r: (a, b, c) for r, a, b, c in zip(*(x.tolist() for x in (rows, first, last, best)))} == wanted
+
+
 def test_passages_longer_on_each_side_elsewhere(spark):
     texts = {}
     for g in range(20):
