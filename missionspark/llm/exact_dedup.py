@@ -24,6 +24,7 @@ answers are for the rows of the call, after them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import islice
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,12 +52,19 @@ def sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
+#: Input files of earlier calls that are looked into at a time.
+FILES = 1000
+
+
 def scan_alone(docs: DataFrame) -> bool:
     """Whether the rows are those of files, each at most once: a scan with filters and projections, no join or explode."""
     node = docs._jdf.queryExecution().analyzed()
     while node.nodeName() in ("Project", "Filter", "SubqueryAlias", "View"):
         node = node.children().apply(0)
-    return node.children().isEmpty() and "Relation" in node.nodeName()
+    if node.nodeName() != "LogicalRelation" or node.relation().getClass().getSimpleName() != "HadoopFsRelation":
+        return False
+    distinct = docs.sparkSession._jsparkSession.baseRelationToDataFrame(node.relation()).inputFiles()
+    return len(distinct) == len(node.relation().location().inputFiles())
 
 
 def located(docs: DataFrame) -> DataFrame:
@@ -127,9 +135,9 @@ def strangers(rows: DataFrame, state: DataFrame, doc_id: str = "doc_id", text: s
     # Written first: a join that reuses this shuffle couldn't split a text that a third of the rows hold.
     stays = materialise(met.filter(F.col("locator") == F.col("keeps")).select(F.col("digest").alias("of"), F.col("bytes").alias("kept_bytes")), "dedup-stays")
     earlier = hits.join(stays, F.col("hit") == F.col("of"), "left_anti")
-    files = [r.file for r in earlier.select(F.col("keeps.file").alias("file")).distinct().collect()]  # input files of earlier calls
-    if files:
-        content = spark.read.parquet(*files).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), normalised(F.col(text)).alias("kept_bytes"))
+    files = (r.file for r in earlier.select(F.col("keeps.file").alias("file")).distinct().toLocalIterator())  # input files of earlier calls
+    while block := list(islice(files, FILES)):
+        content = spark.read.parquet(*block).select(F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("at"), normalised(F.col(text)).alias("kept_bytes"))
         stays = stays.unionByName(earlier.join(content, F.col("keeps") == F.col("at")).select(F.col("hit").alias("of"), "kept_bytes"))
     others = met.join(stays, F.col("digest") == F.col("of")).filter(F.col("bytes") != F.col("kept_bytes"))
     return others.select("locator", "digest", F.sha2("bytes", 512).alias("own"))

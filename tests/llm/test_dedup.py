@@ -86,6 +86,16 @@ def test_rows_that_share_a_place_in_a_file(spark, tmp_path):
         assert len(out) == n and sorted(r.doc_id for r in out if r.kept) == [1, 2] and exact_dedup.deduplicated(rows).count() == 2
 
 
+def test_a_file_that_is_listed_twice(spark, tmp_path):
+    """Its rows are there twice, and of each text one row stays."""
+    path = str(tmp_path / "docs")
+    frame(spark, [(1, "a"), (2, "b"), (3, "A")]).coalesce(1).write.parquet(path)
+    docs = spark.read.parquet(path, path)
+    assert not exact_dedup.scan_alone(docs)
+    out = exact_dedup.exact_dedup(docs).collect()
+    assert len(out) == 6 and sorted(r.doc_id for r in out if r.kept) == [2, 3] and {r.doc_id: r.group_size for r in out} == {1: 4, 2: 2, 3: 4}
+
+
 def test_state_outlives_the_call(spark, tmp_path):
     store = str(tmp_path / "store")
     first = {r.doc_id: r for r in exact_dedup.exact_dedup(frame(spark, [(1, "a"), (5, "b"), (2, "A")]), store=store).collect()}
@@ -97,7 +107,8 @@ def test_state_outlives_the_call(spark, tmp_path):
     assert exact_dedup.exact_dedup(frame(spark, []).filter("false"), store=store).count() == 0
 
 
-def test_bytes_are_read_at_the_locator_of_an_earlier_call(spark, tmp_path):
+def test_bytes_are_read_at_the_locator_of_an_earlier_call(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FILES", 1)
     """Another text with the digest of a text kept by a call before leaves its group."""
     store, one = str(tmp_path / "store"), lambda content: F.lit("same")
     exact_dedup.exact_dedup(frame(spark, [(50, "kept")]), store=store, digest=one).collect()
