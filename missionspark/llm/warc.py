@@ -199,6 +199,7 @@ def round_trip(pages: DataFrame, page_id: str = "page_id", url: str = "url", htm
     write_archives(pages, path, page_id=page_id, url=url, html=html, least_bytes=least_bytes)
     found = materialise(read_archives(spark, path), "warc-records")
     full = found.filter("type = 'response'").groupBy(F.col("record").alias("full")).agg(F.min("payload_bytes").alias("full_bytes"), F.min("digest").alias("full_digest"))
+    full = materialise(full, "warc-full")  # written first: a join that reuses this shuffle couldn't split a payload that very many pages hold
     rows = found.filter("type = 'revisit'").join(full, F.col("refers") == F.col("full"), "left").select("type", "record", "refers", "said", F.col("full_bytes").alias("payload_bytes"), F.col("full_digest").alias("digest"))
     rows = rows.unionByName(found.filter("type = 'response'").select("type", "record", "refers", "said", "payload_bytes", "digest"))
     return rows.select(
