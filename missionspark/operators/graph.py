@@ -233,6 +233,19 @@ def nearest_pairs(claims: DataFrame, samples: DataFrame) -> DataFrame:
     return rows.select(F.col("claim_id").alias("pair_id"), F.col("p.l").alias("l"), F.col("p.r").alias("r"), F.col("has_l_id").isNotNull().alias("has_l"), F.col("has_r_id").isNotNull().alias("has_r"))
 
 
+def known_ids(tracks: DataFrame, nodes: DataFrame, links: DataFrame, samples: DataFrame) -> DataFrame:
+    """(mission_id, known, named, stored, fast, linked): what each id of a mission is: node or track, subject of samples, too fast, linked by the tracker."""
+    from .intervals import infeasible
+
+    sources = (("named", nodes, "node_id"), ("named", tracks, "track_id"), ("stored", samples, "subject_id"), ("fast", infeasible(samples), "subject_id"), ("linked", links, "track_id"))
+    found = None
+    for flag, table, column in sources:
+        part = table.select("mission_id", F.col(column).alias("known"), *[F.lit(name == flag).alias(name) for name in ("named", "stored", "fast", "linked")])
+        found = part if found is None else found.unionByName(part)
+    # Written first: it is joined twice, by subject and by object.
+    return materialise(found.groupBy("mission_id", "known").agg(*[F.max(name).alias(name) for name in ("named", "stored", "fast", "linked")]), "claims-ids")
+
+
 def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links: DataFrame, samples: DataFrame, edges: DataFrame, metric_missions: DataFrame) -> DataFrame:
     """(claim_id, mission_id, claim_kind, status, reasons, needs_review): the first rule that speaks for a claim decides.
 
@@ -246,14 +259,13 @@ def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links:
     up to three reasons; an event has no evidence but
     the model's word; ids that nobody knows are refused; the rest needs review.
     ``samples`` has residual_m and covariance beside the columns of the relations,
-    and a frame where missions have several.
+    and a frame where missions have several.  Samples and tracks are read several
+    times: give tables that are written.
     Without an interval a claim counts for the whole mission.
     """
-    from .intervals import infeasible
-    from .joins import asof, motion_in, overlaps
+    from .joins import asof, motion_in, overlaps, prefixed
 
     number, label = said_count(F.col("text"))
-    span = samples.groupBy(F.col("mission_id").alias("span_m")).agg(F.min("t_sec").alias("low"), (F.max("t_sec") + 1e-6).alias("high"))
     low, high = (F.regexp_extract("text", BAND, k).try_cast("double") for k in (1, 2))
     rows = claims if "status" in claims.columns else claims.withColumn("status", F.lit(None).cast("string"))
     samples = samples if "frame" in samples.columns else samples.withColumn("frame", F.lit(""))
@@ -261,30 +273,24 @@ def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links:
     geometric = F.coalesce(F.col("predicate").isin(*GEOMETRIC), F.lit(False))
     identity = F.coalesce(F.col("predicate").isin("same_as", "identity"), F.lit(False)) | F.coalesce(F.lower("text").contains("same object"), F.lit(False))
     rows = rows.withColumn("rule", F.when(identity, "identity").when(F.col("said").isNotNull() & ~geometric, "count").when(geometric, "geometry").when(F.col("claim_kind") == "event", "event").otherwise("open"))
-    linked = links.select(F.col("mission_id").alias("link_m"), F.col("track_id").alias("link_t")).distinct()
-    rows = rows.join(linked, (F.col("mission_id") == F.col("link_m")) & (F.col("subject_id") == F.col("link_t")), "left")
-    rows = rows.join(counted(rows.filter("rule = 'count'"), tracks), F.col("claim_id") == F.col("counted_id"), "left")
-    ids = nodes.select("mission_id", F.col("node_id").alias("id")).unionByName(tracks.select("mission_id", F.col("track_id").alias("id"))).distinct().withColumn("stored", F.lit(False))
-    sampled = samples.select("mission_id", F.col("subject_id").alias("id")).distinct().withColumn("stored", F.lit(True))
-    ids = ids.unionByName(sampled).groupBy("mission_id", "id").agg(F.max("stored").alias("stored"), F.min("stored").alias("only_stored"))
-    for who in ("subject", "object"):
-        known = ids.select(F.col("mission_id").alias(f"{who}_m"), F.col("id").alias(f"{who}_known"), F.col("stored").alias(f"{who}_stored"), (~F.col("only_stored")).alias(f"{who}_named"))
-        rows = rows.join(known, (F.col("mission_id") == F.col(f"{who}_m")) & (F.col(f"{who}_id") == F.col(f"{who}_known")), "left")
-    asked = rows.filter("rule = 'geometry'").join(span, F.col("mission_id") == F.col("span_m"), "left")
+    geometry_claims, known = rows.filter("rule = 'geometry'"), known_ids(tracks, nodes, links, samples)
+    span = samples.groupBy(F.col("mission_id").alias("span_m")).agg(F.min("t_sec").alias("low"), (F.max("t_sec") + 1e-6).alias("high"))
+    asked = geometry_claims.join(span, F.col("mission_id") == F.col("span_m"), "left")
     asked = asked.withColumn("start_sec", F.when(F.col("bounded"), F.col("start_sec")).otherwise(F.col("low"))).withColumn("end_sec", F.when(F.col("bounded"), F.col("end_sec")).otherwise(F.col("high")))
-    asked = materialise(asked.select("claim_id", "mission_id", "subject_id", "object_id", "start_sec", "end_sec"), "claims-asked")
-    rows = rows.join(nearest_pairs(asked, samples), F.col("claim_id") == F.col("pair_id"), "left")
+    asked = materialise(asked.select("claim_id", "mission_id", "subject_id", "object_id", "predicate", "start_sec", "end_sec"), "claims-asked")
+    met = materialise(nearest_pairs(asked, samples), "claims-pairs")
     moved = motion_in(asked.select("claim_id", "mission_id", "subject_id", "start_sec", "end_sec"), samples.select("mission_id", "subject_id", "t_sec", "cx", "cy", "cz"), ["mission_id", "subject_id"], "claim_id")
-    rows = rows.join(moved.select(F.col("claim_id").alias("moved_id"), F.when(F.col("n") >= 2, F.col("moved_m")).alias("moved_m")), F.col("claim_id") == F.col("moved_id"), "left")
-    bad = infeasible(samples).select(F.col("mission_id").alias("bad_m"), F.col("subject_id").alias("bad_s"))
+    looks = asked.filter("predicate = 'visible'").join(met.filter("l is not null"), F.col("claim_id") == F.col("pair_id")).select(F.col("claim_id").alias("query_id"), "mission_id", F.col("subject_id").alias("track_id"), F.col("l.t_sec").alias("t_sec"))
+    looks = asof(looks, tracks.select("mission_id", "track_id", "t_sec", "state"), ["mission_id", "track_id"], ["state"])
     for who in ("subject", "object"):
-        rows = rows.join(bad.select(F.col("bad_m").alias(f"{who}_bm"), F.col("bad_s").alias(f"{who}_bad")), (F.col("mission_id") == F.col(f"{who}_bm")) & (F.col(f"{who}_id") == F.col(f"{who}_bad")), "left")
+        rows = rows.join(prefixed(known, f"{who}_"), (F.col("mission_id") == F.col(f"{who}_mission_id")) & (F.col(f"{who}_id") == F.col(f"{who}_known")), "left")
     rows = rows.join(metric_missions.select(F.col("mission_id").alias("metric_m")).distinct(), F.col("mission_id") == F.col("metric_m"), "left")
-    looks = rows.filter("predicate = 'visible' and l is not null").select(F.col("claim_id").alias("query_id"), "mission_id", F.col("subject_id").alias("track_id"), F.col("l.t_sec").alias("t_sec"))
-    looks = asof(looks, tracks.select("mission_id", "track_id", "t_sec", "state"), ["mission_id", "track_id"], ["state"])
+    rows = rows.join(counted(rows.filter("rule = 'count'").select("claim_id", "mission_id", "said_label", "start_sec"), tracks), F.col("claim_id") == F.col("counted_id"), "left")
+    rows = rows.join(met, F.col("claim_id") == F.col("pair_id"), "left")
+    rows = rows.join(moved.select(F.col("claim_id").alias("moved_id"), F.when(F.col("n") >= 2, F.col("moved_m")).alias("moved_m")), F.col("claim_id") == F.col("moved_id"), "left")
     rows = rows.join(looks.select(F.col("query_id").alias("looked"), F.col("state").alias("seen_state")), F.col("claim_id") == F.col("looked"), "left")
     opposite = F.create_map(*[F.lit(x) for pair in OPPOSITE.items() for x in pair])
-    turned = rows.filter("rule = 'geometry'").select("claim_id", "mission_id", "subject_id", "object_id", F.try_element_at(opposite, F.col("predicate")).alias("predicate"), F.coalesce("start_sec", F.lit(-1e9)).alias("start_sec"), F.coalesce("end_sec", F.lit(1e9)).alias("end_sec"))
+    turned = geometry_claims.select("claim_id", "mission_id", "subject_id", "object_id", F.try_element_at(opposite, F.col("predicate")).alias("predicate"), F.coalesce("start_sec", F.lit(-1e9)).alias("start_sec"), F.coalesce("end_sec", F.lit(1e9)).alias("end_sec"))
     against = overlaps(turned.filter("predicate is not null and start_sec > -1e9 and end_sec < 1e9"), edges.filter("status = 'accepted'").select("mission_id", "subject_id", "object_id", "predicate", "start_sec", "end_sec"), ["mission_id", "subject_id", "object_id", "predicate"], how="left_semi")
     rows = rows.join(against.select(F.col("claim_id").alias("against_id")).distinct(), F.col("claim_id") == F.col("against_id"), "left")
     flat = rows.select("*", *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "lr" for c in ("t_sec", "cx", "cy", "cz", "ex", "ey", "ez", "depth_m", "metric_scale", "calibration_id", "residual_m", "covariance", "frame")])
@@ -297,23 +303,24 @@ def verify_claims(claims: DataFrame, tracks: DataFrame, nodes: DataFrame, links:
         )
 
     holds = relation_holds(F.col("moved_m"), F.col("band_low"), F.col("band_high"))
-    is_known = lambda who: F.col(f"{who}_known").isNotNull()
+    flag = lambda name: F.coalesce(name, F.lit(False))
+    is_known = lambda who: flag(f"{who}_named") | flag(f"{who}_stored")
     pair = F.col("l").isNotNull()
     tell = lambda cond, status, *reasons: F.when(cond, F.struct(F.lit(status).alias("status"), F.array_compact(F.array(*[r if isinstance(r, Column) else F.lit(r) for r in reasons]).cast("array<string>")).alias("reasons")))
-    gated = F.coalesce(gate("l"), gate("r"), F.when(F.col("subject_bad").isNotNull() | F.col("object_bad").isNotNull(), "uncertainty_gate"))
+    gated = F.coalesce(gate("l"), gate("r"), F.when(flag("subject_fast") | flag("object_fast"), "uncertainty_gate"))
     active = F.coalesce(F.col("seen_state").isin(*ACTIVE), F.lit(False))
     geometry = F.coalesce(
         tell(~is_known("subject") | ~is_known("object"), "rejected", "dangling_id"),
-        tell(F.col("bounded") & (~F.col("has_l") | ~F.col("has_r")) & (F.coalesce("subject_stored", F.lit(False)) | F.coalesce("object_stored", F.lit(False))), "rejected", "lifetime_disjoint"),
+        tell(F.col("bounded") & (~F.col("has_l") | ~F.col("has_r")) & (flag("subject_stored") | flag("object_stored")), "rejected", "lifetime_disjoint"),
         tell(~pair, "uncertain", "missing_geometry"), tell(~F.col("l_frame").eqNullSafe(F.col("r_frame")), "rejected", "mixed_coordinate_frame"), tell(needs_metric & F.col("metric_m").isNull(), "uncertain", "metric_scale_missing"), tell(gated.isNotNull(), "uncertain", gated),
         tell((F.col("predicate") == "distance_band") & F.col("band_low").isNull(), "uncertain", "missing_distance_band"),
         tell((F.col("predicate") == "visible") & ~active, "uncertain", "missing_evidence"), tell(holds, "accepted"),
         tell(F.lit(True), "rejected", "geometry_contradiction", F.when(F.col("came_with") == "accepted", "geometry_overrides_confidence"), F.when(F.col("against_id").isNotNull(), "mutually_exclusive")),
     )
-    unknown = lambda who: F.col(f"{who}_id").isNotNull() & ~F.coalesce(F.col(f"{who}_named"), F.lit(False))
+    unknown = lambda who: F.col(f"{who}_id").isNotNull() & ~flag(f"{who}_named")
     actual = F.coalesce("actual", F.lit(0))
     verdict = F.coalesce(
-        tell((F.col("rule") == "identity") & F.col("link_t").isNotNull(), "accepted"), tell(F.col("rule").isin("identity", "event"), "uncertain", "vlm_not_sole_evidence"),
+        tell((F.col("rule") == "identity") & flag("subject_linked"), "accepted"), tell(F.col("rule").isin("identity", "event"), "uncertain", "vlm_not_sole_evidence"),
         tell((F.col("rule") == "count") & (actual == F.col("said")) & (F.col("said") > 0), "accepted"), tell(F.col("rule") == "count", "rejected", "count_mismatch"),
         F.when(F.col("rule") == "geometry", geometry), tell(unknown("subject") | unknown("object"), "rejected", "dangling_id"), tell(F.lit(True), "uncertain"),
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as V
 from ..operators import intervals as W
+from ..sources.storage import materialise
 from ..streaming import packets as T
 from ..streaming import selection as S
 from .missions import RELATIONS
@@ -127,10 +128,11 @@ def _claims(t):
         i.alias("claim_id"), "mission_id", F.when(k == 11, "event").otherwise("action").alias("claim_kind"), text.alias("text"), F.get(names, k).alias("predicate"), F.concat(F.lit("s"), i % 4 + 1).alias("subject_id"),
         F.concat(F.lit("s"), (i + 2) % 6 + 1 + F.when(i % 17 == 0, 20).otherwise(0)).alias("object_id"), start.alias("start_sec"), (start + 0.75).alias("end_sec"), "status",
     )
-    samples = t("geometry").withColumn("residual_m", F.col("cx") / 15).withColumn("covariance", F.col("cy") / 2).withColumn("frame", F.when((F.col("subject_id") == "s3") & (F.col("mission_id") % 6 == 1), "camera").otherwise("world"))
+    samples, tracks = materialise(t("geometry"), "claims-samples"), materialise(t("tracks"), "claims-tracks")  # groupings of the given rows, read several times
+    samples = samples.withColumn("residual_m", F.col("cx") / 15).withColumn("covariance", F.col("cy") / 2).withColumn("frame", F.when((F.col("subject_id") == "s3") & (F.col("mission_id") % 6 == 1), "camera").otherwise("world"))
     nodes = samples.select("mission_id", F.col("subject_id").alias("node_id")).distinct()
     edges = t("edges").withColumn("start_sec", F.col("start_sec") % 3).withColumn("end_sec", F.col("start_sec") + 1)
-    return V.verify_claims(claims, t("tracks"), nodes, t("tracks").filter("confidence > 0.9"), samples, edges, samples.filter("mission_id % 4 <> 0").select("mission_id"))
+    return V.verify_claims(claims, tracks, nodes, tracks.filter("confidence > 0.9"), samples, edges, samples.filter("mission_id % 4 <> 0").select("mission_id"))
 
 
 @query("v7_verify_claims", ["proposals", "edges", "geometry", "tracks"], CLAIMS + " SELECT claim_id, v[1] AS status, coalesce(v[2], '') AS reasons, needs_review FROM v")
