@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.storage import materialise
+
 # Fixed values of the box fit and of the camera model.
 GATE, LEAST_POINTS, YAWS, UNDISTORT_STEPS = 8.0, 12, 360, 8
+LEAST_EXTENT_M, LEAST_DEPTH = 1e-3, 1e-6
 
 
 def robust_points(points: DataFrame) -> DataFrame:
@@ -31,13 +34,31 @@ def robust_points(points: DataFrame) -> DataFrame:
     return kept.select("track_id", "t_sec", "x", "y", "z")
 
 
+def spread(kept: DataFrame) -> DataFrame:
+    """(s_track_id, s_t_sec, var_x, var_y, var_z, residual) of each cloud.
+
+    The variances are those of the centre, the points' variance over their number;
+    the residual is the median absolute deviation of the distance to the median point.
+    """
+    keys = [F.col("track_id").alias("s_track_id"), F.col("t_sec").alias("s_t_sec")]
+    same = (F.col("track_id") == F.col("s_track_id")) & (F.col("t_sec") == F.col("s_t_sec"))
+    middle = kept.groupBy(*keys).agg(*[F.median(c).alias(f"m_{c}") for c in "xyz"], *[(F.var_pop(c) / F.count("*")).alias(f"var_{c}") for c in "xyz"])
+    middle = materialise(middle, "cloud-middle")
+    far = F.sqrt(sum((F.col(c) - F.col(f"m_{c}")) ** 2 for c in "xyz"))
+    off = kept.join(middle, same).select("track_id", "t_sec", far.alias("far"))
+    usual = materialise(off.groupBy(*keys).agg(F.median("far").alias("usual")), "cloud-usual")
+    residual = off.join(usual, same).groupBy(*keys).agg(F.median(F.abs(F.col("far") - F.col("usual"))).alias("residual"))
+    return middle.join(residual, ["s_track_id", "s_t_sec"]).select("s_track_id", "s_t_sec", "var_x", "var_y", "var_z", "residual")
+
+
 def box_fit(points: DataFrame) -> DataFrame:
     """Gravity-aligned box of each cloud: the yaw, in half degrees, with the least ground area.
 
-    (track_id, t_sec, yaw, length, width, height, cx, cy, cz, n).  Each point
-    meets all yaws inside its task; only extremes are shuffled.
+    (track_id, t_sec, yaw, length, width, height, cx, cy, cz, n) with the spread
+    (var_x, var_y, var_z, residual); no side is shorter than ``LEAST_EXTENT_M``.
+    Each point meets all yaws inside its task; only extremes are shuffled.
     """
-    kept = robust_points(points)
+    kept = materialise(robust_points(points), "cloud-points")
     turned = kept.select("track_id", "t_sec", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(YAWS - 1))).alias("step"))
     yaw = F.radians(F.col("step") / 2)
     turned = turned.withColumn("u", F.col("x") * F.cos(yaw) + F.col("y") * F.sin(yaw)).withColumn("v", F.col("y") * F.cos(yaw) - F.col("x") * F.sin(yaw))
@@ -46,9 +67,11 @@ def box_fit(points: DataFrame) -> DataFrame:
     area = F.round((F.col("hi_u") - F.col("lo_u")) * (F.col("hi_v") - F.col("lo_v")), 9)
     best = boxes.groupBy("track_id", "t_sec").agg(F.min_by(F.struct("step", "lo_u", "hi_u", "lo_v", "hi_v", "lo_z", "hi_z", "n"), F.struct(area.alias("area"), "step")).alias("b"))
     a, u, v = F.radians(F.col("b.step") / 2), (F.col("b.lo_u") + F.col("b.hi_u")) / 2, (F.col("b.lo_v") + F.col("b.hi_v")) / 2
+    side = lambda c: F.greatest(F.col(f"b.hi_{c}") - F.col(f"b.lo_{c}"), F.lit(LEAST_EXTENT_M))
+    best = best.join(spread(kept), (F.col("track_id") == F.col("s_track_id")) & (F.col("t_sec") == F.col("s_t_sec")))
     return best.select(
-        "track_id", "t_sec", (F.col("b.step") / 2).alias("yaw"), (F.col("b.hi_u") - F.col("b.lo_u")).alias("length"), (F.col("b.hi_v") - F.col("b.lo_v")).alias("width"), (F.col("b.hi_z") - F.col("b.lo_z")).alias("height"),
-        (u * F.cos(a) - v * F.sin(a)).alias("cx"), (u * F.sin(a) + v * F.cos(a)).alias("cy"), ((F.col("b.lo_z") + F.col("b.hi_z")) / 2).alias("cz"), F.col("b.n").alias("n"),
+        "track_id", "t_sec", (F.col("b.step") / 2).alias("yaw"), side("u").alias("length"), side("v").alias("width"), side("z").alias("height"),
+        (u * F.cos(a) - v * F.sin(a)).alias("cx"), (u * F.sin(a) + v * F.cos(a)).alias("cy"), ((F.col("b.lo_z") + F.col("b.hi_z")) / 2).alias("cz"), F.col("b.n").alias("n"), "var_x", "var_y", "var_z", "residual",
     )
 
 
@@ -63,22 +86,33 @@ def undistorted(df: DataFrame) -> DataFrame:
 
 
 def backproject(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
-    """Depth pixels (track_id, t_sec, camera_id, u, v, depth, mask) to points in the camera's place.
+    """Depth pixels (track_id, t_sec, camera_id, u, v, depth, mask) to points in the mission's frame.
 
-    Only masked pixels with a finite positive depth count.  Cameras without a
+    Only masked pixels with a finite depth above ``LEAST_DEPTH`` count.  Cameras without a
     calibration give depths in units of their cloud's median, if it has enough
-    pixels.  ``reprojection_px`` is the way back to the pixel.
+    pixels.  Cameras have their place (px, py, pz) and may have ``rotation``, the
+    nine numbers, row by row, that turn the mission's frame into theirs.
+    ``reprojection_px`` is the way back to the pixel.
     """
-    named = cameras.select(F.col("camera_id").alias("c_id"), "fu", "fv", "cu", "cv", "k1", "k2", "px", "py", "pz", "calibrated")
-    rows = pixels.filter("mask and depth > 0 and depth < double('inf')").join(named, F.col("camera_id") == F.col("c_id")).drop("c_id")
-    scale = rows.groupBy(F.col("track_id").alias("s_track"), F.col("t_sec").alias("s_t")).agg(F.median("depth").alias("unit"), F.count("*").alias("n"))
+    turned = "rotation" in cameras.columns
+    named = cameras.select(F.col("camera_id").alias("c_id"), "fu", "fv", "cu", "cv", "k1", "k2", "px", "py", "pz", "calibrated", *["rotation"] * turned)
+    rows = pixels.filter(f"mask and depth > {LEAST_DEPTH} and depth < double('inf')").join(named, F.col("camera_id") == F.col("c_id")).drop("c_id")
+    # Written first: a join that reuses the grouping's shuffle couldn't split a large cloud.
+    scale = materialise(rows.groupBy(F.col("track_id").alias("s_track"), F.col("t_sec").alias("s_t")).agg(F.median("depth").alias("unit"), F.count("*").alias("n")), "cloud-units")
     rows = rows.join(scale, (F.col("track_id") == F.col("s_track")) & (F.col("t_sec") == F.col("s_t")))
     rows = rows.filter(F.col("calibrated") | (F.col("n") >= LEAST_POINTS)).withColumn("depth", F.when(F.col("calibrated"), F.col("depth")).otherwise(F.col("depth") / F.col("unit")))
     rows = undistorted(rows)
     r2 = F.col("x_n") ** 2 + F.col("y_n") ** 2
     back = lambda c, f, m: F.col(c) * (1 + F.col("k1") * r2 + F.col("k2") * r2 * r2) * F.col(f) + F.col(m)
     error = F.sqrt((back("x_n", "fu", "cu") - F.col("u")) ** 2 + (back("y_n", "fv", "cv") - F.col("v")) ** 2)
-    return rows.select("track_id", "t_sec", (F.col("x_n") * F.col("depth") + F.col("px")).alias("x"), (F.col("y_n") * F.col("depth") + F.col("py")).alias("y"), (F.col("depth") + F.col("pz")).alias("z"), error.alias("reprojection_px"))
+    seen = (F.col("x_n") * F.col("depth"), F.col("y_n") * F.col("depth"), F.col("depth"))
+    place = [sum(s * F.get("rotation", F.lit(3 * i + k)) for i, s in enumerate(seen)) if turned else seen[k] for k in range(3)]
+    return rows.select("track_id", "t_sec", *[(p + F.col(f"p{c}")).alias(c) for p, c in zip(place, "xyz")], error.alias("reprojection_px"))
+
+
+def reprojection_error(points: DataFrame) -> DataFrame:
+    """(track_id, t_sec, error_px, n): mean way back to the pixel of each cloud of :func:`backproject`."""
+    return points.groupBy("track_id", "t_sec").agg(F.avg("reprojection_px").alias("error_px"), F.count("*").alias("n"))
 
 
 def centroid_distance(frames: DataFrame, most: int = 20, seed: int = 1) -> DataFrame:

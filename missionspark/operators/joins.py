@@ -329,26 +329,6 @@ def supported_claims(claims: DataFrame, events: DataFrame, aliases: DataFrame) -
     return met.select("claim_id").distinct()
 
 
-def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None = None, least_cosine: float = 0.85, least_gap: float = 2.0) -> DataFrame:
-    """Births linked to the latest ended track of their label that looks alike: (mission_id, track_id, linked, reason).
-
-    ``tracks`` has (mission_id, track_id, label, born, ended, vector).  Between
-    end and birth lie ``least_gap`` seconds (an occlusion), or a reset of the
-    tracker (mission_id, t_sec) after the end and not after the birth (a cut).
-    """
-    other = prefixed(tracks, "o_")
-    rows = tracks.withColumn("last_reset", F.lit(None).cast("double"))
-    if resets is not None:
-        births = tracks.select(F.col("track_id").alias("query_id"), "mission_id", F.col("born").alias("t_sec"))
-        last = asof(births, resets.select("mission_id", "t_sec", F.col("t_sec").alias("reset")), ["mission_id"], ["reset"], tolerance=0.0)
-        rows = tracks.join(last.select(F.col("query_id").alias("q"), F.col("mission_id").alias("q_m"), F.col("reset").alias("last_reset")), (F.col("track_id") == F.col("q")) & (F.col("mission_id") == F.col("q_m")))
-    met = rows.join(other, (F.col("mission_id") == F.col("o_mission_id")) & (F.col("label") == F.col("o_label")) & (F.col("track_id") != F.col("o_track_id")) & (F.col("o_ended") <= F.col("born")))
-    met = met.withColumn("cut", F.coalesce(F.col("last_reset") > F.col("o_ended"), F.lit(False))).filter(F.col("cut") | (F.col("born") - F.col("o_ended") >= least_gap))
-    met = met.filter(cosine(F.col(vectors), F.col(f"o_{vectors}")) >= least_cosine)
-    best = met.groupBy("mission_id", "track_id").agg(F.max(F.struct("o_ended", "o_track_id", "cut")).alias("best"))
-    return best.select("mission_id", "track_id", F.col("best.o_track_id").alias("linked"), F.when(F.col("best.cut"), "camera_cut").otherwise("occlusion").alias("reason"))
-
-
 def facts_diff(changes: DataFrame, facts: DataFrame) -> DataFrame:
     """Facts that differ between a changed frame and its reference: (id, reference, key, was, is).
 

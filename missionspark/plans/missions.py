@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import bundles as B
+from ..operators import identities as I
 from ..operators import intervals as W
 from ..operators import joins as J
 from ..operators import logs as G
@@ -393,7 +394,7 @@ def j21(t):
     born = (F.col("id") % 50) * F.lit(2.0)
     tracks = t("points").filter("type = 'frame'").select((F.col("mission_id") % 3).alias("mission_id"), F.col("id").alias("track_id"), (F.col("mission_id") % 2).alias("label"), born.alias("born"), (born + 5).alias("ended"), F.col("embedding").alias("vector"))
     resets = t("points").filter("type = 'tile'").select((F.col("mission_id") % 3).alias("mission_id"), ((F.col("id") % 10) * F.lit(11.0)).alias("t_sec")).distinct()
-    return J.link_identities(tracks, "vector", resets, 0.2)
+    return I.link_identities(tracks, "vector", resets, 0.2)
 
 
 @query("j22_georeference", ["tracks", "geometry"], """

@@ -34,18 +34,46 @@ r AS (SELECT * FROM s WHERE n >= 12 AND (inside OR n_inside < 12))"""
 
 @query("a13_box_fit", ["geometry"], ROBUST + """
 , u AS (SELECT track_id, t_sec, z, s.step, x * cos(radians(s.step / 2e0)) + y * sin(radians(s.step / 2e0)) AS u, y * cos(radians(s.step / 2e0)) - x * sin(radians(s.step / 2e0)) AS v FROM r, (SELECT unnest(range(360)) AS step) s),
-b AS (SELECT track_id, t_sec, step, round((max(u) - min(u)) * (max(v) - min(v)), 9) AS area, max(u) - min(u) AS length, max(v) - min(v) AS width, max(z) - min(z) AS height, count(*) AS n FROM u GROUP BY ALL),
-o AS (SELECT *, row_number() OVER (PARTITION BY track_id, t_sec ORDER BY area, step) AS place FROM b)
-SELECT track_id, t_sec, step / 2e0 AS yaw, round(length, 6) AS length, round(width, 6) AS width, round(height, 6) AS height, n FROM o WHERE place = 1""")
+b AS (SELECT track_id, t_sec, step, round((max(u) - min(u)) * (max(v) - min(v)), 9) AS area, greatest(max(u) - min(u), 0.001) AS length, greatest(max(v) - min(v), 0.001) AS width, greatest(max(z) - min(z), 0.001) AS height, count(*) AS n FROM u GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY track_id, t_sec ORDER BY area, step) AS place FROM b),
+q AS (SELECT *, median(x) OVER k AS qx, median(y) OVER k AS qy, median(z) OVER k AS qz FROM r WINDOW k AS (PARTITION BY track_id, t_sec)),
+f AS (SELECT *, sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2)) AS far FROM q),
+h AS (SELECT *, median(far) OVER (PARTITION BY track_id, t_sec) AS usual FROM f),
+e AS (SELECT track_id, t_sec, var_pop(x) / count(*) AS var_x, var_pop(y) / count(*) AS var_y, var_pop(z) / count(*) AS var_z, median(abs(far - usual)) AS residual FROM h GROUP BY ALL)
+SELECT track_id, t_sec, step / 2e0 AS yaw, round(length, 6) AS length, round(width, 6) AS width, round(height, 6) AS height, n, round(var_x, 6) AS var_x, round(var_y, 6) AS var_y, round(var_z, 6) AS var_z, round(residual, 6) AS residual FROM o JOIN e USING (track_id, t_sec) WHERE place = 1""")
 def a13(t):
-    return C.box_fit(_cloud(t)).select("track_id", "t_sec", "yaw", *[F.round(c, 6).alias(c) for c in ("length", "width", "height")], "n")
+    return C.box_fit(_cloud(t)).select("track_id", "t_sec", "yaw", *[F.round(c, 6).alias(c) for c in ("length", "width", "height")], "n", *[F.round(c, 6).alias(c) for c in ("var_x", "var_y", "var_z", "residual")])
+
+
+#: Two cameras: a calibrated one that is turned by a quarter and a distorting one without calibration.
+CAMERAS = """
+, c AS (SELECT * FROM (VALUES (0, 500e0, 500e0, 320e0, 240e0, 0.05e0, 0.01e0, 0e0, 0e0, 1e0, true), (1, 400e0, 410e0, 300e0, 200e0, 0.02e0, 0e0, 1e0, 2e0, 0e0, false)) v(camera_id, fu, fv, cu, cv, k1, k2, px, py, pz, calibrated)),
+q AS (SELECT CAST(floor(mission_id / 8) AS BIGINT) AS track_id, t_sec, CAST(floor(mission_id / 8) AS BIGINT) % 2 AS camera_id, cx * 60 AS u, cy * 90 AS v, depth_m AS depth FROM geometry WHERE ex > 0.6),
+j AS (SELECT q.*, c.* EXCLUDE (camera_id), median(depth) OVER k AS unit, count(*) OVER k AS n FROM q JOIN c USING (camera_id) WINDOW k AS (PARTITION BY track_id, t_sec)),
+u0 AS (SELECT *, CASE WHEN calibrated THEN depth ELSE depth / unit END AS d, (u - cu) / fu AS xd, (v - cv) / fv AS yd, (u - cu) / fu AS xn, (v - cv) / fv AS yn FROM j WHERE calibrated OR n >= 12)""" + "".join(
+    f",\nu{k} AS (SELECT * REPLACE (xd / (1 + k1 * (xn * xn + yn * yn) + k2 * pow(xn * xn + yn * yn, 2)) AS xn, yd / (1 + k1 * (xn * xn + yn * yn) + k2 * pow(xn * xn + yn * yn, 2)) AS yn) FROM u{k - 1})" for k in range(1, 9)
+) + """,
+w AS (SELECT track_id, t_sec, CASE WHEN camera_id = 0 THEN yn * d ELSE xn * d END + px AS x, CASE WHEN camera_id = 0 THEN -xn * d ELSE yn * d END + py AS y, d + pz AS z,
+  sqrt(pow(xn * (1 + k1 * (xn * xn + yn * yn) + k2 * pow(xn * xn + yn * yn, 2)) * fu + cu - u, 2) + pow(yn * (1 + k1 * (xn * xn + yn * yn) + k2 * pow(xn * xn + yn * yn, 2)) * fv + cv - v, 2)) AS px_off FROM u8)"""
+
+
+def _world(t):
+    track = F.floor(F.col("mission_id") / 8)
+    pixels = t("geometry").select(track.alias("track_id"), "t_sec", (track % 2).alias("camera_id"), (F.col("cx") * 60).alias("u"), (F.col("cy") * 90).alias("v"), F.col("depth_m").alias("depth"), (F.col("ex") > 0.6).alias("mask"))
+    quarter, none = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0], [1.0, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 1.0]
+    two = [(0, 500.0, 500.0, 320.0, 240.0, 0.05, 0.01, 0.0, 0.0, 1.0, True, quarter), (1, 400.0, 410.0, 300.0, 200.0, 0.02, 0.0, 1.0, 2.0, 0.0, False, none)]
+    cameras = t.spark.createDataFrame(two, "camera_id long, fu double, fv double, cu double, cv double, k1 double, k2 double, px double, py double, pz double, calibrated boolean, rotation array<double>")
+    return C.backproject(pixels, cameras)
 
 
-@query("a14_backproject", [], None)
+@query("a14_backproject", ["geometry"], CAMERAS + " SELECT track_id, t_sec, round(x, 6) + 0e0 AS x, round(y, 6) + 0e0 AS y, round(z, 6) AS z FROM w")
 def a14(t):
-    pixels = t("geometry").select(F.col("mission_id").alias("track_id"), "t_sec", (F.col("mission_id") % 2).alias("camera_id"), (F.col("cx") * 60).alias("u"), (F.col("cy") * 90).alias("v"), F.col("depth_m").alias("depth"), (F.col("ex") > 0.6).alias("mask"))
-    cameras = t.spark.createDataFrame([(0, 500.0, 500.0, 320.0, 240.0, 0.05, 0.01, 0.0, 0.0, 1.0, True), (1, 400.0, 410.0, 300.0, 200.0, 0.0, 0.0, 1.0, 2.0, 0.0, False)], "camera_id long, fu double, fv double, cu double, cv double, k1 double, k2 double, px double, py double, pz double, calibrated boolean")
-    return C.backproject(pixels, cameras)
+    return _world(t).select("track_id", "t_sec", *[(F.round(c, 6) + 0.0).alias(c) for c in "xy"], F.round("z", 6).alias("z"))
+
+
+@query("a14_reprojection", ["geometry"], CAMERAS + " SELECT track_id, t_sec, round(avg(px_off), 6) AS error_px, count(*) AS n FROM w GROUP BY ALL")
+def a14_error(t):
+    return C.reprojection_error(_world(t)).withColumn("error_px", F.round("error_px", 6))
 
 
 @query("a16_fuse_motion", ["geometry"], """

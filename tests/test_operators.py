@@ -12,6 +12,7 @@ from missionspark.functions.exprs import distance_3d, iou_2d, iou_3d, temporal_i
 from missionspark.operators import aggregates as A
 from missionspark.operators import filters as P
 from missionspark.operators import graph as V
+from missionspark.operators import identities as I
 from missionspark.operators import intervals as W
 from missionspark.operators import joins as J
 from missionspark.operators import logs as G
@@ -250,7 +251,7 @@ def test_grid_cells_hold_at_every_latitude(spark):
 def test_identity_needs_a_gap_or_a_reset(spark):
     data = [(1, "a", "car", 0.0, 5.0, [1.0, 0.0]), (1, "b", "car", 6.0, 9.0, [1.0, 0.1]), (1, "c", "car", 20.0, 21.0, [1.0, 0.0]), (1, "d", "box", 20.0, 21.0, [1.0, 0.0]), (1, "e", "car", 30.0, 31.0, [0.0, 1.0])]
     tracks = spark.createDataFrame(data, "mission_id long, track_id string, label string, born double, ended double, vector array<double>")
-    link = lambda r: sorted(rows(J.link_identities(tracks, "vector", r).select("track_id", "linked", "reason")))
+    link = lambda r: sorted(rows(I.link_identities(tracks, "vector", r).select("track_id", "linked", "reason")))
     assert link(None) == [("c", "b", "occlusion")]
     resets = spark.createDataFrame([(1, 5.5), (2, 20.0)], "mission_id long, t_sec double")
     assert link(resets) == [("b", "a", "camera_cut"), ("c", "b", "occlusion")]
