@@ -40,9 +40,9 @@ q AS (SELECT *, median(x) OVER k AS qx, median(y) OVER k AS qy, median(z) OVER k
 f AS (SELECT *, sqrt(pow(x - qx, 2) + pow(y - qy, 2) + pow(z - qz, 2)) AS far FROM q),
 h AS (SELECT *, median(far) OVER (PARTITION BY track_id, t_sec) AS usual FROM f),
 e AS (SELECT track_id, t_sec, var_pop(x) / count(*) AS var_x, var_pop(y) / count(*) AS var_y, var_pop(z) / count(*) AS var_z, median(abs(far - usual)) AS residual FROM h GROUP BY ALL)
-SELECT track_id, t_sec, step / 2e0 AS yaw, round(length, 6) AS length, round(width, 6) AS width, round(height, 6) AS height, n, round(var_x, 6) AS var_x, round(var_y, 6) AS var_y, round(var_z, 6) AS var_z, round(residual, 6) AS residual FROM o JOIN e USING (track_id, t_sec) WHERE place = 1""")
+SELECT track_id, t_sec, step / 2e0 AS yaw, round(length, 6) AS length, round(width, 6) AS width, round(height, 6) AS height, n, round(sqrt(var_x), 6) AS sd_x, round(sqrt(var_y), 6) AS sd_y, round(sqrt(var_z), 6) AS sd_z, round(residual, 6) AS residual FROM o JOIN e USING (track_id, t_sec) WHERE place = 1""")
 def a13(t):
-    return C.box_fit(_cloud(t)).select("track_id", "t_sec", "yaw", *[F.round(c, 6).alias(c) for c in ("length", "width", "height")], "n", *[F.round(c, 6).alias(c) for c in ("var_x", "var_y", "var_z", "residual")])
+    return C.box_fit(_cloud(t)).select("track_id", "t_sec", "yaw", *[F.round(c, 6).alias(c) for c in ("length", "width", "height")], "n", *[F.round(F.sqrt(f"var_{c}"), 6).alias(f"sd_{c}") for c in "xyz"], F.round("residual", 6).alias("residual"))
 
 
 #: Two cameras: a calibrated one that is turned by a quarter and a distorting one without calibration.

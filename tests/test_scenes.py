@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +19,27 @@ def test_box_of_a_turned_rectangle(spark):
     out = C.box_fit(spark.createDataFrame(points + [("t", 0.0, 500.0, 0.0, 0.0), ("few", 0.0, 0.0, 0.0, 0.0)], "track_id string, t_sec double, x double, y double, z double")).collect()
     assert len(out) == 1 and out[0].n == len(points)
     assert sorted((out[0].length, out[0].width)) == pytest.approx([2.0, 4.0], abs=1e-6) and out[0].height == 1.0 and out[0].yaw % 90 == pytest.approx(30.0)
+    # By definition: variance of the points over their number, deviation of their distance to the median point.
+    x, y, z = np.array([p[2:] for p in points]).T
+    far = np.sqrt((x - np.median(x)) ** 2 + (y - np.median(y)) ** 2 + (z - np.median(z)) ** 2)
+    assert [out[0].var_x, out[0].var_y, out[0].var_z] == pytest.approx([c.var() / len(points) for c in (x, y, z)])
+    assert out[0].residual == pytest.approx(np.median(np.abs(far - np.median(far))))
+
+
+def test_flat_cloud_has_the_least_height(spark):
+    flat = [("t", 0.0, x / 4, y / 4, 1.0) for x in range(5) for y in range(5)]
+    out = C.box_fit(spark.createDataFrame(flat, "track_id string, t_sec double, x double, y double, z double")).collect()
+    assert out[0].height == 0.001 and out[0].var_z == 0.0 and out[0].cz == 1.0
+
+
+def test_a_turned_camera(spark):
+    quarter = [0.0, -1.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0]
+    kind = "camera_id long, fu double, fv double, cu double, cv double, k1 double, k2 double, px double, py double, pz double, calibrated boolean, rotation array<double>"
+    cameras = spark.createDataFrame([(0, 100.0, 100.0, 0.0, 0.0, 0.0, 0.0, 10.0, 20.0, 30.0, True, quarter)], kind)
+    pixels = [("a", 0.0, 0, 100.0, 200.0, 2.0, True), ("a", 0.0, 0, 100.0, 200.0, 1e-7, True), ("b", 0.0, 0, 0.0, 0.0, 1.0, True)]
+    points = C.backproject(spark.createDataFrame(pixels, "track_id string, t_sec double, camera_id long, u double, v double, depth double, mask boolean"), cameras)
+    assert sorted((r.track_id, r.x, r.y, r.z) for r in points.collect()) == [("a", 14.0, 18.0, 32.0), ("b", 10.0, 20.0, 31.0)]
+    assert sorted((r.track_id, r.error_px, r.n) for r in C.reprojection_error(points).collect()) == [("a", 0.0, 1), ("b", 0.0, 1)]
 
 
 def test_pixels_go_out_and_back(spark):
