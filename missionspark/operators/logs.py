@@ -191,8 +191,8 @@ def append_log(df: DataFrame, path: str, id_column: str) -> None:
     twice = df.groupBy(id_column).count().filter("count > 1").limit(1).count()
     try:
         known = spark.read.parquet(path).select(id_column)
-    except Exception as error:  # the first append makes the log
-        if "PATH_NOT_FOUND" not in str(error):
+    except AnalysisException as error:  # the first append makes the log
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         known = None
     if twice or known is not None and df.join(known, id_column, "left_semi").limit(1).count():
@@ -335,7 +335,7 @@ def publish(events: DataFrame, path: str, zone_id: str, sensor_id: str, publishe
     try:
         ledger = spark.read.parquet(path).select("event_id")
     except AnalysisException as error:  # the first publication makes the ledger
-        if "PATH_NOT_FOUND" not in str(error):
+        if error.getCondition() != "PATH_NOT_FOUND":
             raise
         ledger = spark.createDataFrame([], events.select("event_id").schema)
     new = materialise(envelopes(unpublished(events, ledger), zone_id, sensor_id, published_at), "published")

@@ -66,37 +66,31 @@ GATE = {"hist_diff": 0.25, "ssim_diff": 0.25, "drift": 0.15}
 FORCED = ("scene_cut", "prompt_change", "calibration_change", "stream_start", "max_gap")
 
 
-def residual(vector: np.ndarray, basis: list[np.ndarray]) -> tuple[float, np.ndarray]:
-    """What of a unit vector the orthonormal basis doesn't hold: its length and direction."""
-    norm = float(np.linalg.norm(vector))
-    left = vector / norm if norm > 1e-12 else np.zeros_like(vector)
-    for b in basis:
-        left = left - float(left @ b) * b
-    norm = float(np.linalg.norm(left))
-    return (norm, left / norm) if norm > 1e-12 else (0.0, np.zeros_like(left))
-
-
 def diverse(vectors: list[np.ndarray], required: list[int], budget: int) -> list[int]:
-    """Places that are taken beside the required ones: greatest residual first, the earlier of equals."""
-    basis, taken, pool = [], 0, [i for i in range(len(vectors)) if i not in set(required)]
-
-    def take(i: int) -> None:
-        length, unit = residual(vectors[i], basis)
-        if length > 1e-8:
-            basis.append(unit)
+    """Places that are taken beside the required ones: greatest residual first, the earlier of equals.
 
-    for i in required:
-        take(i)
-        taken += 1
-    found = []
-    while taken < budget and pool:
-        lengths = [round(residual(vectors[i], basis)[0], 9) for i in pool]
-        best = int(np.argmax(lengths))
-        if taken and residual(vectors[pool[best]], basis)[0] <= 1e-8:
-            break
-        found.append(pool[best])
-        take(pool.pop(best))
-        taken += 1
+    ``left`` holds what of each unit vector the taken ones don't span; taking a
+    row removes its direction from all rows at once.
+    """
+    if not vectors:
+        return []
+    left = np.stack([np.asarray(v, np.float64) for v in vectors])
+    size = np.linalg.norm(left, axis=1, keepdims=True)
+    left = np.where(size > 1e-12, left / np.where(size > 1e-12, size, 1.0), 0.0)
+    lengths, free, found = np.linalg.norm(left, axis=1), np.ones(len(left), bool), []
+    for taken in range(max(budget, len(required))):
+        if taken < len(required):
+            pick = required[taken]
+        else:
+            pick = int(np.where(free, np.round(lengths, 9), -1.0).argmax())
+            if not free.any() or taken and lengths[pick] <= 1e-8:
+                break
+            found.append(pick)
+        free[pick] = False
+        if lengths[pick] > 1e-8:
+            unit = left[pick] / lengths[pick]
+            left -= np.outer(left @ unit, unit)
+            lengths = np.linalg.norm(left, axis=1)
     return found
 
 
