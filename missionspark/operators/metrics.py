@@ -114,7 +114,7 @@ def grounding(pred: DataFrame, truth: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["mission_id", "t_sec", "track_id", "confidence"])
 
     dealt = pairs.repartition("mission_id", "t_sec").sortWithinPartitions("mission_id", "t_sec", F.desc("confidence"), "track_id", F.desc("iou"), "gt_id")
-    found = dealt.mapInPandas(take, "mission_id long, t_sec double, track_id string, confidence double").withColumn("hit", F.lit(1))
+    found = dealt.mapInPandas(take, dealt.select("mission_id", "t_sec", "track_id", "confidence").schema).withColumn("hit", F.lit(1))
     keys = ["mission_id", "t_sec", "track_id", "confidence"]
     hits = pred.select(*keys).join(found, keys, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     order = Window.partitionBy("mission_id").orderBy(F.desc("confidence"), "t_sec", "track_id")

@@ -94,6 +94,24 @@ def test_tracking_quality_counts_a_switch(spark):
     assert (row.tp, row.fp, row.fn, row.switches) == (4, 0, 0, 1) and row.hota == pytest.approx(math.sqrt(0.75), abs=1e-6) and row.idf1 == 0.75
 
 
+def test_pinned_corpus_scores(spark):
+    """Seven missions: one empty, one whose track runs on over another object after an occlusion, five without a fault."""
+    left, right, tall = (0.1, 0.1, 0.2, 0.2), (0.6, 0.1, 0.2, 0.2), (0.1, 0.2, 0.2, 0.3)
+    seen = [  # mission, track, object, time, state, box
+        ("crowded", "l", "gl", 0.0, "confirmed", left), ("crowded", "r", "gr", 0.0, "confirmed", right), ("contradiction", "a", "ga", 0.0, "confirmed", left), ("contradiction", "b", "gb", 0.0, "tentative", right),
+        ("nominal", "1", "g1", 0.0, "confirmed", tall), ("nominal", "1", "g1", 4.0, "confirmed", tall), ("nominal", "1", None, 8.0, "ended", tall), ("nominal", "3", "g1", 8.0, "confirmed", tall),
+        ("occlusion", "bad", "g1", 0.0, "confirmed", left), ("occlusion", "bad", None, 5.0, "occluded", left), ("occlusion", "bad", "g2", 9.0, "confirmed", right), ("relative", "1", "g1", 0.0, "confirmed", left), ("weak", "1", "g1", 0.0, "confirmed", left),
+    ]
+    kind = "mission_id string, {} string, t_sec double, x double, y double, w double, h double"
+    pred = spark.createDataFrame([(m, track, t, *box, 0.9, state) for m, track, _, t, state, box in seen], kind.format("track_id") + ", confidence double, state string").filter(M.ACTIVE).drop("state")
+    truth = spark.createDataFrame([(m, g, t, *box) for m, _, g, t, _, box in seen if g], kind.format("gt_id"))
+    scores = M.tracking_quality(pred, truth)
+    assert {r.mission_id: r.hota for r in scores.collect()} == {m: 0.707107 if m == "occlusion" else 1.0 for m in ("crowded", "contradiction", "nominal", "occlusion", "relative", "weak")}
+    row = scores.agg(F.round(F.avg("hota"), 6).alias("hota"), F.round(F.avg("idf1"), 6).alias("idf1"), F.sum("switches").alias("switches")).first()
+    assert (row.hota, row.idf1, row.switches) == (0.951185, 0.916667, 1)
+    assert {(r.ap, r.recall) for r in M.grounding(pred, truth).collect()} == {(1.0, 1.0)}
+
+
 def test_greedy_matching_prefers_the_best_pair(spark):
     pred = spark.createDataFrame([(1, "p1", 0.0, 0.0, 0.0, 1.0, 1.0), (1, "p2", 0.0, 0.0, 0.0, 1.0, 0.9)], "mission_id long, track_id string, t_sec double, x double, y double, w double, h double")
     truth = spark.createDataFrame([(1, "g", 0.0, 0.0, 0.0, 1.0, 0.9)], "mission_id long, gt_id string, t_sec double, x double, y double, w double, h double")
