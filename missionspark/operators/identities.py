@@ -2,7 +2,7 @@
 
 Tracks of a label are never all compared with each other.  Vectors are dealt to
 cells of direction, whose widest angle tells which cells can hold a vector of the
-least cosine; in a cell the ended tracks are cut in blocks in order of their end,
+least cosine (one cell, where vectors have no directions to tell apart); in a cell the ended tracks are cut in blocks in order of their end,
 and a birth looks backwards from the last block that it may be linked to, in
 rounds that reach further each time, until what is left ended before its link.
 So a birth with a recent link meets a few blocks, and one without any only the
@@ -24,32 +24,58 @@ from .joins import asof
 
 #: Vectors that cells are fitted on, tracks of a cell about, cells at most.
 SAMPLE, CELL_TRACKS, MOST_CELLS = 20_000, 256, 256
+#: Share of the cells that a vector may reach on average.
+MOST_REACHED = 0.25
 #: Ended tracks of a block; each round looks at so many times more blocks than the last.
 BLOCK, GROWTH = 64, 8
 KEYS = ["mission_id", "label", "cell"]
 
 
-def dealt(rows: DataFrame, centre: np.ndarray, widest: np.ndarray | None, least_cosine: float) -> DataFrame:
-    """Rows (..., v) with their nearest ``cell`` and its cosine ``near``; with ``widest`` once for each cell that can hold one alike."""
-    shared = rows.sparkSession.sparkContext.broadcast((centre, widest))  # at most MOST_CELLS vectors
+def reached(near: np.ndarray, widest: np.ndarray, least_cosine: float) -> np.ndarray:
+    """Which cells can hold a vector alike, by the cosines with their centres."""
+    return np.cos(np.maximum(0.0, np.arccos(np.clip(near, -1, 1)) - widest[None, :])) + 1e-6 >= least_cosine
+
+
+def centres(sample: np.ndarray, tracks: int, least_cosine: float) -> np.ndarray:
+    """Centres of the cells; a single one where a vector of the sample reaches more than ``MOST_REACHED`` of them, as cells then only add blocks to look at."""
+    centre = fitted(sample, min(len(sample), max(1, min(MOST_CELLS, tracks // CELL_TRACKS))))
+    near = sample @ centre.T
+    cell, widest = near.argmax(axis=1), np.full(len(centre), -np.inf)
+    np.maximum.at(widest, cell, np.arccos(np.clip(near.max(axis=1), -1, 1)))
+    return centre if reached(near, widest, least_cosine).mean() <= MOST_REACHED else centre[:1]
+
+
+def dealt(rows: DataFrame, centre: np.ndarray) -> DataFrame:
+    """Rows (..., v) with their nearest ``cell`` and its cosine ``near``."""
+    shared = rows.sparkSession.sparkContext.broadcast(centre)  # at most MOST_CELLS vectors
     names = rows.columns
     at = names.index("v")
 
     def assign(batches):
-        centre, widest = shared.value
         for b in batches:
-            near = np.clip(unit(b.column(at).to_pylist()) @ centre.T, -1, 1) if b.num_rows else np.zeros((0, len(centre)))
-            if widest is None:
-                cell = near.argmax(axis=1) if b.num_rows else np.zeros(0, np.int64)
-                row = np.arange(b.num_rows)
-            else:
-                row, cell = np.nonzero(np.cos(np.maximum(0.0, np.arccos(near) - widest[None, :])) + 1e-6 >= least_cosine)
-            taken = [c.take(pa.array(row)) for c in b.columns]
-            yield pa.RecordBatch.from_arrays([*taken, pa.array(cell.astype(np.int32)), pa.array(near[row, cell])], [*names, "cell", "near"])
+            near = unit(b.column(at).to_pylist()) @ shared.value.T if b.num_rows else np.zeros((0, len(shared.value)))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near.argmax(axis=1).astype(np.int32)), pa.array(near.max(axis=1, initial=-1.0))], [*names, "cell", "near"])
 
     return rows.mapInArrow(assign, T.StructType([*rows.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("near", T.DoubleType())]))
 
 
+def asked(rows: DataFrame, centre: np.ndarray, widest: np.ndarray, least_cosine: float) -> DataFrame:
+    """Rows without their v, once for each ``cell`` that can hold one alike."""
+    shared = rows.sparkSession.sparkContext.broadcast((centre, widest))
+    names = [c for c in rows.columns if c != "v"]
+
+    def ask(batches):
+        centre, widest = shared.value
+        for b in batches:
+            near = unit(b.column("v").to_pylist()) @ centre.T if b.num_rows else np.zeros((0, len(centre)))
+            look = reached(near, widest, least_cosine)
+            cells = pa.ListArray.from_arrays(pa.array(np.r_[0, look.sum(axis=1).cumsum()].astype(np.int32)), pa.array(np.nonzero(look)[1].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in names], cells], [*names, "cells"])
+
+    kind = T.StructType([*rows.select(*names).schema.fields, T.StructField("cells", T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(ask, kind).withColumn("cell", F.explode("cells")).drop("cells")
+
+
 def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None = None, least_cosine: float = 0.85, least_gap: float = 2.0, block: int = BLOCK) -> DataFrame:
     """Births linked to the latest ended track of their label that looks alike: (mission_id, track_id, linked, reason).
 
@@ -71,8 +97,8 @@ def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None =
     sample = unit([r.v for r in rows.orderBy(F.xxhash64(F.lit(5), "mission_id", "track_id")).limit(SAMPLE).select("v").collect()])
     if not len(sample):
         return rows.select("mission_id", "track_id", F.col("track_id").alias("linked"), F.lit("").alias("reason"))
-    centre = fitted(sample, min(len(sample), max(1, min(MOST_CELLS, rows.count() // CELL_TRACKS))))
-    ended = materialise(dealt(rows.filter("ended is not null").select("mission_id", "track_id", "label", "ended", "v"), centre, None, least_cosine), "identity-cells")
+    centre = centres(sample, rows.count(), least_cosine)
+    ended = materialise(dealt(rows.filter("ended is not null").select("mission_id", "track_id", "label", "ended", "v"), centre), "identity-cells")
     widest = np.full(len(centre), -np.inf)  # a cell without an ended track is asked by none
     for r in ended.groupBy("cell").agg(F.min("near").alias("near")).collect():  # a row a cell
         widest[r.cell] = np.arccos(np.clip(r.near, -1, 1)) + 1e-6
@@ -85,13 +111,14 @@ def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None =
     o = materialise(o.select(*[F.col(c).alias(f"o_{c}") for c in (*KEYS, "track_id", "ended", "v", "p")], F.floor(F.col("p") / block).alias("o_block")), "identity-ended")
     # What a birth may be linked to is the first so many of a cell's ended tracks; the margin is filtered where pairs meet.
     until = F.greatest(F.col("born") - least_gap + 1e-6, "last_reset")
-    asks = materialise(dealt(rows.filter("born is not null"), centre, widest, least_cosine).drop("near", "ended"), "identity-asks")
+    born = rows.filter("born is not null").select("mission_id", "track_id", "label", "born", "last_reset", "v")
+    asks = asked(born, centre, widest, least_cosine)
     steps = placed.groupBy(*KEYS, "ended").agg(F.max("p").alias("p")).withColumnRenamed("ended", "t_sec")
     reach = asof(asks.select(F.struct("track_id").alias("query_id"), *KEYS, until.alias("t_sec")), steps, KEYS, ["p"], tolerance=0.0).filter("p is not null")
     todo = materialise(reach.select(*KEYS, F.col("query_id.track_id").alias("track_id"), F.col("p").alias("upto"), F.floor(F.col("p") / block).alias("top")), "identity-open")
     best, done, count = None, 0, 1
     while not todo.isEmpty():
-        found = materialise(looked(todo, asks, o, done, count, least_cosine, least_gap), "identity-round")
+        found = materialise(looked(todo, born, o, done, count, least_cosine, least_gap), "identity-round")
         hits = found.filter("hit is not null").select("mission_id", "track_id", "hit")
         merged = hits if best is None else best.unionByName(hits)
         merged = materialise(merged.groupBy("mission_id", "track_id").agg(F.max("hit").alias("hit")), "identity-best")
@@ -107,11 +134,11 @@ def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None =
     return best.select("mission_id", "track_id", F.col("hit.o_track_id").alias("linked"), F.when(F.col("hit.cut"), "camera_cut").otherwise("occlusion").alias("reason"))
 
 
-def looked(todo: DataFrame, asks: DataFrame, ended: DataFrame, done: int, count: int, least_cosine: float, least_gap: float) -> DataFrame:
+def looked(todo: DataFrame, born: DataFrame, ended: DataFrame, done: int, count: int, least_cosine: float, least_gap: float) -> DataFrame:
     """A round: open births with ``hit``, the latest link of the blocks looked at, and ``low``, the first end that these hold."""
-    a = asks.select(*[F.col(c).alias(f"a_{c}") for c in (*KEYS, "track_id")], "born", "last_reset", "v")
-    rows = todo.join(a, [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in (*KEYS, "track_id")]).drop(*[f"a_{c}" for c in (*KEYS, "track_id")])
-    rows = rows.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("top") - (done + count - 1)), F.col("top") - done)))
+    a = born.select(F.col("mission_id").alias("a_m"), F.col("track_id").alias("a_t"), "born", "last_reset", "v")
+    rows = todo.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("top") - (done + count - 1)), F.col("top") - done)))
+    rows = rows.join(a, (F.col("mission_id") == F.col("a_m")) & (F.col("track_id") == F.col("a_t"))).drop("a_m", "a_t")
     met = rows.join(ended, [*[F.col(c) == F.col(f"o_{c}") for c in KEYS], F.col("at") == F.col("o_block"), F.col("o_p") <= F.col("upto")])
     cut = F.coalesce(F.col("last_reset") > F.col("o_ended"), F.lit(False))
     alike = dot(F.col("v"), F.col("o_v")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("o_v"), F.col("o_v")))) >= least_cosine

@@ -43,8 +43,11 @@ def linked(df):
     return {(r.mission_id, r.track_id): (r.linked, r.reason) for r in rows}
 
 
-@pytest.mark.parametrize("block", [1, 3, 64])
-def test_links_are_those_of_all_pairs(spark, block):
+@pytest.mark.parametrize("block, cell_tracks", [(1, 256), (3, 8), (64, 16)])
+def test_links_are_those_of_all_pairs(spark, block, cell_tracks, monkeypatch):
+    monkeypatch.setattr(I, "CELL_TRACKS", cell_tracks)
+    sample = I.unit([r[5] for r in made(260, 4)])
+    assert (len(I.centres(sample, 260, 0.85)) > 1) == (cell_tracks < 256)
     tracks = made(260, 4) + [(1, "bare", "car", 90.0, 91.0, None), (1, "zero", "car", 90.0, 91.0, [0.0] * 8), (1, "no label", None, 90.0, 91.0, [1.0] * 8), (1, "open", "car", 99.0, None, made(1, 4)[0][5]), (1, "unborn", "car", None, 3.0, [1.0] * 8), (0, "alone", "car", 99.0, 100.0, [1.0, -9.0] * 4)]
     resets = [(0, 20.0), (0, 60.5), (1, 44.0), (2, 1.0)]
     want = brute(tracks, resets, 0.85, 2.0)
@@ -60,6 +63,11 @@ def test_a_link_far_back_is_found(spark):
     assert got[1, "new"] == ("old", "occlusion") and got == brute(tracks, [], 0.85, 2.0)
 
 
+def test_vectors_without_structure_have_one_cell():
+    sample = I.unit(np.random.default_rng(2).normal(size=(2_000, 32)))
+    assert len(I.centres(sample, 100_000, 0.2)) == 1 < len(I.centres(I.unit([r[5] for r in made(2_000, 4)]), 20_000, 0.85))
+
+
 def test_ends_at_one_time_and_empty_tables(spark):
     tracks = [(1, t, "car", 0.0, 5.0, [1.0, 0.0]) for t in ("a", "c", "b")] + [(1, "d", "car", 7.0, 9.0, [1.0, 0.0]), (1, "e", "car", 6.9, 9.0, [1.0, 0.0])]
     assert linked(I.link_identities(spark.createDataFrame(tracks, KIND), "vector", block=1)) == {(1, "d"): ("c", "occlusion")}
