@@ -118,16 +118,18 @@ def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None =
     todo = materialise(reach.select(*KEYS, F.col("query_id.track_id").alias("track_id"), F.col("p").alias("upto"), F.floor(F.col("p") / block).alias("top")), "identity-open")
     best, done, count = None, 0, 1
     while not todo.isEmpty():
-        found = materialise(looked(todo, born, o, done, count, least_cosine, least_gap), "identity-round")
-        hits = found.filter("hit is not null").select("mission_id", "track_id", "hit")
+        hits = looked(todo, born, o, done, count, least_cosine, least_gap)
         merged = hits if best is None else best.unionByName(hits)
         merged = materialise(merged.groupBy("mission_id", "track_id").agg(F.max("hit").alias("hit")), "identity-best")
         known = merged.select(F.col("mission_id").alias("b_m"), F.col("track_id").alias("b_t"), F.struct("hit.o_ended", "hit.o_track_id").alias("b_hit"))
         done, count = done + count, count * GROWTH
         on = (F.col("mission_id") == F.col("b_m")) & (F.col("track_id") == F.col("b_t"))
-        further = found.filter(F.col("top") >= done).join(known, on, "left").filter(F.col("b_hit").isNull() | (F.col("b_hit") < F.col("low")))
-        later = materialise(further.select(*KEYS, "track_id", "upto", "top"), "identity-open")
-        release(todo, found, *([] if best is None else [best]))
+        # A cell stays open while the first end that was looked at is later than the link, or there is none.
+        further = todo.filter(F.col("top") >= done).withColumn("lowest", (F.col("top") - done + 1) * block).join(known, on, "left")
+        low = placed.select(*[F.col(c).alias(f"l_{c}") for c in (*KEYS, "p")], F.struct(F.col("ended").alias("o_ended"), F.col("track_id").alias("o_track_id")).alias("low"))
+        further = further.join(low, [*[F.col(c) == F.col(f"l_{c}") for c in KEYS], F.col("lowest") == F.col("l_p")])
+        later = materialise(further.filter(F.col("b_hit").isNull() | (F.col("b_hit") < F.col("low"))).select(*KEYS, "track_id", "upto", "top"), "identity-open")
+        release(todo, *([] if best is None else [best]))
         todo, best = later, merged
     if best is None:
         return rows.limit(0).select("mission_id", "track_id", F.col("track_id").alias("linked"), F.lit("").alias("reason"))
@@ -135,7 +137,7 @@ def link_identities(tracks: DataFrame, vectors: str, resets: DataFrame | None =
 
 
 def looked(todo: DataFrame, born: DataFrame, ended: DataFrame, done: int, count: int, least_cosine: float, least_gap: float) -> DataFrame:
-    """A round: open births with ``hit``, the latest link of the blocks looked at, and ``low``, the first end that these hold."""
+    """A round: each open birth's latest link in the blocks looked at (mission_id, track_id, hit)."""
     a = born.select(F.col("mission_id").alias("a_m"), F.col("track_id").alias("a_t"), "born", "last_reset", "v")
     rows = todo.withColumn("at", F.explode(F.sequence(F.greatest(F.lit(0), F.col("top") - (done + count - 1)), F.col("top") - done)))
     rows = rows.join(a, (F.col("mission_id") == F.col("a_m")) & (F.col("track_id") == F.col("a_t"))).drop("a_m", "a_t")
@@ -143,5 +145,5 @@ def looked(todo: DataFrame, born: DataFrame, ended: DataFrame, done: int, count:
     cut = F.coalesce(F.col("last_reset") > F.col("o_ended"), F.lit(False))
     alike = dot(F.col("v"), F.col("o_v")) / (F.sqrt(dot(F.col("v"), F.col("v"))) * F.sqrt(dot(F.col("o_v"), F.col("o_v")))) >= least_cosine
     ok = (F.col("track_id") != F.col("o_track_id")) & (F.col("o_ended") <= F.col("born")) & (cut | (F.col("born") - F.col("o_ended") >= least_gap))
-    hit = F.when(ok, F.when(alike, F.struct("o_ended", "o_track_id", cut.alias("cut"))))
-    return met.groupBy(*KEYS, "track_id", "upto", "top").agg(F.max(hit).alias("hit"), F.min(F.struct("o_ended", "o_track_id")).alias("low"))
+    hits = met.filter(ok).filter(alike).select("mission_id", "track_id", F.struct("o_ended", "o_track_id", cut.alias("cut")).alias("hit"))
+    return hits.groupBy("mission_id", "track_id").agg(F.max("hit").alias("hit"))
