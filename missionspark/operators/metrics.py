@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ from .joins import prefixed
 #: States whose boxes count as found; an occluded box is a guess of the tracker.
 ACTIVE = "state in ('tentative', 'confirmed')"
 IOU = 0.5
+#: Pixels that are unpacked at once.
+PIXELS = 4_000_000
 
 
 
@@ -207,31 +210,47 @@ def qa_accuracy(answers: DataFrame, expected: DataFrame) -> DataFrame:
     return met.groupBy("mission_id").agg(F.round(F.avg(F.coalesce((F.col("answer") == F.col("want")).cast("double"), F.lit(0.0))), 6).alias("accuracy"))
 
 
+def edges(on: np.ndarray, width: int) -> np.ndarray:
+    """Boundary pixels of masks (a mask a row of ``on``, pixels row by row)."""
+    n, length = on.shape
+    height = -(-length // width)
+    px = np.zeros((n, height + 2, width + 2), bool)
+    full = np.zeros((n, height * width), bool)
+    full[:, :length] = on
+    px[:, 1:-1, 1:-1] = full.reshape(n, height, width)
+    inner = px[:, 2:, 1:-1] & px[:, :-2, 1:-1] & px[:, 1:-1, 2:] & px[:, 1:-1, :-2]
+    return (px[:, 1:-1, 1:-1] & ~inner).reshape(n, -1)[:, :length]
+
+
+def mask_counts(p: pd.Series, p_width: pd.Series, g: pd.Series, g_width: pd.Series) -> pd.DataFrame:
+    """Pixels of pairs of masks: in both, in either, on both boundaries, on each one; masks of one shape are counted together."""
+    rows = pd.DataFrame({"p": p.fillna(""), "pw": p_width.fillna(1).astype("int64"), "g": g.fillna(""), "gw": g_width.fillna(1).astype("int64")}).reset_index(drop=True)
+    found = np.zeros((len(rows), 5), np.int64)
+    bits = lambda texts, n: np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8).reshape(len(texts), n) == ord("1")
+    for (np_, pw, ng, gw), at in rows.groupby([rows["p"].str.len(), "pw", rows["g"].str.len(), "gw"]).indices.items():
+        step, n = max(1, PIXELS // max(np_, ng, 1)), max(np_, ng)
+        for first in range(0, len(at), step):
+            some = at[first : first + step]
+            a, b, ae, be = (np.zeros((len(some), n), bool) for _ in range(4))
+            a[:, :np_], b[:, :ng] = bits(rows["p"].iloc[some], np_), bits(rows["g"].iloc[some], ng)
+            ae[:, :np_], be[:, :ng] = edges(a[:, :np_], pw), edges(b[:, :ng], gw)
+            found[some] = np.stack([x.sum(axis=1) for x in (a & b, a | b, ae & be, ae, be)], axis=1)
+    return pd.DataFrame(found, columns=["inter", "union", "hit", "n_p", "n_g"])
+
+
 def mask_quality(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Mean overlap J and boundary F of masks (bits row by row, width): a missing mask counts 0.
 
     A boundary pixel is set and has a neighbour (4 sides) that isn't, or the mask's edge.
+    Masks meet whole, by id, and are counted a batch at a time; no row is made for a pixel.
     """
-
-    def pixels(df: DataFrame) -> DataFrame:
-        px = df.select("mission_id", "mask_id", "width", "height", F.posexplode(F.split("bits", "")).alias("at", "bit")).filter("bit = '1'")
-        px = px.select("mission_id", "mask_id", "width", "height", "at", (F.col("at") % F.col("width")).alias("px"), F.floor(F.col("at") / F.col("width")).alias("py"))
-        sides = F.array(*[F.struct((F.col("px") + dx).alias("nx"), (F.col("py") + dy).alias("ny")) for dx, dy in ((1, 0), (-1, 0), (0, 1), (0, -1))])
-        near = px.select("mission_id", "mask_id", "at", F.explode(sides).alias("s"))
-        known = px.select(F.col("mission_id").alias("m"), F.col("mask_id").alias("k"), F.col("px").alias("kx"), F.col("py").alias("ky"))
-        met = near.join(known, (F.col("mission_id") == F.col("m")) & (F.col("mask_id") == F.col("k")) & (F.col("s.nx") == F.col("kx")) & (F.col("s.ny") == F.col("ky")), "left")
-        return met.groupBy("mission_id", "mask_id", "at").agg((F.count("k") < 4).alias("edge"))
-
-    p, g = pixels(pred), pixels(truth)
-    both = p.withColumnRenamed("edge", "p_edge").join(g.withColumnRenamed("edge", "g_edge"), ["mission_id", "mask_id", "at"], "full")
-    on = lambda c: F.count_if(F.coalesce(F.col(c), F.lit(False)))
-    sums = both.groupBy("mission_id", "mask_id").agg(
-        F.count_if(F.col("p_edge").isNotNull() & F.col("g_edge").isNotNull()).alias("inter"), F.count("*").alias("union"), F.count_if(F.coalesce(F.col("p_edge") & F.col("g_edge"), F.lit(False))).alias("hit"), on("p_edge").alias("n_p"), on("g_edge").alias("n_g")
-    )
-    rows = truth.select("mission_id", "mask_id").join(pred.select("mission_id", "mask_id", F.lit(1).alias("here")), ["mission_id", "mask_id"], "left").join(sums, ["mission_id", "mask_id"], "left")
+    counts = F.pandas_udf(mask_counts, "inter long, union long, hit long, n_p long, n_g long")
+    other = pred.select("mission_id", "mask_id", F.lit(1).alias("here"), F.col("bits").alias("p_bits"), F.col("width").alias("p_width"))
+    met = truth.select("mission_id", "mask_id", "bits", "width").join(other, ["mission_id", "mask_id"], "left")
+    rows = met.select("mission_id", "mask_id", "here", counts("p_bits", "p_width", "bits", "width").alias("c")).select("mission_id", "mask_id", "here", "c.*")
     precision, recall = F.col("hit") / F.col("n_p"), F.col("hit") / F.col("n_g")
     f = F.when(F.col("here").isNull() | (F.coalesce("hit", F.lit(0)) == 0), 0.0).otherwise(2 * precision * recall / (precision + recall))
-    j = F.when(F.col("here").isNull() | F.col("union").isNull(), 0.0).otherwise(F.col("inter") / F.col("union"))
+    j = F.when(F.col("here").isNull() | (F.col("union") == 0), 0.0).otherwise(F.col("inter") / F.col("union"))
     return rows.groupBy("mission_id").agg(F.round(F.avg(j), 6).alias("j"), F.round(F.avg(f), 6).alias("f"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from missionspark.operators import joins as J
+from missionspark.operators import metrics as M
 
 
 def plan(df) -> str:
@@ -20,3 +21,13 @@ def test_nearest_in_time_never_pairs_a_bucket(spark):
         if near:
             want[a] = (min(near)[0], min(near)[2])
     assert {r.a: (r.off, r.nearest_id) for r in found.collect()} == want and 900 in want and 901 not in want
+
+
+def test_mask_quality_makes_no_row_for_a_pixel(spark):
+    schema = "mission_id long, mask_id long, width int, height int, bits string"
+    truth = spark.createDataFrame([(1, 1, 3, 3, "111111000"), (1, 2, 3, 3, "111111111"), (1, 3, 2, 1, "00"), (2, 1, 4, 2, "1111"), (2, 2, 2, 2, None)], schema)
+    pred = spark.createDataFrame([(1, 1, 3, 3, "111111111"), (1, 3, 2, 1, "00"), (2, 1, 2, 2, "1111"), (2, 2, 2, 2, "1111"), (3, 1, 2, 2, "1111")], schema)
+    found = M.mask_quality(pred, truth)
+    assert "Generate" not in plan(found)
+    f = 2 * (5 / 8) * (5 / 6) / (5 / 8 + 5 / 6)
+    assert {r.mission_id: (r.j, r.f) for r in found.collect()} == {1: (round(6 / 9 / 3, 6), round(f / 3, 6)), 2: (0.5, 0.5)}
