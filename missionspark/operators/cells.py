@@ -6,9 +6,12 @@ one.  A cell's widest angle bounds the cosine of a query with any of its points:
 whose centres are nearest to a query (the approximate way), and, to be exact, then
 into those others whose bound reaches the query's k-th score.
 
-A cell and the queries that look into it are cut in slices of bounded size, so
-that a cell with a third of all points, or one that all queries ask for, is many
-tasks.
+Cells are packed into blocks of bounded size, and a query goes once to a block,
+however many of its cells it looks into.  A cell with a third of all points, or
+one that all queries ask for, is many tasks: blocks and the queries that look
+into them are cut in slices.  In a task the queries go by a few hundred at a time:
+products in single precision leave what can reach the k-th score, and only that is
+worked out in double precision.
 """
 
 from __future__ import annotations
@@ -18,15 +21,18 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.storage import materialise, release
 
 #: Points that centres are fitted on, points of a cell about, cells at most.
 SAMPLE, CELL_POINTS, MOST_CELLS = 50_000, 256, 1024
-#: Points and queries that meet in one task.
-POINT_SLICE, QUERY_SLICE = 20_000, 4_096
+#: Points and queries that meet in one task, queries that are compared at once.
+POINT_SLICE, QUERY_SLICE, TILE = 32_768, 32_768, 256
+#: Rows of vectors that a batch holds at most, and what products in single precision may be off.
+BATCH, SLACK = 8_192, 1e-5
 FOUND = "query_id long, id long, score double"
 
 
@@ -62,7 +68,7 @@ class Index:
 
 def build(points: DataFrame, vector: str = "embedding", cells: int | None = None) -> Index | None:
     """Indexes all points (id, vector); those without a vector are left out.  None without a point."""
-    rows = points.filter(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
+    rows = points.filter(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), narrow(points, vector).alias("v"))
     n = rows.count()
     if not n:
         return None
@@ -76,7 +82,7 @@ def build(points: DataFrame, vector: str = "embedding", cells: int | None = None
             cell = near.argmax(axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell.astype(np.int32)), pa.array(near[np.arange(len(cell)), cell])], ["id", "v", "cell", "near"])
 
-    table = materialise(rows.mapInArrow(assign, "id long, v array<double>, cell int, near double"), "cells")
+    table = materialise(rows.mapInArrow(assign, T.StructType([*rows.schema, T.StructField("cell", T.IntegerType()), T.StructField("near", T.DoubleType())])), "cells")
     widest, count = np.zeros(len(centre)), np.zeros(len(centre), np.int64)
     for r in table.groupBy("cell").agg(F.min("near").alias("near"), F.count("*").alias("n")).collect():  # a row a cell
         widest[r.cell], count[r.cell] = np.arccos(np.clip(r.near, -1, 1)) + 1e-6, r.n
@@ -94,49 +100,85 @@ def probed(index_: tuple, near: np.ndarray, probes: int, k: int) -> np.ndarray:
     return found & (count > 0)[None, :]
 
 
-def routed(index: Index, queries: DataFrame, k: int, probes: int, beyond: bool) -> DataFrame:
-    """(query_id, v, cell): where each query looks first, or ``beyond`` that, where its ``least`` score may be reached."""
-    shared = queries.sparkSession.sparkContext.broadcast((index.centre, index.widest, index.count))
-
-    def route(batches):
-        centre, widest, count = shared.value
-        for b in batches:
-            near = np.clip(unit(b.column(1).to_pylist()) @ centre.T, -1, 1)
-            look = probed(shared.value, near, probes, k)
-            if beyond:
-                bound = np.cos(np.maximum(0.0, np.arccos(near) - widest[None, :])) + 1e-6
-                look = ~look & (count > 0)[None, :] & (bound >= b.column(2).to_numpy(zero_copy_only=False)[:, None])
-            row, cell = np.nonzero(look)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), b.column(1).take(pa.array(row)), pa.array(cell.astype(np.int32))], ["query_id", "v", "cell"])
+def narrow(points: DataFrame, vector: str) -> Column:
+    """The vector as it is given if in single precision, else in double."""
+    kind = points.schema[vector].dataType
+    return F.col(vector) if kind == T.ArrayType(T.FloatType(), kind.containsNull) else F.col(vector).cast("array<double>")
+
+
+def best_of(at: np.ndarray, queries, least: np.ndarray, ids: np.ndarray, points, k: int) -> pd.DataFrame:
+    """The k best of the points for each query among those that reach its ``least`` score: scores to nine digits, equal ones by id."""
+    names = [c.split()[0] for c in FOUND.split(", ")]
+    if not len(at) or not len(ids):
+        return pd.DataFrame({"query_id": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+    order = np.argsort(ids, kind="stable")
+    ids, x, y = ids[order], unit(points)[order], unit(queries)
+    x32, rows = np.ascontiguousarray(x.T.astype(np.float32)), []
+    for first in range(0, len(at), TILE):
+        near = y[first : first + TILE].astype(np.float32) @ x32
+        low = least[first : first + TILE]
+        if len(ids) > k + 1 and (low < -1).any():  # nothing known: the k-th best here, and one more, as a point may be the query itself
+            low = np.maximum(low, np.partition(near, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1])
+        reach = near >= (low - SLACK)[:, None]
+        for i in np.flatnonzero(reach.any(axis=1)):
+            found = np.flatnonzero(reach[i])
+            found = found[ids[found] != at[first + i]]
+            score = np.round(x[found] @ y[first + i], 9)
+            top = np.argsort(-score, kind="stable")[:k]
+            rows.append((np.full(len(top), at[first + i]), ids[found[top]], score[top]))
+    return pd.DataFrame({n: np.concatenate(c) if c else np.zeros(0, np.int64) for n, c in zip(names, zip(*rows) if rows else ((), (), ()))})
+
+
+def packed(count: np.ndarray) -> np.ndarray:
+    """The block of each cell: neighbours in number share one until it holds a slice of points."""
+    return ((np.cumsum(count) - count) // POINT_SLICE).astype(np.int32)
 
-    return queries.mapInArrow(route, "query_id long, v array<double>, cell int")
 
+def routed(index: Index, queries: DataFrame, k: int, probes: int, beyond: bool) -> DataFrame:
+    """(query_id, v, least, cell): where each query looks first, or the blocks ``beyond`` that where its ``least`` score may be reached."""
+    shared = queries.sparkSession.sparkContext.broadcast((index.centre, index.widest, index.count, packed(index.count)))
+    queries = queries if "least" in queries.columns else queries.withColumn("least", F.lit(-2.0))
 
-def scored(index: Index, pairs: DataFrame, k: int) -> DataFrame:
-    """The k best points of each query among the cells it looks into, for each pair of slices."""
+    def route(batches):
+        centre, widest, count, block = shared.value
+        for whole in batches:
+            for first in range(0, whole.num_rows, 1024):
+                b = whole.slice(first, 1024)
+                near = np.clip(unit(b.column(1).to_pylist()) @ centre.T, -1, 1)
+                look = probed(shared.value, near, probes, k)
+                if beyond:
+                    bound = np.cos(np.maximum(0.0, np.arccos(near) - widest[None, :])) + 1e-6
+                    look = ~look & (count > 0)[None, :] & (bound >= b.column(2).to_numpy(zero_copy_only=False)[:, None])
+                    look = np.stack([look[:, block == c].any(axis=1) for c in range(block[-1] + 1)], axis=1)
+                row, cell = np.nonzero(look)
+                for at in range(0, len(row), BATCH):
+                    some = pa.array(row[at : at + BATCH])
+                    yield pa.RecordBatch.from_arrays([b.column(c).take(some) for c in range(3)] + [pa.array(cell[at : at + BATCH].astype(np.int32))], ["query_id", "v", "least", "cell"])
+
+    return queries.mapInArrow(route, T.StructType([*queries.schema, T.StructField("cell", T.IntegerType())]))
+
+
+def scored(index: Index, pairs: DataFrame, k: int, blocks: bool) -> DataFrame:
+    """The k best points of each query among the cells, or the ``blocks`` of cells, it looks into, for each pair of slices."""
     spark = pairs.sparkSession
     asked = {r.cell: r["count"] for r in pairs.groupBy("cell").count().collect()}  # a row a cell
-    plan = [(c, -(-int(index.count[c]) // POINT_SLICE), -(-n // QUERY_SLICE)) for c, n in asked.items()]
+    block = packed(index.count)
+    held = np.bincount(block, index.count) if blocks else index.count
+    plan = [(c, -(-int(held[c]) * 4 // (POINT_SLICE * 5)), -(-n // QUERY_SLICE)) for c, n in asked.items()]
     if not plan:
         return spark.createDataFrame([], FOUND)
     slices = F.broadcast(spark.createDataFrame(plan, "of int, p_slices int, q_slices int"))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     mine = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    left = pairs.join(slices, F.col("cell") == F.col("of")).select("query_id", "v", "cell", mine("query_id", "q_slices").alias("q"), every("p_slices").alias("p"))
-    right = index.points.join(slices, F.col("cell") == F.col("of")).select("id", "v", "cell", mine("id", "p_slices").alias("p"), every("q_slices").alias("q"))
+    points = index.points
+    if blocks:
+        of = F.broadcast(spark.createDataFrame([(c, int(n)) for c, n in enumerate(block)], "in int, block int"))
+        points = points.join(of, F.col("cell") == F.col("in")).select("id", "v", F.col("block").alias("cell"))
+    left = pairs.join(slices, F.col("cell") == F.col("of")).select("query_id", "v", "least", "cell", mine("query_id", "q_slices").alias("q"), every("p_slices").alias("p"))
+    right = points.join(slices, F.col("cell") == F.col("of")).select("id", "v", "cell", mine("id", "p_slices").alias("p"), every("q_slices").alias("q"))
 
     def best(queries: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in FOUND.split(", ")]
-        if not len(queries) or not len(points):
-            return pd.DataFrame([], columns=names)
-        x, ids, at = unit(points["v"].tolist()), points["id"].to_numpy(np.int64), queries["query_id"].to_numpy(np.int64)
-        order = np.argsort(ids, kind="stable")
-        score = np.round(unit(queries["v"].tolist()) @ x[order].T, 9)
-        score[at[:, None] == ids[order][None, :]] = -np.inf
-        top = np.argsort(-score, axis=1, kind="stable")[:, :k]
-        value = np.take_along_axis(score, top, axis=1)
-        ok = np.isfinite(value)
-        return pd.DataFrame({"query_id": np.repeat(at, top.shape[1]).reshape(top.shape)[ok], "id": ids[order][top][ok], "score": value[ok]})
+        return best_of(queries["query_id"].to_numpy(np.int64), queries["v"], queries["least"].to_numpy(np.float64), points["id"].to_numpy(np.int64), points["v"], k)
 
     keys = ["cell", "p", "q"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, FOUND)
@@ -149,17 +191,19 @@ def search(index: Index | None, queries: DataFrame, k: int, vector: str = "embed
     With ``exact`` the result is that of a scan; without, points outside the
     ``probes`` nearest cells are missed.
     """
-    asked = queries.filter(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.filter(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("query_id"), narrow(queries, vector).alias("v"))
     if index is None:
         return queries.sparkSession.createDataFrame([], f"{FOUND}, place int")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     top = lambda df: df.withColumn("place", place).filter(F.col("place") <= k)
     pairs = materialise(routed(index, asked, k, probes, False), "cells-pairs")
-    near = materialise(top(scored(index, pairs, k)), "cells-near")
+    near = materialise(top(scored(index, pairs, k, False)), "cells-near")
     release(pairs)
     if not exact:
         return near
     least = near.filter(F.col("place") == k).select(F.col("query_id").alias("of"), F.col("score").alias("least"))
     again = asked.join(least, F.col("query_id") == F.col("of"), "left").select("query_id", "v", F.coalesce("least", F.lit(-2.0)).alias("least"))
     pairs = materialise(routed(index, again, k, probes, True), "cells-pairs")
-    return top(near.drop("place").unionByName(scored(index, pairs, k)))
+    # A block also holds cells that were looked into before.
+    both = near.drop("place").unionByName(scored(index, pairs, k, True))
+    return top(both.groupBy("query_id", "id").agg(F.max("score").alias("score")))

@@ -72,3 +72,14 @@ def test_approximate_way_looks_into_few_cells(spark):
     assert hits >= 0.95 * 5 * len(points)
     first = C.routed(index, df.selectExpr("id AS query_id", "embedding AS v"), 5, 4, False).count()
     assert first <= 6 * len(points)  # of forty cells
+
+
+def test_a_query_goes_once_to_a_block_of_cells(spark):
+    rng = np.random.default_rng(3)
+    points = [(k, rng.normal(size=16).tolist()) for k in range(600)]  # no structure: most cells may hold a near point
+    df = spark.createDataFrame(points, KIND)
+    index = C.build(df, cells=60)
+    asked = df.selectExpr("id AS query_id", "embedding AS v", "0.0D AS least")
+    assert C.routed(index, asked, 5, 2, True).groupBy("query_id").count().filter("count > 1").count() == 0
+    got = found(C.search(index, df, 5, probes=2))
+    assert {q: [i for i, _ in rows] for q, rows in got.items()} == {q: [i for i, _ in rows] for q, rows in scan(points, points, 5).items()}
