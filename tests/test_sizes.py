@@ -31,3 +31,25 @@ def test_mask_quality_makes_no_row_for_a_pixel(spark):
     assert "Generate" not in plan(found)
     f = 2 * (5 / 8) * (5 / 6) / (5 / 8 + 5 / 6)
     assert {r.mission_id: (r.j, r.f) for r in found.collect()} == {1: (round(6 / 9 / 3, 6), round(f / 3, 6)), 2: (0.5, 0.5)}
+
+
+def test_changes_are_the_nearest_of_all_pairs_in_slices(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    rows = [(k, k % 3, 52.0 + (k % 9) * 0.001, 13.0 + (k % 7) * 0.001, rng.normal(size=8).round(1).tolist()) for k in range(150)]
+    rows += [(200, 1, 52.0, 13.0, rows[0][4]), (201, 2, 52.0, 13.0, rows[0][4]), (202, 1, 52.0, 13.0, None)]
+    df = spark.createDataFrame(rows, "id long, mission_id long, lat double, lon double, embedding array<double>")
+    unit = lambda v: np.array(v) / np.linalg.norm(v)
+    want = {}
+    for i, m, lat, lon, v in rows[:-1]:
+        far = lambda r: float(np.hypot((lat - r[2]) * 111320, (lon - r[3]) * 111320 * np.cos(np.radians(r[2]))))  # noqa: B023, E731
+        near = [(round(1 - float(unit(v) @ unit(r[4])), 9), r[0]) for r in rows[:-1] if r[1] != m and far(r) <= 250.0]
+        if near and min(near)[0] > 0.1:
+            want[i] = min(near)
+    monkeypatch.setattr(J, "FRAME_SLICE", 7)
+    monkeypatch.setattr(J, "REFERENCE_SLICE", 11)
+    found = J.detect_changes(df, 250.0, 0.1)
+    assert "r_mission_id" not in plan(found)  # no pair of frames is a row
+    got = {r.id: (r.distance, r.reference) for r in found.collect()}
+    assert {i: r for i, (_, r) in got.items()} == {i: r for i, (_, r) in want.items()} and len(got) > 50
