@@ -3,66 +3,46 @@
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cells as C
 from .aggregates import order_statistics
 from .filters import geo_box, scene_filter, within_enu, within_metres
 
-#: Query vectors that go to the tasks at once; more are searched block by block.
-QUERY_BLOCK = 4096
-
 
 def vector_topk(points: DataFrame, queries: DataFrame, k: int, vector: str = "embedding") -> DataFrame:
     """The k nearest points of each query by cosine: (query_id, id, score, place).
 
-    The queries are read in blocks of a bounded size.  Each task keeps its own k
-    best of every query in the block, so k rows a task and query are shuffled.
-    A point is not its own neighbour; equal scores go by id; null vectors are left out.
+    Points and queries are dealt to slices of bounded size, and each pair of
+    slices keeps the k best of its queries; nothing passes through the driver.
+    A point is not its own neighbour; equal scores go by id; vectors that are
+    null or have no direction are left out.
     """
-    numbered = queries.filter(F.col(vector).isNotNull()).select(F.col("id").alias("query_id"), F.col(vector).alias("v"))
-    n = numbered.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
-    found = None
-    for block in range(blocks):
-        some = numbered.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block) if blocks > 1 else numbered
-        rows = some.collect()  # at most about one block
-        if not rows:
-            continue
-        ids = np.array([r[0] for r in rows])
-        at = np.array([r[1] for r in rows], np.float64)
-        at /= np.linalg.norm(at, axis=1, keepdims=True)
-        part = points.filter(F.col(vector).isNotNull()).select("id", vector).mapInArrow(_nearest(ids, at, k), "query_id long, id long, score double")
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return points.sparkSession.createDataFrame([], "query_id long, id long, score double, place int")
+    p = points.filter(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("id"), C.narrow(points, vector).alias("v"))
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col("id").cast("long").alias("query_id"), C.narrow(queries, vector).alias("v"))
+    n, m = p.count(), q.count()
+    p_slices = max(-(-n // C.POINT_SLICE), min(points.sparkSession.sparkContext.defaultParallelism, -(-n // 1024)), 1)
+    q_slices = max(1, -(-m // C.QUERY_SLICE))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    mine = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    left = q.select("query_id", F.col("v").alias("v"), mine("query_id", q_slices).alias("q"), every(p_slices).alias("p"))
+    right = p.select(F.col("id").alias("id"), F.col("v").alias("v"), mine("id", p_slices).alias("p"), every(q_slices).alias("q"))
+
+    def best(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        asked, held = directed(asked), directed(held)
+        return C.best_of(asked["query_id"].to_numpy(np.int64), asked["v"], np.full(len(asked), -2.0), held["id"].to_numpy(np.int64), held["v"], k)
+
+    found = left.groupBy("p", "q").cogroup(right.groupBy("p", "q")).applyInPandas(best, C.FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def _nearest(ids: np.ndarray, queries: np.ndarray, k: int):
-    """A task's k best points of each query; scores rounded, so that ties are ties everywhere."""
-
-    def batches(it):
-        best_id, best = np.empty((len(ids), 0), np.int64), np.empty((len(ids), 0))
-        for b in it:
-            if not b.num_rows:
-                continue
-            own = b.column(0).to_numpy()
-            width = queries.shape[1]
-            x = b.column(1).values.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)[-b.num_rows :]
-            score = np.round(queries @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 9)
-            score[ids[:, None] == own[None, :]] = -np.inf
-            best = np.hstack([best, score])
-            best_id = np.hstack([best_id, np.broadcast_to(own, score.shape)])
-            keep = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, keep, 1), np.take_along_axis(best_id, keep, 1)
-        ok = np.isfinite(best)
-        who = np.repeat(ids, best.shape[1]).reshape(best.shape)
-        yield pa.RecordBatch.from_arrays([pa.array(who[ok].astype(np.int64)), pa.array(best_id[ok]), pa.array(best[ok])], ["query_id", "id", "score"])
-
-    return batches
+def directed(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows whose vector ``v`` has a finite length above 0."""
+    length = np.array([np.linalg.norm(np.asarray(x, np.float64)) for x in rows["v"]])
+    return rows[np.isfinite(length) & (length > 0)]
 
 
 def rerank(clip: DataFrame, dino: DataFrame, active: bool = True) -> DataFrame:

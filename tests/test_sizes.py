@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from missionspark.operators import joins as J
 from missionspark.operators import metrics as M
+from missionspark.operators import ranking as K
 
 
 def plan(df) -> str:
@@ -53,3 +54,15 @@ def test_changes_are_the_nearest_of_all_pairs_in_slices(spark, monkeypatch):
     assert "r_mission_id" not in plan(found)  # no pair of frames is a row
     got = {r.id: (r.distance, r.reference) for r in found.collect()}
     assert {i: r for i, (_, r) in got.items()} == {i: r for i, (_, r) in want.items()} and len(got) > 50
+
+
+def test_vector_scan_keeps_bounded_slices(spark, monkeypatch):
+    rows = [(k, [float(k % 5 - 2), float(k % 3), 1.0]) for k in range(90)] + [(100, [0.0, 0.0, 0.0]), (101, None)]
+    df = spark.createDataFrame(rows, "id long, embedding array<float>")
+    want = {(r.query_id, r.place): (r.id, r.score) for r in K.vector_topk(df, df.filter("id % 10 = 0"), 4).collect()}
+    monkeypatch.setattr(K.C, "POINT_SLICE", 16)
+    monkeypatch.setattr(K.C, "QUERY_SLICE", 4)
+    found = K.vector_topk(df, df.filter("id % 10 = 0"), 4)
+    assert "FlatMapCoGroups" in plan(found)  # queries are dealt, not collected
+    assert {(r.query_id, r.place): (r.id, r.score) for r in found.collect()} == want and len(want) == 36
+    assert want[0, 1] == (15, 1.0) and all(i not in (100, 101) for i, _ in want.values())
