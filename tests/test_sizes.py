@@ -66,3 +66,13 @@ def test_vector_scan_keeps_bounded_slices(spark, monkeypatch):
     assert "FlatMapCoGroups" in plan(found)  # queries are dealt, not collected
     assert {(r.query_id, r.place): (r.id, r.score) for r in found.collect()} == want and len(want) == 36
     assert want[0, 1] == (15, 1.0) and all(i not in (100, 101) for i, _ in want.values())
+
+
+def test_sites_meet_places_not_missions(spark):
+    missions = spark.range(40).selectExpr("id AS mission_id", "IF(id < 38, 50.0D, null) AS lat", "IF(id % 2 = 0, 10.0D, 20.0D) AS lon")
+    sites = spark.range(30).selectExpr("id + 5 AS site_id", "50.01D AS lat", "10.0D AS lon")
+    found = J.assign_sites(missions, sites)
+    assert plan(found).count("Aggregate") >= 3  # places of missions, places of sites, the nearest
+    rows = {r.mission_id: r for r in found.collect()}
+    assert len(rows) == 40 and {rows[k].site for k in range(0, 38, 2)} == {"5"} and rows[0].distance_m > 1000
+    assert rows[1].site.startswith("new:") and rows[39].distance_m is None
