@@ -5,6 +5,7 @@ from __future__ import annotations
 from missionspark.operators import joins as J
 from missionspark.operators import metrics as M
 from missionspark.operators import ranking as K
+from missionspark.streaming import selection as S
 
 
 def plan(df) -> str:
@@ -76,3 +77,15 @@ def test_sites_meet_places_not_missions(spark):
     rows = {r.mission_id: r for r in found.collect()}
     assert len(rows) == 40 and {rows[k].site for k in range(0, 38, 2)} == {"5"} and rows[0].distance_m > 1000
     assert rows[1].site.startswith("new:") and rows[39].distance_m is None
+
+
+def test_tracks_of_sorted_missions_are_those_of_groups(spark):
+    rows = [(m, f"d{m}-{t}-{k}", t * 0.5, "car", 0.1 * k + 0.02 * t, 0.2, 0.1, 0.1, t == 6, [1.0, float(k), 0.5]) for m in range(5) for t in range(9) for k in range(3) if (m + t + k) % 4]
+    df = spark.createDataFrame(rows, "mission_id long, detection_id string, t_sec double, label string, x double, y double, w double, h double, cut boolean, descriptor array<double>")
+    frames = spark.createDataFrame([(m, t * 0.5, False) for m in range(6) for t in range(12)], "mission_id long, t_sec double, cut boolean")
+    found = S.track(df, frames)
+    assert "FlatMapGroups" not in plan(found)  # no mission is one pandas group
+    want = [tuple(r) for _, g in S.observed(df, frames).toPandas().groupby("mission_id") for r in S.track_rows({"born": 0, "live": {}}, g["mission_id"].iloc[0], g).itertuples(index=False)]
+    key = lambda r: tuple(map(str, (*r[:2], r[3], r[4])))
+    got = sorted((tuple(r) for r in found.collect()), key=key)
+    assert got and [r[:2] + r[3:] for r in got] == [tuple(r[:2]) + tuple(r[3:]) for r in sorted(want, key=key)]
