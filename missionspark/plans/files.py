@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as V
 from ..operators import logs as G
-from ..sources.storage import new_path
+from ..sources.storage import materialise, new_path
 from ..streaming import packets as T
 from .registry import query
 
@@ -44,7 +44,10 @@ def _tree(t) -> str:
     path = new_path(t.spark, "tree")
     s = t.raw("supplier")
     text = F.when(F.col("s_suppkey") % 9 == 0, F.lit("no document")).otherwise(_object(("id", F.col("s_suppkey").cast("string")), ("nation", F.col("s_nationkey").cast("string"))))
-    s.select(F.col("s_nationkey").alias("part"), F.col("s_suppkey").alias("file"), text.alias("value")).write.partitionBy("part", "file").text(path)
+    rows = s.select(F.col("s_nationkey").alias("part"), F.col("s_suppkey").alias("file"), text.alias("value"))
+    # Many small files: many tasks write them, and each moves its own in place, not the driver all of them one by one.
+    tasks = max(1, min(2 * t.spark.sparkContext.defaultParallelism, rows.count() // 100))
+    rows.repartition(tasks, "file").write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("part", "file").text(path)
     return path
 
 
@@ -58,7 +61,7 @@ def s2(t):
 SELECT CAST(s_nationkey AS BIGINT) AS mission_id, 'artifact' AS kind, CASE WHEN s_suppkey % 13 = 0 THEN 'escaping_path' WHEN s_suppkey % 11 = 0 THEN 'missing' ELSE 'mismatch' END AS code, count(*) AS n FROM supplier WHERE s_suppkey % 13 = 0 OR s_suppkey % 11 = 0 OR s_suppkey % 7 = 0 GROUP BY ALL
 UNION ALL SELECT s_nationkey, 'manifest', 'required_once', 1 FROM supplier GROUP BY s_nationkey""")
 def s3(t):
-    stored = G.stored_files(t.spark, _tree(t))
+    stored = materialise(G.stored_files(t.spark, _tree(t)), "stored")  # manifests and their audit read it, the tree is read once
     here = stored.withColumn("id", F.regexp_extract("path", r"file=(\d+)/", 1).cast("long"))
     k = F.col("s_suppkey")
     named = t.raw("supplier").select(k, F.col("s_nationkey").cast("long").alias("mission_id")).join(here, k == F.col("id"))

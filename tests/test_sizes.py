@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import __spark_entry__ as entry
 from missionspark.operators import joins as J
 from missionspark.operators import metrics as M
 from missionspark.operators import ranking as K
@@ -89,3 +90,7 @@ def test_tracks_of_sorted_missions_are_those_of_groups(spark):
     key = lambda r: tuple(map(str, (*r[:2], r[3], r[4])))
     got = sorted((tuple(r) for r in found.collect()), key=key)
     assert got and [r[:2] + r[3:] for r in got] == [tuple(r[:2]) + tuple(r[3:]) for r in sorted(want, key=key)]
+
+
+def test_audit_reads_the_tree_once(spark, sf_dir):
+    assert "binaryFile" not in plan(entry.queries()["s3_audit_artifacts"](spark, sf_dir))
