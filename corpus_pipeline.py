@@ -11,9 +11,18 @@ from pyspark.sql import DataFrame, SparkSession
 from missionspark.llm import exact_dedup, mixing, sentencepiece_codec, simhash, toxicity
 from missionspark.llm.storage import materialise
 
+#: Rows that go to Python at once: a batch of texts lies whole in the executor and in its Python process.
+BATCH_ROWS = 1000
+
+
+def lean(spark: SparkSession) -> None:
+    """Sets the rows of a batch in the pipeline's session, whose rows are whole documents."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+
 
 def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
+    lean(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean_documents(docs, model)
 
@@ -25,6 +34,7 @@ def exact_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    lean(spark)
     return simhash.representatives(docs, words=5, similarity=0.8)
 
 
@@ -35,6 +45,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece numbers of each document."""
+    lean(spark)
     return sentencepiece_codec.encode(docs, sentencepiece_codec.load())
 
 

@@ -25,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import lean, slices
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: Short parts (at most SHORT characters) that a task remembers; more are forgotten together.
 REMEMBERED, SHORT = 200_000, 48
+#: Short parts, and characters in them, that are worked out together.
+PARTS, LETTERS = 20_000, 200_000
 #: Texts that a task holds with their pieces at once.
 AT_ONCE = 512
 UNKNOWN_PENALTY = 10.0
@@ -221,9 +223,11 @@ class Codec:
         if len(memory) > REMEMBERED:
             memory.clear()
         short = sorted({p for parts in cut for p in parts if len(p) <= SHORT}.difference(memory), key=len)  # alike in length, so that few wait for one
-        for at in range(0, len(short), 20_000):
-            some = short[at : at + 20_000]
+        at = 0
+        while at < len(short):
+            some = short[at : at + max(1, LETTERS // len(short[min(at + PARTS, len(short)) - 1]))][:PARTS]
             memory.update(zip(some, self.best_paths(some)))
+            at += len(some)
         ids = lambda p: memory[p] if len(p) <= SHORT else np.array(self.best_path(p), np.int32).tobytes()
         return [np.frombuffer(b"".join([ids(p) for p in parts]), np.int32) for parts in cut]
 
@@ -272,7 +276,7 @@ def encode(docs: DataFrame, codec: Codec, doc_id: str = "doc_id", text: str = "t
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, ids array<int>, n_pieces int, n_bytes int, round_trip boolean")
+    return rows.mapInArrow(lean(batches), f"doc_id {kind}, ids array<int>, n_pieces int, n_bytes int, round_trip boolean")
 
 
 def decode(rows: DataFrame, codec: Codec, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -285,4 +289,4 @@ def decode(rows: DataFrame, codec: Codec, doc_id: str = "doc_id", ids: str = "id
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([codec.decode(i or ()) for i in b.column(1).to_pylist()], pa.string())], ["doc_id", "text"])
 
     kind = rows.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(batches, f"doc_id {kind}, text string")
+    return rows.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(lean(batches), f"doc_id {kind}, text string")

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import lean, slices
 from .components import components
 from .storage import materialise, release, small
 
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wo
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, fp long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(batches), f"doc_id {kind}, fp long")
 
 
 class Tree:
@@ -209,7 +209,7 @@ def links(fps: DataFrame, radius: int = 2, shard_rows: int = 4096) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(np.array(x, np.uint64).view(np.int64)) for x in (us, vs)], ["u", "v"])
 
     dealt = shards(fps, radius, shard_rows).repartition("key").sortWithinPartitions("key", "fp")
-    return dealt.mapInArrow(batches, "u long, v long")
+    return dealt.mapInArrow(lean(batches), "u long, v long")
 
 
 def wide_majority(hashes: np.ndarray, lanes: int) -> bytes:
@@ -261,7 +261,7 @@ def wide_fingerprints(docs: DataFrame, doc_id: str, text: str, words: int, lanes
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_key"), F.col(text).alias("text"))
-    return rows.mapInArrow(batches, f"doc_id {kind}, text_key long, fp binary, n_shingles int, keys array<long>")
+    return rows.mapInArrow(lean(batches), f"doc_id {kind}, text_key long, fp binary, n_shingles int, keys array<long>")
 
 
 def set_chance(shared: int, own: int, hits: int) -> float:
@@ -315,7 +315,7 @@ def finer_keys(rows: DataFrame, count: int, similarity: float, lanes: int, recal
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), lists], ["shard", "fp", "keys"])
 
-    wide = rows.select("shard", "fp").mapInArrow(batches, "shard long, fp binary, keys array<long>")
+    wide = rows.select("shard", "fp").mapInArrow(lean(batches), "shard long, fp binary, keys array<long>")
     return wide.select("shard", "fp", F.posexplode("keys").alias("table", "bits")).select(F.xxhash64("shard", "table", "bits").alias("key"), "fp")
 
 
@@ -365,7 +365,7 @@ def tree_edges(keyed: DataFrame, radius: int) -> DataFrame:
         close(values, us, vs)
         yield pa.RecordBatch.from_arrays([pa.array(us, pa.binary()), pa.array(vs, pa.binary())], ["u", "v"])
 
-    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(batches, "u binary, v binary")
+    return keyed.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lean(batches), "u binary, v binary")
 
 
 def cluster_edges(distinct: DataFrame, radius: int, shard_rows: int, similarity: float, lanes: int, recall: float) -> DataFrame:
@@ -402,7 +402,7 @@ def shingle_sets(distinct: DataFrame, docs: DataFrame, doc_id: str, text: str, w
         for b in slices(it):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(shingle_hashes(t, words)).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["fp", "shingles"])
 
-    return texts.mapInArrow(batches, "fp binary, shingles binary")
+    return texts.mapInArrow(lean(batches), "fp binary, shingles binary")
 
 
 class Verifier:
@@ -497,7 +497,7 @@ def block_links(rows: DataFrame, radius: int, similarity: float) -> DataFrame:
                     yield fp, block.fps[h]
 
     # A text of a large cluster can be its pivot and in a block of its own; it then meets itself, which does no harm.
-    return rows.select("cluster", "block", "fp", "shingles").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "fp").mapInArrow(lambda it: pair_batches(pairs(it)), "u binary, v binary")
+    return rows.select("cluster", "block", "fp", "shingles").repartition("cluster", "block").sortWithinPartitions("cluster", "block", "fp").mapInArrow(lean(lambda it: pair_batches(pairs(it))), "u binary, v binary")
 
 
 def cross_links(rows: DataFrame, roots: DataFrame, radius: int, similarity: float) -> DataFrame:
@@ -529,7 +529,7 @@ def cross_links(rows: DataFrame, roots: DataFrame, radius: int, similarity: floa
                     yield from ((fp, cell.fps[h]) for h in cell.links(fp, shingles, [numbers[root]] if root in numbers else []))
 
     both = trees.unionByName(asking).repartition("cluster", "tree", "block").sortWithinPartitions("cluster", "tree", "block", "asks")
-    return both.mapInArrow(lambda it: pair_batches(pairs(it)), "u binary, v binary")
+    return both.mapInArrow(lean(lambda it: pair_batches(pairs(it))), "u binary, v binary")
 
 
 def similar_links(

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .batches import slices
+from .batches import lean, slices
 from .storage import materialise
 
 TOKEN = re.compile(r"[^\W_]+")
@@ -189,7 +189,7 @@ def term_scores(rows: DataFrame, prior: float, least_z: float, max_terms: int) -
         names = list(seen.keys() | toxic.keys())
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[u] for u in names], pa.int64()), pa.array([seen[u] for u in names], pa.int64())], ["unit", "toxic", "other"])
 
-    counts = rows.mapInArrow(count, "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    counts = rows.mapInArrow(lean(count), "unit string, toxic long, other long").groupBy("unit").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     counts = materialise(counts, "toxicity-units")
     n_toxic, n_other = (float(x or 0) for x in counts.agg(F.sum("toxic"), F.sum("other")).first())
     if not n_toxic or not n_other:
@@ -236,7 +236,7 @@ def train(
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], ["toxic", "n", "best"])
 
     # The mean of an extreme-value law is its place plus Euler's constant.
-    chance = rows.mapInArrow(measure, "toxic int, n long, best double").filter("toxic = 0 and best > 0 and n > 0")
+    chance = rows.mapInArrow(lean(measure), "toxic int, n long, best double").filter("toxic = 0 and best > 0 and n > 0")
     place = chance.agg(F.avg(F.lit(model.rate) * F.col("best") - F.log("n"))).first()[0]
     model.space = min(1.0, max(1e-3, math.exp(place - 0.5772156649))) if place is not None else 0.1
 
@@ -245,7 +245,7 @@ def train(
             x = [evidence(passages(t, model)) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a for a, _ in x], pa.float64()), pa.array([z for _, z in x], pa.float64())], ["toxic", "total", "best"])
 
-    seen = rows.mapInArrow(look, "toxic int, total double, best double").groupBy("toxic", F.round("total", 2).alias("total"), F.round("best", 2).alias("best")).count().toPandas()
+    seen = rows.mapInArrow(lean(look), "toxic int, total double, best double").groupBy("toxic", F.round("total", 2).alias("total"), F.round("best", 2).alias("best")).count().toPandas()
     weight = np.repeat(np.arange(len(seen)), seen["count"].to_numpy())
     model.curve = fit_curve(seen[["total", "best"]].to_numpy(float)[weight], seen["toxic"].to_numpy(float)[weight])
     return model
@@ -266,7 +266,7 @@ def score(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64()), pa.array(spans, kind)], ["doc_id", "score", "segments"])
 
     kind = docs.select(F.col(doc_id)).schema[0].dataType.simpleString()
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(batches, f"doc_id {kind}, score double, segments {SEGMENT}")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(lean(batches), f"doc_id {kind}, score double, segments {SEGMENT}")
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "segments")
 
 
@@ -280,4 +280,4 @@ def clean_documents(docs: DataFrame, model: Model, doc_id: str = "doc_id", text:
             keep = [logistic(known.curve, evidence(passages(t, known))) < threshold for t in b.column(text).to_pylist()]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(batches, docs.schema)
+    return docs.mapInArrow(lean(batches), docs.schema)
