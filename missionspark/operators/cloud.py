@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,21 +53,72 @@ def spread(kept: DataFrame) -> DataFrame:
     return middle.join(residual, ["s_track_id", "s_t_sec"]).select("s_track_id", "s_t_sec", "var_x", "var_y", "var_z", "residual")
 
 
+def turned_extremes(kept: DataFrame) -> DataFrame:
+    """(track_id, t_sec, lows, highs, n): least and greatest u of every yaw, then v of every yaw, then z.
+
+    The points of a cloud come sorted and in batches; a task holds a batch and the
+    extremes of the cloud that it is at.  The yaws' cosines and sines are Spark's own.
+    """
+    yaw = F.radians(F.col("id") / 2)
+    table = kept.sparkSession.range(YAWS).select("id", F.cos(yaw).alias("cos"), F.sin(yaw).alias("sin")).orderBy("id").collect()
+    cos, sin = np.array([r["cos"] for r in table]), np.array([r["sin"] for r in table])
+
+    def pieces(x, y, z, starts, least, most):
+        low, high = np.empty((len(starts), 2 * YAWS + 1)), np.empty((len(starts), 2 * YAWS + 1))
+        for k in range(0, YAWS, 24):
+            c, s = cos[None, k : k + 24], sin[None, k : k + 24]
+            for at, turned in ((k, x * c + y * s), (YAWS + k, y * c - x * s)):
+                low[:, at : at + c.shape[1]], high[:, at : at + c.shape[1]] = least.reduceat(turned, starts, axis=0), most.reduceat(turned, starts, axis=0)
+        low[:, -1:], high[:, -1:] = least.reduceat(z, starts, axis=0), most.reduceat(z, starts, axis=0)
+        return low, high
+
+    def told(names, found):
+        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * (2 * YAWS + 1)), pa.array(np.concatenate([f[k] for f in found]))) for k in (2, 3)]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], names[0]), pa.array([f[1] for f in found], names[1]), *lists, pa.array([f[4] for f in found], pa.int64())], ["track_id", "t_sec", "lows", "highs", "n"])
+
+    def clouds(it):
+        at, names = None, None
+        for b in it:
+            names = [b.schema.field(k).type for k in range(2)]
+            track, t = (b.column(k).to_numpy(zero_copy_only=False) for k in range(2))
+            x, y, z = (b.column(k).to_numpy(zero_copy_only=False)[:, None] for k in range(2, 5))
+            if not len(t):
+                continue
+            most = np.fmax if any(b.column(k).null_count for k in range(2, 5)) else np.maximum  # Spark's greatest is NaN, a null is none
+            differ = lambda v: (v[1:] != v[:-1]) & ((v[1:] == v[1:]) | (v[:-1] == v[:-1]))  # noqa: E731, PLR0124
+            starts = np.flatnonzero(np.r_[True, differ(track) | differ(t)])
+            low, high = pieces(x, y, z, starts, np.fmin, most)
+            sizes, found = np.diff(np.r_[starts, len(t)]), []
+            for k, start in enumerate(starts.tolist()):
+                key = (track[start], t[start])
+                if at is not None and (key == at[:2] or key[0] == at[0] and key[1] != key[1] and at[1] != at[1]):
+                    at = (*at[:2], np.fmin(at[2], low[k]), most(at[3], high[k]), at[4] + int(sizes[k]))
+                else:
+                    found += [at] * (at is not None)
+                    at = (*key, low[k], high[k], int(sizes[k]))
+            if found:
+                yield told(names, found)
+        if at is not None:
+            yield told(names, [at])
+
+    kinds = ", ".join(f"{c} {kept.schema[c].dataType.simpleString()}" for c in ("track_id", "t_sec"))
+    rows = kept.select("track_id", "t_sec", "x", "y", "z").repartition("track_id", "t_sec").sortWithinPartitions("track_id", "t_sec")
+    return rows.mapInArrow(clouds, f"{kinds}, lows array<double>, highs array<double>, n long")
+
+
 def box_fit(points: DataFrame) -> DataFrame:
     """Gravity-aligned box of each cloud: the yaw, in half degrees, with the least ground area.
 
     (track_id, t_sec, yaw, length, width, height, cx, cy, cz, n) with the spread
     (var_x, var_y, var_z, residual); no side is shorter than ``LEAST_EXTENT_M``.
-    Each point meets all yaws inside its task; only extremes are shuffled.
+    Each point meets all yaws inside its task, which gives a row a cloud.
     """
     kept = materialise(robust_points(points), "cloud-points")
-    turned = kept.select("track_id", "t_sec", "x", "y", "z", F.explode(F.sequence(F.lit(0), F.lit(YAWS - 1))).alias("step"))
-    yaw = F.radians(F.col("step") / 2)
-    turned = turned.withColumn("u", F.col("x") * F.cos(yaw) + F.col("y") * F.sin(yaw)).withColumn("v", F.col("y") * F.cos(yaw) - F.col("x") * F.sin(yaw))
-    ends = [f(c).alias(f"{n}_{c}") for c in "uv" for n, f in (("lo", F.min), ("hi", F.max))]
-    boxes = turned.groupBy("track_id", "t_sec", "step").agg(*ends, F.min("z").alias("lo_z"), F.max("z").alias("hi_z"), F.count("*").alias("n"))
-    area = F.round((F.col("hi_u") - F.col("lo_u")) * (F.col("hi_v") - F.col("lo_v")), 9)
-    best = boxes.groupBy("track_id", "t_sec").agg(F.min_by(F.struct("step", "lo_u", "hi_u", "lo_v", "hi_v", "lo_z", "hi_z", "n"), F.struct(area.alias("area"), "step")).alias("b"))
+    wide = lambda k: F.get("highs", k) - F.get("lows", k)
+    areas = F.transform(F.sequence(F.lit(0), F.lit(YAWS - 1)), lambda k: F.struct(F.round(wide(k) * wide(k + YAWS), 9).alias("area"), k.alias("step")))
+    best = turned_extremes(kept).withColumn("step", F.array_min(areas).getField("step"))
+    ends = [F.get(c, at).alias(f"{n}_{a}") for a, at in (("u", F.col("step")), ("v", F.col("step") + YAWS), ("z", F.lit(2 * YAWS))) for n, c in (("lo", "lows"), ("hi", "highs"))]
+    best = best.select("track_id", "t_sec", F.struct("step", *ends, "n").alias("b"))
     a, u, v = F.radians(F.col("b.step") / 2), (F.col("b.lo_u") + F.col("b.hi_u")) / 2, (F.col("b.lo_v") + F.col("b.hi_v")) / 2
     side = lambda c: F.greatest(F.col(f"b.hi_{c}") - F.col(f"b.lo_{c}"), F.lit(LEAST_EXTENT_M))
     best = best.join(spread(kept), (F.col("track_id") == F.col("s_track_id")) & (F.col("t_sec") == F.col("s_t_sec")))
