@@ -60,17 +60,26 @@ def effective_status(proposals: DataFrame) -> DataFrame:
 def check_cycles(pairs: DataFrame) -> DataFrame:
     """Nodes of (child, parent) pairs that come back to themselves.
 
-    Pointers that end are dropped while the others are doubled; what is left
-    after more steps than there are nodes points into a cycle, and the nodes
-    pointed at are the cycle's own.
+    Pointers that end are dropped while the others are doubled.  When a round
+    drops none, all that is left leads into a cycle; when it points at no fewer
+    nodes either, these are the cycles' own: a step that maps them onto
+    themselves can't leave one out that is in a cycle or hold one that is not.
     """
     at = materialise(pairs.filter("parent is not null").select(F.col("child").alias("node"), F.col("parent").alias("last")).distinct(), "cycles")
-    for _ in range(max(1, at.count()).bit_length()):
+    sizes = lambda table, column: table.select(column).distinct().count()
+    rows, image = at.count(), None
+    single = sizes(at, "node") == rows  # rows then are nodes; a child with several parents takes all rounds
+    for _ in range(max(1, rows).bit_length()):
         far = at.select(F.col("node").alias("via"), F.col("last").alias("further"))
         step = materialise(at.join(far, F.col("last") == F.col("via")).select("node", F.col("further").alias("last")), "cycles")
+        was, rows = rows, step.count()
         release(at)
         at = step
-        if at.isEmpty():
+        if single and rows == was:
+            before, image = image, sizes(at, "last")
+            if image == before:
+                break
+        if not rows:
             break
     return at.select(F.col("last").alias("node")).distinct()
 
