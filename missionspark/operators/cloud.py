@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.storage import materialise
+from ..sources.storage import materialise, small
 
 # Fixed values of the box fit and of the camera model.
 GATE, LEAST_POINTS, YAWS, UNDISTORT_STEPS = 8.0, 12, 360, 8
@@ -148,7 +148,8 @@ def backproject(pixels: DataFrame, cameras: DataFrame) -> DataFrame:
     ``reprojection_px`` is the way back to the pixel.
     """
     turned = "rotation" in cameras.columns
-    named = cameras.select(F.col("camera_id").alias("c_id"), "fu", "fv", "cu", "cv", "k1", "k2", "px", "py", "pz", "calibrated", *["rotation"] * turned)
+    # By broadcast: a shuffle by camera would bring all pixels of a camera to one task.
+    named = small(cameras.select(F.col("camera_id").alias("c_id"), "fu", "fv", "cu", "cv", "k1", "k2", "px", "py", "pz", "calibrated", *["rotation"] * turned))
     rows = pixels.filter(f"mask and depth > {LEAST_DEPTH} and depth < double('inf')").join(named, F.col("camera_id") == F.col("c_id")).drop("c_id")
     # Written first: a join that reuses the grouping's shuffle couldn't split a large cloud.
     scale = materialise(rows.groupBy(F.col("track_id").alias("s_track"), F.col("t_sec").alias("s_t")).agg(F.median("depth").alias("unit"), F.count("*").alias("n")), "cloud-units")
