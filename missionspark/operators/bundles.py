@@ -42,7 +42,7 @@ def dangling(bundle: dict[str, DataFrame]) -> DataFrame:
         for table, column in targets:
             rows = bundle[table].select(_id(column).alias("known"))
             known[kind] = rows if known[kind] is None else known[kind].unionByName(rows)
-    found = check_refs({kind: (_wanted(bundle[table], column), "ref", known[kind].distinct(), "known") for kind, (table, column, _) in REFERENCES.items()})
+    found = check_refs({kind: (_wanted(bundle[table], column), "ref", known[kind], "known") for kind, (table, column, _) in REFERENCES.items()})
     log, shown = (bundle[t].select(_id("qa_id").alias("id"), F.col("answer").alias(t)) for t in ("qa", "timeline_qa"))
     both = log.join(shown, "id", "full")
     differ = both.filter(~F.col("qa").eqNullSafe(F.col("timeline_qa"))).groupBy("id").agg(F.count("*").alias("n")).select(F.lit("qa_log").alias("kind"), "id", "n")

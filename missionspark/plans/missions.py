@@ -223,7 +223,7 @@ def j9(t):
     key = lambda df: df.withColumn("ref", F.concat_ws("/", "mission_id", "subject_id"))
     p = t("proposals")
     moved = p.withColumn("ref", F.col("supersedes") - F.col("supersedes") % 3 * 20000)
-    return J.check_refs({"edge_subject": (key(t("edges")), "ref", key(t("geometry")).select("ref").distinct(), "ref"), "proposal_supersedes": (moved, "ref", p, "proposal_id")})
+    return J.check_refs({"edge_subject": (key(t("edges")), "ref", key(t("geometry")).select("ref"), "ref"), "proposal_supersedes": (moved, "ref", p, "proposal_id")})
 
 
 BUNDLE = ("observations", "nodes", "edges", "samples", "proposals", "events", "qa", "timeline_qa", "masks", "files")

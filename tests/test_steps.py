@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from missionspark.operators import cloud as C
 from missionspark.operators import graph as V
+from missionspark.operators import intervals as W
+from missionspark.operators import joins as J
 
 
 def test_nearest_pairs_reads_samples_once(spark, tmp_path):
@@ -15,3 +18,28 @@ def test_nearest_pairs_reads_samples_once(spark, tmp_path):
     # Of equal gaps the earliest; the same subject on both sides meets itself; a claim without samples has no row.
     assert rows == [(1, 0.0, 0.5, True, True, 2.0), (2, None, None, True, False, None), (3, None, None, True, False, 2.0), (5, 0.0, 0.0, True, True, 2.0)]
     assert found._jdf.queryExecution().sparkPlan().toString().count(f"{tmp_path}/s]") == 1
+
+
+def test_backproject_keeps_pixels_of_a_camera_apart(spark):
+    pixels = spark.range(40).selectExpr("id track_id", "0e0 t_sec", "id % 2 camera_id", "10e0 u", "10e0 v", "2e0 depth", "true mask")
+    cameras = spark.createDataFrame([(k, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, True) for k in range(2)], "camera_id long, fu double, fv double, cu double, cv double, k1 double, k2 double, px double, py double, pz double, calibrated boolean")
+    out = C.backproject(pixels, cameras)
+    assert out.count() == 40 and "hashpartitioning(camera_id" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_relation_intervals_shuffle_no_row_a_relation(spark):
+    samples = [(1, s, f"{s}{t}", float(t), x, 0.0, 0.0, 1.0, 1.0, 1.0, 1.0, "metric") for s, places in (("a", (0.0, 0.0, 9.0, 0.0)), ("b", (5.0, 5.0, 5.0, 5.0))) for t, x in enumerate(places)]
+    kind = "mission_id long, subject_id string, sample_id string, t_sec double, " + ", ".join(f"{p}{a} double" for p in "ce" for a in "xyz") + ", depth_m double, metric_scale string"
+    found = W.relation_intervals(spark.createDataFrame(samples, kind))
+    rows = sorted((r.start_sec, r.end_sec, r.evidence_id) for r in found.filter("subject_id = 'a' and predicate = 'left_of'").collect())
+    assert rows == [(0.0, 2.0, "a1"), (3.0, 4.0, "a3")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "cx#" not in plan.split("Window", 1)[1].split("Exchange", 1)[0]
+
+
+def test_check_refs_sorts_nothing(spark):
+    rows, table = spark.createDataFrame([("a",), ("b",), ("b",), (None,)], "ref string"), spark.createDataFrame([("a",), ("a",), (None,)], "known string")
+    found = J.check_refs({"k": (rows, "ref", table, "known")})
+    assert [tuple(r) for r in found.collect()] == [("k", "b", 2)]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
