@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from missionspark.operators import cloud as C
 from missionspark.operators import graph as V
 from missionspark.operators import intervals as W
 from missionspark.operators import joins as J
+from missionspark.operators import logs as G
 
 
 def test_nearest_pairs_reads_samples_once(spark, tmp_path):
@@ -43,3 +46,16 @@ def test_check_refs_sorts_nothing(spark):
     assert [tuple(r) for r in found.collect()] == [("k", "b", 2)]
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Sort" not in plan
+
+
+def test_count_claims_read_a_text_once(spark):
+    tracks = [(1, "a", "Cars", 0.0, "confirmed"), (1, "b", "CARSS", 0.0, "confirmed"), (1, "b", "CARSS", 1.0, "lost"), (1, "p", "bus", 0.0, "confirmed")]
+    tracks = spark.createDataFrame(tracks, "mission_id long, track_id string, label string, t_sec double, state string")
+    samples = spark.createDataFrame([(1, "a", 0.5, "a@0"), (1, "p", 0.5, "p@0")], "mission_id long, subject_id string, t_sec double, sample_id string")
+    texts = ["two cars", "One-car waits", "zero cars", "1 buses", "1 bus", "cars", "", None, "3 cars"]
+    claims = spark.createDataFrame([(k, 1, text, float(k)) for k, text in enumerate(texts)], "claim_id long, mission_id long, text string, start_sec double")
+    nodes = spark.createDataFrame([], "mission_id long, node_id string, track_id string")
+    events = spark.createDataFrame([], "mission_id long, event_id string, type string, participants array<string>")
+    found = V.claim_count_events(claims, tracks, nodes, samples, events)
+    assert sorted((r.event_id, r.n, r.ids, r.evidence_id) for r in found.collect()) == [("evt-count-bu-0004000", 1, ["p"], "p@0"), ("evt-count-car-0000000", 2, ["a", "b"], "a@0"), ("evt-count-car-0001000", 1, ["a"], "a@0")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
