@@ -91,7 +91,7 @@ m AS (SELECT *, sqrt((x0 - x1) * (x0 - x1) + (y0 - y1) * (y0 - y1) + (z0 - z1) *
 SELECT m.mission_id, m.subject_id, min(g.subject_id) AS object_id, m.start_sec, m.end_sec, round(m.moved_m, 6) AS moved_m FROM m JOIN geometry g ON g.mission_id = m.mission_id AND g.subject_id <> m.subject_id AND g.t_sec >= m.start_sec AND g.t_sec < m.end_sec
 WHERE m.moved_m > 0.05 GROUP BY m.mission_id, m.subject_id, m.start_sec, m.end_sec, m.moved_m""")
 def w6(t):
-    return W.motion_edges(t("geometry")).select("mission_id", "subject_id", "object_id", "start_sec", "end_sec", F.round("moved_m", 6).alias("moved_m"))
+    return W.motion_edges(t("geometry"), with_evidence=False).select("mission_id", "subject_id", "object_id", "start_sec", "end_sec", F.round("moved_m", 6).alias("moved_m"))
 
 
 @query("w3_infeasible", ["geometry"], """

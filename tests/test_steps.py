@@ -59,3 +59,18 @@ def test_count_claims_read_a_text_once(spark):
     found = V.claim_count_events(claims, tracks, nodes, samples, events)
     assert sorted((r.event_id, r.n, r.ids, r.evidence_id) for r in found.collect()) == [("evt-count-bu-0004000", 1, ["p"], "p@0"), ("evt-count-car-0000000", 2, ["a", "b"], "a@0"), ("evt-count-car-0001000", 1, ["a"], "a@0")]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+
+
+def test_motion_edges_join_only_what_the_first_other_leaves_open(spark, monkeypatch):
+    places = {"a": (0.0, 9.0), "b": (0.0, 1.0, 2.0, 9.0), "c": (4.0, 5.0), "d": (4.5, 5.5), "e": (20.0, 21.0), "f": (21.5, None), "still": (0.0, 1.0)}
+    rows = [(1, s, f"{s}{k}", t, float(k) if s != "still" else 0.0, 0.0, 0.0) for s, times in places.items() for k, t in enumerate(times)]
+    rows += [(2, "alone", f"{k}", float(k), float(k), 0.0, 0.0) for k in range(2)] + [(None, s, f"{s}{k}", float(k), float(k), 0.0, 0.0) for s in "xy" for k in range(2)]
+    samples = spark.createDataFrame(rows, "mission_id long, subject_id string, sample_id string, t_sec double, cx double, cy double, cz double")
+    written = []
+    real = W.materialise
+    monkeypatch.setattr(W, "materialise", lambda df, name: written.append(real(df, name)) or written[-1])
+    # "a" and "b" span "c" and "d" without a sample there; "e" meets "f" alone, after its own last sample.
+    want = [("a", "b", 10.0, "a1"), ("b", "a", 10.0, "b3"), ("c", "d", 6.0, "c1"), ("d", "c", 6.5, "d1"), ("e", "f", 22.0, "e1")]
+    assert sorted((r.subject_id, r.object_id, r.end_sec, r.evidence_id) for r in W.motion_edges(samples).collect()) == want
+    assert sorted(r.subject_id for r in written[0].filter("near_id is null and has_other").collect()) == ["c", "d", "e"]
+    assert [(r.subject_id, r.evidence_id) for r in W.motion_edges(samples, with_evidence=False).orderBy("subject_id").collect()] == [(w[0], None) for w in want]
