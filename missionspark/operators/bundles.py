@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .joins import check_refs
-from .logs import check_unique
+from .logs import repeated_ids
 
 #: References: kind -> (table, column, known tables and columns).  A column that holds an array is a list of references.
 REFERENCES = {
@@ -49,14 +49,11 @@ def dangling(bundle: dict[str, DataFrame]) -> DataFrame:
     return found.unionByName(differ)
 
 
-def repeated(bundle: dict[str, DataFrame]) -> DataFrame:
-    """Ids of the nine kinds that occur more than once in a mission: (kind, id, n)."""
-    tables = {}
+def repeated(bundle: dict[str, DataFrame], n_ids: int | None = None) -> DataFrame:
+    """Ids of the nine kinds that occur more than once in a mission: (kind, id, n); ``n_ids`` as in :func:`repeated_ids`."""
+    ids = {}
     for kind, names in UNIQUE.items():
         column = "qa_id" if kind == "timeline_qa_id" else kind
-        rows = None
         for name in names:
-            part = bundle[name].filter(F.col(column).isNotNull()).select(_id(column).alias("id"))
-            rows = part if rows is None else rows.unionByName(part)
-        tables[kind] = (rows, "id")
-    return check_unique(tables)
+            ids.setdefault(name, {})[kind] = F.when(F.col(column).isNotNull(), _id(column))
+    return repeated_ids([(bundle[name], kinds) for name, kinds in ids.items()], n_ids).filter("id is not null")

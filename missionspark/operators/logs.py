@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import uuid
 from collections.abc import Sequence
@@ -84,13 +85,29 @@ def check_cycles(pairs: DataFrame) -> DataFrame:
     return at.select(F.col("last").alias("node")).distinct()
 
 
+#: Ids that one task counts, about; a table of more is dealt to more tasks.
+TASK_IDS = 1_000_000
+
+
 def check_unique(tables: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Ids that occur more than once: (kind, id, n)."""
-    found = None
-    for kind, (df, column) in tables.items():
-        rows = df.groupBy(F.col(column).cast("string").alias("id")).agg(F.count("*").alias("n")).filter("n > 1").select(F.lit(kind).alias("kind"), "id", "n")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    return repeated_ids([(df, {kind: F.col(column).cast("string")}) for kind, (df, column) in tables.items()])
+
+
+def repeated_ids(tables: Sequence[tuple[DataFrame, dict[str, Column]]], n_ids: int | None = None) -> DataFrame:
+    """(kind, id, n) of the ids that occur more than once in a kind.
+
+    Each table is read once, whatever kinds its ids have.  Nearly all ids differ, so none
+    are counted before they are dealt, and the number of tasks follows that of the ids
+    (``n_ids`` where a bound is known, else counted).
+    """
+    kinds = list(dict.fromkeys(kind for _, ids in tables for kind in ids))
+    parts = [df.select(F.explode(F.array(*[F.struct(F.lit(kinds.index(kind)).alias("place"), c.alias("id")) for kind, c in ids.items()])).alias("i")).select("i.*") for df, ids in tables]
+    rows = functools.reduce(DataFrame.unionByName, parts)
+    context = rows.sparkSession.sparkContext
+    tasks = max(context.defaultParallelism, -(-(rows.count() if n_ids is None else n_ids) // TASK_IDS))
+    each = rows.repartition(tasks, "place", "id").groupBy("place", "id").agg(F.count("*").alias("n")).filter("n > 1")
+    return each.select(F.get(F.array(*map(F.lit, kinds)), F.col("place")).alias("kind"), "id", "n")
 
 
 def diff_ids(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

@@ -265,7 +265,8 @@ def j9_bundle(t):
                                 ("timeline_qa_id", "timeline_qa", "qa_id"), ("node_id", "nodes", "node_id"), ("edge_id", "edges", "edge_id"), ("sample_id", "samples", "sample_id")]
 ) + ") GROUP BY ALL HAVING count(*) > 1")
 def g4_bundle(t):
-    return B.repeated(_bundle(t))
+    # A line has an observation and at most a node with two ids, an order at most seven ids.
+    return B.repeated(_bundle(t), 3 * t.raw("lineitem").count() + 7 * t.raw("orders").count())
 
 
 @query("j11_assign_sites", ["missions", "sites"], """

@@ -74,3 +74,15 @@ def test_motion_edges_join_only_what_the_first_other_leaves_open(spark, monkeypa
     assert sorted((r.subject_id, r.object_id, r.end_sec, r.evidence_id) for r in W.motion_edges(samples).collect()) == want
     assert sorted(r.subject_id for r in written[0].filter("near_id is null and has_other").collect()) == ["c", "d", "e"]
     assert [(r.subject_id, r.evidence_id) for r in W.motion_edges(samples, with_evidence=False).orderBy("subject_id").collect()] == [(w[0], None) for w in want]
+
+
+def test_repeated_ids_are_dealt_by_their_number(spark, monkeypatch):
+    a = spark.range(100).selectExpr("id % 98 x", "if(id = 7, null, id) y")
+    b = spark.range(3).selectExpr("id z")
+    monkeypatch.setattr(G, "TASK_IDS", 9)
+    found = G.repeated_ids([(a, {"x": F.col("x").cast("string"), "y": F.col("y").cast("string")}), (b, {"x": F.col("z").cast("string")})])
+    assert sorted(tuple(r) for r in found.collect()) == [("x", "0", 3), ("x", "1", 3), ("x", "2", 2)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    # Each table is read once, and nothing is counted before the 203 ids are dealt to 23 tasks.
+    assert plan.count("Range (0, 100") == 1 and "Aggregate" not in plan.split("Exchange hashpartitioning(place", 1)[1] and ", 23)" in plan
+    assert G.check_unique({"k": (b.union(b), "z")}).count() == 3
